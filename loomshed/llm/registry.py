@@ -113,6 +113,33 @@ FROM placed p JOIN told t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate components over two-word shingles."""
+    from loomshed.llm.neardup import NearDup, near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"), NearDup(words=2))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM tokens),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both_
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * both_ >= 80 * (na + nb - both_)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, c) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id WHERE r.c < e.b),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+FROM sets s JOIN least l ON s.doc_id = l.id
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document; learned from the rows whose crc32 is not divisible by 5."""
     from loomshed.llm.toxicity import score_documents, train
@@ -146,6 +173,7 @@ QUERIES = {
     "op1_url_reputation": (op1_url_reputation, OP1_SQL),
     "op4_bpe": (op4_bpe, None),
     "op7_curriculum": (op7_curriculum, OP7_SQL),
+    "op8_near_duplicates": (op8_near_duplicates, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
 }
