@@ -28,7 +28,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows written to the shared folder and read again: a cut of the lineage that outlives executors."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

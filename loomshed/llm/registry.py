@@ -74,6 +74,26 @@ FROM ruled
 """
 
 
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Write every page to deduplicated archives, read them back and resolve revisits."""
+    from loomshed.llm.common import scratch
+    from loomshed.llm.warc import read_archives, resolve, write_archives
+
+    path = scratch(spark, "warc")
+    write_archives(table(spark, sf, "pages"), path)
+    return resolve(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH heads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT payload_digest, max(page_id) AS page FROM heads WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, h.payload_digest,
+  CASE WHEN page IS NULL OR page = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page <> page_id THEN page END AS refers_to
+FROM heads h LEFT JOIN last l ON h.payload_digest = l.payload_digest
+"""
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Encode and decode every document."""
     from loomshed.llm.bpe import encode_documents
@@ -82,6 +102,27 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), ranks, pattern, keep_ids=False).drop("token_ids")
 
 
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best others of every vector whose id is divisible by 50."""
+    from loomshed.llm.topk import top_k
+
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+OP5_SQL = """
+WITH fine AS (
+  SELECT vec_id, min(embedding) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+ints AS (SELECT vec_id, list_transform(e, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM fine),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op7_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """The mix's plan for every document, in training order of first copies."""
     from loomshed.llm.mixing import plan
@@ -171,7 +212,9 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_reputation": (op1_url_reputation, OP1_SQL),
+    "op2_warc": (op2_warc, OP2_SQL),
     "op4_bpe": (op4_bpe, None),
+    "op5_top_k": (op5_top_k, OP5_SQL),
     "op7_curriculum": (op7_curriculum, OP7_SQL),
     "op8_near_duplicates": (op8_near_duplicates, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
