@@ -94,6 +94,13 @@ FROM heads h LEFT JOIN last l ON h.payload_digest = l.payload_digest
 """
 
 
+def op3_media_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk every document as a picture, store it deduplicated, rebuild and describe it."""
+    from loomshed.llm.media import rebuild, write_store
+
+    return rebuild(write_store(table(spark, sf, "documents")))
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Encode and decode every document."""
     from loomshed.llm.bpe import encode_documents
@@ -123,6 +130,20 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 """
 
 
+def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Write every document's sequences in permuted order as fixed-stride shards, and read them back."""
+    from loomshed.llm.common import scratch
+    from loomshed.llm.materialise import byte_pair_tokeniser, read_shards, write_shards
+
+    ranks, pattern = tokenizer(spark)
+    path = scratch(spark, "shards")
+    if not write_shards(table(spark, sf, "documents"), path, byte_pair_tokeniser(ranks, pattern)):
+        return spark.createDataFrame([], "slot long, n_ids int, ids_sha256 string")
+    ids = read_shards(spark, path)
+    pad = F.length(F.regexp_extract(F.hex("ids"), "(FFFF)*$", 0)) / 4
+    return ids.select("slot", (F.octet_length("ids") / 2 - pad).cast("int").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op7_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """The mix's plan for every document, in training order of first copies."""
     from loomshed.llm.mixing import plan
@@ -213,8 +234,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_url_reputation": (op1_url_reputation, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
+    "op3_media_chunks": (op3_media_chunks, None),
     "op4_bpe": (op4_bpe, None),
     "op5_top_k": (op5_top_k, OP5_SQL),
+    "op6_training_order": (op6_training_order, None),
     "op7_curriculum": (op7_curriculum, OP7_SQL),
     "op8_near_duplicates": (op8_near_duplicates, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
