@@ -50,7 +50,7 @@ class Fit:
     """
 
     sample: int = 8000
-    least_docs: int = 4
+    least_docs: int = 5
     purity: float = 20.0
     fuzzy_from: int = 5
     stems: tuple[int, int] = (4, 7)
@@ -244,20 +244,18 @@ class Scorer:
         ]
 
 
-def _chosen(rows: DataFrame, fit: Fit) -> DataFrame:
-    """The sample: of each class, the rows least in hash order; ties beyond it by id."""
+def _chosen(labels: DataFrame, fit: Fit) -> DataFrame:
+    """The sample: of each class, the ids least in hash order. At most ``fit.sample`` rows."""
     half = fit.sample // 2
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
-    pos = rows.filter("y = 1").select("doc_id", "y").orderBy(*by).limit(half)
-    neg = rows.filter("y = 0").select("doc_id", "y").orderBy(*by).limit(half)
-    return pos.unionByName(neg)
+    return labels.filter("y = 1").orderBy(*by).limit(half).unionByName(labels.filter("y = 0").orderBy(*by).limit(half))
 
 
 def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon:
-    """Entries that toxic rows of the sample have and clean ones hardly do."""
+    """Entries that toxic rows of the sample have and clean ones hardly do; near copies count as one row, mostly."""
     low, high = fit.stems
-    words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= low)
-    entries = words.select("y", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("stem"), F.col("w").alias("t"))), F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(F.when(F.length("w") >= n, 1).otherwise(-1).alias("stem"), F.substring("w", F.lit(1), n).alias("t"))))).alias("e")).select("y", "e.*").filter("stem >= 0")
+    words = sample.select("y", "copies", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= low)
+    entries = words.select("y", "copies", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("stem"), F.col("w").alias("t"))), F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(F.when(F.length("w") >= n, 1).otherwise(-1).alias("stem"), F.substring("w", F.lit(1), n).alias("t"))))).alias("e")).select("y", "copies", "e.*").filter("stem >= 0").distinct()
     counts = entries.groupBy("stem", "t").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     odds = ((F.col("pos") + 0.0) / max(positives, 1)) / ((F.col("neg") + 0.5) / max(negatives, 1))
     found = (
@@ -268,14 +266,15 @@ def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon
         .limit(fit.terms)
         .collect()
     )
+    weigh = lambda r: math.log(r["odds"]) - 0.8 * math.log(fit.purity)  # noqa: E731  evidence beyond what chance entries have
     whole = {r["t"]: r for r in found if r["stem"] == 0}
     stems: dict[str, float] = {}
     for r in sorted((r for r in found if r["stem"] == 1), key=lambda r: (len(r["t"]), r["t"])):
         # A stem must stand for more than one word, and its own stem must not be in already.
         alone = any(w.startswith(r["t"]) and whole[w]["pos"] >= 0.9 * r["pos"] for w in whole)
         if not alone and not any(r["t"].startswith(s) for s in stems):
-            stems[r["t"]] = math.log(r["odds"])
-    words_kept = {w: math.log(r["odds"]) for w, r in whole.items() if not any(w.startswith(s) for s in stems)}
+            stems[r["t"]] = weigh(r)
+    words_kept = {w: weigh(r) for w, r in whole.items() if not any(w.startswith(s) for s in stems)}
     return Lexicon(words_kept, stems, fuzzy_from=fit.fuzzy_from)
 
 
@@ -289,6 +288,22 @@ def _map_features(rows: DataFrame, lexicon: Lexicon, window: int) -> DataFrame:
     return rows.select("y", "text").mapInArrow(run, "y int, f array<double>")
 
 
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """Adds ``copies``, the least hash of three words in a row, which near copies mostly share."""
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            keys = []
+            for t in b.column(1).to_pylist():
+                w = t.split()
+                keys.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "y", "copies"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(run, "doc_id long, text string, y int, copies long")
+
+
 def _near_clean(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     """Tokens of clean rows that are one edit from a word of the lexicon."""
 
@@ -324,11 +339,16 @@ def logistic(x: list[list[float]], y: list[int], fit: Fit) -> list[float]:
     return [float(v) for v in w]
 
 
-def train(labelled: DataFrame, fit: Fit = Fit()) -> Model:
-    """Fit on ``labelled`` (doc_id, text, toxic 0/1); rows without text or label count not."""
-    rows = labelled.filter("toxic is not null and text is not null and doc_id is not null").selectExpr("doc_id", "text", "cast(toxic > 0 as int) y")
-    ids = _chosen(rows, fit)
-    sample = stored(rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi"), "toxic-sample")  # at most fit.sample ids are broadcast
+def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
+    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).
+
+    The sample is drawn from the labels alone, so the texts are only filtered,
+    by at most ``fit.sample`` broadcast ids, and never shuffled. Null ids and
+    labels count not; an id labelled twice takes the greater label.
+    """
+    told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    ids = _chosen(told, fit)
+    sample = stored(_with_copies(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")), "toxic-sample")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model(Lexicon({}, {}), [-1.0] + [0.0] * len(FEATURES), fit.window)
@@ -344,6 +364,11 @@ def train(labelled: DataFrame, fit: Fit = Fit()) -> Model:
     return Model(lexicon, weights, fit.window)
 
 
+def _score(weights: list[float], f: list[float]) -> float:
+    z = weights[0] + sum(u * v for u, v in zip(weights[1:], f, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_hits, n_near, n_quoted, hits) of every row of ``docs`` (doc_id, text)."""
 
@@ -354,8 +379,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score, n, near, quoted, spans = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 f = scorer.features(text)
-                z = w[0] + sum(u * v for u, v in zip(w[1:], f, strict=True))
-                score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                score.append(_score(w, f))
                 hits = scorer.hits(text) if any(f) else []
                 n.append(len(hits))
                 near.append(sum(h[2] == "near" for h in hits))
@@ -370,3 +394,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
         run, "doc_id long, score double, n_hits int, n_near int, n_quoted int, hits array<struct<start:int,end:int,kind:string,term:string,quoted:boolean>>"
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``least``."""
+
+    def run(batches):
+        scorer = Scorer(model.lexicon, model.window)
+        for b in batches:
+            keep = [_score(model.weights, scorer.features(t)) < least for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
