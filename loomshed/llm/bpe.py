@@ -3,7 +3,7 @@
 The driver reads the rank file once and ships its bytes with the task (under
 1 MB for a 50k vocabulary); each Python worker builds the encoder once and
 keeps it. Long texts are split at boundaries that no match of the pattern can
-span, so a piece never costs more than its own length.
+span, so what the library holds at once is bounded by a piece.
 
 Defined results: a null or empty text has no tokens (the digests are those of
 no bytes); repeated rows stay repeated; other columns are left out, so clashing
@@ -15,16 +15,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts longer than this are split before encoding.
-PIECE_CHARS = 1 << 16
-#: A letter or digit of ASCII, then one space or newline: no match of the pattern
-#: holds white space after other characters, so the cut before it is safe.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+PIECE_CHARS = 1 << 15
+#: A space or newline after other than white space: no match of the pattern holds
+#: white space after other characters, so a text cut before it has the ids of its parts.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
 _encoders: dict[bytes, object] = {}
 
@@ -48,28 +47,27 @@ def encoder(ranks: bytes, pattern: str):
     return _encoders[key]
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """Cut a long text at safe boundaries, the first at or after every ``size`` characters."""
-    at = 0
+def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+    """A long text in parts of about ``size`` characters, cut at the next safe boundary."""
+    out, at = [], 0
     while len(text) - at > size:
         cut = _SAFE.search(text, at + size)
-        if not cut or cut.start() >= len(text):
+        if not cut:
             break
-        yield text[at : cut.start()]
+        out.append(text[at : cut.start()])
         at = cut.start()
-    yield text[at:]
+    return [*out, text[at:]]
 
 
 def encode(enc, text: str) -> list[int]:
     """Token ids of one whole text, without special tokens."""
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
-    ids: list[int] = []
-    for piece in pieces(text):
-        ids += enc.encode_ordinary(piece)
-    return ids
+    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
 
 
+#: Rows of an output batch, so that ids of long texts do not gather.
+ROWS = 500
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string"
 
 
@@ -83,18 +81,20 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, keep_ids: bool
         import numpy as np
 
         enc = encoder(ranks, pattern)
-        for batch in batches:
-            counts, kept, ids_sha, out_sha = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encode(enc, text or "")
-                counts.append(len(ids))
-                kept.append(ids if keep_ids else None)
-                ids_sha.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
-                out_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())],
-                names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                counts, kept, ids_sha, out_sha = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    ids = encode(enc, text or "")
+                    counts.append(len(ids))
+                    kept.append(np.array(ids, np.int32) if keep_ids else None)
+                    ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    out_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())],
+                    names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 

@@ -23,21 +23,15 @@ shard.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from loomshed.llm.bpe import encoder
+from loomshed.llm.bpe import encode, encoder
 from loomshed.llm.common import release, scratch
 
-#: White space with the characters after it: a token never spans two of these,
-#: for a match of the pattern has no white space after other characters.
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-
-
 @dataclass(frozen=True)
 class Layout:
     """Ids a sequence, sequences a shard, the id that pads, the permutation's key and rounds."""
@@ -53,29 +47,6 @@ class Layout:
         return 2 * self.length + 1
 
 
-class Pieces:
-    """Ids of texts by way of pieces that are remembered: natural text repeats its words."""
-
-    def __init__(self, enc, keep: int = 400_000):
-        self.enc, self.keep, self.known = enc, keep, {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 16-bit ids."""
-        import numpy as np
-
-        known, out = self.known, []
-        for piece in _PIECE.findall(text):
-            got = known.get(piece)
-            if got is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                got = np.array(self.enc.encode_ordinary(piece), "<u2").tobytes()
-                if len(piece) <= 64:
-                    known[piece] = got
-            out.append(got)
-        return b"".join(out)
-
-
 def half_bits(n: int) -> int:
     """Bits of a Feistel half for a domain of ``n``: 2^(2h) is at least n, less than 4n for n over 1."""
     h = 1
@@ -193,6 +164,9 @@ def byte_pair_tokeniser(ranks: bytes, pattern: str) -> Callable[[], Callable[[st
     """Tokeniser factory for ``sequences``: byte-level BPE by a rank file."""
 
     def make() -> Callable[[str], bytes]:
-        return Pieces(encoder(ranks, pattern)).ids
+        import numpy as np
+
+        enc = encoder(ranks, pattern)
+        return lambda text: np.array(encode(enc, text), "<u2").tobytes()
 
     return make

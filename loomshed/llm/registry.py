@@ -208,8 +208,8 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    labels = table(spark, sf, "labels").select("doc_id", "toxic").filter(~held).dropDuplicates(["doc_id"])
-    model = train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").filter(~held)
+    model = train(docs, labels)
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_near", "n_quoted")
 
@@ -231,6 +231,13 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """corpus_pipeline.py's run."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
     "op1_url_reputation": (op1_url_reputation, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
@@ -242,6 +249,7 @@ QUERIES = {
     "op8_near_duplicates": (op8_near_duplicates, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
+    "pipeline": (pipeline, None),
 }
 
 
