@@ -9,10 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from loomshed.operators import gates
-from loomshed.session import table
+from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -31,28 +28,15 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
-@register(
-    "sequence_gate",
-    """
-    WITH frames AS (SELECT l_orderkey AS clip, l_linenumber AS num FROM lineitem),
-    steps AS (SELECT clip, num, lag(num) OVER (PARTITION BY clip ORDER BY num) AS prev FROM frames),
-    found AS (
-      SELECT clip, count(*) AS frames, count(*) FILTER (WHERE num = prev) AS n_dup,
-             count(*) FILTER (WHERE num > prev + 1) AS n_gap,
-             coalesce(sum(CASE WHEN num > prev + 1 THEN num - prev - 1 ELSE 0 END), 0)::BIGINT AS n_missing
-      FROM steps GROUP BY clip)
-    SELECT clip, frames, n_dup, n_gap, n_missing,
-           CASE WHEN n_dup + n_gap > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict
-    FROM found
-    """,
-)
-def _sequence_gate(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("num"))
-    return gates.sequence_gate(lines, "clip", "num")
+def _load() -> None:
+    """Import the modules that register queries."""
+    from loomshed.plans import audits, frames, planes, planning, records  # noqa: F401
