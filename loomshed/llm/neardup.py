@@ -9,13 +9,12 @@
    The estimate counts equal b-bit minima and takes out chance collisions:
    J = (matches/k - 2^-b) / (1 - 2^-b).
 4. Links confirmed so far give components. Only bands that still hold more than
-   one component can hide a link that matters; inside those, rows of different
-   components are compared by packed bits, the best few pairs of each row are
-   confirmed on the full sets, and components merge. This repeats with more
-   pairs a row until no pair of different components is left untested, so the
-   components are those of all links while a group of n near copies costs about
-   n confirmations, not n squared.
-5. Bands with very many rows are compared block against block, a block pair a task.
+   one component can hide a link that matters. Rows tied by such bands form
+   clusters, and inside a cluster rows of different components are compared by
+   packed bits, then on their full sets unless they are connected by then. A
+   task emits only links that connect, so a group of n near copies gives fewer
+   than n rows, and the components are those of all links.
+5. Clusters of over ``block`` rows are compared block against block, a block pair a task.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 5e-8,
 and pairs are dropped by their estimate only ``sigmas`` standard deviations
@@ -48,7 +47,7 @@ class NearDup:
     bands: int = 32
     bits: int = 4
     sigmas: float = 5.0
-    block: int = 20_000
+    block: int = 4_000
 
     @property
     def least_estimate(self) -> float:
@@ -217,83 +216,126 @@ def _with_estimate(pairs: DataFrame, spec: NearDup) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough, tested exactly in the JVM."""
-    items = reps.select("rep", "d1").join(sets, ["rep", "d1"]).select("rep", "items").dropDuplicates(["rep"])
-    a = items.select(F.col("rep").alias("a"), F.col("items").alias("x"))
-    b = items.select(F.col("rep").alias("b"), F.col("items").alias("y"))
+def confirm(pairs: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets (rep, items) are similar enough, tested exactly in the JVM."""
+    a = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
+    b = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
     return rows.filter(100 * F.col("both") >= spec.percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, comp) from a forest (node, comp) whose parents are smaller than their nodes, by pointer jumping.
+
+    A chain of length n takes log n rounds; only a count reaches the driver.
+    """
+    while True:
+        up = parents.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        parents = stored(parents.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")), "roots")
+        if not parents.filter("moved").limit(1).count():
+            return parents.select("node", "comp")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b): comp is the least node reachable.
+    """(node, comp) of every node of the edges (a, b) but the least of each component, which comp names.
 
-    Alternating large-star and small-star steps; every step is written to the
-    shared folder, and only a count and a checksum reach the driver.
+    Each node hooks on its least smaller neighbour, the forest is flattened, and
+    edges are lifted to its roots, until none is left between two roots. Every
+    step is written to the shared folder; only counts reach the driver.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    found = None
     while True:
-        told = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if (told["n"], told["x"]) == mark or not told["n"]:
-            break
-        mark = (told["n"], told["x"])
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now = stored(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-
-
-def _cross_pairs(rows: DataFrame, spec: NearDup, most: int) -> DataFrame:
-    """Inside each (key, i, j) block pair, the best pairs of different components.
-
-    For each row and other component, the ``most`` best estimates; ``cut`` says
-    whether any were left out.
+        hooks = stored(now.groupBy("u").agg(F.min("v").alias("comp"), F.count(F.lit(1)).alias("c")).withColumnRenamed("u", "node"), "hooks")
+        told = hooks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("c"), F.lit(0)).alias("c")).first()
+        if not told["n"]:
+            return found if found is not None else hooks.select("node", "comp")
+        flat = roots(hooks.select("node", "comp"))
+        if found is None:
+            found = flat
+        else:
+            up = flat.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+            found = found.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")).unionByName(flat)
+        if told["c"] == 1:  # every node had one smaller neighbour: the edges were that forest
+            return found
+        a = flat.select(F.col("node").alias("u"), F.col("comp").alias("ru"))
+        b = flat.select(F.col("node").alias("v"), F.col("comp").alias("rv"))
+        lifted = now.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("x"), F.coalesce("rv", "v").alias("y")).filter("x <> y")
+        now = stored(lifted.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "links")
+
+
+def _cross_links(rows: DataFrame, spec: NearDup) -> DataFrame:
+    """Links (a, b) between different components inside each cluster of ``rows`` (cluster, rep, comp, n, sig, items, nb).
+
+    A task compares the packed bits of its rows' pairs, tests those that may be
+    links on their full sets unless they are connected by then, and emits only
+    links that connect, fewer than its rows. Clusters of over one block are
+    compared block by block, a block pair a task.
     """
     least = spec.least_estimate
 
     def run(table):
         import numpy as np
 
-        rep, comp, n, block = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
-        packed = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
-        order = np.lexsort((rep, block))
-        rep, comp, n, block, packed = rep[order], comp[order], n[order], block[order], packed[order]
+        order = np.lexsort((table.column("rep").to_numpy(), table.column("block").to_numpy()))
+        rep, comp, n, block = (table.column(c).to_numpy()[order] for c in ("rep", "comp", "n", "block"))
+        sig = table.column("sig").to_pylist()
+        packed = np.frombuffer(b"".join(sig[o] for o in order), np.uint64).reshape(len(rep), -1)
+        lists = table.column("items").combine_chunks()
+        values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        items = [values[ends[o] : ends[o + 1]] for o in order]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        names, start = np.unique(comp, return_inverse=True)
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         left = np.arange(len(rep)) if i == j else np.flatnonzero(block == i)
-        out: list[tuple] = []
+        links: list[tuple[int, int]] = []
         for r in left:
             low = r + 1 if i == j else len(left)
-            ok = (comp[low:] != comp[r]) & (100 * np.minimum(n[low:], n[r]) >= spec.percent * np.maximum(n[low:], n[r]))
+            ok = (start[low:] != start[r]) & (100 * np.minimum(n[low:], n[r]) >= spec.percent * np.maximum(n[low:], n[r]))
             at = np.flatnonzero(ok) + low
             if not len(at):
                 continue
             est = estimate(packed[at], packed[r], spec)
             keep = est >= least
             at, est = at[keep], est[keep]
-            if not len(at):
-                continue
-            by = np.lexsort((rep[at], -est, comp[at]))
-            at, est = at[by], est[by]
-            first = np.r_[True, comp[at][1:] != comp[at][:-1]]
-            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            took = rank < most
-            cut = not took.all()
-            out += [(int(min(rep[r], rep[t])), int(max(rep[r], rep[t])), cut) for t in at[took]]
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "cut": pa.array(cols[2], pa.bool_())})
-
-    nb = F.ceil(F.col("c") / spec.block).cast("int")
-    pairs = F.when(nb <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(nb - 1, F.lit(0))), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    )
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("rep"), nb).cast("int")).withColumn("ij", F.explode(pairs)).select("key", "rep", "comp", "n", "sig", "block", "ij.i", "ij.j")
-    return blocked.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+            for t in at[np.argsort(-est, kind="stable")]:
+                x, y = find(int(start[r])), find(int(start[t]))
+                if x == y:
+                    continue
+                u, v = (items[r], items[t]) if n[r] <= n[t] else (items[t], items[r])
+                spot = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                both = int((v[spot] == u).sum())
+                if 100 * both >= spec.percent * (len(u) + len(v) - both):
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(min(rep[r], rep[t])), int(max(rep[r], rep[t]))))
+        cols = list(zip(*links, strict=True)) if links else [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    k = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda m: F.struct(F.least(m, F.col("block")).alias("i"), F.greatest(m, F.col("block")).alias("j")))
+    blocked = rows.withColumn("block", k).withColumn("ij", F.explode(pairs)).select("cluster", "rep", "comp", "n", "sig", "items", "block", "ij.i", "ij.j")
+    return blocked.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _hidden_links(cand: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
+    """Links that first components leave out: between rows of different components that share a band."""
+    labelled = cand.join(comps, cand["rep"] == comps["node"], "left").select("key", "rep", "pivot", F.coalesce("comp", "rep").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rows = stored(labelled.join(mixed, "key", "left_semi").select("rep", "pivot", "comp").distinct(), "mixed")
+    clusters = components(rows.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()).toDF("rep", "cluster")
+    placed = rows.select("rep", "comp").distinct().join(clusters, "rep", "left").select("rep", "comp", F.coalesce("cluster", "rep").alias("cluster"))
+    placed = stored(placed.join(reps.select("rep", "n", "sig"), "rep"), "placed")
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items")).filter("c > 1")
+    nb = F.greatest(F.ceil(F.col("c") / spec.block), F.ceil(F.col("items") / (500 * spec.block))).cast("int")
+    return _cross_links(placed.join(sizes.select("cluster", nb.alias("nb")), "cluster").join(sets, "rep"), spec)
 
 
 def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
@@ -309,7 +351,8 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     cand = stored(banded.join(buckets, "key").select("key", "rep", "pivot", "c"), "candidates")
     needed = cand.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(_set_table(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), spec), "sets")
+    full = _set_table(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), spec)
+    sets = stored(full.join(reps.select("rep", "d1"), ["rep", "d1"]).select("rep", "items").dropDuplicates(["rep"]), "sets")
     release(spark)
 
     # Each row against the least rows of its bands; the best of those pairs is confirmed.
@@ -319,35 +362,21 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     sized = star.join(sig_a, "a").join(sig_b, "b").filter(100 * F.least("n_a", "n_b") >= spec.percent * F.greatest("n_a", "n_b"))
     best = _with_estimate(sized, spec).groupBy("a").agg(F.max_by("b", F.struct(F.col("est"), -F.col("b"))).alias("b"))
     tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
-    comps = stored(components(confirm(tried, reps, sets, spec)), "components")
+    comps = stored(components(confirm(tried, sets, spec)), "components")
     release(spark)
 
-    most = 2
-    while True:
-        labelled = cand.join(comps, cand["rep"] == comps["node"], "left").select("key", "rep", "c", F.coalesce("comp", "rep").alias("comp"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rows = labelled.join(mixed, "key", "left_semi").join(reps.select("rep", "n", "sig"), "rep")
-        found = stored(_cross_pairs(rows, spec, most), "cross")
-        new = stored(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
-        cut = found.filter("cut").limit(1).count() > 0
-        links = stored(confirm(new, reps, sets, spec), "confirmed")
-        release(spark)
-        if links.limit(1).count():
-            known = comps.select("node", "comp")
-            lifted = (
-                links.join(known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-                .join(known.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            )
-            top = components(lifted).withColumnsRenamed({"node": "old", "comp": "new"})
-            # Old components follow theirs; rows that had none enter with their own.
-            moved = known.join(top, known["comp"] == top["old"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
-            entered = top.select(F.col("old").alias("node"), F.col("new").alias("comp")).join(known.select("node"), "node", "left_anti")
-            comps = stored(moved.unionByName(entered), "components")
-        if not cut:
-            break
-        tried = stored(tried.unionByName(new), "tried")
-        most *= 8
+    links = stored(_hidden_links(cand, comps, reps, sets, spec), "hidden-links")
+    release(spark)
+    if links.limit(1).count():
+        lifted = (
+            links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+            .join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        )
+        top = components(lifted)
+        up = top.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        # Rows below a root that moved follow it; roots and single rows enter with their own move.
+        comps = stored(comps.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")).unionByName(top), "components")
 
     final = classes.select("rep", "n", "d1", "d2").join(comps, classes["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
