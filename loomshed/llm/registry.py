@@ -48,15 +48,15 @@ suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 total AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
 s0 AS (SELECT suffix, n, k, m FROM suffixes, total),
 s1 AS (SELECT sum(n * (k / n - m) * (k / n - m)) AS s2, sum(m * (1 - m)) AS v, sum(n * m * (1 - m)) AS nv, sum(n) AS n, count(*) AS c FROM s0 WHERE n > 0),
-sl AS (SELECT CASE WHEN c < 2 THEN 8.0 WHEN (s2 - v) / n <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, nv / n / ((s2 - v) / n) - 1)) END::DOUBLE AS t FROM s1),
+sl AS (SELECT CASE WHEN c < 2 THEN 2.0 WHEN (s2 - v) / n <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, nv / n / ((s2 - v) / n) - 1)) END::DOUBLE AS t FROM s1),
 s AS (SELECT suffix, (k + t * m) / (n + t) AS mean FROM s0, sl),
 d0 AS (SELECT domain, suffix, n, k, mean AS m FROM domains JOIN s USING (suffix)),
 d1 AS (SELECT sum(n * (k / n - m) * (k / n - m)) AS s2, sum(m * (1 - m)) AS v, sum(n * m * (1 - m)) AS nv, sum(n) AS n, count(*) AS c FROM d0 WHERE n > 0),
-dl AS (SELECT CASE WHEN c < 2 THEN 8.0 WHEN (s2 - v) / n <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, nv / n / ((s2 - v) / n) - 1)) END::DOUBLE AS t FROM d1),
+dl AS (SELECT CASE WHEN c < 2 THEN 2.0 WHEN (s2 - v) / n <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, nv / n / ((s2 - v) / n) - 1)) END::DOUBLE AS t FROM d1),
 d AS (SELECT domain, suffix, (k + t * m) / (n + t) AS mean FROM d0, dl),
 h0 AS (SELECT host, n, k, mean AS m FROM hosts JOIN d USING (domain, suffix)),
 h1 AS (SELECT sum(n * (k / n - m) * (k / n - m)) AS s2, sum(m * (1 - m)) AS v, sum(n * m * (1 - m)) AS nv, sum(n) AS n, count(*) AS c FROM h0 WHERE n > 0),
-hl AS (SELECT CASE WHEN c < 2 THEN 8.0 WHEN (s2 - v) / n <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, nv / n / ((s2 - v) / n) - 1)) END::DOUBLE AS t FROM h1),
+hl AS (SELECT CASE WHEN c < 2 THEN 2.0 WHEN (s2 - v) / n <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, nv / n / ((s2 - v) / n) - 1)) END::DOUBLE AS t FROM h1),
 h2 AS (SELECT host, n, (k + t * m) / (n + t) AS mean, n + t AS total FROM h0, hl),
 h AS (SELECT host, n, mean, least(1.0, mean + 1.64::DOUBLE * sqrt(mean * (1 - mean) / (total + 1))) AS upper FROM h2),
 ruled AS (

@@ -58,7 +58,7 @@ class Policy:
 
     z: float = 1.64
     least_good: float = 0.8
-    strength: float = 8.0
+    strength: float = 2.0
     range_of_strength: tuple[float, float] = (1.0, 1000.0)
 
 
