@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def _at(plane: Column, i: Column) -> Column:
@@ -180,7 +180,7 @@ def inverse_curve(spark: SparkSession, curve: DataFrame, levels: int = 4096) ->
     return level.crossJoin(F.broadcast(codes)).select("level", best["code"].alias("code"), best["d"].alias("error"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack12(samples: pd.Series) -> pd.Series:
     """Two 12-bit samples in three bytes, high bits first; an even count is needed."""
 
@@ -194,7 +194,7 @@ def pack12(samples: pd.Series) -> pd.Series:
     return samples.map(pack)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def unpack12(data: pd.Series) -> pd.Series:
     def unpack(d):
         x = np.frombuffer(d, np.uint8).reshape(-1, 3).astype(np.int32)
@@ -203,7 +203,7 @@ def unpack12(data: pd.Series) -> pd.Series:
     return data.map(unpack)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack10(samples: pd.Series) -> pd.Series:
     """Four 10-bit samples in five bytes, high bits first; a multiple of four is needed."""
 
@@ -217,7 +217,7 @@ def pack10(samples: pd.Series) -> pd.Series:
     return samples.map(pack)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def unpack10(data: pd.Series) -> pd.Series:
     def unpack(d):
         x = np.frombuffer(d, np.uint8).reshape(-1, 5).astype(np.uint64)
@@ -232,6 +232,6 @@ def pack8(samples: Column) -> Column:
     return F.unhex(F.array_join(F.transform(samples, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def unpack8(data: pd.Series) -> pd.Series:
     return data.map(lambda d: np.frombuffer(d, np.uint8).astype(np.int32))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def scan(spark: SparkSession, root: str, glob: str = "*.[dD][nN][gG]") -> DataFrame:
@@ -55,7 +55,8 @@ def _number(tags, tag: int) -> int | None:
     return int.from_bytes(raw[: _SIZES[kind]], "little") if kind in (1, 3, 4) and raw else None
 
 
-FACTS = "struct<width:int,height:int,bits:int,compression:int,photometric:int,tile_width:int,tile_height:int,make:string,model:string,timecode:binary,error:string>"
+_NUMBERS, _TEXTS = ("width", "height", "bits", "compression", "photometric", "tile_width", "tile_height"), ("make", "model")
+FACTS = T.StructType([*[T.StructField(n, T.IntegerType()) for n in _NUMBERS], *[T.StructField(n, T.StringType()) for n in _TEXTS], T.StructField("timecode", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
 @F.pandas_udf(FACTS)
@@ -63,7 +64,7 @@ def facts(content: pd.Series) -> pd.DataFrame:
     """Facts of each frame's first directory; a broken file gives its error, never an exception."""
     rows = []
     for data in content:
-        row = dict.fromkeys(("width", "height", "bits", "compression", "photometric", "tile_width", "tile_height", "make", "model", "timecode", "error"))
+        row = dict.fromkeys(FACTS.names)
         try:
             tags = parse_tags(bytes(data))
             row |= {"width": _number(tags, 256), "height": _number(tags, 257), "bits": _number(tags, 258), "compression": _number(tags, 259), "photometric": _number(tags, 262), "tile_width": _number(tags, 322), "tile_height": _number(tags, 323)}
@@ -72,7 +73,8 @@ def facts(content: pd.Series) -> pd.DataFrame:
         except (ValueError, struct.error, KeyError) as e:
             row["error"] = str(e)
         rows.append(row)
-    return pd.DataFrame(rows, columns=["width", "height", "bits", "compression", "photometric", "tile_width", "tile_height", "make", "model", "timecode", "error"])
+    out = pd.DataFrame(rows, columns=FACTS.names)
+    return out.astype(dict.fromkeys(_NUMBERS, "Int32"))
 
 
 def frame_class(f: str = "facts"):

@@ -14,7 +14,7 @@ TAB = "\t"
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(manifest, n, line, torn) of every line below ``path``; ``torn`` marks a last line without an end."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("manifest"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("manifest"), "value")
     rows = raw.select("manifest", "value", F.posexplode(F.split("value", "\n")).alias("n", "line"))
     last = F.size(F.split("value", "\n")) - 1
     return rows.filter(~((F.col("n") == last) & (F.col("line") == ""))).select("manifest", "n", F.rtrim(F.col("line"), F.lit("\r")).alias("line"), ((F.col("n") == last)).alias("torn"))
