@@ -29,6 +29,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomshed.llm.common import stored
+
 
 @dataclass(frozen=True)
 class Archive:
@@ -49,9 +51,14 @@ def _hashed(pages: DataFrame) -> DataFrame:
     )
 
 
-def revisits(pages: DataFrame, spec: Archive = Archive()) -> DataFrame:
-    """(key, digest, refers_to) of the pages that revisit an equal payload of a larger page_id."""
-    heads = _hashed(pages).select("page_id", "key", "digest", "bytes").filter(F.col("bytes") >= spec.least)
+def headers(pages: DataFrame) -> DataFrame:
+    """(page_id, key, digest, bytes) of every page, written once: all that deduplication shuffles."""
+    return stored(_hashed(pages).select("page_id", "key", "digest", "bytes"), "warc-headers")
+
+
+def revisits(heads: DataFrame, spec: Archive = Archive()) -> DataFrame:
+    """(key, digest, refers_to) of the headers whose equal payload has a larger page_id."""
+    heads = heads.filter(F.col("bytes") >= spec.least)
     last = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).filter("c > 1 and refers_to is not null").select("digest", "refers_to")
     return heads.select("key", "digest").join(last, "digest").filter(F.col("key") != F.col("refers_to")).dropDuplicates(["key", "digest"])
 
@@ -63,10 +70,10 @@ def _record_id(page: Column) -> Column:
 
 def records(pages: DataFrame, spec: Archive = Archive()) -> DataFrame:
     """One column ``value``: each page's record, without its last CRLF."""
-    rows = _hashed(pages)
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    rows, heads = _hashed(pages), headers(pages)
+    total = heads.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // spec.bytes))
-    told = rows.repartition(n, "key", "digest").join(revisits(pages, spec).repartition(n, "key", "digest"), ["key", "digest"], "left")
+    told = rows.repartition(n, "key", "digest").join(revisits(heads, spec).repartition(n, "key", "digest"), ["key", "digest"], "left")
     crlf, revisit = F.lit("\r\n"), F.col("refers_to").isNotNull()
     # Control characters cannot stand in a header line.
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
