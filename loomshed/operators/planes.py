@@ -149,6 +149,63 @@ def difference_categories(plane: Column) -> Column:
     return F.transform(F.zip_with(F.slice(plane, 2, F.greatest(F.size(plane) - 1, F.lit(0))), F.slice(plane, 1, F.greatest(F.size(plane) - 1, F.lit(0))), lambda x, y: F.abs(x - y)), lambda d: F.when(d > 0, F.length(F.bin(d.cast("long")))).otherwise(0))
 
 
+def column_planes(plane: Column, w: int) -> Column:
+    """Even and odd columns of a tile, full height, in row order.
+
+    Folded planes (two rows side by side) hold the same samples in the same
+    order, so one array serves both orientations.
+    """
+    side = lambda r: F.filter(plane, _column_is(w, r))
+    return F.array(side(0), side(1))
+
+
+def _column_is(w: int, r: int):
+    return lambda v, i: F.pmod(F.pmod(i, F.lit(w)), F.lit(2)) == r
+
+
+def merge_columns(planes: Column, w: int) -> Column:
+    """Inverse of ``column_planes`` for an even width."""
+    both = F.zip_with(F.element_at(planes, 1), F.element_at(planes, 2), lambda a, b: F.array(a, b))
+    return F.flatten(both)
+
+
+def lossy_stats(a: Column, b: Column, peak: float = 255.0) -> dict[str, Column]:
+    """MAE, PSNR (infinite for equal planes), largest error, and whether the error is too large to be one of coding."""
+    d = deltas(a, b)
+    n = F.size(d).cast("double")
+    total = F.aggregate(d, F.lit(0).cast("long"), lambda s, v: s + v)
+    squares = F.aggregate(d, F.lit(0).cast("long"), lambda s, v: s + v * v)
+    psnr = F.when(squares == 0, F.lit(float("inf"))).otherwise(10.0 * F.log10(peak * peak / (squares / n)))
+    return {"mae": total / n, "psnr": psnr, "max_err": F.array_max(d), "broken": total / n > 128.0}
+
+
+def log_stats(a: Column, b: Column, bound: int = 4) -> dict[str, Column]:
+    """Largest and mean error, percentage within one, and whether the curve's bound is passed."""
+    d = deltas(a, b)
+    n = F.size(d).cast("double")
+    return {"max_err": F.array_max(d), "mean_err": F.aggregate(d, F.lit(0).cast("long"), lambda s, v: s + v) / n, "within_one_pct": F.size(F.filter(d, lambda v: v <= 1)) * 100.0 / n, "broken": F.array_max(d) > bound}
+
+
+def decimation_rule(repeat: Column, repeat_old: Column, pattern: Column, pattern_old: Column, origin: Column) -> Column:
+    """'staircase' for a 2x2 pattern at the origin whose mixed phases agree, else 'phase'; new tags before old ones."""
+    size, p = F.coalesce(repeat, repeat_old), F.coalesce(pattern, pattern_old)
+    two = size == F.array(F.lit(2), F.lit(2))
+    zero = F.coalesce(origin == F.array(F.lit(0), F.lit(0)), F.lit(True))
+    return F.when(F.coalesce(two & zero & (F.element_at(p, 2) == F.element_at(p, 3)), F.lit(False)), "staircase").otherwise("phase")
+
+
+def bit_exact(a: Column, b: Column) -> Column:
+    return F.coalesce(a == b, F.lit(False))
+
+
+def metadata_preserved(source: Column, out: Column, gone: tuple[int, ...] = (273, 278, 279), new: tuple[int, ...] = (322, 323, 324, 325)) -> Column:
+    """Tag maps: the strip tags go, the tile tags come, all others keep their values."""
+    tags = lambda m: F.array_sort(F.map_keys(m))
+    want = F.array_sort(F.array_union(F.array_except(F.map_keys(source), F.array(*[F.lit(g) for g in gone])), F.array(*[F.lit(n) for n in new])))
+    rest = lambda m: F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: ~k.isin(*gone, *new))))
+    return (tags(out) == want) & (rest(source) == rest(out))
+
+
 def tile_grid(frame_w: Column, frame_h: Column, tw: int, th: int) -> tuple[Column, Column]:
     """(columns, rows) of tiles."""
     return F.floor((frame_w + (tw - 1)) / tw).cast("int"), F.floor((frame_h + (th - 1)) / th).cast("int")

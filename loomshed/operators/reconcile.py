@@ -55,6 +55,43 @@ def audit(manifest: DataFrame, disk: DataFrame, key: str) -> DataFrame:
     return manifest.join(seen, key, "left").select(key, verdict.alias("verdict"))
 
 
+def archive_audit(manifest: DataFrame, members: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """Manifest rows against members of archive parts: not found, missing part, unreadable, size, sha256, ok.
+
+    members: key, part, d_size, d_sha256 (null: unreadable); parts: part. A
+    member listed in two parts is an error, raised before anything is judged.
+    """
+    twice = members.groupBy(key).agg(F.countDistinct("part").alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"member listed in two parts: {twice[0][key]}")
+    here = parts.select("part", F.lit(True).alias("part_here")).distinct()
+    rows = manifest.join(members, key, "left").join(here, "part", "left")
+    verdict = first_of(
+        (F.col("part").isNull(), "not found"), (F.col("part_here").isNull(), "missing part"), (F.col("d_sha256").isNull(), "unreadable"), (F.col("size") != F.col("d_size"), "size"), (F.col("sha256") != F.col("d_sha256"), "sha256"), otherwise="ok"
+    )
+    return rows.select(key, verdict.alias("verdict"))
+
+
+def repair_rows(manifest: DataFrame, dest: DataFrame, workspace: DataFrame, fresh: DataFrame, key: str, scope: list[str] | None = None) -> DataFrame:
+    """Both sides of every manifest row against the fresh source (key, f_size, f_sha256).
+
+    The workspace side is left out for frames; rows outside ``scope`` are marked
+    so; a drift of the recorded digest is only a note.
+    """
+    side = lambda rows, name: manifest.join(rows, key, "left").withColumn("side", F.lit(name))
+    both = side(dest, "dest").unionByName(side(workspace, "workspace").filter(~F.lower(F.col(key)).endswith(".dng"))).join(fresh, key, "left")
+    verdict = first_of((F.col("d_sha256").isNull(), "Missing"), (F.col("f_size") != F.col("d_size"), "SizeMismatch"), (F.col("f_sha256") != F.col("d_sha256"), "ShaMismatch"), otherwise="Clean")
+    inside = F.lit(True) if scope is None else F.col(key).isin(*scope)
+    return both.select(key, "side", verdict.alias("verdict"), inside.alias("in_scope"), F.coalesce(F.col("sha256") != F.col("f_sha256"), F.lit(False)).alias("drifted"))
+
+
+def repair_scope(manifest: DataFrame, key: str, scope: list[str]) -> None:
+    """Every name of a scope must be a known row; raises with those that are not."""
+    known = {r[0] for r in manifest.filter(F.col(key).isin(*scope)).select(key).distinct().collect()}
+    if unknown := sorted(set(scope) - known):
+        raise ValueError(f"unknown: {', '.join(unknown)}")
+
+
 def source_classes(record: DataFrame, card: DataFrame, key: str) -> DataFrame:
     """Source re-verify: MISSING (or not a file), READ_ERROR, SIZE, SHA, OK."""
     verdict = first_of(

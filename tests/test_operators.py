@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomshed.functions import hashing, keys
-from loomshed.operators import gates, planning, reconcile, stats
+from loomshed.operators import gates, planes, planning, reconcile, stats
 from loomshed.session import ship
 from loomshed.sources import frames, records
 from loomshed.streaming import status
@@ -142,3 +142,33 @@ def test_status_stream_equals_batch(spark, tmp_path):
     key = lambda d: {(r.window.start, r.event_type): (r.n, r.total) for r in d.collect()}
     streamed, batch = key(spark.read.parquet(out)), key(status.by_window(df.filter("event_id < 99"), "1 hour"))
     assert streamed == batch
+
+
+def test_archive_and_repair_verdicts(spark):
+    m = spark.createDataFrame([(f"f{i}", 10, "s") for i in range(6)], "k string, size int, sha256 string")
+    members = spark.createDataFrame([("f1", "gone", 10, "s"), ("f2", "p", 10, None), ("f3", "p", 9, "s"), ("f4", "p", 10, "t"), ("f5", "p", 10, "s")], "k string, part string, d_size int, d_sha256 string")
+    parts = spark.createDataFrame([("p",)], "part string")
+    got = {r.k: r.verdict for r in reconcile.archive_audit(m, members, parts, "k").collect()}
+    assert got == {"f0": "not found", "f1": "missing part", "f2": "unreadable", "f3": "size", "f4": "sha256", "f5": "ok"}
+    with pytest.raises(ValueError, match="two parts"):
+        reconcile.archive_audit(m, members.unionByName(members.withColumn("part", F.lit("q"))), parts, "k")
+    names = spark.createDataFrame([("a.DNG", 1, "s"), ("b.txt", 1, "old")], "k string, size int, sha256 string")
+    held = spark.createDataFrame([("a.DNG", 1, "s"), ("b.txt", 2, "s")], "k string, d_size int, d_sha256 string")
+    fresh = spark.createDataFrame([("a.DNG", 1, "s"), ("b.txt", 1, "s")], "k string, f_size int, f_sha256 string")
+    rows = {(r.k, r.side): (r.verdict, r.in_scope, r.drifted) for r in reconcile.repair_rows(names, held, held.limit(0), fresh, "k", ["a.DNG"]).collect()}
+    assert rows == {("a.DNG", "dest"): ("Clean", True, False), ("b.txt", "dest"): ("SizeMismatch", False, True), ("b.txt", "workspace"): ("Missing", False, True)}
+    with pytest.raises(ValueError, match="unknown: z"):
+        reconcile.repair_scope(names, "k", ["z", "a.DNG"])
+
+
+def test_plane_helpers(spark):
+    df = spark.createDataFrame([(list(range(16)), [v + (v == 3) for v in range(16)])], "a array<int>, b array<int>")
+    a, b = F.col("a"), F.col("b")
+    stats_, log = planes.lossy_stats(a, b), planes.log_stats(a, b)
+    r = df.select(planes.merge_columns(planes.column_planes(a, 4), 4).alias("back"), planes.bit_exact(a, b).alias("same"), stats_["mae"].alias("mae"), planes.lossy_stats(a, a)["psnr"].alias("inf"), log["within_one_pct"].alias("one"), log["broken"].alias("broken")).first()
+    assert r.back == list(range(16)) and not r.same and r.mae == 1 / 16 and r.inf == float("inf") and r.one == 100 and not r.broken
+    two, other = [2, 2], [3, 3]
+    rules = spark.createDataFrame([(two, None, [0, 1, 1, 2], [0, 0]), (None, two, [0, 1, 2, 1], None), (other, two, [0, 1, 1, 2], None), (None, None, None, None)], "n array<int>, o array<int>, p array<int>, z array<int>")
+    assert [x.r for x in rules.select(planes.decimation_rule(F.col("n"), F.col("o"), F.col("p"), F.lit(None).cast("array<int>"), F.col("z")).alias("r")).collect()] == ["staircase", "phase", "phase", "phase"]
+    tags = spark.createDataFrame([({256: "w", 273: "s"}, {256: "w", 322: "", 323: "", 324: "", 325: ""}), ({256: "w"}, {256: "x", 322: "", 323: "", 324: "", 325: ""})], "s map<int,string>, o map<int,string>")
+    assert [x.f for x in tags.select(planes.metadata_preserved(F.col("s"), F.col("o")).alias("f")).collect()] == [True, False]
