@@ -124,6 +124,22 @@ def running_p95(rows: DataFrame, key: str, order: list[str], ms: str, total: int
     return rows.withColumn("_seen", seen).withColumns({"done": n, "p95": F.element_at("_seen", rank)}).withColumn("eta", F.col("p95") * F.greatest(F.lit(total) - F.col("done"), F.lit(0))).drop("_seen")
 
 
+def running_rate(rows: DataFrame, key: str, order: list[str], elapsed: str, total: int, static_eta: float) -> DataFrame:
+    """Frames a second and seconds left after each frame; before 0.1 s the rate is 0 and the estimate static."""
+    done = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    soon = F.col(elapsed) < 0.1
+    rate = F.when(soon, 0.0).otherwise(F.col("done") / F.greatest(F.col(elapsed), F.lit(0.1)))
+    left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+    return rows.withColumn("done", done).withColumn("rate", rate).withColumn("eta", F.when(soon, float(static_eta)).otherwise(left / F.nullif(F.col("rate"), F.lit(0.0))))
+
+
+def naming(stems: DataFrame, key: list[str], stem: str) -> DataFrame:
+    """Whether all stems of a group read FIRST_..._YYYYMMDD_NNNNNN with one common first field; that field, else null."""
+    fine = F.col(stem).rlike(r"^[^_]*(_[^_]*)*_[0-9]{8}_[0-9]{6}$") & (F.size(F.split(stem, "_")) >= 3)
+    first = F.substring_index(stem, "_", 1)
+    return stems.groupBy(*key).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("fine"), F.min(first).alias("a"), F.max(first).alias("b")).select(*key, F.when(F.col("fine") & (F.col("a") == F.col("b")), F.col("a")).alias("designation"))
+
+
 def resolve_selection(universe: set[str], include: list[str] | None, skip: list[str] | None) -> set[str] | None:
     """Chosen clips: errors come in the order unknown names, conflicts, nothing left; no flags give None."""
     include_, skip_ = set(include or ()), set(skip or ())

@@ -135,3 +135,27 @@ def status_windows(spark: SparkSession, sf: str) -> DataFrame:
 
     w = by_window(table(spark, sf, "events"), "1 day")
     return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@register(
+    "running_rate",
+    """WITH r AS (SELECT user_id, event_id, event_id % 10 / 20.0::DOUBLE AS el, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done FROM events)
+    SELECT user_id, event_id, done::INT AS done, CASE WHEN el < 0.1 THEN 0.0 ELSE done / greatest(el, 0.1) END AS rate, CASE WHEN el < 0.1 THEN 77.0 ELSE greatest(200 - done, 0) / (done / greatest(el, 0.1)) END AS eta FROM r""",
+)
+def running_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate and time left after each frame."""
+    rows = table(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 10 / 20.0).alias("el"))
+    return planning.running_rate(rows, "user_id", ["ts", "event_id"], "el", 200, 77.0).select("user_id", "event_id", "done", "rate", "eta")
+
+
+@register(
+    "naming",
+    """WITH s AS (SELECT o_custkey AS batch, CASE WHEN o_orderkey % 500 = 0 THEN 'B' ELSE 'A' END || '_' || strftime(o_orderdate, '%Y%m%d') || '_' || CASE WHEN o_orderkey % 300 = 0 THEN 'x' ELSE lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') END AS stem FROM orders),
+    g AS (SELECT batch, bool_and(regexp_matches(stem, '^[^_]*(_[^_]*)*_[0-9]{8}_[0-9]{6}$')) AS fine, min(split_part(stem, '_', 1)) AS a, max(split_part(stem, '_', 1)) AS b FROM s GROUP BY 1)
+    SELECT batch, CASE WHEN fine AND a = b THEN a END AS designation FROM g""",
+)
+def naming(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch's common designation."""
+    k = F.col("o_orderkey")
+    stem = F.concat_ws("_", F.when(k % 500 == 0, "B").otherwise("A"), F.date_format("o_orderdate", "yyyyMMdd"), F.when(k % 300 == 0, "x").otherwise(F.lpad((k % 1_000_000).cast("string"), 6, "0")))
+    return planning.naming(table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), stem.alias("stem")), ["batch"], "stem")

@@ -83,3 +83,33 @@ def frame_class(f: str = "facts"):
     tiled = c("tile_width").isNotNull()
     camera = (c("width") == 3856) & (c("height") == 2170) & (c("tile_width") == 512) & (c("tile_height") == 368) & (c("bits") == 12)
     return F.coalesce(F.when((c("compression") == 1) & ~tiled, "raw").when((c("compression") == 7) & tiled, F.when(camera, "camera-lossless").otherwise("archive")), F.lit("unknown"))
+
+
+def parse_pam(data: bytes) -> tuple[int, int, list[int]]:
+    """(width, height, samples) of a 12-bit grey P7 image with big-endian 16-bit samples; anything else raises."""
+    head, mark, payload = data.partition(b"ENDHDR\n")
+    words = head.decode("ascii").split()
+    if not mark or words[:1] != ["P7"] or len(words) % 2 == 0:
+        raise ValueError("not a P7 image")
+    keys = dict(zip(words[1::2], words[2::2], strict=True))
+    if set(keys) != {"WIDTH", "HEIGHT", "DEPTH", "MAXVAL", "TUPLTYPE"}:
+        raise ValueError(f"keys {sorted(keys)}")
+    if (keys["DEPTH"], keys["MAXVAL"], keys["TUPLTYPE"]) != ("1", "4095", "GRAYSCALE"):
+        raise ValueError("not 12-bit grey")
+    w, h = int(keys["WIDTH"]), int(keys["HEIGHT"])
+    if w < 1 or h < 1 or len(payload) != 2 * w * h:
+        raise ValueError(f"{len(payload)} bytes for {w}x{h}")
+    return w, h, list(struct.unpack(f">{w * h}H", payload))
+
+
+def render_pam(w: int, h: int, samples: list[int]) -> bytes:
+    return f"P7\nWIDTH {w}\nHEIGHT {h}\nDEPTH 1\nMAXVAL 4095\nTUPLTYPE GRAYSCALE\nENDHDR\n".encode() + struct.pack(f">{w * h}H", *samples)
+
+
+_PLANE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("plane", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_PLANE)
+def pam(content: pd.Series) -> pd.DataFrame:
+    """Planes of P7 files."""
+    return pd.DataFrame([parse_pam(bytes(d)) for d in content], columns=_PLANE.names)

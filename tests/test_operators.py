@@ -172,3 +172,14 @@ def test_plane_helpers(spark):
     assert [x.r for x in rules.select(planes.decimation_rule(F.col("n"), F.col("o"), F.col("p"), F.lit(None).cast("array<int>"), F.col("z")).alias("r")).collect()] == ["staircase", "phase", "phase", "phase"]
     tags = spark.createDataFrame([({256: "w", 273: "s"}, {256: "w", 322: "", 323: "", 324: "", 325: ""}), ({256: "w"}, {256: "x", 322: "", 323: "", 324: "", 325: ""})], "s map<int,string>, o map<int,string>")
     assert [x.f for x in tags.select(planes.metadata_preserved(F.col("s"), F.col("o")).alias("f")).collect()] == [True, False]
+
+
+def test_pam(spark):
+    ship(spark)
+    data = frames.render_pam(2, 3, [0, 1, 256, 4095, 7, 9])
+    assert frames.parse_pam(data) == (2, 3, [0, 1, 256, 4095, 7, 9])
+    for bad in (b"", data[:-1], data.replace(b"4095", b"255"), data.replace(b"P7", b"P5"), data.replace(b"DEPTH 1\n", b"")):
+        with pytest.raises(ValueError):
+            frames.parse_pam(bad)
+    got = spark.createDataFrame([(bytearray(data),)], "c binary").select(frames.pam("c").alias("p")).first().p
+    assert (got.width, got.height, list(got.plane)) == (2, 3, [0, 1, 256, 4095, 7, 9])
