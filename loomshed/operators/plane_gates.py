@@ -104,6 +104,40 @@ def band_mix(blocks: Column, w: int, h: int, reach: int = 16, gain: float = 8.0)
     return _made(F.lit(w * h), make)
 
 
+def _strip(errors: Column, w: int, h: int, first: int, last: int, across: bool) -> Column:
+    """Sum of a strip of columns (or rows) from ``first`` up to ``last``."""
+    place = (lambda i: F.pmod(i, F.lit(w))) if across else (lambda i: _div(i, w))
+    kept = F.filter(F.transform(errors, lambda v, i: F.when((place(i) >= first) & (place(i) < last), v)), lambda v: v.isNotNull())
+    return F.aggregate(kept, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def seam_ratio(decoded: Column, source: Column, w: int, h: int, seam: int, across: bool = True, reach: int = 11) -> Column:
+    """Mean error of the two lines at a seam over that of ``reach`` lines each side, one line left out.
+
+    Where the sides are almost exact (below 0.05) the seam is held against 1.0
+    instead, scaled so that 1.5 stays the limit.
+    """
+    e = F.zip_with(decoded, source, lambda x, y: F.abs(x - y))
+    other = h if across else w
+    at = _strip(e, w, h, seam - 1, seam + 1, across) / float(2 * other)
+    sides = (_strip(e, w, h, seam - 1 - reach, seam - 1, across) + _strip(e, w, h, seam + 2, seam + 2 + reach, across)) / float(2 * reach * other)
+    return F.when(sides < 0.05, at * 1.5).otherwise(at / F.greatest(sides, F.lit(0.05)))
+
+
+def flat_step(decoded: Column, source: Column, w: int, h: int, line: int, across: bool = True, flat: int = 8) -> Column:
+    """Mean step of a plane from ``line - 1`` to ``line`` where its source is flat; NaN where it never is."""
+    n = h if across else w
+
+    def step(plane: Column) -> Column:
+        if across:
+            return _made(F.lit(n), lambda i: _at(plane, i * w + line) - _at(plane, i * w + line - 1))
+        return _made(F.lit(n), lambda i: _at(plane, i + line * w) - _at(plane, i + (line - 1) * w))
+
+    kept = F.filter(F.zip_with(step(decoded), step(source), lambda d, s: F.when(F.abs(s) < flat, d)), lambda v: v.isNotNull())
+    total = F.aggregate(kept, F.lit(0).cast("long"), lambda s, v: s + v)
+    return F.when(F.size(kept) > 0, total / F.greatest(F.size(kept), F.lit(1)).cast("double")).otherwise(F.lit(float("nan")))
+
+
 def search_scale(limit: int, total) -> float:
     """Smallest scale whose size fits: the first usable point of a geometric grid, then six halvings."""
     grid = [s for s in (0.05 * 2 ** (i / 5) for i in range(40)) if s <= 16.0]

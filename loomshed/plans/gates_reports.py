@@ -89,6 +89,50 @@ def band_mix(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("vec_id", F.round(F.aggregate(F.transform("m", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 1).alias("mixed"))
 
 
+def _mean_sql(pick: str, n: int) -> str:
+    return f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN {pick} THEN abs(a[i + 1] - b[i + 1]) ELSE 0 END)) / {n}.0::DOUBLE"
+
+
+def _flat_sql(first: str, second: str, out: str) -> str:
+    return f"list_avg(list_filter(list_transform(range(0, 8), lambda i: CASE WHEN abs(b[{second}] - b[{first}]) < 300 THEN (a[{second}] - a[{first}])::DOUBLE END), lambda v: v IS NOT NULL)) AS {out}"
+
+
+@register(
+    "seams",
+    _PAIR
+    + f""", m AS (SELECT vec_id, {_mean_sql("i % 8 IN (3, 4)", 16)} AS sv, {_mean_sql("i % 8 IN (1, 2, 6, 7)", 32)} AS bv, {_mean_sql("i // 8 IN (3, 4)", 16)} AS sh, {_mean_sql("i // 8 IN (1, 2, 6, 7)", 32)} AS bh,
+      {_flat_sql("i * 8 + 4", "i * 8 + 5", "fv")}, {_flat_sql("i + 25", "i + 33", "fh")} FROM pr)
+    SELECT vec_id, CASE WHEN bv < 0.05 THEN sv * 1.5 ELSE sv / bv END AS v, CASE WHEN bh < 0.05 THEN sh * 1.5 ELSE sh / bh END AS h, round(fv, 6) AS flat_v, round(fh, 6) AS flat_h FROM m""",
+)
+def seams(spark: SparkSession, sf: str) -> DataFrame:
+    """Error and steps at a seam against its sides; a seam whose source is never flat has no step."""
+    a, b = F.col("a"), F.col("b")
+    known = lambda c: F.round(F.when(~F.isnan(c), c), 6)
+    return pairs(spark, sf).select(
+        "vec_id", pg.seam_ratio(a, b, W, H, 4, True, 2).alias("v"), pg.seam_ratio(a, b, W, H, 4, False, 2).alias("h"), known(pg.flat_step(a, b, W, H, 4, True, 300)).alias("flat_v"), known(pg.flat_step(a, b, W, H, 4, False, 300)).alias("flat_h")
+    )
+
+
+_GRID_SQL = """CASE WHEN w = 3024 AND h = 2010 THEN '252x252' WHEN w = 1936 AND h = 1090 THEN CASE WHEN d = 10 THEN '484x274' WHEN d IN (8, 12) THEN '242x274' ELSE '482x272' END
+  WHEN w = 2016 AND h = 1344 THEN '252x336' WHEN w = 3856 AND h = 2170 AND d = 10 THEN '964x272' ELSE '482x272' END"""
+
+
+@register(
+    "tile_grids",
+    f"""WITH f AS (SELECT p_partkey, [3024, 1936, 2016, 3856, 4000][p_partkey % 5 + 1] AS w, [2010, 1090, 1344, 2170, 3000][p_partkey % 5 + 1] AS h, [8, 10, 12, 14][p_size % 4 + 1] AS d FROM part),
+    g AS (SELECT *, {_GRID_SQL} AS grid FROM f)
+    SELECT p_partkey, grid, (((w + split_part(grid, 'x', 1)::INT - 1) // split_part(grid, 'x', 1)::INT) * ((h + split_part(grid, 'x', 2)::INT - 1) // split_part(grid, 'x', 2)::INT))::BIGINT AS tiles, p_partkey % 5 < 4 AND d IN (8, 10, 12) AS archive FROM g""",
+)
+def tile_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """The tile grid of a frame size and depth, its tiles, and whether the size is an archive's."""
+    from loomshed.sources.frames import archive_geometry, expected_tiles, tile_dims
+
+    k, pick = F.col("p_partkey"), lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("i") + 1).cast("int"))
+    f = table(spark, sf, "part").withColumn("i", k % 5).select(k, pick(3024, 1936, 2016, 3856, 4000).alias("w"), pick(2010, 1090, 1344, 2170, 3000).alias("h"), F.element_at(F.array(*[F.lit(x) for x in (8, 10, 12, 14)]), F.col("p_size") % 4 + 1).alias("d"))
+    g = f.withColumn("g", tile_dims(F.col("w"), F.col("h"), F.col("d")))
+    return g.select(k, F.concat_ws("x", F.col("g.tw").cast("string"), F.col("g.th").cast("string")).alias("grid"), expected_tiles(F.col("w"), F.col("h"), F.col("g.tw"), F.col("g.th")).alias("tiles"), archive_geometry(F.col("w"), F.col("h"), F.col("d")).alias("archive"))
+
+
 @register(
     "job_report_csv",
     """SELECT doc_id, source || ',' || CASE WHEN regexp_matches(left(text, 20), '[,"\\r\\n]') THEN '"' || replace(left(text, 20), '"', '""') || '"' ELSE left(text, 20) END || ',' || n_chars || ',' || md5(text) || ',,OK,' || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END || ',' || doc_id % 100 AS line FROM documents""",

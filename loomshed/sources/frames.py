@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def scan(spark: SparkSession, root: str, glob: str = "*.[dD][nN][gG]") -> DataFrame:
@@ -77,6 +77,42 @@ def facts(content: pd.Series) -> pd.DataFrame:
     return out.astype(dict.fromkeys(_NUMBERS, "Int32"))
 
 
+# Frame width, height and depth (null: any), then tile width and height. All others have the default.
+GRIDS = (
+    (3024, 2010, None, 252, 252),
+    (1936, 1090, 8, 242, 274),
+    (1936, 1090, 10, 484, 274),
+    (1936, 1090, 12, 242, 274),
+    (2016, 1344, None, 252, 336),
+    (3856, 2170, 10, 964, 272),
+)
+DEFAULT_GRID = (482, 272)
+# Frame sizes of archives, at 8, 10 and 12 bits.
+ARCHIVE_SIZES = ((3856, 2170), (1936, 1090), (2016, 1344), (3024, 2010))
+
+
+def tile_dims(w: Column, h: Column, depth: Column) -> Column:
+    """struct(tw, th) of a frame size and depth."""
+    pair = lambda a, b: F.struct(F.lit(a).alias("tw"), F.lit(b).alias("th"))
+    out = F
+    for fw, fh, d, tw, th in GRIDS:
+        out = out.when((w == fw) & (h == fh) & (F.lit(True) if d is None else depth == d), pair(tw, th))
+    return out.otherwise(pair(*DEFAULT_GRID))
+
+
+def expected_tiles(w: Column, h: Column, tw: Column, th: Column) -> Column:
+    """ceil(w/tw) ceil(h/th) in whole numbers; 0 for an empty tile."""
+    up = lambda a, b: F.floor((a + b - 1) / F.nullif(b, F.lit(0)))
+    return F.when((tw > 0) & (th > 0), up(w, tw) * up(h, th)).otherwise(F.lit(0)).cast("long")
+
+
+def archive_geometry(w: Column, h: Column, depth: Column) -> Column:
+    size = F.lit(False)
+    for a, b in ARCHIVE_SIZES:
+        size = size | ((w == a) & (h == b))
+    return F.coalesce(size & depth.isin(8, 10, 12), F.lit(False))
+
+
 def frame_class(f: str = "facts"):
     """raw, camera-lossless, archive or unknown, from a facts column."""
     c = lambda n: F.col(f"{f}.{n}")
