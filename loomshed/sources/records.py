@@ -14,10 +14,10 @@ TAB = "\t"
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(manifest, n, line, torn) of every line below ``path``; ``torn`` marks a last line without an end."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("manifest"), "value")
-    rows = raw.select("manifest", "value", F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    last = F.size(F.split("value", "\n")) - 1
-    return rows.filter(~((F.col("n") == last) & (F.col("line") == ""))).select("manifest", "n", F.rtrim(F.col("line"), F.lit("\r")).alias("line"), ((F.col("n") == last)).alias("torn"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("manifest"), F.split("value", "\n").alias("lines"))
+    # The last place is known before lines are dealt out: no row carries its whole file or splits it again.
+    rows = raw.select("manifest", (F.size("lines") - 1).alias("last"), F.posexplode("lines").alias("n", "line"))
+    return rows.filter(~((F.col("n") == F.col("last")) & (F.col("line") == ""))).select("manifest", "n", F.rtrim(F.col("line"), F.lit("\r")).alias("line"), (F.col("n") == F.col("last")).alias("torn"))
 
 
 def parse_rows(lines: DataFrame, columns: list[str], kinds: list[str], arities: list[int] | None = None, null: str | None = None, tolerate_torn: bool = False) -> tuple[DataFrame, DataFrame]:
