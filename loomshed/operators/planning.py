@@ -66,6 +66,23 @@ def with_place(rows: DataFrame, order: str) -> DataFrame:
     return rows.join(F.broadcast(before), "_b").withColumn("place", (F.col("_before") + inside).cast("long")).drop("_b", "_before")
 
 
+def with_dense_place(rows: DataFrame, group: str, order: str, range_rows: int = 1000) -> DataFrame:
+    """Adds ``n``, the dense rank of ``order`` (integral, nulls first) inside ``group``.
+
+    Ranks run in two levels, inside equal ranges of ``order`` and over the ranges of a
+    group, and the number of ranges grows with the rows: a hot group is split like any
+    other. ``range_rows``: rows that a range holds, about.
+    """
+    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    width = 1 if lo is None else max(1, -(-(hi - lo + 1) * range_rows // n))
+    rows = rows.withColumn("range", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)))
+    rows = rows.withColumn("local", F.dense_rank().over(Window.partitionBy(group, "range").orderBy(order)))
+    sums = rows.groupBy(F.col(group).alias("of"), F.col("range").alias("at")).agg(F.max("local").alias("places"))
+    ahead = F.coalesce(F.sum("places").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = rows.join(sums.select("of", "at", ahead.alias("ahead")), F.col(group).eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")))
+    return both.withColumn("n", F.col("ahead") + F.col("local")).drop("range", "local", "of", "at", "ahead")
+
+
 def project_total(total: Column, ratio: Column) -> Column:
     return F.round(total / ratio).cast("long")
 

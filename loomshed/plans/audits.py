@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loomshed.operators import reconcile as rc
+from loomshed.operators import planning, reconcile as rc
 from loomshed.plans.registry import register
 from loomshed.session import table
 
@@ -413,7 +413,6 @@ def pin_check(spark: SparkSession, sf: str) -> DataFrame:
 )
 def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Offenders by place in their clip, and whether a verified master has them."""
-    n = F.dense_rank().over(Window.partitionBy("source").orderBy("doc_id"))
-    f = table(spark, sf, "documents").select(F.col("source").alias("clip"), "doc_id", n.alias("n"), "n_chars").filter("n <= 10 and n_chars > 1000")
+    f = planning.with_dense_place(table(spark, sf, "documents").select(F.col("source").alias("clip"), "doc_id", "n_chars"), "clip", "doc_id").filter("n_chars > 1000")
     action = rc.first_of((F.col("quality").isNull(), "no master"), (F.col("quality") == 0, "master bad"), otherwise="restore")
     return f.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("clip", "doc_id", "n", action.alias("action"))

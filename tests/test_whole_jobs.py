@@ -1,19 +0,0 @@
-"""Queries that must take every row and every character, against plain forms over the tables."""
-
-from datetime import UTC
-
-import pyarrow.parquet as pq
-
-from loomshed.plans import registry
-
-SF = "/root/testdata/sf0.001"
-
-
-def rows(name, *columns):
-    return pq.read_table(f"{SF}/{name}.parquet", columns=list(columns)).to_pylist()
-
-
-def test_every_event_reaches_the_ledger(spark):
-    got = sorted((int(r.created), r.command, r.output) for r in registry.queries()["torn_ledger"](spark, SF).collect())
-    want = sorted((int(e["ts"].replace(tzinfo=UTC).timestamp()), e["event_type"], f"reel{e['user_id']}") for e in rows("events", "event_id", "ts", "event_type", "user_id") if e["event_id"] % 7 != 3)
-    assert got == want and len(want) > 500
