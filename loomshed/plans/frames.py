@@ -276,8 +276,8 @@ def scalar_keys(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def text_escapes(spark: SparkSession, sf: str) -> DataFrame:
-    """CSV and HTML escapes of a report's title field."""
-    h = F.substring("html", 1, 200)
+    """CSV and HTML escapes of whole texts."""
+    h = F.col("html")
     return table(spark, sf, "pages").select("page_id", keys.csv_field(h).alias("csv"), keys.html_escape(h).alias("html_"))
 
 
