@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass(frozen=True)
 class Field:
-    """``sample`` tokens at most are learned from; ``rounds`` of message passing with ``damping``."""
+    """``sample`` tokens at most are learned from; ``rounds`` of message passing, and three a node, at most, with ``damping``."""
 
     sample: int = 20_000
     rounds: int = 12
@@ -154,22 +154,35 @@ def _keys(token: str, least_digits: int) -> list[str]:
     return keys
 
 
-def skip_edges(text: str, tokens: list[tuple[int, int, int]], least_digits: int) -> list[tuple[int, int]]:
-    """Each token tied to the one before it that has a key in common: as many edges as tokens, at most times three."""
+def skip_edges(text: str, tokens: list[tuple[int, int, int]], least_digits: int, labels: list[int]) -> list[tuple[int, int]]:
+    """Each token tied to the one before it that has a key in common, and to the first base-labelled one of each label.
+
+    At most three keys a token, so the edges grow with the tokens. The second kind hands the evidence
+    of a base span to every repeat at one step, however many repeats lie between.
+    """
+    keys = [_keys(text[a:b], least_digits) for _, a, b in tokens]
+    known: dict[str, dict[int, int]] = {}
+    for n, y in enumerate(labels):
+        if y > 0:
+            for key in keys[n]:
+                known.setdefault(key, {}).setdefault(y, n)
     last: dict[str, int] = {}
     edges = set()
-    for n, (_, a, b) in enumerate(tokens):
-        for key in _keys(text[a:b], least_digits):
+    for n, mine in enumerate(keys):
+        for key in mine:
             if key in last and last[key] != n:
                 edges.add((last[key], n))
             last[key] = n
+            if labels[n] <= 0:
+                edges.update((min(m, n), max(m, n)) for m in known.get(key, {}).values())
     return sorted(edges)
 
 
 def propagate(unary, chain, edges, skip: float, kinds, field: Field):
     """Beliefs (nodes x labels) by damped loopy sum-product in log space.
 
-    ``edges`` is (m, 2); ``kinds`` marks each as chain (0) or skip (1).
+    ``edges`` is (m, 2); ``kinds`` marks each as chain (0) or skip (1). Rounds go on until messages
+    settle, ``field.rounds`` and three a node at most, so that the longest path is covered.
     """
     import numpy as np
 
@@ -187,7 +200,7 @@ def propagate(unary, chain, edges, skip: float, kinds, field: Field):
     both = np.concatenate([pot, pot.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     msg = np.zeros((len(src), labels))
-    for _ in range(field.rounds):
+    for _ in range(field.rounds + 3 * len(unary)):
         total = unary.copy()
         np.add.at(total, dst, msg)
         out = (total[src] - msg[back])[:, :, None] + both
@@ -210,7 +223,7 @@ def find_spans(text: str, weights: Weights, field: Field = Field()) -> tuple[lis
     tokens, labels = nodes(text, base)
     if all(labels):
         return base, []
-    skips = skip_edges(text, tokens, field.least_digits)
+    skips = skip_edges(text, tokens, field.least_digits, labels)
     # Only what a skip edge ties, however far, to a base span can gain a label.
     root = list(range(len(tokens)))
 
@@ -231,7 +244,7 @@ def find_spans(text: str, weights: Weights, field: Field = Field()) -> tuple[lis
     unary = np.array([shape(text[a:b]) for _, a, b in tokens]) @ np.array(weights.unary).T
     for i, y in enumerate(labels):
         if y:
-            unary[i] = -20.0
+            unary[i] = -1e6  # firm against any number of repeats that lean to other
             unary[i, y] = 0.0
     chains = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i][0] == tokens[i - 1][0] + 1]
     edges = np.array(chains + skips, dtype=int).reshape(-1, 2)
