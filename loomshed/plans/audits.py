@@ -409,7 +409,7 @@ def pin_check(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "restore_plan",
     """WITH f AS (SELECT source AS clip, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS n, n_chars FROM documents), m AS (SELECT doc_id, quality FROM labels)
-    SELECT clip, doc_id, n, CASE WHEN quality IS NULL THEN 'no master' WHEN quality = 0 THEN 'master bad' ELSE 'restore' END AS action FROM f LEFT JOIN m USING (doc_id) WHERE n <= 10 AND n_chars > 1000""",
+    SELECT clip, doc_id, n, CASE WHEN quality IS NULL THEN 'no master' WHEN quality = 0 THEN 'master bad' ELSE 'restore' END AS action FROM f LEFT JOIN m USING (doc_id) WHERE n_chars > 1000""",
 )
 def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Offenders by place in their clip, and whether a verified master has them."""

@@ -271,8 +271,8 @@ def scalar_keys(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "text_escapes",
     """
-    SELECT page_id, CASE WHEN regexp_matches(left(html, 200), '[,"\\r\\n]') THEN '"' || replace(left(html, 200), '"', '""') || '"' ELSE left(html, 200) END AS csv,
-      replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html_ FROM pages
+    SELECT page_id, CASE WHEN regexp_matches(html, '[,"\\r\\n]') THEN '"' || replace(html, '"', '""') || '"' ELSE html END AS csv,
+      replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html_ FROM pages
     """,
 )
 def text_escapes(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,13 +135,13 @@ def tile_grids(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "job_report_csv",
-    """SELECT doc_id, source || ',' || CASE WHEN regexp_matches(left(text, 20), '[,"\\r\\n]') THEN '"' || replace(left(text, 20), '"', '""') || '"' ELSE left(text, 20) END || ',' || n_chars || ',' || md5(text) || ',,OK,' || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END || ',' || doc_id % 100 AS line FROM documents""",
+    """SELECT doc_id, source || ',' || CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || n_chars || ',' || md5(text) || ',,OK,' || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END || ',' || doc_id % 100 AS line FROM documents""",
 )
 def job_report_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A job report's lines."""
     d = table(spark, sf, "documents")
     rows = d.select(
-        F.col("source").alias("clip"), F.substring("text", 1, 20).alias("file"), F.col("n_chars").alias("size_bytes"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.lit(None).cast("string").alias("dest_sha256"), F.lit("OK").alias("verdict"), (F.col("doc_id") % 2 == 0).alias("skipped"), (F.col("doc_id") % 100).alias("copied_ms"), "doc_id"
+        F.col("source").alias("clip"), F.col("text").alias("file"), F.col("n_chars").alias("size_bytes"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.lit(None).cast("string").alias("dest_sha256"), F.lit("OK").alias("verdict"), (F.col("doc_id") % 2 == 0).alias("skipped"), (F.col("doc_id") % 100).alias("copied_ms"), "doc_id"
     )
     return rows.withColumn("line", F.concat_ws(",", *[reports.csv_field(c) for c in reports._cells()])).select("doc_id", "line")
 

@@ -42,10 +42,14 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_entry_imports_without_the_llm_folder(monkeypatch):
-    import importlib.util
+    import sys
 
     import __spark_entry__ as entry
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("loomshed.llm") else real(name, *a))
+    for name in [m for m in sys.modules if m.startswith("loomshed.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "loomshed.llm", None)  # as if its folder were gone
+    monkeypatch.delattr("loomshed.llm", raising=False)
+    monkeypatch.setattr("importlib.util.find_spec", lambda *a: None)
     assert "sequence_gate" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
+    assert "sequence_gate" in entry.oracle_sql()
