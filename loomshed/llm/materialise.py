@@ -1,44 +1,59 @@
 """Training order on disk: every token sequence gets a global slot by a keyed Feistel permutation.
 
-1. Documents are range-partitioned and sorted by id, tokenised, and cut into
-   sequences of fixed length, which are written once in that order. A
-   sequence's index is its place: sequences of the files before it (one number
-   a file) and its row in its file. It depends on the documents alone, not on
-   how many tasks there were.
-2. A keyed Feistel network permutes [0, 2^(2h)); walking its cycle until the
+1. Texts are tokenised once, where they lie, and their ids staged in the shared
+   folder, bucketed by the partition that made them. Only headers (partition,
+   row, doc_id, tie, number of ids) are shuffled: sorted by document and summed
+   in two levels, by range and inside a range, they give each document the
+   place of its first id in the stream of all documents, in id order. The
+   places go back to the staged ids by a join on the bucketed key, which moves
+   the headers alone.
+2. The stream is cut every ``length`` ids, through documents, each of which ends
+   with an ``end`` mark, so that no sequence but the last is padded. A
+   sequence's index depends on the documents alone, not on how many tasks there were.
+3. A keyed Feistel network permutes [0, 2^(2h)); walking its cycle until the
    value is below N makes it a permutation of [0, N), so every index has one
    slot and no table of a shuffle is kept anywhere.
-3. Slots are range-partitioned by shard and sorted, and each shard is one file
-   of fixed-stride records: ids as little-endian 16-bit words, then a newline
-   byte, which Spark's text writer puts at the end of every record. Record r of
-   shard s is slot s * shard_size + r, at byte r * stride: a reader resumes by
-   arithmetic.
-
-Defined results: null and empty texts give no sequence; the last sequence of a
-document is padded with ``pad``; repeated rows are sequences of their own, in
-an order fixed by their text; null ids come first; an empty table writes no
-shard.
+4. Each task packs the pieces it holds of one shard into one compressed row.
+   These rows are shuffled once, to the partition that a range of shards has by
+   arithmetic, and each shard is one file of fixed-stride records: ids as
+   little-endian 16-bit words, then a newline byte, which Spark's text writer
+   puts at the end of every record. Record r of shard s is slot
+   s * shard_size + r, at byte r * stride: a reader resumes by arithmetic.
+
+On disk at once are the staged ids, the shuffled pieces (both compressed) and
+the shards. A writer holds one shard in memory; a shard with a missing or a
+doubled piece raises.
+
+Defined results: null and empty texts have no ids and no mark; the last
+sequence is padded with ``pad``; repeated rows are documents of their own, in
+an order fixed by their text; null ids come first; ids that do not fit below
+``end`` raise; an empty table writes no shard.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomshed.llm.bpe import encode, encoder
-from loomshed.llm.common import release, scratch
+from loomshed.llm.common import drop_path, free, scratch, settings, shuffles_dropped, stored
+
 
 @dataclass(frozen=True)
 class Layout:
-    """Ids a sequence, sequences a shard, the id that pads, the permutation's key and rounds."""
+    """Ids a sequence, sequences a shard, the ids that pad and end a document, the permutation's key and rounds."""
 
     length: int = 256
     shard: int = 16_384
     pad: int = 65_535
+    end: int = 65_534
     key: int = 20_240_601
     rounds: int = 6
 
@@ -47,6 +62,12 @@ class Layout:
         return 2 * self.length + 1
 
 
+#: Bytes of pieces that a task gathers before it packs them by shard.
+GATHERED = 48 << 20
+#: Partitions that shards are dealt to, at most.
+MOST_PARTITIONS = 100_000
+
+
 def half_bits(n: int) -> int:
     """Bits of a Feistel half for a domain of ``n``: 2^(2h) is at least n, less than 4n for n over 1."""
     h = 1
@@ -55,17 +76,6 @@ def half_bits(n: int) -> int:
     return h
 
 
-def with_slots(rows: DataFrame, n: int, layout: Layout) -> DataFrame:
-    """Adds ``slot``, the permuted ``index`` in [0, n), to rows that have one."""
-
-    def walk(batches):
-        for batch in batches:
-            slots = permute(batch.column(batch.schema.get_field_index("index")).to_numpy(), n, layout)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots, pa.int64())], names=[*batch.schema.names, "slot"])
-
-    return rows.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("slot", T.LongType())]))
-
-
 def _round_keys(layout: Layout) -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"{layout.key}:{r}".encode()).digest()[:8], "little") for r in range(layout.rounds)]
 
@@ -92,53 +102,190 @@ def permute(index, n: int, layout: Layout = Layout()):
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenise: Callable[[], Callable[[str], bytes]], layout: Layout) -> DataFrame:
-    """(doc_id, seq, ids) of every sequence, documents in id order across partitions.
+STAGED = "pid int, r long, doc_id long, tie long, n long, ids binary"
+
+
+def tokenised(docs: DataFrame, tokenise: Callable[[], Callable[[str], bytes]], layout: Layout) -> DataFrame:
+    """(pid, r, doc_id, tie, n, ids) of every row that has ids: where it lies, and its ids with the end mark.
 
     ``tokenise`` is called once in each worker task; what it returns gives a text's ids as 16-bit words.
     """
-    width = 2 * layout.length
-    fill = layout.pad.to_bytes(2, "little")
+    mark = layout.end.to_bytes(2, "little")
 
     def run(batches):
-        ids_of = tokenise()
+        import numpy as np
+
+        ids_of, pid, r = tokenise(), TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows: list[tuple] = []
+                for doc, text, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    data = ids_of(text or "")
+                    if not data:
+                        continue
+                    words = np.frombuffer(data, "<u2")
+                    if ((words == layout.end) | (words == layout.pad)).any():
+                        raise ValueError(f"document {doc} has an id that marks the end or pads")
+                    rows.append((pid, r, doc, tie, len(words) + 1, data + mark))
+                    r += 1
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pid", "r", "doc_id", "tie", "n", "ids"])
+
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(text) tie")
+    return rows.mapInArrow(run, STAGED)
+
+
+def places(headers: DataFrame) -> tuple[DataFrame, int]:
+    """(pid, r, place) of every header (pid, r, doc_id, tie, n), and the number of all ids.
+
+    ``place`` is the sum of n before a row in the order of (doc_id, tie): summed inside ranges of
+    that order, then over ranges, of which one number each is gathered.
+    """
+
+    def run(batches):
+        import numpy as np
+
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(2).to_numpy()
+            ends = np.cumsum(n) + total
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends - n), b.column(2), pa.array(np.full(len(n), part), pa.int32())], names=["pid", "r", "local", "n", "part"])
+            total = int(ends[-1]) if len(ends) else total
+
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "pid", "r"]
+    ranged = headers.repartitionByRange(*order).sortWithinPartitions(*order).select("pid", "r", "n")
+    local = stored(ranged.mapInArrow(run, "pid int, r long, local long, n long, part int"), "places")
+    sums = local.groupBy("part").agg(F.sum("n").alias("n"))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ahead = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    rows = local.join(F.broadcast(sums.select("part", ahead.alias("ahead"))), "part").select("pid", "r", (F.col("ahead") + F.col("local")).alias("place"))
+    rows._scratch_path = local._scratch_path
+    return rows, total
+
+
+def _pack(pieces: list[tuple[int, bytes]]) -> bytes:
+    """Pieces (first id in the shard, ids) of one shard as one compressed block."""
+    import numpy as np
+    import zstandard
+
+    at = np.array([p[0] for p in pieces], "<u4").tobytes()
+    sizes = np.array([len(p[1]) // 2 for p in pieces], "<u4").tobytes()
+    data = len(pieces).to_bytes(4, "little") + at + sizes + b"".join(p[1] for p in pieces)
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(block: bytes) -> Iterator[tuple[int, bytes]]:
+    import numpy as np
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = int.from_bytes(data[:4], "little")
+    at, sizes = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n, 4 + 4 * n)
+    ends = 4 + 8 * n + 2 * np.cumsum(sizes, dtype=np.int64)
+    for a, start, end in zip(at.tolist(), (ends - 2 * sizes.astype(np.int64)).tolist(), ends.tolist(), strict=True):
+        yield a, data[start:end]
+
+
+def packed(rows: DataFrame, n: int, layout: Layout) -> DataFrame:
+    """(shard, block): the pieces of the ``n`` sequences that each task holds of (place, ids), packed by shard."""
+    length = layout.length
+
+    def run(batches):
+        import numpy as np
+
+        held: dict[int, list] = defaultdict(list)
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            shards = sorted(held)
+            out = pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([_pack(held[s]) for s in shards], pa.binary())], names=["shard", "block"])
+            held.clear()
+            return out
+
         for batch in batches:
-            docs_, seqs, out = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids_of(text or "")
-                for s, at in enumerate(range(0, len(data), width)):
-                    docs_.append(doc)
-                    seqs.append(s)
-                    out.append(data[at : at + width] + fill * (max(0, width - len(data) + at) // 2))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(seqs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "seq", "ids"])
-
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("tie", F.xxhash64("text"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text").mapInArrow(run, "doc_id long, seq long, ids binary")
-
-
-def indexed(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Sequences staged at ``path`` with their dense global ``index``, and how many there are."""
-    rows = spark.read.parquet(path).select("doc_id", "seq", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # Part files are numbered by partition, and partitions are in id order.
-    files = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file")).groupBy("file").count()
-    based = files.select("file", (F.sum("count").over(Window.orderBy("file")) - F.col("count")).alias("base"), "count")
-    n = files.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
-    return rows.join(F.broadcast(based.select("file", "base")), "file").select("doc_id", "seq", "ids", (F.col("base") + F.col("row")).alias("index")), n
+            first = batch.column(0).to_numpy()
+            ids = batch.column(1).to_pylist()
+            counts = np.array([len(d) // 2 for d in ids], np.int64)
+            # Sequences that each document touches, all in one array.
+            low, high = first // length, (first + counts - 1) // length
+            each = high - low + 1
+            owner = np.repeat(np.arange(len(ids)), each)
+            seq = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + low[owner]
+            start = np.maximum(seq * length, first[owner])
+            stop = np.minimum((seq + 1) * length, (first + counts)[owner])
+            slot = permute(seq, n, layout)
+            shard = slot // layout.shard
+            at = slot % layout.shard * length + start - seq * length
+            for o, k, a, b, e in zip(owner.tolist(), shard.tolist(), at.tolist(), (2 * (start - first[owner])).tolist(), (2 * (stop - first[owner])).tolist(), strict=True):
+                held[k].append((a, ids[o][b:e]))
+                size += e - b
+                if size >= GATHERED:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return rows.select("place", "ids").mapInArrow(run, "shard long, block binary")
+
+
+def _records(blocks: DataFrame, total: int, layout: Layout) -> DataFrame:
+    """(shard, value) of every record, in order, from blocks that are partitioned and sorted by shard."""
+    whole, n = layout.shard * layout.length, -(-total // layout.length)
+    short = int(permute([n - 1], n, layout)[0]) // layout.shard  # the shard of the last sequence, the only one that is padded
+
+    def run(batches):
+        import numpy as np
+
+        now, ids, filled = None, None, 0
+
+        def records() -> pa.RecordBatch:
+            rows = min(layout.shard, n - now * layout.shard)
+            want = rows * layout.length - (n * layout.length - total if now == short else 0)
+            if filled != want:
+                raise ValueError(f"shard {now} has {filled} ids of {want}")
+            data, width = ids.tobytes(), 2 * layout.length
+            return pa.RecordBatch.from_arrays([pa.array([now] * rows, pa.int64()), pa.array([data[a * width : (a + 1) * width] for a in range(rows)], pa.binary())], names=["shard", "value"])
+
+        for batch in batches:
+            for k, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield records()
+                    now, ids, filled = k, np.full(whole, layout.pad, "<u2"), 0
+                for at, piece in _unpack(block.as_py()):
+                    ids[at : at + len(piece) // 2] = np.frombuffer(piece, "<u2")
+                    filled += len(piece) // 2
+        if now is not None:
+            yield records()
+
+    return blocks.mapInArrow(run, "shard long, value binary")
 
 
 def write_shards(docs: DataFrame, path: str, tokenise: Callable[[], Callable[[str], bytes]], layout: Layout = Layout()) -> int:
     """Write every sequence below ``path`` as shard=<k>/ files; returns how many sequences there are."""
     spark = docs.sparkSession
-    stage = scratch(spark, "sequences")
-    sequences(docs, tokenise, layout).write.option("compression", "zstd").parquet(stage)
-    release(spark)
-    rows, n = indexed(spark, stage)
-    if n:
-        placed = with_slots(rows.select("ids", "index"), n, layout).withColumn("shard", F.expr(f"slot div {layout.shard}"))
-        parts = max(1, -(-n // layout.shard))
-        out = placed.repartitionByRange(min(parts, 10_000), "shard").sortWithinPartitions("shard", "slot")
-        out.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    stage, name = scratch(spark, "token-ids"), f"loomshed_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    staged = tokenised(docs, tokenise, layout).write.bucketBy(buckets, "pid").format("parquet").option("path", stage)
+    staged.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("parquet.page.size", str(8 << 20)).saveAsTable(name)
+    try:
+        ids = spark.table(name)
+        placed, total = places(ids.select("pid", "r", "doc_id", "tie", "n"))
+        n = -(-total // layout.length)
+        if n:
+            shards = -(-n // layout.shard)
+            parts = min(shards, MOST_PARTITIONS)
+            # Staged rows stay in their buckets; only the places are shuffled to them.
+            with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"), shuffles_dropped(spark):
+                rows = ids.select("pid", "r", "ids").join(placed.hint("shuffle_hash"), ["pid", "r"])
+                blocks = packed(rows, n, layout).repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("shard")
+                _records(blocks, total, layout).select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+        free(placed)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(spark, stage)
     return n
 
 
@@ -161,12 +308,14 @@ def read_shards(spark: SparkSession, path: str, layout: Layout = Layout(), start
 
 
 def byte_pair_tokeniser(ranks: bytes, pattern: str) -> Callable[[], Callable[[str], bytes]]:
-    """Tokeniser factory for ``sequences``: byte-level BPE by a rank file."""
+    """Tokeniser factory for ``tokenised``: byte-level BPE by a rank file."""
 
     def make() -> Callable[[str], bytes]:
         import numpy as np
 
         enc = encoder(ranks, pattern)
+        if enc.n_vocab > 1 << 16:
+            raise ValueError(f"{enc.n_vocab} ids do not fit 16 bits")
         return lambda text: np.array(encode(enc, text), "<u2").tobytes()
 
     return make

@@ -213,21 +213,43 @@ def test_permutation(n):
     assert n < 100 or slots.tolist() != list(range(n))
 
 
-def test_shards_round_trip(spark):
-    layout = materialise.Layout(length=8, shard=16, pad=0)
+def test_every_slot_holds_the_sequence_that_a_plain_version_puts_there(spark):
+    layout = materialise.Layout(length=8, shard=16, pad=0, end=9999)
     make = lambda: (lambda text: b"".join((1 + ord(c) % 1000).to_bytes(2, "little") for c in text))
-    rows = [(i, "word " * (i % 9)) for i in range(80)] + [(None, "lost"), (3, None)]
-    path = scratch(spark, "t")
-    n = materialise.write_shards(docs_frame(spark, rows, extra=True), path, make, layout)
-    got = {r.slot: bytes(r.ids) for r in materialise.read_shards(spark, path, layout).collect()}
-    assert sorted(got) == list(range(n))
-    want = []
-    for _, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
-        data = make()(t or "")
-        want += [data[a : a + 16].ljust(16, b"\0") for a in range(0, len(data), 16)]
-    assert sorted(got.values()) == sorted(want)
+    rows = [(i, "word " * (i % 9)) for i in range(80)] + [(None, "lost"), (None, "found"), (3, None), (7, "another seven"), (7, "seven" * 90), (7, "seven" * 90), (90, "")]
+    docs = docs_frame(spark, rows, extra=True)
+    ties = {(r.doc_id, r.text): r.tie for r in docs.selectExpr("doc_id", "text", "xxhash64(text) tie").collect()}
+    stream = b""
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, ties[x])):
+        stream += make()(t) + (9999).to_bytes(2, "little") if t else b""
+    want = [stream[a : a + 16].ljust(16, b"\0") for a in range(0, len(stream), 16)]
+    slots = materialise.permute(range(len(want)), len(want), layout).tolist()
+    for parts in (1, 7):
+        path = scratch(spark, "t")
+        assert materialise.write_shards(docs.repartition(parts), path, make, layout) == len(want)
+        got = {r.slot: bytes(r.ids) for r in materialise.read_shards(spark, path, layout).collect()}
+        assert got == {s: w for s, w in zip(slots, want, strict=True)}
     late = {r.slot for r in materialise.read_shards(spark, path, layout, start=21).collect()}
-    assert late == set(range(21, n))
+    assert late == set(range(21, len(want)))
+    assert materialise.write_shards(empty(spark), scratch(spark, "t"), make, layout) == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("loomshed_")]
+
+
+def test_ids_that_clash_with_marks_raise(spark):
+    layout = materialise.Layout(length=8, shard=16, pad=0, end=9)
+    with pytest.raises(Exception, match="marks the end"):
+        materialise.write_shards(docs_frame(spark, [(1, "x")]), scratch(spark, "t"), lambda: lambda text: b"\x09\x00", layout)
+
+
+def test_pieces_gathered_in_parts_make_the_same_shards(spark, monkeypatch):
+    layout = materialise.Layout(length=4, shard=8, pad=0, end=9999)
+    make = lambda: (lambda text: b"".join((1 + ord(c) % 1000).to_bytes(2, "little") for c in text))
+    docs, paths = docs_frame(spark, [(i, "abcdefg" * (1 + i % 5)) for i in range(40)]), [scratch(spark, "t"), scratch(spark, "t")]
+    for path, size in zip(paths, (materialise.GATHERED, 64), strict=True):
+        monkeypatch.setattr(materialise, "GATHERED", size)
+        materialise.write_shards(docs, path, make, layout)
+    one, two = ({r.slot: bytes(r.ids) for r in materialise.read_shards(spark, p, layout).collect()} for p in paths)
+    assert one == two and len(one) > 100
 
 
 # 7: mixing
