@@ -140,7 +140,9 @@ def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
     if not write_shards(table(spark, sf, "documents"), path, byte_pair_tokeniser(ranks, pattern)):
         return spark.createDataFrame([], "slot long, n_ids int, ids_sha256 string")
     ids = read_shards(spark, path)
-    pad = F.length(F.regexp_extract(F.hex("ids"), "(FFFF)*$", 0)) / 4
+    # Only a sequence that ends with padding is searched for its beginning.
+    padded = F.substring("ids", -2, 2) == F.lit(b"\xff\xff")
+    pad = F.when(padded, F.length(F.regexp_extract(F.hex("ids"), "(FFFF)*$", 0)) / 4).otherwise(0)
     return ids.select("slot", (F.octet_length("ids") / 2 - pad).cast("int").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
 
 
