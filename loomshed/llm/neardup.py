@@ -1,20 +1,25 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
-1. Each text becomes its set of hashed word shingles, a digest of the whole set,
-   128 minima in 32 bands, and the low 4 bits of every minimum packed in 64 bytes.
-2. Documents with equal sets form classes; from here on each class is one row,
-   its least doc_id, so groups of exact copies cost one row however large.
-3. Rows that share a band are candidates. First each row is compared with the
-   least row of its bands only; the pair with the best estimate is confirmed.
+1. Each text becomes its set of hashed word shingles, a 128-bit digest of the whole
+   set, 128 minima in 32 bands, and the low 4 bits of every minimum packed in 64 bytes.
+2. Rows with equal sets form classes; from here on each class is one node, named
+   by its least row number, so groups of exact copies cost one node however large,
+   and rows that repeat a doc_id with other texts are nodes of their own.
+3. Nodes that share a band are candidates. First each is compared with the least
+   node (the pivot) of its bands; the pair with the best estimate is confirmed.
    The estimate counts equal b-bit minima and takes out chance collisions:
    J = (matches/k - 2^-b) / (1 - 2^-b).
-4. Links confirmed so far give components. Only bands that still hold more than
-   one component can hide a link that matters. Rows tied by such bands form
-   clusters, and inside a cluster rows of different components are compared by
-   packed bits, then on their full sets unless they are connected by then. A
-   task emits only links that connect, so a group of n near copies gives fewer
-   than n rows, and the components are those of all links.
-5. Clusters of over ``block`` rows are compared block against block, a block pair a task.
+4. Links confirmed so far give components. Pairs of a node and a pivot that the
+   estimate left are tried next. Besides, only bands with more than one component
+   among their other nodes can hide a link that matters. Each such band is
+   compared by packed bits alone: the nodes outside the band's largest component
+   are held against all its nodes, in blocks of ``block`` nodes by ``block``, so a
+   hot band is many tasks and a band of near copies of one another costs what
+   stands apart in it. For a node and another component the best ``k`` pairs are
+   tried, and where more were left, the band is asked again with a larger k, until
+   nothing is left: no pair that the estimate lets through goes untested unless
+   its ends are connected by then.
+5. Full sets are fetched for the nodes of tried pairs only.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 5e-8,
 and pairs are dropped by their estimate only ``sigmas`` standard deviations
@@ -32,14 +37,18 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from loomshed.llm.common import stored
+from loomshed.llm.common import WORD, free, stored
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """``words`` a shingle, least Jaccard similarity in hundredths, minima, bands, bits kept of each minimum."""
+    """``words`` a shingle, least Jaccard similarity in hundredths, minima, bands, bits kept of each minimum.
+
+    ``block``: nodes of a band compared in one task, twice over. ``known``: ids that
+    are broadcast at most to find texts; more are joined.
+    """
 
     words: int = 5
     percent: int = 80
@@ -48,6 +57,7 @@ class NearDup:
     bits: int = 4
     sigmas: float = 5.0
     block: int = 4_000
+    known: int = 1_000_000
 
     @property
     def least_estimate(self) -> float:
@@ -139,22 +149,33 @@ def estimate(x, y, spec: NearDup):
     return ((spec.minima - unequal) / spec.minima - c) / (1 - c)
 
 
-_SIG = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary"
+_SIG = "doc_id long, tie long, n long, d1 long, d2 long, bands array<long>, sig binary"
+
+
+def _digest(items) -> tuple[int, int]:
+    """128 bits of a whole set, in any order."""
+    import numpy as np
+
+    return int(_mix(items).sum(dtype=np.uint64).view(np.int64)), int(_mix(items ^ np.uint64(_GOLD)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def sign(docs: DataFrame, spec: NearDup) -> DataFrame:
-    """(doc_id, n, d1, d2, bands, sig) of every row: set size, 128-bit digest of the set, band keys, packed bits."""
+    """(doc_id, tie, n, d1, d2, bands, sig) of every row: a hash of the text, set size, 128-bit digest of the set, band keys, packed bits."""
 
     def run(batches):
         import numpy as np
 
         rows_per = spec.minima // spec.bands
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             at = 0
-            while at < len(ids):
+            while at < len(texts):
                 sets, size, first = [], 0, at
-                while at < len(ids) and size < 500_000:
+                while at < len(texts) and size < 500_000:
                     sets.append(shingle_set(texts[at], spec.words))
                     size += len(sets[-1])
                     at += 1
@@ -165,37 +186,51 @@ def sign(docs: DataFrame, spec: NearDup) -> DataFrame:
                 sig: list = [None] * len(sets)
                 if full:
                     minima = signatures([sets[i] for i in full], spec)
-                    packed = pack(minima, spec.bits)
+                    bits = pack(minima, spec.bits)
                     keys = np.zeros((len(full), spec.bands), np.uint64)
                     for j in range(rows_per):
-                        keys = _mix(keys * np.uint64(_GOLD) + minima[:, j :: rows_per].astype(np.uint64) + np.arange(spec.bands, dtype=np.uint64) * np.uint64(_M2))
+                        keys = _mix(keys * np.uint64(_GOLD) + minima[:, j::rows_per].astype(np.uint64) + np.arange(spec.bands, dtype=np.uint64) * np.uint64(_M2))
                     keys = keys.view(np.int64)
                     for r, i in enumerate(full):
-                        bands[i], sig[i] = keys[r], packed[r].tobytes()
-                        d1[i] = int(_mix(sets[i]).sum(dtype=np.uint64).view(np.int64))
-                        d2[i] = int(_mix(sets[i] ^ np.uint64(_GOLD)).sum(dtype=np.uint64).view(np.int64))
+                        bands[i], sig[i] = keys[r], bits[r].tobytes()
+                        d1[i], d2[i] = _digest(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first:at], pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "bands", "sig"],
+                    [
+                        batch.column(0).slice(first, at - first),
+                        batch.column(2).slice(first, at - first),
+                        pa.array(n, pa.int64()),
+                        pa.array(d1, pa.int64()),
+                        pa.array(d2, pa.int64()),
+                        pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(sig, pa.binary()),
+                    ],
+                    names=["doc_id", "tie", "n", "d1", "d2", "bands", "sig"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, _SIG)
+    return _texts(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(run, _SIG)
 
 
-def _set_table(docs: DataFrame, spec: NearDup) -> DataFrame:
-    """(rep, d1, items): full shingle sets."""
+def _set_table(docs: DataFrame, wanted: DataFrame, spec: NearDup) -> DataFrame:
+    """(rep, items): full shingle sets of the wanted classes (rep, low, d1, d2), from the texts of their least ids.
 
-    def run(batches):
-        import numpy as np
+    Up to ``spec.known`` ids are broadcast, so that texts stay where they lie; more are joined by a shuffle.
+    """
 
+    def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 200):
                 sets = [shingle_set(t, spec.words) for t in texts[at : at + 200]]
-                d1 = [int(_mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 200], pa.int64()), pa.array(d1, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "d1", "items"])
+                d1, d2 = zip(*map(_digest, sets), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at : at + 200], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], names=["low", "d1", "d2", "items"]
+                )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "rep long, d1 long, items array<long>")
+    ids = wanted.select(F.col("low").alias("doc_id")).distinct()
+    if ids.count() <= spec.known:
+        ids = F.broadcast(ids)
+    found = _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "low long, d1 long, d2 long, items array<long>")
+    return found.join(wanted, ["low", "d1", "d2"]).select("rep", "items").dropDuplicates(["rep"])
 
 
 def _with_estimate(pairs: DataFrame, spec: NearDup) -> DataFrame:
@@ -216,6 +251,11 @@ def _with_estimate(pairs: DataFrame, spec: NearDup) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
 
 
+def _alike(n_a: Column, n_b: Column, spec: NearDup) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    return 100 * F.least(n_a, n_b) >= spec.percent * F.greatest(n_a, n_b)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
     """Those of the pairs (a, b) whose full sets (rep, items) are similar enough, tested exactly in the JVM."""
     a = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
@@ -265,125 +305,170 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(lifted.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "links")
 
 
-def _cross_links(rows: DataFrame, spec: NearDup) -> DataFrame:
-    """Links (a, b) between different components inside each cluster of ``rows`` (cluster, rep, comp, n, sig, items, nb).
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Adds ``comp``, the component of ``rep``."""
+    return rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
 
-    A task compares the packed bits of its rows' pairs, tests those that may be
-    links on their full sets unless they are connected by then, and emits only
-    links that connect, fewer than its rows. Clusters of over one block are
-    compared block by block, a block pair a task.
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) between different components."""
+    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _blocks(labelled: DataFrame, spec: NearDup, only: DataFrame | None) -> DataFrame:
+    """(key, i, j, ask, rep, comp): nodes of bands with several components, by blocks.
+
+    Every node is a member in block i; those outside their band's largest component
+    ask, in block j. Members go to each block of askers, askers to each block of
+    members. ``only`` keeps the askers among its (rep).
+    """
+    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    bands = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    number = lambda c: F.greatest(F.ceil(c / spec.block), F.lit(1)).cast("int")
+    bands = stored(bands.select("key", F.col("main.comp").alias("main"), number(F.col("all")).alias("ni"), number(F.col("all") - F.col("main.c")).alias("nj")), "mixed-bands")
+    rows = labelled.join(bands, "key")
+    asking = rows.filter("comp <> main")
+    if only is not None:
+        asking = asking.join(only, "rep", "left_semi")
+        rows = rows.join(asking.select("key").distinct(), "key", "left_semi")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("key", place("ni").alias("i"), every("nj").alias("j"), F.lit(False).alias("ask"), "rep", "comp")
+    askers = asking.select("key", every("ni").alias("i"), place("nj").alias("j"), F.lit(True).alias("ask"), "rep", "comp")
+    return members.unionByName(askers)
+
+
+def _compare(blocks: DataFrame, spec: NearDup, k: int) -> DataFrame:
+    """(a, b, asker, more) of blocks with n and sig: for each asker the ``k`` best pairs with each other component.
+
+    ``more`` marks an asker with pairs beyond those k.
     """
     least = spec.least_estimate
 
     def run(table):
         import numpy as np
 
-        order = np.lexsort((table.column("rep").to_numpy(), table.column("block").to_numpy()))
-        rep, comp, n, block = (table.column(c).to_numpy()[order] for c in ("rep", "comp", "n", "block"))
-        sig = table.column("sig").to_pylist()
-        packed = np.frombuffer(b"".join(sig[o] for o in order), np.uint64).reshape(len(rep), -1)
-        lists = table.column("items").combine_chunks()
-        values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        items = [values[ends[o] : ends[o + 1]] for o in order]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        names, start = np.unique(comp, return_inverse=True)
-        root = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        left = np.arange(len(rep)) if i == j else np.flatnonzero(block == i)
-        links: list[tuple[int, int]] = []
-        for r in left:
-            low = r + 1 if i == j else len(left)
-            ok = (start[low:] != start[r]) & (100 * np.minimum(n[low:], n[r]) >= spec.percent * np.maximum(n[low:], n[r]))
-            at = np.flatnonzero(ok) + low
+        ask = table.column("ask").to_numpy()
+        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
+        bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
+        members = np.flatnonzero(~ask)
+        out: list[tuple[int, int, int, bool]] = []
+        for q in np.flatnonzero(ask):
+            fits = (comp[members] != comp[q]) & (100 * np.minimum(n[members], n[q]) >= spec.percent * np.maximum(n[members], n[q]))
+            at = members[fits]
             if not len(at):
                 continue
-            est = estimate(packed[at], packed[r], spec)
+            est = estimate(bits[at], bits[q], spec)
             keep = est >= least
             at, est = at[keep], est[keep]
-            for t in at[np.argsort(-est, kind="stable")]:
-                x, y = find(int(start[r])), find(int(start[t]))
-                if x == y:
-                    continue
-                u, v = (items[r], items[t]) if n[r] <= n[t] else (items[t], items[r])
-                spot = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                both = int((v[spot] == u).sum())
-                if 100 * both >= spec.percent * (len(u) + len(v) - both):
-                    root[max(x, y)] = min(x, y)
-                    links.append((int(min(rep[r], rep[t])), int(max(rep[r], rep[t]))))
-        cols = list(zip(*links, strict=True)) if links else [(), ()]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
-
-    k = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda m: F.struct(F.least(m, F.col("block")).alias("i"), F.greatest(m, F.col("block")).alias("j")))
-    blocked = rows.withColumn("block", k).withColumn("ij", F.explode(pairs)).select("cluster", "rep", "comp", "n", "sig", "items", "block", "ij.i", "ij.j")
-    return blocked.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def _hidden_links(cand: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
-    """Links that first components leave out: between rows of different components that share a band."""
-    labelled = cand.join(comps, cand["rep"] == comps["node"], "left").select("key", "rep", "pivot", F.coalesce("comp", "rep").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rows = stored(labelled.join(mixed, "key", "left_semi").select("rep", "pivot", "comp").distinct(), "mixed")
-    clusters = components(rows.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()).toDF("rep", "cluster")
-    placed = rows.select("rep", "comp").distinct().join(clusters, "rep", "left").select("rep", "comp", F.coalesce("cluster", "rep").alias("cluster"))
-    placed = stored(placed.join(reps.select("rep", "n", "sig"), "rep"), "placed")
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items")).filter("c > 1")
-    nb = F.greatest(F.ceil(F.col("c") / spec.block), F.ceil(F.col("items") / (500 * spec.block))).cast("int")
-    return _cross_links(placed.join(sizes.select("cluster", nb.alias("nb")), "cluster").join(sets, "rep"), spec)
+            taken: dict[int, int] = {}
+            for t in at[np.lexsort((rep[at], -est))]:
+                c = int(comp[t])
+                taken[c] = taken.get(c, 0) + 1
+                if taken[c] <= k:
+                    out.append((int(min(rep[q], rep[t])), int(max(rep[q], rep[t])), int(rep[q]), False))
+                elif taken[c] == k + 1:
+                    out.append((int(rep[q]), int(rep[q]), int(rep[q]), True))
+        cols = list(zip(*out, strict=True)) if out else [()] * 4
+        return pa.table({c: pa.array(v, pa.bool_() if c == "more" else pa.int64()) for c, v in zip(("a", "b", "asker", "more"), cols, strict=True)})
+
+    return blocks.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, asker long, more boolean")
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) with links between nodes of different ones."""
+    top = components(
+        links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+        .join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+    up = top.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+    # Nodes below a root that moved follow it; roots and single nodes enter with their own move.
+    return stored(comps.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")).unionByName(top), "components")
 
 
-def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    signed = stored(sign(docs, spec), "signed")
+def grouped(docs: DataFrame, spec: NearDup = NearDup()) -> tuple[DataFrame, DataFrame]:
+    """Signed rows of ``docs`` (doc_id, tie, n, d1, d2), and (n, d1, d2, comp, first) of every class of them.
+
+    ``first`` is the least (doc_id, tie) of a class.
+    """
+    signed = stored(sign(docs, spec).withColumn("row", F.monotonically_increasing_id()), "signed")
     classes = stored(
-        signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s")).select("rep", "n", "d1", "d2", "s.bands", "s.sig"),
+        signed.filter("n > 0 and doc_id is not null")
+        .groupBy("n", "d1", "d2")
+        .agg(F.min("row").alias("rep"), F.min(F.struct("doc_id", "tie")).alias("first"), F.min_by(F.struct("bands", "sig"), "row").alias("s"))
+        .select("rep", "n", "d1", "d2", "first", "s.bands", "s.sig"),
         "classes",
     )
-    reps = classes.select("rep", "n", "d1", "sig")
+    reps = classes.select("rep", "n", "sig")
+    named = classes.select("rep", F.col("first.doc_id").alias("low"), "d1", "d2")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    cand = stored(banded.join(buckets, "key").select("key", "rep", "pivot", "c"), "candidates")
-    needed = cand.select(F.col("rep").alias("doc_id")).distinct()
-    full = _set_table(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), spec)
-    sets = stored(full.join(reps.select("rep", "d1"), ["rep", "d1"]).select("rep", "items").dropDuplicates(["rep"]), "sets")
-
-    # Each row against the least rows of its bands; the best of those pairs is confirmed.
-    star = cand.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    sig_a = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-    sig_b = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    sized = star.join(sig_a, "a").join(sig_b, "b").filter(100 * F.least("n_a", "n_b") >= spec.percent * F.greatest("n_a", "n_b"))
-    best = _with_estimate(sized, spec).groupBy("a").agg(F.max_by("b", F.struct(F.col("est"), -F.col("b"))).alias("b"))
+    # Stored on its own, so that a hot band's rows are split in the join.
+    buckets = stored(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "pivot"), "bands")
+    cand = stored(banded.join(buckets, "key").filter("rep <> pivot").select("key", "rep", "pivot"), "candidates")
+
+    def confirmed(pairs: DataFrame, what: str) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        sets = stored(_set_table(docs, named.join(ends, "rep", "left_semi"), spec), "sets")
+        links = stored(confirm(pairs, sets, spec), what)
+        free(sets)
+        return links
+
+    # Each node against the least nodes of its bands; the best of those pairs is confirmed.
+    star = cand.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+    sized = star.join(side("a"), "a").join(side("b"), "b").filter(_alike(F.col("n_a"), F.col("n_b"), spec))
+    near = stored(_with_estimate(sized, spec), "near-pivots")
+    best = near.groupBy("a").agg(F.max_by("b", F.struct(F.col("est"), -F.col("b"))).alias("b"))
     tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
-    comps = stored(components(confirm(tried, sets, spec)), "components")
-
-    links = stored(_hidden_links(cand, comps, reps, sets, spec), "hidden-links")
-    if links.limit(1).count():
-        lifted = (
-            links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-            .join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        )
-        top = components(lifted)
-        up = top.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        # Rows below a root that moved follow it; roots and single rows enter with their own move.
-        comps = stored(comps.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")).unionByName(top), "components")
-
-    final = classes.select("rep", "n", "d1", "d2").join(comps, classes["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
+    comps = stored(components(confirmed(tried, "links")), "components")
+
+    # What that left open, until no pair is held back.
+    rest = _across(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), comps)
+    only, k = None, 1
+    while True:
+        blocks = _blocks(_labelled(cand.select("key", "rep"), comps), spec, only)
+        found = stored(_compare(blocks.join(reps, "rep"), spec, k), "hidden-pairs")
+        pairs = found.filter("not more").select("a", "b")
+        fresh = (pairs.unionByName(rest) if rest is not None else pairs).distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = stored(fresh, "tried")
+        if fresh.limit(1).count():
+            links = confirmed(fresh, "hidden-links")
+            if links.limit(1).count():
+                comps = _merged(comps, links)
+        left = stored(found.filter("more").select(F.col("asker").alias("rep")).distinct(), "held-back")
+        if not left.limit(1).count():
+            break
+        tried, rest, only, k = stored(tried.unionByName(fresh), "tried"), None, left, 8 * k
+    placed = classes.select("rep", "n", "d1", "d2", "first").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    final = stored(placed.select("n", "d1", "d2", "first", F.coalesce("comp", "rep").alias("comp")), "classed")
+    free(classes, buckets, cand, near)
+    return signed.select("doc_id", "tie", "n", "d1", "d2"), final
+
+
+def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    signed, classes = grouped(docs, spec)
+    least = stored(classes.groupBy("comp").agg(F.min("first.doc_id").alias("component")), "least")
+    named = stored(classes.join(least, "comp").select("n", "d1", "d2", "component"), "named")
+    out = signed.join(named, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, and all without a doc_id."""
-    kept = near_duplicates(docs, spec).filter("kept and doc_id is not null").select("doc_id").distinct()
-    columns = docs.columns
-    once = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return once.unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` that stay: of each group of similar texts the row with the least doc_id.
+
+    Of rows with that doc_id, the one least in a hash of the text; of rows equal in
+    both, any. Rows without a doc_id or without words are in no group, so all stay.
+    """
+    _, classes = grouped(docs, spec)
+    stay = stored(classes.groupBy("comp").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie"), "stay")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    id_, tie = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    held = docs.filter(~alone).withColumns({"_loomshed_id": id_, "_loomshed_tie": tie})
+    stay = stay.toDF("_loomshed_id", "_loomshed_tie")
+    once = held.join(stay, ["_loomshed_id", "_loomshed_tie"], "left_semi").dropDuplicates(["_loomshed_id", "_loomshed_tie"])
+    return once.select(*docs.columns).unionByName(docs.filter(alone))

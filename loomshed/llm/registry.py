@@ -186,21 +186,22 @@ def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE tokens AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) = 1 THEN w
+  SELECT r, doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) = 1 THEN w
     ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM tokens),
-items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+items AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets WHERE doc_id IS NOT NULL),
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both_
-  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+  SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS both_
+  FROM items a JOIN items b ON a.x = b.x AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
 links AS (SELECT a, b FROM pairs WHERE 100 * both_ >= 80 * (na + nb - both_)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(id, c) AS (
-  SELECT doc_id, doc_id FROM sets UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id WHERE r.c < e.b),
-least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
-FROM sets s JOIN least l ON s.doc_id = l.id
+reach(r, c) AS (
+  SELECT r, r FROM sets UNION SELECT e.b, x.c FROM reach x JOIN edges e ON e.a = x.r WHERE x.c < e.b),
+roots AS (SELECT r, min(c) AS root FROM reach GROUP BY r),
+least AS (SELECT root, min(doc_id) AS component_id FROM roots JOIN sets USING (r) GROUP BY root)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept
+FROM sets JOIN roots USING (r) JOIN least USING (root)
 """
 
 
