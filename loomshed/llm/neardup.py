@@ -9,17 +9,19 @@
    node (the pivot) of its bands; the pair with the best estimate is confirmed.
    The estimate counts equal b-bit minima and takes out chance collisions:
    J = (matches/k - 2^-b) / (1 - 2^-b).
-4. Links confirmed so far give components. Pairs of a node and a pivot that the
-   estimate left are tried next. Besides, only bands with more than one component
-   among their other nodes can hide a link that matters. Each such band is
-   compared by packed bits alone: the nodes outside the band's largest component
-   are held against all its nodes, in blocks of ``block`` nodes by ``block``, so a
-   hot band is many tasks and a band of near copies of one another costs what
-   stands apart in it. For a node and another component the best ``k`` pairs are
-   tried, and where more were left, the band is asked again with a larger k, until
-   nothing is left: no pair that the estimate lets through goes untested unless
-   its ends are connected by then.
-5. Full sets are fetched for the nodes of tried pairs only.
+4. Links confirmed so far give components. Only bands with more than one component
+   among their nodes can hide a link that matters. Such a band is compared by
+   packed bits alone: the nodes outside its largest component (the askers) are held
+   against all its nodes, in blocks by blocks, so a hot band is many tasks and
+   a band of near copies of one another costs what stands apart in it. A task emits
+   of the pairs that the estimate lets through only those that connect, fewer than
+   its nodes, so a group of n gives no n^2 rows.
+5. Nodes connected by such pairs form clusters: chains of true likeness, not of
+   chance bands. Inside a cluster, again askers against all in blocks, the pairs
+   that the estimate lets through are tested on their full sets in the task, best
+   first, unless their ends are connected by then; only links that connect leave it.
+   So no pair goes untested whose link could matter.
+6. Full sets are fetched for the nodes of star pairs and of clusters only.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 5e-8,
 and pairs are dropped by their estimate only ``sigmas`` standard deviations
@@ -46,8 +48,9 @@ from loomshed.llm.common import WORD, free, stored
 class NearDup:
     """``words`` a shingle, least Jaccard similarity in hundredths, minima, bands, bits kept of each minimum.
 
-    ``block``: nodes of a band compared in one task, twice over. ``known``: ids that
-    are broadcast at most to find texts; more are joined.
+    A band or cluster is dealt into ``parts`` blocks, of ``least_block`` nodes at least and
+    ``block`` at most, and of ``items`` shingles. ``known``: ids that are broadcast at most
+    to find texts; more are joined.
     """
 
     words: int = 5
@@ -57,6 +60,9 @@ class NearDup:
     bits: int = 4
     sigmas: float = 5.0
     block: int = 4_000
+    least_block: int = 256
+    parts: int = 64
+    items: int = 2_000_000
     known: int = 1_000_000
 
     @property
@@ -310,71 +316,115 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) between different components."""
-    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _blocks(labelled: DataFrame, key: str, spec: NearDup) -> DataFrame:
+    """Rows (key, rep, comp, n, ...) of keys with several components, with blocks i and j, and ``ask``.
 
-
-def _blocks(labelled: DataFrame, spec: NearDup, only: DataFrame | None) -> DataFrame:
-    """(key, i, j, ask, rep, comp): nodes of bands with several components, by blocks.
-
-    Every node is a member in block i; those outside their band's largest component
+    Every node is a member in block i; those outside their key's largest component
     ask, in block j. Members go to each block of askers, askers to each block of
-    members. ``only`` keeps the askers among its (rep).
+    members, so each asker meets each member once.
     """
-    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    bands = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    number = lambda c: F.greatest(F.ceil(c / spec.block), F.lit(1)).cast("int")
-    bands = stored(bands.select("key", F.col("main.comp").alias("main"), number(F.col("all")).alias("ni"), number(F.col("all") - F.col("main.c")).alias("nj")), "mixed-bands")
-    rows = labelled.join(bands, "key")
-    asking = rows.filter("comp <> main")
-    if only is not None:
-        asking = asking.join(only, "rep", "left_semi")
-        rows = rows.join(asking.select("key").distinct(), "key", "left_semi")
+    sizes = labelled.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    keys = sizes.groupBy(key).agg(F.max(F.struct("c", "s", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+
+    def number(count: Column, items: Column) -> Column:
+        size = F.greatest(F.lit(spec.least_block), F.least(F.lit(spec.block), F.ceil(count / spec.parts)))
+        return F.greatest(F.ceil(count / size), F.ceil(items / spec.items), F.lit(1)).cast("int")
+
+    main = F.col("main")
+    dealt = keys.select(key, main["comp"].alias("main"), number(F.col("c"), F.col("s")).alias("ni"), number(F.col("c") - main["c"], F.col("s") - main["s"]).alias("nj"))
+    rows = labelled.join(stored(dealt, "dealt"), key)
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.select("key", place("ni").alias("i"), every("nj").alias("j"), F.lit(False).alias("ask"), "rep", "comp")
-    askers = asking.select("key", every("ni").alias("i"), place("nj").alias("j"), F.lit(True).alias("ask"), "rep", "comp")
-    return members.unionByName(askers)
+    members = rows.withColumns({"ask": F.lit(False), "i": place("ni")}).withColumn("j", every("nj"))
+    askers = rows.filter("comp <> main").withColumns({"ask": F.lit(True), "i": every("ni")}).withColumn("j", place("nj"))
+    return members.unionByName(askers.select(*members.columns)).drop("main", "ni", "nj")
 
 
-def _compare(blocks: DataFrame, spec: NearDup, k: int) -> DataFrame:
-    """(a, b, asker, more) of blocks with n and sig: for each asker the ``k`` best pairs with each other component.
+class Forest:
+    """Union and find over small whole numbers."""
 
-    ``more`` marks an asker with pairs beyond those k.
-    """
-    least = spec.least_estimate
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-    def run(table):
-        import numpy as np
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-        ask = table.column("ask").to_numpy()
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
-        members = np.flatnonzero(~ask)
-        out: list[tuple[int, int, int, bool]] = []
-        for q in np.flatnonzero(ask):
-            fits = (comp[members] != comp[q]) & (100 * np.minimum(n[members], n[q]) >= spec.percent * np.maximum(n[members], n[q]))
-            at = members[fits]
-            if not len(at):
-                continue
+    def join(self, x: int, y: int) -> bool:
+        """Whether that connected two parts."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _held_against(table, spec: NearDup):
+    """(asker, members that may be like it, best first) of one block pair, as row numbers of ``table``."""
+    import numpy as np
+
+    ask = table.column("ask").to_numpy()
+    rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
+    bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
+    members = np.flatnonzero(~ask)
+    for q in np.flatnonzero(ask):
+        fits = (comp[members] != comp[q]) & (100 * np.minimum(n[members], n[q]) >= spec.percent * np.maximum(n[members], n[q]))
+        at = members[fits]
+        if len(at):
             est = estimate(bits[at], bits[q], spec)
-            keep = est >= least
+            keep = est >= spec.least_estimate
             at, est = at[keep], est[keep]
-            taken: dict[int, int] = {}
-            for t in at[np.lexsort((rep[at], -est))]:
-                c = int(comp[t])
-                taken[c] = taken.get(c, 0) + 1
-                if taken[c] <= k:
-                    out.append((int(min(rep[q], rep[t])), int(max(rep[q], rep[t])), int(rep[q]), False))
-                elif taken[c] == k + 1:
-                    out.append((int(rep[q]), int(rep[q]), int(rep[q]), True))
-        cols = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.table({c: pa.array(v, pa.bool_() if c == "more" else pa.int64()) for c, v in zip(("a", "b", "asker", "more"), cols, strict=True)})
+            if len(at):
+                yield int(q), at[np.lexsort((rep[at], -est))]
+
+
+def _pairs_table(pairs: list[tuple[int, int]]):
+    cols = list(zip(*pairs, strict=True)) if pairs else [(), ()]
+    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
-    return blocks.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, asker long, more boolean")
+
+def _maybe(blocks: DataFrame, key: str, spec: NearDup) -> DataFrame:
+    """Pairs (a, b) that the estimate lets through, as many as connect the nodes of a block pair."""
+
+    def run(table):
+        import numpy as np
+
+        rep = table.column("rep").to_numpy()
+        _, node = np.unique(rep, return_inverse=True)
+        forest, out = Forest(len(rep)), []
+        for q, at in _held_against(table, spec):
+            out += [(int(rep[q]), int(rep[t])) for t in at.tolist() if forest.join(int(node[q]), int(node[t]))]
+        return _pairs_table(out)
+
+    return blocks.select(key, "i", "j", "ask", "rep", "comp", "n", "sig").groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _links(blocks: DataFrame, key: str, spec: NearDup) -> DataFrame:
+    """Links (a, b) that connect components in a block pair, tested on the full sets (items) of its nodes."""
+
+    def run(table):
+        import numpy as np
+
+        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+        lists = table.column("items").combine_chunks()
+        values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        _, part = np.unique(comp, return_inverse=True)
+        forest, out = Forest(len(comp)), []
+        for q, at in _held_against(table, spec):
+            x = values[ends[q] : ends[q + 1]]
+            for t in at.tolist():
+                if forest.find(int(part[q])) == forest.find(int(part[t])):
+                    continue
+                y = values[ends[t] : ends[t + 1]]
+                u, v = (x, y) if len(x) <= len(y) else (y, x)
+                both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                if 100 * both >= spec.percent * (len(u) + len(v) - both):
+                    forest.join(int(part[q]), int(part[t]))
+                    out.append((int(rep[q]), int(rep[t])))
+        return _pairs_table(out)
+
+    return blocks.select(key, "i", "j", "ask", "rep", "comp", "n", "sig", "items").groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -406,45 +456,38 @@ def grouped(docs: DataFrame, spec: NearDup = NearDup()) -> tuple[DataFrame, Data
     named = classes.select("rep", F.col("first.doc_id").alias("low"), "d1", "d2")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     # Stored on its own, so that a hot band's rows are split in the join.
-    buckets = stored(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "pivot"), "bands")
-    cand = stored(banded.join(buckets, "key").filter("rep <> pivot").select("key", "rep", "pivot"), "candidates")
+    buckets = stored(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands")
+    cand = stored(banded.join(buckets, "key").select("key", "rep", "pivot", "c"), "candidates")
 
-    def confirmed(pairs: DataFrame, what: str) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        sets = stored(_set_table(docs, named.join(ends, "rep", "left_semi"), spec), "sets")
-        links = stored(confirm(pairs, sets, spec), what)
-        free(sets)
-        return links
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return stored(_set_table(docs, named.join(nodes.select("rep").distinct(), "rep", "left_semi"), spec), "sets")
 
     # Each node against the least nodes of its bands; the best of those pairs is confirmed.
-    star = cand.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = cand.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
     sized = star.join(side("a"), "a").join(side("b"), "b").filter(_alike(F.col("n_a"), F.col("n_b"), spec))
     near = stored(_with_estimate(sized, spec), "near-pivots")
-    best = near.groupBy("a").agg(F.max_by("b", F.struct(F.col("est"), -F.col("b"))).alias("b"))
-    tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
-    comps = stored(components(confirmed(tried, "links")), "components")
-
-    # What that left open, until no pair is held back.
-    rest = _across(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), comps)
-    only, k = None, 1
-    while True:
-        blocks = _blocks(_labelled(cand.select("key", "rep"), comps), spec, only)
-        found = stored(_compare(blocks.join(reps, "rep"), spec, k), "hidden-pairs")
-        pairs = found.filter("not more").select("a", "b")
-        fresh = (pairs.unionByName(rest) if rest is not None else pairs).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "tried")
-        if fresh.limit(1).count():
-            links = confirmed(fresh, "hidden-links")
-            if links.limit(1).count():
-                comps = _merged(comps, links)
-        left = stored(found.filter("more").select(F.col("asker").alias("rep")).distinct(), "held-back")
-        if not left.limit(1).count():
-            break
-        tried, rest, only, k = stored(tried.unionByName(fresh), "tried"), None, left, 8 * k
+    tried = stored(near.groupBy("a").agg(F.max_by("b", F.struct(F.col("est"), -F.col("b"))).alias("b")), "tried")
+    sets = sets_of(tried.select(F.col("a").alias("rep")).unionByName(tried.select(F.col("b").alias("rep"))))
+    comps = stored(components(confirmed := stored(confirm(tried, sets, spec), "links")), "components")
+    free(sets, tried, confirmed)
+
+    # Pairs that may be links between components: those with pivots are known, others hide in bands of three and more.
+    among = _labelled(cand.filter("c > 2 and rep <> pivot").select("key", "rep"), comps).join(reps, "rep")
+    maybe = stored(_maybe(_blocks(among, "key", spec), "key", spec), "may-be-links")
+    clusters = stored(components(maybe.unionByName(near.select("a", "b")).distinct()).toDF("rep", "cluster"), "clusters")
+    every = clusters.unionByName(clusters.select("cluster").distinct().select(F.col("cluster").alias("rep"), "cluster"))
+    within = stored(_labelled(every, comps).join(reps, "rep"), "clustered")
+    mixed = within.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cluster")
+    within = stored(within.join(mixed, "cluster", "left_semi"), "mixed")
+    sets = sets_of(within)
+    links = stored(_links(_blocks(within, "cluster", spec).join(sets, "rep"), "cluster", spec), "hidden-links")
+    if links.limit(1).count():
+        comps = _merged(comps, links)
+    free(sets, near, maybe, clusters, links)
     placed = classes.select("rep", "n", "d1", "d2", "first").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     final = stored(placed.select("n", "d1", "d2", "first", F.coalesce("comp", "rep").alias("comp")), "classed")
-    free(classes, buckets, cand, near)
+    free(classes, buckets, cand, within)
     return signed.select("doc_id", "tie", "n", "d1", "d2"), final
 
 

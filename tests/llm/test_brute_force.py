@@ -97,7 +97,7 @@ def repeated():
 @pytest.mark.parametrize("block", [4000, 3])
 def test_near_duplicates(spark, words, block):
     rows = [*corpus(), *repeated()]
-    got = neardup.near_duplicates(docs_frame(spark, rows, extra=True), neardup.NearDup(words=words, block=block, known=5 if block == 3 else 1000)).collect()
+    got = neardup.near_duplicates(docs_frame(spark, rows, extra=True), neardup.NearDup(words=words, block=block, least_block=min(block, 256), known=5 if block == 3 else 1000)).collect()
     key = lambda r: tuple((v is not None, v or 0) for v in r)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute_rows(rows, words), key=key)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
@@ -117,7 +117,7 @@ def test_a_hot_band_whose_links_hide_behind_its_pivot(spark):
     want = brute_rows(rows, 2)
     assert len({c for *_, c in want}) < 40
     for block in (4000, 5):
-        got = neardup.near_duplicates(docs_frame(spark, rows), neardup.NearDup(words=2, block=block)).collect()
+        got = neardup.near_duplicates(docs_frame(spark, rows), neardup.NearDup(words=2, block=block, least_block=min(block, 256))).collect()
         assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(want)
 
 
@@ -236,22 +236,54 @@ def test_warc(spark):
 # 5: top-k
 
 
-def test_top_k(spark):
+def vector_rows():
     r = random.Random(7)
     vec = lambda: [r.uniform(-0.5, 0.5) for _ in range(16)]
     rows = [(i, vec()) for i in range(120)] + [(200, None), (201, [0.1, None]), (202, [float("nan")] * 16), (203, [1.0, 2.0]), (204, [1.0, 2.0]), (None, vec()), (205, [3e30] * 16), (206, [3e30] * 16)]
-    rows += [(i, rows[0][1]) for i in range(300, 310)] + [rows[1]]
-    df = spark.createDataFrame(rows, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
-    got = {}
-    for x in topk.top_k(df, df.filter("vec_id % 5 = 0"), topk.Search(rows=32, queries=8, step=4)).collect():
-        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-    held = {x.vec_id: x.embedding for x in df.collect() if x.vec_id is not None and x.embedding and all(e is not None and math.isfinite(e) for e in x.embedding)}
-    ints = {i: [min(max(math.floor(256 * e), -(1 << 63)), (1 << 63) - 1) for e in v] for i, v in held.items()}
-    for q in [i for i in ints if i % 5 == 0]:
-        scores = [(min(max(sum(a * b for a, b in zip(ints[q], ints[c])), -(1 << 63)), (1 << 63) - 1), c) for c in ints if c != q and len(ints[c]) == len(ints[q])]
-        best = sorted(scores, key=lambda s: (-s[0], s[1]))[:5]
-        assert sorted(got.get(q, [])) == [(n + 1, c, s) for n, (s, c) in enumerate(best)]
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    rows += [(i, [x * 1e13 for x in vec()]) for i in range(400, 440)]  # scores beyond 2^53
+    rows += [(i, rows[0][1]) for i in range(300, 310)] + [rows[1], rows[1], (10, vec()), (10, [9.0] * 16), (7, [8.0] * 16), (500, []), (501, [])]
+    return rows
+
+
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+
+@pytest.mark.parametrize("chunk", [16 << 20, 1500])
+def test_top_k(spark, chunk):
+    df = spark.createDataFrame(vector_rows(), VECTORS).withColumn("row", F.lit("clash"))
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 5 == 0, topk.Search(rows=32, step=4, chunk=chunk, task_rows=50)).collect())
+    held = [(x.vec_id, x.embedding) for x in df.collect() if x.vec_id is not None and x.embedding is not None and all(e is not None and math.isfinite(e) for e in x.embedding)]
+    border = lambda v: min(max(v, -(1 << 63)), (1 << 63) - 1)
+    ints = [(i, [border(math.floor(256 * e)) for e in v]) for i, v in held]
+    want = []
+    for n, (q, v) in enumerate(ints):  # every row, repeated ids too
+        if q % 5 == 0:
+            scores = [(border(sum(a * b for a, b in zip(v, w, strict=True))), c) for m, (c, w) in enumerate(ints) if m != n and len(v) == len(w)]
+            want += [(q, rank, c, s) for rank, (s, c) in enumerate(sorted(scores, key=lambda s: (-s[0], s[1]))[:5], 1)]
+    assert got == sorted(want)
+    assert any(abs(s) > 1 << 53 and abs(s) < (1 << 63) - 1 for *_, s in want)
+    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_row_of_a_repeated_id_is_scored(spark):
+    df = spark.createDataFrame([(7, [0.5, 0.0]), (7, [0.9, 0.0]), (50, [1.0, 0.0])], VECTORS)
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    assert got == [(7, 230 * 256), (7, 128 * 256)]
+
+
+def test_pruning_drops_what_cannot_win():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    whole = r.integers(-100, 100, (500, 64)) * np.linspace(4, 0.01, 64).round(2)
+    cols = np.ascontiguousarray(whole.T)
+    query = whole[7]
+    norms, own = topk.suffix_norms(cols, 8), [float(n[0]) for n in topk.suffix_norms(query[:, None], 8)]
+    at, score = topk.survivors(query, own, cols, norms, np.arange(500), 5, 8, -math.inf, 0.0)
+    best = np.sort(whole @ query)[::-1][:5]
+    assert len(at) == 5 and np.allclose(np.sort(score)[::-1], best)
+    early, _ = topk.survivors(query, own, cols, norms, np.arange(500), 5, 8, float(best[0]) * 2, 0.0)
+    assert not len(early)
 
 
 # 6: training order
