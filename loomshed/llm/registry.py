@@ -113,20 +113,19 @@ def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """The five best others of every vector whose id is divisible by 50."""
     from loomshed.llm.topk import top_k
 
-    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+    return top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
 OP5_SQL = """
-WITH fine AS (
-  SELECT vec_id, min(embedding) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-ints AS (SELECT vec_id, list_transform(e, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM fine),
+WITH fine AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ints AS (SELECT r, vec_id, list_transform(e, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM fine),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
-FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM ints q JOIN ints c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
 """
 
 
@@ -185,7 +184,7 @@ def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH RECURSIVE tokens AS (
+WITH RECURSIVE tokens AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT r, doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) = 1 THEN w

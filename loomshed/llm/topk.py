@@ -1,22 +1,25 @@
 """Exact top-k by inner product, in columnar branch-and-bound.
 
-Vectors are held in vertical layout: a block of rows is one record with its
-values stored dimension by dimension, and with each row's norm over every
-suffix of the dimensions. A query block meets every vector block once, by an
-equi-join on the query block's number. Scores grow by blocks of dimensions;
-after each, what a row can still gain is at most the product of the remaining
-norms of row and query, so rows whose upper bound is below the k-th best lower
-bound (or the k-th best score of blocks seen before) are compacted away. The
-final k best of each query are taken from k rows a block.
-
-Components are floor(256 x). Scores are exact: sums stay below 2^53 or are
-taken with whole numbers of any size (a score outside 64 bits is held at their
-border). Bounds are slackened by more than their rounding.
+Queries go out in chunks of at most ``Search.chunk`` bytes, as broadcasts; every
+chunk is held against all vectors, which stay where they lie. A task turns its
+vectors, ``rows`` at a time, into vertical layout (dimension by dimension) with
+each vector's norm over every suffix of the dimensions. A query's scores grow by
+``step`` dimensions; after each, what a vector can still gain or lose is at most
+the product of the remaining norms, so vectors whose upper bound is below the
+k-th best lower bound, or below the k-th best score that the task has seen, are
+compacted away. A task gives k rows a query at its end, and the k best of those
+are the result.
+
+Components are floor(256 x), held at the borders of 64 bits. Sums in doubles are
+exact up to 2^52; beyond, every bound is widened by the doubles' own error and
+the survivors are scored anew in whole numbers of any size, so the method is the
+same at every size. A score outside 64 bits is held at their border.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do rows without id; rows that repeat an id count once, as the
-least vector; only vectors of one length are compared; ties go to the smaller
-id; a query with fewer than k others gets them all; empty vectors score 0.
+take no part, nor do rows without id; each row is a candidate of its own, also
+if its id is repeated, and each asking row a query of its own, whose candidates
+are all rows but itself; only vectors of one length are compared; ties go to the
+smaller id; a query with fewer than k others gets them all; empty vectors score 0.
 """
 
 from __future__ import annotations
@@ -25,134 +28,193 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomshed.llm.common import stored
 
 
 @dataclass(frozen=True)
 class Search:
-    """k, rows in a vector block, queries in a query block, dimensions between two prunings."""
+    """k, vectors in a vertical block, dimensions between two prunings, bytes of a broadcast chunk of queries, vectors a task at least."""
 
     k: int = 5
     rows: int = 2048
-    queries: int = 1024
     step: int = 16
+    chunk: int = 16 << 20
+    task_rows: int = 8192
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, v): whole-number vectors that take part, one an id."""
+#: Tasks over the vectors, at most.
+MOST_TASKS = 4096
+_TOP, _BOTTOM = (1 << 63) - 1, -(1 << 63)
+_NEAR_TOP = math.nextafter(2.0**63, 0.0)
+
+
+def quantised(vectors: DataFrame, ask: Column) -> DataFrame:
+    """(vec_id, ask, dim, v): the whole-number vectors that take part, and whether they ask."""
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    one = vectors.filter(F.coalesce(fine, F.lit(False))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
-    return one.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda e: F.floor(F.lit(256.0) * e.cast("double"))).alias("v"))
+    whole = F.transform(x, lambda e: F.floor(F.lit(256.0) * e.cast("double")))
+    rows = vectors.filter(F.coalesce(fine, F.lit(False)))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(ask, F.lit(False)).alias("ask"), F.size(x).alias("dim"), whole.alias("v"))
+
+
+def suffix_norms(cols, step: int):
+    """Norm of every vector over the dimensions from each pruning point on, the whole first."""
+    import numpy as np
+
+    squares = np.square(cols)
+    return [np.sqrt(squares[d:].sum(0)) for d in range(0, max(len(cols), 1), step)]
+
+
+def survivors(query, own_norms, cols, norms, alive, k: int, step: int, floor: float, loss: float):
+    """(places, scores) of the vectors that may be among the k best: none of them is certain to miss ``floor``.
+
+    ``cols`` is (dimensions, vectors) in doubles; ``loss`` is the relative error of a score.
+    """
+    import numpy as np
+
+    dim = len(cols)
+    score = np.zeros(len(alive))
+    for point, d in enumerate(range(0, dim, step)):
+        part = cols[d : d + step]
+        score = score + query[d : d + step] @ (part if len(alive) == part.shape[1] else part[:, alive])
+        if not len(alive):
+            break
+        rest = norms[point + 1][alive] * (own_norms[point + 1] * (1 + 1e-9)) + 1e-6 if d + step < dim else np.zeros(len(alive))
+        if loss:
+            rest = rest + norms[0][alive] * (own_norms[0] * loss)
+        bound = floor
+        if len(alive) >= k:
+            low = score - rest
+            bound = max(bound, float(np.partition(low, len(low) - k)[len(low) - k]))
+        # Scores beyond the borders of 64 bits are ties there.
+        bound = -math.inf if bound <= _BOTTOM else min(bound, _NEAR_TOP)
+        keep = score + rest >= bound
+        if not keep.all():
+            alive, score = alive[keep], score[keep]
+    return alive, score
 
 
-_BLOCK = "dim int, block int, ids binary, cols binary"
+def _inner(x, y) -> int:
+    """Inner product in whole numbers of any size, held at the borders of 64 bits."""
+    return min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), _BOTTOM), _TOP)
 
 
-def _blocks(vectors: DataFrame, n: int) -> DataFrame:
-    """Vectors in ``n`` blocks a length: ids and values, dimension by dimension, as 64-bit words."""
+class Chunk:
+    """Queries of one length, their doubles and suffix norms: (row, vec_id) and (queries x dimensions) whole numbers."""
 
-    def run(table):
+    def __init__(self, rows, ids, whole, step: int):
         import numpy as np
 
-        ids = table.column("vec_id").to_numpy()
-        dim = table.column("dim")[0].as_py()
-        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-        order = np.argsort(ids, kind="stable")
-        return pa.table(
-            {"dim": pa.array([dim], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "cols": pa.array([np.ascontiguousarray(values[order].T).astype("<i8").tobytes()], pa.binary())}
-        )
+        self.rows, self.ids, self.whole = rows, ids, whole
+        self.values = whole.astype(np.float64)
+        self.norms = np.array([n.tolist() for n in suffix_norms(self.values.T, step)])
+        self.largest = max(abs(int(whole.min(initial=0))), abs(int(whole.max(initial=0))))
 
-    return vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("dim", "block").applyInArrow(run, _BLOCK)
 
+class Best:
+    """The k best (score, vec_id) of each query that a task has seen, worst last."""
 
-def suffix_norms(cols, step: int):
-    """Norm of every column's rows over the dimensions from each pruning point on."""
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def floor(self, query: tuple[int, int]) -> float:
+        seen = self.held.get(query, ())
+        if len(seen) < self.k:
+            return -math.inf
+        # Rounded down, for a whole number beyond 2^53 may have no double of its own.
+        return math.nextafter(float(seen[-1][0]), -math.inf) if abs(seen[-1][0]) > 1 << 53 else float(seen[-1][0])
+
+    def add(self, query: tuple[int, int], found: list[tuple[int, int]]) -> None:
+        if found:
+            self.held[query] = sorted(self.held.get(query, []) + found, key=lambda f: (-f[0], f[1]))[: self.k]
+
+
+def hold_against(chunk: Chunk, rows, ids, whole, best: Best, spec: Search) -> None:
+    """Score a block of vectors (row, vec_id and (vectors x dimensions) whole numbers) for every query of a chunk."""
     import numpy as np
 
+    cols = np.ascontiguousarray(whole.T.astype(np.float64))
+    norms = suffix_norms(cols, spec.step)
     dim = len(cols)
-    squares = np.square(cols.astype(np.float64))
-    return [np.sqrt(squares[d:].sum(0)) for d in range(step, dim, step)]
+    largest = max(abs(int(whole.min(initial=0))), abs(int(whole.max(initial=0)))) * chunk.largest
+    loss = 0.0 if largest * dim < 1 << 52 else (dim + 2) * 2.0**-51
+    everyone = np.arange(len(rows))
+    for n, (row, vec_id) in enumerate(zip(chunk.rows.tolist(), chunk.ids.tolist(), strict=True)):
+        query = (row, vec_id)
+        alive = everyone if not (own := np.flatnonzero(rows == row)).size else np.delete(everyone, own)
+        at, score = survivors(chunk.values[n], chunk.norms[:, n], cols, norms, alive, spec.k, spec.step, best.floor(query), loss)
+        if loss:
+            best.add(query, [(_inner(chunk.whole[n], whole[a]), int(ids[a])) for a in at.tolist()])
+            continue
+        if len(at) > spec.k:
+            first = np.lexsort((ids[at], -score))[: spec.k]
+            at, score = at[first], score[first]
+        best.add(query, [(int(s), int(i)) for s, i in zip(score.tolist(), ids[at].tolist(), strict=True)])
+
+
+def _matrix(column, dim: int):
+    """(vectors x dimensions) whole numbers of an Arrow list column of one length."""
+    import numpy as np
 
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
-def best_of_block(query, cols, norms, ids, own: int, k: int, step: int, floor: float):
-    """(ids, scores) of the k best rows of a block, none of them certain to miss ``floor``.
 
-    ``cols`` is (dimensions, rows) as floats; rows are in id order.
-    """
+def _by_length(table, rows: int):
+    """(dim, row numbers, ids, whole numbers) of blocks of vectors of one length."""
     import numpy as np
 
-    alive = np.flatnonzero(ids != own)
-    score = np.zeros(len(alive))
-    dim = len(cols)
-    for point, d in enumerate(range(0, dim, step)):
-        part = cols[d : d + step]
-        score = score + query[d : d + step] @ (part if len(alive) == part.shape[1] else part[:, alive])
-        if d + step < dim and len(alive):
-            rest = norms[point][alive] * math.sqrt(float(query[d + step :] @ query[d + step :]))
-            rest = rest * (1 + 1e-9) + 1e-6
-            low = score - rest
-            bound = max(floor, float(np.partition(low, len(low) - k)[len(low) - k])) if len(low) >= k else floor
-            keep = score + rest >= bound
-            if not keep.all():
-                alive, score = alive[keep], score[keep]
-    if len(alive) > k:
-        cut = np.partition(score, len(score) - k)[len(score) - k]
-        keep = score >= cut
-        alive, score = alive[keep], score[keep]
-        best = np.lexsort((ids[alive], -score))[:k]
-        alive, score = alive[best], score[best]
-    return ids[alive], score
+    dims = table.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        part = table.filter(pa.array(dims == dim))
+        for at in range(0, part.num_rows, rows):
+            block = part.slice(at, rows)
+            yield int(dim), block.column("row").to_numpy(), block.column("vec_id").to_numpy(), _matrix(block.column("v"), int(dim))
 
 
-_OUT = "query_id long, vec_id long, score long"
+_OUT = "query_row long, query_id long, vec_id long, score long"
 
 
-def _search_pairs(pairs: DataFrame, spec: Search) -> DataFrame:
-    def run(batches):
-        import numpy as np
+def _search(vecs: DataFrame, queries: pa.Table, spec: Search) -> DataFrame:
+    """(query_row, query_id, vec_id, score): k rows a query and task, at most, for one chunk of queries."""
+    context = vecs.sparkSession.sparkContext
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, queries.schema) as out:
+        out.write_table(queries)
+    sent = context.broadcast(sink.getvalue().to_pybytes())
 
-        floors: dict[int, list[float]] = {}
+    def run(batches):
+        chunks: dict[int, list[Chunk]] = {}
+        table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+        for part in table.to_batches():
+            for dim, rows, ids, whole in _by_length(part, part.num_rows):
+                chunks.setdefault(dim, []).append(Chunk(rows, ids, whole, spec.step))
+        best = Best(spec.k)
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["qids"], "<i8")
-                whole, qwhole = np.frombuffer(row["cols"], "<i8").reshape(dim, len(ids)), np.frombuffer(row["qcols"], "<i8").reshape(dim, len(qids))
-                largest = max((abs(int(m)) for m in (whole.min(initial=0), whole.max(initial=0))), default=0) * max(abs(int(m)) for m in (qwhole.min(initial=0), qwhole.max(initial=0)))
-                out: list[tuple[int, int, int]] = []
-                if largest * dim < 1 << 52:
-                    cols, queries = whole.astype(np.float64), np.ascontiguousarray(qwhole.T.astype(np.float64))
-                    norms = suffix_norms(whole, spec.step)
-                    for q, query in zip(qids, queries, strict=True):
-                        seen = floors.setdefault(int(q), [])
-                        floor = seen[0] if len(seen) == spec.k else -math.inf
-                        found, scores = best_of_block(query, cols, norms, ids, int(q), spec.k, spec.step, floor)
-                        out += [(int(q), int(v), int(s)) for v, s in zip(found, scores, strict=True)]
-                        floors[int(q)] = sorted(seen + scores.tolist())[-spec.k :]
-                else:
-                    exact, qexact = whole.astype(object), qwhole.astype(object)
-                    for n, q in enumerate(qids):
-                        scores = [min(max(int(sum(exact[:, r] * qexact[:, n])), -(1 << 63)), (1 << 63) - 1) for r in range(len(ids))]
-                        order = sorted((r for r in range(len(ids)) if ids[r] != q), key=lambda r: (-scores[r], ids[r]))[: spec.k]
-                        out += [(int(q), int(ids[r]), scores[r]) for r in order]
-                a = list(zip(*out, strict=True)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64())], names=["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(run, _OUT)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, spec: Search = Search()) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other vectors of every query.
-
-    Both frames are (vec_id, embedding); a query never finds its own id.
-    """
-    vecs, asks = stored(quantised(vectors), "vectors"), stored(quantised(queries), "queries")
-    nb, nq = max(1, -(-vecs.count() // spec.rows)), max(1, -(-asks.count() // spec.queries))
-    blocks = _blocks(vecs, nb).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    asked = _blocks(asks, nq).select("dim", F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("cols").alias("qcols"))
-    pairs = stored(blocks.join(asked, ["dim", "q"]).repartition(min(nb * nq, 10_000), "q", "block"), "block-pairs")
-    found = _search_pairs(pairs, spec)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for dim, rows, ids, whole in _by_length(batch, spec.rows):
+                for chunk in chunks.get(dim, ()):
+                    hold_against(chunk, rows, ids, whole, best, spec)
+        told = [(row, query, vec, score) for (row, query), found in best.held.items() for score, vec in found]
+        cols = list(zip(*told, strict=True)) if told else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
+
+    return vecs.select("row", "vec_id", "dim", "v").mapInArrow(run, _OUT)
+
+
+def top_k(vectors: DataFrame, ask: Column, spec: Search = Search()) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows for every row of ``vectors`` (vec_id, embedding) where ``ask`` holds."""
+    whole = quantised(vectors, ask)
+    n = whole.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    tasks = min(max(1, -(-n // spec.task_rows)), MOST_TASKS)
+    vecs = stored(whole.repartition(tasks).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asks = vecs.filter("ask")
+    size = asks.agg(F.coalesce(F.sum(8 * F.col("dim").cast("long") + 24), F.lit(0)).alias("b")).first()["b"]
+    chunks = max(1, -(-size // spec.chunk))
+    found = None
+    for c in range(chunks):
+        mine = asks.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == c).select("row", "vec_id", "dim", "v")
+        part = stored(_search(vecs, mine.toArrow(), spec), "found")
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
