@@ -17,13 +17,17 @@ def tokenizer(spark: SparkSession, path: str | None = None) -> tuple[bytes, str]
     return bpe.read_ranks(spark, path or public_tokenizers.path(RANKS_FILE)), public_tokenizers.PATTERN
 
 
+# Words that mark a page as unwanted, whoever serves it.
+UNWANTED = ("adult", "bets", "casino", "payday", "pills", "porn", "spam", "viagra")
+
+
 def op1_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
-    """Host reputation under five rules. Outcomes: the quality label of the document with the page's id."""
-    from loomshed.llm.url_reputation import Rule, judge_pages
+    """Host reputation under five rules. Outcomes: whether a page's own source names an unwanted trade."""
+    from loomshed.llm.url_reputation import Rule, judge_pages, named_in
 
     rules = [Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"), Rule("block", "net/es/"), Rule("block", "net/fr/")]
-    outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return judge_pages(table(spark, sf, "pages"), outcomes, rules)
+    pages = table(spark, sf, "pages")
+    return judge_pages(pages, pages.select("page_id", named_in(F.col("html"), list(UNWANTED)).alias("good")), rules)
 
 
 OP1_SQL = r"""
@@ -33,16 +37,19 @@ raws AS (SELECT page_id, tail, regexp_extract(tail, '^[^/?#]*') AS raw FROM tail
 parts AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(tail, length(raw) + 1), '^[^?#]*') AS path FROM raws),
-outcomes AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-split AS (SELECT *, string_split(host, '.') AS l FROM (
+outcomes AS (
+  SELECT page_id, min(CASE WHEN html IS NOT NULL THEN CASE WHEN regexp_matches(html, '(?i)\b(adult|bets|casino|payday|pills|porn|spam|viagra)\b') THEN 0 ELSE 1 END END) AS good
+  FROM pages WHERE page_id IS NOT NULL GROUP BY page_id),
+split AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') AS name FROM (
   SELECT p.host, count(good) AS n, coalesce(sum(CASE WHEN good > 0 THEN 1 WHEN good IS NOT NULL THEN 0 END), 0)::BIGINT AS k
   FROM parts p LEFT JOIN outcomes USING (page_id) GROUP BY p.host)),
-two AS (SELECT *, array_to_string(l[-2:], '.') AS t2 FROM split),
+two AS (SELECT *, string_split(name, '.') AS l, array_to_string(string_split(name, '.')[-2:], '.') AS t2, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS number FROM split),
+doubled AS (SELECT *, regexp_matches(t2, '^(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org)\.[a-z]{2}$') AS double FROM two),
 hosts AS (
   SELECT host, n, k,
-    CASE WHEN t2 IN ('ac.uk','co.jp','co.nz','co.uk','com.au','com.br','com.cn','gov.uk','org.uk') THEN array_to_string(l[-3:], '.') ELSE t2 END AS domain,
-    CASE WHEN t2 IN ('ac.uk','co.jp','co.nz','co.uk','com.au','com.br','com.cn','gov.uk','org.uk') THEN t2 ELSE array_to_string(l[-1:], '.') END AS suffix
-  FROM two),
+    CASE WHEN number THEN name WHEN double THEN array_to_string(l[-3:], '.') ELSE t2 END AS domain,
+    CASE WHEN number THEN '(address)' WHEN double THEN t2 ELSE array_to_string(l[-1:], '.') END AS suffix
+  FROM doubled),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 total AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
@@ -76,12 +83,14 @@ FROM ruled
 
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Write every page to deduplicated archives, read them back and resolve revisits."""
-    from loomshed.llm.common import scratch
+    from loomshed.llm.common import drop_path, scratch, stored
     from loomshed.llm.warc import read_archives, resolve, write_archives
 
     path = scratch(spark, "warc")
     write_archives(table(spark, sf, "pages"), path)
-    return resolve(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stored(read_archives(spark, path).drop("payload", "url"), "warc-records")
+    drop_path(spark, path)
+    return resolve(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """

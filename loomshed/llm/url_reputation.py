@@ -1,6 +1,7 @@
 """URL filter by empirical-Bayes host reputation, under hand-written rules.
 
-Labelled page outcomes (good or bad) are counted by host and rolled up to the
+Labelled page outcomes (good or bad; ``named_in`` makes them of the pages' own
+text where nobody has labelled them) are counted by host and rolled up to the
 registered domain, the suffix and the whole table. Each level's beta prior is
 centred on its parent's shrunken mean, with a strength found by moments from
 the spread of the level's children; a host's posterior gives bounds on its rate
@@ -11,8 +12,10 @@ Everything is an aggregate on the host key. The hot host's rows meet in
 map-side partial sums, and only the narrow (page_id, host, path) rows are
 joined back, by a sort-merge join that adaptive execution can split.
 
-Defined results: a null url, or one without ``://``, has an empty host and path
-and is judged by the whole table's prior; hosts without outcomes take their
+Defined results: a null url, or one without ``://``, has an empty host and path,
+and such pages are judged as one host; a host's domain leaves out its user, port
+and last dot; an address in numbers is a domain of its own, under the suffix
+``(address)``; hosts without outcomes take their
 domain's, suffix's or table's prior; with no outcomes at all every page has
 mean 0.5 and is allowed; repeated rows stay repeated; null outcomes count not.
 """
@@ -25,8 +28,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomshed.llm.common import ascii_lower, stored
 
-# Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
+# Labels that, under a country's two letters, are a suffix of two labels for names to be registered under.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
+_TWO_LABELS = rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"
+_ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 
 #: Rules are compiled into one expression; beyond this many, use a table of rules.
 MOST_RULES = 500
@@ -74,12 +79,19 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def registered(host: Column) -> tuple[Column, Column]:
     """(domain, suffix) of a host column."""
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
+    two = F.substring_index(name, ".", -2)
+    number, double = name.rlike(_ADDRESS), two.rlike(_TWO_LABELS)
+    suffix = F.when(number, "(address)").when(double, two).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(number, name).when(double, F.substring_index(name, ".", -3)).otherwise(two)
     return domain, suffix
 
 
+def named_in(html: Column, words: list[str]) -> Column:
+    """1 where a page names none of the ``words`` (whole words, any case) in its source, 0 where it does; null for no page."""
+    return (~html.rlike(rf"(?i)\b({'|'.join(words)})\b")).cast("int")
+
+
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits, as struct(text, verdict), else null."""
     if len(rules) > MOST_RULES:

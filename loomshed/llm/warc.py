@@ -1,9 +1,10 @@
 """WARC archives with revisit records: write deduplicated, read back, resolve.
 
-Only headers (page, digest, size) are shuffled by payload digest, and only as
+Only headers (page, digest, size) are shuffled by payload digest: first as
 map-side maxima, so a payload that a third of all pages share meets as a few
-partial rows. Pages that are not the last of an equal payload become revisits
-of it; the decision joins the pages by page, evenly, and Spark's text writer
+partial rows, then in a join with the written maxima, whose hot digests adaptive
+execution can split. Pages that are not the last of an equal payload become
+revisits of it; the decision joins the pages by page, evenly, and Spark's text writer
 puts each record on disk as bytes (a WARC record ends in CRLF CRLF, so CRLF is
 the line end). Archives hold about ``Archive.bytes`` of payload each, written
 with fresh headers: ids, digests, lengths and the fixed date are recomputed.
@@ -14,8 +15,10 @@ the original responses they name.
 
 Defined results: null html is an empty payload; payloads below ``Archive.least``
 bytes are always responses; a null url is left out of the headers; rows
-repeated with one page_id are alike in type, and if they are the last of their
-payload all are responses; a null page_id is never referred to, and pages that
+repeated with one page_id and one payload are alike in type, and if they are the
+last of their payload all are responses, each with a record id of its own, of
+which revisits name the first; a page_id with several payloads is a record for
+each, found again by its payload's digest; a null page_id is never referred to, and pages that
 are all null-numbered are all responses; an empty table gives an empty archive.
 """
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomshed.llm.common import stored
 
@@ -59,13 +62,15 @@ def headers(pages: DataFrame) -> DataFrame:
 def revisits(heads: DataFrame, spec: Archive = Archive()) -> DataFrame:
     """(key, digest, refers_to) of the headers whose equal payload has a larger page_id."""
     heads = heads.filter(F.col("bytes") >= spec.least)
-    last = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).filter("c > 1 and refers_to is not null").select("digest", "refers_to")
+    last = stored(heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).filter("c > 1 and refers_to is not null").select("digest", "refers_to"), "warc-last")
     return heads.select("key", "digest").join(last, "digest").filter(F.col("key") != F.col("refers_to")).dropDuplicates(["key", "digest"])
 
 
-def _record_id(page: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), page.cast("string")).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
+def _record_id(page: Column, digest: Column, copy: Column) -> Column:
+    """Record id of a page's payload; ``copy`` numbers rows that are equal in both, from 1."""
+    h = F.md5(F.concat_ws(":", page.cast("string"), digest, F.nullif(copy.cast("string"), F.lit("1"))).cast("binary"))
+    parts = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def records(pages: DataFrame, spec: Archive = Archive()) -> DataFrame:
@@ -74,21 +79,27 @@ def records(pages: DataFrame, spec: Archive = Archive()) -> DataFrame:
     total = heads.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // spec.bytes))
     told = rows.repartition(n, "key", "digest").join(revisits(heads, spec).repartition(n, "key", "digest"), ["key", "digest"], "left")
+    told = told.withColumn("copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")))
     crlf, revisit = F.lit("\r\n"), F.col("refers_to").isNotNull()
     # Control characters cannot stand in a header line.
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
-    line = lambda name, value: F.concat(F.lit(name + ": "), value, crlf)
-    maybe = lambda name, value: F.coalesce(line(name, value), F.lit(""))
+
+    def line(name: str, value: Column) -> Column:
+        return F.concat(F.lit(name + ": "), value, crlf)
+
+    def maybe(name: str, value: Column) -> Column:
+        return F.coalesce(line(name, value), F.lit(""))
+
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.col("digest"))))),
+        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Record-ID", _record_id(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("digest"), F.col("copy"))),
         line("WARC-Date", F.lit(spec.date)),
         maybe("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"), F.lit(1))), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
         maybe("X-Page-Id", F.col("page_id").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", length.cast("string")),
@@ -128,7 +139,7 @@ def gunzip(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_SCHEMA = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
+_SCHEMA = "record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -141,7 +152,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 rows = []
                 for h, block in parse(gunzip(content.as_py())):
                     page = int(h["X-Page-Id"]) if "X-Page-Id" in h else None
-                    row = {"page_id": page, "record_type": h["WARC-Type"], "url": h.get("WARC-Target-URI")}
+                    row = {"record_id": h["WARC-Record-ID"], "page_id": page, "record_type": h["WARC-Type"], "url": h.get("WARC-Target-URI")}
                     if h["WARC-Type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         digest = hashlib.sha1(payload).hexdigest()
@@ -156,13 +167,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
 
 def resolve(found: DataFrame) -> DataFrame:
     """Records with every revisit's size and digest taken from the response it names.
 
-    A revisit whose response is missing, or has another digest, keeps a null size.
+    ``found`` is read three times, so store it if it comes from archives. A revisit
+    whose response is missing, or has another digest, keeps a null size.
     """
     named = found.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("b")).dropDuplicates(["refers_to", "payload_digest"])
     back = found.filter("record_type = 'revisit'").drop("payload_bytes").join(named, ["refers_to", "payload_digest"], "left").withColumnRenamed("b", "payload_bytes")
