@@ -8,9 +8,15 @@ once stay inside their picture's ordered chunk list, where keeping them apart
 would only add a shuffle of the whole corpus.
 
 Which chunks are shared is counted by digest (headers only, map-side sums), and
-a Bloom filter of the shared digests goes to the tasks that write: it is of
-bounded size (``Chunking.bloom_bits``), and a false positive merely sends a
-chunk the shared way. Reading back joins the shared references to the chunk
+a Bloom filter of the shared digests goes to the tasks that write. This departs
+from deduplicating by joins alone: a join of all digests back to the texts would
+shuffle the whole corpus, and so more disk than it takes itself. The filter is of
+bounded size (``Chunking.bloom_bits``, 16 bits a shared digest serve well), and a
+false positive merely sends a chunk the shared way: with a filter that is too
+small, or full, all chunks go there, more slowly and with the same result. A task
+writes the data of a shared chunk beside the first picture that holds it, and one
+grouping by digest of what tasks have written makes the chunk table, so each
+picture is cut twice, to count and to write. Reading back joins the shared references to the chunk
 table: the few digests that hold a large share of all references (at most
 ``Chunking.heavy``, a bounded table) by broadcast, the rest by a shuffle of the
 references. Pictures without shared chunks are rebuilt where they lie. Every
@@ -175,6 +181,9 @@ def shared_digests(docs: DataFrame, spec: Chunking) -> DataFrame:
     return _texts(docs).mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
+_CARRIED = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
+
+
 @dataclass
 class Store:
     """``recipes``: (doc_id, media_sha256, digests, inline), where inline is null for shared chunks; ``shared``: (digest, data)."""
@@ -192,37 +201,35 @@ def write_store(docs: DataFrame, spec: Chunking = Chunking()) -> Store:
     bloom = spark.sparkContext.broadcast(bloom_of(counts.select("digest"), told["c"], spec.bloom_bits))
 
     def recipes(batches):
+        sent: set[bytes] = set()
+        known = bloom.value
         for batch in batches:
-            known = bloom.value
             ids = batch.column(0).to_pylist()
             for at in range(0, len(ids), 500):
                 part = batch.slice(at, 500)
-                shas, digests, inline = [], [], []
+                shas, digests, inline, carried = [], [], [], []
                 for picture in _pictures(part):
                     cs = chunks(picture, spec)
                     ds = [hashlib.sha256(c).digest() for c in cs]
+                    away = [d in known for d in ds]
+                    new = {d: c for c, d, a in zip(cs, ds, away, strict=True) if a and d not in sent}
+                    sent.update(new)
+                    if len(sent) > 200_000:  # a chunk written twice meets itself in the chunk table
+                        sent.clear()
                     shas.append(hashlib.sha256(picture).hexdigest())
                     digests.append(ds)
-                    inline.append([None if d in known else c for c, d in zip(cs, ds, strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shas, pa.string()), pa.array(digests, pa.list_(pa.binary())), pa.array(inline, pa.list_(pa.binary()))], names=["doc_id", "media_sha256", "digests", "inline"])
-
-    def shared(batches):
-        sent: set[bytes] = set()
-        for batch in batches:
-            known = bloom.value
-            out: dict[bytes, bytes] = {}
-            for picture in _pictures(batch):
-                for c in chunks(picture, spec):
-                    d = hashlib.sha256(c).digest()
-                    if d in known and d not in sent:
-                        out[d] = c
-                        sent.add(d)
-            if len(sent) > 200_000:
-                sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["digest", "data"])
-
-    kept = stored(_texts(docs).mapInArrow(recipes, "doc_id long, media_sha256 string, digests array<binary>, inline array<binary>"), "recipes")
-    table = stored(_texts(docs).mapInArrow(shared, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data")), "chunks")
+                    inline.append([None if a else c for c, a in zip(cs, away, strict=True)])
+                    carried.append([{"digest": d, "data": c} for d, c in new.items()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(shas, pa.string()), pa.array(digests, pa.list_(pa.binary())), pa.array(inline, pa.list_(pa.binary())), pa.array(carried, _CARRIED)],
+                    names=["doc_id", "media_sha256", "digests", "inline", "carried"],
+                )
+
+    kept = stored(_texts(docs).mapInArrow(recipes, "doc_id long, media_sha256 string, digests array<binary>, inline array<binary>, carried array<struct<digest:binary,data:binary>>"), "recipes")
+    carried_ = kept.select(F.explode("carried").alias("c")).select("c.digest", "c.data")
+    table = stored(carried_.groupBy("digest").agg(F.first("data").alias("data")), "chunks")
+    kept, carried_path = kept.drop("carried"), kept._scratch_path
+    kept._scratch_path = carried_path
     heavy = counts.filter(F.col("n") > told["n"] / spec.heavy).select("digest")
     return Store(kept, table, heavy)
 
