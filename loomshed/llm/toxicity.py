@@ -4,16 +4,20 @@ A lexicon of whole words and word stems is mined from labelled rows and held in
 a trie. Tokens run through the product of that trie with the universal
 Levenshtein automaton of one edit (insertion, deletion, substitution), made
 deterministic as characters arrive and kept by the worker, so that most tokens
-leave it after two or three characters. Each hit is scored by its term's
-weight, then by its context window: quotation marks and words that report
-speech pull it towards quotation, words of address push it towards abuse. A
-logistic model over the sums gives the score.
+leave it after two or three characters. Words match whole, stems as prefixes, and
+both may be one edit away if long enough (``Fit.fuzzy_from``). Each hit is scored
+by its term's weight, then by its context: a hit inside quotation marks, or near a
+word that reports speech, is a quotation and counts apart from abuse; a hit near a
+word of address counts for abuse once more. A logistic model over the sums gives
+the score.
 
 Learning sees a bounded sample of labelled rows (``Fit.sample``; the rows least
 in hash order, half of each class at most); document frequencies are counted by
-Spark and only the lexicon and a few numbers a sampled row reach the driver.
-Scoring works on every whole text. Labels, language, source and ids are never
-inputs of a score.
+Spark, and only the lexicon (``Fit.terms`` entries at most) and a few numbers a
+sampled row reach the driver. The model is fitted on rows that neither the
+lexicon nor its list of clean near-tokens was taken from, so that a kind of hit
+that tells nothing gets no weight. Scoring works on every whole text. Labels,
+language, source and ids are never inputs of a score.
 
 Defined results: null and empty texts have no hits and get the model's base
 score; repeated rows stay repeated; with no labelled rows, or with one class,
@@ -22,6 +26,7 @@ the score is 0.5 less a margin for every text, so that none is predicted toxic.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from dataclasses import dataclass
@@ -29,12 +34,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomshed.llm.common import stored
+from loomshed.llm.common import free, stored
 
 _TOKEN = re.compile(r"[^\W_]+")
 
-# Marks that quote, words that report speech, words of address.
-QUOTES = frozenset("\"'`«»‹›„“”‚‘’")
+# Pairs of marks that quote (apostrophes stand in words too, so they are none),
+# words that report speech, words of address.
+QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|‹[^›\n]*›|`[^`\n]*`')
 REPORTING = frozenset("said says wrote quoted reported called claims dit disait écrit dijo dice escribió sagte schrieb zitat citation cita quote".split())
 ADDRESS = frozenset("you your u ur du dein dir ihr tu ton vous toi tú usted vosotros".split())
 
@@ -45,8 +51,9 @@ class Fit:
 
     ``sample``: labelled rows used at most. ``least_docs``: toxic rows of the
     sample that an entry must appear in. ``purity``: least smoothed odds against
-    clean rows. ``fuzzy_from``: least length of a whole word that may be
-    misspelled. ``stems``: lengths of stems tried.
+    clean rows. ``fuzzy_from``: least length of a word or stem that may be
+    misspelled. ``stems``: lengths of stems tried. ``terms``: entries mined at
+    most, those that tell most. ``window``: tokens of context on each side.
     """
 
     sample: int = 8000
@@ -61,9 +68,9 @@ class Fit:
 
 @dataclass
 class Lexicon:
-    """Terms with weights; ``words`` match whole (or one edit away), ``stems`` match as prefixes.
+    """Terms with weights; ``words`` match whole, ``stems`` as prefixes, either also one edit away.
 
-    ``clean`` holds tokens one edit from a word that clean rows use.
+    ``clean`` holds tokens one edit from a term that clean rows use.
     """
 
     words: dict[str, float]
@@ -103,9 +110,9 @@ class Automaton:
                     node = self.children[node][ch]
                 ends[node] = term
         self.lexicon, self.limit = lexicon, limit
-        # Edits are spent only on the way to a word long enough to be misspelled.
+        # Edits are spent only on the way to a term long enough to be misspelled.
         self.fuzzy = [False] * len(self.children)
-        for term in lexicon.words:
+        for term in (*lexicon.words, *lexicon.stems):
             if len(term) >= lexicon.fuzzy_from:
                 node = 0
                 self.fuzzy[0] = True
@@ -120,6 +127,7 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple[str, bool] | None] = []
         self.stems_at: list[str | None] = []
+        self.near_stems_at: list[str | None] = []
         self.start = self._id(self._closed({(0, 0)}))
 
     def _closed(self, state: set) -> frozenset:
@@ -137,9 +145,10 @@ class Automaton:
             self.states.append(state)
             self.moves.append({})
             exact = next((self.word[n] for n, e in sorted(state) if e == 0 and self.word[n]), None)
-            near = next((self.word[n] for n, e in sorted(state) if e == 1 and self.word[n] and len(self.word[n]) >= self.lexicon.fuzzy_from), None)
+            near, near_stem = (next((end[n] for n, e in sorted(state) if e == 1 and end[n] and len(end[n]) >= self.lexicon.fuzzy_from), None) for end in (self.word, self.stem))
             self.ends.append((exact, True) if exact else (near, False) if near else None)
             self.stems_at.append(next((self.stem[n] for n, e in sorted(state) if e == 0 and self.stem[n]), None))
+            self.near_stems_at.append(near_stem)
         return self.ids[state]
 
     def _move(self, at: int, ch: str) -> int:
@@ -157,26 +166,29 @@ class Automaton:
         return found
 
     def match(self, token: str) -> tuple[str, str] | None:
-        """(kind, term): kind 'word', 'stem' or 'near'; an exact word wins, then a stem, then a near word."""
+        """(kind, term): an exact 'word' wins, then a 'stem', a 'near' word, a 'near stem'."""
         if len(self.states) > self.limit:
             self._reset()
-        at, moves, stem = self.start, self.moves, None
+        at, moves, stem, near_stem = self.start, self.moves, None, None
+        end = None
         for ch in token:
             to = moves[at].get(ch)
             if to is None:
                 to = self._move(at, ch)
             if to < 0:
-                return ("stem", stem) if stem else None
+                break
             at = to
             stem = self.stems_at[at] or stem
-        end = self.ends[at]
+            near_stem = near_stem or self.near_stems_at[at]
+        else:
+            end = self.ends[at]
         if end and end[1]:
             return "word", end[0]
         if stem:
             return "stem", stem
-        if end and token not in self.lexicon.clean:
-            return "near", end[0]
-        return None
+        if (not end and not near_stem) or token in self.lexicon.clean:
+            return None
+        return ("near", end[0]) if end else ("near stem", near_stem)
 
 
 def _lower(text: str) -> str:
@@ -186,7 +198,20 @@ def _lower(text: str) -> str:
 
 
 #: Sums that the logistic model weighs, in this order.
-FEATURES = ("exact", "near", "quoted", "address", "distinct", "dense")
+FEATURES = ("words", "stems", "near", "near stems", "quoted", "address", "distinct", "dense")
+
+
+@dataclass(frozen=True)
+class Hit:
+    """A term found at [start, end) of a text, with its context."""
+
+    start: int
+    end: int
+    kind: str
+    term: str
+    weight: float
+    quoted: bool
+    address: bool
 
 
 class Scorer:
@@ -205,42 +230,42 @@ class Scorer:
         known[token] = found = self.auto.match(token)
         return found
 
-    def hits(self, text: str | None) -> list[tuple[int, int, str, str, float, bool]]:
-        """(start, end, kind, term, weight, quoted) of every hit, in order."""
+    def hits(self, text: str | None) -> list[Hit]:
+        """Every hit, in order."""
         low = _lower(text or "")
         distinct = set(_TOKEN.findall(low))
         found = {t: m for t in distinct if (m := self._look(t))}
         if not found:
             return []
         out = []
+        quotes = [(m.start(), m.end()) for m in QUOTED.finditer(low)]
+        starts = [q[0] for q in quotes]
         spans = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(low)]
         for i, (a, b, token) in enumerate(spans):
             if token in found:
                 kind, term = found[token]
-                weight = (self.lexicon.stems if kind == "stem" else self.lexicon.words)[term]
-                first, last = spans[max(0, i - self.window)], spans[min(len(spans) - 1, i + self.window)]
-                marks_before = sum(ch in QUOTES for ch in low[first[0] : a])
-                marks_after = sum(ch in QUOTES for ch in low[b : last[1]])
-                near = [s[2] for s in spans[max(0, i - self.window) : i + self.window + 1]]
-                quoted = (marks_before > 0 and marks_after > 0) or any(w in REPORTING for w in near)
-                address = any(w in ADDRESS for w in near)
-                out.append((a, b, kind, term, weight * (1.25 if address else 1.0), quoted))
+                weight = (self.lexicon.stems if kind.endswith("stem") else self.lexicon.words)[term]
+                near = {s[2] for s in spans[max(0, i - self.window) : i + self.window + 1]}
+                q = bisect.bisect_right(starts, a) - 1
+                quoted = (q >= 0 and b <= quotes[q][1]) or not near.isdisjoint(REPORTING)
+                out.append(Hit(a, b, kind, term, weight, quoted, not near.isdisjoint(ADDRESS)))
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        hits = self.hits(text)
-        plain = [h for h in hits if not h[5]]
-        exact = sum(h[4] for h in plain if h[2] != "near")
-        near = sum(h[4] for h in plain if h[2] == "near")
-        quoted = sum(h[4] for h in hits if h[5])
-        length = len(text or "") + 1
+    def features(self, text: str | None, hits: list[Hit] | None = None) -> list[float]:
+        """The sums of a text, from its hits if they are known."""
+        hits = self.hits(text) if hits is None else hits
+        plain = [h for h in hits if not h.quoted]
+        total = lambda kind: math.log1p(sum(h.weight for h in plain if h.kind == kind))
+        sure = [h for h in plain if not h.kind.startswith("near")]
         return [
-            math.log1p(exact),
-            math.log1p(near),
-            math.log1p(quoted),
-            float(len({h[3] for h in plain if h[2] != "near"}) > 1),
-            math.log1p(len({h[3] for h in plain})),
-            math.log1p(1000.0 * len(plain) / length),
+            total("word"),
+            total("stem"),
+            total("near"),
+            total("near stem"),
+            math.log1p(sum(h.weight for h in hits if h.quoted)),
+            math.log1p(sum(h.weight for h in plain if h.address)),
+            math.log1p(len({h.term for h in sure})),
+            math.log1p(1000.0 * len(sure) / (len(text or "") + 1)),
         ]
 
 
@@ -254,8 +279,12 @@ def _chosen(labels: DataFrame, fit: Fit) -> DataFrame:
 def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon:
     """Entries that toxic rows of the sample have and clean ones hardly do; near copies count as one row, mostly."""
     low, high = fit.stems
-    words = sample.select("y", "copies", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= low)
-    entries = words.select("y", "copies", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("stem"), F.col("w").alias("t"))), F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(F.when(F.length("w") >= n, 1).otherwise(-1).alias("stem"), F.substring("w", F.lit(1), n).alias("t"))))).alias("e")).select("y", "copies", "e.*").filter("stem >= 0").distinct()
+    # What is quoted speaks neither for a term nor against it.
+    own = F.regexp_replace(F.lower("text"), QUOTED.pattern, " ")
+    words = sample.select("y", "copies", F.explode(F.array_distinct(F.regexp_extract_all(own, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= low)
+    whole_word = F.array(F.struct(F.lit(0).alias("stem"), F.col("w").alias("t")))
+    prefixes = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(F.when(F.length("w") >= n, 1).otherwise(-1).alias("stem"), F.substring("w", F.lit(1), n).alias("t")))
+    entries = words.select("y", "copies", F.explode(F.concat(whole_word, prefixes)).alias("e")).select("y", "copies", "e.*").filter("stem >= 0").distinct()
     counts = entries.groupBy("stem", "t").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     odds = ((F.col("pos") + 0.0) / max(positives, 1)) / ((F.col("neg") + 0.5) / max(negatives, 1))
     found = (
@@ -305,14 +334,14 @@ def _with_copies(rows: DataFrame) -> DataFrame:
 
 
 def _near_clean(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Tokens of clean rows that are one edit from a word of the lexicon."""
+    """Tokens of clean rows that are one edit from a term of the lexicon."""
 
     def run(batches):
         auto = Automaton(lexicon)
         for b in batches:
             near: set[str] = set()
             for t in b.column(0).to_pylist():
-                near |= {w for w in set(_TOKEN.findall((t or "").lower())) if (m := auto.match(w)) and m[0] == "near"}
+                near |= {w for w in set(_TOKEN.findall((t or "").lower())) if (m := auto.match(w)) and m[0].startswith("near")}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["w"])
 
     return frozenset(r["w"] for r in rows.filter("y = 0").select("text").mapInArrow(run, "w string").distinct().collect())
@@ -356,12 +385,14 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     # get no trust; the final lexicon is mined from both halves.
     part = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     lexicon = mine(sample.filter(part == 0), fit, n[1] // 2, n[0] // 2)
-    lexicon.clean = _near_clean(sample, lexicon)
+    lexicon.clean = _near_clean(sample.filter(part == 0), lexicon)
     told = _map_features(sample.filter(part == 1), lexicon, fit.window).collect()
     weights = logistic([r["f"] for r in told], [r["y"] for r in told], fit)
     lexicon = mine(sample, fit, n[1], n[0])
     lexicon.clean = _near_clean(sample, lexicon)
-    return Model(lexicon, weights, fit.window)
+    model = Model(lexicon, weights, fit.window)
+    free(sample)
+    return model
 
 
 def _score(weights: list[float], f: list[float]) -> float:
@@ -378,13 +409,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             score, n, near, quoted, spans = [], [], [], [], []
             for text in b.column(1).to_pylist():
-                f = scorer.features(text)
-                score.append(_score(w, f))
-                hits = scorer.hits(text) if any(f) else []
+                hits = scorer.hits(text)
+                score.append(_score(w, scorer.features(text, hits)))
                 n.append(len(hits))
-                near.append(sum(h[2] == "near" for h in hits))
-                quoted.append(sum(h[5] for h in hits))
-                spans.append([{"start": h[0], "end": h[1], "kind": h[2], "term": h[3], "quoted": h[5]} for h in hits])
+                near.append(sum(h.kind.startswith("near") for h in hits))
+                quoted.append(sum(h.quoted for h in hits))
+                spans.append([{"start": h.start, "end": h.end, "kind": h.kind, "term": h.term, "quoted": h.quoted} for h in hits])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(score, pa.float64()), pa.array(n, pa.int32()), pa.array(near, pa.int32()), pa.array(quoted, pa.int32()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("quoted", pa.bool_())])))],
