@@ -1,43 +1,54 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Four patterns give base spans. Tokens that hold a digit or an ``@`` are the
-nodes of a field over the labels other, email, ip, card and phone: neighbours
-in the text share a chain potential, and tokens that repeat or resemble each
-other anywhere in the document share a skip potential. Base spans are evidence;
-loopy belief propagation carries their labels to the same or similar tokens
-that the patterns missed, and a run of tokens believed to be personal data
-beyond ``Field.belief`` and tied to a base span becomes a span of its own.
-
-Unary weights are a softmax regression on token shapes, pairwise ones smoothed
-log odds, both from the base spans of a bounded sample of tokens
-(``Field.sample``). A document without a base span has no evidence to spread,
-so it ends after the patterns.
+Four patterns give base spans. The nodes of the field are tokens that hold a
+digit, an ``@`` or a mark that stands for one (``[at]``, ``(dot)``), the tokens
+beside a mark that stands alone, and tokens that repeat part of a base span. The
+labels are other, email, ip, card and phone. Neighbours in the text share a chain
+potential, and tokens that repeat or resemble each other anywhere in the document
+share a skip potential. Base spans are evidence. Loopy belief propagation runs on
+every document that has a node without evidence, and a run of tokens believed to
+be personal data beyond ``Field.belief`` becomes a span of its own, tied to a base
+span or not.
+
+All potentials are learned together by pseudo-likelihood: a node's label given its
+own shape, its neighbours' labels and the labels of the tokens it skips to, with a
+penalty. The nodes learned from are those of the corpus, labelled by the patterns,
+and those of altered copies of its texts (``alter``), in which a span or a number
+is written in a way that the patterns miss, so that what is hidden has a known
+label. Label counts are taken over all nodes; of each label at most a bounded
+number of nodes, least in hash order, is fitted on, weighted back to the counts.
 
 Defined results: null and empty texts have no spans; repeated rows stay
 repeated; positions are code points, ends exclusive; columns other than doc_id
-and text are left alone; an empty table gives an empty table. Very long runs of
-one character class cost linear time.
+and text are left alone; an empty table gives an empty table, and one without
+personal data a field that adds nothing. Very long runs of one character class
+cost linear time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from loomshed.llm.common import free, stored
 
 KINDS = ("email", "ip", "card", "phone")
+N_LABELS = len(KINDS) + 1
 
 # The patterns. Starts at run borders and possessive runs match the
 # same spans as the plain forms, without their quadratic retries.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[\[({<](?:at|dot|punkt|punto|arobase)[\])}>]", re.IGNORECASE)
+_NODE = re.compile(rf"[0-9@]|{_MARK.pattern}", re.IGNORECASE)
 _TOKEN = re.compile(r"\S+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -93,74 +104,117 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass(frozen=True)
 class Field:
-    """``sample`` tokens at most are learned from; ``rounds`` of message passing, and three a node, at most, with ``damping``."""
+    """Bounds and thresholds.
+
+    ``sample`` nodes at most are fitted on, an equal share a label. ``altered`` copies
+    are made of a text with a base span, and one of others with a node. ``rounds`` of message passing,
+    and three a node, at most, with ``damping``. A span needs a ``belief``.
+    ``least_digits`` make a number a key. ``l2`` is the penalty of a weight.
+    """
 
     sample: int = 20_000
+    altered: int = 4
     rounds: int = 12
     damping: float = 0.3
     belief: float = 0.9
     least_digits: int = 6
-    l2: float = 1.0
+    l2: float = 0.05
 
 
 @dataclass
 class Weights:
-    """unary: labels x features; chain: labels x labels; skip: strength of agreement."""
+    """unary: labels x features; chain: label of a node x label of the next; skip: strength of agreement."""
 
     unary: list[list[float]]
     chain: list[list[float]]
     skip: float
 
 
-_MARKS = "@.+-()/:=_"
-N_FEATURES = 1 + len(_MARKS) + 8
+_SIGNS = "@.+-()/:=_"
+_EDGE = ".,;:!?()[]{}<>\"'%&$#*"
+N_FEATURES = 1 + len(_SIGNS) + 20
+
+
+def _groups(token: str) -> list[str]:
+    """Runs of digits of a token."""
+    return re.findall(r"[0-9]+", token)
 
 
-def shape(token: str) -> list[float]:
-    """Features of a token's shape."""
-    digits = sum("0" <= c <= "9" for c in token)
-    letters = sum(c.isalpha() for c in token)
+def shape(token: str, beside: bool = False) -> list[float]:
+    """Features of a token's shape; ``beside`` a mark that stands alone."""
+    digits = _only_digits(token)
+    n, letters = len(digits), sum(c.isalpha() for c in token)
+    marks = _MARK.findall(token)
+    rest = _MARK.sub("", token)
+    groups = _groups(token)
+    sums = 13 <= n <= 19 and luhn(digits)
+    four = len(groups) == 4 and all(_octet(g) for g in groups)
+    at = any(m[1:3].lower() in ("at", "ar") for m in marks)
     return (
         [1.0]
-        + [float(min(token.count(m), 3)) for m in _MARKS]
-        + [float(digits == 0), float(0 < digits <= 4), float(4 < digits <= 8), float(8 < digits <= 12), float(12 < digits <= 19), float(digits > 19), letters / len(token), float(letters > 0 and digits > 0)]
+        + [float(min(rest.count(m), 3)) for m in _SIGNS]
+        + [float(low < n <= high) for low, high in ((-1, 0), (0, 4), (4, 6), (6, 8), (8, 11), (11, 13), (13, 15), (15, 19), (19, 10**9))]
+        + [letters / len(token), float(letters > 0 and n > 0), float(len(groups) == 1), float(len(groups) == 1 and digits.startswith("00")), float(sums), float(four), float(four and not letters)]
+        + [float(at), float(bool(marks) and not at), float(beside), float(bool(marks) and marks[0] == token.strip(",.;"))]
     )
 
 
-def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """Candidate tokens as (ordinal, start, end), and their base labels (0 other, -1 where nothing is known)."""
+def nodes(text: str, base: list[Span], least_digits: int = 6) -> tuple[list[tuple[int, int, int]], list[int], list[bool]]:
+    """Nodes as (ordinal, start, end), their base labels (0: no evidence), and whether each stands beside a mark."""
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    alone = [bool(_MARK.fullmatch(text[a:b].strip(",.;"))) for a, b in tokens]
+    beside = [(i > 0 and alone[i - 1]) or (i + 1 < len(alone) and alone[i + 1]) for i in range(len(alone))] if any(alone) else None
+    known = {k for kind, a, b in base for k in _span_keys(kind, text[a:b], least_digits)}
     spans = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
-    tokens, labels, j = [], [], 0
-    for i, m in enumerate(_TOKEN.finditer(text)):
-        if not _HINT.search(m[0]):
+    found, labels, marked, j = [], [], [], 0
+    for i, (a, b) in enumerate(tokens):
+        token = text[a:b]
+        near = beside is not None and beside[i]
+        if not near and not _NODE.search(token) and not (known and known.intersection(_keys(token, least_digits))):
             continue
-        while j < len(spans) and spans[j][1] <= m.start():
+        while j < len(spans) and spans[j][1] <= a:
             j += 1
-        tokens.append((i, m.start(), m.end()))
-        labels.append(spans[j][2] if j < len(spans) and spans[j][0] < m.end() else 0)
-    return tokens, labels
+        found.append((i, a, b))
+        labels.append(spans[j][2] if j < len(spans) and spans[j][0] < b else 0)
+        marked.append(near)
+    return found, labels, marked
 
 
 def _keys(token: str, least_digits: int) -> list[str]:
     """What makes tokens the same or similar: the bare token, its digits, an address's local part."""
-    bare = token.strip(".,;:!?()[]{}<>\"'").lower()
+    bare = token.strip(_EDGE).lower()
     digits = _only_digits(bare)
-    keys = ["t" + bare] if len(bare) >= 4 else []
+    keys = ["t" + bare] if len(bare) >= 4 and any(c.isdigit() or c in "@._" for c in bare) else []
     if len(digits) >= least_digits:
         keys.append("d" + digits)
-    local = re.split(r"@|\[at\]|\(at\)", bare)[0]
-    if len(local) >= 5 and any(c.isalpha() for c in local) and any(c.isdigit() for c in local):
+    local = re.split(r"@|[\[({<]at[\])}>]", bare)[0]
+    if len(local) >= 5 and any(not c.isalpha() for c in local):
         keys.append("l" + local)
     return keys
 
 
-def skip_edges(text: str, tokens: list[tuple[int, int, int]], least_digits: int, labels: list[int]) -> list[tuple[int, int]]:
+def _span_keys(kind: str, span: str, least_digits: int) -> list[str]:
+    """Keys of a whole base span: all its digits, and of a phone number also the last ten and seven."""
+    digits = _only_digits(span)
+    if kind == "email":
+        return ["l" + span.split("@")[0].lower(), "t" + span.lower()]
+    tails = {digits, digits[-10:], digits[-7:]} if kind == "phone" else {digits}
+    return ["d" + t for t in sorted(tails) if len(t) >= least_digits]
+
+
+def skip_edges(text: str, tokens: list[tuple[int, int, int]], least_digits: int, labels: list[int], base: list[Span] = ()) -> list[tuple[int, int]]:
     """Each token tied to the one before it that has a key in common, and to the first base-labelled one of each label.
 
-    At most three keys a token, so the edges grow with the tokens. The second kind hands the evidence
-    of a base span to every repeat at one step, however many repeats lie between.
+    At most four keys a token, so the edges grow with the tokens. The second kind hands the evidence
+    of a base span to every repeat at one step, however many repeats lie between. The keys of a whole
+    base span stand at its last token.
     """
     keys = [_keys(text[a:b], least_digits) for _, a, b in tokens]
+    ends = {b: (kind, text[a:b]) for kind, a, b in base}
+    for n, (_, a, b) in enumerate(tokens):
+        for e in range(a + 1, b + 1) if labels[n] > 0 and ends else ():
+            if e in ends:
+                keys[n] = keys[n] + [k for k in _span_keys(*ends[e], least_digits) if k not in keys[n]]
     known: dict[str, dict[int, int]] = {}
     for n, y in enumerate(labels):
         if y > 0:
@@ -181,8 +235,9 @@ def skip_edges(text: str, tokens: list[tuple[int, int, int]], least_digits: int,
 def propagate(unary, chain, edges, skip: float, kinds, field: Field):
     """Beliefs (nodes x labels) by damped loopy sum-product in log space.
 
-    ``edges`` is (m, 2); ``kinds`` marks each as chain (0) or skip (1). Rounds go on until messages
-    settle, ``field.rounds`` and three a node at most, so that the longest path is covered.
+    ``edges`` is (m, 2); ``kinds`` marks each as chain (0) or skip (1); ``chain`` is labels
+    x labels. Rounds go on until messages settle, ``field.rounds`` and three a node at most,
+    so that the longest path is covered.
     """
     import numpy as np
 
@@ -192,14 +247,12 @@ def propagate(unary, chain, edges, skip: float, kinds, field: Field):
 
     if not len(edges):
         return np.exp(norm(unary))
-    labels = unary.shape[1]
-    agree = skip * np.eye(labels)
-    pot = np.where(kinds[:, None, None] == 0, chain[None], agree[None])
+    pot = np.where(kinds[:, None, None] == 0, np.asarray(chain)[None], skip * np.eye(unary.shape[1])[None])
     # Both directions of every edge: source, target, potential[source label, target label].
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     both = np.concatenate([pot, pot.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    msg = np.zeros((len(src), labels))
+    msg = np.zeros((len(src), unary.shape[1]))
     for _ in range(field.rounds + 3 * len(unary)):
         total = unary.copy()
         np.add.at(total, dst, msg)
@@ -217,31 +270,16 @@ def propagate(unary, chain, edges, skip: float, kinds, field: Field):
 
 def find_spans(text: str, weights: Weights, field: Field = Field()) -> tuple[list[Span], list[Span]]:
     """(base, added) spans of a text."""
+    if not _NODE.search(text):
+        return [], []
     base = base_spans(text)
-    if not base:
-        return base, []
-    tokens, labels = nodes(text, base)
+    tokens, labels, marked = nodes(text, base, field.least_digits)
     if all(labels):
         return base, []
-    skips = skip_edges(text, tokens, field.least_digits, labels)
-    # Only what a skip edge ties, however far, to a base span can gain a label.
-    root = list(range(len(tokens)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in skips:
-        root[find(a)] = find(b)
-    anchored = {find(i) for i, y in enumerate(labels) if y}
-    tied = [not y and find(i) in anchored for i, y in enumerate(labels)]
-    if not any(tied):
-        return base, []
     import numpy as np
 
-    unary = np.array([shape(text[a:b]) for _, a, b in tokens]) @ np.array(weights.unary).T
+    skips = skip_edges(text, tokens, field.least_digits, labels, base)
+    unary = np.array([shape(text[a:b], near) for (_, a, b), near in zip(tokens, marked, strict=True)]) @ np.array(weights.unary).T
     for i, y in enumerate(labels):
         if y:
             unary[i] = -1e6  # firm against any number of repeats that lean to other
@@ -249,16 +287,16 @@ def find_spans(text: str, weights: Weights, field: Field = Field()) -> tuple[lis
     chains = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i][0] == tokens[i - 1][0] + 1]
     edges = np.array(chains + skips, dtype=int).reshape(-1, 2)
     kinds = np.array([0] * len(chains) + [1] * len(skips))
-    belief = propagate(unary, np.array(weights.chain), edges, weights.skip, kinds, field)
+    belief = propagate(unary, weights.chain, edges, weights.skip, kinds, field)
     best = belief.argmax(1)
-    sure = [bool(tied[i] and best[i] > 0 and belief[i, best[i]] >= field.belief) for i in range(len(tokens))]
+    sure = [bool(not labels[i] and best[i] > 0 and belief[i, best[i]] >= field.belief) for i in range(len(tokens))]
     added: list[Span] = []
     for i, (n, a, b) in enumerate(tokens):
         if not sure[i]:
             continue
-        while a < b and text[b - 1] in ".,;:!?)]}>\"'":
+        while a < b and text[b - 1] in _EDGE and not _MARK.fullmatch(text[a:b]):
             b -= 1
-        while a < b and text[a] in "([{<\"'":
+        while a < b and text[a] in _EDGE and text[a] != "(" and not _MARK.match(text[a:b]):
             a += 1
         kind = KINDS[best[i] - 1]
         if added and sure[i - 1] and tokens[i - 1][0] == n - 1 and added[-1][0] == kind:
@@ -268,46 +306,232 @@ def find_spans(text: str, weights: Weights, field: Field = Field()) -> tuple[lis
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def train(docs: DataFrame, field: Field = Field()) -> Weights:
-    """Learn from base spans of a bounded sample of tokens of (doc_id, text): those least in hash order."""
-    import numpy as np
+def disguise(kind: str, span: str, r: random.Random) -> str:
+    """A span written in a way that the patterns miss."""
+    if kind == "email":
+        local, host = span.split("@")
+        at, dot = r.choice((("[at]", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")))
+        return local + at + host.replace(".", dot)
+    digits = _only_digits(span)
+    if kind == "ip":
+        return span.replace(".", r.choice(("[.]", "(.)", "[dot]", ",")))
+    if kind == "card":
+        sep = r.choice(("/", ".", "_", ":"))
+        return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    rest = digits[-10:]
+    return r.choice((f"({rest[:3]}) {rest[3:6]}-{rest[6:]}", f"{rest[:3]}.{rest[3:6]}.{rest[6:]}", f"{rest[:3]}-{rest[3:6]}-{rest[6:]}", f"00{digits}"))
+
+
+def _fake(r: random.Random) -> str:
+    """Text with digits or dots that is no personal data, in the ways that spans are disguised."""
+    number = "".join(r.choice("0123456789") for _ in range(16))
+    if luhn(number):
+        number = number[:-1] + str((int(number[-1]) + 1) % 10)
+    sep = r.choice(("/", ".", "_", ":"))
+    return r.choice(
+        (
+            number,
+            sep.join(number[i : i + 4] for i in range(0, 16, 4)),
+            f"{r.randrange(100, 999)}-{r.randrange(1000, 9999)}",
+            f"{r.randrange(1, 9)}.{r.randrange(20)}.{r.randrange(20)}",
+            f"{r.randrange(300, 999)}[.]{r.randrange(300, 999)}[.]{r.randrange(300, 999)}[.]{r.randrange(300, 999)}",
+            f"{r.randrange(10, 99)}:{r.randrange(10, 59)}",
+            f"{r.randrange(1900, 2100)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}",
+            f"no. {r.randrange(10, 10**6)}",
+            f"{r.randrange(10**8, 10**11)}",
+        )
+    )
+
+
+def alter(text: str, base: list[Span], r: random.Random) -> tuple[str, list[Span], list[tuple[int, int]]]:
+    """(text, hidden spans, places that are no data): a copy in which a span is disguised or repeated in part, or numbers are strewn in.
+
+    One of: a span in disguise in its place, a disguised copy of a span further on,
+    a part of a span further on, or, in a text without spans and in one of five
+    with, a number that is no data, up to three times.
+    """
+    hidden: list[Span] = []
+
+    def put(text: str, what: str) -> tuple[str, int]:
+        """At the beginning of a token that no base span touches."""
+        starts = [m.start() for m in _TOKEN.finditer(text)]
+        held = base_spans(text)
+        starts = [w for w in starts if not any(a - 2 <= w <= b + 1 for _, a, b in held)]
+        at = r.choice(starts) if starts else len(text)
+        return text[:at] + (" " if at == len(text) else "") + what + " " + text[at:], at + (at == len(text))
+
+    if base and r.randrange(5):
+        kind, a, b = r.choice(base)
+        span, way = text[a:b], r.randrange(3)
+        if way == 0:
+            new = disguise(kind, span, r)
+            text, hidden = text[:a] + new + text[b:], [(kind, a, a + len(new))]
+            return text, hidden, []
+        digits = _only_digits(span)
+        part = {"phone": f"{digits[-7:-4]}-{digits[-4:]}", "card": digits, "ip": span, "email": span.split("@")[0]}[kind]
+        new = disguise(kind, span, r) if way == 1 or len(part) < 6 or kind in ("ip", "card") else part
+        text, at = put(text, new)
+        return text, [(kind, at, at + len(new))], []
+    new, none = _fake(r), []
+    for _ in range(r.randrange(1, 4)):  # what is no data repeats, too
+        text, at = put(text, new)
+        none = [(a + (len(new) + 1) * (a >= at), b + (len(new) + 1) * (a >= at)) for a, b in none] + [(at, at + len(new))]
+    return text, [], none
+
+
+ROWS = "key long, y int, before int, after int, tied array<int>, f array<float>"
+
+
+def _examples(text: str, field: Field, r: random.Random | None = None) -> list[dict]:
+    """Learning rows of a text's nodes, or, with ``r``, of the altered nodes of an altered copy."""
+    base = base_spans(text)
+    hidden: list[Span] = []
+    places: list[tuple[int, int]] | None = None
+    if r is not None:
+        text, hidden, none = alter(text, base, r)
+        base = base_spans(text)
+        places = [(a, b) for _, a, b in hidden] + none
+    tokens, labels, marked = nodes(text, base, field.least_digits)
+    truth = [y or next((KINDS.index(k) + 1 for k, c, d in hidden if c < b and a < d), 0) for (_, a, b), y in zip(tokens, labels, strict=True)]
+    tied: list[list[int]] = [[] for _ in tokens]
+    for i, j in skip_edges(text, tokens, field.least_digits, labels, base):
+        tied[i].append(truth[j])
+        tied[j].append(truth[i])
+    rows = []
+    for i, (n, a, b) in enumerate(tokens):
+        if places is not None and (labels[i] or not any(c < b and a < d for c, d in places)):
+            continue
+        left = truth[i - 1] if i and tokens[i - 1][0] == n - 1 else -1
+        right = truth[i + 1] if i + 1 < len(tokens) and tokens[i + 1][0] == n + 1 else -1
+        key = int.from_bytes(hashlib.blake2b(f"{a}:{text[max(0, a - 20) : b + 20]}".encode(), digest_size=8).digest(), "big") >> 1
+        counts = [tied[i].count(y) for y in range(N_LABELS)]
+        rows.append({"key": key, "y": truth[i], "before": left, "after": right, "tied": counts, "f": shape(text[a:b], marked[i])})
+    return rows
+
+
+def learning_rows(docs: DataFrame, field: Field) -> DataFrame:
+    """(key, y, before, after, tied, f) of every node of (doc_id, text), and of the altered nodes of altered copies."""
+    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("tied", pa.list_(pa.int32())), ("f", pa.list_(pa.float32()))])
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                tokens, labels = nodes(text, base) if _HINT.search(text) else ([], [])
-                for i, ((n, a, b), y) in enumerate(zip(tokens, labels, strict=True)):
-                    nxt = labels[i + 1] if i + 1 < len(tokens) and tokens[i + 1][0] == n + 1 else -1
-                    key = hashlib.blake2b(f"{text[max(0, a - 20):b + 20]}".encode(), digest_size=8).hexdigest()
-                    rows.append({"key": key, "f": shape(text[a:b]), "y": y, "nxt": nxt})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("f", pa.list_(pa.float64())), ("y", pa.int32()), ("nxt", pa.int32())]))
-
-    told = docs.select(F.col("text").cast("string")).mapInArrow(run, "key string, f array<double>, y int, nxt int").orderBy("key", "y", "nxt").limit(field.sample).collect()
-    labels = len(KINDS) + 1
-    pairs = np.ones((labels, labels))
-    for r in told:
-        if r["nxt"] >= 0:
-            pairs[r["y"], r["nxt"]] += 1
-    share = pairs / pairs.sum()
-    chain = np.clip(np.log(share / np.outer(share.sum(1), share.sum(0))), -3, 3)
-    if not told:
-        return Weights(np.zeros((labels, N_FEATURES)).tolist(), chain.tolist(), 4.0)
-    x, y = np.array([r["f"] for r in told]), np.array([r["y"] for r in told])
-    w = np.zeros((labels, x.shape[1]))
-    want = np.eye(labels)[y]
-    rate = 1.0 / (0.5 * (x * x).sum(1).max() + field.l2 / len(x))
-    for _ in range(300):
-        z = x @ w.T
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= rate * ((p - want).T @ x / len(x) + field.l2 / len(x) * w)
-    # The more certain labels are, the more a tie to one tells: log odds of agreement.
-    prior = np.bincount(y, minlength=labels) / len(y)
-    skip = float(np.clip(np.log((len(y) + 1.0) / max(1e-9, len(y) * (1 - (prior**2).sum()) * 0.01 + 1.0)), 2.0, 6.0))
-    return Weights(w.tolist(), chain.tolist(), skip)
+                if not text or not _NODE.search(text):
+                    continue
+                rows += _examples(text, field)
+                seed = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+                for copy in range(field.altered if base_spans(text) else 1):
+                    rows += _examples(text, field, random.Random(seed + copy))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, ROWS)
+
+
+def minimise(value_and_slope, x, rounds: int = 200, kept: int = 12):
+    """A minimum of a smooth convex function near ``x``: limited-memory quasi-Newton steps with halving."""
+    import numpy as np
+
+    value, slope = value_and_slope(x)
+    moves: list[tuple] = []
+    for _ in range(rounds):
+        d, trail = slope.copy(), []
+        for s, g, rho in reversed(moves):
+            a = rho * (s @ d)
+            trail.append(a)
+            d -= a * g
+        if moves:
+            s, g, _ = moves[-1]
+            d *= (s @ g) / (g @ g)
+        for (s, g, rho), a in zip(moves, reversed(trail), strict=True):
+            d += s * (a - rho * (g @ d))
+        step = 1.0
+        while True:
+            new = x - step * d
+            v, g = value_and_slope(new)
+            if v <= value - 1e-4 * step * (slope @ d) or step < 1e-10:
+                break
+            step /= 2
+        s, change = new - x, g - slope
+        if s @ change > 1e-14:
+            moves = [*moves[-kept + 1 :], (s, change, 1.0 / (s @ change))]
+        x, done = new, abs(value - v) <= 1e-9 * max(1.0, abs(value))
+        value, slope = v, g
+        if done or np.abs(slope).max() < 1e-7:
+            break
+    return x
+
+
+def fit(table: pa.Table, weight, field: Field) -> Weights:
+    """Weights by pseudo-likelihood of rows (y, before, after, tied, f), each counted ``weight`` times.
+
+    The logit of label y is unary[y] f + chain[before, y] + chain[y, after] + skip times the tied
+    nodes of label y. One strength serves all labels, for with one each, nodes that are tied to each
+    other alone would talk one another into the label with the strongest.
+    """
+    import numpy as np
+
+    y = table.column("y").to_numpy()
+    x = np.array(table.column("f").to_pylist(), float).reshape(len(y), N_FEATURES)
+    tied = np.array(table.column("tied").to_pylist(), float).reshape(len(y), N_LABELS)
+    hot = np.vstack([np.eye(N_LABELS), np.zeros(N_LABELS)])  # -1: no neighbour
+    before, after = hot[table.column("before").to_numpy()], hot[table.column("after").to_numpy()]
+    weight = np.asarray(weight, float) / np.sum(weight)
+    k, n = N_LABELS, N_LABELS * N_FEATURES
+    rows, ridge = np.arange(len(y)), field.l2 / len(y)
+
+    def parts(w):
+        return w[:n].reshape(k, -1), w[n : n + k * k].reshape(k, k), w[-1]
+
+    def value_and_slope(w):
+        u, c, s = parts(w)
+        z = x @ u.T + before @ c + after @ c.T + s * tied
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        total = p.sum(1, keepdims=True)
+        value = weight @ (np.log(total[:, 0]) - z[rows, y]) + ridge / 2 * (w @ w)
+        p /= total
+        p[rows, y] -= 1
+        e = p * weight[:, None]
+        return value, np.concatenate([(e.T @ x).ravel(), (before.T @ e + e.T @ after).ravel(), [(tied * e).sum()]]) + ridge * w
+
+    u, c, s = parts(minimise(value_and_slope, np.zeros(n + k * k + 1)))
+    return Weights(u.tolist(), c.tolist(), float(s))
+
+
+def nothing() -> Weights:
+    """A field that believes in nothing but other."""
+    unary = [[0.0] * N_FEATURES for _ in range(N_LABELS)]
+    unary[0][0] = 20.0
+    return Weights(unary, [[0.0] * N_LABELS for _ in range(N_LABELS)], 0.0)
+
+
+def train(docs: DataFrame, field: Field = Field()) -> Weights:
+    """Learn the field from (doc_id, text): label counts over all nodes, and a bounded sample to fit on.
+
+    At most ``field.sample`` rows reach the driver: a cut in hash order, chosen
+    from the counts, leaves little more than the share of each label, and the rows
+    least in that order are taken.
+    """
+    rows = stored(learning_rows(docs, field), "pii-nodes")
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        free(rows)
+        return nothing()
+    share = field.sample // N_LABELS
+    top = 1 << 63
+    cut = F.lit(0)
+    for y, n in counts.items():
+        cut = F.when(F.col("y") == y, F.lit(min(top - 1, int(top * (2.0 * share / n)) if n > share else top - 1))).otherwise(cut)
+    some = rows.filter(F.col("key") <= cut)
+    place = F.row_number().over(Window.partitionBy("y").orderBy("key", "before", "after", F.col("f").cast("string")))
+    taken = some.withColumn("place", place).filter(F.col("place") <= share).drop("place", "key").toArrow()
+    free(rows)
+    import numpy as np
+
+    y = taken.column("y").to_numpy()
+    got = np.bincount(y, minlength=N_LABELS)
+    return fit(taken, [counts[v] / got[v] for v in y.tolist()], field)
 
 
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>"
@@ -352,7 +576,7 @@ def redact_documents(docs: DataFrame, weights: Weights, field: Field = Field())
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = b.column(at).to_pylist()
-            texts = [redact(t, [s for part in find_spans(t, weights, field) for s in part]) if t and _HINT.search(t) else t for t in texts]
+            texts = [redact(t, [s for part in find_spans(t, weights, field) for s in part]) if t and _NODE.search(t) else t for t in texts]
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b
 

@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -197,6 +198,15 @@ def test_media_round_trip(spark):
     assert media.rebuild(media.write_store(empty(spark))).count() == 0
 
 
+@pytest.mark.parametrize("spec", [media.Chunking(bloom_bits=64), media.Chunking(heavy=1), media.Chunking(heavy=10**6)])
+def test_media_with_full_filters_and_heavy_chunks(spark, spec):
+    """A filter that lets everything through, no heavy chunk, and only heavy ones: the same pictures."""
+    rows = [*corpus(2, 40), *[(100 + i, "common passage " * 200 + f"end {i}") for i in range(30)]]
+    got = media.rebuild(media.write_store(docs_frame(spark, rows), spec)).collect()
+    assert sorted(r.payload_sha256 for r in got) == sorted(hashlib.sha256(media.payload_of(t)).hexdigest() for _, t in rows)
+    assert sorted(r.media_sha256 for r in media.read_media(media.write_store(docs_frame(spark, rows), spec)).collect()) == sorted(r.media_sha256 for r in got)
+
+
 def test_chunks_follow_content():
     spec = media.Chunking()
     r = random.Random(5)
@@ -229,10 +239,23 @@ def test_warc(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.record_type == "revisit"} == {1: ("revisit", 7), 2: ("revisit", 7), None: ("revisit", 7)}
     none = scratch(spark, "t")
     warc.write_archives(pages.limit(0), none)
+    assert warc.resolve(warc.read_archives(spark, none)).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse(b"nonsense"))
 
 
+def test_warc_of_repeated_pages(spark):
+    """Equal rows of one page, one page with two payloads, and the last of a payload in two rows."""
+    big, other = "x" * 1500, "y" * 1500
+    rows = [(1, "u1", big), (1, "u1", big), (1, "u2", other), (2, "u3", other), (2, "u3", other), (None, None, big), (None, None, big)]
+    path = scratch(spark, "t")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    found = warc.read_archives(spark, path).collect()
+    assert len({r.record_id for r in found}) == len(rows)
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.resolve(warc.read_archives(spark, path)).collect()))
+    assert got == sorted([(1, "response", 0, 1500)] * 2 + [(1, "revisit", 2, 1500)] + [(2, "response", 0, 1500)] * 2 + [(0, "revisit", 1, 1500)] * 2)
+
+
 # 5: top-k
 
 
@@ -385,6 +408,24 @@ def test_urls(spark):
     assert got[6][:3] == ("h.org", "", None) and got[7][:2] == ("b:", "//c/d") and got[8] == ("ex.com", "", None, "allow")
 
 
+def test_domains_of_ports_addresses_and_countries(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "shop.example.com:8080": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", "(address)"), "me@10.0.0.1:80": ("10.0.0.1", "(address)"), "[::1]:80": ("[::1]", "(address)"), "x.com.": ("x.com", "com"), "a.co.com": ("co.com", "com"), "": ("", ""), "local": ("local", "local")}
+    domain, suffix = url_reputation.registered(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == hosts
+
+
+def test_pages_decide_their_hosts(spark):
+    """Hosts that name an unwanted trade are blocked, others not; no page at all gives an empty table."""
+    rows = [(i, f"http://h{i % 4}.org/{i}", "the casino opens" if i % 4 == 0 else "the Casinos open" if i < 80 else None) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("good", F.lit("clash"))
+    outcomes = lambda p: p.select("page_id", url_reputation.named_in(F.col("html"), ["casino"]).alias("good"))
+    got = url_reputation.judge_pages(pages, outcomes(pages), []).groupBy("host").agg(F.collect_set("verdict").alias("v")).collect()
+    assert {r.host: r.v for r in got} == {"h0.org": ["block"], "h1.org": ["allow"], "h2.org": ["allow"], "h3.org": ["allow"]}
+    none = pages.limit(0)
+    assert url_reputation.judge_pages(none, outcomes(none), []).count() == 0
+
+
 def test_bad_host_is_blocked(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i < 60 else 'good'}.org/{i}") for i in range(200)], "page_id long, url string")
     outcomes = spark.createDataFrame([(i, 0 if i < 60 else 1) for i in range(200)] + [(0, None), (None, 1)], "page_id long, good int")
@@ -405,17 +446,51 @@ def edits(a, b):
 
 
 def test_automaton_equals_edit_distance():
-    lexicon = toxicity.Lexicon({"stupid": 1.0, "moron": 1.0, "scum": 1.0}, {"vequ": 1.0})
+    lexicon = toxicity.Lexicon({"stupid": 1.0, "moron": 1.0, "scum": 1.0}, {"vequ": 1.0, "blorgen": 1.0}, frozenset({"blorgenx", "storgen"}))
     auto, r = toxicity.Automaton(lexicon, limit=50), random.Random(1)
-    for _ in range(4000):
-        base = r.choice(["stupid", "moron", "scum", "vequ", "vequais"])
+    seen = set()
+    for _ in range(6000):
+        base = r.choice(["stupid", "moron", "scum", "vequ", "vequais", "blorgen", "blorgenais"])
         t = "".join(c for c in base for c in ([c] if r.random() > 0.15 else [r.choice("abmor"), c][: r.randrange(3)]))
         got = auto.match(t)
         exact = t in lexicon.words
-        stem = t.startswith("vequ")
-        near = [w for w in lexicon.words if len(w) >= 5 and edits(t, w) == 1]
-        assert (got is None) == (not (exact or stem or near)), t
-        assert got is None or got[0] == ("word" if exact else "stem" if stem else "near")
+        stem = any(t.startswith(s) for s in lexicon.stems)
+        near = any(len(w) >= 5 and edits(t, w) == 1 for w in lexicon.words)
+        near_stem = any(edits(t[:k], "blorgen") == 1 for k in range(len(t) + 1))
+        want = "word" if exact else "stem" if stem else None if t in lexicon.clean else "near" if near else "near stem" if near_stem else None
+        assert (got and got[0]) == want, t
+        seen.add(want)
+    assert seen == {"word", "stem", "near", "near stem", None}
+
+
+def test_quotation_and_address():
+    scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 2.0}, {}), 3)
+    found = lambda t: [(h.quoted, h.address) for h in scorer.hits(t)]
+    assert found("you don't think, idiot, you can't") == [(False, True)]
+    assert found("a b c d “the idiot” e f g h") == [(True, False)] and found("a b c d 'the idiot' e f g") == [(False, False)]
+    assert found('"one" a b c idiot d e f "two"') == [(False, False)]
+    assert found("he wrote idiot") == [(True, False)] and found("he wrote a b c d e idiot") == [(False, False)]
+    assert found('"open idiot\nnever closed') == [(False, False)]
+    names = dict(zip(toxicity.FEATURES, scorer.features("you idiot"), strict=True))
+    assert names["address"] > 0 == names["quoted"] and scorer.features("the idiot")[toxicity.FEATURES.index("address")] == 0
+
+
+def test_quotation_is_told_from_abuse_by_learning(spark):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = [r.choice(WORDS) for _ in range(60)]
+        term, k = r.choice(["idiotic", "scumbag", "worthless"]), r.randrange(60)
+        if i % 4 == 0:
+            words.insert(k, term)
+        elif i % 4 == 1:
+            words.insert(k, f'"{term}"')
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.score_documents(docs_frame(spark, rows), model).collect()}
+    wrong = [i for i, y in labels if (got[i] >= 0.5) != bool(y)]
+    assert len(wrong) <= 4 and dict(zip(toxicity.FEATURES, model.weights[1:], strict=True))["quoted"] < 0
 
 
 def test_toxicity_learns(spark):
@@ -466,7 +541,7 @@ def test_long_runs_are_quick():
 
 
 def test_messages_spread_to_repeats(spark):
-    weights = pii.train(docs_frame(spark, [(i, f"mail a{i}.x1@mail.example.com call +1 (555) 010-99{i:02d} or visit room {i}") for i in range(60)]))
+    weights = pii.train(docs_frame(spark, [(i, f"mail a{i}.x1@mail.example.com call +1 (555) 010-99{i:02d} or visit room {i} of {i * 7919 % 10**6}") for i in range(60)]))
     text = "call +1 (319) 555-5132 today; later call 555-5132 again, room 12"
     base, added = pii.find_spans(text, weights)
     assert base == plain_spans(text)
@@ -479,6 +554,50 @@ def test_messages_spread_to_repeats(spark):
     clean = {x.doc_id: x for x in pii.redact_documents(docs, weights).collect()}
     assert clean[None].text == "[EMAIL]" and clean[None].n_chars == 7 and clean[2].text is None and clean[1].rep == 1
     assert pii.find_documents(empty(spark), weights).count() == 0
+    none = pii.train(empty(spark))
+    assert pii.find_spans(text, none) == (base, []) and pii.find_spans("a [at] b.c 12", none) == ([], [])
+
+
+def test_hidden_spans_are_found_and_numbers_left_alone(spark):
+    """Learned on even documents; odd ones hold spans in disguise or numbers that are none (precision, recall)."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    weights = pii.train(docs.filter("doc_id % 2 = 0"))
+    r, hits, missed, false, decoys, untouched = random.Random(5), 0, 0, 0, 0, []
+    for row in docs.filter("doc_id % 2 = 1").orderBy("doc_id").collect():
+        text = row.text or ""
+        if not pii._HINT.search(text):
+            continue
+        untouched += pii.find_spans(text, weights)[1]
+        for _ in range(3):
+            altered, hidden, none = pii.alter(text, pii.base_spans(text), r)
+            base, added = pii.find_spans(altered, weights)
+            assert base == plain_spans(altered)
+            overlaps = lambda a, b: a[1] < b[2] and b[1] < a[2]
+            for h in hidden:
+                found = any(h[0] == s[0] and overlaps(h, s) for s in added) or any(overlaps(h, s) for s in base)
+                hits, missed = hits + found, missed + (not found)
+            false += sum(not any(overlaps(h, s) for h in hidden) for s in added)
+            decoys += len(none)
+    assert hits + missed > 300 and decoys > 300
+    assert hits / (hits + missed) >= 0.9 and hits / (hits + false) >= 0.95
+    assert len(untouched) <= 3  # phone numbers that the pattern loses to an address behind them
+
+
+def test_pseudo_likelihood_finds_planted_potentials():
+    """A field whose nodes copy what they are tied to learns a strong tie, one of independent nodes a weak one."""
+    r = random.Random(3)
+
+    def rows(copies):
+        out = []
+        for _ in range(3000):
+            y = r.randrange(5)
+            other = y if copies else r.randrange(5)
+            f = [1.0] + [0.0] * (pii.N_FEATURES - 1)
+            out.append({"y": y, "before": -1, "after": -1, "tied": [int(k == other) for k in range(5)], "f": f})
+        return pa.Table.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("tied", pa.list_(pa.int32())), ("f", pa.list_(pa.float32()))]))
+
+    strong, weak = (pii.fit(rows(c), [1.0] * 3000, pii.Field()) for c in (True, False))
+    assert strong.skip > 5 and abs(weak.skip) < 0.3
 
 
 def test_propagation_is_exact_on_a_tree():
