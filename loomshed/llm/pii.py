@@ -13,10 +13,11 @@ span or not.
 All potentials are learned together by pseudo-likelihood: a node's label given its
 own shape, its neighbours' labels and the labels of the tokens it skips to, with a
 penalty. The nodes learned from are those of the corpus, labelled by the patterns,
-and those of altered copies of its texts (``alter``), in which a span or a number
-is written in a way that the patterns miss, so that what is hidden has a known
-label. Label counts are taken over all nodes; of each label at most a bounded
-number of nodes, least in hash order, is fitted on, weighted back to the counts.
+and those of altered copies of some of its texts (``alter``), in which a span or a
+number is written in a way that the patterns miss, so that what is hidden has a
+known label. Labels are counted over all nodes; of each label, as it stands and
+altered, at most a bounded number of nodes, least in hash order, is fitted on,
+weighted back to the counts.
 
 Defined results: null and empty texts have no spans; repeated rows stay
 repeated; positions are code points, ends exclusive; columns other than doc_id
@@ -33,7 +34,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomshed.llm.common import free, stored
 
@@ -106,13 +107,15 @@ def base_spans(text: str) -> list[Span]:
 class Field:
     """Bounds and thresholds.
 
-    ``sample`` nodes at most are fitted on, an equal share a label. ``altered`` copies
-    are made of a text with a base span, and one of others with a node. ``rounds`` of message passing,
-    and three a node, at most, with ``damping``. A span needs a ``belief``.
+    ``sample`` nodes at most are fitted on, an equal share a label, half of them altered.
+    About ``texts`` texts with a base span, and others at the same rate, are altered,
+    those with a span in ``altered`` copies. ``rounds`` of message passing, and three
+    a node, at most, with ``damping``. A span needs a ``belief``.
     ``least_digits`` make a number a key. ``l2`` is the penalty of a weight.
     """
 
     sample: int = 20_000
+    texts: int = 4_000
     altered: int = 4
     rounds: int = 12
     damping: float = 0.3
@@ -379,7 +382,7 @@ def alter(text: str, base: list[Span], r: random.Random) -> tuple[str, list[Span
     return text, [], none
 
 
-ROWS = "key long, y int, before int, after int, tied array<int>, f array<float>"
+ROWS = "key long, y int, before int, after int, tied array<int>, f array<float>, based boolean"
 
 
 def _examples(text: str, field: Field, r: random.Random | None = None) -> list[dict]:
@@ -405,13 +408,15 @@ def _examples(text: str, field: Field, r: random.Random | None = None) -> list[d
         right = truth[i + 1] if i + 1 < len(tokens) and tokens[i + 1][0] == n + 1 else -1
         key = int.from_bytes(hashlib.blake2b(f"{a}:{text[max(0, a - 20) : b + 20]}".encode(), digest_size=8).digest(), "big") >> 1
         counts = [tied[i].count(y) for y in range(N_LABELS)]
-        rows.append({"key": key, "y": truth[i], "before": left, "after": right, "tied": counts, "f": shape(text[a:b], marked[i])})
+        rows.append({"key": key, "y": truth[i], "before": left, "after": right, "tied": counts, "f": shape(text[a:b], marked[i]), "based": False})
+    if rows and base:
+        rows[0]["based"] = True  # one row of each text with a base span
     return rows
 
 
-def learning_rows(docs: DataFrame, field: Field) -> DataFrame:
-    """(key, y, before, after, tied, f) of every node of (doc_id, text), and of the altered nodes of altered copies."""
-    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("tied", pa.list_(pa.int32())), ("f", pa.list_(pa.float32()))])
+def learning_rows(docs: DataFrame, field: Field, altered: bool = False) -> DataFrame:
+    """(key, y, before, after, tied, f, based) of every node of (doc_id, text), or of the altered nodes of altered copies of every text."""
+    kinds = (("key", pa.int64()), ("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("tied", pa.list_(pa.int32())), ("f", pa.list_(pa.float32())), ("based", pa.bool_()))
 
     def run(batches):
         for batch in batches:
@@ -419,11 +424,13 @@ def learning_rows(docs: DataFrame, field: Field) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if not text or not _NODE.search(text):
                     continue
-                rows += _examples(text, field)
+                if not altered:
+                    rows += _examples(text, field)
+                    continue
                 seed = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
                 for copy in range(field.altered if base_spans(text) else 1):
                     rows += _examples(text, field, random.Random(seed + copy))
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, ROWS)
 
@@ -506,32 +513,50 @@ def nothing() -> Weights:
     return Weights(unary, [[0.0] * N_LABELS for _ in range(N_LABELS)], 0.0)
 
 
+_WHOLE = 1 << 63
+
+
+def _below(hash_: Column, share: float) -> Column:
+    """Whether a 63-bit hash is in the lowest ``share`` of them."""
+    return hash_ <= F.lit(min(_WHOLE - 1, int(_WHOLE * min(share, 1.0))))
+
+
+def _taken(rows: DataFrame, counts: dict[int, int], share: int) -> pa.Table:
+    """At most ``share`` rows of each label, least in hash order; a cut chosen from the counts leaves little more to sort."""
+    cut = F.lit(False)
+    for y, n in counts.items():
+        cut = F.when(F.col("y") == y, _below(F.col("key"), 2.0 * share / n)).otherwise(cut)
+    place = F.row_number().over(Window.partitionBy("y").orderBy("key", "before", "after", F.col("f").cast("string")))
+    return rows.filter(cut).withColumn("place", place).filter(F.col("place") <= share).drop("place", "key", "based").toArrow()
+
+
 def train(docs: DataFrame, field: Field = Field()) -> Weights:
     """Learn the field from (doc_id, text): label counts over all nodes, and a bounded sample to fit on.
 
-    At most ``field.sample`` rows reach the driver: a cut in hash order, chosen
-    from the counts, leaves little more than the share of each label, and the rows
-    least in that order are taken.
+    At most ``field.sample`` rows reach the driver, and the texts that are altered
+    are chosen by their hash, at a rate that the count of texts with base spans sets.
     """
     rows = stored(learning_rows(docs, field), "pii-nodes")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    told = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("based").alias("texts")).collect()
+    counts, based = {r["y"]: r["n"] for r in told}, sum(r["texts"] for r in told)
+    if not based:
         free(rows)
         return nothing()
-    share = field.sample // N_LABELS
-    top = 1 << 63
-    cut = F.lit(0)
-    for y, n in counts.items():
-        cut = F.when(F.col("y") == y, F.lit(min(top - 1, int(top * (2.0 * share / n)) if n > share else top - 1))).otherwise(cut)
-    some = rows.filter(F.col("key") <= cut)
-    place = F.row_number().over(Window.partitionBy("y").orderBy("key", "before", "after", F.col("f").cast("string")))
-    taken = some.withColumn("place", place).filter(F.col("place") <= share).drop("place", "key").toArrow()
-    free(rows)
+    rate = min(1.0, field.texts / based)
+    chosen = docs.filter(_below(F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string"), F.lit("altered")), 1), rate))
+    others = stored(learning_rows(chosen, field, altered=True), "pii-altered")
+    hidden = {r["y"]: r["n"] for r in others.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     import numpy as np
 
-    y = taken.column("y").to_numpy()
-    got = np.bincount(y, minlength=N_LABELS)
-    return fit(taken, [counts[v] / got[v] for v in y.tolist()], field)
+    share, tables, weights = field.sample // (2 * N_LABELS), [], []
+    for frame, total, scale in ((rows, counts, 1.0), (others, hidden, 1.0 / rate)):
+        taken = _taken(frame, total, share)
+        y = taken.column("y").to_numpy()
+        got = np.bincount(y, minlength=N_LABELS)
+        tables.append(taken)
+        weights += [scale * total[v] / got[v] for v in y.tolist()]
+    free(rows, others)
+    return fit(pa.concat_tables(tables), weights, field)
 
 
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>"
