@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomshed.scratch import placed
+
 
 def sequence_steps(frames: DataFrame, clip: str, num: str, *tie: str) -> DataFrame:
     """Each frame with the number before it and a step class: DUP, GAP, OK, or null for a first frame.
@@ -59,15 +61,12 @@ def tc_ends(frames: DataFrame, clip: str, num: str, tc: str) -> DataFrame:
 def reel_continuity(clips: DataFrame, clip: str) -> DataFrame:
     """Pairs of clips in key order: the next must start after the last ends; a null on either side passes.
 
-    One row a clip enters, so the single ordered window holds clips, not frames.
+    Clips get their places in ranges, and each meets the one behind it by an equi-join on the place.
     """
-    w = Window.orderBy(clip)
+    here = placed(clips, clip)
+    after = here.select((F.col("place") - 1).alias("place"), F.col(clip).alias("next_clip"), F.col("tc_first").alias("next_first"))
     delta = F.col("next_first") - F.col("tc_last")
-    return (
-        clips.withColumns({"next_clip": F.lead(clip).over(w), "next_first": F.lead("tc_first").over(w)})
-        .filter(F.col("next_clip").isNotNull())
-        .select(clip, "next_clip", delta.alias("delta"), F.when(delta <= 0, "REEL_OVERLAP").otherwise("OK").alias("verdict"))
-    )
+    return here.join(after, "place").select(clip, "next_clip", delta.alias("delta"), F.when(delta <= 0, "REEL_OVERLAP").otherwise("OK").alias("verdict"))
 
 
 def class_census(frames: DataFrame, clip: str, cls: str) -> DataFrame:

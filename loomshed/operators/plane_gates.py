@@ -91,17 +91,34 @@ def structure_ratios(decoded: Column, source: Column, w: int, h: int) -> tuple[C
     return ratio(True), ratio(False)
 
 
-def band_mix(blocks: Column, w: int, h: int, reach: int = 16, gain: float = 8.0) -> Column:
-    """gain D - (gain - 1) mean, the mean over a box of ``reach`` each way, cut at the edges by true counts."""
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _box(plane: Column, n: int, along: int, reach: int, place) -> Column:
+    """Sums of the samples up to ``reach`` steps of ``along`` either way, cut at the ends of a line of ``n``."""
 
     def make(i):
-        y, x = _div(i, w), F.pmod(i, F.lit(w))
-        ys = F.sequence(F.greatest(y - reach, F.lit(0)), F.least(y + reach, F.lit(h - 1)))
-        xs = F.sequence(F.greatest(x - reach, F.lit(0)), F.least(x + reach, F.lit(w - 1)))
-        cells = F.flatten(F.transform(ys, lambda a: F.transform(xs, lambda b: _at(blocks, a * w + b))))
-        return gain * _at(blocks, i) - (gain - 1.0) * (F.aggregate(cells, F.lit(0.0), lambda s, v: s + v) / F.size(cells))
+        at = place(i)
+        low, high = F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.lit(n - 1))
+        start = i + (low - at) * along
+        # A running line: the samples of one line only, not of the whole box.
+        line = F.transform(F.sequence(F.lit(0), high - low), lambda s: _at(plane, start + s * along))
+        return F.aggregate(line, F.lit(0.0), lambda s, v: s + v)
+
+    return F.transform(F.sequence(F.lit(0), F.size(plane) - 1), make)
+
+
+def band_mix(blocks: Column, w: int, h: int, reach: int = 16, gain: float = 8.0) -> Column:
+    """gain D - (gain - 1) mean, the mean over a box of ``reach`` each way, cut at the edges by true counts.
 
-    return _made(F.lit(w * h), make)
+    The box is summed along rows, then along columns: 2 (2 reach + 1) samples each, not the square.
+    """
+    y, x = (lambda i: _div(i, w)), (lambda i: F.pmod(i, F.lit(w)))
+    sums = _let(_box(blocks, w, 1, reach, x), lambda rows: _box(rows, h, w, reach, y))
+    span = lambda at, n: F.least(at + reach, F.lit(n - 1)) - F.greatest(at - reach, F.lit(0)) + 1
+    return F.zip_with(blocks, F.transform(sums, lambda s, i: s / (span(y(i), h) * span(x(i), w))), lambda d, m: gain * d - (gain - 1.0) * m)
 
 
 def _strip(errors: Column, w: int, h: int, first: int, last: int, across: bool) -> Column:
@@ -149,3 +166,22 @@ def search_scale(limit: int, total) -> float:
         mid = (low + high) / 2
         low, high = (low, mid) if total(mid) <= limit else (mid, high)
     return high
+
+
+def finest_scale(limit: Column, total) -> Column:
+    """``search_scale`` as an expression: ``total`` gives the size column of a scale column."""
+    grid = [s for s in (0.05 * 2 ** (i / 5) for i in range(40)) if s <= 16.0]
+    scales = F.array(*[F.lit(s) for s in grid])
+    at = F.array_position(F.transform(scales, lambda s: total(s) <= limit), True)
+
+    def halve(bounds, _):
+        mid = (bounds["lo"] + bounds["hi"]) / 2
+        fits = total(mid) <= limit
+        return F.struct(F.when(fits, bounds["lo"]).otherwise(mid).alias("lo"), F.when(fits, mid).otherwise(bounds["hi"]).alias("hi"))
+
+    def search(place):
+        start = F.struct(F.element_at(scales, F.greatest(place - 1, F.lit(1)).cast("int")).alias("lo"), F.element_at(scales, F.greatest(place, F.lit(1)).cast("int")).alias("hi"))
+        found = F.aggregate(F.array(*[F.lit(0)] * 6), start, halve)["hi"]
+        return F.when(place == 0, F.lit(grid[-1])).when(place == 1, F.lit(grid[0])).otherwise(found)
+
+    return _let(at, search)

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from loomshed.scratch import placed, stored
 
 _MASK = (1 << 64) - 1
 #: Seed of the deterministic sample.
@@ -41,29 +47,12 @@ def default_size(n: int) -> int:
 
 
 def sample(spark: SparkSession, rows: DataFrame, order: str, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The rows at the sampled places of an order. At most 60 indexes by default, so the semi-join's side is small.
-
-    Places come from a two-level count, by range partition and inside it, so no task holds all rows.
-    """
-    ranked = with_place(rows, order)
+    """The rows at the sampled places of an order, with ``place``. At most 60 indexes by default, so the semi-join's side is small."""
     n = rows.count()
     if not n:
-        return ranked.limit(0)
+        return rows.withColumn("place", F.lit(0).cast("long")).limit(0)
     places = spark.createDataFrame([(i,) for i in sample_indexes(n, k or default_size(n), seed)], "place long")
-    return ranked.join(F.broadcast(places), "place", "left_semi")
-
-
-def with_place(rows: DataFrame, order: str) -> DataFrame:
-    """Adds ``place``, the 0-based rank by a unique column, by ranges: counts before a range, and rank inside."""
-    bounds = rows.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01)
-    bucket = F.lit(0)
-    for b in sorted(set(bounds)):
-        bucket = bucket + F.when(F.col(order) > b, 1).otherwise(0)
-    rows = rows.withColumn("_b", bucket)
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return rows.join(F.broadcast(before), "_b").withColumn("place", (F.col("_before") + inside).cast("long")).drop("_b", "_before")
+    return placed(rows, F.col(order).asc_nulls_first()).drop("block").join(F.broadcast(places), "place", "left_semi")
 
 
 def with_dense_place(rows: DataFrame, group: str, order: str, range_rows: int = 1000) -> DataFrame:
@@ -94,22 +83,97 @@ def project_sampled(rows: DataFrame, key: list[str], sampled: str, encoded: str,
     return rows.groupBy(*key).agg(F.round(known + rest / ratio).cast("long").alias("projected"))
 
 
-def next_fit(files: DataFrame, group: str, order: str, size: str, target: int) -> DataFrame:
-    """Part number of every file: a new part starts when a non-empty one would pass ``target``.
+_ENTRY = "first long, before long, parts long, left long"
 
-    The rule is a fold over a group's files in order: a running sum that starts
-    again depends on every file before it. Groups are clips, and only order and
-    size of their files are gathered.
-    """
-    files_ = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("part"), F.array().cast("array<struct<o:bigint,part:int>>").alias("out"))
 
-    def add(acc, f):
-        new = (F.size(acc["out"]) > 0) & (acc["cur"] + f["s"] > target)
-        part = F.when(new, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct((F.when(new, 0).otherwise(acc["cur"]) + f["s"]).cast("long").alias("cur"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(f["o"].cast("long").alias("o"), part.alias("part")))).alias("out"))
+def _entries(sizes, target: int):
+    """What a run of files makes of the room taken before it: rows (first, before, parts, left).
 
-    return files.groupBy(group).agg(files_.alias("f")).select(group, F.explode(F.aggregate("f", start, add)["out"]).alias("x")).select(group, F.col("x.o").alias(order), F.col("x.part").alias("part"))
+    While the files up to ``first`` still fit behind what was taken, they join the open part; if
+    file ``first`` is the one that does not, it begins a new part, and from there on the run makes
+    ``parts`` parts and leaves ``left`` in the last. ``before`` is the size of the files in front of
+    it. Only files that can be the first not to fit are listed; the last row is for a run that fits.
+    """
+    n = len(sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    # From a part that begins at i, the next begins at the first j > i with ends[j + 1] - ends[i] > target.
+    nxt = np.maximum(np.searchsorted(ends, ends[:-1] + target, "right") - 1, np.arange(n) + 1)
+    parts, left = np.ones(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = int(nxt[i])
+        parts[i], left[i] = (1, ends[n] - ends[i]) if j >= n else (1 + parts[j], left[j])
+    listed = [i for i in range(n) if ends[i] <= target]
+    return [(i, int(ends[i]), int(parts[i]), int(left[i])) for i in listed] + [(n, int(ends[n]), 0, int(ends[n]))]
+
+
+def _after(taken: int | None, entries, target: int, sizes_at) -> tuple[int, int]:
+    """(parts begun, room taken) after a run, from the room taken before it (None: nothing yet)."""
+    if taken is None:
+        first = entries[0]
+        return first[2], first[3]
+    for i, before, parts, left in entries:
+        if parts and taken + before + sizes_at(i) > target:
+            return parts, left
+    return 0, taken + entries[-1][1]
+
+
+def next_fit(files: DataFrame, group: str, order: str, size: str, target: int, most: int | None = None) -> DataFrame:
+    """(group, order, part): the part of every file of a group, in order; a new part starts when a non-empty one would pass ``target``.
+
+    A file above ``target`` has a part of its own; one above ``most`` is refused with an error.
+    A running sum that starts again depends on every file before, but a range of files
+    acts on what was taken before it through few numbers. So files are sorted in ranges; each
+    range tells what it makes of any start, as many rows as files fit in a part; one task a group
+    chains the ranges; and each range then deals out its own parts. A hot group is many ranges.
+    """
+    rows = files.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    if most is not None:
+        worst = rows.filter(F.col("s") > most).limit(1).collect()
+        if worst:
+            raise ValueError(f"{worst[0]['g']}: file {worst[0]['o']} is {worst[0]['s']} B, above the most of {most} B")
+    held = placed(rows, F.col("g").asc_nulls_first(), "o")
+    key = files.schema[group].dataType.simpleString()
+
+    def entries(keys, table):
+        table = table.sort_by("place")
+        sizes = table.column("s").to_numpy()
+        out = _entries(sizes, target)
+        first, before, parts, left = (list(c) for c in zip(*out, strict=True))
+        after = [int(sizes[i]) if i < len(sizes) else 0 for i in first]
+        return pa.table({"g": pa.repeat(keys[0], len(out)), "block": pa.repeat(keys[1], len(out)), "first": first, "before": before, "parts": parts, "left": left, "size": after})
+
+    told = stored(held.groupBy("g", "block").applyInArrow(entries, f"g {key}, block int, {_ENTRY}, size long"), "ranges")
+
+    def chain(keys, table):
+        table = table.sort_by([("block", "ascending"), ("first", "ascending")])
+        blocks = table.column("block").to_numpy()
+        cols = [table.column(c).to_pylist() for c in ("first", "before", "parts", "left", "size")]
+        out, taken, part = [], None, -1
+        for block in np.unique(blocks):
+            at = np.flatnonzero(blocks == block).tolist()
+            out.append((int(block), -1 if taken is None else taken, part))
+            sizes = {cols[0][i]: cols[4][i] for i in at}
+            begun, taken = _after(taken, [tuple(cols[c][i] for c in range(4)) for i in at], target, sizes.__getitem__)
+            part += begun
+        b, t, p = zip(*out, strict=True)
+        return pa.table({"g": pa.repeat(keys[0], len(out)), "block": pa.array(b, pa.int32()), "taken": pa.array(t, pa.int64()), "part": pa.array(p, pa.int64())})
+
+    starts = told.groupBy("g").applyInArrow(chain, f"g {key}, block int, taken long, part long")
+
+    def deal(keys, table):
+        table = table.sort_by("place")
+        taken, part, out = table.column("taken")[0].as_py(), table.column("part")[0].as_py(), []
+        for s in table.column("s").to_pylist():
+            if taken < 0 or taken + s > target:
+                taken, part = 0, part + 1
+            taken += s
+            out.append(part)
+        return pa.table({"g": table.column("g"), "o": table.column("o"), "part": pa.array(out, pa.int32())})
+
+    same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b"))
+    joined = held.join(starts.select(F.col("g").alias("_g"), F.col("block").alias("_b"), "taken", "part"), same).drop("_g", "_b")
+    dealt = joined.groupBy("g", "block").applyInArrow(deal, f"g {key}, o {files.schema[order].dataType.simpleString()}, part int")
+    return dealt.toDF(group, order, "part")
 
 
 def search_quality(curves: DataFrame, key: str, limit: str, sizes: str) -> DataFrame:
@@ -132,13 +196,47 @@ def search_quality(curves: DataFrame, key: str, limit: str, sizes: str) -> DataF
     return rows.select(key, F.aggregate(near, start, step)["q"].alias("quality"))
 
 
+class Upper:
+    """Nearest-rank percentile of all values so far, by two heaps: the lower ones hold as many as the rank."""
+
+    def __init__(self, percent: int):
+        self.percent, self.low, self.high = percent, [], []
+
+    def add(self, value: float) -> float:
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        n = len(self.low) + len(self.high)
+        rank = max(1, min(n, math.ceil(self.percent / 100 * n)))
+        while len(self.low) < rank:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+        while len(self.low) > rank:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        return -self.low[0]
+
+
 def running_p95(rows: DataFrame, key: str, order: list[str], ms: str, total: int) -> DataFrame:
-    """After each frame: nearest-rank p95 of all times so far, times the frames left."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.array_sort(F.collect_list(ms).over(w))
-    n = F.size("_seen")
-    rank = F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(0.95) * n))).cast("int")
-    return rows.withColumn("_seen", seen).withColumns({"done": n, "p95": F.element_at("_seen", rank)}).withColumn("eta", F.col("p95") * F.greatest(F.lit(total) - F.col("done"), F.lit(0))).drop("_seen")
+    """After each frame of a run: ``done``, the nearest-rank p95 of all its times so far, and ``eta``, that times the frames left.
+
+    Runs are dealt out by key and sorted; a task streams through them and holds the
+    times of one run, eight bytes a frame. Null times take no part but are counted.
+    """
+    kinds = T.StructType([*rows.schema.fields, T.StructField("done", T.IntegerType()), T.StructField("p95", T.DoubleType()), T.StructField("eta", T.DoubleType())])
+
+    def run(batches):
+        now, done, upper = object(), 0, Upper(95)
+        for b in batches:
+            counts, p95s, etas = [], [], []
+            for k, value in zip(b.column(b.schema.get_field_index(key)).to_pylist(), b.column(b.schema.get_field_index(ms)).to_pylist(), strict=True):
+                if k != now:
+                    now, done, upper, p95 = k, 0, Upper(95), None
+                done += 1
+                if value is not None:
+                    p95 = upper.add(value)
+                counts.append(done)
+                p95s.append(p95)
+                etas.append(None if p95 is None else p95 * max(total - done, 0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int32()), pa.array(p95s, pa.float64()), pa.array(etas, pa.float64())], names=kinds.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kinds)
 
 
 def running_rate(rows: DataFrame, key: str, order: list[str], elapsed: str, total: int, static_eta: float) -> DataFrame:
@@ -157,24 +255,91 @@ def naming(stems: DataFrame, key: list[str], stem: str) -> DataFrame:
     return stems.groupBy(*key).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("fine"), F.min(first).alias("a"), F.max(first).alias("b")).select(*key, F.when(F.col("fine") & (F.col("a") == F.col("b")), F.col("a")).alias("designation"))
 
 
-def resolve_selection(universe: set[str], include: list[str] | None, skip: list[str] | None) -> set[str] | None:
-    """Chosen clips: errors come in the order unknown names, conflicts, nothing left; no flags give None."""
-    include_, skip_ = set(include or ()), set(skip or ())
+#: Names of a selection, at most: they are typed by hand.
+MOST_NAMES = 10_000
+
+
+def resolve_selection(clips: DataFrame, clip: str, include: list[str] | None, skip: list[str] | None) -> DataFrame | None:
+    """The chosen clips of (clip); errors come in the order unknown names, conflicts, nothing left; no flags give None.
+
+    The names given are few and checked; the clips are not, and never leave the executors.
+    """
     if include is None and skip is None:
         return None
-    if unknown := (include_ | skip_) - universe:
+    include_, skip_ = sorted(set(include or ())), sorted(set(skip or ()))
+    if len(include_) + len(skip_) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} names in a selection")
+    spark, universe = clips.sparkSession, clips.select(clip).distinct()
+    named = lambda names: F.broadcast(spark.createDataFrame([(n,) for n in names], f"{clip} string"))
+    known = {r[0] for r in universe.join(named([*include_, *skip_]), clip, "left_semi").collect()}
+    if unknown := {*include_, *skip_} - known:
         raise ValueError(f"unknown: {', '.join(sorted(unknown))}")
-    if both := include_ & skip_:
+    if both := set(include_) & set(skip_):
         raise ValueError(f"both included and skipped: {', '.join(sorted(both))}")
-    chosen = include_ if include else universe - skip_
-    if not chosen:
+    chosen = universe.join(named(include_), clip, "left_semi") if include_ else universe.join(named(skip_), clip, "left_anti")
+    if not chosen.limit(1).count():
         raise ValueError("nothing is selected")
     return chosen
 
 
+def apply_selection(frames: DataFrame, chosen: DataFrame | None, clip: str) -> DataFrame:
+    """Frames of the chosen clips; all of them without a selection."""
+    return frames if chosen is None else frames.join(chosen, clip, "left_semi")
+
+
 def parse_list(value: str) -> list[str]:
     """Names between commas, trimmed; an empty one is an error."""
     names = [v.strip() for v in value.split(",")]
     if not all(names):
         raise ValueError("empty name in a list")
     return names
+
+
+def smallest(candidates: DataFrame, key: list[str], candidate: str, size: str) -> DataFrame:
+    """The smallest candidate of a key with its size, the earliest on a tie."""
+    return candidates.groupBy(*key).agg(F.min_by(candidate, F.struct(size, candidate)).alias(candidate), F.min(size).alias(size))
+
+
+def latest(chain: DataFrame, key: list[str], number: str, what: str) -> DataFrame:
+    """The last record of each chain, and the next generation's number."""
+    return chain.groupBy(*key).agg((F.max(number) + 1).alias("next_generation"), F.max_by(what, number).alias("latest"))
+
+
+def candidate_families(families: DataFrame, frames: DataFrame, on: list[str], default: list[str]) -> DataFrame:
+    """Frames with the ordered candidates of their geometry and grid; ``families`` is (on..., candidates), one row a key.
+
+    Every geometry that has no family gets the ``default`` one.
+    """
+    found = frames.join(families, on, "left")
+    return found.withColumn("candidates", F.coalesce("candidates", F.array(*[F.lit(d) for d in default])))
+
+
+def fingerprint(indexes: DataFrame, place: str) -> DataFrame:
+    """SHA-256 of a sample's sorted places, as text; a sample is at most some thousand places."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p.cast("string")), ",")
+    return indexes.agg(F.sha2(F.concat(listed, F.lit("\n")).cast("binary"), 256).alias("sha256"), F.count(F.lit(1)).alias("places"))
+
+
+def source_totals(outcomes: DataFrame, ordinal: str, source: str) -> DataFrame:
+    """Clips and files of each source, in the order of the arguments, with running sums over the sources before."""
+    w = Window.orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = outcomes.groupBy(ordinal, source).agg(F.countDistinct("clip").alias("clips"), F.sum("files").alias("files"))
+    return each.withColumns({"clips_so_far": F.sum("clips").over(w), "files_so_far": F.sum("files").over(w)})
+
+
+def first_place(places: list[Column]) -> Column:
+    """The first place that is there, of several in order of precedence."""
+    return F.coalesce(*places)
+
+
+# Endings of files that an interrupted run leaves.
+TEMP_SUFFIXES = (".dng.tmp", ".sidecar.tmp")
+
+
+def stale_files(files: DataFrame, rel: str) -> DataFrame:
+    """Files that an interrupted run left, by their endings."""
+    name = F.substring_index(rel, "/", -1)
+    stale = F.lit(False)
+    for suffix in TEMP_SUFFIXES:
+        stale = stale | name.endswith(suffix)
+    return files.filter(stale)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomshed.scratch import few
+
 
 def first_of(*cases: tuple[Column, str], otherwise: str) -> Column:
     """The verdict of the first case that holds; order is part of every audit's contract."""
@@ -39,15 +41,18 @@ def run_verdict(counts: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def audit(manifest: DataFrame, disk: DataFrame, key: str) -> DataFrame:
-    """Manifest rows against disk: missing, unreadable, size, sha256, crc32c (where recorded), ok.
+    """Manifest rows against disk, the first failing check: missing, unreadable, size, unreadable, sha256, crc32c, ok.
 
-    manifest: key, size, sha256, crc32c or null. disk: key, d_size, d_sha256 (null: unreadable), d_crc32c.
+    manifest: key, size, sha256, crc32c or null. disk: key, d_size (null: not even its size can be
+    had), d_sha256 (null: unreadable), d_crc32c. A size is known before a file is read, so a file of
+    the wrong size that cannot be read has the wrong size.
     """
     seen = disk.withColumn("on_disk", F.lit(True))
     verdict = first_of(
         (F.col("on_disk").isNull(), "missing"),
-        (F.col("d_sha256").isNull(), "unreadable"),
+        (F.col("d_size").isNull(), "unreadable"),
         (F.col("size") != F.col("d_size"), "size"),
+        (F.col("d_sha256").isNull(), "unreadable"),
         (F.col("sha256") != F.col("d_sha256"), "sha256"),
         (F.col("crc32c").isNotNull() & (F.col("crc32c") != F.col("d_crc32c")), "crc32c"),
         otherwise="ok",
@@ -120,10 +125,29 @@ def member_verdicts(source: DataFrame, copy: DataFrame, key: str) -> DataFrame:
     return source.join(seen, key, "left").select(key, verdict.alias("verdict"))
 
 
-def member_reverify(record: DataFrame, disk: DataFrame, key: str) -> DataFrame:
-    """Rows that no longer match; a recorded sha of '-' matches any."""
-    fine = (F.col("size") == F.col("d_size")) & ((F.col("sha256") == "-") | (F.col("sha256") == F.col("d_sha256")))
-    return record.join(disk, key, "left").filter(~F.coalesce(fine, F.lit(False))).select(key)
+def reverify(record: DataFrame, disk: DataFrame, key: list[str], dests: DataFrame | None = None) -> DataFrame:
+    """Recorded copies against disk: DEST_MISSING, MISSING, UNREADABLE, SIZE, UNREADABLE, SHA, OK.
+
+    record: key, size, sha256 ('-' matches any). disk: key, d_size and d_sha256 (null: unreadable).
+    ``dests`` holds the first columns of the key that are there; every row of another one is bad,
+    whatever the disk says.
+    """
+    rows = record.join(disk.withColumn("on_disk", F.lit(True)), key, "left")
+    gone = F.lit(False)
+    if dests is not None:
+        rows = rows.join(dests.withColumn("dest_here", F.lit(True)).distinct(), dests.columns, "left")
+        gone = F.col("dest_here").isNull()
+    verdict = first_of(
+        (gone, "DEST_MISSING"),
+        (F.col("on_disk").isNull(), "MISSING"),
+        (F.col("d_size").isNull(), "UNREADABLE"),
+        (F.col("size") != F.col("d_size"), "SIZE"),
+        (F.col("sha256") == "-", "OK"),
+        (F.col("d_sha256").isNull(), "UNREADABLE"),
+        (F.col("sha256") != F.col("d_sha256"), "SHA"),
+        otherwise="OK",
+    )
+    return rows.select(*key, verdict.alias("verdict"))
 
 
 def rederived(recorded: DataFrame, derived: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -146,19 +170,115 @@ def stale_rows(sidecar: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     return sidecar.join(frames, key, "left_anti").select(key)
 
 
-def fan_out(files: DataFrame, dests: DataFrame, existing: DataFrame, key: str, dest: str) -> DataFrame:
-    """Every file for every destination, skipped where size and digest already agree.
+#: Destinations of a copy: volumes attached to one machine.
+MOST_DESTS = 1000
 
-    Destinations are few by nature (volumes attached to one machine); their
-    number is checked before they are broadcast.
-    """
-    names = [r[0] for r in dests.select(dest).distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("over 1,000 destinations")
-    each = files.withColumn(dest, F.explode(F.array(*[F.lit(n) for n in names])))
+
+def each_dest(files: DataFrame, dests: DataFrame, dest: str) -> DataFrame:
+    """Every file for every destination; destinations are few by nature, and their number is checked."""
+    return files.withColumn(dest, F.explode(F.array(*[F.lit(n) for n in few(dests, dest, MOST_DESTS)])))
+
+
+def fan_out(files: DataFrame, dests: DataFrame, existing: DataFrame, key: str, dest: str) -> DataFrame:
+    """Every file for every destination, skipped where size and digest already agree."""
     held = existing.select(key, dest, F.col("size").alias("e_size"), F.col("sha256").alias("e_sha"))
     action = F.when((F.col("e_size") == F.col("size")) & (F.col("e_sha") == F.col("sha256")), "skip").otherwise("copy")
-    return each.join(held, [key, dest], "left").select(key, dest, F.coalesce(action, F.lit("copy")).alias("action"))
+    return each_dest(files, dests, dest).join(held, [key, dest], "left").select(key, dest, F.coalesce(action, F.lit("copy")).alias("action"))
+
+
+def nested_paths(paths: DataFrame, name: str, path: str) -> DataFrame:
+    """(a, b, guard) of paths that are the same, or of which one contains the other; a before b by name.
+
+    Each path meets its own prefixes, so no pairs are tried.
+    """
+    parts = F.split(F.col(path), "/")
+    ups = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    low = paths.select(F.col(name).alias("low"), F.col(path).alias("low_path"), F.explode(ups).alias("up"))
+    high = paths.select(F.col(name).alias("high"), F.col(path).alias("up"))
+    pairs = high.join(low, "up").filter("high <> low")
+    guard = F.when(F.col("up") == F.col("low_path"), "same").when(F.col("high") > F.col("low"), "inside").otherwise("contains")
+    return pairs.select(F.least("high", "low").alias("a"), F.greatest("high", "low").alias("b"), guard.alias("guard")).distinct()
+
+
+def known_digest(*sources: Column) -> Column:
+    """The first known digest of several, '-' for none."""
+    return F.coalesce(*sources, F.lit("-"))
+
+
+def reel_rows(archives: DataFrame, disk: DataFrame) -> DataFrame:
+    """Archives of reels (clip, archive, sha256) against disk (archive, d): missing, sha256, ok."""
+    verdict = first_of((F.col("d").isNull(), "missing"), (F.col("d") != F.col("sha256"), "sha256"), otherwise="ok")
+    return archives.join(disk, "archive", "left").select("clip", "archive", verdict.alias("verdict"))
+
+
+def restore_actions(offenders: DataFrame, master: DataFrame, key: str, fine: str) -> DataFrame:
+    """Offenders with what restores them: 'restore' from a master that verifies, 'master bad', or 'no master'."""
+    found = offenders.join(master.select(key, F.col(fine).alias("_fine"), F.lit(True).alias("_held")), key, "left")
+    action = first_of((F.col("_held").isNull(), "no master"), (F.coalesce(~F.col("_fine"), F.lit(True)), "master bad"), otherwise="restore")
+    return found.withColumn("action", action).drop("_fine", "_held")
+
+
+def pin_states(pins: DataFrame, found: DataFrame) -> DataFrame:
+    """(component, expected, probe, state) of pins (component, expected, probe); the first word of a probe says how to compare.
+
+    ``found`` is (component, name, value): what runs. 'version-contains' wants the expected text in
+    every value of a component that can be resolved, and passes others as skipped. 'lock-grep NAME'
+    wants the value of that name and component to be equal, and drifts where there is none.
+    'toml-grep' is the tool itself; all other probes are another program's, passed as skipped.
+    """
+    kind, name = F.split_part("probe", F.lit(" "), F.lit(1)), F.split_part("probe", F.lit(" "), F.lit(2))
+    rows = pins.withColumns({"_kind": kind, "_name": name})
+    told = found.select(F.col("component").alias("_c"), F.col("name").alias("_n"), "value")
+    same = (F.col("component") == F.col("_c")) & ((F.col("_kind") == "version-contains") | (F.col("_name") == F.col("_n")))
+    fits = F.when(F.col("_kind") == "version-contains", F.contains("value", "expected")).otherwise(F.col("value") == F.col("expected"))
+    joined = rows.join(told, same, "left").groupBy("component", "expected", "probe", "_kind").agg(F.count("value").alias("known"), F.bool_and(fits).alias("fits"))
+    drift = F.when(F.coalesce("fits", F.lit(False)), "OK").otherwise("DRIFT")
+    state = (
+        F.when((F.col("_kind") == "version-contains") & (F.col("known") == 0), "skip-OK")
+        .when(F.col("_kind").isin("version-contains", "lock-grep"), drift)
+        .when(F.col("_kind") == "toml-grep", "OK")
+        .otherwise("skip-OK")
+    )
+    return joined.select("component", "expected", "probe", state.alias("state"))
+
+
+def completion(objects: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Whether the archive of each clip is complete, or the first reason why not.
+
+    objects: key, object_sha (null: no object), sidecar_sha (null: no sidecar), has_manifest,
+    file_count (null: unreadable). current: key, rows now.
+    """
+    rows = objects.join(current, key, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    verdict = first_of(
+        (F.col("object_sha").isNull(), "no object"),
+        (F.col("sidecar_sha").isNull(), "no sidecar"),
+        (~F.col("has_manifest"), "no manifest"),
+        (F.col("sidecar_sha") != F.col("object_sha"), "sha256"),
+        (F.col("file_count").isNull(), "no count"),
+        (F.col("file_count") != F.col("rows"), "stale"),
+        otherwise="complete",
+    )
+    return rows.select(key, verdict.alias("verdict"))
+
+
+def neighbour_frames(neighbours: DataFrame, frames: DataFrame, clip: str, ordinal: str) -> DataFrame:
+    """Facts of each frame's neighbour (clip, ordinal, neighbour), by a join on its place; nulls where it has none."""
+    facts = frames.withColumnRenamed(ordinal, "neighbour")
+    return neighbours.join(facts, [clip, "neighbour"], "left")
+
+
+def camera_line(frames: DataFrame, profiles: DataFrame | None, path: str, levels: list[list[str]]) -> str:
+    """Verdict of a clip's camera by its first frame alone: ABSENT without frames, profiles or facts, else OK or UNKNOWN.
+
+    Only that frame's row and its verdict reach the driver.
+    """
+    first = frames.orderBy(path).limit(1)
+    if profiles is None:
+        return "ABSENT"
+    got = resolve_levels(first, profiles, levels).withColumn("_known", F.col(levels[0][0]).isNotNull()).select("failed_level", "_known").collect()
+    if not got or not got[0]["_known"]:
+        return "ABSENT"
+    return "OK" if got[0]["failed_level"] == 0 else "UNKNOWN"
 
 
 def resolve_levels(frames: DataFrame, profiles: DataFrame, levels: list[list[str]]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomshed.scratch import placed
+
 BIG = "decimal(38,0)"
 
 
@@ -54,30 +56,53 @@ def is_black(span: Column, var_num: Column, n: Column) -> Column:
     return (n > 0) & ((span < 32) | (var_num < (F.lit(256).cast("decimal(10,0)") * (n * n).cast("decimal(20,0)")).cast(BIG)))
 
 
-def histogram_percentiles(samples: DataFrame, key: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles from a histogram, with the rank ceil(p n / 100) in whole numbers.
+def cumulative(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, value, c, cum, n): the histogram of each key with counts up to a value, and of all.
 
-    The window runs over distinct values, so it is as large as the histogram.
+    Equal values are one row, so a value that many rows have costs nothing. The
+    rest is summed in two levels, in ranges of (key, value) and over the ranges of a
+    key, so a key with a third of all rows is many tasks.
     """
-    hist = samples.groupBy(*key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*key)
-    cum = hist.withColumns({"cum": F.sum("c").over(w.orderBy(value)), "all": F.sum("c").over(w)})
-    picks = [F.min(F.when(F.col("cum") >= F.expr(f"({p} * all + 99) div 100"), F.col(value))).alias(f"p{p}") for p in percents]
-    return cum.groupBy(*key).agg(F.max("all").alias("n"), *picks)
+    hist = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("c"))
+    held = placed(hist, *[F.col(k).asc_nulls_first() for k in key], F.col(value).asc_nulls_first()).drop("place")
+    sums = held.groupBy(*key, "block").agg(F.sum("c").alias("_c"))
+    over = Window.partitionBy(*key)
+    before = sums.withColumns({"_ahead": F.sum("_c").over(over.orderBy("block")) - F.col("_c"), "n": F.sum("_c").over(over)}).drop("_c")
+    inside = F.sum("c").over(Window.partitionBy(*key, "block").orderBy(F.col(value).asc_nulls_first()))
+    mine = held.withColumn("_inside", inside)
+    same = F.col("l.block") == F.col("r.block")
+    for k in key:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    both = mine.alias("l").join(before.alias("r"), same)
+    return both.select(*[F.col(f"l.{k}").alias(k) for k in key], F.col(f"l.{value}").alias(value), "c", (F.col("_ahead") + F.col("_inside")).alias("cum"), "n")
+
+
+def histogram_percentiles(samples: DataFrame, key: list[str], value: str, percents: list[int]) -> DataFrame:
+    """Nearest-rank percentiles from a histogram, with the rank ceil(p n / 100) in whole numbers."""
+    cum = cumulative(samples, key, value)
+    picks = [F.min(F.when(F.col("cum") >= F.expr(f"({p} * n + 99) div 100"), F.col(value))).alias(f"p{p}") for p in percents]
+    return cum.groupBy(*key).agg(F.max("n").alias("n"), *picks)
+
+
+def _at_rank(rank: Column, value: str) -> Column:
+    """Value at a 1-based rank, over the rows of ``cumulative``."""
+    return F.min(F.when(F.col("cum") >= rank, F.col(value)))
 
 
 def estimate_band(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """min, interpolated median, nearest-rank p10, p50 and p90 with float ranks, max."""
-    w = Window.partitionBy(*key)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)})
-    at = lambda p: F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.lit(p) * F.col("n")))), F.col(value)))
-    return ranked.groupBy(*key).agg(F.max("n").alias("n"), F.min(value).alias("lo"), F.median(value).alias("median"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(value).alias("hi"))
+    """min, interpolated median, nearest-rank p10, p50 and p90 with float ranks, max; nulls take no part."""
+    cum = cumulative(rows.filter(F.col(value).isNotNull()), key, value)
+    n = F.col("n")
+    at = lambda p: _at_rank(F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(p) * n))), value)
+    median = (_at_rank(F.expr("(n + 1) div 2"), value) + _at_rank(F.expr("n div 2 + 1"), value)) / 2
+    return cum.groupBy(*key).agg(F.max("n").alias("n"), F.min(value).alias("lo"), median.alias("median"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(value).alias("hi"))
 
 
 def distribution_gate(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """Mean in [0.10, 1.20], upper median in [0.10, 1.40], at most five values over 1.5; the first failure is named."""
-    w = Window.partitionBy(*key)
-    ranked = rows.withColumns({"r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count(F.lit(1)).over(w)})
-    got = ranked.groupBy(*key).agg(F.avg(value).alias("mean"), F.max(F.when(F.col("r") == F.expr("n div 2"), F.col(value))).alias("upper_median"), F.count_if(F.col(value) > 1.5).alias("n_over"))
+    cum = cumulative(rows, key, value)
+    mean = F.sum(F.col(value) * F.col("c")) / F.sum(F.when(F.col(value).isNotNull(), F.col("c")))
+    over = F.coalesce(F.sum(F.when(F.col(value) > 1.5, F.col("c"))), F.lit(0))
+    got = cum.groupBy(*key).agg(mean.alias("mean"), _at_rank(F.expr("n div 2 + 1"), value).alias("upper_median"), over.alias("n_over"))
     gate = F.when(~F.col("mean").between(0.10, 1.20), "mean").when(~F.col("upper_median").between(0.10, 1.40), "median").when(F.col("n_over") > 5, "outliers").otherwise("ok")
     return got.withColumn("gate", gate)

@@ -10,7 +10,7 @@ from loomshed.session import table
 
 # A manifest of documents, and a disk on which some are missing, unreadable, resized or altered.
 _MANIFEST = "SELECT doc_id, n_chars AS size, sha256(text) AS sha256, CASE WHEN doc_id % 3 = 0 THEN (doc_id * 31 % 1000)::VARCHAR END AS crc32c FROM documents"
-_DISK = """SELECT doc_id, n_chars + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS d_size, CASE WHEN doc_id % 11 <> 0 THEN sha256(CASE WHEN doc_id % 17 = 0 THEN text || '!' ELSE text END) END AS d_sha256,
+_DISK = """SELECT doc_id, CASE WHEN doc_id % 31 <> 0 THEN n_chars + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END END AS d_size, CASE WHEN doc_id % 11 <> 0 THEN sha256(CASE WHEN doc_id % 17 = 0 THEN text || '!' ELSE text END) END AS d_sha256,
   (doc_id * 31 % 1000 + CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 0 END)::VARCHAR AS d_crc32c, doc_id % 23 <> 0 AS is_file FROM documents WHERE doc_id % 7 <> 0"""
 
 
@@ -27,7 +27,7 @@ def disk(spark: SparkSession, sf: str) -> DataFrame:
         .filter(d % 7 != 0)
         .select(
             "doc_id",
-            (F.col("n_chars") + F.when(d % 13 == 0, 1).otherwise(0)).alias("d_size"),
+            F.when(d % 31 != 0, F.col("n_chars") + F.when(d % 13 == 0, 1).otherwise(0)).alias("d_size"),
             F.when(d % 11 != 0, F.sha2(text.cast("binary"), 256)).alias("d_sha256"),
             (d * 31 % 1000 + F.when(d % 19 == 0, 1).otherwise(0)).cast("string").alias("d_crc32c"),
             (d % 23 != 0).alias("is_file"),
@@ -35,13 +35,17 @@ def disk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_AUDIT = """WHEN on_disk IS NULL THEN 'missing' WHEN d_size IS NULL THEN 'unreadable' WHEN size <> d_size THEN 'size' WHEN d_sha256 IS NULL THEN 'unreadable'
+  WHEN sha256 <> d_sha256 THEN 'sha256' WHEN crc32c IS NOT NULL AND crc32c <> d_crc32c THEN 'crc32c'"""
+
+
 def _audit_sql(cases: str, otherwise: str) -> str:
     return f"WITH m AS ({_MANIFEST}), d AS (SELECT *, true AS on_disk FROM ({_DISK})) SELECT doc_id, CASE {cases} ELSE '{otherwise}' END AS verdict FROM m LEFT JOIN d USING (doc_id)"
 
 
 @register(
     "sidecar_audit",
-    _audit_sql("WHEN on_disk IS NULL THEN 'missing' WHEN d_sha256 IS NULL THEN 'unreadable' WHEN size <> d_size THEN 'size' WHEN sha256 <> d_sha256 THEN 'sha256' WHEN crc32c IS NOT NULL AND crc32c <> d_crc32c THEN 'crc32c'", "ok"),
+    _audit_sql(_AUDIT, "ok"),
 )
 def sidecar_audit(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest against disk, first failing check."""
@@ -72,20 +76,36 @@ def member_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return rc.member_verdicts(m, disk(spark, sf), "doc_id")
 
 
+_REVERIFY = """WHEN d.doc_id IS NULL THEN 'MISSING' WHEN d_size IS NULL THEN 'UNREADABLE' WHEN size <> d_size THEN 'SIZE' WHEN m.sha256 = '-' THEN 'OK' WHEN d_sha256 IS NULL THEN 'UNREADABLE'
+  WHEN m.sha256 <> d_sha256 THEN 'SHA' ELSE 'OK'"""
+
+
 @register(
     "member_reverify",
     f"""WITH m AS (SELECT doc_id, size, CASE WHEN doc_id % 5 = 0 THEN '-' ELSE sha256 END AS sha256 FROM ({_MANIFEST})), d AS ({_DISK})
-    SELECT doc_id FROM m LEFT JOIN d USING (doc_id) WHERE NOT coalesce(size = d_size AND (sha256 = '-' OR sha256 = d_sha256), false)""",
+    SELECT m.doc_id, CASE {_REVERIFY} END AS verdict FROM m LEFT JOIN d ON m.doc_id = d.doc_id""",
 )
 def member_reverify(spark: SparkSession, sf: str) -> DataFrame:
-    """Members that no longer match; '-' matches any digest."""
+    """Members against disk; '-' matches any digest."""
     m = manifest(spark, sf).withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, "-").otherwise(F.col("sha256")))
-    return rc.member_reverify(m, disk(spark, sf), "doc_id")
+    return rc.reverify(m, disk(spark, sf), ["doc_id"])
+
+
+@register(
+    "offload_reverify",
+    f"""WITH m AS ({_MANIFEST}), d AS ({_DISK}), r AS (SELECT source AS dest, doc_id FROM documents)
+    SELECT dest, m.doc_id, CASE WHEN dest IN ('src2', 'src5') OR dest IS NULL THEN 'DEST_MISSING' {_REVERIFY} END AS verdict FROM m JOIN r USING (doc_id) LEFT JOIN d ON m.doc_id = d.doc_id""",
+)
+def offload_reverify(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies at several destinations; every row of an absent destination is bad."""
+    dest = table(spark, sf, "documents").select("doc_id", F.col("source").alias("dest"))
+    here = dest.select("dest").distinct().filter(~F.col("dest").isin("src2", "src5"))
+    return rc.reverify(manifest(spark, sf).join(dest, "doc_id"), disk(spark, sf).join(dest, "doc_id"), ["dest", "doc_id"], here)
 
 
 @register(
     "audit_summary",
-    f"""WITH v AS ({_audit_sql("WHEN on_disk IS NULL THEN 'missing' WHEN d_sha256 IS NULL THEN 'unreadable' WHEN size <> d_size THEN 'size' WHEN sha256 <> d_sha256 THEN 'sha256' WHEN crc32c IS NOT NULL AND crc32c <> d_crc32c THEN 'crc32c'", "ok")})
+    f"""WITH v AS ({_audit_sql(_AUDIT, "ok")})
     SELECT source AS clip, count(*) AS total, count(*) FILTER (WHERE verdict = 'ok') AS ok, count(*) FILTER (WHERE verdict <> 'ok') AS dirty,
       CASE WHEN count(*) FILTER (WHERE verdict <> 'ok') = 0 THEN 'UNLOCKED' ELSE 'REFUSED' END AS card FROM v JOIN documents USING (doc_id) GROUP BY 1""",
 )
@@ -193,8 +213,7 @@ def reel_row_check(spark: SparkSession, sf: str) -> DataFrame:
     reels = o.groupBy(F.col("o_custkey").alias("clip")).agg(joined(lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("archive"), joined(md5).alias("archive_sha256"))
     k = F.col("o_orderkey")
     held = o.filter(k % 15 != 0).select(F.concat(F.lit("a"), k.cast("string")).alias("archive"), md5(k + F.when(k % 10 == 0, 1).otherwise(0)).alias("d"))
-    verdict = rc.first_of((F.col("d").isNull(), "missing"), (F.col("d") != F.col("sha256"), "sha256"), otherwise="ok")
-    return reel_archives(reels).join(held, "archive", "left").select("clip", "archive", verdict.alias("verdict"))
+    return rc.reel_rows(reel_archives(reels), held)
 
 
 @register(
@@ -205,7 +224,7 @@ def source_sha_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """The first known digest of several."""
     k, md5 = F.col("doc_id"), lambda c: F.md5(F.col(c).cast("binary"))
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.when(k % 3 == 0, md5("text")), F.when(F.col("quality") == 1, md5("lang")), F.when(k % 2 == 0, md5("source")), F.lit("-")).alias("sha"))
+    return rows.select("doc_id", rc.known_digest(F.when(k % 3 == 0, md5("text")), F.when(F.col("quality") == 1, md5("lang")), F.when(k % 2 == 0, md5("source"))).alias("sha"))
 
 
 @register(
@@ -219,7 +238,8 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
     md5 = lambda c: F.md5(c.cast("binary"))
     files = d.select("doc_id", F.col("n_chars").alias("size"), md5(F.col("text")).alias("sha256"))
     dests = table(spark, sf, "region")
-    held = d.crossJoin(F.broadcast(dests)).filter((k + F.col("r_regionkey")) % 3 == 0).select("doc_id", "r_name", F.col("n_chars").alias("size"), md5(F.concat("text", F.when(k % 4 == 0, "!").otherwise(""))).alias("sha256"))
+    there = rc.each_dest(d, dests, "r_name").join(dests, "r_name").filter((k + F.col("r_regionkey")) % 3 == 0)
+    held = there.select("doc_id", "r_name", F.col("n_chars").alias("size"), md5(F.concat("text", F.when(k % 4 == 0, "!").otherwise(""))).alias("sha256"))
     return rc.fan_out(files, dests, held, "doc_id", "r_name")
 
 
@@ -233,10 +253,7 @@ def path_guards(spark: SparkSession, sf: str) -> DataFrame:
     """Equal and nested folders, found by joining each path's own prefixes, not all pairs."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     p = n.select(F.col("n_nationkey").alias("i"), F.concat(F.lit("/"), "r_name", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("/"), "n_name")).otherwise("")).alias("path"))
-    parts = F.split("path", "/")
-    ups = p.select(F.col("i").alias("low"), F.col("path").alias("low_path"), F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path"))
-    pairs = p.join(ups, "path").filter("i <> low").select("i", "low", F.when(F.col("path") == F.col("low_path"), "same").otherwise("contains").alias("guard"))
-    return pairs.select(F.least("i", "low").alias("i"), F.greatest("i", "low").alias("j"), F.when((F.col("guard") == "contains") & (F.col("i") > F.col("low")), "inside").otherwise(F.col("guard")).alias("guard")).distinct()
+    return rc.nested_paths(p, "i", "path").toDF("i", "j", "guard")
 
 
 @register(
@@ -372,12 +389,8 @@ def selection_universe(spark: SparkSession, sf: str) -> DataFrame:
 @register("applied_selection", "SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents) AND source NOT IN ('src1', 'src3')")
 def applied_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of the chosen clips."""
-    from loomshed.operators.planning import parse_list, resolve_selection
-
     d = table(spark, sf, "documents").select("doc_id", "source")
-    universe = {r[0] for r in d.select("source").distinct().limit(100_000).collect()}
-    chosen = resolve_selection(universe, None, parse_list("src1, src3"))
-    return d.filter(F.col("source").isin(*sorted(chosen)))
+    return planning.apply_selection(d, planning.resolve_selection(d, "source", None, planning.parse_list("src1, src3")), "source")
 
 
 @register(
@@ -394,16 +407,33 @@ def content_rows_identical(spark: SparkSession, sf: str) -> DataFrame:
     return side(0, "a").join(side(1, "b"), ["reel", "i"], "full").groupBy("reel").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
 
 
+_PINS = """SELECT p_name || p_partkey AS component, p_type AS expected, CASE p_size % 5 WHEN 0 THEN 'version-contains --version' WHEN 1 THEN 'lock-grep ' || p_brand WHEN 2 THEN 'toml-grep version'
+  WHEN 3 THEN 'sha256-equal' ELSE 'version-contains -V' END AS probe, p_partkey AS k, p_size AS s, p_brand AS b FROM part"""
+
+
 @register(
     "pin_check",
-    """SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'skip-OK' WHEN p_partkey % 3 = 0 THEN CASE WHEN starts_with(p_type, 'STANDARD') THEN 'OK' ELSE 'DRIFT' END
-      WHEN p_partkey % 3 = 1 THEN CASE WHEN p_size >= 25 THEN 'OK' ELSE 'DRIFT' END ELSE CASE WHEN p_brand = 'Brand#1' || (p_size % 5 + 1) THEN 'OK' ELSE 'DRIFT' END END AS state FROM part""",
+    f"""WITH pins AS ({_PINS}), found AS (SELECT component, CASE WHEN k % 7 = 0 THEN 'other' ELSE b END AS name, CASE WHEN k % 4 = 0 THEN 'v. ' || expected || ' x' ELSE expected END AS value FROM pins WHERE k % 3 <> 0),
+    told AS (SELECT p.component, p.expected, p.probe, count(f.value) AS known, bool_and(CASE WHEN starts_with(probe, 'version') THEN contains(f.value, p.expected) ELSE f.value = p.expected END) AS fits
+      FROM pins p LEFT JOIN found f ON f.component = p.component AND (starts_with(probe, 'version') OR f.name = split_part(p.probe, ' ', 2)) GROUP BY ALL)
+    SELECT component, expected, probe, CASE WHEN starts_with(probe, 'version') AND known = 0 THEN 'skip-OK' WHEN starts_with(probe, 'version') OR starts_with(probe, 'lock') THEN CASE WHEN coalesce(fits, false) THEN 'OK' ELSE 'DRIFT' END
+      WHEN starts_with(probe, 'toml') THEN 'OK' ELSE 'skip-OK' END AS state FROM told""",
 )
 def pin_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Each row's probe decides how it is compared; what cannot be resolved passes as skipped."""
+    """Each pin's probe decides how what runs is compared; what cannot be resolved passes as skipped."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    fine = F.when(k % 3 == 0, F.col("p_type").startswith("STANDARD")).when(k % 3 == 1, s >= 25).otherwise(F.col("p_brand") == F.concat(F.lit("Brand#1"), (s % 5 + 1).cast("string")))
-    return table(spark, sf, "part").select("p_partkey", F.when(s % 10 == 0, "skip-OK").when(fine, "OK").otherwise("DRIFT").alias("state"))
+    probe = (
+        F.when(s % 5 == 0, "version-contains --version")
+        .when(s % 5 == 1, F.concat(F.lit("lock-grep "), "p_brand"))
+        .when(s % 5 == 2, "toml-grep version")
+        .when(s % 5 == 3, "sha256-equal")
+        .otherwise("version-contains -V")
+    )
+    part = table(spark, sf, "part").withColumn("component", F.concat("p_name", k.cast("string")))
+    pins = part.select("component", F.col("p_type").alias("expected"), probe.alias("probe"))
+    value = F.when(k % 4 == 0, F.concat(F.lit("v. "), "p_type", F.lit(" x"))).otherwise(F.col("p_type"))
+    found = part.filter(k % 3 != 0).select("component", F.when(k % 7 == 0, "other").otherwise(F.col("p_brand")).alias("name"), value.alias("value"))
+    return rc.pin_states(pins, found)
 
 
 @register(
@@ -414,5 +444,5 @@ def pin_check(spark: SparkSession, sf: str) -> DataFrame:
 def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Offenders by place in their clip, and whether a verified master has them."""
     f = planning.with_dense_place(table(spark, sf, "documents").select(F.col("source").alias("clip"), "doc_id", "n_chars"), "clip", "doc_id").filter("n_chars > 1000")
-    action = rc.first_of((F.col("quality").isNull(), "no master"), (F.col("quality") == 0, "master bad"), otherwise="restore")
-    return f.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("clip", "doc_id", "n", action.alias("action"))
+    master = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("fine"))
+    return rc.restore_actions(f, master, "doc_id", "fine").select("clip", "doc_id", "n", "action")

@@ -110,13 +110,13 @@ def quality_search(spark: SparkSession, sf: str) -> DataFrame:
 def candidate_argmin(spark: SparkSession, sf: str) -> DataFrame:
     """The smallest candidate of a tile, the earliest on a tie."""
     c = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").alias("cand")).agg(F.min("l_quantity").cast("int").alias("size"))
-    return c.groupBy("tile").agg(F.min_by("cand", F.struct("size", "cand")).alias("cand"), F.min("size").alias("size"))
+    return planning.smallest(c, ["tile"], "cand", "size")
 
 
 @register("latest_manifest", "SELECT user_id, max(event_id) + 1 AS next_generation, arg_max(event_type, event_id) AS latest FROM events GROUP BY 1")
 def latest_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """The last record of a chain, and the next number."""
-    return table(spark, sf, "events").groupBy("user_id").agg((F.max("event_id") + 1).alias("next_generation"), F.max_by("event_type", "event_id").alias("latest"))
+    return planning.latest(table(spark, sf, "events"), ["user_id"], "event_id", "event_type")
 
 
 @register("archive_frames", "SELECT source AS clip, CASE WHEN source LIKE '%1%' THEN count(DISTINCT doc_id // 4) ELSE count(*) FILTER (WHERE lang <> 'xx') END AS frames FROM documents GROUP BY source")
