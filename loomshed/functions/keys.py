@@ -105,3 +105,27 @@ def minutes_seconds(ms: Column) -> Column:
 def set_display(values: Column) -> Column:
     """{a, b} of an array, sorted."""
     return F.concat(F.lit("{"), F.array_join(F.array_sort(F.array_distinct(values)), ", "), F.lit("}"))
+
+
+def selection_text(values: Column) -> Column:
+    """A selection as a sorted list between commas; '' for none."""
+    return F.array_join(F.array_sort(F.array_distinct(values)), ",")
+
+
+def codec_pair(a: Column, b: Column) -> Column:
+    return F.concat_ws("+", a, b)
+
+
+def utc_text(seconds: Column) -> Column:
+    """Unix seconds as text, in the session's zone, which is UTC."""
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def civil_date(days: Column) -> Column:
+    """The date so many days after the beginning of 1970."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+
+
+def fatal_in(mode: Column, modes: tuple[str, ...]) -> Column:
+    """Whether a gate's failure ends a run of this mode."""
+    return mode.isin(*modes)

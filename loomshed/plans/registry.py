@@ -39,4 +39,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from loomshed.plans import audits, frames, gates_reports, planes, planning, records  # noqa: F401
+    from loomshed.plans import audits, codes, frames, gates_reports, planes, planning, records, sources  # noqa: F401

@@ -1,0 +1,26 @@
+"""A few small files written by the driver through Hadoop's file system, wherever their folder is."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from loomshed.scratch import file_system, hadoop_path
+
+#: Files that one call writes at most; more are a job for Spark's writers.
+MOST_FILES = 1000
+
+
+def put_files(spark: SparkSession, root: str, files: dict[str, bytes]) -> None:
+    """Write each file below ``root`` under a temporary name, then rename it, so that none is seen half written."""
+    if len(files) > MOST_FILES:
+        raise ValueError(f"{len(files)} files; at most {MOST_FILES} are written by the driver")
+    fs = file_system(spark, root)
+    for rel, data in files.items():
+        path = hadoop_path(spark, f"{root}/{rel}")
+        temp = hadoop_path(spark, f"{path.getParent().toString()}/.{path.getName()}.tmp")
+        out = fs.create(temp)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        fs.rename(temp, path)

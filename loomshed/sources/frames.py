@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from loomshed.sources import tiff
 
-def scan(spark: SparkSession, root: str, glob: str = "*.[dD][nN][gG]") -> DataFrame:
-    """(rel, clip, stem, length, modified, content) of frames below ``root``, shadow files left out; content is read only if used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
+
+_FRAME = r"(?i)\.dng$"
+
+
+def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(rel, clip, name, stem, length, modified, content) of all files below ``root``, shadow files left out; content is read only if used."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/", "")
     name = F.substring_index("path", "/", -1)
-    return files.filter(~name.startswith("._")).select(rel.alias("rel"), F.regexp_extract(rel, "^(.*)/[^/]*$", 1).alias("clip"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length", F.col("modificationTime").alias("modified"), "content")
+    return found.filter(~name.startswith("._")).select(
+        rel.alias("rel"), F.regexp_extract(rel, "^(.*)/[^/]*$", 1).alias("clip"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length", F.col("modificationTime").alias("modified"), "content"
+    )
+
+
+def scan(spark: SparkSession, root: str, glob: str = "*.[dD][nN][gG]") -> DataFrame:
+    """Frames below ``root``, as ``files``."""
+    return files(spark, root, glob).drop("name")
+
+
+def split_members(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames, other files) of a scan of everything."""
+    frame = F.col("name").rlike(_FRAME)
+    return found.filter(frame), found.filter(~frame)
+
+
+def encoded(found: DataFrame) -> DataFrame:
+    """The encoded frames of a scan of everything; raises where there are none but planes of another codec."""
+    frames, others = split_members(found)
+    if not frames.limit(1).count() and others.filter(F.lower("name").endswith(".jxl")).limit(1).count():
+        raise ValueError("only planes of the other codec are here")
+    return frames
+
+
+def sidecars(found: DataFrame) -> DataFrame:
+    """(rel, clip, kind) of the checksum records of a scan: checksums, jxl-checksums or bake."""
+    kind = F.when(F.col("name").endswith(".jxl-checksums.tsv"), "jxl-checksums").when(F.col("name").endswith(".checksums.tsv"), "checksums").when(F.col("name").endswith(".bake-manifest.tsv"), "bake")
+    return found.select("rel", "clip", kind.alias("kind")).filter("kind is not null")
+
+
+def mirror_records(found: DataFrame) -> DataFrame:
+    """(rel, clip, kind) of offload manifests of a scan and of the records beside them: offload, ingest, members, sources."""
+    kind = F.regexp_extract("name", r"\.(offload|ingest)-manifest\.tsv$|\.(members|sources)\.tsv$", 0)
+    return found.select("rel", "clip", F.regexp_extract(kind, "(offload|ingest|members|sources)", 1).alias("kind")).filter("kind <> ''")
+
+
+def top_folders(found: DataFrame) -> DataFrame:
+    """(folder, files): first folders of a scan whose root holds no record, to be judged one by one."""
+    return found.filter(F.col("clip") != "").groupBy(F.split_part("rel", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def totals(files: DataFrame) -> DataFrame:
@@ -28,53 +72,61 @@ def plane_groups(files: DataFrame) -> DataFrame:
     return parts.groupBy("clip", "stem").agg(F.collect_set("plane").alias("have"), F.sum("length").alias("bytes")).select("clip", "stem", "bytes", F.array_except(want, "have").alias("missing"))
 
 
-#: Bytes of the TIFF value types 1 to 12.
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-
-
-def parse_tags(data: bytes) -> dict[int, tuple[int, bytes]]:
-    """Tags of a little-endian TIFF's first directory as (type, value bytes); raises on broken files."""
-    if data[:4] != b"II*\0":
-        raise ValueError("not a little-endian TIFF")
-    at = struct.unpack_from("<I", data, 4)[0]
-    out = {}
-    for i in range(struct.unpack_from("<H", data, at)[0]):
-        tag, kind, count, _ = struct.unpack_from("<HHII", data, at + 2 + 12 * i)
-        size = _SIZES.get(kind, 0) * count
-        start = at + 10 + 12 * i if size <= 4 else struct.unpack_from("<I", data, at + 10 + 12 * i)[0]
-        if start + size > len(data):
-            raise ValueError(f"tag {tag} points outside the file")
-        out[tag] = (kind, data[start : start + size])
-    return out
-
-
-def _number(tags, tag: int) -> int | None:
-    if tag not in tags:
-        return None
-    kind, raw = tags[tag]
-    return int.from_bytes(raw[: _SIZES[kind]], "little") if kind in (1, 3, 4) and raw else None
-
-
-_NUMBERS, _TEXTS = ("width", "height", "bits", "compression", "photometric", "tile_width", "tile_height"), ("make", "model")
-FACTS = T.StructType([*[T.StructField(n, T.IntegerType()) for n in _NUMBERS], *[T.StructField(n, T.StringType()) for n in _TEXTS], T.StructField("timecode", T.BinaryType()), T.StructField("error", T.StringType())])
+_NUMBERS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "tile_width": 322, "tile_height": 323}
+_TEXTS = {"make": 271, "model": 272}
+_RATIOS = {"framerate": 51044, "exposure": 33434}
+_ISO, _TIMECODE = 34855, 51043
+FACTS = T.StructType(
+    [
+        *[T.StructField(n, T.IntegerType()) for n in _NUMBERS],
+        *[T.StructField(n, T.StringType()) for n in (*_TEXTS, *_RATIOS, "iso")],
+        T.StructField("timecode", T.BinaryType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 
 @F.pandas_udf(FACTS)
 def facts(content: pd.Series) -> pd.DataFrame:
-    """Facts of each frame's first directory; a broken file gives its error, never an exception."""
+    """Facts of each frame, from any of its directories; a broken file gives its error, never an exception.
+
+    Rationals are ``n/d`` as they stand, not divided.
+    """
     rows = []
     for data in content:
         row = dict.fromkeys(FACTS.names)
         try:
-            tags = parse_tags(bytes(data))
-            row |= {"width": _number(tags, 256), "height": _number(tags, 257), "bits": _number(tags, 258), "compression": _number(tags, 259), "photometric": _number(tags, 262), "tile_width": _number(tags, 322), "tile_height": _number(tags, 323)}
-            row |= {n: tags[t][1].rstrip(b"\0").decode("latin-1") for n, t in (("make", 271), ("model", 272)) if t in tags}
-            row["timecode"] = tags[51043][1] if 51043 in tags else None
-        except (ValueError, struct.error, KeyError) as e:
+            t = tiff.read(bytes(data))
+            row |= {n: t.number(tag) for n, tag in _NUMBERS.items()} | {n: t.text(tag) for n, tag in _TEXTS.items()}
+            row |= {n: "{}/{}".format(*r) for n, tag in _RATIOS.items() if (r := t.ratio(tag))}
+            iso = t.number(_ISO)
+            row |= {"iso": None if iso is None else str(iso), "timecode": t.raw(_TIMECODE)}
+        except tiff.Broken as e:
             row["error"] = str(e)
         rows.append(row)
-    out = pd.DataFrame(rows, columns=FACTS.names)
-    return out.astype(dict.fromkeys(_NUMBERS, "Int32"))
+    return pd.DataFrame(rows, columns=FACTS.names).astype(dict.fromkeys(_NUMBERS, "Int32"))
+
+
+RAW = T.StructType([*[T.StructField(n, T.LongType()) for n in tiff.NEEDED.values()], T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(RAW)
+def raw_frame(content: pd.Series) -> pd.DataFrame:
+    """Numbers of frames that obey the strict rules; of others, the first rule broken."""
+    rows = []
+    for data in content:
+        try:
+            rows.append({**dict.fromkeys(RAW.names), **tiff.raw_frame(bytes(data))})
+        except tiff.Broken as e:
+            rows.append({**dict.fromkeys(RAW.names), "error": str(e)})
+    return pd.DataFrame(rows, columns=RAW.names).astype(dict.fromkeys(tiff.NEEDED.values(), "Int64"))
+
+
+def metadata_columns(f: str = "facts", timecode: Column | None = None) -> list[Column]:
+    """Timecode text, framerate, iso and exposure as strings, '' for what a frame does not say."""
+    c = lambda n: F.col(f"{f}.{n}")
+    parts = (timecode if timecode is not None else F.lit(None).cast("string"), c("framerate"), c("iso"), c("exposure"))
+    return [F.coalesce(p, F.lit("")).alias(n) for p, n in zip(parts, ("timecode", "framerate", "iso", "exposure"), strict=True)]
 
 
 # Frame width, height and depth (null: any), then tile width and height. All others have the default.
@@ -149,3 +201,13 @@ _PLANE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("h
 def pam(content: pd.Series) -> pd.DataFrame:
     """Planes of P7 files."""
     return pd.DataFrame([parse_pam(bytes(d)) for d in content], columns=_PLANE.names)
+
+
+def render_pam_column(w: int, h: int):
+    """A function of a plane column that gives P7 images."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(planes: pd.Series) -> pd.Series:
+        return planes.map(lambda p: render_pam(w, h, [int(v) for v in p]))
+
+    return run

@@ -99,3 +99,66 @@ def render(folder: str, rows: list[dict], root: dict) -> str:
         ET.SubElement(el, "path", size=str(r["size"])).text = r["path"]
         ET.SubElement(el, "c4").text = r["c4"]
     return ET.tostring(top, encoding="unicode")
+
+
+@F.pandas_udf(T.StringType())
+def _render(paths: pd.Series, sizes: pd.Series, ids: pd.Series) -> pd.Series:
+    out = []
+    for p, s, c in zip(paths, sizes, ids, strict=True):
+        rows = [{"path": a, "size": int(b), "c4": d} for a, b, d in zip(p, s, c, strict=True)]
+        whole = c4_of_digest(hashlib.sha512(b"".join(sorted(c4_bytes(r["c4"]) for r in rows))).digest())
+        out.append(render("", rows, {"content": whole, "structure": whole}))
+    return pd.Series(out)
+
+
+#: Files of one hash list, about; a folder of more is several lists.
+LIST_FILES = 10_000
+
+
+def render_lists(rows: DataFrame, folder: str) -> DataFrame:
+    """(folder, part, text): hash lists of (folder, path, size, c4), a folder's files dealt to lists of bounded length."""
+    total = rows.groupBy(folder).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / LIST_FILES))
+    dealt = rows.join(total, folder).withColumn("part", part)
+    lists = dealt.groupBy(folder, "part").agg(F.array_sort(F.collect_list(F.struct("path", "size", "c4"))).alias("f"))
+    return lists.select(folder, "part", _render(F.col("f.path"), F.col("f.size"), F.col("f.c4")).alias("text"))
+
+
+_CHAIN = T.ArrayType(T.StructType([T.StructField("sequence", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("c4", T.StringType())]))
+
+
+def parse_chain(text: str) -> list[dict]:
+    """Records of a chain file: a number, a path and an id each; anything else raises."""
+    if "<!DOCTYPE" in text or "<!ENTITY" in text:
+        raise ValueError("document type declarations are refused")
+    name = lambda e: e.tag.rpartition("}")[2]
+    root, out = ET.fromstring(text), []
+    if name(root) != "ascmhldirectory":
+        raise ValueError(f"a chain begins with {name(root)}")
+    for el in root:
+        held = {name(c): c.text for c in el}
+        if name(el) != "hashlist" or set(held) != {"path", "c4"} or not (el.get("sequencenr") or "").isdigit():
+            raise ValueError(f"no chain record: {name(el)} {sorted(held)}")
+        out.append({"sequence": int(el.get("sequencenr", "0")), "path": held["path"], "c4": held["c4"]})
+    return out
+
+
+def render_chain(records: list[tuple[int, str, str]]) -> str:
+    """A chain file of (sequence, path, c4), in order of the sequence."""
+    root = ET.Element("ascmhldirectory")
+    for number, path, c4 in sorted(records):
+        el = ET.SubElement(root, "hashlist", sequencenr=str(number))
+        ET.SubElement(el, "path").text = path
+        ET.SubElement(el, "c4").text = c4
+    return ET.tostring(root, encoding="unicode")
+
+
+@F.pandas_udf(_CHAIN)
+def chain(texts: pd.Series) -> pd.Series:
+    return texts.map(parse_chain)
+
+
+def append_generation(text: str | None, path: str, c4: str) -> str:
+    """A chain with one more record, of the next number."""
+    held = [(r["sequence"], r["path"], r["c4"]) for r in parse_chain(text)] if text else []
+    return render_chain([*held, (max((n for n, *_ in held), default=0) + 1, path, c4)])

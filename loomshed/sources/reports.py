@@ -31,6 +31,13 @@ def html_lines(rows: DataFrame) -> DataFrame:
     return rows.select("clip", "file", F.concat(F.lit("<tr>"), F.concat(*cells), F.lit("</tr>")).alias("line"))
 
 
+def run_lines(clips: DataFrame) -> DataFrame:
+    """(clip, line): a run report's table line of each clip (clip, frames, in_bytes, out_bytes, fine)."""
+    ratio = F.when(F.col("out_bytes") > 0, F.format_string("%.2f", F.col("in_bytes").cast("double") / F.col("out_bytes"))).otherwise("n/a")
+    cells = [F.col("clip"), *[F.col(c).cast("string") for c in ("frames", "in_bytes", "out_bytes")], ratio, F.when(F.col("fine"), "PASS").otherwise("FAIL")]
+    return clips.select("clip", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def totals(rows: DataFrame, clips: DataFrame) -> DataFrame:
     """Files, bytes and milliseconds of each clip of ``clips``, those without files too."""
     got = rows.groupBy("clip").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size"), F.sum("copied_ms").alias("ms"))
