@@ -22,13 +22,13 @@ MOST_SPLITS = 200_000
 FILE_ROWS = 1_000_000
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(manifest, n, line, torn, head) of every line below ``path``.
+def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(manifest, n, line, torn, head) of every line below ``path``, or of the files at any depth whose names match ``glob``.
 
     ``manifest`` is the file's path, ``n`` counts from 0 in each file, ``head`` is its first line, and ``torn`` marks a
     last line without an end. Files must not be compressed.
     """
-    raw = spark.read.text(path, lineSep="\n").select(
+    raw = spark.read.text(path, lineSep="\n", **({"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {})).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), "value"
     )
     splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.min_by("value", "id").alias("top"))
@@ -42,7 +42,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     n = F.col("ahead") + F.col("id") - F.col("first")
     clean = lambda c: F.rtrim(F.col(c), F.lit("\r"))
     lines = raw.drop("size").join(splits, ["file", "block"])
-    return lines.select(F.col("file").alias("manifest"), n.alias("n"), clean("value").alias("line"), (F.col("open") & (n == F.col("last"))).alias("torn"), clean("head").alias("head"))
+    name = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # the reader gives paths as URIs
+    return lines.select(name.alias("manifest"), n.alias("n"), clean("value").alias("line"), (F.col("open") & (n == F.col("last"))).alias("torn"), clean("head").alias("head"))
 
 
 def parse_rows(lines: DataFrame, columns: list[str], kinds: list[str], arities: list[int] | None = None, null: str | None = None, tolerate_torn: bool = False, arity: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,21 +81,21 @@ def body(lines: DataFrame, header: str) -> DataFrame:
     return lines.filter((F.col("line") != "") & ~F.col("line").startswith("#") & (F.col("line") != header) & (F.contains("line", F.lit(TAB)) | ~F.col("line").rlike(_KEY)))
 
 
-def records(spark: SparkSession, path: str, columns: list[str], kinds: list[str], **how) -> tuple[DataFrame, DataFrame]:
+def records(spark: SparkSession, path: str, columns: list[str], kinds: list[str], glob: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of files with a first line, ``key: value`` lines, a column line and rows."""
-    rows, bad = parse_rows(body(text_lines(spark, path), TAB.join(columns)), columns, kinds, **how)
+    rows, bad = parse_rows(body(text_lines(spark, path, glob), TAB.join(columns)), columns, kinds, **how)
     return rows.drop("n"), bad
 
 
-def header_values(spark: SparkSession, path: str) -> DataFrame:
+def header_values(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(manifest, n, key, value) of the ``key: value`` lines."""
-    found = text_lines(spark, path).filter(~F.contains("line", F.lit(TAB)) & F.col("line").rlike(_KEY))
+    found = text_lines(spark, path, glob).filter(~F.contains("line", F.lit(TAB)) & F.col("line").rlike(_KEY))
     return found.select("manifest", "n", F.regexp_extract("line", _KEY, 1).alias("key"), F.trim(F.regexp_extract("line", _KEY, 2)).alias("value"))
 
 
-def headers(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+def headers(spark: SparkSession, path: str, keys: list[str], glob: str | None = None) -> DataFrame:
     """One row a file: the value of each key, of the last line if it is held twice."""
-    return header_values(spark, path).groupBy("manifest").agg(*[F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("n"))).alias(k) for k in keys])
+    return header_values(spark, path, glob).groupBy("manifest").agg(*[F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("n"))).alias(k) for k in keys])
 
 
 # Columns of the records.
@@ -122,9 +123,9 @@ def _also(rows: DataFrame, bad: DataFrame, rule: Column, reason: str) -> tuple[D
     return rows.filter(~broken), bad.unionByName(rows.filter(broken).select("manifest", "n", line.alias("line"), F.lit(reason).alias("reason")))
 
 
-def read_checksums(spark: SparkSession, path: str, tolerate_torn: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_checksums(spark: SparkSession, path: str, tolerate_torn: bool = False, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Checksum sidecars: eight columns in files with a first line, four in older ones; three are older still and rejected."""
-    lines = body(text_lines(spark, path), TAB.join(CHECKSUMS[0])).filter(F.col("line") != TAB.join(CHECKSUMS[0][:4]))
+    lines = body(text_lines(spark, path, glob), TAB.join(CHECKSUMS[0])).filter(F.col("line") != TAB.join(CHECKSUMS[0][:4]))
     arity = F.when(F.col("head").startswith("#"), 8).otherwise(4)
     rows, bad = parse_rows(lines, *CHECKSUMS, tolerate_torn=tolerate_torn, arity=arity)
     bad = bad.withColumn("reason", F.when((F.col("reason") == "3 columns"), "predates the sha256 column").otherwise(F.col("reason")))
@@ -187,14 +188,14 @@ def read_ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.withColumns({"first": F.try_element_at(ends, F.lit(1)).try_cast("bigint"), "last": F.try_element_at(ends, F.lit(2)).try_cast("bigint")}), bad
 
 
-def read_offload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_offload(spark: SparkSession, path: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of offload manifests, with the destination that each manifest records."""
-    rows, bad = records(spark, path, *OFFLOAD)
-    return rows.join(headers(spark, path, ["dest"]), "manifest", "left"), bad
+    rows, bad = records(spark, path, *OFFLOAD, glob=glob)
+    return rows.join(headers(spark, path, ["dest"], glob), "manifest", "left"), bad
 
 
-def read_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return records(spark, path, *SOURCES)
+def read_sources(spark: SparkSession, path: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return records(spark, path, *SOURCES, glob=glob)
 
 
 def read_members(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
