@@ -1,92 +1,17 @@
-"""Helpers shared by the operators: the shared scratch folder and column handling."""
+"""Helpers shared by the operators: scratch tables of the library, and columns."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from pyspark.sql import Column, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from loomshed.scratch import drop_path, free, scratch, settings, shuffles_dropped, stored
+
+__all__ = ["WORD", "ascii_lower", "drop_path", "free", "scratch", "settings", "shuffles_dropped", "stored", "word_count"]
 
 #: ASCII white space; words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in this application's folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset a local folder is chosen, but only if driver and executors are one process:
-    elsewhere executors would write to their own disks. The application's folder goes when it ends.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        elif re.match(r"local(\[|$)", context.master):
-            base = tempfile.mkdtemp(prefix="loomshed-")
-            context.setCheckpointDir(base)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    top = f"{base.rstrip('/')}/loomshed/{context.applicationId}"
-    if getattr(context, "_loomshed_scratch", None) != top:
-        _file_system(spark, top).deleteOnExit(_hadoop_path(spark, top))
-        context._loomshed_scratch = top
-    return f"{top}/{what}-{uuid.uuid4().hex}"
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-@contextmanager
-def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """Session settings (dots as ``__``) for the time of a block."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def shuffles_dropped(spark: SparkSession):
-    """In this block, what an execution has shuffled is removed from the executors' disks when it ends."""
-    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows written to the shared folder and read again: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def free(*frames: DataFrame) -> None:
-    """Remove what ``stored`` wrote of frames that no later step reads."""
-    for df in frames:
-        drop_path(df.sparkSession, df._scratch_path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder through Hadoop's file system, wherever it is."""
-    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else touched."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
