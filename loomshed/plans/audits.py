@@ -110,7 +110,7 @@ def offload_reverify(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN count(*) FILTER (WHERE verdict <> 'ok') = 0 THEN 'UNLOCKED' ELSE 'REFUSED' END AS card FROM v JOIN documents USING (doc_id) GROUP BY 1""",
 )
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Clean and dirty rows of each clip, and whether its card may be cleared."""
+    """Clean and dirty rows of each clip, and whether its card may be cleared."""
     v = rc.audit(manifest(spark, sf), disk(spark, sf), "doc_id").join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("clip")), "doc_id")
     ok = F.count_if(F.col("verdict") == "ok")
     return v.groupBy("clip").agg(F.count(F.lit(1)).alias("total"), ok.alias("ok"), F.count_if(F.col("verdict") != "ok").alias("dirty")).withColumn("card", F.when(F.col("dirty") == 0, "UNLOCKED").otherwise("REFUSED"))

@@ -85,7 +85,7 @@ def class_census(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def class_contract(spark: SparkSession, sf: str) -> DataFrame:
-    """The classes a clip may hold, and the first frame that breaks the rule."""
+    """The classes a clip may hold, and the first frame that breaks the rule."""
     rows = classed(spark, sf).withColumn("class", F.coalesce("class", F.lit("unknown")))
     return gates.class_contract(rows, "clip", "class", "num")
 

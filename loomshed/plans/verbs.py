@@ -93,6 +93,38 @@ def offload(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.offload_plan(spark, source, {"x": x, "y": y}).rows
 
 
+@register("verb_offload_copy", f"SELECT rel AS file, dest, size, sha256(n_name) AS source_sha256, sha256(n_name) AS dest_sha256, 'OK' AS verdict FROM ({_K}), (VALUES ('x'), ('y')) d(dest)")
+def offload_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """Files copied to two destinations, of which one held some in another form, and judged by their digests."""
+    rows = _nations(spark, sf)
+    source = _folder(spark, "source", {rel: d for *_, rel, d in rows})
+    dests = {"x": _folder(spark, "x", {rel: d + b"!" * (k % 3 == 0) for k, _, rel, d in rows if k % 2 == 0}), "y": _folder(spark, "y", {"other/file": b"1"})}
+    found = verbs.offload(spark, source, dests, scratch(spark, "manifests"), "# m").rows
+    return found.select("file", "dest", "size", "source_sha256", "dest_sha256", "verdict")
+
+
+@register(
+    "verb_measure",
+    f"SELECT CASE WHEN k % 4 <> 3 THEN k % 2 + 4 END AS width, CASE WHEN k % 4 = 3 THEN 'unknown' ELSE 'raw' END AS class, 2 * count(*) AS frames, 2 * count(DISTINCT clip) AS clips FROM ({_K}) GROUP BY 1, 2",
+)
+def measure(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and classes of the frames of two roots, counts added."""
+    from loomshed.sources import tiff
+
+    make = lambda w: tiff.write([[(256, 4, [w]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1])]], payload=b"\1" * 2 * w)
+    root = _folder(spark, "card", {rel: b"broken" if k % 4 == 3 else make(k % 2 + 4) for k, _, rel, _ in _nations(spark, sf)})
+    return verbs.measure(spark, [root, root]).rows.select("width", "class", "frames", "clips")
+
+
+@register("verb_derive", "WITH p AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: greatest(0, least(4095, floor((x::DOUBLE + 0.5) * 4000)::INT)) >> 4), ',') AS plane FROM embeddings) SELECT vec_id, plane, sha256(plane) AS sha256 FROM p")
+def derive(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes at eight bits, with their digests."""
+    from loomshed.plans.planes import _show, sampled
+
+    rows = verbs.derive(sampled(spark, sf).withColumnRenamed("p", "plane"), "vec_id", "plane", 8).rows
+    return rows.select("vec_id", _show(F.col("plane")).alias("plane"), "sha256")
+
+
 @register(
     "verb_repair",
     f"""WITH s AS (SELECT *, k % 3 = 1 AS bad FROM ({_K})) SELECT rel, 'dest' AS side, CASE WHEN k % 3 = 1 THEN 'ShaMismatch' WHEN k % 3 = 2 THEN 'Missing' ELSE 'Clean' END AS verdict,

@@ -1,4 +1,4 @@
-"""A few small files written by the driver through Hadoop's file system, wherever their folder is."""
+"""Files written and copied by the driver through Hadoop's file system, wherever their folders are."""
 
 from __future__ import annotations
 
@@ -24,3 +24,25 @@ def put_files(spark: SparkSession, root: str, files: dict[str, bytes]) -> None:
         finally:
             out.close()
         fs.rename(temp, path)
+
+
+#: Copies that one call makes at most: they are streamed by the driver's JVM, one after the other.
+MOST_COPIES = 100_000
+
+
+def copy_files(spark: SparkSession, source: str, copies: list[tuple[str, str]]) -> None:
+    """Copy each (rel, dest folder) of a source, under a temporary name that is renamed when all bytes are there.
+
+    For cards of media, whose files are few and large. What arrived is judged afterwards by its digests.
+    """
+    if len(copies) > MOST_COPIES:
+        raise ValueError(f"{len(copies)} copies; at most {MOST_COPIES} are made by the driver")
+    io = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
+    from_ = file_system(spark, source)
+    for rel, dest in copies:
+        to = file_system(spark, dest)
+        path = hadoop_path(spark, f"{dest}/{rel}")
+        temp = hadoop_path(spark, f"{path.getParent().toString()}/.{path.getName()}.tmp")
+        io.copyBytes(from_.open(hadoop_path(spark, f"{source}/{rel}")), to.create(temp), 1 << 20, True)
+        to.delete(path, False)
+        to.rename(temp, path)

@@ -1,7 +1,7 @@
 """One-call jobs over folders and records, each composed of the library's operators.
 
 A job returns DataFrames: rows with a verdict each, and a summary of one row. None
-copies frame payloads or writes a container; those are other programs' work.
+decodes a payload or writes a container; those are other programs' work.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomshed.functions import hashing, keys
-from loomshed.operators import gates, planning, reconcile as rc, stats
+from loomshed.operators import gates, planes, planning, reconcile as rc, stats
 from loomshed.scratch import placed
-from loomshed.sources import frames, records, reports
+from loomshed.sources import files, frames, records, reports
 
 
 @dataclass
@@ -107,6 +107,19 @@ def offload_plan(spark: SparkSession, source: str, dests: dict[str, str]) -> Fou
     return Found(rows, rows.agg(F.count_if(F.col("action") == "copy").alias("copy"), F.count_if(F.col("action") == "skip").alias("skip")))
 
 
+def offload(spark: SparkSession, source: str, dests: dict[str, str], out: str, magic: str) -> Found:
+    """Copy what each destination lacks, judge every file there by its digest, and write a manifest a destination below ``out``."""
+    plan = offload_plan(spark, source, dests).rows.filter("action = 'copy'").limit(files.MOST_COPIES + 1).collect()
+    files.copy_files(spark, source.rstrip("/"), [(r.rel, dests[r.dest].rstrip("/")) for r in plan])
+    rows = None
+    for dest, folder in dests.items():
+        one = offload_record(spark, source, folder, f"{out}/{dest}", magic, dest).rows.withColumn("dest", F.lit(dest))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        raise ValueError("no destination is given")
+    return Found(rows, _summary(rows, "OK"))
+
+
 def offload_record(spark: SparkSession, source: str, dest: str, path: str, magic: str, name: str) -> Found:
     """After a copy: every file of the source against its destination, written as an offload manifest at ``path``."""
     mine = hashed(frames.files(spark, source)).select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
@@ -203,6 +216,13 @@ def measure(spark: SparkSession, roots: list[str]) -> Found:
     return Found(merged, merged.agg(F.sum("frames").alias("frames"), F.countDistinct("make", "model").alias("cameras")))
 
 
+def derive(rows: DataFrame, key: str, plane: str, bits: int) -> Found:
+    """Planes of 12 bits at a lower depth, with a digest of each."""
+    text = F.array_join(F.transform(plane, lambda v: v.cast("string")), ",")
+    out = rows.withColumn(plane, planes.derive_depth(F.col(plane), bits)).select(key, plane, F.sha2(text.cast("binary"), 256).alias("sha256"))
+    return Found(out, out.agg(F.count(F.lit(1)).alias("rows")))
+
+
 def ledger(spark: SparkSession, path: str, since: int | None = None, as_json: bool = False) -> Found:
     """A ledger's rows from a time on, as they are or as JSON, and the rows that are none."""
     rows, bad = records.read_ledger(spark, path)
