@@ -100,9 +100,11 @@ def estimate_band(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def distribution_gate(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """Mean in [0.10, 1.20], upper median in [0.10, 1.40], at most five values over 1.5; the first failure is named."""
-    cum = cumulative(rows, key, value)
-    mean = F.sum(F.col(value) * F.col("c")) / F.sum(F.when(F.col(value).isNotNull(), F.col("c")))
-    over = F.coalesce(F.sum(F.when(F.col(value) > 1.5, F.col("c"))), F.lit(0))
-    got = cum.groupBy(*key).agg(mean.alias("mean"), _at_rank(F.expr("n div 2 + 1"), value).alias("upper_median"), over.alias("n_over"))
+    plain = rows.groupBy(*key).agg(F.avg(value).alias("mean"), F.count_if(F.col(value) > 1.5).alias("n_over"))
+    middle = cumulative(rows, key, value).groupBy(*key).agg(_at_rank(F.expr("n div 2 + 1"), value).alias("upper_median"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}"))
+    got = plain.alias("p").join(middle.alias("m"), same).select(*[F.col(f"p.{k}").alias(k) for k in key], "mean", "upper_median", "n_over")
     gate = F.when(~F.col("mean").between(0.10, 1.20), "mean").when(~F.col("upper_median").between(0.10, 1.40), "median").when(F.col("n_over") > 5, "outliers").otherwise("ok")
     return got.withColumn("gate", gate)

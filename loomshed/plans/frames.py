@@ -237,13 +237,13 @@ def estimate_band(spark: SparkSession, sf: str) -> DataFrame:
     """
     WITH r AS (SELECT p_brand, p_size / 40.0::DOUBLE AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
     g AS (SELECT p_brand, avg(x) AS mean, max(x) FILTER (WHERE r = n // 2) AS upper_median, count(*) FILTER (WHERE x > 1.5) AS n_over FROM r GROUP BY 1)
-    SELECT p_brand, round(mean, 6) AS mean, upper_median, n_over, CASE WHEN NOT mean BETWEEN 0.1 AND 1.2 THEN 'mean' WHEN NOT upper_median BETWEEN 0.1 AND 1.4 THEN 'median' WHEN n_over > 5 THEN 'outliers' ELSE 'ok' END AS gate FROM g
+    SELECT p_brand, round(mean, 9) AS mean, upper_median, n_over, CASE WHEN NOT mean BETWEEN 0.1 AND 1.2 THEN 'mean' WHEN NOT upper_median BETWEEN 0.1 AND 1.4 THEN 'median' WHEN n_over > 5 THEN 'outliers' ELSE 'ok' END AS gate FROM g
     """,
 )
 def distribution_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Three checks of a ratio distribution, the first failure named."""
     rows = table(spark, sf, "part").select("p_brand", (F.col("p_size") / 40.0).alias("x"))
-    return stats.distribution_gate(rows, ["p_brand"], "x").withColumn("mean", F.round("mean", 6))
+    return stats.distribution_gate(rows, ["p_brand"], "x").withColumn("mean", F.round("mean", 9))
 
 
 @register(
