@@ -94,7 +94,7 @@ class Automaton:
     bounds the table: beyond it, it starts again.
     """
 
-    def __init__(self, lexicon: Lexicon, limit: int = 200_000):
+    def __init__(self, lexicon: Lexicon, limit: int = 50_000):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -217,7 +217,7 @@ class Hit:
 class Scorer:
     """Hits and feature sums of a text; keeps tokens that are known to match nothing."""
 
-    def __init__(self, lexicon: Lexicon, window: int, keep: int = 300_000):
+    def __init__(self, lexicon: Lexicon, window: int, keep: int = 100_000):
         self.auto, self.lexicon, self.window, self.keep = Automaton(lexicon), lexicon, window, keep
         self.known: dict[str, tuple[str, str] | None] = {}
 
