@@ -3,7 +3,11 @@
 The driver reads the rank file once and ships its bytes with the task (under
 1 MB for a 50k vocabulary); each Python worker builds the encoder once and
 keeps it. Long texts are split at boundaries that no match of the pattern can
-span, so what the library holds at once is bounded by a piece.
+span, so what the library holds at once is bounded by a piece. The cut, before a
+space or newline that follows other than white space, suits patterns in which no
+match goes on from other characters into white space, as the public one's; a
+pattern that takes line ends behind punctuation into one match needs other cuts,
+and texts in pieces would get other ids under it.
 
 Defined results: a null or empty text has no tokens (the digests are those of
 no bytes); repeated rows stay repeated; other columns are left out, so clashing

@@ -19,8 +19,10 @@ split like any other. Only one number a source and range is gathered.
 
 Defined results: a null source is a source of its own, last; null and empty
 texts have size 0 and are taken 0 words; repeated rows are documents of their
-own, in any order among themselves, for they are equal; an empty table gives an
-empty one.
+own, in any order among themselves, for they are equal; rows that repeat an id,
+or have none and an equal text, share one place of the hash order, and so one
+range, for nothing else tells them apart the same way in every run; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
