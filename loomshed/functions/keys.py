@@ -17,7 +17,9 @@ def stem_of(path: Column) -> Column:
 
 def frame_number(stem: Column) -> Column:
     """Last field after ``_`` if all digits and within 64 unsigned bits, else null."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(stem, r"(?:^|_)([0-9]+)$", 1), F.lit("")), F.lit("9" * 38)).cast("decimal(38,0)")
+    number = F.try_to_number(
+        F.nullif(F.regexp_extract(stem, r"(?:^|_)([0-9]+)$", 1), F.lit("")), F.lit("9" * 38)
+    ).cast("decimal(38,0)")
     return F.when(number <= F.lit("18446744073709551615").cast("decimal(38,0)"), number.cast("decimal(20,0)"))
 
 

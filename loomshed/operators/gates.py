@@ -13,7 +13,9 @@ def sequence_steps(frames: DataFrame, clip: str, num: str, *tie: str) -> DataFra
     Frames with a null number take no part. ``tie`` columns order equal numbers.
     """
     prev = F.lag(num).over(Window.partitionBy(clip).orderBy(num, *tie))
-    step = F.when(F.col("prev").isNull(), F.lit(None).cast("string")).when(F.col(num) == F.col("prev"), "DUP").when(F.col(num) > F.col("prev") + 1, "GAP").otherwise("OK")
+    step = F.when(
+        F.col("prev").isNull(), F.lit(None).cast("string")
+    ).when(F.col(num) == F.col("prev"), "DUP").when(F.col(num) > F.col("prev") + 1, "GAP").otherwise("OK")
     missing = F.when(F.col("step") == "GAP", (F.col(num) - F.col("prev") - 1).cast("long")).otherwise(F.lit(0).cast("long"))
     return frames.filter(F.col(num).isNotNull()).withColumn("prev", prev).withColumn("step", step).withColumn("missing", missing)
 
@@ -37,7 +39,9 @@ def sequence_gate(frames: DataFrame, clip: str, num: str) -> DataFrame:
 
 def declared_check(found: DataFrame, declared: DataFrame, clip: str) -> DataFrame:
     """Found counts against declared ones: a mismatch needs both; a clip only declared is not reported."""
-    return found.join(declared, clip, "left").withColumn("mismatch", F.coalesce(F.col("declared") != F.col("frames"), F.lit(False)))
+    return found.join(declared, clip, "left").withColumn(
+        "mismatch", F.coalesce(F.col("declared") != F.col("frames"), F.lit(False))
+    )
 
 
 def timecode_steps(frames: DataFrame, clip: str, num: str, tc: str) -> DataFrame:
@@ -64,9 +68,13 @@ def reel_continuity(clips: DataFrame, clip: str) -> DataFrame:
     Clips get their places in ranges, and each meets the one behind it by an equi-join on the place.
     """
     here = placed(clips, clip)
-    after = here.select((F.col("place") - 1).alias("place"), F.col(clip).alias("next_clip"), F.col("tc_first").alias("next_first"))
+    after = here.select(
+        (F.col("place") - 1).alias("place"), F.col(clip).alias("next_clip"), F.col("tc_first").alias("next_first")
+    )
     delta = F.col("next_first") - F.col("tc_last")
-    return here.join(after, "place").select(clip, "next_clip", delta.alias("delta"), F.when(delta <= 0, "REEL_OVERLAP").otherwise("OK").alias("verdict"))
+    return here.join(after, "place").select(
+        clip, "next_clip", delta.alias("delta"), F.when(delta <= 0, "REEL_OVERLAP").otherwise("OK").alias("verdict")
+    )
 
 
 def class_census(frames: DataFrame, clip: str, cls: str) -> DataFrame:
@@ -80,7 +88,12 @@ def class_contract(frames: DataFrame, clip: str, cls: str, *order: str) -> DataF
     first = F.min(F.when(bad, F.struct(*order)))
     classes = F.array_sort(F.collect_set(cls))
     allowed = (F.col("classes") == F.array(F.lit("raw"))) | (F.col("classes") == F.array(F.lit("camera-lossless"), F.lit("raw")))
-    return frames.groupBy(clip).agg(classes.alias("classes"), first[order[0]].alias("first_offender")).select(clip, F.concat(F.lit("{"), F.array_join("classes", ", "), F.lit("}")).alias("class_set"), allowed.alias("allowed"), "first_offender")
+    return frames.groupBy(clip).agg(classes.alias("classes"), first[order[0]].alias("first_offender")).select(
+        clip,
+        F.concat(F.lit("{"), F.array_join("classes", ", "), F.lit("}")).alias("class_set"),
+        allowed.alias("allowed"),
+        "first_offender",
+    )
 
 
 def consecutive_duplicates(rows: DataFrame, clip: str, order: list[str], digest: str) -> DataFrame:

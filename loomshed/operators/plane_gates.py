@@ -12,7 +12,9 @@ _OK = "ok"
 def pixels(mae: Column, anchor: Column, target: Column, size: Column) -> Column:
     """Error against an anchor's, and size within 5 % of a target where there is one."""
     slack = F.expr("1") * F.floor(target / 20)
-    return F.when((anchor > 0) & (mae / F.nullif(anchor, F.lit(0.0)) >= 2.0), "error").when(target.isNotNull() & ~size.between(F.greatest(target - slack, F.lit(0)), target + slack), "size").otherwise(_OK)
+    return F.when((anchor > 0) & (mae / F.nullif(anchor, F.lit(0.0)) >= 2.0), "error").when(
+        target.isNotNull() & ~size.between(F.greatest(target - slack, F.lit(0)), target + slack), "size"
+    ).otherwise(_OK)
 
 
 def scan_complete(even: Column, odd: Column, even_mean: Column, odd_mean: Column) -> Column:
@@ -47,7 +49,9 @@ def demosaic(ours: list[Column], anchor: list[Column]) -> Column:
     """Each chroma spread between max(a/2 - 0.03, 0) and max(2a, 0.75); without an anchor all pass."""
     out = F.when(F.greatest(*[F.isnan(o).cast("int") for o in ours]) == 1, "not a number").when(anchor[0].isNull(), _OK)
     for i, (o, a) in enumerate(zip(ours, anchor, strict=True)):
-        out = out.when(F.isnan(a) | (a <= 0), "anchor").when((o < F.greatest(0.5 * a - 0.03, F.lit(0.0))) | (o > F.greatest(2.0 * a, F.lit(0.75))), f"channel {i}")
+        out = out.when(F.isnan(a) | (a <= 0), "anchor").when(
+            (o < F.greatest(0.5 * a - 0.03, F.lit(0.0))) | (o > F.greatest(2.0 * a, F.lit(0.75))), f"channel {i}"
+        )
     return out.otherwise(_OK)
 
 
@@ -56,8 +60,16 @@ def class_bias(decoded: Column, source: Column, w: int, h: int, left: int = 0, t
 
     def mean(pick) -> Column:
         e = F.zip_with(decoded, source, lambda x, y: x - y)
-        kept = F.filter(F.transform(e, lambda v, i: F.when(pick(F.pmod(_div(i, w) - top, F.lit(2)), F.pmod(i - _div(i, w) * w - left, F.lit(2))), v)), lambda v: v.isNotNull())
-        return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0).cast("long"), lambda s, v: s + v) / F.greatest(F.size(kept), F.lit(1)).cast("double"))
+        kept = F.filter(
+            F.transform(
+                e, lambda v, i: F.when(pick(F.pmod(_div(i, w) - top, F.lit(2)), F.pmod(i - _div(i, w) * w - left, F.lit(2))), v)
+            ),
+            lambda v: v.isNotNull(),
+        )
+        return F.when(
+            F.size(kept) > 0,
+            F.aggregate(kept, F.lit(0).cast("long"), lambda s, v: s + v) / F.greatest(F.size(kept), F.lit(1)).cast("double"),
+        )
 
     return [mean(lambda r, c: (r == 0) & (c == 0)), mean(lambda r, c: r != c), mean(lambda r, c: (r == 1) & (c == 1))]
 
@@ -81,7 +93,12 @@ def structure_ratios(decoded: Column, source: Column, w: int, h: int) -> tuple[C
 
     def steps(plane: Column, across: bool) -> Column:
         if across:
-            return _made(F.lit((w - 1) * h), lambda i: _at(plane, _div(i, w - 1) * w + F.pmod(i, F.lit(w - 1)) + 1) - _at(plane, _div(i, w - 1) * w + F.pmod(i, F.lit(w - 1))))
+            return _made(
+                F.lit((w - 1) * h),
+                lambda i: _at(plane, _div(i, w - 1) * w + F.pmod(i, F.lit(w - 1)) + 1) - _at(
+                    plane, _div(i, w - 1) * w + F.pmod(i, F.lit(w - 1))
+                ),
+            )
         return _made(F.lit(w * (h - 1)), lambda i: _at(plane, i + w) - _at(plane, i))
 
     def ratio(across: bool) -> Column:
@@ -118,7 +135,9 @@ def band_mix(blocks: Column, w: int, h: int, reach: int = 16, gain: float = 8.0)
     y, x = (lambda i: _div(i, w)), (lambda i: F.pmod(i, F.lit(w)))
     sums = _let(_box(blocks, w, 1, reach, x), lambda rows: _box(rows, h, w, reach, y))
     span = lambda at, n: F.least(at + reach, F.lit(n - 1)) - F.greatest(at - reach, F.lit(0)) + 1
-    return F.zip_with(blocks, F.transform(sums, lambda s, i: s / (span(y(i), h) * span(x(i), w))), lambda d, m: gain * d - (gain - 1.0) * m)
+    return F.zip_with(
+        blocks, F.transform(sums, lambda s, i: s / (span(y(i), h) * span(x(i), w))), lambda d, m: gain * d - (gain - 1.0) * m
+    )
 
 
 def _strip(errors: Column, w: int, h: int, first: int, last: int, across: bool) -> Column:
@@ -137,7 +156,9 @@ def seam_ratio(decoded: Column, source: Column, w: int, h: int, seam: int, acros
     e = F.zip_with(decoded, source, lambda x, y: F.abs(x - y))
     other = h if across else w
     at = _strip(e, w, h, seam - 1, seam + 1, across) / float(2 * other)
-    sides = (_strip(e, w, h, seam - 1 - reach, seam - 1, across) + _strip(e, w, h, seam + 2, seam + 2 + reach, across)) / float(2 * reach * other)
+    sides = (
+        _strip(e, w, h, seam - 1 - reach, seam - 1, across) + _strip(e, w, h, seam + 2, seam + 2 + reach, across)
+    ) / float(2 * reach * other)
     return F.when(sides < 0.05, at * 1.5).otherwise(at / F.greatest(sides, F.lit(0.05)))
 
 
@@ -177,10 +198,15 @@ def finest_scale(limit: Column, total) -> Column:
     def halve(bounds, _):
         mid = (bounds["lo"] + bounds["hi"]) / 2
         fits = total(mid) <= limit
-        return F.struct(F.when(fits, bounds["lo"]).otherwise(mid).alias("lo"), F.when(fits, mid).otherwise(bounds["hi"]).alias("hi"))
+        return F.struct(
+            F.when(fits, bounds["lo"]).otherwise(mid).alias("lo"), F.when(fits, mid).otherwise(bounds["hi"]).alias("hi")
+        )
 
     def search(place):
-        start = F.struct(F.element_at(scales, F.greatest(place - 1, F.lit(1)).cast("int")).alias("lo"), F.element_at(scales, F.greatest(place, F.lit(1)).cast("int")).alias("hi"))
+        start = F.struct(
+            F.element_at(scales, F.greatest(place - 1, F.lit(1)).cast("int")).alias("lo"),
+            F.element_at(scales, F.greatest(place, F.lit(1)).cast("int")).alias("hi"),
+        )
         found = F.aggregate(F.array(*[F.lit(0)] * 6), start, halve)["hi"]
         return F.when(place == 0, F.lit(grid[-1])).when(place == 1, F.lit(grid[0])).otherwise(found)
 

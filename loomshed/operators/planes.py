@@ -26,7 +26,9 @@ def deinterleave(plane: Column, w: int, h: int) -> Column:
     hw = w // 2
 
     def phase(p: int) -> Column:
-        return _made(F.lit(hw * (h // 2)), lambda i: _at(plane, (2 * _div(i, hw) + p // 2) * w + 2 * F.pmod(i, F.lit(hw)) + p % 2))
+        return _made(
+            F.lit(hw * (h // 2)), lambda i: _at(plane, (2 * _div(i, hw) + p // 2) * w + 2 * F.pmod(i, F.lit(hw)) + p % 2)
+        )
 
     return F.array(*[phase(p) for p in range(4)])
 
@@ -36,7 +38,10 @@ def reinterleave(planes: Column, w: int, h: int) -> Column:
 
     def make(i):
         y, x = _div(i, w), F.pmod(i, F.lit(w))
-        return _at(F.element_at(planes, (F.pmod(y, F.lit(2)) * 2 + F.pmod(x, F.lit(2)) + 1).cast("int")), _div(y, 2) * (w // 2) + _div(x, 2))
+        return _at(
+            F.element_at(planes, (F.pmod(y, F.lit(2)) * 2 + F.pmod(x, F.lit(2)) + 1).cast("int")),
+            _div(y, 2) * (w // 2) + _div(x, 2),
+        )
 
     return _made(F.lit(w * h), make)
 
@@ -48,7 +53,9 @@ def decimate(plane: Column, w: int, h: int, staircase: bool = True) -> Column:
     def make(i):
         y, x = _div(i, hw), F.pmod(i, F.lit(hw))
         px, py = F.pmod(x, F.lit(2)), F.pmod(y, F.lit(2))
-        return _at(plane, (2 * y + px) * w + 2 * x + py) if staircase else _at(plane, (4 * _div(y, 2) + py) * w + 4 * _div(x, 2) + px)
+        return _at(plane, (2 * y + px) * w + 2 * x + py) if staircase else _at(
+            plane, (4 * _div(y, 2) + py) * w + 4 * _div(x, 2) + px
+        )
 
     return _made(F.lit(hw * hh), make)
 
@@ -76,7 +83,9 @@ def box3(plane: Column, w: int, h: int) -> Column:
 
 def two_tap(plane: Column, w: int, h: int) -> Column:
     """(x + right neighbour) div 2; the last column pairs with itself."""
-    return _made(F.lit(w * h), lambda i: _div(_at(plane, i) + _at(plane, F.when(F.pmod(i, F.lit(w)) == w - 1, i).otherwise(i + 1)), 2))
+    return _made(
+        F.lit(w * h), lambda i: _div(_at(plane, i) + _at(plane, F.when(F.pmod(i, F.lit(w)) == w - 1, i).otherwise(i + 1)), 2)
+    )
 
 
 def deltas(a: Column, b: Column) -> Column:
@@ -95,7 +104,9 @@ def in_band(a: Column, b: Column, most: int = 256) -> Column:
 def compare(a: Column, b: Column) -> dict[str, Column]:
     """Count, least and largest of the differences that are not zero; zeros for equal planes."""
     d = F.filter(deltas(a, b), lambda v: v > 0)
-    return {"n_diff": F.size(d), "min_delta": F.coalesce(F.array_min(d), F.lit(0)), "max_delta": F.coalesce(F.array_max(d), F.lit(0))}
+    return {
+        "n_diff": F.size(d), "min_delta": F.coalesce(F.array_min(d), F.lit(0)), "max_delta": F.coalesce(F.array_max(d), F.lit(0))
+    }
 
 
 def _sum(a: Column, pick) -> Column:
@@ -124,12 +135,16 @@ def parity_mae(a: Column, b: Column, w: int, h: int) -> tuple[Column, Column]:
     """MAE of even and odd rows over their own counts."""
     d = deltas(a, b)
     even, odd = (h + 1) // 2 * w, h // 2 * w
-    return _sum(d, lambda i: F.pmod(_div(i, w), F.lit(2)) == 0) / float(even), _sum(d, lambda i: F.pmod(_div(i, w), F.lit(2)) == 1) / float(odd)
+    return _sum(
+        d, lambda i: F.pmod(_div(i, w), F.lit(2)) == 0
+    ) / float(even), _sum(d, lambda i: F.pmod(_div(i, w), F.lit(2)) == 1) / float(odd)
 
 
 def parity_means(plane: Column, w: int, h: int) -> tuple[Column, Column]:
     even, odd = (h + 1) // 2 * w, h // 2 * w
-    return _sum(plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == 0) / float(even), _sum(plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == 1) / float(odd)
+    return _sum(
+        plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == 0
+    ) / float(even), _sum(plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == 1) / float(odd)
 
 
 def class_means(decoded: Column, source: Column, w: int, h: int) -> list[Column]:
@@ -146,7 +161,14 @@ def column_contrast(plane: Column, n: int) -> Column:
 
 def difference_categories(plane: Column) -> Column:
     """Bit lengths of the differences of neighbours."""
-    return F.transform(F.zip_with(F.slice(plane, 2, F.greatest(F.size(plane) - 1, F.lit(0))), F.slice(plane, 1, F.greatest(F.size(plane) - 1, F.lit(0))), lambda x, y: F.abs(x - y)), lambda d: F.when(d > 0, F.length(F.bin(d.cast("long")))).otherwise(0))
+    return F.transform(
+        F.zip_with(
+            F.slice(plane, 2, F.greatest(F.size(plane) - 1, F.lit(0))),
+            F.slice(plane, 1, F.greatest(F.size(plane) - 1, F.lit(0))),
+            lambda x, y: F.abs(x - y),
+        ),
+        lambda d: F.when(d > 0, F.length(F.bin(d.cast("long")))).otherwise(0),
+    )
 
 
 def column_planes(plane: Column, w: int) -> Column:
@@ -183,7 +205,12 @@ def log_stats(a: Column, b: Column, bound: int = 4) -> dict[str, Column]:
     """Largest and mean error, percentage within one, and whether the curve's bound is passed."""
     d = deltas(a, b)
     n = F.size(d).cast("double")
-    return {"max_err": F.array_max(d), "mean_err": F.aggregate(d, F.lit(0).cast("long"), lambda s, v: s + v) / n, "within_one_pct": F.size(F.filter(d, lambda v: v <= 1)) * 100.0 / n, "broken": F.array_max(d) > bound}
+    return {
+        "max_err": F.array_max(d),
+        "mean_err": F.aggregate(d, F.lit(0).cast("long"), lambda s, v: s + v) / n,
+        "within_one_pct": F.size(F.filter(d, lambda v: v <= 1)) * 100.0 / n,
+        "broken": F.array_max(d) > bound,
+    }
 
 
 def decimation_rule(repeat: Column, repeat_old: Column, pattern: Column, pattern_old: Column, origin: Column) -> Column:
@@ -191,17 +218,23 @@ def decimation_rule(repeat: Column, repeat_old: Column, pattern: Column, pattern
     size, p = F.coalesce(repeat, repeat_old), F.coalesce(pattern, pattern_old)
     two = size == F.array(F.lit(2), F.lit(2))
     zero = F.coalesce(origin == F.array(F.lit(0), F.lit(0)), F.lit(True))
-    return F.when(F.coalesce(two & zero & (F.element_at(p, 2) == F.element_at(p, 3)), F.lit(False)), "staircase").otherwise("phase")
+    return F.when(
+        F.coalesce(two & zero & (F.element_at(p, 2) == F.element_at(p, 3)), F.lit(False)), "staircase"
+    ).otherwise("phase")
 
 
 def bit_exact(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False))
 
 
-def metadata_preserved(source: Column, out: Column, gone: tuple[int, ...] = (273, 278, 279), new: tuple[int, ...] = (322, 323, 324, 325)) -> Column:
+def metadata_preserved(
+    source: Column, out: Column, gone: tuple[int, ...] = (273, 278, 279), new: tuple[int, ...] = (322, 323, 324, 325)
+) -> Column:
     """Tag maps: the strip tags go, the tile tags come, all others keep their values."""
     tags = lambda m: F.array_sort(F.map_keys(m))
-    want = F.array_sort(F.array_union(F.array_except(F.map_keys(source), F.array(*[F.lit(g) for g in gone])), F.array(*[F.lit(n) for n in new])))
+    want = F.array_sort(
+        F.array_union(F.array_except(F.map_keys(source), F.array(*[F.lit(g) for g in gone])), F.array(*[F.lit(n) for n in new]))
+    )
     rest = lambda m: F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: ~k.isin(*gone, *new))))
     return (tags(out) == want) & (rest(source) == rest(out))
 
@@ -214,26 +247,43 @@ def tile_grid(frame_w: Column, frame_h: Column, tw: int, th: int) -> tuple[Colum
 def tile_regions(frames: DataFrame, key: str, w: str, h: str, tw: int, th: int) -> DataFrame:
     """Clipped rectangle of each tile."""
     cols, rows = tile_grid(F.col(w), F.col(h), tw, th)
-    r = frames.withColumns({"_c": cols, "_r": rows}).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    return r.select(key, "r", "c", (F.col("c") * tw).alias("x0"), (F.col("r") * th).alias("y0"), F.least(F.lit(tw), F.col(w) - F.col("c") * tw).alias("rw"), F.least(F.lit(th), F.col(h) - F.col("r") * th).alias("rh"))
+    r = frames.withColumns({"_c": cols, "_r": rows}).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).withColumn(
+        "c", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
+    )
+    return r.select(
+        key,
+        "r",
+        "c",
+        (F.col("c") * tw).alias("x0"),
+        (F.col("r") * th).alias("y0"),
+        F.least(F.lit(tw), F.col(w) - F.col("c") * tw).alias("rw"),
+        F.least(F.lit(th), F.col(h) - F.col("r") * th).alias("rh"),
+    )
 
 
 def plane_orient(tw: Column, tl: Column) -> Column:
     """(tl/2, tw) where tl is even and the folded rows fit, else (tl, tw/2)."""
     fold = (F.pmod(tl, F.lit(2)) == 0) & (F.pmod(tl * _div(tw, 2), tw) == 0)
-    return F.when(fold, F.struct(_div(tl, 2).alias("rows"), tw.cast("int").alias("cols"))).otherwise(F.struct(tl.cast("int").alias("rows"), _div(tw, 2).alias("cols")))
+    return F.when(fold, F.struct(_div(tl, 2).alias("rows"), tw.cast("int").alias("cols"))).otherwise(
+        F.struct(tl.cast("int").alias("rows"), _div(tw, 2).alias("cols"))
+    )
 
 
 def log_curve(spark: SparkSession) -> DataFrame:
     """(code, linear) of the 10-bit log curve: round(4095 (2^(2c/1023) - 1) / 3)."""
-    return spark.range(1024).select(F.col("id").cast("int").alias("code"), F.round(4095.0 * (F.pow(F.lit(2.0), 2.0 * F.col("id") / 1023.0) - 1.0) / 3.0).cast("int").alias("linear"))
+    return spark.range(1024).select(
+        F.col("id").cast("int").alias("code"),
+        F.round(4095.0 * (F.pow(F.lit(2.0), 2.0 * F.col("id") / 1023.0) - 1.0) / 3.0).cast("int").alias("linear"),
+    )
 
 
 def inverse_curve(spark: SparkSession, curve: DataFrame, levels: int = 4096) -> DataFrame:
     """(linear, code): the nearest code of every level, the lower on a tie. The curve is one array, so this is a projection."""
     codes = curve.agg(F.array_sort(F.collect_list(F.struct("code", "linear"))).alias("curve"))
     level = spark.range(levels).select(F.col("id").cast("int").alias("level"))
-    best = F.array_min(F.transform("curve", lambda s: F.struct(F.abs(s["linear"] - F.col("level")).alias("d"), s["code"].alias("code"))))
+    best = F.array_min(
+        F.transform("curve", lambda s: F.struct(F.abs(s["linear"] - F.col("level")).alias("d"), s["code"].alias("code")))
+    )
     return level.crossJoin(F.broadcast(codes)).select("level", best["code"].alias("code"), best["d"].alias("error"))
 
 

@@ -67,8 +67,13 @@ def with_dense_place(rows: DataFrame, group: str, order: str, range_rows: int =
     rows = rows.withColumn("range", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)))
     rows = rows.withColumn("local", F.dense_rank().over(Window.partitionBy(group, "range").orderBy(order)))
     sums = rows.groupBy(F.col(group).alias("of"), F.col("range").alias("at")).agg(F.max("local").alias("places"))
-    ahead = F.coalesce(F.sum("places").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    both = rows.join(sums.select("of", "at", ahead.alias("ahead")), F.col(group).eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")))
+    ahead = F.coalesce(
+        F.sum("places").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    both = rows.join(
+        sums.select("of", "at", ahead.alias("ahead")),
+        F.col(group).eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")),
+    )
     return both.withColumn("n", F.col("ahead") + F.col("local")).drop("range", "local", "of", "at", "ahead")
 
 
@@ -140,7 +145,17 @@ def next_fit(files: DataFrame, group: str, order: str, size: str, target: int, m
         out = _entries(sizes, target)
         first, before, parts, left = (list(c) for c in zip(*out, strict=True))
         after = [int(sizes[i]) if i < len(sizes) else 0 for i in first]
-        return pa.table({"g": pa.repeat(keys[0], len(out)), "block": pa.repeat(keys[1], len(out)), "first": first, "before": before, "parts": parts, "left": left, "size": after})
+        return pa.table(
+            {
+                "g": pa.repeat(keys[0], len(out)),
+                "block": pa.repeat(keys[1], len(out)),
+                "first": first,
+                "before": before,
+                "parts": parts,
+                "left": left,
+                "size": after,
+            }
+        )
 
     told = stored(held.groupBy("g", "block").applyInArrow(entries, f"g {key}, block int, {_ENTRY}, size long"), "ranges")
 
@@ -156,7 +171,14 @@ def next_fit(files: DataFrame, group: str, order: str, size: str, target: int, m
             begun, taken = _after(taken, [tuple(cols[c][i] for c in range(4)) for i in at], target, sizes.__getitem__)
             part += begun
         b, t, p = zip(*out, strict=True)
-        return pa.table({"g": pa.repeat(keys[0], len(out)), "block": pa.array(b, pa.int32()), "taken": pa.array(t, pa.int64()), "part": pa.array(p, pa.int64())})
+        return pa.table(
+            {
+                "g": pa.repeat(keys[0], len(out)),
+                "block": pa.array(b, pa.int32()),
+                "taken": pa.array(t, pa.int64()),
+                "part": pa.array(p, pa.int64()),
+            }
+        )
 
     starts = told.groupBy("g").applyInArrow(chain, f"g {key}, block int, taken long, part long")
 
@@ -189,10 +211,18 @@ def search_quality(curves: DataFrame, key: str, limit: str, sizes: str) -> DataF
         live = F.col("_lo") <= F.col("_hi")
         rows = rows.withColumn("_mid", F.expr("_lo + (_hi - _lo) div 2").cast("int"))
         fits = live & (size(F.greatest(F.lit(1), F.least(F.lit(100), F.col("_mid")))) <= F.col(limit))
-        rows = rows.withColumns({"_ans": F.when(fits, F.col("_mid")).otherwise(F.col("_ans")), "_nlo": F.when(fits, F.col("_mid") + 1).otherwise(F.col("_lo")), "_nhi": F.when(live & ~fits, F.col("_mid") - 1).otherwise(F.col("_hi"))}).withColumns({"_lo": F.col("_nlo"), "_hi": F.col("_nhi")})
+        rows = rows.withColumns(
+            {
+                "_ans": F.when(fits, F.col("_mid")).otherwise(F.col("_ans")),
+                "_nlo": F.when(fits, F.col("_mid") + 1).otherwise(F.col("_lo")),
+                "_nhi": F.when(live & ~fits, F.col("_mid") - 1).otherwise(F.col("_hi")),
+            }
+        ).withColumns({"_lo": F.col("_nlo"), "_hi": F.col("_nhi")})
     near = F.sequence(F.greatest(F.col("_ans") - 3, F.lit(1)), F.least(F.col("_ans") + 3, F.lit(100)))
     start = F.struct(F.col("_ans").alias("q"), size(F.col("_ans")).alias("s"))
-    step = lambda acc, q: F.when((size(q) <= F.col(limit)) & (size(q) >= acc["s"]), F.struct(q.alias("q"), size(q).alias("s"))).otherwise(acc)
+    step = lambda acc, q: F.when(
+        (size(q) <= F.col(limit)) & (size(q) >= acc["s"]), F.struct(q.alias("q"), size(q).alias("s"))
+    ).otherwise(acc)
     return rows.select(key, F.aggregate(near, start, step)["q"].alias("quality"))
 
 
@@ -219,13 +249,24 @@ def running_p95(rows: DataFrame, key: str, order: list[str], ms: str, total: int
     Runs are dealt out by key and sorted; a task streams through them and holds the
     times of one run, eight bytes a frame. Null times take no part but are counted.
     """
-    kinds = T.StructType([*rows.schema.fields, T.StructField("done", T.IntegerType()), T.StructField("p95", T.DoubleType()), T.StructField("eta", T.DoubleType())])
+    kinds = T.StructType(
+        [
+            *rows.schema.fields,
+            T.StructField("done", T.IntegerType()),
+            T.StructField("p95", T.DoubleType()),
+            T.StructField("eta", T.DoubleType()),
+        ]
+    )
 
     def run(batches):
         now, done, upper = object(), 0, Upper(95)
         for b in batches:
             counts, p95s, etas = [], [], []
-            for k, value in zip(b.column(b.schema.get_field_index(key)).to_pylist(), b.column(b.schema.get_field_index(ms)).to_pylist(), strict=True):
+            for k, value in zip(
+                b.column(b.schema.get_field_index(key)).to_pylist(),
+                b.column(b.schema.get_field_index(ms)).to_pylist(),
+                strict=True,
+            ):
                 if k != now:
                     now, done, upper, p95 = k, 0, Upper(95), None
                 done += 1
@@ -234,7 +275,10 @@ def running_p95(rows: DataFrame, key: str, order: list[str], ms: str, total: int
                 counts.append(done)
                 p95s.append(p95)
                 etas.append(None if p95 is None else p95 * max(total - done, 0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int32()), pa.array(p95s, pa.float64()), pa.array(etas, pa.float64())], names=kinds.names)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(counts, pa.int32()), pa.array(p95s, pa.float64()), pa.array(etas, pa.float64())],
+                names=kinds.names,
+            )
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kinds)
 
@@ -245,14 +289,18 @@ def running_rate(rows: DataFrame, key: str, order: list[str], elapsed: str, tota
     soon = F.col(elapsed) < 0.1
     rate = F.when(soon, 0.0).otherwise(F.col("done") / F.greatest(F.col(elapsed), F.lit(0.1)))
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
-    return rows.withColumn("done", done).withColumn("rate", rate).withColumn("eta", F.when(soon, float(static_eta)).otherwise(left / F.nullif(F.col("rate"), F.lit(0.0))))
+    return rows.withColumn("done", done).withColumn("rate", rate).withColumn(
+        "eta", F.when(soon, float(static_eta)).otherwise(left / F.nullif(F.col("rate"), F.lit(0.0)))
+    )
 
 
 def naming(stems: DataFrame, key: list[str], stem: str) -> DataFrame:
     """Whether all stems of a group read FIRST_..._YYYYMMDD_NNNNNN with one common first field; that field, else null."""
     fine = F.col(stem).rlike(r"^[^_]*(_[^_]*)*_[0-9]{8}_[0-9]{6}$") & (F.size(F.split(stem, "_")) >= 3)
     first = F.substring_index(stem, "_", 1)
-    return stems.groupBy(*key).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("fine"), F.min(first).alias("a"), F.max(first).alias("b")).select(*key, F.when(F.col("fine") & (F.col("a") == F.col("b")), F.col("a")).alias("designation"))
+    return stems.groupBy(*key).agg(
+        F.bool_and(F.coalesce(fine, F.lit(False))).alias("fine"), F.min(first).alias("a"), F.max(first).alias("b")
+    ).select(*key, F.when(F.col("fine") & (F.col("a") == F.col("b")), F.col("a")).alias("designation"))
 
 
 #: Names of a selection, at most: they are typed by hand.
@@ -317,7 +365,9 @@ def candidate_families(families: DataFrame, frames: DataFrame, on: list[str], de
 def fingerprint(indexes: DataFrame, place: str) -> DataFrame:
     """SHA-256 of a sample's sorted places, as text; a sample is at most some thousand places."""
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p.cast("string")), ",")
-    return indexes.agg(F.sha2(F.concat(listed, F.lit("\n")).cast("binary"), 256).alias("sha256"), F.count(F.lit(1)).alias("places"))
+    return indexes.agg(
+        F.sha2(F.concat(listed, F.lit("\n")).cast("binary"), 256).alias("sha256"), F.count(F.lit(1)).alias("places")
+    )
 
 
 def source_totals(outcomes: DataFrame, ordinal: str, source: str) -> DataFrame:

@@ -25,7 +25,12 @@ def diff(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """Full outer diff: IDENTICAL, DELTA, FAILED (unreadable, null value) or MISSING."""
     left = a.select(*key, F.lit(True).alias("in_a"), F.col(value).alias("va"))
     right = b.select(*key, F.lit(True).alias("in_b"), F.col(value).alias("vb"))
-    verdict = first_of((F.col("in_a").isNull() | F.col("in_b").isNull(), "MISSING"), (F.col("va").isNull() | F.col("vb").isNull(), "FAILED"), (F.col("va") != F.col("vb"), "DELTA"), otherwise="IDENTICAL")
+    verdict = first_of(
+        (F.col("in_a").isNull() | F.col("in_b").isNull(), "MISSING"),
+        (F.col("va").isNull() | F.col("vb").isNull(), "FAILED"),
+        (F.col("va") != F.col("vb"), "DELTA"),
+        otherwise="IDENTICAL",
+    )
     return left.join(right, key, "full").select(*key, "va", "vb", verdict.alias("verdict"))
 
 
@@ -37,7 +42,12 @@ def verdict_counts(rows: DataFrame, verdicts: list[str]) -> DataFrame:
 def run_verdict(counts: DataFrame, strict: bool = False) -> DataFrame:
     """FAIL for any missing or failed row, DELTA for any delta, else IDENTICAL; and the exit code."""
     bad, delta = F.col("n_missing") + F.col("n_failed") > 0, F.col("n_delta") > 0
-    return counts.withColumns({"run": F.when(bad, "FAIL").when(delta, "DELTA").otherwise("IDENTICAL"), "exit_code": F.when(bad | (delta & F.lit(strict)), 1).otherwise(0)})
+    return counts.withColumns(
+        {
+            "run": F.when(bad, "FAIL").when(delta, "DELTA").otherwise("IDENTICAL"),
+            "exit_code": F.when(bad | (delta & F.lit(strict)), 1).otherwise(0),
+        }
+    )
 
 
 def audit(manifest: DataFrame, disk: DataFrame, key: str) -> DataFrame:
@@ -72,22 +82,42 @@ def archive_audit(manifest: DataFrame, members: DataFrame, parts: DataFrame, key
     here = parts.select("part", F.lit(True).alias("part_here")).distinct()
     rows = manifest.join(members, key, "left").join(here, "part", "left")
     verdict = first_of(
-        (F.col("part").isNull(), "not found"), (F.col("part_here").isNull(), "missing part"), (F.col("d_sha256").isNull(), "unreadable"), (F.col("size") != F.col("d_size"), "size"), (F.col("sha256") != F.col("d_sha256"), "sha256"), otherwise="ok"
+        (F.col("part").isNull(), "not found"),
+        (F.col("part_here").isNull(), "missing part"),
+        (F.col("d_sha256").isNull(), "unreadable"),
+        (F.col("size") != F.col("d_size"), "size"),
+        (F.col("sha256") != F.col("d_sha256"), "sha256"),
+        otherwise="ok",
     )
     return rows.select(key, verdict.alias("verdict"))
 
 
-def repair_rows(manifest: DataFrame, dest: DataFrame, workspace: DataFrame, fresh: DataFrame, key: str, scope: list[str] | None = None) -> DataFrame:
+def repair_rows(
+    manifest: DataFrame, dest: DataFrame, workspace: DataFrame, fresh: DataFrame, key: str, scope: list[str] | None = None
+) -> DataFrame:
     """Both sides of every manifest row against the fresh source (key, f_size, f_sha256).
 
     The workspace side is left out for frames; rows outside ``scope`` are marked
     so; a drift of the recorded digest is only a note.
     """
     side = lambda rows, name: manifest.join(rows, key, "left").withColumn("side", F.lit(name))
-    both = side(dest, "dest").unionByName(side(workspace, "workspace").filter(~F.lower(F.col(key)).endswith(".dng"))).join(fresh, key, "left")
-    verdict = first_of((F.col("d_sha256").isNull(), "Missing"), (F.col("f_size") != F.col("d_size"), "SizeMismatch"), (F.col("f_sha256") != F.col("d_sha256"), "ShaMismatch"), otherwise="Clean")
+    both = side(dest, "dest").unionByName(
+        side(workspace, "workspace").filter(~F.lower(F.col(key)).endswith(".dng"))
+    ).join(fresh, key, "left")
+    verdict = first_of(
+        (F.col("d_sha256").isNull(), "Missing"),
+        (F.col("f_size") != F.col("d_size"), "SizeMismatch"),
+        (F.col("f_sha256") != F.col("d_sha256"), "ShaMismatch"),
+        otherwise="Clean",
+    )
     inside = F.lit(True) if scope is None else F.col(key).isin(*scope)
-    return both.select(key, "side", verdict.alias("verdict"), inside.alias("in_scope"), F.coalesce(F.col("sha256") != F.col("f_sha256"), F.lit(False)).alias("drifted"))
+    return both.select(
+        key,
+        "side",
+        verdict.alias("verdict"),
+        inside.alias("in_scope"),
+        F.coalesce(F.col("sha256") != F.col("f_sha256"), F.lit(False)).alias("drifted"),
+    )
 
 
 def repair_scope(manifest: DataFrame, key: str, scope: list[str]) -> None:
@@ -100,14 +130,23 @@ def repair_scope(manifest: DataFrame, key: str, scope: list[str]) -> None:
 def source_classes(record: DataFrame, card: DataFrame, key: str) -> DataFrame:
     """Source re-verify: MISSING (or not a file), READ_ERROR, SIZE, SHA, OK."""
     verdict = first_of(
-        (F.col("is_file").isNull() | ~F.col("is_file"), "MISSING"), (F.col("size") != F.col("d_size"), "SIZE"), (F.col("d_sha256").isNull(), "READ_ERROR"), (F.col("sha256") != F.col("d_sha256"), "SHA"), otherwise="OK"
+        (F.col("is_file").isNull() | ~F.col("is_file"), "MISSING"),
+        (F.col("size") != F.col("d_size"), "SIZE"),
+        (F.col("d_sha256").isNull(), "READ_ERROR"),
+        (F.col("sha256") != F.col("d_sha256"), "SHA"),
+        otherwise="OK",
     )
     return record.join(card, key, "left").select(key, verdict.alias("verdict"))
 
 
 def repair_classes(manifest: DataFrame, dest: DataFrame, key: str) -> DataFrame:
     """Repair: Missing (also unreadable), SizeMismatch, ShaMismatch, Clean."""
-    verdict = first_of((F.col("d_sha256").isNull(), "Missing"), (F.col("size") != F.col("d_size"), "SizeMismatch"), (F.col("sha256") != F.col("d_sha256"), "ShaMismatch"), otherwise="Clean")
+    verdict = first_of(
+        (F.col("d_sha256").isNull(), "Missing"),
+        (F.col("size") != F.col("d_size"), "SizeMismatch"),
+        (F.col("sha256") != F.col("d_sha256"), "ShaMismatch"),
+        otherwise="Clean",
+    )
     return manifest.join(dest, key, "left").select(key, verdict.alias("verdict"))
 
 
@@ -155,14 +194,20 @@ def rederived(recorded: DataFrame, derived: DataFrame, key: str, columns: list[s
     r = recorded.select(key, F.lit(True).alias("in_r"), *[F.col(c).alias(f"r_{c}") for c in columns])
     d = derived.select(key, F.lit(True).alias("in_d"), *[F.col(c).alias(f"d_{c}") for c in columns])
     differing = F.array_compact(F.array(*[F.when(~F.col(f"r_{c}").eqNullSafe(F.col(f"d_{c}")), F.lit(c)) for c in columns]))
-    verdict = F.when(F.col("in_d").isNull(), "recorded only").when(F.col("in_r").isNull(), "derived only").when(F.size(differing) > 0, F.array_join(differing, ",")).otherwise("same")
+    verdict = F.when(F.col("in_d").isNull(), "recorded only").when(F.col("in_r").isNull(), "derived only").when(
+        F.size(differing) > 0, F.array_join(differing, ",")
+    ).otherwise("same")
     return r.join(d, key, "full").select(key, verdict.alias("verdict"))
 
 
 def resume_plan(frames: DataFrame, outputs: DataFrame, sidecar: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Skip a frame iff its output exists, its sidecar row exists and agrees, and any known source digest agrees."""
-    rows = frames.join(outputs.withColumn("has_output", F.lit(True)), key, "left").join(sidecar, key, "left").join(sources, key, "left")
-    skip = F.col("has_output") & F.col("side_sha").isNotNull() & (F.col("side_sha") == F.col("out_sha")) & (F.col("map_sha").isNull() | (F.col("map_sha") == F.col("src_sha")))
+    rows = frames.join(
+        outputs.withColumn("has_output", F.lit(True)), key, "left"
+    ).join(sidecar, key, "left").join(sources, key, "left")
+    skip = F.col("has_output") & F.col("side_sha").isNotNull() & (F.col("side_sha") == F.col("out_sha")) & (
+        F.col("map_sha").isNull() | (F.col("map_sha") == F.col("src_sha"))
+    )
     return rows.select(key, F.coalesce(skip, F.lit(False)).alias("skip"))
 
 
@@ -183,7 +228,9 @@ def fan_out(files: DataFrame, dests: DataFrame, existing: DataFrame, key: str, d
     """Every file for every destination, skipped where size and digest already agree."""
     held = existing.select(key, dest, F.col("size").alias("e_size"), F.col("sha256").alias("e_sha"))
     action = F.when((F.col("e_size") == F.col("size")) & (F.col("e_sha") == F.col("sha256")), "skip").otherwise("copy")
-    return each_dest(files, dests, dest).join(held, [key, dest], "left").select(key, dest, F.coalesce(action, F.lit("copy")).alias("action"))
+    return each_dest(files, dests, dest).join(held, [key, dest], "left").select(
+        key, dest, F.coalesce(action, F.lit("copy")).alias("action")
+    )
 
 
 def nested_paths(paths: DataFrame, name: str, path: str) -> DataFrame:
@@ -214,7 +261,9 @@ def reel_rows(archives: DataFrame, disk: DataFrame) -> DataFrame:
 def restore_actions(offenders: DataFrame, master: DataFrame, key: str, fine: str) -> DataFrame:
     """Offenders with what restores them: 'restore' from a master that verifies, 'master bad', or 'no master'."""
     found = offenders.join(master.select(key, F.col(fine).alias("_fine"), F.lit(True).alias("_held")), key, "left")
-    action = first_of((F.col("_held").isNull(), "no master"), (F.coalesce(~F.col("_fine"), F.lit(True)), "master bad"), otherwise="restore")
+    action = first_of(
+        (F.col("_held").isNull(), "no master"), (F.coalesce(~F.col("_fine"), F.lit(True)), "master bad"), otherwise="restore"
+    )
     return found.withColumn("action", action).drop("_fine", "_held")
 
 
@@ -230,8 +279,12 @@ def pin_states(pins: DataFrame, found: DataFrame) -> DataFrame:
     rows = pins.withColumns({"_kind": kind, "_name": name})
     told = found.select(F.col("component").alias("_c"), F.col("name").alias("_n"), "value")
     same = (F.col("component") == F.col("_c")) & ((F.col("_kind") == "version-contains") | (F.col("_name") == F.col("_n")))
-    fits = F.when(F.col("_kind") == "version-contains", F.contains("value", "expected")).otherwise(F.col("value") == F.col("expected"))
-    joined = rows.join(told, same, "left").groupBy("component", "expected", "probe", "_kind").agg(F.count("value").alias("known"), F.bool_and(fits).alias("fits"))
+    fits = F.when(F.col("_kind") == "version-contains", F.contains("value", "expected")).otherwise(
+        F.col("value") == F.col("expected")
+    )
+    joined = rows.join(told, same, "left").groupBy("component", "expected", "probe", "_kind").agg(
+        F.count("value").alias("known"), F.bool_and(fits).alias("fits")
+    )
     drift = F.when(F.coalesce("fits", F.lit(False)), "OK").otherwise("DRIFT")
     state = (
         F.when((F.col("_kind") == "version-contains") & (F.col("known") == 0), "skip-OK")
@@ -275,7 +328,9 @@ def camera_line(frames: DataFrame, profiles: DataFrame | None, path: str, levels
     first = frames.orderBy(path).limit(1)
     if profiles is None:
         return "ABSENT"
-    got = resolve_levels(first, profiles, levels).withColumn("_known", F.col(levels[0][0]).isNotNull()).select("failed_level", "_known").collect()
+    got = resolve_levels(first, profiles, levels).withColumn("_known", F.col(levels[0][0]).isNotNull()).select(
+        "failed_level", "_known"
+    ).collect()
     if not got or not got[0]["_known"]:
         return "ABSENT"
     return "OK" if got[0]["failed_level"] == 0 else "UNKNOWN"
@@ -315,12 +370,22 @@ def nearest_verified(frames: DataFrame, clip: str, ordinal: str, verified: str)
     o = F.col(ordinal)
     steps = F.array_compact(
         F.array(
-            F.when(F.col("low").isNotNull(), F.struct((o - F.col("low")).alias("d"), F.lit(0).alias("side"), F.col("low").alias("n"))),
-            F.when(F.col("high").isNotNull(), F.struct((F.col("high") - o).alias("d"), F.lit(1).alias("side"), F.col("high").alias("n"))),
-            F.when((F.pmod(o, F.lit(2)) == 1) & F.col("zero").isNotNull(), F.struct((o + 1).alias("d"), F.lit(0).alias("side"), F.lit(0).cast(frames.schema[ordinal].dataType).alias("n"))),
+            F.when(
+                F.col("low").isNotNull(), F.struct((o - F.col("low")).alias("d"), F.lit(0).alias("side"), F.col("low").alias("n"))
+            ),
+            F.when(
+                F.col("high").isNotNull(),
+                F.struct((F.col("high") - o).alias("d"), F.lit(1).alias("side"), F.col("high").alias("n")),
+            ),
+            F.when(
+                (F.pmod(o, F.lit(2)) == 1) & F.col("zero").isNotNull(),
+                F.struct((o + 1).alias("d"), F.lit(0).alias("side"), F.lit(0).cast(frames.schema[ordinal].dataType).alias("n")),
+            ),
         )
     )
-    return frames.withColumns({"low": low, "high": high, "zero": zero}).select(clip, ordinal, F.array_min(steps)["n"].alias("neighbour"))
+    return frames.withColumns({"low": low, "high": high, "zero": zero}).select(
+        clip, ordinal, F.array_min(steps)["n"].alias("neighbour")
+    )
 
 
 def rotation(rows: DataFrame, window_days: int, now: int) -> DataFrame:
@@ -329,10 +394,14 @@ def rotation(rows: DataFrame, window_days: int, now: int) -> DataFrame:
     rows: created, command, input, output, verdict. Reels are outputs of ok bakes;
     an audit of any verdict counts.
     """
-    reels = rows.filter(F.col("command").isin("bake", "bake-iso") & (F.col("verdict") == "OK")).select(F.col("output").alias("reel")).distinct()
+    reels = rows.filter(
+        F.col("command").isin("bake", "bake-iso") & (F.col("verdict") == "OK")
+    ).select(F.col("output").alias("reel")).distinct()
     last = rows.filter(F.col("command") == "audit").groupBy(F.col("input").alias("reel")).agg(F.max("created").alias("last"))
     age = F.expr(f"greatest({now} - last, 0) div 86400")
-    return reels.join(last, "reel", "left").withColumn("age_days", age).filter(F.col("age_days").isNull() | (F.col("age_days") > window_days)).select("reel", "age_days")
+    return reels.join(last, "reel", "left").withColumn("age_days", age).filter(
+        F.col("age_days").isNull() | (F.col("age_days") > window_days)
+    ).select("reel", "age_days")
 
 
 def union_fresh(prior: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

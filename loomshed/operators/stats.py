@@ -12,14 +12,25 @@ BIG = "decimal(38,0)"
 def frame_stats(samples: DataFrame, key: list[str], value: str) -> DataFrame:
     """min, max, n, sum and sum of squares of each frame, exact; partial sums merge map-side."""
     v = F.col(value).cast("long")
-    return samples.groupBy(*key).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).alias("total"), F.coalesce(F.sum((v * v).cast("decimal(18,0)")), F.lit(0)).cast(BIG).alias("squares"))
+    return samples.groupBy(*key).agg(
+        F.min(v).alias("lo"),
+        F.max(v).alias("hi"),
+        F.count(v).alias("n"),
+        F.coalesce(F.sum(v), F.lit(0)).alias("total"),
+        F.coalesce(F.sum((v * v).cast("decimal(18,0)")), F.lit(0)).cast(BIG).alias("squares"),
+    )
 
 
 def merge_stats(partials: DataFrame, key: list[str]) -> DataFrame:
     """Partials to a coarser grain; empty frames count as frames but bring no samples."""
     full = F.col("n") > 0
     return partials.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("frames"), F.min(F.when(full, F.col("lo"))).alias("lo"), F.max(F.when(full, F.col("hi"))).alias("hi"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").cast(BIG).alias("squares")
+        F.count(F.lit(1)).alias("frames"),
+        F.min(F.when(full, F.col("lo"))).alias("lo"),
+        F.max(F.when(full, F.col("hi"))).alias("hi"),
+        F.sum("n").alias("n"),
+        F.sum("total").alias("total"),
+        F.sum("squares").cast(BIG).alias("squares"),
     )
 
 
@@ -47,7 +58,14 @@ def moments(stats: DataFrame) -> DataFrame:
     some = F.col("n") > 0
     mean = F.when(some, F.col("total") / F.nullif(F.col("n"), F.lit(0))).otherwise(F.lit(0.0))
     return stats.withColumns({"range": F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), "var_num": F.when(some, num.cast(BIG)).otherwise(F.lit(0).cast(BIG))}).withColumns(
-        {"mean": three_places(mean), "variance": three_places(F.when(some, F.col("var_num").cast("double") / (F.nullif(F.col("n"), F.lit(0)).cast("double") * F.col("n"))).otherwise(F.lit(0.0)))}
+        {
+            "mean": three_places(mean),
+            "variance": three_places(
+                F.when(
+                    some, F.col("var_num").cast("double") / (F.nullif(F.col("n"), F.lit(0)).cast("double") * F.col("n"))
+                ).otherwise(F.lit(0.0))
+            ),
+        }
     )
 
 
@@ -67,14 +85,22 @@ def cumulative(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     held = placed(hist, *[F.col(k).asc_nulls_first() for k in key], F.col(value).asc_nulls_first()).drop("place")
     sums = held.groupBy(*key, "block").agg(F.sum("c").alias("_c"))
     over = Window.partitionBy(*key)
-    before = sums.withColumns({"_ahead": F.sum("_c").over(over.orderBy("block")) - F.col("_c"), "n": F.sum("_c").over(over)}).drop("_c")
+    before = sums.withColumns(
+        {"_ahead": F.sum("_c").over(over.orderBy("block")) - F.col("_c"), "n": F.sum("_c").over(over)}
+    ).drop("_c")
     inside = F.sum("c").over(Window.partitionBy(*key, "block").orderBy(F.col(value).asc_nulls_first()))
     mine = held.withColumn("_inside", inside)
     same = F.col("l.block") == F.col("r.block")
     for k in key:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     both = mine.alias("l").join(before.alias("r"), same)
-    return both.select(*[F.col(f"l.{k}").alias(k) for k in key], F.col(f"l.{value}").alias(value), "c", (F.col("_ahead") + F.col("_inside")).alias("cum"), "n")
+    return both.select(
+        *[F.col(f"l.{k}").alias(k) for k in key],
+        F.col(f"l.{value}").alias(value),
+        "c",
+        (F.col("_ahead") + F.col("_inside")).alias("cum"),
+        "n",
+    )
 
 
 def histogram_percentiles(samples: DataFrame, key: list[str], value: str, percents: list[int]) -> DataFrame:
@@ -95,7 +121,15 @@ def estimate_band(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     n = F.col("n")
     at = lambda p: _at_rank(F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(p) * n))), value)
     median = (_at_rank(F.expr("(n + 1) div 2"), value) + _at_rank(F.expr("n div 2 + 1"), value)) / 2
-    return cum.groupBy(*key).agg(F.max("n").alias("n"), F.min(value).alias("lo"), median.alias("median"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(value).alias("hi"))
+    return cum.groupBy(*key).agg(
+        F.max("n").alias("n"),
+        F.min(value).alias("lo"),
+        median.alias("median"),
+        at(0.1).alias("p10"),
+        at(0.5).alias("p50"),
+        at(0.9).alias("p90"),
+        F.max(value).alias("hi"),
+    )
 
 
 def distribution_gate(rows: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -105,6 +139,10 @@ def distribution_gate(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     same = F.lit(True)
     for k in key:
         same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}"))
-    got = plain.alias("p").join(middle.alias("m"), same).select(*[F.col(f"p.{k}").alias(k) for k in key], "mean", "upper_median", "n_over")
-    gate = F.when(~F.col("mean").between(0.10, 1.20), "mean").when(~F.col("upper_median").between(0.10, 1.40), "median").when(F.col("n_over") > 5, "outliers").otherwise("ok")
+    got = plain.alias("p").join(middle.alias("m"), same).select(
+        *[F.col(f"p.{k}").alias(k) for k in key], "mean", "upper_median", "n_over"
+    )
+    gate = F.when(~F.col("mean").between(0.10, 1.20), "mean").when(
+        ~F.col("upper_median").between(0.10, 1.40), "median"
+    ).when(F.col("n_over") > 5, "outliers").otherwise("ok")
     return got.withColumn("gate", gate)

@@ -16,7 +16,12 @@ _DISK = """SELECT doc_id, CASE WHEN doc_id % 31 <> 0 THEN n_chars + CASE WHEN do
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.when(d % 3 == 0, (d * 31 % 1000).cast("string")).alias("crc32c"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.col("n_chars").alias("size"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+        F.when(d % 3 == 0, (d * 31 % 1000).cast("string")).alias("crc32c"),
+    )
 
 
 def disk(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,13 +57,25 @@ def sidecar_audit(spark: SparkSession, sf: str) -> DataFrame:
     return rc.audit(manifest(spark, sf), disk(spark, sf), "doc_id")
 
 
-@register("source_classes", _audit_sql("WHEN coalesce(is_file, false) = false THEN 'MISSING' WHEN size <> d_size THEN 'SIZE' WHEN d_sha256 IS NULL THEN 'READ_ERROR' WHEN sha256 <> d_sha256 THEN 'SHA'", "OK"))
+@register(
+    "source_classes",
+    _audit_sql(
+        "WHEN coalesce(is_file, false) = false THEN 'MISSING' WHEN size <> d_size THEN 'SIZE' WHEN d_sha256 IS NULL THEN 'READ_ERROR' WHEN sha256 <> d_sha256 THEN 'SHA'",
+        "OK",
+    ),
+)
 def source_classes(spark: SparkSession, sf: str) -> DataFrame:
     """A source record against its card."""
     return rc.source_classes(manifest(spark, sf), disk(spark, sf), "doc_id")
 
 
-@register("repair_classes", _audit_sql("WHEN d_sha256 IS NULL THEN 'Missing' WHEN size <> d_size THEN 'SizeMismatch' WHEN sha256 <> d_sha256 THEN 'ShaMismatch'", "Clean"))
+@register(
+    "repair_classes",
+    _audit_sql(
+        "WHEN d_sha256 IS NULL THEN 'Missing' WHEN size <> d_size THEN 'SizeMismatch' WHEN sha256 <> d_sha256 THEN 'ShaMismatch'",
+        "Clean",
+    ),
+)
 def repair_classes(spark: SparkSession, sf: str) -> DataFrame:
     """What a repair would have to do."""
     return rc.repair_classes(manifest(spark, sf), disk(spark, sf), "doc_id")
@@ -111,17 +128,28 @@ def offload_reverify(spark: SparkSession, sf: str) -> DataFrame:
 )
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Clean and dirty rows of each clip, and whether its card may be cleared."""
-    v = rc.audit(manifest(spark, sf), disk(spark, sf), "doc_id").join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("clip")), "doc_id")
+    v = rc.audit(manifest(spark, sf), disk(spark, sf), "doc_id").join(
+        table(spark, sf, "documents").select("doc_id", F.col("source").alias("clip")), "doc_id"
+    )
     ok = F.count_if(F.col("verdict") == "ok")
-    return v.groupBy("clip").agg(F.count(F.lit(1)).alias("total"), ok.alias("ok"), F.count_if(F.col("verdict") != "ok").alias("dirty")).withColumn("card", F.when(F.col("dirty") == 0, "UNLOCKED").otherwise("REFUSED"))
+    return v.groupBy("clip").agg(
+        F.count(F.lit(1)).alias("total"), ok.alias("ok"), F.count_if(F.col("verdict") != "ok").alias("dirty")
+    ).withColumn("card", F.when(F.col("dirty") == 0, "UNLOCKED").otherwise("REFUSED"))
 
 
 _SIDE = "SELECT l_orderkey AS clip, l_linenumber AS stem, {v} AS v FROM lineitem WHERE {w} GROUP BY 1, 2"
-_A, _B = _SIDE.format(v="max(l_quantity)::INT", w="l_suppkey % 10 <> 1"), _SIDE.format(v="CASE WHEN l_orderkey % 97 <> 0 THEN max(l_quantity)::INT END", w="l_suppkey % 10 <> 2")
+_A, _B = _SIDE.format(v="max(l_quantity)::INT", w="l_suppkey % 10 <> 1"), _SIDE.format(
+    v="CASE WHEN l_orderkey % 97 <> 0 THEN max(l_quantity)::INT END", w="l_suppkey % 10 <> 2"
+)
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("stem"), F.col("l_quantity").cast("int").alias("v"), "l_suppkey")
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("clip"),
+        F.col("l_linenumber").alias("stem"),
+        F.col("l_quantity").cast("int").alias("v"),
+        "l_suppkey",
+    )
     best = lambda x: x.groupBy("clip", "stem").agg(F.max("v").alias("v"))
     a, b = best(lines.filter("l_suppkey % 10 <> 1")), best(lines.filter("l_suppkey % 10 <> 2"))
     return a, b.withColumn("v", F.when(F.col("clip") % 97 != 0, F.col("v")))
@@ -145,7 +173,9 @@ def frame_diff(spark: SparkSession, sf: str) -> DataFrame:
 )
 def diff_run(spark: SparkSession, sf: str) -> DataFrame:
     """The verdict of a whole diff."""
-    return rc.run_verdict(rc.verdict_counts(rc.diff(*_sides(spark, sf), ["clip", "stem"], "v"), ["IDENTICAL", "DELTA", "MISSING", "FAILED"]))
+    return rc.run_verdict(
+        rc.verdict_counts(rc.diff(*_sides(spark, sf), ["clip", "stem"], "v"), ["IDENTICAL", "DELTA", "MISSING", "FAILED"])
+    )
 
 
 @register(
@@ -158,7 +188,9 @@ def diff_run(spark: SparkSession, sf: str) -> DataFrame:
 def camera_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """The first level of a cascading lookup that fails."""
     part = table(spark, sf, "part")
-    return rc.resolve_levels(part, part.filter("p_partkey % 40 = 0"), [["p_brand"], ["p_type"], ["p_size"]]).select("p_partkey", "failed_level")
+    return rc.resolve_levels(
+        part, part.filter("p_partkey % 40 = 0"), [["p_brand"], ["p_type"], ["p_size"]]
+    ).select("p_partkey", "failed_level")
 
 
 _RESUME = """frames AS (SELECT doc_id, sha256(text) AS src_sha FROM documents), outs AS (SELECT doc_id, md5(text) AS out_sha FROM documents WHERE doc_id % 5 <> 0),
@@ -166,20 +198,31 @@ _RESUME = """frames AS (SELECT doc_id, sha256(text) AS src_sha FROM documents),
   maps AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 8 = 0 THEN '?' ELSE '' END) AS map_sha FROM documents WHERE doc_id % 2 = 0)"""
 
 
-@register("resume_plan", f"WITH {_RESUME} SELECT doc_id, coalesce(out_sha IS NOT NULL AND side_sha IS NOT NULL AND side_sha = out_sha AND (map_sha IS NULL OR map_sha = src_sha), false) AS skip FROM frames LEFT JOIN outs USING (doc_id) LEFT JOIN side USING (doc_id) LEFT JOIN maps USING (doc_id)")
+@register(
+    "resume_plan",
+    f"WITH {_RESUME} SELECT doc_id, coalesce(out_sha IS NOT NULL AND side_sha IS NOT NULL AND side_sha = out_sha AND (map_sha IS NULL OR map_sha = src_sha), false) AS skip FROM frames LEFT JOIN outs USING (doc_id) LEFT JOIN side USING (doc_id) LEFT JOIN maps USING (doc_id)",
+)
 def resume_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Frames that a resumed run may skip."""
     d, k = table(spark, sf, "documents"), F.col("doc_id")
     sha, md5 = (lambda x: F.sha2(x.cast("binary"), 256)), (lambda x: F.md5(x.cast("binary")))
     noisy = lambda m: F.concat("text", F.when(k % m == 0, "?").otherwise(""))
     side = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id").select("doc_id", md5(noisy(9)).alias("side_sha"))
-    return rc.resume_plan(d.select("doc_id", sha(F.col("text")).alias("src_sha")), d.filter(k % 5 != 0).select("doc_id", md5(F.col("text")).alias("out_sha")), side, d.filter(k % 2 == 0).select("doc_id", sha(noisy(8)).alias("map_sha")), "doc_id")
+    return rc.resume_plan(
+        d.select("doc_id", sha(F.col("text")).alias("src_sha")),
+        d.filter(k % 5 != 0).select("doc_id", md5(F.col("text")).alias("out_sha")),
+        side,
+        d.filter(k % 2 == 0).select("doc_id", sha(noisy(8)).alias("map_sha")),
+        "doc_id",
+    )
 
 
 @register("stale_sidecar", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)")
 def stale_sidecar(spark: SparkSession, sf: str) -> DataFrame:
     """Sidecar rows without a frame."""
-    return rc.stale_rows(table(spark, sf, "labels"), table(spark, sf, "documents").filter("doc_id % 4 <> 0").select("doc_id"), "doc_id")
+    return rc.stale_rows(
+        table(spark, sf, "labels"), table(spark, sf, "documents").filter("doc_id % 4 <> 0").select("doc_id"), "doc_id"
+    )
 
 
 @register(
@@ -192,8 +235,15 @@ def stale_sidecar(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_rederive(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded clips against re-derived ones."""
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("clip"), "o_orderkey")
-    roll = lambda rows, m: rows.groupBy("clip").agg(F.count(F.lit(1)).alias("frames"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")).withColumn("last", F.when(F.col("clip") % m != 0, F.col("last")))
-    return rc.rederived(roll(orders.filter("clip % 9 <> 0"), 4), roll(orders.filter("o_orderkey % 50 <> 0"), 8), "clip", ["frames", "first", "last"])
+    roll = lambda rows, m: rows.groupBy("clip").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
+    ).withColumn("last", F.when(F.col("clip") % m != 0, F.col("last")))
+    return rc.rederived(
+        roll(orders.filter("clip % 9 <> 0"), 4),
+        roll(orders.filter("o_orderkey % 50 <> 0"), 8),
+        "clip",
+        ["frames", "first", "last"],
+    )
 
 
 @register(
@@ -210,9 +260,13 @@ def reel_row_check(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     md5 = lambda c: F.md5(c.cast("string").cast("binary"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), c), ", ")
-    reels = o.groupBy(F.col("o_custkey").alias("clip")).agg(joined(lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("archive"), joined(md5).alias("archive_sha256"))
+    reels = o.groupBy(F.col("o_custkey").alias("clip")).agg(
+        joined(lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("archive"), joined(md5).alias("archive_sha256")
+    )
     k = F.col("o_orderkey")
-    held = o.filter(k % 15 != 0).select(F.concat(F.lit("a"), k.cast("string")).alias("archive"), md5(k + F.when(k % 10 == 0, 1).otherwise(0)).alias("d"))
+    held = o.filter(k % 15 != 0).select(
+        F.concat(F.lit("a"), k.cast("string")).alias("archive"), md5(k + F.when(k % 10 == 0, 1).otherwise(0)).alias("d")
+    )
     return rc.reel_rows(reel_archives(reels), held)
 
 
@@ -224,7 +278,12 @@ def source_sha_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """The first known digest of several."""
     k, md5 = F.col("doc_id"), lambda c: F.md5(F.col(c).cast("binary"))
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return rows.select("doc_id", rc.known_digest(F.when(k % 3 == 0, md5("text")), F.when(F.col("quality") == 1, md5("lang")), F.when(k % 2 == 0, md5("source"))).alias("sha"))
+    return rows.select(
+        "doc_id",
+        rc.known_digest(
+            F.when(k % 3 == 0, md5("text")), F.when(F.col("quality") == 1, md5("lang")), F.when(k % 2 == 0, md5("source"))
+        ).alias("sha"),
+    )
 
 
 @register(
@@ -239,7 +298,12 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
     files = d.select("doc_id", F.col("n_chars").alias("size"), md5(F.col("text")).alias("sha256"))
     dests = table(spark, sf, "region")
     there = rc.each_dest(d, dests, "r_name").join(dests, "r_name").filter((k + F.col("r_regionkey")) % 3 == 0)
-    held = there.select("doc_id", "r_name", F.col("n_chars").alias("size"), md5(F.concat("text", F.when(k % 4 == 0, "!").otherwise(""))).alias("sha256"))
+    held = there.select(
+        "doc_id",
+        "r_name",
+        F.col("n_chars").alias("size"),
+        md5(F.concat("text", F.when(k % 4 == 0, "!").otherwise(""))).alias("sha256"),
+    )
     return rc.fan_out(files, dests, held, "doc_id", "r_name")
 
 
@@ -252,7 +316,12 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
 def path_guards(spark: SparkSession, sf: str) -> DataFrame:
     """Equal and nested folders, found by joining each path's own prefixes, not all pairs."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    p = n.select(F.col("n_nationkey").alias("i"), F.concat(F.lit("/"), "r_name", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("/"), "n_name")).otherwise("")).alias("path"))
+    p = n.select(
+        F.col("n_nationkey").alias("i"),
+        F.concat(
+            F.lit("/"), "r_name", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("/"), "n_name")).otherwise("")
+        ).alias("path"),
+    )
     return rc.nested_paths(p, "i", "path").toDF("i", "j", "guard")
 
 
@@ -268,7 +337,9 @@ def path_guards(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_verified(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest verified neighbour of the same parity, as an as-of join without pairs."""
     t, c = F.col("turn"), F.col("conv_id")
-    rows = table(spark, sf, "conversations").select(c.alias("clip"), t.alias("o"), ((F.col("role") == "assistant") | (t == 0) | ((c % 3 == 0) & (t % 5 == 4))).alias("v")).groupBy("clip", "o").agg(F.bool_or("v").alias("v"))
+    rows = table(spark, sf, "conversations").select(
+        c.alias("clip"), t.alias("o"), ((F.col("role") == "assistant") | (t == 0) | ((c % 3 == 0) & (t % 5 == 4))).alias("v")
+    ).groupBy("clip", "o").agg(F.bool_or("v").alias("v"))
     return rc.nearest_verified(rows, "clip", "o", "v")
 
 
@@ -288,7 +359,9 @@ def run_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), outcome.alias("outcome"), q.alias("q"))
     is_ = lambda *v: F.col("outcome").isin(*v)
     return rows.groupBy("clip").agg(
-        F.sum(F.when(is_("done", "skipped"), F.col("q")).otherwise(0)).alias("in_bytes"), F.sum(F.when(is_("done"), F.col("q") * 2).otherwise(0)).alias("out_bytes"), *[F.count_if(is_(v)).alias(v) for v in ("done", "skipped", "failed")]
+        F.sum(F.when(is_("done", "skipped"), F.col("q")).otherwise(0)).alias("in_bytes"),
+        F.sum(F.when(is_("done"), F.col("q") * 2).otherwise(0)).alias("out_bytes"),
+        *[F.count_if(is_(v)).alias(v) for v in ("done", "skipped", "failed")],
     ).withColumn("ratio", ratio(F.col("in_bytes"), F.col("out_bytes")))
 
 
@@ -300,7 +373,11 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     command = F.when(e % 4 == 0, "bake").when(e % 4 == 1, "bake-iso").otherwise("audit")
     return table(spark, sf, "events").select(
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created"), command.alias("command"), F.concat(F.lit("reel"), (u % 60).cast("string")).alias("input"), F.concat(F.lit("reel"), (u % 70).cast("string")).alias("output"), F.when(e % 3 == 0, "FAIL").otherwise("OK").alias("verdict")
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created"),
+        command.alias("command"),
+        F.concat(F.lit("reel"), (u % 60).cast("string")).alias("input"),
+        F.concat(F.lit("reel"), (u % 70).cast("string")).alias("output"),
+        F.when(e % 3 == 0, "FAIL").otherwise("OK").alias("verdict"),
     )
 
 
@@ -314,7 +391,10 @@ def ledger_rotation(spark: SparkSession, sf: str) -> DataFrame:
     return rc.rotation(_ledger(spark, sf), 30, _NOW)
 
 
-@register("ledger_since", f"WITH l AS ({_LEDGER}), m AS (SELECT max(created) AS now FROM l) SELECT l.* FROM l, m WHERE created >= now - 3 * 86400")
+@register(
+    "ledger_since",
+    f"WITH l AS ({_LEDGER}), m AS (SELECT max(created) AS now FROM l) SELECT l.* FROM l, m WHERE created >= now - 3 * 86400",
+)
 def ledger_since(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the last days, the border included."""
     rows = _ledger(spark, sf)
@@ -328,8 +408,12 @@ def ledger_since(spark: SparkSession, sf: str) -> DataFrame:
 )
 def job_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """a job's clips, those without files too."""
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("clip")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("clip")).join(rows, "clip", "left").fillna(0, ["files", "bytes"])
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("clip")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.col("l_quantity").cast("long")).alias("bytes")
+    )
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("clip")).join(rows, "clip", "left").fillna(
+        0, ["files", "bytes"]
+    )
 
 
 @register(
@@ -339,7 +423,9 @@ def job_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def batch_measurement(spark: SparkSession, sf: str) -> DataFrame:
     """frames and distinct clips at two grains, in one pass of grouping sets."""
     table(spark, sf, "lineitem").createOrReplaceTempView("loomshed_lineitem")
-    return spark.sql("SELECT l_linenumber AS w, l_returnflag AS bits, count(*) AS frames, count(DISTINCT l_orderkey) AS clips FROM loomshed_lineitem GROUP BY l_linenumber, l_returnflag GROUPING SETS ((l_linenumber, l_returnflag), (l_linenumber))")
+    return spark.sql(
+        "SELECT l_linenumber AS w, l_returnflag AS bits, count(*) AS frames, count(DISTINCT l_orderkey) AS clips FROM loomshed_lineitem GROUP BY l_linenumber, l_returnflag GROUPING SETS ((l_linenumber, l_returnflag), (l_linenumber))"
+    )
 
 
 @register(
@@ -348,7 +434,9 @@ def batch_measurement(spark: SparkSession, sf: str) -> DataFrame:
 )
 def merge_measurements(spark: SparkSession, sf: str) -> DataFrame:
     """roots' counts added, clips not made distinct again."""
-    one = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 3).alias("root"), F.col("l_linenumber").alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("l_orderkey").alias("clips"))
+    one = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 3).alias("root"), F.col("l_linenumber").alias("w")).agg(
+        F.count(F.lit(1)).alias("frames"), F.countDistinct("l_orderkey").alias("clips")
+    )
     return one.groupBy("w").agg(F.sum("frames").alias("frames"), F.sum("clips").alias("clips"))
 
 
@@ -359,8 +447,14 @@ def merge_measurements(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fresh_wins_union(spark: SparkSession, sf: str) -> DataFrame:
     """Earlier rows with fresh ones over them."""
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("f"), "l_suppkey", F.col("l_quantity").cast("int").alias("v"))
-    return rc.union_fresh(rows.filter("l_suppkey % 3 = 0").groupBy("f").agg(F.max("v").alias("v")), rows.filter("l_suppkey % 5 = 0").groupBy("f").agg(F.min("v").alias("v")), "f")
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("f"), "l_suppkey", F.col("l_quantity").cast("int").alias("v")
+    )
+    return rc.union_fresh(
+        rows.filter("l_suppkey % 3 = 0").groupBy("f").agg(F.max("v").alias("v")),
+        rows.filter("l_suppkey % 5 = 0").groupBy("f").agg(F.min("v").alias("v")),
+        "f",
+    )
 
 
 @register(
@@ -373,10 +467,15 @@ def partial_set(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("f")).join(rows, "f", "left_anti").distinct()
 
 
-@register("name_collision", "SELECT split_part(url, '/', 4) AS name FROM pages WHERE page_id % 2 = 0 INTERSECT SELECT split_part(url, '/', 4) FROM pages WHERE page_id % 2 = 1")
+@register(
+    "name_collision",
+    "SELECT split_part(url, '/', 4) AS name FROM pages WHERE page_id % 2 = 0 INTERSECT SELECT split_part(url, '/', 4) FROM pages WHERE page_id % 2 = 1",
+)
 def name_collision(spark: SparkSession, sf: str) -> DataFrame:
     """Top-level names that two sources share."""
-    top = lambda r: table(spark, sf, "pages").filter(F.col("page_id") % 2 == r).select(F.split_part("url", F.lit("/"), F.lit(4)).alias("name"))
+    top = lambda r: table(spark, sf, "pages").filter(F.col("page_id") % 2 == r).select(
+        F.split_part("url", F.lit("/"), F.lit(4)).alias("name")
+    )
     return top(0).intersect(top(1))
 
 
@@ -386,7 +485,10 @@ def selection_universe(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("n_chars > 2000").select(F.col("source").alias("clip")).distinct()
 
 
-@register("applied_selection", "SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents) AND source NOT IN ('src1', 'src3')")
+@register(
+    "applied_selection",
+    "SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents) AND source NOT IN ('src1', 'src3')",
+)
 def applied_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of the chosen clips."""
     d = table(spark, sf, "documents").select("doc_id", "source")
@@ -404,7 +506,9 @@ def content_rows_identical(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "reel")
     place = F.row_number().over(Window.partitionBy("reel").orderBy("o_orderkey")).alias("i")
     side = lambda r, c: o.filter(F.col("o_orderkey") % 2 == r).select("reel", place, F.col("o_orderstatus").alias(c))
-    return side(0, "a").join(side(1, "b"), ["reel", "i"], "full").groupBy("reel").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+    return side(0, "a").join(side(1, "b"), ["reel", "i"], "full").groupBy("reel").agg(
+        F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same")
+    )
 
 
 _PINS = """SELECT p_name || p_partkey AS component, p_type AS expected, CASE p_size % 5 WHEN 0 THEN 'version-contains --version' WHEN 1 THEN 'lock-grep ' || p_brand WHEN 2 THEN 'toml-grep version'
@@ -432,7 +536,9 @@ def pin_check(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").withColumn("component", F.concat("p_name", k.cast("string")))
     pins = part.select("component", F.col("p_type").alias("expected"), probe.alias("probe"))
     value = F.when(k % 4 == 0, F.concat(F.lit("v. "), "p_type", F.lit(" x"))).otherwise(F.col("p_type"))
-    found = part.filter(k % 3 != 0).select("component", F.when(k % 7 == 0, "other").otherwise(F.col("p_brand")).alias("name"), value.alias("value"))
+    found = part.filter(k % 3 != 0).select(
+        "component", F.when(k % 7 == 0, "other").otherwise(F.col("p_brand")).alias("name"), value.alias("value")
+    )
     return rc.pin_states(pins, found)
 
 
@@ -443,6 +549,8 @@ def pin_check(spark: SparkSession, sf: str) -> DataFrame:
 )
 def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Offenders by place in their clip, and whether a verified master has them."""
-    f = planning.with_dense_place(table(spark, sf, "documents").select(F.col("source").alias("clip"), "doc_id", "n_chars"), "clip", "doc_id").filter("n_chars > 1000")
+    f = planning.with_dense_place(
+        table(spark, sf, "documents").select(F.col("source").alias("clip"), "doc_id", "n_chars"), "clip", "doc_id"
+    ).filter("n_chars > 1000")
     master = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("fine"))
     return rc.restore_actions(f, master, "doc_id", "fine").select("clip", "doc_id", "n", "action")

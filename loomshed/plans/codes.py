@@ -22,7 +22,9 @@ def code_cost(spark: SparkSession, sf: str) -> DataFrame:
     p = pl.column_planes(F.col("p"), W)
     counts = lambda i: codes.category_counts(pl.difference_categories(F.element_at(p, i)))
     rows = sampled(spark, sf).select("vec_id", counts(1).alias("a"), counts(2).alias("b"))
-    return rows.select("vec_id", _show(F.col("a")).alias("first"), _show(F.col("b")).alias("second"), codes.expected_bits("a", "b").alias("bits"))
+    return rows.select(
+        "vec_id", _show(F.col("a")).alias("first"), _show(F.col("b")).alias("second"), codes.expected_bits("a", "b").alias("bits")
+    )
 
 
 def _stats_sql(values: str, name: str) -> str:
@@ -121,7 +123,15 @@ def verify_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of a decoded plane against its source."""
     a, b = F.col("a"), F.col("b")
     lossy, log = pl.lossy_stats(a, b), pl.log_stats(a, b)
-    return pairs(spark, sf).select("vec_id", lossy["mae"].alias("mae"), F.round(lossy["psnr"], 6).alias("psnr"), lossy["max_err"].alias("max_err"), log["within_one_pct"].alias("within_one_pct"), log["broken"].alias("over"), pl.bit_exact(a, b).alias("same"))
+    return pairs(spark, sf).select(
+        "vec_id",
+        lossy["mae"].alias("mae"),
+        F.round(lossy["psnr"], 6).alias("psnr"),
+        lossy["max_err"].alias("max_err"),
+        log["within_one_pct"].alias("within_one_pct"),
+        log["broken"].alias("over"),
+        pl.bit_exact(a, b).alias("same"),
+    )
 
 
 @register(
@@ -146,8 +156,14 @@ def tag_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a frame's tags are its source's, but for those of strips and tiles."""
     k = F.col("p_partkey")
     pair = lambda t, v: F.struct(F.lit(t).alias("key"), v.cast("string").alias("value"))
-    source = F.map_from_entries(F.array(pair(256, F.col("p_size")), pair(271, F.col("p_brand")), pair(273, F.lit("s")), pair(279, F.lit("n"))))
-    kept = [pair(256, F.when(k % 4 == 1, -1).otherwise(F.col("p_size"))), pair(271, F.col("p_brand")), *[pair(t, F.lit("t")) for t in (322, 323, 324)]]
+    source = F.map_from_entries(
+        F.array(pair(256, F.col("p_size")), pair(271, F.col("p_brand")), pair(273, F.lit("s")), pair(279, F.lit("n")))
+    )
+    kept = [
+        pair(256, F.when(k % 4 == 1, -1).otherwise(F.col("p_size"))),
+        pair(271, F.col("p_brand")),
+        *[pair(t, F.lit("t")) for t in (322, 323, 324)],
+    ]
     out = F.map_from_entries(F.array_compact(F.array(*kept, F.when(k % 4 != 2, pair(325, F.lit("t"))))))
     return table(spark, sf, "part").select(k, pl.metadata_preserved(source, out).alias("preserved"))
 
@@ -170,7 +186,9 @@ DEFAULT_FAMILY = "W7 W2 N1"
 
 def families(spark: SparkSession) -> DataFrame:
     """(w, h, tw, th, candidates) of the geometries with a family of their own."""
-    return spark.createDataFrame(FAMILIES, "w int, h int, tw int, th int, c string").select("w", "h", "tw", "th", F.split("c", " ").alias("candidates"))
+    return spark.createDataFrame(FAMILIES, "w int, h int, tw int, th int, c string").select(
+        "w", "h", "tw", "th", F.split("c", " ").alias("candidates")
+    )
 
 
 _SIZES = "[968, 1008, 1928, 1936, 2016, 3856][p_partkey % 6 + 1] AS w, [545, 672, 1085, 1090, 1344, 2170][p_partkey % 6 + 1] AS h, [242, 252, 482, 484, 964][p_size % 5 + 1] AS tw, [274, 336, 272, 274, 272][p_size % 5 + 1] AS th"
@@ -186,7 +204,11 @@ def candidate_families(spark: SparkSession, sf: str) -> DataFrame:
     k, s = F.col("p_partkey") % 6, F.col("p_size") % 5
     pick = lambda of, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (of + 1).cast("int"))
     rows = table(spark, sf, "part").select(
-        "p_partkey", pick(k, 968, 1008, 1928, 1936, 2016, 3856).alias("w"), pick(k, 545, 672, 1085, 1090, 1344, 2170).alias("h"), pick(s, 242, 252, 482, 484, 964).alias("tw"), pick(s, 274, 336, 272, 274, 272).alias("th")
+        "p_partkey",
+        pick(k, 968, 1008, 1928, 1936, 2016, 3856).alias("w"),
+        pick(k, 545, 672, 1085, 1090, 1344, 2170).alias("h"),
+        pick(s, 242, 252, 482, 484, 964).alias("tw"),
+        pick(s, 274, 336, 272, 274, 272).alias("th"),
     )
     found = planning.candidate_families(families(spark), rows, ["w", "h", "tw", "th"], DEFAULT_FAMILY.split(" "))
     return found.select("p_partkey", "w", "tw", F.array_join("candidates", " ").alias("candidates"))
@@ -203,15 +225,22 @@ def candidate_families(spark: SparkSession, sf: str) -> DataFrame:
 )
 def scale_search(spark: SparkSession, sf: str) -> DataFrame:
     """The finest scale whose size fits, for many frames at once."""
-    rows = table(spark, sf, "part").select("p_partkey", (200 + F.col("p_size") * 40).cast("double").alias("lim"), F.col("p_retailprice").alias("t"))
+    rows = table(spark, sf, "part").select(
+        "p_partkey", (200 + F.col("p_size") * 40).cast("double").alias("lim"), F.col("p_retailprice").alias("t")
+    )
     scale = pg.finest_scale(F.col("lim"), lambda s: F.floor(F.col("t") / s))
     return rows.select("p_partkey", F.round(scale, 9).alias("scale"))
 
 
-@register("sample_fingerprint", "WITH p AS (SELECT p_partkey - 1 AS place FROM part WHERE p_partkey % 37 = 5) SELECT sha256(string_agg(place::VARCHAR, ',' ORDER BY place) || chr(10)) AS sha256, count(*) AS places FROM p")
+@register(
+    "sample_fingerprint",
+    "WITH p AS (SELECT p_partkey - 1 AS place FROM part WHERE p_partkey % 37 = 5) SELECT sha256(string_agg(place::VARCHAR, ',' ORDER BY place) || chr(10)) AS sha256, count(*) AS places FROM p",
+)
 def sample_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """The fingerprint of a sample's places."""
-    return planning.fingerprint(table(spark, sf, "part").filter("p_partkey % 37 = 5").select((F.col("p_partkey") - 1).alias("place")), "place")
+    return planning.fingerprint(
+        table(spark, sf, "part").filter("p_partkey % 37 = 5").select((F.col("p_partkey") - 1).alias("place")), "place"
+    )
 
 
 @register(
@@ -221,16 +250,31 @@ def sample_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 )
 def source_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Clips and files of several sources, in the order of the arguments."""
-    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = s.select(F.col("n_regionkey").alias("ordinal"), F.col("r_name").alias("source"), F.col("s_suppkey").alias("clip"), F.col("n_nationkey").cast("long").alias("files"))
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    rows = s.select(
+        F.col("n_regionkey").alias("ordinal"),
+        F.col("r_name").alias("source"),
+        F.col("s_suppkey").alias("clip"),
+        F.col("n_nationkey").cast("long").alias("files"),
+    )
     return planning.source_totals(rows, "ordinal", "source")
 
 
-@register("profile_places", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type END, p_name) AS place FROM part")
+@register(
+    "profile_places",
+    "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type END, p_name) AS place FROM part",
+)
 def profile_places(spark: SparkSession, sf: str) -> DataFrame:
     """The first of several places that is there."""
     s = F.col("p_size")
-    return table(spark, sf, "part").select("p_partkey", planning.first_place([F.when(s % 3 == 0, F.col("p_brand")), F.when(s % 2 == 0, F.col("p_type")), F.col("p_name")]).alias("place"))
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        planning.first_place(
+            [F.when(s % 3 == 0, F.col("p_brand")), F.when(s % 2 == 0, F.col("p_type")), F.col("p_name")]
+        ).alias("place"),
+    )
 
 
 @register("stale_files", "SELECT doc_id FROM documents WHERE doc_id % 4 IN (1, 2)")

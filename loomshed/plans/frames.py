@@ -11,7 +11,13 @@ from loomshed.session import table
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("num"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("v"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("clip"),
+        F.col("l_linenumber").alias("num"),
+        "l_returnflag",
+        "l_linestatus",
+        F.col("l_quantity").cast("int").alias("v"),
+    )
 
 
 @register(
@@ -43,7 +49,13 @@ def sequence_gate(spark: SparkSession, sf: str) -> DataFrame:
 def sequence_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """What is missing in each gap."""
     steps = gates.sequence_steps(lines(spark, sf).select("clip", "num"), "clip", "num").filter("step = 'GAP'")
-    return steps.select("clip", "prev", "num", (F.col("num") - F.col("prev") - 1).alias("n_missing"), gates.missing_display(F.col("prev"), F.col("num"), 3).alias("missing")).distinct()
+    return steps.select(
+        "clip",
+        "prev",
+        "num",
+        (F.col("num") - F.col("prev") - 1).alias("n_missing"),
+        gates.missing_display(F.col("prev"), F.col("num"), 3).alias("missing"),
+    ).distinct()
 
 
 @register(
@@ -57,7 +69,9 @@ def sequence_gaps(spark: SparkSession, sf: str) -> DataFrame:
 def declared_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Found frames against declared ones."""
     found = lines(spark, sf).groupBy("clip").agg(F.count(F.lit(1)).alias("frames"))
-    declared = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("clip"), (F.col("o_custkey") % 7 + 1).alias("declared"))
+    declared = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
+        F.col("o_orderkey").alias("clip"), (F.col("o_custkey") % 7 + 1).alias("declared")
+    )
     return gates.declared_check(found, declared, "clip")
 
 
@@ -66,11 +80,16 @@ _CLASS_SQL = "CASE l_returnflag WHEN 'N' THEN 'raw' WHEN 'R' THEN 'camera-lossle
 
 
 def classed(spark: SparkSession, sf: str) -> DataFrame:
-    cls = F.when(F.col("l_returnflag") == "N", "raw").when(F.col("l_returnflag") == "R", "camera-lossless").when(F.col("l_linestatus") == "F", "archive")
+    cls = F.when(F.col("l_returnflag") == "N", "raw").when(F.col("l_returnflag") == "R", "camera-lossless").when(
+        F.col("l_linestatus") == "F", "archive"
+    )
     return lines(spark, sf).withColumn("class", cls)
 
 
-@register("class_census", f"SELECT l_orderkey AS clip, coalesce({_CLASS_SQL}, 'unknown') AS class, count(*) AS frames FROM lineitem GROUP BY ALL")
+@register(
+    "class_census",
+    f"SELECT l_orderkey AS clip, coalesce({_CLASS_SQL}, 'unknown') AS class, count(*) AS frames FROM lineitem GROUP BY ALL",
+)
 def class_census(spark: SparkSession, sf: str) -> DataFrame:
     """frames by clip and class."""
     return gates.class_census(classed(spark, sf), "clip", "class")
@@ -101,7 +120,9 @@ def timed(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     tc = timecode.total_frames(F.hour("ts"), F.minute("ts"), F.second("ts"), F.col("event_id") % 24)
     num = F.row_number().over(w) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
-    return table(spark, sf, "events").select(F.col("user_id").alias("clip"), num.cast("long").alias("num"), F.when(F.col("event_id") % 10 != 0, tc).alias("tc"))
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("clip"), num.cast("long").alias("num"), F.when(F.col("event_id") % 10 != 0, tc).alias("tc")
+    )
 
 
 @register(
@@ -119,7 +140,12 @@ def timecode_continuity(spark: SparkSession, sf: str) -> DataFrame:
     """Timecodes follow where numbers do."""
     one = timed(spark, sf).groupBy("clip", "num").agg(F.min("tc").alias("tc"))
     is_ = lambda s: F.count_if(F.col("tc_step") == s)
-    return gates.timecode_steps(one, "clip", "num", "tc").groupBy("clip").agg(is_("OK").alias("n_ok"), is_("TC_GAP").alias("n_gap"), is_("TC_OVERLAP").alias("n_overlap"), F.count_if(F.col("tc_step").isNull()).alias("n_unchecked"))
+    return gates.timecode_steps(one, "clip", "num", "tc").groupBy("clip").agg(
+        is_("OK").alias("n_ok"),
+        is_("TC_GAP").alias("n_gap"),
+        is_("TC_OVERLAP").alias("n_overlap"),
+        F.count_if(F.col("tc_step").isNull()).alias("n_unchecked"),
+    )
 
 
 @register(
@@ -152,9 +178,16 @@ def reel_continuity(spark: SparkSession, sf: str) -> DataFrame:
 def timecode_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Packed timecodes, checked in order, as frames and as text."""
     byte = lambda k, m: (F.col("event_id") * k % m).cast("int")
-    t = table(spark, sf, "events").select("event_id", timecode.parse(byte(7, 256), byte(13, 160), byte(29, 160), byte(31, 64)).alias("t"))
+    t = table(spark, sf, "events").select(
+        "event_id", timecode.parse(byte(7, 256), byte(13, 160), byte(29, 160), byte(31, 64)).alias("t")
+    )
     fine, parts = F.col("t.err").isNull(), [F.col(f"t.{c}") for c in ("hh", "mm", "ss", "ff")]
-    return t.select("event_id", F.col("t.err").alias("err"), F.when(fine, timecode.total_frames(*parts)).alias("frames"), F.when(fine, timecode.display(*parts)).alias("display"))
+    return t.select(
+        "event_id",
+        F.col("t.err").alias("err"),
+        F.when(fine, timecode.total_frames(*parts)).alias("frames"),
+        F.when(fine, timecode.display(*parts)).alias("display"),
+    )
 
 
 @register(
@@ -167,7 +200,9 @@ def timecode_parse(spark: SparkSession, sf: str) -> DataFrame:
 def consecutive_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours with equal digests."""
     rows = lines(spark, sf).select("clip", "num", F.col("l_returnflag").alias("digest"))
-    return gates.consecutive_duplicates(rows, "clip", ["num", "digest"], "digest").groupBy("clip", "digest").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return gates.consecutive_duplicates(rows, "clip", ["num", "digest"], "digest").groupBy("clip", "digest").agg(
+        F.count(F.lit(1)).alias("n_pairs")
+    )
 
 
 _STATS_SQL = """
@@ -186,7 +221,16 @@ _STATS_SQL = """
 def frame_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Exact statistics of a frame and its black verdict."""
     m = stats.moments(stats.frame_stats(lines(spark, sf).withColumnRenamed("clip", "frame"), ["frame"], "v"))
-    return m.select("frame", "lo", "hi", "n", "range", "mean", "variance", stats.is_black(F.col("range"), F.col("var_num"), F.col("n")).alias("black"))
+    return m.select(
+        "frame",
+        "lo",
+        "hi",
+        "n",
+        "range",
+        "mean",
+        "variance",
+        stats.is_black(F.col("range"), F.col("var_num"), F.col("n")).alias("black"),
+    )
 
 
 @register(
@@ -200,7 +244,9 @@ def frame_stats(spark: SparkSession, sf: str) -> DataFrame:
 def clip_moments(spark: SparkSession, sf: str) -> DataFrame:
     """frames' partial sums merged to the clip."""
     frames = stats.frame_stats(lines(spark, sf).withColumnRenamed("clip", "frame"), ["frame"], "v")
-    clips = frames.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), F.col("o_custkey").alias("clip")), "frame")
+    clips = frames.join(
+        table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), F.col("o_custkey").alias("clip")), "frame"
+    )
     return stats.moments(stats.merge_stats(clips, ["clip"])).select("clip", "frames", "lo", "hi", "n", "mean", "variance")
 
 
@@ -259,11 +305,27 @@ def distribution_gate(spark: SparkSession, sf: str) -> DataFrame:
 def scalar_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys and names."""
     p = table(spark, sf, "part")
-    path = F.concat(F.lit("reel/"), F.col("p_brand"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".dng"))
+    path = F.concat(
+        F.lit("reel/"),
+        F.col("p_brand"),
+        F.lit("/"),
+        F.replace("p_name", F.lit(" "), F.lit("_")),
+        F.lit("_"),
+        F.lpad(F.col("p_partkey").cast("string"), 6, "0"),
+        F.lit(".dng"),
+    )
     d = F.col("p_partkey") % 5
     return p.select(
-        "p_partkey", keys.clip_of(path).alias("clip"), keys.frame_number(keys.stem_of(path)).cast("string").alias("num"), (F.col("p_size").cast("double") / F.nullif(d, F.lit(0))).alias("r0"), keys.ratio(F.col("p_size"), d).alias("ratio"),
-        keys.bit_length(F.col("p_size")).cast("long").alias("bits"), keys.slug(F.col("p_type")).alias("slug"), keys.default_sample(F.col("p_partkey")).alias("k"), keys.glob_match("*STEEL", F.col("p_type")).alias("ends_"), keys.glob_match("ECONOMY*", F.col("p_type")).alias("starts_"),
+        "p_partkey",
+        keys.clip_of(path).alias("clip"),
+        keys.frame_number(keys.stem_of(path)).cast("string").alias("num"),
+        (F.col("p_size").cast("double") / F.nullif(d, F.lit(0))).alias("r0"),
+        keys.ratio(F.col("p_size"), d).alias("ratio"),
+        keys.bit_length(F.col("p_size")).cast("long").alias("bits"),
+        keys.slug(F.col("p_type")).alias("slug"),
+        keys.default_sample(F.col("p_partkey")).alias("k"),
+        keys.glob_match("*STEEL", F.col("p_type")).alias("ends_"),
+        keys.glob_match("ECONOMY*", F.col("p_type")).alias("starts_"),
         keys.minutes_seconds(F.col("p_retailprice") * 100).alias("mmss"),
     )
 
@@ -284,7 +346,12 @@ def text_escapes(spark: SparkSession, sf: str) -> DataFrame:
 @register("digests", "SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def digests(spark: SparkSession, sf: str) -> DataFrame:
     """Content digests."""
-    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.md5(F.col("text").cast("binary")).alias("md5"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("size"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+        F.md5(F.col("text").cast("binary")).alias("md5"),
+    )
 
 
 @register("crc32c_c4")

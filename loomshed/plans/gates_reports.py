@@ -15,7 +15,14 @@ _NUM = "SELECT event_id, value, event_id % 7 / 4.0::DOUBLE AS a, event_id % 11 /
 
 def _numbers(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", "value", (e % 7 / 4.0).alias("a"), (e % 11 / 8.0).alias("b"), F.when(e % 3 != 0, (e % 5) / 4.0).alias("c"), (e % 13 / 8.0).alias("d"))
+    return table(spark, sf, "events").select(
+        "event_id",
+        "value",
+        (e % 7 / 4.0).alias("a"),
+        (e % 11 / 8.0).alias("b"),
+        F.when(e % 3 != 0, (e % 5) / 4.0).alias("c"),
+        (e % 13 / 8.0).alias("d"),
+    )
 
 
 @register(
@@ -27,23 +34,38 @@ def structure_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _numbers(spark, sf).select("event_id", pg.structure(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("gate"))
 
 
-@register("pixel_gate", f"WITH n AS ({_NUM}) SELECT event_id, CASE WHEN c > 0 AND a / nullif(c, 0) >= 2.0 THEN 'error' WHEN event_id % 4 = 0 AND NOT event_id % 120 BETWEEN greatest(100 - 5, 0) AND 105 THEN 'size' ELSE 'ok' END AS gate FROM n")
+@register(
+    "pixel_gate",
+    f"WITH n AS ({_NUM}) SELECT event_id, CASE WHEN c > 0 AND a / nullif(c, 0) >= 2.0 THEN 'error' WHEN event_id % 4 = 0 AND NOT event_id % 120 BETWEEN greatest(100 - 5, 0) AND 105 THEN 'size' ELSE 'ok' END AS gate FROM n",
+)
 def pixel_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Error against an anchor, size against a target."""
     e = F.col("event_id")
-    return _numbers(spark, sf).select("event_id", pg.pixels(F.col("a"), F.coalesce("c", F.lit(0.0)), F.when(e % 4 == 0, F.lit(100)), e % 120).alias("gate"))
+    return _numbers(spark, sf).select(
+        "event_id", pg.pixels(F.col("a"), F.coalesce("c", F.lit(0.0)), F.when(e % 4 == 0, F.lit(100)), e % 120).alias("gate")
+    )
 
 
-@register("scan_gate", f"WITH n AS (SELECT *, a * 90 AS x, b * 90 AS y FROM ({_NUM})) SELECT event_id, CASE WHEN x > greatest(100.0, 0.75 * d * 100) OR y > greatest(100.0, 0.75 * d * 100) THEN 'dead scan' WHEN least(x, y) <= 0 OR greatest(x, y) > 10.0 * least(x, y) THEN 'ratio' ELSE 'ok' END AS gate FROM n")
+@register(
+    "scan_gate",
+    f"WITH n AS (SELECT *, a * 90 AS x, b * 90 AS y FROM ({_NUM})) SELECT event_id, CASE WHEN x > greatest(100.0, 0.75 * d * 100) OR y > greatest(100.0, 0.75 * d * 100) THEN 'dead scan' WHEN least(x, y) <= 0 OR greatest(x, y) > 10.0 * least(x, y) THEN 'ratio' ELSE 'ok' END AS gate FROM n",
+)
 def scan_gate(spark: SparkSession, sf: str) -> DataFrame:
     """A dead half of a frame."""
-    return _numbers(spark, sf).select("event_id", pg.scan_complete(F.col("a") * 90, F.col("b") * 90, F.col("d") * 100, F.col("d") * 100).alias("gate"))
+    return _numbers(spark, sf).select(
+        "event_id", pg.scan_complete(F.col("a") * 90, F.col("b") * 90, F.col("d") * 100, F.col("d") * 100).alias("gate")
+    )
 
 
-@register("demosaic_gate", f"WITH n AS ({_NUM}) SELECT event_id, CASE WHEN c IS NULL THEN 'ok' WHEN c <= 0 THEN 'anchor' WHEN a < greatest(0.5 * c - 0.03, 0.0) OR a > greatest(2.0 * c, 0.75) THEN 'channel 0' WHEN b < greatest(0.5 * c - 0.03, 0.0) OR b > greatest(2.0 * c, 0.75) THEN 'channel 1' WHEN d < greatest(0.5 * c - 0.03, 0.0) OR d > greatest(2.0 * c, 0.75) THEN 'channel 2' ELSE 'ok' END AS gate FROM n")
+@register(
+    "demosaic_gate",
+    f"WITH n AS ({_NUM}) SELECT event_id, CASE WHEN c IS NULL THEN 'ok' WHEN c <= 0 THEN 'anchor' WHEN a < greatest(0.5 * c - 0.03, 0.0) OR a > greatest(2.0 * c, 0.75) THEN 'channel 0' WHEN b < greatest(0.5 * c - 0.03, 0.0) OR b > greatest(2.0 * c, 0.75) THEN 'channel 1' WHEN d < greatest(0.5 * c - 0.03, 0.0) OR d > greatest(2.0 * c, 0.75) THEN 'channel 2' ELSE 'ok' END AS gate FROM n",
+)
 def demosaic_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Chroma spreads against an anchor's."""
-    return _numbers(spark, sf).select("event_id", pg.demosaic([F.col("a"), F.col("b"), F.col("d")], [F.col("c")] * 3).alias("gate"))
+    return _numbers(spark, sf).select(
+        "event_id", pg.demosaic([F.col("a"), F.col("b"), F.col("d")], [F.col("c")] * 3).alias("gate")
+    )
 
 
 @register(
@@ -86,7 +108,10 @@ def structure_ratios(spark: SparkSession, sf: str) -> DataFrame:
 def band_mix(spark: SparkSession, sf: str) -> DataFrame:
     """A box mean of the block grid, cut at its edges, mixed out."""
     x = pairs(spark, sf).select("vec_id", pg.band_mix(F.transform("a", lambda v: v.cast("double")), W, H, reach=2).alias("m"))
-    return x.select("vec_id", F.round(F.aggregate(F.transform("m", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 1).alias("mixed"))
+    return x.select(
+        "vec_id",
+        F.round(F.aggregate(F.transform("m", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 1).alias("mixed"),
+    )
 
 
 def _mean_sql(pick: str, n: int) -> str:
@@ -109,7 +134,11 @@ def seams(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     known = lambda c: F.round(F.when(~F.isnan(c), c), 6)
     return pairs(spark, sf).select(
-        "vec_id", pg.seam_ratio(a, b, W, H, 4, True, 2).alias("v"), pg.seam_ratio(a, b, W, H, 4, False, 2).alias("h"), known(pg.flat_step(a, b, W, H, 4, True, 300)).alias("flat_v"), known(pg.flat_step(a, b, W, H, 4, False, 300)).alias("flat_h")
+        "vec_id",
+        pg.seam_ratio(a, b, W, H, 4, True, 2).alias("v"),
+        pg.seam_ratio(a, b, W, H, 4, False, 2).alias("h"),
+        known(pg.flat_step(a, b, W, H, 4, True, 300)).alias("flat_v"),
+        known(pg.flat_step(a, b, W, H, 4, False, 300)).alias("flat_h"),
     )
 
 
@@ -128,9 +157,19 @@ def tile_grids(spark: SparkSession, sf: str) -> DataFrame:
     from loomshed.sources.frames import archive_geometry, expected_tiles, tile_dims
 
     k, pick = F.col("p_partkey"), lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("i") + 1).cast("int"))
-    f = table(spark, sf, "part").withColumn("i", k % 5).select(k, pick(3024, 1936, 2016, 3856, 4000).alias("w"), pick(2010, 1090, 1344, 2170, 3000).alias("h"), F.element_at(F.array(*[F.lit(x) for x in (8, 10, 12, 14)]), F.col("p_size") % 4 + 1).alias("d"))
+    f = table(spark, sf, "part").withColumn("i", k % 5).select(
+        k,
+        pick(3024, 1936, 2016, 3856, 4000).alias("w"),
+        pick(2010, 1090, 1344, 2170, 3000).alias("h"),
+        F.element_at(F.array(*[F.lit(x) for x in (8, 10, 12, 14)]), F.col("p_size") % 4 + 1).alias("d"),
+    )
     g = f.withColumn("g", tile_dims(F.col("w"), F.col("h"), F.col("d")))
-    return g.select(k, F.concat_ws("x", F.col("g.tw").cast("string"), F.col("g.th").cast("string")).alias("grid"), expected_tiles(F.col("w"), F.col("h"), F.col("g.tw"), F.col("g.th")).alias("tiles"), archive_geometry(F.col("w"), F.col("h"), F.col("d")).alias("archive"))
+    return g.select(
+        k,
+        F.concat_ws("x", F.col("g.tw").cast("string"), F.col("g.th").cast("string")).alias("grid"),
+        expected_tiles(F.col("w"), F.col("h"), F.col("g.tw"), F.col("g.th")).alias("tiles"),
+        archive_geometry(F.col("w"), F.col("h"), F.col("d")).alias("archive"),
+    )
 
 
 @register(
@@ -141,15 +180,28 @@ def job_report_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A job report's lines."""
     d = table(spark, sf, "documents")
     rows = d.select(
-        F.col("source").alias("clip"), F.col("text").alias("file"), F.col("n_chars").alias("size_bytes"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.lit(None).cast("string").alias("dest_sha256"), F.lit("OK").alias("verdict"), (F.col("doc_id") % 2 == 0).alias("skipped"), (F.col("doc_id") % 100).alias("copied_ms"), "doc_id"
+        F.col("source").alias("clip"),
+        F.col("text").alias("file"),
+        F.col("n_chars").alias("size_bytes"),
+        F.md5(F.col("text").cast("binary")).alias("source_sha256"),
+        F.lit(None).cast("string").alias("dest_sha256"),
+        F.lit("OK").alias("verdict"),
+        (F.col("doc_id") % 2 == 0).alias("skipped"),
+        (F.col("doc_id") % 100).alias("copied_ms"),
+        "doc_id",
     )
     return rows.withColumn("line", F.concat_ws(",", *[reports.csv_field(c) for c in reports._cells()])).select("doc_id", "line")
 
 
-@register("phase_profile", "SELECT user_id AS file, sum(event_id) FILTER (WHERE event_type = 'click')::BIGINT AS click, sum(event_id) FILTER (WHERE event_type = 'view')::BIGINT AS view FROM events GROUP BY 1")
+@register(
+    "phase_profile",
+    "SELECT user_id AS file, sum(event_id) FILTER (WHERE event_type = 'click')::BIGINT AS click, sum(event_id) FILTER (WHERE event_type = 'view')::BIGINT AS view FROM events GROUP BY 1",
+)
 def phase_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Long profile rows widened by phase."""
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("phase"), F.col("event_id").alias("ns"))
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("file"), F.col("event_type").alias("phase"), F.col("event_id").alias("ns")
+    )
     return reports.phase_profile(rows, ["click", "view"])
 
 

@@ -14,7 +14,9 @@ _PAIR = f"WITH p AS ({_PLANE}), pr AS (SELECT a.vec_id, a.p AS a, b.p AS b FROM
 
 
 def sampled(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(4095), F.floor((x.cast("double") + 0.5) * 4000).cast("int"))))
+    v = F.transform(
+        "embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(4095), F.floor((x.cast("double") + 0.5) * 4000).cast("int")))
+    )
     return table(spark, sf, "embeddings").select("vec_id", v.alias("p"))
 
 
@@ -32,7 +34,10 @@ def _sql(make: str, n: int, src: str = _PLANE) -> str:
     return f"WITH p AS ({src}) SELECT vec_id, array_to_string(list_transform(range(0, {n}), lambda i: ({make})::INT), ',') AS out FROM p"
 
 
-@register("deinterleave", "WITH p AS (" + _PLANE + ") SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: p[((i % 16) // 4 * 2 + (i // 16) // 2) * 8 + 2 * (i % 4) + (i // 16) % 2 + 1]), ',') AS planes, array_to_string(p, ',') AS back FROM p")
+@register(
+    "deinterleave",
+    "WITH p AS (" + _PLANE + ") SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: p[((i % 16) // 4 * 2 + (i // 16) // 2) * 8 + 2 * (i % 4) + (i // 16) % 2 + 1]), ',') AS planes, array_to_string(p, ',') AS back FROM p",
+)
 def deinterleave(spark: SparkSession, sf: str) -> DataFrame:
     """Four phase planes, and back."""
     d = sampled(spark, sf).withColumn("d", pl.deinterleave(F.col("p"), W, H))
@@ -52,7 +57,11 @@ def derive_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _box_sql() -> str:
-    cells = " + ".join(f"p[greatest(0, least(7, i // 8 + {dy})) * 8 + greatest(0, least(7, i % 8 + {dx})) + 1]" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    cells = " + ".join(
+        f"p[greatest(0, least(7, i // 8 + {dy})) * 8 + greatest(0, least(7, i % 8 + {dx})) + 1]" for dy in (-1, 0, 1) for dx in (
+            -1, 0, 1
+        )
+    )
     return _sql(f"({cells}) // 9", 64)
 
 
@@ -79,13 +88,23 @@ def plane_delta(spark: SparkSession, sf: str) -> DataFrame:
 
     p = pairs(spark, sf)
     got = pl.compare(F.col("a"), F.col("b"))
-    return p.select("vec_id", *[c.alias(n) for n, c in got.items()], bit_length(got["max_delta"]).alias("lsb_k"), pl.in_band(F.col("a"), F.col("b")).alias("in_band"))
+    return p.select(
+        "vec_id",
+        *[c.alias(n) for n, c in got.items()],
+        bit_length(got["max_delta"]).alias("lsb_k"),
+        pl.in_band(F.col("a"), F.col("b")).alias("in_band"),
+    )
 
 
-@register("delta_histogram", _PAIR + ", d AS (SELECT unnest(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS delta FROM pr) SELECT delta, count(*) AS n FROM d WHERE delta > 0 GROUP BY 1")
+@register(
+    "delta_histogram",
+    _PAIR + ", d AS (SELECT unnest(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS delta FROM pr) SELECT delta, count(*) AS n FROM d WHERE delta > 0 GROUP BY 1",
+)
 def delta_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """histogram of differences that are not zero."""
-    return pairs(spark, sf).select(F.explode(pl.deltas(F.col("a"), F.col("b"))).alias("delta")).filter("delta > 0").groupBy("delta").agg(F.count(F.lit(1)).alias("n"))
+    return pairs(spark, sf).select(
+        F.explode(pl.deltas(F.col("a"), F.col("b"))).alias("delta")
+    ).filter("delta > 0").groupBy("delta").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -100,25 +119,43 @@ def plane_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Error measures and parity means."""
     a, b = F.col("a"), F.col("b")
     even, odd = pl.parity_means(a, W, H)
-    return pairs(spark, sf).select("vec_id", *[c.alias(n) for n, c in pl.quality(a, b, W, W * H).items()], even.alias("even_mean"), odd.alias("odd_mean"), pl.column_contrast(a, W * H).alias("contrast"))
+    return pairs(spark, sf).select(
+        "vec_id",
+        *[c.alias(n) for n, c in pl.quality(a, b, W, W * H).items()],
+        even.alias("even_mean"),
+        odd.alias("odd_mean"),
+        pl.column_contrast(a, W * H).alias("contrast"),
+    )
 
 
 @register(
     "class_means",
-    _PAIR + " SELECT vec_id, " + ", ".join(f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN (i // 8) % 2 * 2 + i % 2 = {p} THEN a[i + 1] - b[i + 1] ELSE 0 END)) / 16.0::DOUBLE AS m{p}" for p in range(4)) + " FROM pr",
+    _PAIR + " SELECT vec_id, " + ", ".join(
+        f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN (i // 8) % 2 * 2 + i % 2 = {p} THEN a[i + 1] - b[i + 1] ELSE 0 END)) / 16.0::DOUBLE AS m{p}" for p in range(4)
+    ) + " FROM pr",
 )
 def class_means(spark: SparkSession, sf: str) -> DataFrame:
     """mean error of each 2x2 phase."""
-    return pairs(spark, sf).select("vec_id", *[c.alias(f"m{i}") for i, c in enumerate(pl.class_means(F.col("a"), F.col("b"), W, H))])
+    return pairs(spark, sf).select(
+        "vec_id", *[c.alias(f"m{i}") for i, c in enumerate(pl.class_means(F.col("a"), F.col("b"), W, H))]
+    )
 
 
-@register("difference_categories", f"WITH p AS ({_PLANE}), d AS (SELECT unnest(list_transform(range(1, 64), lambda i: abs(p[i + 1] - p[i]))) AS d FROM p) SELECT CASE WHEN d > 0 THEN length(bin(d)) ELSE 0 END::INT AS category, count(*) AS n FROM d GROUP BY 1")
+@register(
+    "difference_categories",
+    f"WITH p AS ({_PLANE}), d AS (SELECT unnest(list_transform(range(1, 64), lambda i: abs(p[i + 1] - p[i]))) AS d FROM p) SELECT CASE WHEN d > 0 THEN length(bin(d)) ELSE 0 END::INT AS category, count(*) AS n FROM d GROUP BY 1",
+)
 def difference_categories(spark: SparkSession, sf: str) -> DataFrame:
     """bit lengths of neighbours' differences."""
-    return sampled(spark, sf).select(F.explode(pl.difference_categories(F.col("p"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return sampled(spark, sf).select(
+        F.explode(pl.difference_categories(F.col("p"))).alias("category")
+    ).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("temporal_bound", _PAIR + ", m AS (SELECT vec_id % 7 AS clip, list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS d FROM pr) SELECT clip, max(d) AS band, least(4 * max(d), 65535) AS bound FROM m GROUP BY 1")
+@register(
+    "temporal_bound",
+    _PAIR + ", m AS (SELECT vec_id % 7 AS clip, list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS d FROM pr) SELECT clip, max(d) AS band, least(4 * max(d), 65535) AS bound FROM m GROUP BY 1",
+)
 def temporal_bound(spark: SparkSession, sf: str) -> DataFrame:
     """the band of a clip and four times it, bounded."""
     d = pairs(spark, sf).select((F.col("vec_id") % 7).alias("clip"), pl.max_delta(F.col("a"), F.col("b")).alias("d"))
@@ -134,7 +171,10 @@ def log_curve(spark: SparkSession, sf: str) -> DataFrame:
     return pl.log_curve(spark)
 
 
-@register("inverse_curve", f"WITH c AS ({_CURVE}), x AS (SELECT l::INT AS level, code, abs(linear - l::INT) AS d FROM range(4096) t(l), c) SELECT level, arg_min(code, d * 10000 + code) AS code, min(d) AS error FROM x GROUP BY level")
+@register(
+    "inverse_curve",
+    f"WITH c AS ({_CURVE}), x AS (SELECT l::INT AS level, code, abs(linear - l::INT) AS d FROM range(4096) t(l), c) SELECT level, arg_min(code, d * 10000 + code) AS code, min(d) AS error FROM x GROUP BY level",
+)
 def inverse_curve(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest code of every level."""
     return pl.inverse_curve(spark, pl.log_curve(spark))
@@ -148,25 +188,43 @@ def inverse_curve(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tile_regions(spark: SparkSession, sf: str) -> DataFrame:
     """A frame's tiles."""
-    f = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.lit(900) + F.col("p_size") * 17).alias("w"), (F.lit(500) + F.col("p_size") * 11).alias("h"))
+    f = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("k"),
+        (F.lit(900) + F.col("p_size") * 17).alias("w"),
+        (F.lit(500) + F.col("p_size") * 11).alias("h"),
+    )
     return pl.tile_regions(f, "k", "w", "h", 482, 272)
 
 
-@register("plane_orient", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND (p_size * ((p_partkey % 40 + 2) // 2)) % (p_partkey % 40 + 2) = 0 THEN p_size // 2 ELSE p_size END::INT AS rows, CASE WHEN p_size % 2 = 0 AND (p_size * ((p_partkey % 40 + 2) // 2)) % (p_partkey % 40 + 2) = 0 THEN p_partkey % 40 + 2 ELSE (p_partkey % 40 + 2) // 2 END::INT AS cols FROM part")
+@register(
+    "plane_orient",
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND (p_size * ((p_partkey % 40 + 2) // 2)) % (p_partkey % 40 + 2) = 0 THEN p_size // 2 ELSE p_size END::INT AS rows, CASE WHEN p_size % 2 = 0 AND (p_size * ((p_partkey % 40 + 2) // 2)) % (p_partkey % 40 + 2) = 0 THEN p_partkey % 40 + 2 ELSE (p_partkey % 40 + 2) // 2 END::INT AS cols FROM part",
+)
 def plane_orient(spark: SparkSession, sf: str) -> DataFrame:
     """How a tile's columns fold into planes."""
     o = pl.plane_orient((F.col("p_partkey") % 40 + 2).cast("int"), F.col("p_size"))
     return table(spark, sf, "part").select("p_partkey", o["rows"].alias("rows"), o["cols"].alias("cols"))
 
 
-@register("pack_round_trip", f"WITH p AS ({_PLANE}) SELECT vec_id, array_to_string(p, ',') AS p12, array_to_string(list_transform(p, lambda v: v >> 2), ',') AS p10, array_to_string(list_transform(p, lambda v: v >> 4), ',') AS p8, 96::INT AS bytes12, 80::INT AS bytes10, 64::INT AS bytes8 FROM p")
+@register(
+    "pack_round_trip",
+    f"WITH p AS ({_PLANE}) SELECT vec_id, array_to_string(p, ',') AS p12, array_to_string(list_transform(p, lambda v: v >> 2), ',') AS p10, array_to_string(list_transform(p, lambda v: v >> 4), ',') AS p8, 96::INT AS bytes12, 80::INT AS bytes10, 64::INT AS bytes8 FROM p",
+)
 def pack_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Samples packed at each depth, and unpacked."""
     p = sampled(spark, sf)
     a, b, c = pl.pack12("p"), pl.pack10(pl.derive_depth(F.col("p"), 10)), pl.pack8(pl.derive_depth(F.col("p"), 8))
     packed = p.select("vec_id", a.alias("a"), b.alias("b"), c.alias("c"))
     n = lambda x: F.octet_length(x)
-    return packed.select("vec_id", _show(pl.unpack12("a")).alias("p12"), _show(pl.unpack10("b")).alias("p10"), _show(pl.unpack8("c")).alias("p8"), n("a").alias("bytes12"), n("b").alias("bytes10"), n("c").alias("bytes8"))
+    return packed.select(
+        "vec_id",
+        _show(pl.unpack12("a")).alias("p12"),
+        _show(pl.unpack10("b")).alias("p10"),
+        _show(pl.unpack8("c")).alias("p8"),
+        n("a").alias("bytes12"),
+        n("b").alias("bytes10"),
+        n("c").alias("bytes8"),
+    )
 
 
 @register(
@@ -180,6 +238,11 @@ def frame_classes(spark: SparkSession, sf: str) -> DataFrame:
 
     k = F.col("p_partkey")
     facts = F.struct(
-        F.when(F.col("p_size") % 3 == 0, 1).when(F.col("p_size") % 3 == 1, 7).alias("compression"), F.when(k % 2 == 0, 512).alias("tile_width"), F.lit(368).alias("tile_height"), F.when(k % 4 == 0, 3856).otherwise(4000).alias("width"), F.lit(2170).alias("height"), F.lit(12).alias("bits")
+        F.when(F.col("p_size") % 3 == 0, 1).when(F.col("p_size") % 3 == 1, 7).alias("compression"),
+        F.when(k % 2 == 0, 512).alias("tile_width"),
+        F.lit(368).alias("tile_height"),
+        F.when(k % 4 == 0, 3856).otherwise(4000).alias("width"),
+        F.lit(2170).alias("height"),
+        F.lit(12).alias("bits"),
     )
     return table(spark, sf, "part").select("p_partkey", facts.alias("facts")).select("p_partkey", frame_class().alias("class"))

@@ -61,7 +61,9 @@ def part_packing(spark: SparkSession, sf: str) -> DataFrame:
 def running_eta(spark: SparkSession, sf: str) -> DataFrame:
     """p95 of all times so far, times the frames left."""
     rows = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    return planning.running_p95(rows, "user_id", ["ts", "event_id"], "value", 500).select("user_id", "event_id", "done", "p95", "eta")
+    return planning.running_p95(rows, "user_id", ["ts", "event_id"], "value", 500).select(
+        "user_id", "event_id", "done", "p95", "eta"
+    )
 
 
 @register(
@@ -70,17 +72,32 @@ def running_eta(spark: SparkSession, sf: str) -> DataFrame:
 )
 def class_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Measured sizes, and the rest by a ratio, of one class."""
-    rows = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("source").alias("clip"), (F.col("doc_id") % 5 == 0).alias("sampled"), F.expr("n_chars div 3").alias("encoded"), F.col("n_chars").alias("size"))
+    rows = table(spark, sf, "documents").filter("lang = 'en'").select(
+        F.col("source").alias("clip"),
+        (F.col("doc_id") % 5 == 0).alias("sampled"),
+        F.expr("n_chars div 3").alias("encoded"),
+        F.col("n_chars").alias("size"),
+    )
     return planning.project_sampled(rows, ["clip"], "sampled", "encoded", "size", 2.2)
 
 
-@register("space_preflight", "SELECT source AS clip, count(*) AS frames, ceil(sum(n_chars) / 2.0::DOUBLE * 1.1)::BIGINT AS bytes, count(*) * 405.0::DOUBLE / 60000.0 AS eta FROM documents GROUP BY 1")
+@register(
+    "space_preflight",
+    "SELECT source AS clip, count(*) AS frames, ceil(sum(n_chars) / 2.0::DOUBLE * 1.1)::BIGINT AS bytes, count(*) * 405.0::DOUBLE / 60000.0 AS eta FROM documents GROUP BY 1",
+)
 def space_preflight(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and minutes to expect."""
     from loomshed.functions.keys import eta_minutes, space_estimate
 
-    d = table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(F.count(F.lit(1)).alias("frames"), F.sum("n_chars").alias("total"))
-    return d.select("clip", "frames", space_estimate(F.col("total"), 2.0, 1.1).alias("bytes"), eta_minutes(F.col("frames"), 405.0).alias("eta"))
+    d = table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(
+        F.count(F.lit(1)).alias("frames"), F.sum("n_chars").alias("total")
+    )
+    return d.select(
+        "clip",
+        "frames",
+        space_estimate(F.col("total"), 2.0, 1.1).alias("bytes"),
+        eta_minutes(F.col("frames"), 405.0).alias("eta"),
+    )
 
 
 @register(
@@ -109,20 +126,30 @@ def quality_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def candidate_argmin(spark: SparkSession, sf: str) -> DataFrame:
     """The smallest candidate of a tile, the earliest on a tie."""
-    c = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").alias("cand")).agg(F.min("l_quantity").cast("int").alias("size"))
+    c = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").alias("cand")).agg(
+        F.min("l_quantity").cast("int").alias("size")
+    )
     return planning.smallest(c, ["tile"], "cand", "size")
 
 
-@register("latest_manifest", "SELECT user_id, max(event_id) + 1 AS next_generation, arg_max(event_type, event_id) AS latest FROM events GROUP BY 1")
+@register(
+    "latest_manifest",
+    "SELECT user_id, max(event_id) + 1 AS next_generation, arg_max(event_type, event_id) AS latest FROM events GROUP BY 1",
+)
 def latest_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """The last record of a chain, and the next number."""
     return planning.latest(table(spark, sf, "events"), ["user_id"], "event_id", "event_type")
 
 
-@register("archive_frames", "SELECT source AS clip, CASE WHEN source LIKE '%1%' THEN count(DISTINCT doc_id // 4) ELSE count(*) FILTER (WHERE lang <> 'xx') END AS frames FROM documents GROUP BY source")
+@register(
+    "archive_frames",
+    "SELECT source AS clip, CASE WHEN source LIKE '%1%' THEN count(DISTINCT doc_id // 4) ELSE count(*) FILTER (WHERE lang <> 'xx') END AS frames FROM documents GROUP BY source",
+)
 def archive_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of an archive, by files or by distinct stems of four planes."""
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(F.count_if(F.col("lang") != "xx").alias("n"), F.countDistinct(F.expr("doc_id div 4")).alias("d")).select("clip", F.when(F.col("clip").contains("1"), F.col("d")).otherwise(F.col("n")).alias("frames"))
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(
+        F.count_if(F.col("lang") != "xx").alias("n"), F.countDistinct(F.expr("doc_id div 4")).alias("d")
+    ).select("clip", F.when(F.col("clip").contains("1"), F.col("d")).otherwise(F.col("n")).alias("frames"))
 
 
 @register(
@@ -134,7 +161,9 @@ def status_windows(spark: SparkSession, sf: str) -> DataFrame:
     from loomshed.streaming.status import by_window
 
     w = by_window(table(spark, sf, "events"), "1 day")
-    return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
+    return w.select(
+        "event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total")
+    )
 
 
 @register(
@@ -145,7 +174,9 @@ def status_windows(spark: SparkSession, sf: str) -> DataFrame:
 def running_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Rate and time left after each frame."""
     rows = table(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 10 / 20.0).alias("el"))
-    return planning.running_rate(rows, "user_id", ["ts", "event_id"], "el", 200, 77.0).select("user_id", "event_id", "done", "rate", "eta")
+    return planning.running_rate(rows, "user_id", ["ts", "event_id"], "el", 200, 77.0).select(
+        "user_id", "event_id", "done", "rate", "eta"
+    )
 
 
 @register(
@@ -157,5 +188,12 @@ def running_rate(spark: SparkSession, sf: str) -> DataFrame:
 def naming(spark: SparkSession, sf: str) -> DataFrame:
     """A batch's common designation."""
     k = F.col("o_orderkey")
-    stem = F.concat_ws("_", F.when(k % 500 == 0, "B").otherwise("A"), F.date_format("o_orderdate", "yyyyMMdd"), F.when(k % 300 == 0, "x").otherwise(F.lpad((k % 1_000_000).cast("string"), 6, "0")))
-    return planning.naming(table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), stem.alias("stem")), ["batch"], "stem")
+    stem = F.concat_ws(
+        "_",
+        F.when(k % 500 == 0, "B").otherwise("A"),
+        F.date_format("o_orderdate", "yyyyMMdd"),
+        F.when(k % 300 == 0, "x").otherwise(F.lpad((k % 1_000_000).cast("string"), 6, "0")),
+    )
+    return planning.naming(
+        table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), stem.alias("stem")), ["batch"], "stem"
+    )

@@ -13,7 +13,11 @@ from loomshed.sources import records
 @register("record_round_trip", "SELECT 'd' || doc_id AS file, n_chars AS size, sha256(text) AS sha256 FROM documents")
 def record_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A source record written, sorted by name, and read back."""
-    rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.col("n_chars").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    rows = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"),
+        F.col("n_chars").alias("size"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+    )
     path = scratch(spark, "sources")
     records.write_record(rows, path, "# sources v1", records.SOURCES[0], "file", {"count": str(rows.count())})
     found, _ = records.read_sources(spark, path)
@@ -28,7 +32,18 @@ def torn_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """A ledger of mixed arities with bad rows between; bad rows are skipped."""
     e = table(spark, sf, "events")
     created = F.when(F.col("event_id") % 7 == 3, "soon").otherwise(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"))
-    cells = [created, F.col("event_type"), F.lit("v"), F.lit("in"), F.concat(F.lit("reel"), F.col("user_id").cast("string")), F.lit("c"), F.lit("1"), F.lit("OK"), F.lit("0"), F.lit("d")]
+    cells = [
+        created,
+        F.col("event_type"),
+        F.lit("v"),
+        F.lit("in"),
+        F.concat(F.lit("reel"), F.col("user_id").cast("string")),
+        F.lit("c"),
+        F.lit("1"),
+        F.lit("OK"),
+        F.lit("0"),
+        F.lit("d"),
+    ]
     line = F.concat_ws("\t", *cells, F.when(F.col("event_id") % 2 == 0, "s"), F.when(F.col("event_id") % 4 == 0, "x"))
     path = scratch(spark, "ledger")
     e.select(line.alias("value")).write.text(path)

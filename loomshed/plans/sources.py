@@ -35,13 +35,18 @@ def _tree(spark: SparkSession, sf: str) -> str:
     """The nations (25 by definition) as files of their regions."""
     root = scratch(spark, "card")
     ends = (".dng", ".DNG", ".txt", ".checksums.tsv", ".offload-manifest.tsv")
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").limit(files.MOST_FILES).collect()
+    rows = table(spark, sf, "nation").join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_nationkey", "n_name", "r_name").limit(files.MOST_FILES).collect()
     name = lambda r: ("._" if r.n_nationkey % 7 == 3 else "") + r.n_name.replace(" ", "_") + ends[r.n_nationkey % 5]
     files.put_files(spark, root, {f"{r.r_name}/{name(r)}": b"x" * (r.n_nationkey + 1) for r in rows})
     return root
 
 
-@register("frame_scan", f"SELECT rel, clip, regexp_replace(name, '\\.[^.]*$', '') AS stem, length FROM ({_SEEN}) WHERE lower(name) LIKE '%.dng'")
+@register(
+    "frame_scan",
+    f"SELECT rel, clip, regexp_replace(name, '\\.[^.]*$', '') AS stem, length FROM ({_SEEN}) WHERE lower(name) LIKE '%.dng'",
+)
 def frame_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Frames below a folder, shadow files left out."""
     found = frames.encoded(frames.files(spark, _tree(spark, sf)))
@@ -77,7 +82,9 @@ def plane_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of four planes, and the planes that are missing."""
     plane = F.element_at(F.array(*[F.lit(p) for p in ("00", "01", "10", "11")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
     stem = F.concat(F.lit("s"), F.col("l_linenumber").cast("string"), F.lit("_p2_"), plane)
-    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).cast("string").alias("clip"), stem.alias("stem"), F.col("l_partkey").alias("length"))
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 100).cast("string").alias("clip"), stem.alias("stem"), F.col("l_partkey").alias("length")
+    )
     return frames.plane_groups(rows).withColumn("missing", F.array_join("missing", ","))
 
 
@@ -88,7 +95,17 @@ def _tiffs(key: pd.Series, size: pd.Series, maker: pd.Series) -> pd.Series:
     def one(k: int, s: int, m: str) -> bytes:
         bits, order = (8, 10, 12, 14)[k % 4], "big" if k % 5 == 4 else "little"
         w, h = 4 * (s + 1), 2
-        top = [(256, 4, [w]), (257, 4, [h]), (258, 3, [bits]), (259, 3, [7 if k % 11 == 5 else 1]), (262, 3, [32803]), (271, 2, [*m.encode(), 0]), (273, 4, [0]), (277, 3, [1]), (279, 4, [w * h * bits // 8])]
+        top = [
+            (256, 4, [w]),
+            (257, 4, [h]),
+            (258, 3, [bits]),
+            (259, 3, [7 if k % 11 == 5 else 1]),
+            (262, 3, [32803]),
+            (271, 2, [*m.encode(), 0]),
+            (273, 4, [0]),
+            (277, 3, [1]),
+            (279, 4, [w * h * bits // 8]),
+        ]
         if k % 13 == 6:
             top = [t for t in top if t[0] != 277]
         lower = [(33434, 5, [(1, s + 1)]), (34855, 3, [100 * s])] if k % 3 == 0 else []
@@ -129,13 +146,18 @@ def raw_frames(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", frames.raw_frame("content")["error"].alias("error"))
 
 
-@register("pam_round_trip", "SELECT vec_id, 8 AS width, 8 AS height, array_to_string(list_transform(embedding, lambda x: greatest(0, least(4095, floor((x::DOUBLE + 0.5) * 4000)::INT))), ',') AS plane FROM embeddings")
+@register(
+    "pam_round_trip",
+    "SELECT vec_id, 8 AS width, 8 AS height, array_to_string(list_transform(embedding, lambda x: greatest(0, least(4095, floor((x::DOUBLE + 0.5) * 4000)::INT))), ',') AS plane FROM embeddings",
+)
 def pam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Planes written as images and read again."""
     from loomshed.plans.planes import sampled
 
     images = sampled(spark, sf).select("vec_id", frames.render_pam_column(8, 8)("p").alias("image"))
-    return images.select("vec_id", frames.pam("image").alias("p")).select("vec_id", "p.width", "p.height", F.array_join(F.transform("p.plane", lambda v: v.cast("string")), ",").alias("plane"))
+    return images.select("vec_id", frames.pam("image").alias("p")).select(
+        "vec_id", "p.width", "p.height", F.array_join(F.transform("p.plane", lambda v: v.cast("string")), ",").alias("plane")
+    )
 
 
 # Records.
@@ -143,16 +165,35 @@ def pam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
-    return table(spark, sf, "documents").select(k, F.concat(F.lit("d"), k.cast("string"), F.lit(".dng")).alias("file"), F.col("n_chars").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "source", "lang")
+    return table(spark, sf, "documents").select(
+        k,
+        F.concat(F.lit("d"), k.cast("string"), F.lit(".dng")).alias("file"),
+        F.col("n_chars").alias("size"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+        "source",
+        "lang",
+    )
 
 
 _FILES = "SELECT doc_id, 'd' || doc_id || '.dng' AS file, n_chars AS size, sha256(text) AS sha256, source, lang FROM documents"
 
 
-@register("checksum_records", f"SELECT file, size, lpad(lower(hex(doc_id * 7919)), 8, '0') AS crc32c, sha256, lang AS timecode, '' AS framerate, '' AS iso, source AS exposure FROM ({_FILES})")
+@register(
+    "checksum_records",
+    f"SELECT file, size, lpad(lower(hex(doc_id * 7919)), 8, '0') AS crc32c, sha256, lang AS timecode, '' AS framerate, '' AS iso, source AS exposure FROM ({_FILES})",
+)
 def checksum_records(spark: SparkSession, sf: str) -> DataFrame:
     """A checksum sidecar written, sorted by name, and read back."""
-    rows = _documents(spark, sf).select("file", "size", (F.col("doc_id") * 7919).alias("crc32c"), "sha256", F.col("lang").alias("timecode"), F.lit("").alias("framerate"), F.lit("").alias("iso"), F.col("source").alias("exposure"))
+    rows = _documents(spark, sf).select(
+        "file",
+        "size",
+        (F.col("doc_id") * 7919).alias("crc32c"),
+        "sha256",
+        F.col("lang").alias("timecode"),
+        F.lit("").alias("framerate"),
+        F.lit("").alias("iso"),
+        F.col("source").alias("exposure"),
+    )
     path = scratch(spark, "checksums")
     records.write_checksums(rows, path, MAGIC, "1")
     found, _ = records.read_checksums(spark, path)
@@ -183,11 +224,22 @@ def checksum_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select(F.split_part("line", F.lit("\t"), F.lit(1)).alias("file"), "reason")
 
 
-@register("plane_checksums", f"SELECT file, size, sha256, lpad(lower(hex(doc_id)), 8, '0') AS crc32c, '0' || doc_id % 2 AS plane FROM ({_FILES}) WHERE doc_id % 4 <> 1")
+@register(
+    "plane_checksums",
+    f"SELECT file, size, sha256, lpad(lower(hex(doc_id)), 8, '0') AS crc32c, '0' || doc_id % 2 AS plane FROM ({_FILES}) WHERE doc_id % 4 <> 1",
+)
 def plane_checksums(spark: SparkSession, sf: str) -> DataFrame:
     """Sidecars of planes, five columns at least."""
     k = F.col("doc_id")
-    line = F.concat_ws("\t", "file", F.col("size").cast("string"), "sha256", F.lpad(F.lower(F.hex(k)), 8, "0"), F.when(k % 4 != 1, F.concat(F.lit("0"), (k % 2).cast("string"))), F.when(k % 4 == 2, "frame"))
+    line = F.concat_ws(
+        "\t",
+        "file",
+        F.col("size").cast("string"),
+        "sha256",
+        F.lpad(F.lower(F.hex(k)), 8, "0"),
+        F.when(k % 4 != 1, F.concat(F.lit("0"), (k % 2).cast("string"))),
+        F.when(k % 4 == 2, "frame"),
+    )
     path = scratch(spark, "planes")
     _lines(_documents(spark, sf), line, k, path, [MAGIC, "\t".join(records.PLANES[0])])
     found, _ = records.read_plane_checksums(spark, path)
@@ -216,9 +268,14 @@ def bake_records(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "bakes")
     rows = _documents(spark, sf).groupBy(F.col("source").alias("clip")).agg(F.count(F.lit(1)).alias("n"))
     heads = rows.select("clip", F.explode(F.array(
-        F.concat(F.lit("0"), F.lit(MAGIC)), F.concat(F.lit("1clip: "), "clip"), F.when(~F.contains("clip", F.lit("5")), "2container: tar"),
+        F.concat(F.lit("0"), F.lit(MAGIC)),
+        F.concat(F.lit("1clip: "), "clip"),
+        F.when(~F.contains("clip", F.lit("5")), "2container: tar"),
         F.concat(F.lit("3file_count: "), (F.col("n") + F.when(F.contains("clip", F.lit("3")), 1).otherwise(0)).cast("string")), F.lit("4relpath\tsize\tsha256"))).alias("v")).filter("v is not null")
-    body = _documents(spark, sf).select(F.col("source").alias("clip"), F.concat(F.lit("5"), F.concat_ws("\t", "file", F.col("size").cast("string"), "sha256")).alias("v"))
+    body = _documents(spark, sf).select(
+        F.col("source").alias("clip"),
+        F.concat(F.lit("5"), F.concat_ws("\t", "file", F.col("size").cast("string"), "sha256")).alias("v"),
+    )
     both = heads.unionByName(body).repartition("clip").sortWithinPartitions("clip", "v")
     both.select("clip", F.substring("v", 2, 1 << 30).alias("value")).write.partitionBy("clip").text(root)
     head, found, _ = records.read_bake(spark, f"{root}/*")
@@ -229,11 +286,26 @@ def bake_records(spark: SparkSession, sf: str) -> DataFrame:
 _CLIPS = "SELECT source AS clip, count(*) AS frames, CASE WHEN source LIKE '%1%' THEN count(*) END AS declared, min(doc_id) AS first, max(doc_id) AS last, CASE WHEN source LIKE '%2%' THEN min(lang) END AS tc FROM documents GROUP BY 1"
 
 
-@register("ingest_records", f"SELECT clip, frames, declared::VARCHAR AS manifest_declared, first, last, tc AS tc_start FROM ({_CLIPS})")
+@register(
+    "ingest_records", f"SELECT clip, frames, declared::VARCHAR AS manifest_declared, first, last, tc AS tc_start FROM ({_CLIPS})"
+)
 def ingest_records(spark: SparkSession, sf: str) -> DataFrame:
     """An ingest manifest written and read back; '-' is null."""
-    d = table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(F.count(F.lit(1)).alias("frames"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("lang").alias("tc"))
-    rows = d.select("clip", "frames", F.when(F.contains("clip", F.lit("1")), F.col("frames")).alias("manifest_declared"), "first", "last", F.when(F.contains("clip", F.lit("2")), F.col("tc")).alias("tc_start"), F.lit(None).cast("string").alias("tc_end"))
+    d = table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(
+        F.count(F.lit(1)).alias("frames"),
+        F.min("doc_id").alias("first"),
+        F.max("doc_id").alias("last"),
+        F.min("lang").alias("tc"),
+    )
+    rows = d.select(
+        "clip",
+        "frames",
+        F.when(F.contains("clip", F.lit("1")), F.col("frames")).alias("manifest_declared"),
+        "first",
+        "last",
+        F.when(F.contains("clip", F.lit("2")), F.col("tc")).alias("tc_start"),
+        F.lit(None).cast("string").alias("tc_end"),
+    )
     path = scratch(spark, "ingest")
     records.write_ingest(rows, path, MAGIC)
     found, _ = records.read_ingest(spark, path)
@@ -248,7 +320,14 @@ def ingest_records(spark: SparkSession, sf: str) -> DataFrame:
 def offload_records(spark: SparkSession, sf: str) -> DataFrame:
     """An offload manifest written, read, rewritten with repaired rows, and read again."""
     k = F.col("doc_id")
-    rows = _documents(spark, sf).select(k, "file", "size", F.col("sha256").alias("source_sha256"), F.md5(F.col("file").cast("binary")).alias("dest_sha256"), F.when(k % 10 == 1, "FAIL").otherwise("OK").alias("verdict"))
+    rows = _documents(spark, sf).select(
+        k,
+        "file",
+        "size",
+        F.col("sha256").alias("source_sha256"),
+        F.md5(F.col("file").cast("binary")).alias("dest_sha256"),
+        F.when(k % 10 == 1, "FAIL").otherwise("OK").alias("verdict"),
+    )
     first, second = scratch(spark, "offload"), scratch(spark, "offload-repaired")
     records.write_offload(rows, first, MAGIC, "/mnt/a")
     found, _ = records.read_offload(spark, first)
@@ -258,7 +337,10 @@ def offload_records(spark: SparkSession, sf: str) -> DataFrame:
     return again.select(*records.OFFLOAD[0], "dest")
 
 
-@register("member_records", f"SELECT file, size, sha256, CASE WHEN doc_id % 50 = 7 THEN 'SHA' ELSE 'OK' END AS verdict, 'REFUSE ' || (SELECT count(*) FROM documents WHERE doc_id % 50 = 7) || ' named row(s)' AS record_verdict FROM ({_FILES})")
+@register(
+    "member_records",
+    f"SELECT file, size, sha256, CASE WHEN doc_id % 50 = 7 THEN 'SHA' ELSE 'OK' END AS verdict, 'REFUSE ' || (SELECT count(*) FROM documents WHERE doc_id % 50 = 7) || ' named row(s)' AS record_verdict FROM ({_FILES})",
+)
 def member_records(spark: SparkSession, sf: str) -> DataFrame:
     """A member record, whose last line is the verdict of all rows."""
     rows = _documents(spark, sf).withColumn("verdict", F.when(F.col("doc_id") % 50 == 7, "SHA").otherwise("OK"))
@@ -276,25 +358,51 @@ def member_records(spark: SparkSession, sf: str) -> DataFrame:
 def reel_records(spark: SparkSession, sf: str) -> DataFrame:
     """A reel manifest written and read back, its header held against its rows."""
     sha = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"), F.sum(F.col("o_orderkey") % 50).alias("frames"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.array_sort(F.collect_list("o_orderkey")).alias("o"), F.sum(F.col("o_orderkey") % 50).alias("frames")
+    )
     rows = o.select(
-        F.concat(F.lit("c"), F.col("k").cast("string")).alias("clip"), F.lit("x").alias("codec"), F.transform("o", lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("archive"),
-        F.transform("o", sha).alias("archive_sha256"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("manifest_name"), sha(F.col("k")).alias("manifest_sha256"), "frames",
+        F.concat(F.lit("c"), F.col("k").cast("string")).alias("clip"),
+        F.lit("x").alias("codec"),
+        F.transform("o", lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("archive"),
+        F.transform("o", sha).alias("archive_sha256"),
+        F.concat(F.lit("m"), F.col("k").cast("string")).alias("manifest_name"),
+        sha(F.col("k")).alias("manifest_sha256"),
+        "frames",
     )
     path = scratch(spark, "reels")
     records.write_reels(rows, path, MAGIC, 1_700_000_000, "1")
     head, found, _ = records.read_reels(spark, path)
     both = found.join(head.filter("error is null").select("manifest", "clips"), "manifest")
-    return both.select("clip", F.size("archive").cast("long").alias("archives"), F.array_min("archive_sha256").alias("least"), "manifest_sha256", "frames", "clips")
+    return both.select(
+        "clip",
+        F.size("archive").cast("long").alias("archives"),
+        F.array_min("archive_sha256").alias("least"),
+        "manifest_sha256",
+        "frames",
+        "clips",
+    )
 
 
-@register("qc_records", f"SELECT file, 12 AS bps, (size % 100)::INT AS raw_min, (size % 4000)::INT AS raw_max, printf('%.3f', size / 7.0::DOUBLE) AS raw_mean, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS black FROM ({_FILES})")
+@register(
+    "qc_records",
+    f"SELECT file, 12 AS bps, (size % 100)::INT AS raw_min, (size % 4000)::INT AS raw_max, printf('%.3f', size / 7.0::DOUBLE) AS raw_mean, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS black FROM ({_FILES})",
+)
 def qc_records(spark: SparkSession, sf: str) -> DataFrame:
     """A statistics record of three decimals, written and read back."""
     from loomshed.operators.stats import three_places
 
     s = F.col("size")
-    rows = _documents(spark, sf).select("file", F.lit(12).alias("bps"), (s % 100).alias("raw_min"), (s % 4000).alias("raw_max"), three_places(s / 7.0).alias("raw_mean"), F.lit(0).alias("range"), F.lit("0.000").alias("variance"), (F.col("doc_id") % 8 == 0).cast("int").alias("black"))
+    rows = _documents(spark, sf).select(
+        "file",
+        F.lit(12).alias("bps"),
+        (s % 100).alias("raw_min"),
+        (s % 4000).alias("raw_max"),
+        three_places(s / 7.0).alias("raw_mean"),
+        F.lit(0).alias("range"),
+        F.lit("0.000").alias("variance"),
+        (F.col("doc_id") % 8 == 0).cast("int").alias("black"),
+    )
     path = scratch(spark, "qc")
     records.write_qc(rows, path, MAGIC, 10**6, ["b", "a"])
     found, _ = records.read_qc(spark, path)
@@ -311,7 +419,9 @@ def pin_records(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("p_size")
     under = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
     probe = F.when(s % 3 == 0, "version-contains --version").when(s % 3 == 1, "lock-grep x").otherwise("toml-grep version")
-    line = F.concat_ws("\t", F.concat(under(F.col("p_name")), F.col("p_partkey").cast("string")), under(F.col("p_type")), probe, F.lit("note"))
+    line = F.concat_ws(
+        "\t", F.concat(under(F.col("p_name")), F.col("p_partkey").cast("string")), under(F.col("p_type")), probe, F.lit("note")
+    )
     path = scratch(spark, "pins")
     _lines(table(spark, sf, "part"), line, F.col("p_partkey"), path, ["\t".join(records.PINS[0])])
     rows, _ = records.read_pins(spark, path)
@@ -327,24 +437,34 @@ def profile_records(spark: SparkSession, sf: str) -> DataFrame:
     root, texts = scratch(spark, "profiles"), {}
     for r in table(spark, sf, "nation").select("n_nationkey", "n_name").limit(files.MOST_FILES).collect():
         k = r.n_nationkey
-        text = records.render_profile({"camera": f"cam{k}", "make": r.n_name, "model": f"m{k}", "naming": "A_*"}, [(k + 1, k + 2, 12, "raw")], MAGIC)
+        text = records.render_profile(
+            {"camera": f"cam{k}", "make": r.n_name, "model": f"m{k}", "naming": "A_*"}, [(k + 1, k + 2, 12, "raw")], MAGIC
+        )
         texts[f"{k}.profile"] = (text.replace(" raw", "") if k % 4 == 3 else text).encode()
     files.put_files(spark, root, texts)
     head, geo = records.profile_set(spark, root)
     return head.join(geo, "manifest").select("camera", "make", "model", "w", "h", "bits", "fine")
 
 
-@register("declared_records", "SELECT source || '/' || lang AS clip, count(*) FILTER (WHERE doc_id % 4 <> 3) AS declared FROM documents GROUP BY 1 HAVING count(*) FILTER (WHERE doc_id % 4 <> 3) > 0")
+@register(
+    "declared_records",
+    "SELECT source || '/' || lang AS clip, count(*) FILTER (WHERE doc_id % 4 <> 3) AS declared FROM documents GROUP BY 1 HAVING count(*) FILTER (WHERE doc_id % 4 <> 3) > 0",
+)
 def declared_records(spark: SparkSession, sf: str) -> DataFrame:
     """Declared frames by folder, from a listing with a title."""
     k = F.col("doc_id")
-    rel = F.concat_ws("/", "source", "lang", F.concat(k.cast("string"), F.when(k % 4 == 3, ".wav").when(k % 4 == 2, ".DNG").otherwise(".dng")))
+    rel = F.concat_ws(
+        "/", "source", "lang", F.concat(k.cast("string"), F.when(k % 4 == 3, ".wav").when(k % 4 == 2, ".DNG").otherwise(".dng"))
+    )
     path = scratch(spark, "listing")
     _lines(table(spark, sf, "documents"), F.concat_ws("\t", rel, F.lit("1")), k, path, ["a title", "relpath\tsize"])
     return records.declared_counts(spark, path)
 
 
-@register("source_digests", f"SELECT file AS member, CASE WHEN doc_id % 3 = 0 THEN sha256(sha256) ELSE sha256 END AS sha FROM ({_FILES}) WHERE doc_id % 5 <> 2 OR doc_id % 3 = 0")
+@register(
+    "source_digests",
+    f"SELECT file AS member, CASE WHEN doc_id % 3 = 0 THEN sha256(sha256) ELSE sha256 END AS sha FROM ({_FILES}) WHERE doc_id % 5 <> 2 OR doc_id % 3 = 0",
+)
 def source_digests(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of all offload manifests of a folder; the last manifest by name wins, bad digests count not."""
     d, k = _documents(spark, sf), F.col("doc_id")
@@ -352,9 +472,13 @@ def source_digests(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "manifests")
     one = row(F.when(k % 5 == 2, "none").otherwise(F.upper("sha256")))
     two = row(F.sha2(F.col("sha256").cast("binary"), 256))
-    both = d.select(F.lit("a").alias("of"), one.alias("value")).unionByName(d.filter(k % 3 == 0).select(F.lit("b").alias("of"), two.alias("value")))
+    both = d.select(F.lit("a").alias("of"), one.alias("value")).unionByName(
+        d.filter(k % 3 == 0).select(F.lit("b").alias("of"), two.alias("value"))
+    )
     both.write.partitionBy("of").text(root)
-    lines = records.text_lines(spark, f"{root}/of=a").withColumn("manifest", F.lit("a")).unionByName(records.text_lines(spark, f"{root}/of=b").withColumn("manifest", F.lit("b")))
+    lines = records.text_lines(spark, f"{root}/of=a").withColumn("manifest", F.lit("a")).unionByName(
+        records.text_lines(spark, f"{root}/of=b").withColumn("manifest", F.lit("b"))
+    )
     rows, _ = records.parse_rows(lines, *records.OFFLOAD)
     return records.source_sha_map(rows)
 
@@ -363,7 +487,9 @@ def source_digests(spark: SparkSession, sf: str) -> DataFrame:
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of frames; of several rows of a frame the first counts."""
     d, k = table(spark, sf, "documents").select("doc_id"), F.col("doc_id")
-    row = lambda again: F.concat_ws("\t", k.cast("string"), ((k % 100) / 8.0 + again).cast("string"), ((k % 7) / 4.0).cast("string"))
+    row = lambda again: F.concat_ws(
+        "\t", k.cast("string"), ((k % 100) / 8.0 + again).cast("string"), ((k % 7) / 4.0).cast("string")
+    )
     path = scratch(spark, "anchors")
     lines = d.select(k.alias("o"), row(0).alias("line")).unionByName(d.select((k + 10**12).alias("o"), row(1).alias("line")))
     _lines(lines, F.col("line"), F.col("o"), path, ["a line without values"])
@@ -379,7 +505,15 @@ def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
     """A ledger of two appends, read as one."""
     e = table(spark, sf, "events")
     blank = [F.lit("").alias(c) for c in ("tool_version", "codec", "frames", "verdict", "duration_s", "dest", "selection")]
-    rows = e.select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created"), F.col("event_type").alias("command"), F.col("event_id").cast("string").alias("input"), F.concat(F.lit("reel"), F.col("user_id").cast("string")).alias("output"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("").alias("context"), *blank, "event_id")
+    rows = e.select(
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created"),
+        F.col("event_type").alias("command"),
+        F.col("event_id").cast("string").alias("input"),
+        F.concat(F.lit("reel"), F.col("user_id").cast("string")).alias("output"),
+        F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("").alias("context"),
+        *blank,
+        "event_id",
+    )
     path = scratch(spark, "ledger-appended")
     for part in (0, 1):
         records.append_ledger(rows.filter(F.col("event_id") % 2 == part), path)
@@ -398,7 +532,9 @@ def _chains(keys_: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([hashlists.render_chain([(n, f"{n}.mhl", id_(int(k), n)) for n in range(1, int(s) % 5 + 1)]) for k, s in zip(keys_, sizes, strict=True)])
 
 
-@register("hash_chains", "SELECT p_partkey, n::INT AS sequence, n || '.mhl' AS path FROM part, range(1, 6) t(n) WHERE n <= p_size % 5")
+@register(
+    "hash_chains", "SELECT p_partkey, n::INT AS sequence, n || '.mhl' AS path FROM part, range(1, 6) t(n) WHERE n <= p_size % 5"
+)
 def hash_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Records of hash-list chains."""
     p = table(spark, sf, "part")
@@ -416,11 +552,22 @@ def hash_list_audit(spark: SparkSession, sf: str) -> DataFrame:
 
     d, k = table(spark, sf, "documents"), F.col("doc_id")
     content = F.col("text").cast("binary")
-    rows = stored(d.select("source", F.concat(F.lit("d"), k.cast("string")).alias("path"), F.col("n_chars").alias("size"), c4_id(content).alias("c4"), k), "listed")
+    rows = stored(
+        d.select(
+            "source",
+            F.concat(F.lit("d"), k.cast("string")).alias("path"),
+            F.col("n_chars").alias("size"),
+            c4_id(content).alias("c4"),
+            k,
+        ),
+        "listed",
+    )
     texts = hashlists.render_lists(rows, "source")
     listed = texts.select(F.explode(hashlists.entries("text")).alias("e")).select("e.*")
     other = F.when(k % 11 == 5, F.reverse(F.substring("c4", 3, 88))).otherwise(F.substring("c4", 3, 88))
-    disk = rows.filter(k % 10 != 3).select("path", (F.col("size") + F.when(k % 7 == 2, 1).otherwise(0)).alias("d_size"), F.concat(F.lit("c4"), other).alias("d_c4"))
+    disk = rows.filter(k % 10 != 3).select(
+        "path", (F.col("size") + F.when(k % 7 == 2, 1).otherwise(0)).alias("d_size"), F.concat(F.lit("c4"), other).alias("d_c4")
+    )
     return hashlists.verify(listed, disk)
 
 
@@ -432,11 +579,23 @@ def signed_manifests(spark: SparkSession, sf: str) -> DataFrame:
     """Manifests signed with a key from its file, tampered with, and verified."""
     key = signatures.parse_key(signatures.render_key(signatures.key_of(bytes(range(32)))))
     k = F.col("n_nationkey")
-    rows = signatures.signed(table(spark, sf, "nation").withColumn("content", F.col("n_name")), "n_name", "content", key, 1_700_000_000, "a=1; b=2", "9")
+    rows = signatures.signed(
+        table(spark, sf, "nation").withColumn("content", F.col("n_name")),
+        "n_name",
+        "content",
+        key,
+        1_700_000_000,
+        "a=1; b=2",
+        "9",
+    )
     content = F.when(k % 6 == 1, F.concat("content", F.lit("!"))).when(k % 6 != 4, F.col("content"))
-    envelope = F.when(k % 6 == 2, F.replace("envelope", F.lit("pin_set: a=1"), F.lit("pin_set: a=2"))).when(k % 6 == 3, F.replace("envelope", F.lit("manifest_bytes"), F.lit("bytes"))).otherwise(F.col("envelope"))
+    envelope = F.when(
+        k % 6 == 2, F.replace("envelope", F.lit("pin_set: a=1"), F.lit("pin_set: a=2"))
+    ).when(k % 6 == 3, F.replace("envelope", F.lit("manifest_bytes"), F.lit("bytes"))).otherwise(F.col("envelope"))
     public = signatures.Key(key.public)
-    return rows.select(k, content.alias("content"), envelope.alias("envelope")).select(k, signatures.finding(F.col("content"), F.col("envelope"), public).alias("finding"))
+    return rows.select(k, content.alias("content"), envelope.alias("envelope")).select(
+        k, signatures.finding(F.col("content"), F.col("envelope"), public).alias("finding")
+    )
 
 
 _JOB = "SELECT doc_id, source AS clip, 'd' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '&<\"' ELSE '' END AS file, n_chars AS size_bytes, md5(text) AS source_sha256, 'OK' AS verdict, doc_id % 100 AS copied_ms FROM documents"
@@ -446,7 +605,17 @@ def _job(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     file = F.concat(F.lit("d"), k.cast("string"), F.when(k % 3 == 0, '&<"').otherwise(""))
     return table(spark, sf, "documents").select(
-        k, F.col("source").alias("clip"), file.alias("file"), F.col("n_chars").alias("size_bytes"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.lit(None).cast("string").alias("dest_sha256"), F.lit("OK").alias("verdict"), F.lit(False).alias("skipped"), (k % 100).alias("copied_ms"), F.concat(F.lit("/s,"), "lang").alias("source"), F.lit("/d").alias("dest")
+        k,
+        F.col("source").alias("clip"),
+        file.alias("file"),
+        F.col("n_chars").alias("size_bytes"),
+        F.md5(F.col("text").cast("binary")).alias("source_sha256"),
+        F.lit(None).cast("string").alias("dest_sha256"),
+        F.lit("OK").alias("verdict"),
+        F.lit(False).alias("skipped"),
+        (k % 100).alias("copied_ms"),
+        F.concat(F.lit("/s,"), "lang").alias("source"),
+        F.lit("/d").alias("dest"),
     )
 
 
@@ -465,11 +634,16 @@ def job_reports(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(line(reports.csv_lines(j, ("source", "dest")), "csv"), ["clip", "file"])
 
 
-@register("json_lines", """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || ',"note":"a\\"b\\\\c"}' AS line FROM events""")
+@register(
+    "json_lines",
+    """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || ',"note":"a\\"b\\\\c"}' AS line FROM events""",
+)
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Rows as JSON objects, escaped."""
     rows = table(spark, sf, "events").select("event_id", "event_type", "user_id", F.lit('a"b\\c').alias("note"))
-    return reports.json_rows(rows).select(F.regexp_extract("line", '"event_id":([0-9]+)', 1).cast("long").alias("event_id"), "line")
+    return reports.json_rows(rows).select(
+        F.regexp_extract("line", '"event_id":([0-9]+)', 1).cast("long").alias("event_id"), "line"
+    )
 
 
 @register(
@@ -479,7 +653,12 @@ def json_lines(spark: SparkSession, sf: str) -> DataFrame:
 def run_reports(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of a run's report, one a clip."""
     d = table(spark, sf, "documents")
-    clips = d.groupBy(F.col("source").alias("clip")).agg(F.count(F.lit(1)).alias("frames"), F.sum("n_chars").alias("in_bytes"), F.sum(F.expr("n_chars div 2")).alias("out_bytes"), F.bool_and(F.col("doc_id") % 40 != 0).alias("fine"))
+    clips = d.groupBy(F.col("source").alias("clip")).agg(
+        F.count(F.lit(1)).alias("frames"),
+        F.sum("n_chars").alias("in_bytes"),
+        F.sum(F.expr("n_chars div 2")).alias("out_bytes"),
+        F.bool_and(F.col("doc_id") % 40 != 0).alias("fine"),
+    )
     return reports.run_lines(clips)
 
 
@@ -494,8 +673,13 @@ def scalar_texts(spark: SparkSession, sf: str) -> DataFrame:
     clip = F.when(u % 4 == 0, "").otherwise(F.concat(F.lit("c"), u.cast("string")))
     path = F.concat_ws("/", F.when(u % 4 == 1, "x.tmp").otherwise("y"), kind)
     return table(spark, sf, "events").select(
-        e, keys.utc_text(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("at"), keys.civil_date(e % 30000).cast("string").alias("day"), keys.codec_pair(F.concat(F.lit("a"), (e % 3).cast("string")), kind).alias("pair"),
-        keys.display_key(clip, kind).alias("key"), keys.fatal_in(kind, ("click", "view")).alias("fatal"), keys.is_ignored(path, ["*.tmp", "c*"]).alias("ignored"),
+        e,
+        keys.utc_text(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("at"),
+        keys.civil_date(e % 30000).cast("string").alias("day"),
+        keys.codec_pair(F.concat(F.lit("a"), (e % 3).cast("string")), kind).alias("pair"),
+        keys.display_key(clip, kind).alias("key"),
+        keys.fatal_in(kind, ("click", "view")).alias("fatal"),
+        keys.is_ignored(path, ["*.tmp", "c*"]).alias("ignored"),
     )
 
 
@@ -517,11 +701,16 @@ def combined_digests(spark: SparkSession, sf: str) -> DataFrame:
     """Size, SHA-256 and CRC-32C of contents."""
     from loomshed.functions.hashing import combined_digest
 
-    d = table(spark, sf, "pages").filter("url is not null").select("page_id", combined_digest(F.col("url").cast("binary")).alias("d"))
+    d = table(spark, sf, "pages").filter("url is not null").select(
+        "page_id", combined_digest(F.col("url").cast("binary")).alias("d")
+    )
     return d.select("page_id", "d.*")
 
 
-@register("tile_digests", "SELECT doc_id, md5(unhex(md5(coalesce(source, '')) || md5(coalesce(lang, '')) || md5(coalesce(text, '')))) AS digest FROM documents")
+@register(
+    "tile_digests",
+    "SELECT doc_id, md5(unhex(md5(coalesce(source, '')) || md5(coalesce(lang, '')) || md5(coalesce(text, '')))) AS digest FROM documents",
+)
 def tile_digests(spark: SparkSession, sf: str) -> DataFrame:
     """A digest over the digests of tiles, in their order."""
     from loomshed.functions.hashing import tile_set_digest
@@ -536,7 +725,9 @@ def c4_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     from loomshed.functions.hashing import c4_digest, c4_id
 
     content = F.col("text").cast("binary")
-    rows = table(spark, sf, "documents").filter("text is not null").select("doc_id", c4_id(content).alias("c4"), F.sha2(content, 512).alias("sha512"))
+    rows = table(spark, sf, "documents").filter("text is not null").select(
+        "doc_id", c4_id(content).alias("c4"), F.sha2(content, 512).alias("sha512")
+    )
     return rows.select("doc_id", "c4", (F.lower(F.hex(c4_digest("c4"))) == F.col("sha512")).alias("same"))
 
 
@@ -549,7 +740,12 @@ def archive_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest rows against the members of archive parts, of which one is away."""
     m, k = _documents(spark, sf), F.col("doc_id")
     digest = F.when(k % 13 != 2, F.when(k % 8 == 3, "x").otherwise(F.col("sha256")))
-    members = m.filter(k % 7 != 3).select("file", F.concat(F.lit("p"), (k % 4).cast("string")).alias("part"), (F.col("size") + F.when(k % 9 == 1, 1).otherwise(0)).alias("d_size"), digest.alias("d_sha256"))
+    members = m.filter(k % 7 != 3).select(
+        "file",
+        F.concat(F.lit("p"), (k % 4).cast("string")).alias("part"),
+        (F.col("size") + F.when(k % 9 == 1, 1).otherwise(0)).alias("d_size"),
+        digest.alias("d_sha256"),
+    )
     parts = members.select("part").distinct().filter("part <> 'p3'")
     return rc.archive_audit(m.select("file", "size", "sha256"), members, parts, "file")
 
@@ -564,13 +760,22 @@ def archive_audit(spark: SparkSession, sf: str) -> DataFrame:
 def repair_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides of a manifest against the fresh source, within a scope."""
     k = F.col("doc_id")
-    m = _documents(spark, sf).withColumn("file", F.concat(F.lit("d"), k.cast("string"), F.when(k % 2 == 0, ".dng").otherwise(".wav")))
+    m = _documents(spark, sf).withColumn(
+        "file", F.concat(F.lit("d"), k.cast("string"), F.when(k % 2 == 0, ".dng").otherwise(".wav"))
+    )
     recorded = m.select("file", "size", F.when(k % 10 == 6, "old").otherwise(F.col("sha256")).alias("sha256"))
     fresh = m.select("file", F.col("size").alias("f_size"), F.col("sha256").alias("f_sha256"))
-    side = m.select(k, "file", (F.col("size") + F.when(k % 7 == 2, 1).otherwise(0)).alias("d_size"), F.when(k % 9 == 4, "x").otherwise(F.col("sha256")).alias("d_sha256"))
+    side = m.select(
+        k,
+        "file",
+        (F.col("size") + F.when(k % 7 == 2, 1).otherwise(0)).alias("d_size"),
+        F.when(k % 9 == 4, "x").otherwise(F.col("sha256")).alias("d_sha256"),
+    )
     scope = ["d1.wav", "d2.dng"]
     rc.repair_scope(recorded, "file", scope)
-    return rc.repair_rows(recorded, side.filter(k % 5 != 1).drop("doc_id"), side.filter(k % 3 != 0).drop("doc_id"), fresh, "file", scope)
+    return rc.repair_rows(
+        recorded, side.filter(k % 5 != 1).drop("doc_id"), side.filter(k % 3 != 0).drop("doc_id"), fresh, "file", scope
+    )
 
 
 @register(
@@ -580,9 +785,17 @@ def repair_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def completion(spark: SparkSession, sf: str) -> DataFrame:
     """Which clips' archives are complete, and what the others lack first."""
-    r = table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_id") % 7).alias("h"))
+    r = table(spark, sf, "documents").groupBy(F.col("source").alias("clip")).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("doc_id") % 7).alias("h")
+    )
     h = F.col("h")
-    objects = r.select("clip", F.when(h != 0, "s").alias("object_sha"), F.when(h != 1, F.when(h == 3, "t").otherwise("s")).alias("sidecar_sha"), (h != 2).alias("has_manifest"), F.when(h != 4, F.col("n") + F.when(h == 5, 1).otherwise(0)).alias("file_count"))
+    objects = r.select(
+        "clip",
+        F.when(h != 0, "s").alias("object_sha"),
+        F.when(h != 1, F.when(h == 3, "t").otherwise("s")).alias("sidecar_sha"),
+        (h != 2).alias("has_manifest"),
+        F.when(h != 4, F.col("n") + F.when(h == 5, 1).otherwise(0)).alias("file_count"),
+    )
     return rc.completion(objects, r.select("clip", F.col("n").alias("rows")), "clip")
 
 
@@ -597,7 +810,9 @@ def completion(spark: SparkSession, sf: str) -> DataFrame:
 def neighbour_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Each frame's verified neighbour, with the neighbour's facts."""
     t = F.col("turn")
-    f = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("clip"), t.alias("o")).agg(F.bool_or((F.col("role") == "assistant") | (t == 0)).alias("v"), F.min(F.length("text")).cast("long").alias("size"))
+    f = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("clip"), t.alias("o")).agg(
+        F.bool_or((F.col("role") == "assistant") | (t == 0)).alias("v"), F.min(F.length("text")).cast("long").alias("size")
+    )
     near = rc.nearest_verified(f, "clip", "o", "v")
     return rc.neighbour_frames(near, f.select("clip", "o", "size"), "clip", "o").select("clip", "o", "neighbour", "size")
 

@@ -18,7 +18,9 @@ _K = "SELECT n_nationkey AS k, r_name AS clip, r_name || '/A_' || lpad(n_nationk
 
 def _nations(spark: SparkSession, sf: str) -> list:
     """(k, clip, rel, data) of every nation's file."""
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).limit(files.MOST_FILES).collect()
+    rows = table(spark, sf, "nation").join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).limit(files.MOST_FILES).collect()
     return [(r.n_nationkey, r.r_name, f"{r.r_name}/A_{r.n_nationkey:06d}.dng", r.n_name.encode()) for r in rows]
 
 
@@ -39,7 +41,9 @@ def _checked(spark: SparkSession, sf: str) -> str:
         if k % 5 != 3:
             held[rel] = data
         sha = hashlib.sha256(data + (b"!" if k % 5 == 2 else b"")).hexdigest()
-        listed.setdefault(clip, []).append((rel.split("/")[1], len(data) + (k % 5 == 1), f"{crc32c_bytes(data) ^ (k % 5 == 4):08x}", sha))
+        listed.setdefault(clip, []).append(
+            (rel.split("/")[1], len(data) + (k % 5 == 1), f"{crc32c_bytes(data) ^ (k % 5 == 4):08x}", sha)
+        )
     return _folder(spark, "checked", held | {f"{c}/x.checksums.tsv": _sidecar(rows) for c, rows in listed.items()})
 
 
@@ -63,8 +67,16 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
     root, rows, sha = _checked(spark, sf), _nations(spark, sf), lambda d: hashlib.sha256(d).hexdigest()
     line = lambda rel, d: f"{rel}\t{len(d)}\t{sha(d)}\t-\tOK\n"
     top = "# m\ndest: {}\n" + "\t".join(records.OFFLOAD[0]) + "\n"
-    texts = {f"{n}.offload-manifest.tsv": (top.format(f"/{n}") + "".join(line(rel, d) for k, _, rel, d in rows if k % 2 == n)).encode() for n in (0, 1)}
-    texts["s.sources.tsv"] = ("# m\n" + "\t".join(records.SOURCES[0]) + "\n" + "".join(f"{rel}\t{len(d) + (k % 4 == 1)}\t{sha(d)}\n" for k, _, rel, d in rows)).encode()
+    texts = {
+        f"{n}.offload-manifest.tsv": (
+            top.format(f"/{n}") + "".join(line(rel, d) for k, _, rel, d in rows if k % 2 == n)
+        ).encode() for n in (0, 1)
+    }
+    texts["s.sources.tsv"] = (
+        "# m\n" + "\t".join(records.SOURCES[0]) + "\n" + "".join(
+            f"{rel}\t{len(d) + (k % 4 == 1)}\t{sha(d)}\n" for k, _, rel, d in rows
+        )
+    ).encode()
     files.put_files(spark, root, texts)
     dest = _folder(spark, "dest", {rel: d[::-1] if k % 3 == 1 else d for k, _, rel, d in rows if k % 3})
     card = _folder(spark, "card", {rel: d for k, _, rel, d in rows if k % 4})
@@ -83,7 +95,10 @@ def diff(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.diff(spark, a, b).rows.select("clip", "stem", "verdict")
 
 
-@register("verb_offload", f"SELECT rel, dest, CASE WHEN dest = 'x' AND k % 2 = 0 AND k % 3 <> 0 THEN 'skip' ELSE 'copy' END AS action FROM ({_K}), (VALUES ('x'), ('y')) d(dest)")
+@register(
+    "verb_offload",
+    f"SELECT rel, dest, CASE WHEN dest = 'x' AND k % 2 = 0 AND k % 3 <> 0 THEN 'skip' ELSE 'copy' END AS action FROM ({_K}), (VALUES ('x'), ('y')) d(dest)",
+)
 def offload(spark: SparkSession, sf: str) -> DataFrame:
     """What a copy to two destinations has to do."""
     rows = _nations(spark, sf)
@@ -93,12 +108,18 @@ def offload(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.offload_plan(spark, source, {"x": x, "y": y}).rows
 
 
-@register("verb_offload_copy", f"SELECT rel AS file, dest, size, sha256(n_name) AS source_sha256, sha256(n_name) AS dest_sha256, 'OK' AS verdict FROM ({_K}), (VALUES ('x'), ('y')) d(dest)")
+@register(
+    "verb_offload_copy",
+    f"SELECT rel AS file, dest, size, sha256(n_name) AS source_sha256, sha256(n_name) AS dest_sha256, 'OK' AS verdict FROM ({_K}), (VALUES ('x'), ('y')) d(dest)",
+)
 def offload_copy(spark: SparkSession, sf: str) -> DataFrame:
     """Files copied to two destinations, of which one held some in another form, and judged by their digests."""
     rows = _nations(spark, sf)
     source = _folder(spark, "source", {rel: d for *_, rel, d in rows})
-    dests = {"x": _folder(spark, "x", {rel: d + b"!" * (k % 3 == 0) for k, _, rel, d in rows if k % 2 == 0}), "y": _folder(spark, "y", {"other/file": b"1"})}
+    dests = {
+        "x": _folder(spark, "x", {rel: d + b"!" * (k % 3 == 0) for k, _, rel, d in rows if k % 2 == 0}),
+        "y": _folder(spark, "y", {"other/file": b"1"}),
+    }
     found = verbs.offload(spark, source, dests, scratch(spark, "manifests"), "# m").rows
     return found.select("file", "dest", "size", "source_sha256", "dest_sha256", "verdict")
 
@@ -116,7 +137,10 @@ def measure(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.measure(spark, [root, root]).rows.select("width", "class", "frames", "clips")
 
 
-@register("verb_derive", "WITH p AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: greatest(0, least(4095, floor((x::DOUBLE + 0.5) * 4000)::INT)) >> 4), ',') AS plane FROM embeddings) SELECT vec_id, plane, sha256(plane) AS sha256 FROM p")
+@register(
+    "verb_derive",
+    "WITH p AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: greatest(0, least(4095, floor((x::DOUBLE + 0.5) * 4000)::INT)) >> 4), ',') AS plane FROM embeddings) SELECT vec_id, plane, sha256(plane) AS sha256 FROM p",
+)
 def derive(spark: SparkSession, sf: str) -> DataFrame:
     """Planes at eight bits, with their digests."""
     from loomshed.plans.planes import _show, sampled
@@ -137,19 +161,32 @@ def repair(spark: SparkSession, sf: str) -> DataFrame:
     dest = _folder(spark, "dest", {rel: d[::-1] if k % 3 == 1 else d for k, _, rel, d in rows if k % 3 != 2})
     manifest = scratch(spark, "manifest")
     listed = [(rel, len(d), hashlib.sha256(d).hexdigest(), "-", "OK") for *_, rel, d in rows]
-    records.write_offload(spark.createDataFrame(listed, "file string, size long, source_sha256 string, dest_sha256 string, verdict string"), manifest, "# m", "/d")
+    records.write_offload(
+        spark.createDataFrame(listed, "file string, size long, source_sha256 string, dest_sha256 string, verdict string"),
+        manifest,
+        "# m",
+        "/d",
+    )
     scope = [rel for k, _, rel, _ in rows if k in (1, 2)]
     return verbs.repair(spark, manifest, source, source, dest, scope).rows.select("rel", "side", "verdict", "action")
 
 
-@register("verb_restore", f"SELECT clip, rel, row_number() OVER (PARTITION BY clip ORDER BY rel) AS n, CASE WHEN k % 5 = 0 THEN 'restore' ELSE 'master bad' END AS action FROM ({_K}) WHERE k % 2 = 1")
+@register(
+    "verb_restore",
+    f"SELECT clip, rel, row_number() OVER (PARTITION BY clip ORDER BY rel) AS n, CASE WHEN k % 5 = 0 THEN 'restore' ELSE 'master bad' END AS action FROM ({_K}) WHERE k % 2 = 1",
+)
 def restore(spark: SparkSession, sf: str) -> DataFrame:
     """Offenders against a master that must verify itself."""
-    offenders = spark.createDataFrame([(clip, rel) for k, clip, rel, _ in _nations(spark, sf) if k % 2], "clip string, rel string")
+    offenders = spark.createDataFrame(
+        [(clip, rel) for k, clip, rel, _ in _nations(spark, sf) if k % 2], "clip string, rel string"
+    )
     return verbs.restore(spark, offenders, _checked(spark, sf)).rows.select("clip", "rel", "n", "action")
 
 
-@register("verb_dry_run", f"SELECT clip, count(*) AS frames, sum(size)::BIGINT AS bytes, round(sum(size) / 2.5::DOUBLE)::BIGINT AS projected, count(*) * 0.5::DOUBLE AS minutes FROM ({_K}) WHERE clip NOT IN ('ASIA', 'EUROPE') GROUP BY 1")
+@register(
+    "verb_dry_run",
+    f"SELECT clip, count(*) AS frames, sum(size)::BIGINT AS bytes, round(sum(size) / 2.5::DOUBLE)::BIGINT AS projected, count(*) * 0.5::DOUBLE AS minutes FROM ({_K}) WHERE clip NOT IN ('ASIA', 'EUROPE') GROUP BY 1",
+)
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     """What a run of the chosen clips is expected to take."""
     root = _folder(spark, "card", {rel: d for *_, rel, d in _nations(spark, sf)})
@@ -180,14 +217,20 @@ def run_plan(spark: SparkSession, sf: str) -> DataFrame:
     return verbs.run_plan(spark, root, out).rows.select("rel", "action")
 
 
-@register("verb_ingest_gate", f"WITH s AS (SELECT clip, k, lag(k) OVER (PARTITION BY clip ORDER BY k) AS p FROM ({_K})) SELECT clip, count(*) AS frames, coalesce(sum(CASE WHEN k > p + 1 THEN k - p - 1 END), 0)::BIGINT AS n_missing, CASE WHEN max(CASE WHEN k > p + 1 THEN 1 ELSE 0 END) = 1 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s GROUP BY 1")
+@register(
+    "verb_ingest_gate",
+    f"WITH s AS (SELECT clip, k, lag(k) OVER (PARTITION BY clip ORDER BY k) AS p FROM ({_K})) SELECT clip, count(*) AS frames, coalesce(sum(CASE WHEN k > p + 1 THEN k - p - 1 END), 0)::BIGINT AS n_missing, CASE WHEN max(CASE WHEN k > p + 1 THEN 1 ELSE 0 END) = 1 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s GROUP BY 1",
+)
 def ingest_gate(spark: SparkSession, sf: str) -> DataFrame:
     """The numbers of a folder's frames."""
     root = _folder(spark, "card", {rel: d for *_, rel, d in _nations(spark, sf)})
     return verbs.ingest_gate(spark, root).rows.select("clip", "frames", "n_missing", "verdict")
 
 
-@register("verb_ledger", "SELECT floor(epoch(ts))::BIGINT AS created, event_type AS command FROM events WHERE floor(epoch(ts)) >= (SELECT max(floor(epoch(ts))) FROM events) - 86400")
+@register(
+    "verb_ledger",
+    "SELECT floor(epoch(ts))::BIGINT AS created, event_type AS command FROM events WHERE floor(epoch(ts)) >= (SELECT max(floor(epoch(ts))) FROM events) - 86400",
+)
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     """A ledger's rows of the last day."""
     e = table(spark, sf, "events")

@@ -103,11 +103,15 @@ def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
     sort = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
     held = stored(ranged.withColumn("_id", F.monotonically_increasing_id()), "placed")
-    held = held.withColumns({"block": F.shiftrightunsigned("_id", _LOCAL).cast("int"), "_local": F.col("_id").bitwiseAND(F.lit((1 << _LOCAL) - 1))})
+    held = held.withColumns(
+        {"block": F.shiftrightunsigned("_id", _LOCAL).cast("int"), "_local": F.col("_id").bitwiseAND(F.lit((1 << _LOCAL) - 1))}
+    )
     counts = held.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.sum("_n").over(Window.orderBy("block")) - F.col("_n")
     first = counts.select("block", ahead.alias("_ahead"))
-    return held.join(F.broadcast(first), "block").withColumn("place", F.col("_ahead") + F.col("_local")).drop("_id", "_local", "_ahead")
+    return held.join(F.broadcast(first), "block").withColumn("place", F.col("_ahead") + F.col("_local")).drop(
+        "_id", "_local", "_ahead"
+    )
 
 
 def few(rows: DataFrame, column: str, most: int) -> list:

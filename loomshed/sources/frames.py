@@ -20,7 +20,13 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/", "")
     name = F.substring_index("path", "/", -1)
     return found.filter(~name.startswith("._")).select(
-        rel.alias("rel"), F.regexp_extract(rel, "^(.*)/[^/]*$", 1).alias("clip"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length", F.col("modificationTime").alias("modified"), "content"
+        rel.alias("rel"),
+        F.regexp_extract(rel, "^(.*)/[^/]*$", 1).alias("clip"),
+        name.alias("name"),
+        F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
+        "length",
+        F.col("modificationTime").alias("modified"),
+        "content",
     )
 
 
@@ -45,19 +51,25 @@ def encoded(found: DataFrame) -> DataFrame:
 
 def sidecars(found: DataFrame) -> DataFrame:
     """(rel, clip, kind) of the checksum records of a scan: checksums, jxl-checksums or bake."""
-    kind = F.when(F.col("name").endswith(".jxl-checksums.tsv"), "jxl-checksums").when(F.col("name").endswith(".checksums.tsv"), "checksums").when(F.col("name").endswith(".bake-manifest.tsv"), "bake")
+    kind = F.when(
+        F.col("name").endswith(".jxl-checksums.tsv"), "jxl-checksums"
+    ).when(F.col("name").endswith(".checksums.tsv"), "checksums").when(F.col("name").endswith(".bake-manifest.tsv"), "bake")
     return found.select("rel", "clip", kind.alias("kind")).filter("kind is not null")
 
 
 def mirror_records(found: DataFrame) -> DataFrame:
     """(rel, clip, kind) of offload manifests of a scan and of the records beside them: offload, ingest, members, sources."""
     kind = F.regexp_extract("name", r"\.(offload|ingest)-manifest\.tsv$|\.(members|sources)\.tsv$", 0)
-    return found.select("rel", "clip", F.regexp_extract(kind, "(offload|ingest|members|sources)", 1).alias("kind")).filter("kind <> ''")
+    return found.select(
+        "rel", "clip", F.regexp_extract(kind, "(offload|ingest|members|sources)", 1).alias("kind")
+    ).filter("kind <> ''")
 
 
 def top_folders(found: DataFrame) -> DataFrame:
     """(folder, files): first folders of a scan whose root holds no record, to be judged one by one."""
-    return found.filter(F.col("clip") != "").groupBy(F.split_part("rel", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+    return found.filter(F.col("clip") != "").groupBy(F.split_part("rel", F.lit("/"), F.lit(1)).alias("folder")).agg(
+        F.count(F.lit(1)).alias("files")
+    )
 
 
 def totals(files: DataFrame) -> DataFrame:
@@ -67,12 +79,21 @@ def totals(files: DataFrame) -> DataFrame:
 
 def plane_groups(files: DataFrame) -> DataFrame:
     """Frames stored as four planes <stem>_p2_<nn>: which planes are missing, and their bytes together."""
-    parts = files.select("clip", F.regexp_extract("stem", r"^(.*)_p2_(00|01|10|11)$", 1).alias("stem"), F.regexp_extract("stem", r"_p2_(00|01|10|11)$", 1).alias("plane"), "length").filter("plane <> ''")
+    parts = files.select(
+        "clip",
+        F.regexp_extract("stem", r"^(.*)_p2_(00|01|10|11)$", 1).alias("stem"),
+        F.regexp_extract("stem", r"_p2_(00|01|10|11)$", 1).alias("plane"),
+        "length",
+    ).filter("plane <> ''")
     want = F.array(*[F.lit(p) for p in ("00", "01", "10", "11")])
-    return parts.groupBy("clip", "stem").agg(F.collect_set("plane").alias("have"), F.sum("length").alias("bytes")).select("clip", "stem", "bytes", F.array_except(want, "have").alias("missing"))
+    return parts.groupBy("clip", "stem").agg(F.collect_set("plane").alias("have"), F.sum("length").alias("bytes")).select(
+        "clip", "stem", "bytes", F.array_except(want, "have").alias("missing")
+    )
 
 
-_NUMBERS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "tile_width": 322, "tile_height": 323}
+_NUMBERS = {
+    "width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "tile_width": 322, "tile_height": 323
+}
 _TEXTS = {"make": 271, "model": 272}
 _RATIOS = {"framerate": 51044, "exposure": 33434}
 _ISO, _TIMECODE = 34855, 51043
@@ -169,8 +190,15 @@ def frame_class(f: str = "facts"):
     """raw, camera-lossless, archive or unknown, from a facts column."""
     c = lambda n: F.col(f"{f}.{n}")
     tiled = c("tile_width").isNotNull()
-    camera = (c("width") == 3856) & (c("height") == 2170) & (c("tile_width") == 512) & (c("tile_height") == 368) & (c("bits") == 12)
-    return F.coalesce(F.when((c("compression") == 1) & ~tiled, "raw").when((c("compression") == 7) & tiled, F.when(camera, "camera-lossless").otherwise("archive")), F.lit("unknown"))
+    camera = (c("width") == 3856) & (c("height") == 2170) & (c("tile_width") == 512) & (c("tile_height") == 368) & (
+        c("bits") == 12
+    )
+    return F.coalesce(
+        F.when((c("compression") == 1) & ~tiled, "raw").when(
+            (c("compression") == 7) & tiled, F.when(camera, "camera-lossless").otherwise("archive")
+        ),
+        F.lit("unknown"),
+    )
 
 
 def parse_pam(data: bytes) -> tuple[int, int, list[int]]:
@@ -191,10 +219,18 @@ def parse_pam(data: bytes) -> tuple[int, int, list[int]]:
 
 
 def render_pam(w: int, h: int, samples: list[int]) -> bytes:
-    return f"P7\nWIDTH {w}\nHEIGHT {h}\nDEPTH 1\nMAXVAL 4095\nTUPLTYPE GRAYSCALE\nENDHDR\n".encode() + struct.pack(f">{w * h}H", *samples)
+    return f"P7\nWIDTH {w}\nHEIGHT {h}\nDEPTH 1\nMAXVAL 4095\nTUPLTYPE GRAYSCALE\nENDHDR\n".encode() + struct.pack(
+        f">{w * h}H", *samples
+    )
 
 
-_PLANE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("plane", T.ArrayType(T.IntegerType()))])
+_PLANE = T.StructType(
+    [
+        T.StructField("width", T.IntegerType()),
+        T.StructField("height", T.IntegerType()),
+        T.StructField("plane", T.ArrayType(T.IntegerType())),
+    ]
+)
 
 
 @F.pandas_udf(_PLANE)

@@ -11,7 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from loomshed.functions.hashing import c4_bytes, c4_of_digest
 from loomshed.operators.reconcile import first_of
 
-_ENTRY = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("is_dir", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("c4", T.StringType()), T.StructField("structure", T.StringType())]))
+_ENTRY = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("path", T.StringType()),
+            T.StructField("is_dir", T.BooleanType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("c4", T.StringType()),
+            T.StructField("structure", T.StringType()),
+        ]
+    )
+)
 
 
 def parse_list(text: str) -> list[dict]:
@@ -30,10 +40,22 @@ def parse_list(text: str) -> list[dict]:
         name = path.text
         if name.startswith("/") or ".." in name.split("/"):
             raise ValueError(f"path leaves the folder: {name}")
-        ids = {tag(p) if tag(p) in ("content", "structure") else "c4": next((c.text for c in p.iter() if tag(c) == "c4"), None) for p in el if tag(p) in ("c4", "content", "structure")}
+        ids = {
+            tag(p) if tag(p) in ("content", "structure") else "c4": next(
+                (c.text for c in p.iter() if tag(c) == "c4"), None
+            ) for p in el if tag(p) in ("c4", "content", "structure")
+        }
         for value in ids.values():
             c4_bytes(value or "")
-        out.append({"path": name, "is_dir": kind == "directoryhash", "size": int(path.get("size")) if path.get("size") else None, "c4": ids.get("c4") or ids.get("content"), "structure": ids.get("structure")})
+        out.append(
+            {
+                "path": name,
+                "is_dir": kind == "directoryhash",
+                "size": int(path.get("size")) if path.get("size") else None,
+                "c4": ids.get("c4") or ids.get("content"),
+                "structure": ids.get("structure"),
+            }
+        )
     return out
 
 
@@ -68,21 +90,34 @@ def directory_hashes(files: DataFrame) -> DataFrame:
     """
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     name = F.substring_index("path", "/", -1)
-    level = files.select("path", F.col("c4").alias("content"), F.col("c4").alias("structure"), F.size(F.split("path", "/")).alias("depth"))
+    level = files.select(
+        "path", F.col("c4").alias("content"), F.col("c4").alias("structure"), F.size(F.split("path", "/")).alias("depth")
+    )
     deepest = level.agg(F.max("depth")).first()[0]
     found = None
     for depth in range(deepest or 0, 0, -1):
-        kids = level.filter(F.col("depth") == depth).select(parent.alias("dir"), "content", child_hash(name, F.col("structure")).alias("structure"))
-        dirs = kids.groupBy("dir").agg(F.collect_list("content").alias("c"), F.collect_list("structure").alias("s")).select("dir", list_hash("c").alias("content"), list_hash("s").alias("structure"))
+        kids = level.filter(F.col("depth") == depth).select(
+            parent.alias("dir"), "content", child_hash(name, F.col("structure")).alias("structure")
+        )
+        dirs = kids.groupBy("dir").agg(F.collect_list("content").alias("c"), F.collect_list("structure").alias("s")).select(
+            "dir", list_hash("c").alias("content"), list_hash("s").alias("structure")
+        )
         found = dirs if found is None else found.unionByName(dirs)
-        level = level.filter(F.col("depth") < depth).unionByName(dirs.filter("dir <> ''").select(F.col("dir").alias("path"), "content", "structure", F.lit(depth - 1).alias("depth")))
+        level = level.filter(F.col("depth") < depth).unionByName(
+            dirs.filter("dir <> ''").select(F.col("dir").alias("path"), "content", "structure", F.lit(depth - 1).alias("depth"))
+        )
     return found if found is not None else files.sparkSession.createDataFrame([], "dir string, content string, structure string")
 
 
 def verify(listed: DataFrame, disk: DataFrame) -> DataFrame:
     """Listed files against disk (path, d_size, d_c4): MISSING, SIZE, C4, OK."""
     seen = disk.withColumn("on_disk", F.lit(True))
-    verdict = first_of((F.col("on_disk").isNull(), "MISSING"), (F.col("size") != F.col("d_size"), "SIZE"), (F.col("c4") != F.col("d_c4"), "C4"), otherwise="OK")
+    verdict = first_of(
+        (F.col("on_disk").isNull(), "MISSING"),
+        (F.col("size") != F.col("d_size"), "SIZE"),
+        (F.col("c4") != F.col("d_c4"), "C4"),
+        otherwise="OK",
+    )
     return listed.filter(~F.col("is_dir")).join(seen, "path", "left").select("path", verdict.alias("verdict"))
 
 
@@ -124,7 +159,11 @@ def render_lists(rows: DataFrame, folder: str) -> DataFrame:
     return lists.select(folder, "part", _render(F.col("f.path"), F.col("f.size"), F.col("f.c4")).alias("text"))
 
 
-_CHAIN = T.ArrayType(T.StructType([T.StructField("sequence", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("c4", T.StringType())]))
+_CHAIN = T.ArrayType(
+    T.StructType(
+        [T.StructField("sequence", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("c4", T.StringType())]
+    )
+)
 
 
 def parse_chain(text: str) -> list[dict]:

@@ -29,13 +29,29 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     last line without an end. Files must not be compressed.
     """
     raw = spark.read.text(path, lineSep="\n", **({"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {})).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), "value"
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    splits = raw.groupBy("file", "block").agg(
+        F.min("id").alias("first"),
+        F.count(F.lit(1)).alias("c"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.max("size").alias("size"),
+        F.min_by("value", "id").alias("top"),
     )
-    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.min_by("value", "id").alias("top"))
     whole = Window.partitionBy("file")
     ahead = F.sum("c").over(whole.orderBy("block")) - F.col("c")
     splits = splits.select(
-        "file", "block", "first", ahead.alias("ahead"), (F.sum("c").over(whole) - 1).alias("last"), (F.sum("bytes").over(whole) > F.col("size")).alias("open"), F.first("top").over(whole.orderBy("block")).alias("head")
+        "file",
+        "block",
+        "first",
+        ahead.alias("ahead"),
+        (F.sum("c").over(whole) - 1).alias("last"),
+        (F.sum("bytes").over(whole) > F.col("size")).alias("open"),
+        F.first("top").over(whole.orderBy("block")).alias("head"),
     )
     if splits.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS:
         splits = F.broadcast(splits)
@@ -43,10 +59,24 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     clean = lambda c: F.rtrim(F.col(c), F.lit("\r"))
     lines = raw.drop("size").join(splits, ["file", "block"])
     name = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # the reader gives paths as URIs
-    return lines.select(name.alias("manifest"), n.alias("n"), clean("value").alias("line"), (F.col("open") & (n == F.col("last"))).alias("torn"), clean("head").alias("head"))
+    return lines.select(
+        name.alias("manifest"),
+        n.alias("n"),
+        clean("value").alias("line"),
+        (F.col("open") & (n == F.col("last"))).alias("torn"),
+        clean("head").alias("head"),
+    )
 
 
-def parse_rows(lines: DataFrame, columns: list[str], kinds: list[str], arities: list[int] | None = None, null: str | None = None, tolerate_torn: bool = False, arity: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def parse_rows(
+    lines: DataFrame,
+    columns: list[str],
+    kinds: list[str],
+    arities: list[int] | None = None,
+    null: str | None = None,
+    tolerate_torn: bool = False,
+    arity: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of tab-separated lines; rejects are (manifest, n, line, reason).
 
     A line is a row if it has one of the ``arities`` (or the ``arity`` that its file
@@ -62,7 +92,9 @@ def parse_rows(lines: DataFrame, columns: list[str], kinds: list[str], arities:
         found = F.coalesce(text(i), F.lit(""))
         return found if null is None else F.nullif(found, F.lit(null))
 
-    typed = lines.withColumns({"_arity": F.size(parts), **{c: value(i, k) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))}})
+    typed = lines.withColumns(
+        {"_arity": F.size(parts), **{c: value(i, k) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))}}
+    )
     fits = F.col("_arity").isin(*(arities or [len(columns)])) if arity is None else F.col("_arity") == arity
     reason = F.when(~fits, F.concat(F.col("_arity").cast("string"), F.lit(" columns")))
     for c, k in zip(columns, kinds, strict=True):
@@ -70,7 +102,9 @@ def parse_rows(lines: DataFrame, columns: list[str], kinds: list[str], arities:
             reason = F.coalesce(reason, F.when(F.col(c).isNull(), F.lit(f"bad {c}")))
     typed = typed.withColumn("reason", reason)
     bad = typed.filter("reason is not null")
-    return typed.filter("reason is null").select("manifest", "n", *columns), (bad.filter(~F.col("torn")) if tolerate_torn else bad).select("manifest", "n", "line", "reason")
+    return typed.filter("reason is null").select("manifest", "n", *columns), (
+        bad.filter(~F.col("torn")) if tolerate_torn else bad
+    ).select("manifest", "n", "line", "reason")
 
 
 _KEY = r"^([A-Za-z_]+): ?(.*)$"
@@ -78,10 +112,16 @@ _KEY = r"^([A-Za-z_]+): ?(.*)$"
 
 def body(lines: DataFrame, header: str) -> DataFrame:
     """Lines that are neither a first line with ``#``, nor ``key: value``, nor the column line, nor empty."""
-    return lines.filter((F.col("line") != "") & ~F.col("line").startswith("#") & (F.col("line") != header) & (F.contains("line", F.lit(TAB)) | ~F.col("line").rlike(_KEY)))
+    return lines.filter(
+        (F.col("line") != "") & ~F.col("line").startswith("#") & (F.col("line") != header) & (
+            F.contains("line", F.lit(TAB)) | ~F.col("line").rlike(_KEY)
+        )
+    )
 
 
-def records(spark: SparkSession, path: str, columns: list[str], kinds: list[str], glob: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+def records(
+    spark: SparkSession, path: str, columns: list[str], kinds: list[str], glob: str | None = None, **how
+) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of files with a first line, ``key: value`` lines, a column line and rows."""
     rows, bad = parse_rows(body(text_lines(spark, path, glob), TAB.join(columns)), columns, kinds, **how)
     return rows.drop("n"), bad
@@ -90,26 +130,58 @@ def records(spark: SparkSession, path: str, columns: list[str], kinds: list[str]
 def header_values(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(manifest, n, key, value) of the ``key: value`` lines."""
     found = text_lines(spark, path, glob).filter(~F.contains("line", F.lit(TAB)) & F.col("line").rlike(_KEY))
-    return found.select("manifest", "n", F.regexp_extract("line", _KEY, 1).alias("key"), F.trim(F.regexp_extract("line", _KEY, 2)).alias("value"))
+    return found.select(
+        "manifest", "n", F.regexp_extract("line", _KEY, 1).alias("key"), F.trim(F.regexp_extract("line", _KEY, 2)).alias("value")
+    )
 
 
 def headers(spark: SparkSession, path: str, keys: list[str], glob: str | None = None) -> DataFrame:
     """One row a file: the value of each key, of the last line if it is held twice."""
-    return header_values(spark, path, glob).groupBy("manifest").agg(*[F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("n"))).alias(k) for k in keys])
+    return header_values(spark, path, glob).groupBy("manifest").agg(
+        *[F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("n"))).alias(k) for k in keys]
+    )
 
 
 # Columns of the records.
-CHECKSUMS = (["file", "size", "crc32c", "sha256", "timecode", "framerate", "iso", "exposure"], ["string", "bigint", "string", "string", "string", "string", "string", "string"])
-PLANES = (["file", "size", "sha256", "crc32c", "plane", "src_frame", "src_frame_sha256", "jxl_version", "effort"], ["string", "bigint"] + ["string"] * 7)
+CHECKSUMS = (
+    ["file", "size", "crc32c", "sha256", "timecode", "framerate", "iso", "exposure"],
+    ["string", "bigint", "string", "string", "string", "string", "string", "string"],
+)
+PLANES = (
+    ["file", "size", "sha256", "crc32c", "plane", "src_frame", "src_frame_sha256", "jxl_version", "effort"],
+    ["string", "bigint"] + ["string"] * 7,
+)
 BAKE = (["relpath", "size", "sha256"], ["string", "bigint", "string"])
-QC = (["file", "bps", "raw_min", "raw_max", "raw_mean", "range", "variance", "black"], ["string", "int", "int", "int", "string", "int", "string", "int"])
-INGEST = (["clip", "frames", "manifest_declared", "frame_range", "tc_start", "tc_end"], ["string", "bigint", "string", "string", "string", "string"])
+QC = (
+    ["file", "bps", "raw_min", "raw_max", "raw_mean", "range", "variance", "black"],
+    ["string", "int", "int", "int", "string", "int", "string", "int"],
+)
+INGEST = (
+    ["clip", "frames", "manifest_declared", "frame_range", "tc_start", "tc_end"],
+    ["string", "bigint", "string", "string", "string", "string"],
+)
 OFFLOAD = (["file", "size", "source_sha256", "dest_sha256", "verdict"], ["string", "bigint", "string", "string", "string"])
 SOURCES = (["file", "size", "sha256"], ["string", "bigint", "string"])
 MEMBERS = (["file", "size", "sha256", "verdict"], ["string", "bigint", "string", "string"])
 REEL = (["clip", "codec", "archive", "archive_sha256", "manifest_name", "manifest_sha256", "frames"], ["string"] * 6 + ["bigint"])
 REEL_HEADER = TAB.join(["clip", "codec", "archive", "archive_sha256", "manifest", "manifest_sha256", "frames"])
-LEDGER = (["created", "command", "tool_version", "input", "output", "codec", "frames", "verdict", "duration_s", "dest", "selection", "context"], ["bigint"] + ["string"] * 11)
+LEDGER = (
+    [
+        "created",
+        "command",
+        "tool_version",
+        "input",
+        "output",
+        "codec",
+        "frames",
+        "verdict",
+        "duration_s",
+        "dest",
+        "selection",
+        "context",
+    ],
+    ["bigint"] + ["string"] * 11,
+)
 PINS = (["component", "expected", "probe", "note"], ["string"] * 4)
 
 _CRC = "^[0-9A-Fa-f]{8}$"
@@ -120,15 +192,21 @@ def _also(rows: DataFrame, bad: DataFrame, rule: Column, reason: str) -> tuple[D
     """Rows that break a further rule join the rejects, as their own columns joined again."""
     broken = ~F.coalesce(rule, F.lit(False))
     line = F.concat_ws(TAB, *[F.col(c).cast("string") for c in rows.columns if c not in ("manifest", "n")])
-    return rows.filter(~broken), bad.unionByName(rows.filter(broken).select("manifest", "n", line.alias("line"), F.lit(reason).alias("reason")))
+    return rows.filter(~broken), bad.unionByName(
+        rows.filter(broken).select("manifest", "n", line.alias("line"), F.lit(reason).alias("reason"))
+    )
 
 
-def read_checksums(spark: SparkSession, path: str, tolerate_torn: bool = False, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_checksums(
+    spark: SparkSession, path: str, tolerate_torn: bool = False, glob: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Checksum sidecars: eight columns in files with a first line, four in older ones; three are older still and rejected."""
     lines = body(text_lines(spark, path, glob), TAB.join(CHECKSUMS[0])).filter(F.col("line") != TAB.join(CHECKSUMS[0][:4]))
     arity = F.when(F.col("head").startswith("#"), 8).otherwise(4)
     rows, bad = parse_rows(lines, *CHECKSUMS, tolerate_torn=tolerate_torn, arity=arity)
-    bad = bad.withColumn("reason", F.when((F.col("reason") == "3 columns"), "predates the sha256 column").otherwise(F.col("reason")))
+    bad = bad.withColumn(
+        "reason", F.when((F.col("reason") == "3 columns"), "predates the sha256 column").otherwise(F.col("reason"))
+    )
     rows, bad = _also(rows, bad, F.col("crc32c").rlike(_CRC), "bad crc32c")
     return rows.drop("n"), bad
 
@@ -145,7 +223,9 @@ def read_resume(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sidecars for a resumed run: a bad torn tail is dropped, and every row of a file name held twice is a reject."""
     rows, bad = read_checksums(spark, path, tolerate_torn=True)
     twice = rows.groupBy("manifest", "file").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("manifest", "file")
-    again = twice.select("manifest", F.lit(None).cast("bigint").alias("n"), F.col("file").alias("line"), F.lit("held twice").alias("reason"))
+    again = twice.select(
+        "manifest", F.lit(None).cast("bigint").alias("n"), F.col("file").alias("line"), F.lit("held twice").alias("reason")
+    )
     return rows.join(twice, ["manifest", "file"], "left_anti"), bad.unionByName(again)
 
 
@@ -172,7 +252,14 @@ def read_bake(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
         .when(count != F.coalesce("rows", F.lit(0)), "file_count")
         .when(F.col("rows").isNull(), "no rows")
     )
-    told = head.join(held, "manifest", "left").select("manifest", "clip", "container", count.alias("file_count"), F.when(F.col("archive").isNotNull(), parts).alias("parts"), error.alias("error"))
+    told = head.join(held, "manifest", "left").select(
+        "manifest",
+        "clip",
+        "container",
+        count.alias("file_count"),
+        F.when(F.col("archive").isNotNull(), parts).alias("parts"),
+        error.alias("error"),
+    )
     return told, rows.drop("n"), bad
 
 
@@ -185,7 +272,12 @@ def read_ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Ingest manifests; '-' is null and a range is ``a..b``."""
     rows, bad = records(spark, path, *INGEST, null="-")
     ends = F.split("frame_range", r"\.\.")
-    return rows.withColumns({"first": F.try_element_at(ends, F.lit(1)).try_cast("bigint"), "last": F.try_element_at(ends, F.lit(2)).try_cast("bigint")}), bad
+    return rows.withColumns(
+        {
+            "first": F.try_element_at(ends, F.lit(1)).try_cast("bigint"),
+            "last": F.try_element_at(ends, F.lit(2)).try_cast("bigint"),
+        }
+    ), bad
 
 
 def read_offload(spark: SparkSession, path: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +304,12 @@ def read_reels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     rows, bad = parse_rows(body(text_lines(spark, path), REEL_HEADER), *REEL)
     listed = lambda c: F.transform(F.split(c, ","), lambda p: F.trim(p))
     rows, bad = _also(rows, bad, F.size(listed("archive")) == F.size(listed("archive_sha256")), "archive lists differ in length")
-    rows, bad = _also(rows, bad, F.forall(listed("archive_sha256"), lambda s: s.rlike(_SHA)) & F.col("manifest_sha256").rlike(_SHA), "bad digest")
+    rows, bad = _also(
+        rows,
+        bad,
+        F.forall(listed("archive_sha256"), lambda s: s.rlike(_SHA)) & F.col("manifest_sha256").rlike(_SHA),
+        "bad digest",
+    )
     rows = rows.withColumns({"archive": listed("archive"), "archive_sha256": listed("archive_sha256")}).drop("n")
     held = rows.groupBy("manifest").agg(F.count(F.lit(1)).alias("_c"), F.sum("frames").alias("_f"))
     number = lambda c: F.split_part(c, F.lit(" "), F.lit(1)).try_cast("bigint")
@@ -222,7 +319,9 @@ def read_reels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
         .when(F.col("frames").isNotNull() & ~number(F.col("frames")).eqNullSafe(F.col("_f")), "frames")
     )
     head = headers(spark, path, ["created", "clips", "frames"]).join(held, "manifest", "left")
-    return head.select("manifest", *[number(F.col(c)).alias(c) for c in ("created", "clips", "frames")], error.alias("error")), rows, bad
+    return head.select(
+        "manifest", *[number(F.col(c)).alias(c) for c in ("created", "clips", "frames")], error.alias("error")
+    ), rows, bad
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +341,9 @@ def read_anchors(spark: SparkSession, path: str, values: list[str]) -> DataFrame
 
     def number(i: int, name: str) -> Column:
         text = F.col("p").getItem(i)
-        return F.coalesce(text.try_cast("double"), F.raise_error(F.concat(F.lit(f"bad {name} of "), "file")).cast("double")).alias(name)
+        return F.coalesce(
+            text.try_cast("double"), F.raise_error(F.concat(F.lit(f"bad {name} of "), "file")).cast("double")
+        ).alias(name)
 
     return first.select("file", *[number(i, v) for i, v in enumerate(values, 1)])
 
@@ -250,7 +351,9 @@ def read_anchors(spark: SparkSession, path: str, values: list[str]) -> DataFrame
 def anchored(frames: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
     """Frames with their anchors; a frame without one raises when its row is computed."""
     found = frames.join(anchors.withColumnRenamed("file", key).withColumn("_held", F.lit(True)), key, "left")
-    checked = F.when(F.col("_held").isNull(), F.raise_error(F.concat(F.lit("no anchor for "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    checked = F.when(
+        F.col("_held").isNull(), F.raise_error(F.concat(F.lit("no anchor for "), F.col(key).cast("string"))).cast("boolean")
+    ).otherwise(F.lit(True))
     return found.filter(checked).drop("_held")
 
 
@@ -271,18 +374,33 @@ def reel_archives(reels: DataFrame) -> DataFrame:
     """(clip, archive, sha256): the parallel lists of reel rows, place by place; unequal lists raise. Lists may be arrays or joined by ', '."""
     listed = lambda c: F.split(c, ", ") if dict(reels.dtypes)[c] == "string" else F.col(c)
     a, s = listed("archive"), listed("archive_sha256")
-    both = F.when(F.size(a) == F.size(s), F.arrays_zip(a.alias("a"), s.alias("s"))).otherwise(F.raise_error(F.lit("archive lists differ in length")))
-    return reels.select("clip", F.explode(both).alias("x")).select("clip", F.col("x.a").alias("archive"), F.col("x.s").alias("sha256"))
+    both = F.when(F.size(a) == F.size(s), F.arrays_zip(a.alias("a"), s.alias("s"))).otherwise(
+        F.raise_error(F.lit("archive lists differ in length"))
+    )
+    return reels.select("clip", F.explode(both).alias("x")).select(
+        "clip", F.col("x.a").alias("archive"), F.col("x.s").alias("sha256")
+    )
 
 
 def camera_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, geometries) of profiles: ``key: value`` lines, and ``geometry: W H BITS predicates`` rows."""
     values = header_values(spark, path)
-    head = values.filter("key <> 'geometry'").groupBy("manifest").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("profile"))
+    head = values.filter("key <> 'geometry'").groupBy("manifest").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("profile")
+    )
     part = F.split("value", r"\s+")
     number = lambda i: part.getItem(i).try_cast("int")
-    geo = values.filter("key = 'geometry'").select("manifest", number(0).alias("w"), number(1).alias("h"), number(2).alias("bits"), part.getItem(3).alias("predicates"), (F.size(part) == 4).alias("fine"))
-    return head, geo.withColumn("fine", F.coalesce(F.col("fine") & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("bits") > 0), F.lit(False)))
+    geo = values.filter("key = 'geometry'").select(
+        "manifest",
+        number(0).alias("w"),
+        number(1).alias("h"),
+        number(2).alias("bits"),
+        part.getItem(3).alias("predicates"),
+        (F.size(part) == 4).alias("fine"),
+    )
+    return head, geo.withColumn(
+        "fine", F.coalesce(F.col("fine") & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("bits") > 0), F.lit(False))
+    )
 
 
 def profile_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -302,7 +420,16 @@ def unique_or_raise(rows: DataFrame, key: list[str], what: str) -> DataFrame:
     return rows
 
 
-def write_record(rows: DataFrame, path: str, magic: str, columns: list[str], order: str, heads: dict[str, object] | None = None, feet: dict[str, object] | None = None, header: str | None = None) -> None:
+def write_record(
+    rows: DataFrame,
+    path: str,
+    magic: str,
+    columns: list[str],
+    order: str,
+    heads: dict[str, object] | None = None,
+    feet: dict[str, object] | None = None,
+    header: str | None = None,
+) -> None:
     """A record: magic, header lines, columns, then rows sorted by ``order``, then closing lines; the same rows give the same bytes.
 
     Up to ``FILE_ROWS`` rows are one file. More are several, whose order is that of their names, so no task holds more.
@@ -315,7 +442,9 @@ def write_record(rows: DataFrame, path: str, magic: str, columns: list[str], ord
     frame = rows.sparkSession.createDataFrame(ends, "a int, i int, b string, value string")
     body_ = rows.select(F.lit(1).alias("a"), F.lit(0).alias("i"), F.col(order).cast("string").alias("b"), line.alias("value"))
     sort = ["a", "i", "b", "value"]
-    frame.unionByName(body_).repartitionByRange(max(1, -(-n // FILE_ROWS)), *sort).sortWithinPartitions(*sort).select("value").write.mode("overwrite").text(path)
+    frame.unionByName(body_).repartitionByRange(
+        max(1, -(-n // FILE_ROWS)), *sort
+    ).sortWithinPartitions(*sort).select("value").write.mode("overwrite").text(path)
 
 
 def write_checksums(rows: DataFrame, path: str, magic: str, tool: str) -> None:
@@ -328,13 +457,24 @@ def write_checksums(rows: DataFrame, path: str, magic: str, tool: str) -> None:
 def write_qc(rows: DataFrame, path: str, magic: str, total: int, partial: list[str]) -> None:
     """A statistics record: its header says how many frames it covers, and names the partial ones."""
     held = rows.count()
-    heads = {"black_range_below": 32, "black_variance_below": 256, "coverage": f"{held} of {total}", **({"partial": ", ".join(sorted(partial))} if partial else {})}
+    heads = {
+        "black_range_below": 32,
+        "black_variance_below": 256,
+        "coverage": f"{held} of {total}",
+        **({"partial": ", ".join(sorted(partial))} if partial else {}),
+    }
     write_record(rows, path, magic, QC[0], "file", heads)
 
 
 def write_ingest(rows: DataFrame, path: str, magic: str) -> None:
     """An ingest manifest of (clip, frames, manifest_declared, first, last, tc_start, tc_end); nulls are '-'."""
-    text = rows.select("clip", "frames", F.coalesce(F.col("manifest_declared").cast("string"), F.lit("-")).alias("manifest_declared"), F.concat_ws("..", F.col("first").cast("string"), F.col("last").cast("string")).alias("frame_range"), *[F.coalesce(c, F.lit("-")).alias(c) for c in ("tc_start", "tc_end")])
+    text = rows.select(
+        "clip",
+        "frames",
+        F.coalesce(F.col("manifest_declared").cast("string"), F.lit("-")).alias("manifest_declared"),
+        F.concat_ws("..", F.col("first").cast("string"), F.col("last").cast("string")).alias("frame_range"),
+        *[F.coalesce(c, F.lit("-")).alias(c) for c in ("tc_start", "tc_end")],
+    )
     told = rows.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("frames"), F.lit(0)).alias("f")).first()
     write_record(text, path, magic, INGEST[0], "clip", {"verdict": "PASS", "clips": told["c"], "frames": told["f"]})
 
@@ -342,13 +482,22 @@ def write_ingest(rows: DataFrame, path: str, magic: str) -> None:
 def write_offload(rows: DataFrame, path: str, magic: str, dest: str) -> None:
     """An offload manifest of (file, size, source_sha256, dest_sha256, verdict), with the count of good rows and the verdict of all."""
     told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "OK").alias("ok")).first()
-    write_record(rows, path, magic, OFFLOAD[0], "file", {"dest": dest, "rows": f"{told['ok']}/{told['n']}", "overall": "PASS" if told["ok"] == told["n"] else "FAIL"})
+    write_record(
+        rows,
+        path,
+        magic,
+        OFFLOAD[0],
+        "file",
+        {"dest": dest, "rows": f"{told['ok']}/{told['n']}", "overall": "PASS" if told["ok"] == told["n"] else "FAIL"},
+    )
 
 
 def rewrite_offload(manifest: DataFrame, repaired: DataFrame, path: str, magic: str, dest: str) -> None:
     """An offload manifest again, with the verdicts and digests of repaired rows (file, dest_sha256, verdict) over its own."""
     fresh = repaired.select("file", F.col("dest_sha256").alias("_d"), F.col("verdict").alias("_v"))
-    rows = manifest.join(fresh, "file", "left").withColumns({"dest_sha256": F.coalesce("_d", "dest_sha256"), "verdict": F.coalesce("_v", "verdict")}).select(*OFFLOAD[0])
+    rows = manifest.join(fresh, "file", "left").withColumns(
+        {"dest_sha256": F.coalesce("_d", "dest_sha256"), "verdict": F.coalesce("_v", "verdict")}
+    ).select(*OFFLOAD[0])
     write_offload(rows, path, magic, dest)
 
 
@@ -360,14 +509,23 @@ def write_members(rows: DataFrame, path: str, magic: str) -> None:
     """A member record; its last line is the verdict of all rows."""
     told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "OK").alias("ok")).first()
     bad = told["n"] - told["ok"]
-    write_record(rows, path, magic, MEMBERS[0], "file", feet={"verdict": f"REFUSE {bad} named row(s)" if bad else f"OK {told['ok']}/{told['n']}"})
+    write_record(
+        rows,
+        path,
+        magic,
+        MEMBERS[0],
+        "file",
+        feet={"verdict": f"REFUSE {bad} named row(s)" if bad else f"OK {told['ok']}/{told['n']}"},
+    )
 
 
 def write_reels(rows: DataFrame, path: str, magic: str, created: int, tool: str) -> None:
     """A reel manifest of rows whose archives and digests are arrays; the header's counts are those of the rows."""
     told = rows.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("frames"), F.lit(0)).alias("f")).first()
     text = rows.withColumns({c: F.array_join(c, ", ") for c in ("archive", "archive_sha256")})
-    heads = {"version": 1, "created": f"{created} (unix seconds, UTC)", "tool_version": tool, "clips": told["c"], "frames": told["f"]}
+    heads = {
+        "version": 1, "created": f"{created} (unix seconds, UTC)", "tool_version": tool, "clips": told["c"], "frames": told["f"]
+    }
     write_record(text, path, magic, REEL[0], "clip", heads, header=REEL_HEADER)
 
 

@@ -11,7 +11,9 @@ COLUMNS = ("clip", "file", "size_bytes", "source_sha256", "dest_sha256", "verdic
 
 
 def _cells(extra: tuple[str, ...] = ()) -> list[Column]:
-    return [F.coalesce((F.col(c).cast("int") if c == "skipped" else F.col(c)).cast("string"), F.lit("")) for c in (*extra, *COLUMNS)]
+    return [
+        F.coalesce((F.col(c).cast("int") if c == "skipped" else F.col(c)).cast("string"), F.lit("")) for c in (*extra, *COLUMNS)
+    ]
 
 
 def csv_lines(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +24,9 @@ def csv_lines(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def markdown_lines(rows: DataFrame) -> DataFrame:
     """(clip, file, line): one table line a row."""
     file, *rest = _cells()[1:]
-    return rows.select("clip", "file", F.concat(F.lit("| `"), file, F.lit("` | "), F.concat_ws(" | ", *rest), F.lit(" |")).alias("line"))
+    return rows.select(
+        "clip", "file", F.concat(F.lit("| `"), file, F.lit("` | "), F.concat_ws(" | ", *rest), F.lit(" |")).alias("line")
+    )
 
 
 def html_lines(rows: DataFrame) -> DataFrame:
@@ -33,14 +37,23 @@ def html_lines(rows: DataFrame) -> DataFrame:
 
 def run_lines(clips: DataFrame) -> DataFrame:
     """(clip, line): a run report's table line of each clip (clip, frames, in_bytes, out_bytes, fine)."""
-    ratio = F.when(F.col("out_bytes") > 0, F.format_string("%.2f", F.col("in_bytes").cast("double") / F.col("out_bytes"))).otherwise("n/a")
-    cells = [F.col("clip"), *[F.col(c).cast("string") for c in ("frames", "in_bytes", "out_bytes")], ratio, F.when(F.col("fine"), "PASS").otherwise("FAIL")]
+    ratio = F.when(
+        F.col("out_bytes") > 0, F.format_string("%.2f", F.col("in_bytes").cast("double") / F.col("out_bytes"))
+    ).otherwise("n/a")
+    cells = [
+        F.col("clip"),
+        *[F.col(c).cast("string") for c in ("frames", "in_bytes", "out_bytes")],
+        ratio,
+        F.when(F.col("fine"), "PASS").otherwise("FAIL"),
+    ]
     return clips.select("clip", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
 def totals(rows: DataFrame, clips: DataFrame) -> DataFrame:
     """Files, bytes and milliseconds of each clip of ``clips``, those without files too."""
-    got = rows.groupBy("clip").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size"), F.sum("copied_ms").alias("ms"))
+    got = rows.groupBy("clip").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size"), F.sum("copied_ms").alias("ms")
+    )
     return clips.join(got, "clip", "left").fillna(0, ["files", "size", "ms"])
 
 
@@ -48,7 +61,9 @@ def write(lines: DataFrame, header: str, path: str) -> None:
     """One report file, header first, rows by clip and file."""
     head = lines.sparkSession.createDataFrame([(0, "", "", header)], "n int, clip string, file string, line string")
     body = lines.select(F.lit(1).alias("n"), "clip", "file", "line")
-    head.unionByName(body).repartition(1).sortWithinPartitions("n", "clip", "file").select("line").write.mode("overwrite").text(path)
+    head.unionByName(body).repartition(1).sortWithinPartitions(
+        "n", "clip", "file"
+    ).select("line").write.mode("overwrite").text(path)
 
 
 def phase_profile(rows: DataFrame, phases: list[str]) -> DataFrame:
@@ -66,5 +81,7 @@ def canonical_pins(rows: DataFrame, version: str) -> DataFrame:
     probe = F.split(F.trim("probe"), r"\s+").getItem(0)
     pair = F.concat_ws("=", "component", "expected")
     both = F.array(F.concat(F.lit("cjxl="), "expected"), F.concat(F.lit("djxl="), "expected"))
-    parts = F.when(probe.isin("version-contains", "lock-grep"), F.when(F.col("component") == "cjxl/djxl", both).otherwise(F.array(pair))).when(probe == "toml-grep", F.array(F.lit(f"tool={version}"))).otherwise(F.array().cast("array<string>"))
+    parts = F.when(
+        probe.isin("version-contains", "lock-grep"), F.when(F.col("component") == "cjxl/djxl", both).otherwise(F.array(pair))
+    ).when(probe == "toml-grep", F.array(F.lit(f"tool={version}"))).otherwise(F.array().cast("array<string>"))
     return rows.agg(F.array_join(F.array_sort(F.flatten(F.collect_list(parts))), "; ").alias("pins"))

@@ -100,7 +100,16 @@ def read(data: bytes) -> Tiff:
 
 
 #: Tags that a raw frame needs, by name.
-NEEDED = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strip_offset", 277: "samples", 279: "strip_bytes"}
+NEEDED = {
+    256: "width",
+    257: "height",
+    258: "bits",
+    259: "compression",
+    262: "photometric",
+    273: "strip_offset",
+    277: "samples",
+    279: "strip_bytes",
+}
 #: Bytes that a strip may be padded with.
 MOST_PADDING = 64
 

@@ -22,4 +22,8 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 
 def start_rollup(spark: SparkSession, path: str, out: str, checkpoint: str, width: str = "1 hour", late: str = "1 hour"):
     """Append finished windows below ``out``; offsets and state live in ``checkpoint``, so a restart goes on where it was."""
-    return by_window(read_status(spark, path), width, late).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return by_window(
+        read_status(spark, path), width, late
+    ).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start()

@@ -27,7 +27,14 @@ class Found:
 def hashed(found: DataFrame) -> DataFrame:
     """(rel, clip, stem, d_size, d_sha256, d_crc32c) of scanned files; contents are read once, where they lie."""
     crc = F.lower(F.lpad(F.hex(hashing.crc32c("content")), 8, "0"))
-    return found.select("rel", "clip", "stem", F.col("length").alias("d_size"), hashing.sha256(F.col("content")).alias("d_sha256"), crc.alias("d_crc32c"))
+    return found.select(
+        "rel",
+        "clip",
+        "stem",
+        F.col("length").alias("d_size"),
+        hashing.sha256(F.col("content")).alias("d_sha256"),
+        crc.alias("d_crc32c"),
+    )
 
 
 def _folder(root: str, manifest: Column) -> Column:
@@ -43,13 +50,20 @@ def _under(folder: Column, file: Column) -> Column:
 def _summary(rows: DataFrame, good: str) -> DataFrame:
     bad = F.count_if(F.col("verdict") != good)
     told = rows.agg(F.count(F.lit(1)).alias("rows"), bad.alias("bad"))
-    return told.withColumns({"verdict": F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"), "exit_code": F.when(F.col("bad") == 0, 0).otherwise(1)})
+    return told.withColumns(
+        {"verdict": F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"), "exit_code": F.when(F.col("bad") == 0, 0).otherwise(1)}
+    )
 
 
 def verify_checksums(spark: SparkSession, root: str) -> Found:
     """Files of a folder against its checksum sidecars, each at any depth."""
     listed, bad = records.read_checksums(spark, root, glob="*.checksums.tsv")
-    listed = listed.select(_under(_folder(root, F.col("manifest")), F.col("file")).alias("rel"), "size", F.lower("sha256").alias("sha256"), F.lower("crc32c").alias("crc32c"))
+    listed = listed.select(
+        _under(_folder(root, F.col("manifest")), F.col("file")).alias("rel"),
+        "size",
+        F.lower("sha256").alias("sha256"),
+        F.lower("crc32c").alias("crc32c"),
+    )
     disk = hashed(frames.files(spark, root)).select("rel", "d_size", "d_sha256", "d_crc32c")
     rows = rc.audit(listed, disk, "rel").unionByName(bad.select(F.col("line").alias("rel"), F.lit("no row").alias("verdict")))
     return Found(rows, _summary(rows, "ok"))
@@ -78,10 +92,22 @@ def audit(spark: SparkSession, root: str, source: str | None = None, dests: dict
     if source is not None:
         recorded, _ = records.read_sources(spark, root, glob="*.sources.tsv")
         card = hashed(frames.files(spark, source)).select("rel", "d_size", "d_sha256", F.lit(True).alias("is_file"))
-        classes = rc.source_classes(recorded.select(F.col("file").alias("rel"), "size", F.lower("sha256").alias("sha256")), card, "rel")
-        out = out.unionByName(classes.select(F.lit("sources").alias("record"), "rel", "verdict", (F.col("verdict") == "OK").alias("good")))
+        classes = rc.source_classes(
+            recorded.select(F.col("file").alias("rel"), "size", F.lower("sha256").alias("sha256")), card, "rel"
+        )
+        out = out.unionByName(
+            classes.select(F.lit("sources").alias("record"), "rel", "verdict", (F.col("verdict") == "OK").alias("good"))
+        )
     told = out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("good")).alias("bad"))
-    return Found(out.drop("good"), told.withColumns({"verdict": F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"), "exit_code": F.when(F.col("bad") == 0, 0).otherwise(1)}))
+    return Found(
+        out.drop("good"),
+        told.withColumns(
+            {
+                "verdict": F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"),
+                "exit_code": F.when(F.col("bad") == 0, 0).otherwise(1),
+            }
+        ),
+    )
 
 
 def diff(spark: SparkSession, a: str, b: str, strict: bool = False) -> Found:
@@ -93,18 +119,24 @@ def diff(spark: SparkSession, a: str, b: str, strict: bool = False) -> Found:
 
 def offload_plan(spark: SparkSession, source: str, dests: dict[str, str]) -> Found:
     """What to copy from a source to each destination; one that is the source, or holds it, or lies in it, is refused."""
-    paths = spark.createDataFrame([("", source.rstrip("/")), *[(d, p.rstrip("/")) for d, p in dests.items()]], "name string, path string")
+    paths = spark.createDataFrame(
+        [("", source.rstrip("/")), *[(d, p.rstrip("/")) for d, p in dests.items()]], "name string, path string"
+    )
     clash = rc.nested_paths(paths, "name", "path").collect()
     if clash:
         raise ValueError(f"folders lie in one another: {sorted((r.a or 'the source', r.b) for r in clash)}")
     files = hashed(frames.files(spark, source)).select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
     held = None
     for dest, folder in dests.items():
-        one = hashed(frames.files(spark, folder)).select("rel", F.lit(dest).alias("dest"), F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
+        one = hashed(frames.files(spark, folder)).select(
+            "rel", F.lit(dest).alias("dest"), F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256")
+        )
         held = one if held is None else held.unionByName(one)
     names = spark.createDataFrame([(d,) for d in dests], "dest string")
     rows = rc.fan_out(files, names, held, "rel", "dest")
-    return Found(rows, rows.agg(F.count_if(F.col("action") == "copy").alias("copy"), F.count_if(F.col("action") == "skip").alias("skip")))
+    return Found(
+        rows, rows.agg(F.count_if(F.col("action") == "copy").alias("copy"), F.count_if(F.col("action") == "skip").alias("skip"))
+    )
 
 
 def offload(spark: SparkSession, source: str, dests: dict[str, str], out: str, magic: str) -> Found:
@@ -125,7 +157,13 @@ def offload_record(spark: SparkSession, source: str, dest: str, path: str, magic
     mine = hashed(frames.files(spark, source)).select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
     there = hashed(frames.files(spark, dest)).select("rel", "d_size", "d_sha256")
     verdicts = rc.member_verdicts(mine, there, "rel")
-    rows = mine.join(verdicts, "rel").join(there.select("rel", "d_sha256"), "rel", "left").select(F.col("rel").alias("file"), "size", F.col("sha256").alias("source_sha256"), F.coalesce("d_sha256", F.lit("-")).alias("dest_sha256"), "verdict")
+    rows = mine.join(verdicts, "rel").join(there.select("rel", "d_sha256"), "rel", "left").select(
+        F.col("rel").alias("file"),
+        "size",
+        F.col("sha256").alias("source_sha256"),
+        F.coalesce("d_sha256", F.lit("-")).alias("dest_sha256"),
+        "verdict",
+    )
     records.write_offload(rows, path, magic, name)
     return Found(rows, _summary(rows, "OK"))
 
@@ -137,7 +175,9 @@ def repair(spark: SparkSession, manifest: str, source: str, workspace: str, dest
     if scope is not None:
         rc.repair_scope(recorded, "rel", scope)
     held = lambda root: hashed(frames.files(spark, root)).select("rel", "d_size", "d_sha256")
-    fresh = hashed(frames.files(spark, source)).select("rel", F.col("d_size").alias("f_size"), F.col("d_sha256").alias("f_sha256"))
+    fresh = hashed(frames.files(spark, source)).select(
+        "rel", F.col("d_size").alias("f_size"), F.col("d_sha256").alias("f_sha256")
+    )
     rows = rc.repair_rows(recorded, held(dest), held(workspace), fresh, "rel", scope)
     action = F.when(F.col("verdict") == "Clean", "none").when(F.col("in_scope"), "copy").otherwise("stays dirty")
     rows = rows.withColumn("action", action)
@@ -149,7 +189,9 @@ def restore(spark: SparkSession, offenders: DataFrame, master: str, key: str = "
     """Offenders (clip, key) against a master folder that must verify itself; ``nth`` keeps the n-th place of each clip."""
     listed = placed(offenders.select("clip", key).distinct(), F.col("clip").asc_nulls_first(), key)
     first = listed.groupBy("clip").agg(F.min("place").alias("first")).withColumnRenamed("clip", "of")
-    numbered = listed.join(first, F.col("clip").eqNullSafe(F.col("of"))).select(F.col("clip").alias("_c"), F.col(key).alias("_k"), (F.col("place") - F.col("first") + 1).alias("n"))
+    numbered = listed.join(first, F.col("clip").eqNullSafe(F.col("of"))).select(
+        F.col("clip").alias("_c"), F.col(key).alias("_k"), (F.col("place") - F.col("first") + 1).alias("n")
+    )
     rows = offenders.join(numbered, F.col("clip").eqNullSafe(F.col("_c")) & (F.col(key) == F.col("_k"))).drop("_c", "_k")
     rows = rows if nth is None else rows.filter(F.col("n") == nth)
     checked = verify_checksums(spark, master).rows.select(F.col("rel").alias(key), (F.col("verdict") == "ok").alias("fine"))
@@ -161,27 +203,47 @@ def ingest_gate(spark: SparkSession, root: str, declared: DataFrame | None = Non
     """The numbers of a folder's frames, clip by clip, against the counts that were declared."""
     found = frames.encoded(frames.files(spark, root)).withColumn("num", keys.frame_number(F.col("stem")).cast("long"))
     rows = gates.sequence_gate(found.select("clip", "num"), "clip", "num")
-    rows = rows.withColumns({"declared": F.lit(None).cast("long"), "mismatch": F.lit(False)}) if declared is None else gates.declared_check(rows, declared, "clip")
+    rows = rows.withColumns(
+        {"declared": F.lit(None).cast("long"), "mismatch": F.lit(False)}
+    ) if declared is None else gates.declared_check(rows, declared, "clip")
     rows = rows.withColumn("verdict", F.when(F.col("mismatch"), "FAIL").otherwise(F.col("verdict")))
     return Found(rows, _summary(rows, "PASS"))
 
 
-def dry_run(spark: SparkSession, root: str, ratio: float, ms_a_frame: float, include: list[str] | None = None, skip: list[str] | None = None) -> Found:
+def dry_run(
+    spark: SparkSession,
+    root: str,
+    ratio: float,
+    ms_a_frame: float,
+    include: list[str] | None = None,
+    skip: list[str] | None = None,
+) -> Found:
     """Before a run: the chosen clips' frames and bytes, the sample to measure, and what the run is expected to take."""
     found = frames.encoded(frames.files(spark, root)).select("rel", "clip", "length")
     chosen = planning.apply_selection(found, planning.resolve_selection(found, "clip", include, skip), "clip")
     clips = chosen.groupBy("clip").agg(F.count(F.lit(1)).alias("frames"), F.sum("length").alias("bytes"))
-    rows = clips.withColumns({"projected": planning.project_total(F.col("bytes").cast("double"), F.lit(ratio)), "minutes": keys.eta_minutes(F.col("frames"), ms_a_frame)})
+    rows = clips.withColumns(
+        {
+            "projected": planning.project_total(F.col("bytes").cast("double"), F.lit(ratio)),
+            "minutes": keys.eta_minutes(F.col("frames"), ms_a_frame),
+        }
+    )
     picked = planning.sample(spark, chosen, "rel").select("place")
     mark = planning.fingerprint(picked, "place")
-    total = rows.agg(F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"), F.coalesce(F.sum("projected"), F.lit(0)).alias("projected"), F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"))
+    total = rows.agg(
+        F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"),
+        F.coalesce(F.sum("projected"), F.lit(0)).alias("projected"),
+        F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"),
+    )
     return Found(rows, total.join(mark.select("places", "sha256")))
 
 
 def run_plan(spark: SparkSession, root: str, out: str, profiles: DataFrame | None = None) -> Found:
     """A run's frames with what it will do to each: refuse by class, skip what a former run has done, or encode."""
     found = frames.encoded(frames.files(spark, root))
-    seen = found.select("rel", "clip", "stem", frames.facts("content").alias("facts"), hashing.sha256(F.col("content")).alias("src_sha"))
+    seen = found.select(
+        "rel", "clip", "stem", frames.facts("content").alias("facts"), hashing.sha256(F.col("content")).alias("src_sha")
+    )
     seen = seen.withColumn("class", frames.frame_class())
     outputs = hashed(frames.files(spark, out)).select("rel", F.col("d_sha256").alias("out_sha"))
     side, _ = records.read_resume(spark, out)
@@ -200,26 +262,39 @@ def bake_plan(spark: SparkSession, root: str, target: int, most: int) -> Found:
     found = frames.files(spark, root).select("clip", "rel", "length")
     parts = planning.next_fit(found, "clip", "rel", "length", target, most)
     rows = found.join(parts, ["clip", "rel"])
-    return Found(rows, rows.groupBy("clip").agg((F.max("part") + 1).alias("parts"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")))
+    return Found(
+        rows,
+        rows.groupBy("clip").agg(
+            (F.max("part") + 1).alias("parts"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+        ),
+    )
 
 
 def measure(spark: SparkSession, roots: list[str]) -> Found:
     """Sizes, depths and classes of the frames of several roots: counts of each root added, clips not made distinct again."""
     one = None
     for n, root in enumerate(roots):
-        seen = frames.encoded(frames.files(spark, root)).select(F.lit(n).alias("root"), "clip", frames.facts("content").alias("facts")).withColumn("class", frames.frame_class())
-        part = seen.groupBy("root", "facts.make", "facts.model", "facts.width", "facts.height", "facts.bits", "class").agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("clip").alias("clips"))
+        seen = frames.encoded(frames.files(spark, root)).select(
+            F.lit(n).alias("root"), "clip", frames.facts("content").alias("facts")
+        ).withColumn("class", frames.frame_class())
+        part = seen.groupBy("root", "facts.make", "facts.model", "facts.width", "facts.height", "facts.bits", "class").agg(
+            F.count(F.lit(1)).alias("frames"), F.countDistinct("clip").alias("clips")
+        )
         one = part if one is None else one.unionByName(part)
     if one is None:
         raise ValueError("no root is given")
-    merged = one.groupBy("make", "model", "width", "height", "bits", "class").agg(F.sum("frames").alias("frames"), F.sum("clips").alias("clips"))
+    merged = one.groupBy("make", "model", "width", "height", "bits", "class").agg(
+        F.sum("frames").alias("frames"), F.sum("clips").alias("clips")
+    )
     return Found(merged, merged.agg(F.sum("frames").alias("frames"), F.countDistinct("make", "model").alias("cameras")))
 
 
 def derive(rows: DataFrame, key: str, plane: str, bits: int) -> Found:
     """Planes of 12 bits at a lower depth, with a digest of each."""
     text = F.array_join(F.transform(plane, lambda v: v.cast("string")), ",")
-    out = rows.withColumn(plane, planes.derive_depth(F.col(plane), bits)).select(key, plane, F.sha2(text.cast("binary"), 256).alias("sha256"))
+    out = rows.withColumn(plane, planes.derive_depth(F.col(plane), bits)).select(
+        key, plane, F.sha2(text.cast("binary"), 256).alias("sha256")
+    )
     return Found(out, out.agg(F.count(F.lit(1)).alias("rows")))
 
 
