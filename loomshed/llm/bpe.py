@@ -96,7 +96,13 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, keep_ids: bool
                     ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                     out_sha.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())],
+                    [
+                        batch.column(0),
+                        pa.array(counts, pa.int64()),
+                        pa.array(kept, pa.list_(pa.int32())),
+                        pa.array(ids_sha, pa.string()),
+                        pa.array(out_sha, pa.string()),
+                    ],
                     names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
                 )
 

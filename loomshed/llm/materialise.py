@@ -131,7 +131,9 @@ def tokenised(docs: DataFrame, tokenise: Callable[[], Callable[[str], bytes]], l
                     r += 1
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 6
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pid", "r", "doc_id", "tie", "n", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pid", "r", "doc_id", "tie", "n", "ids"]
+                )
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(text) tie")
     return rows.mapInArrow(run, STAGED)
@@ -151,7 +153,10 @@ def places(headers: DataFrame) -> tuple[DataFrame, int]:
         for b in batches:
             n = b.column(2).to_numpy()
             ends = np.cumsum(n) + total
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends - n), b.column(2), pa.array(np.full(len(n), part), pa.int32())], names=["pid", "r", "local", "n", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(ends - n), b.column(2), pa.array(np.full(len(n), part), pa.int32())],
+                names=["pid", "r", "local", "n", "part"],
+            )
             total = int(ends[-1]) if len(ends) else total
 
     order = [F.col("doc_id").asc_nulls_first(), "tie", "pid", "r"]
@@ -160,7 +165,9 @@ def places(headers: DataFrame) -> tuple[DataFrame, int]:
     sums = local.groupBy("part").agg(F.sum("n").alias("n"))
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     ahead = F.sum("n").over(Window.orderBy("part")) - F.col("n")
-    rows = local.join(F.broadcast(sums.select("part", ahead.alias("ahead"))), "part").select("pid", "r", (F.col("ahead") + F.col("local")).alias("place"))
+    rows = local.join(F.broadcast(sums.select("part", ahead.alias("ahead"))), "part").select(
+        "pid", "r", (F.col("ahead") + F.col("local")).alias("place")
+    )
     rows._scratch_path = local._scratch_path
     return rows, total
 
@@ -200,7 +207,9 @@ def packed(rows: DataFrame, n: int, layout: Layout) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             shards = sorted(held)
-            out = pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([_pack(held[s]) for s in shards], pa.binary())], names=["shard", "block"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), pa.array([_pack(held[s]) for s in shards], pa.binary())], names=["shard", "block"]
+            )
             held.clear()
             return out
 
@@ -218,7 +227,14 @@ def packed(rows: DataFrame, n: int, layout: Layout) -> DataFrame:
             slot = permute(seq, n, layout)
             shard = slot // layout.shard
             at = slot % layout.shard * length + start - seq * length
-            for o, k, a, b, e in zip(owner.tolist(), shard.tolist(), at.tolist(), (2 * (start - first[owner])).tolist(), (2 * (stop - first[owner])).tolist(), strict=True):
+            for o, k, a, b, e in zip(
+                owner.tolist(),
+                shard.tolist(),
+                at.tolist(),
+                (2 * (start - first[owner])).tolist(),
+                (2 * (stop - first[owner])).tolist(),
+                strict=True,
+            ):
                 held[k].append((a, ids[o][b:e]))
                 size += e - b
                 if size >= GATHERED:
@@ -246,7 +262,13 @@ def _records(blocks: DataFrame, total: int, layout: Layout) -> DataFrame:
             if filled != want:
                 raise ValueError(f"shard {now} has {filled} ids of {want}")
             data, width = ids.tobytes(), 2 * layout.length
-            return pa.RecordBatch.from_arrays([pa.array([now] * rows, pa.int64()), pa.array([data[a * width : (a + 1) * width] for a in range(rows)], pa.binary())], names=["shard", "value"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([now] * rows, pa.int64()),
+                    pa.array([data[a * width : (a + 1) * width] for a in range(rows)], pa.binary()),
+                ],
+                names=["shard", "value"],
+            )
 
         for batch in batches:
             for k, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -269,7 +291,9 @@ def write_shards(docs: DataFrame, path: str, tokenise: Callable[[], Callable[[st
     stage, name = scratch(spark, "token-ids"), f"loomshed_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     staged = tokenised(docs, tokenise, layout).write.bucketBy(buckets, "pid").format("parquet").option("path", stage)
-    staged.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("parquet.page.size", str(8 << 20)).saveAsTable(name)
+    staged.option("compression", "zstd").option(
+        "parquet.compression.codec.zstd.level", "9"
+    ).option("parquet.page.size", str(8 << 20)).saveAsTable(name)
     try:
         ids = spark.table(name)
         placed, total = places(ids.select("pid", "r", "doc_id", "tie", "n"))
@@ -280,8 +304,12 @@ def write_shards(docs: DataFrame, path: str, tokenise: Callable[[], Callable[[st
             # Staged rows stay in their buckets; only the places are shuffled to them.
             with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"), shuffles_dropped(spark):
                 rows = ids.select("pid", "r", "ids").join(placed.hint("shuffle_hash"), ["pid", "r"])
-                blocks = packed(rows, n, layout).repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("shard")
-                _records(blocks, total, layout).select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+                blocks = packed(rows, n, layout).repartitionById(
+                    parts, F.expr(f"cast(shard * {parts} div {shards} as int)")
+                ).sortWithinPartitions("shard")
+                _records(blocks, total, layout).select(
+                    "shard", F.col("value").cast("string").alias("value")
+                ).write.partitionBy("shard").option("lineSep", "\n").text(path)
         free(placed)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -301,10 +329,18 @@ def read_shards(spark: SparkSession, path: str, layout: Layout = Layout(), start
                     raise ValueError(f"shard {k} is cut short")
                 first = max(0, start - k * shard)
                 at = range(first * stride, len(data), stride)
-                yield pa.RecordBatch.from_arrays([pa.array(range(k * shard + first, k * shard + len(data) // stride), pa.int64()), pa.array([data[a : a + width] for a in at], pa.binary())], names=["slot", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(k * shard + first, k * shard + len(data) // stride), pa.int64()),
+                        pa.array([data[a : a + width] for a in at], pa.binary()),
+                    ],
+                    names=["slot", "ids"],
+                )
 
     files = spark.read.format("binaryFile").load(path)
-    return files.filter(F.col("shard") >= start // shard).select(F.col("shard").cast("long"), "content").mapInArrow(run, "slot long, ids binary")
+    return files.filter(F.col("shard") >= start // shard).select(F.col("shard").cast("long"), "content").mapInArrow(
+        run, "slot long, ids binary"
+    )
 
 
 def byte_pair_tokeniser(ranks: bytes, pattern: str) -> Callable[[], Callable[[str], bytes]]:

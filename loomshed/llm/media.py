@@ -151,7 +151,9 @@ def bloom_of(digests: DataFrame, count: int, most_bits: int) -> Bloom:
     while bits < min(most_bits, 16 * max(count, 1)):
         bits *= 2
     at = [F.conv(F.hex(F.substring("digest", 4 * i + 1, 4)), 16, 10).cast("long") % bits for i in range(Bloom.PROBES)]
-    rows = digests.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("m"))
+    rows = digests.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("m")
+    )
     words = np.zeros(max(bits // 64, 1), np.int64)
     for batch in rows.toArrow().to_batches():
         words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
@@ -176,7 +178,9 @@ def shared_digests(docs: DataFrame, spec: Chunking) -> DataFrame:
                 for c in chunks(picture, spec):
                     d = hashlib.sha256(c).digest()
                     seen[d] = seen.get(d, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["digest", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["digest", "n"]
+            )
 
     return _texts(docs).mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1")
 
@@ -221,11 +225,23 @@ def write_store(docs: DataFrame, spec: Chunking = Chunking()) -> Store:
                     inline.append([None if a else c for c, a in zip(cs, away, strict=True)])
                     carried.append([{"digest": d, "data": c} for d, c in new.items()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(shas, pa.string()), pa.array(digests, pa.list_(pa.binary())), pa.array(inline, pa.list_(pa.binary())), pa.array(carried, _CARRIED)],
+                    [
+                        part.column(0),
+                        pa.array(shas, pa.string()),
+                        pa.array(digests, pa.list_(pa.binary())),
+                        pa.array(inline, pa.list_(pa.binary())),
+                        pa.array(carried, _CARRIED),
+                    ],
                     names=["doc_id", "media_sha256", "digests", "inline", "carried"],
                 )
 
-    kept = stored(_texts(docs).mapInArrow(recipes, "doc_id long, media_sha256 string, digests array<binary>, inline array<binary>, carried array<struct<digest:binary,data:binary>>"), "recipes")
+    kept = stored(
+        _texts(docs).mapInArrow(
+            recipes,
+            "doc_id long, media_sha256 string, digests array<binary>, inline array<binary>, carried array<struct<digest:binary,data:binary>>",
+        ),
+        "recipes",
+    )
     carried_ = kept.select(F.explode("carried").alias("c")).select("c.digest", "c.data")
     table = stored(carried_.groupBy("digest").agg(F.first("data").alias("data")), "chunks")
     kept, carried_path = kept.drop("carried"), kept._scratch_path
@@ -278,9 +294,20 @@ DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 strin
 def rebuild(store: Store, then=describe, schema: str = DESCRIBED) -> DataFrame:
     """Rebuild every picture from its ordered chunk list and apply ``then``."""
     rows = store.recipes.withColumn("shared", F.exists("inline", lambda c: c.isNull()))
-    whole = rows.filter(~F.col("shared")).select("doc_id", "media_sha256", "inline", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("parts"))
+    whole = rows.filter(~F.col("shared")).select(
+        "doc_id", "media_sha256", "inline", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("parts")
+    )
     part = rows.filter("shared").withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), "media_sha256"))
-    lists = part.select("key", F.filter(F.transform("digests", lambda d, i: F.struct(i.alias("seq"), d.alias("digest"), F.element_at("inline", i + 1).isNull().alias("away"))), lambda s: s["away"]).alias("away")).dropDuplicates(["key"])
+    lists = part.select(
+        "key",
+        F.filter(
+            F.transform(
+                "digests",
+                lambda d, i: F.struct(i.alias("seq"), d.alias("digest"), F.element_at("inline", i + 1).isNull().alias("away")),
+            ),
+            lambda s: s["away"],
+        ).alias("away"),
+    ).dropDuplicates(["key"])
     refs = lists.select("key", F.explode("away").alias("r")).select("key", "r.seq", "r.digest")
     heavy = F.broadcast(store.shared.join(F.broadcast(store.heavy), "digest"))  # at most spec.heavy chunks of spec.most bytes
     light = refs.join(F.broadcast(store.heavy), "digest", "left_anti").join(store.shared, "digest")

@@ -58,15 +58,36 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     everything = Window.orderBy(F.col("source").asc_nulls_last())
     fill = Window.orderBy("full", "idx")
     rows = sizes.withColumn("idx", F.row_number().over(everything) - 1)
-    rows = rows.withColumns({"weight": _cycled(mix.weights, F.col("idx")), "slope": _cycled(mix.slopes, F.col("idx")), "cap": mix.most * F.col("source_size")})
+    rows = rows.withColumns(
+        {
+            "weight": _cycled(mix.weights, F.col("idx")),
+            "slope": _cycled(mix.slopes, F.col("idx")),
+            "cap": mix.most * F.col("source_size"),
+        }
+    )
     rows = rows.withColumn("full", F.col("cap") / F.col("weight"))
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     after = fill.rowsBetween(0, Window.unboundedFollowing)
     whole = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("level", (mix.epochs * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    rows = rows.withColumn(
+        "level",
+        (
+            mix.epochs * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+        ) / F.sum("weight").over(after),
+    )
     # The first source, in order of filling, that the level does not fill sets the level for all.
-    rows = rows.withColumn("lambda", F.min(F.when(F.col("level") <= F.col("full"), F.struct(F.col("full"), F.col("idx"), F.col("level")))).over(whole)["level"])
-    return rows.select(*[c for c in sizes.columns if c == "skey"], "source", "source_size", "weight", "slope", F.least(F.col("cap"), F.coalesce(F.col("lambda") * F.col("weight"), F.col("cap"))).alias("target"))
+    rows = rows.withColumn(
+        "lambda",
+        F.min(F.when(F.col("level") <= F.col("full"), F.struct(F.col("full"), F.col("idx"), F.col("level")))).over(whole)["level"],
+    )
+    return rows.select(
+        *[c for c in sizes.columns if c == "skey"],
+        "source",
+        "source_size",
+        "weight",
+        "slope",
+        F.least(F.col("cap"), F.coalesce(F.col("lambda") * F.col("weight"), F.col("cap"))).alias("target"),
+    )
 
 
 def position(start: Column, target: Column, slope: Column) -> Column:
@@ -97,15 +118,21 @@ def plan(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -> Data
     ).withColumn("range", F.substring("h", 1, digits))
     if not carry:
         rows = stored(rows, "mix-sizes")
-    sums = stored(rows.groupBy("skey", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-ranges")
+    sums = stored(
+        rows.groupBy("skey", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-ranges"
+    )
     told = targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), mix)
-    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.coalesce(
+        F.sum("words").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
     offsets = sums.select("skey", "range", ahead.alias("ahead")).join(told.drop("source"), "skey")
     inside = Window.partitionBy("skey", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "range"])
     start = F.col("ahead") + F.col("local")
     passes = F.array(*[F.lit(p) for p in range(math.ceil(mix.most))])
-    starts = F.filter(F.transform(passes, lambda p: start + p * F.col("source_size")), lambda c: (c < F.col("target")) & (F.col("size") > 0))
+    starts = F.filter(
+        F.transform(passes, lambda p: start + p * F.col("source_size")), lambda c: (c < F.col("target")) & (F.col("size") > 0)
+    )
     return rows.withColumn("starts", starts).select(
         "doc_id",
         "source",

@@ -162,7 +162,9 @@ def _digest(items) -> tuple[int, int]:
     """128 bits of a whole set, in any order."""
     import numpy as np
 
-    return int(_mix(items).sum(dtype=np.uint64).view(np.int64)), int(_mix(items ^ np.uint64(_GOLD)).sum(dtype=np.uint64).view(np.int64))
+    return int(_mix(items).sum(dtype=np.uint64).view(np.int64)), int(
+        _mix(items ^ np.uint64(_GOLD)).sum(dtype=np.uint64).view(np.int64)
+    )
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -195,7 +197,11 @@ def sign(docs: DataFrame, spec: NearDup) -> DataFrame:
                     bits = pack(minima, spec.bits)
                     keys = np.zeros((len(full), spec.bands), np.uint64)
                     for j in range(rows_per):
-                        keys = _mix(keys * np.uint64(_GOLD) + minima[:, j::rows_per].astype(np.uint64) + np.arange(spec.bands, dtype=np.uint64) * np.uint64(_M2))
+                        keys = _mix(
+                            keys * np.uint64(_GOLD) + minima[:, j::rows_per].astype(np.uint64) + np.arange(
+                                spec.bands, dtype=np.uint64
+                            ) * np.uint64(_M2)
+                        )
                     keys = keys.view(np.int64)
                     for r, i in enumerate(full):
                         bands[i], sig[i] = keys[r], bits[r].tobytes()
@@ -229,7 +235,13 @@ def _set_table(docs: DataFrame, wanted: DataFrame, spec: NearDup) -> DataFrame:
                 sets = [shingle_set(t, spec.words) for t in texts[at : at + 200]]
                 d1, d2 = zip(*map(_digest, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at : at + 200], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], names=["low", "d1", "d2", "items"]
+                    [
+                        pa.array(ids[at : at + 200], pa.int64()),
+                        pa.array(d1, pa.int64()),
+                        pa.array(d2, pa.int64()),
+                        pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64())),
+                    ],
+                    names=["low", "d1", "d2", "items"],
                 )
 
     ids = wanted.select(F.col("low").alias("doc_id")).distinct()
@@ -252,7 +264,9 @@ def _with_estimate(pairs: DataFrame, spec: NearDup) -> DataFrame:
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)
             y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
             est = estimate(x, y, spec)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], names=["a", "b", "est"]).filter(pa.array(est >= least))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(est)], names=["a", "b", "est"]
+            ).filter(pa.array(est >= least))
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
 
@@ -267,7 +281,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, spec: NearDup) -> DataFrame:
     a = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
     b = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
+    rows = pairs.select("a", "b").join(a, "a").join(b, "b").select(
+        "a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")
+    )
     return rows.filter(100 * F.col("both") >= spec.percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
@@ -278,7 +294,12 @@ def roots(parents: DataFrame) -> DataFrame:
     """
     while True:
         up = parents.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        parents = stored(parents.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")), "roots")
+        parents = stored(
+            parents.join(up, "comp", "left").select(
+                "node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")
+            ),
+            "roots",
+        )
         if not parents.filter("moved").limit(1).count():
             return parents.select("node", "comp")
 
@@ -293,7 +314,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
     found = None
     while True:
-        hooks = stored(now.groupBy("u").agg(F.min("v").alias("comp"), F.count(F.lit(1)).alias("c")).withColumnRenamed("u", "node"), "hooks")
+        hooks = stored(
+            now.groupBy("u").agg(F.min("v").alias("comp"), F.count(F.lit(1)).alias("c")).withColumnRenamed("u", "node"), "hooks"
+        )
         told = hooks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("c"), F.lit(0)).alias("c")).first()
         if not told["n"]:
             return found if found is not None else hooks.select("node", "comp")
@@ -307,13 +330,17 @@ def components(edges: DataFrame) -> DataFrame:
             return found
         a = flat.select(F.col("node").alias("u"), F.col("comp").alias("ru"))
         b = flat.select(F.col("node").alias("v"), F.col("comp").alias("rv"))
-        lifted = now.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("x"), F.coalesce("rv", "v").alias("y")).filter("x <> y")
+        lifted = now.join(a, "u", "left").join(b, "v", "left").select(
+            F.coalesce("ru", "u").alias("x"), F.coalesce("rv", "v").alias("y")
+        ).filter("x <> y")
         now = stored(lifted.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "links")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Adds ``comp``, the component of ``rep``."""
-    return rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    return rows.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn(
+        "comp", F.coalesce("comp", "rep")
+    )
 
 
 def _blocks(labelled: DataFrame, key: str, spec: NearDup) -> DataFrame:
@@ -324,14 +351,24 @@ def _blocks(labelled: DataFrame, key: str, spec: NearDup) -> DataFrame:
     members, so each asker meets each member once.
     """
     sizes = labelled.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    keys = sizes.groupBy(key).agg(F.max(F.struct("c", "s", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    keys = sizes.groupBy(key).agg(
+        F.max(F.struct("c", "s", "comp")).alias("main"),
+        F.sum("c").alias("c"),
+        F.sum("s").alias("s"),
+        F.count(F.lit(1)).alias("k"),
+    ).filter("k > 1")
 
     def number(count: Column, items: Column) -> Column:
         size = F.greatest(F.lit(spec.least_block), F.least(F.lit(spec.block), F.ceil(count / spec.parts)))
         return F.greatest(F.ceil(count / size), F.ceil(items / spec.items), F.lit(1)).cast("int")
 
     main = F.col("main")
-    dealt = keys.select(key, main["comp"].alias("main"), number(F.col("c"), F.col("s")).alias("ni"), number(F.col("c") - main["c"], F.col("s") - main["s"]).alias("nj"))
+    dealt = keys.select(
+        key,
+        main["comp"].alias("main"),
+        number(F.col("c"), F.col("s")).alias("ni"),
+        number(F.col("c") - main["c"], F.col("s") - main["s"]).alias("nj"),
+    )
     rows = labelled.join(stored(dealt, "dealt"), key)
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -397,7 +434,9 @@ def _maybe(blocks: DataFrame, key: str, spec: NearDup) -> DataFrame:
             out += [(int(rep[q]), int(rep[t])) for t in at.tolist() if forest.join(int(node[q]), int(node[t]))]
         return _pairs_table(out)
 
-    return blocks.select(key, "i", "j", "ask", "rep", "comp", "n", "sig").groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
+    return blocks.select(
+        key, "i", "j", "ask", "rep", "comp", "n", "sig"
+    ).groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _links(blocks: DataFrame, key: str, spec: NearDup) -> DataFrame:
@@ -424,7 +463,9 @@ def _links(blocks: DataFrame, key: str, spec: NearDup) -> DataFrame:
                     out.append((int(rep[q]), int(rep[t])))
         return _pairs_table(out)
 
-    return blocks.select(key, "i", "j", "ask", "rep", "comp", "n", "sig", "items").groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
+    return blocks.select(
+        key, "i", "j", "ask", "rep", "comp", "n", "sig", "items"
+    ).groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -436,7 +477,9 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     )
     up = top.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
     # Nodes below a root that moved follow it; roots and single nodes enter with their own move.
-    return stored(comps.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")).unionByName(top), "components")
+    return stored(
+        comps.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")).unionByName(top), "components"
+    )
 
 
 def grouped(docs: DataFrame, spec: NearDup = NearDup()) -> tuple[DataFrame, DataFrame]:
@@ -456,7 +499,9 @@ def grouped(docs: DataFrame, spec: NearDup = NearDup()) -> tuple[DataFrame, Data
     named = classes.select("rep", F.col("first.doc_id").alias("low"), "d1", "d2")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     # Stored on its own, so that a hot band's rows are split in the join.
-    buckets = stored(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands")
+    buckets = stored(
+        banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands"
+    )
     cand = stored(banded.join(buckets, "key").select("key", "rep", "pivot", "c"), "candidates")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -478,7 +523,9 @@ def grouped(docs: DataFrame, spec: NearDup = NearDup()) -> tuple[DataFrame, Data
     clusters = stored(components(maybe.unionByName(near.select("a", "b")).distinct()).toDF("rep", "cluster"), "clusters")
     every = clusters.unionByName(clusters.select("cluster").distinct().select(F.col("cluster").alias("rep"), "cluster"))
     within = stored(_labelled(every, comps).join(reps, "rep"), "clustered")
-    mixed = within.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cluster")
+    mixed = within.groupBy("cluster").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    ).filter("lo <> hi").select("cluster")
     within = stored(within.join(mixed, "cluster", "left_semi"), "mixed")
     sets = sets_of(within)
     links = stored(_links(_blocks(within, "cluster", spec).join(sets, "rep"), "cluster", spec), "hidden-links")
@@ -498,7 +545,12 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     named = stored(classes.join(least, "comp").select("n", "d1", "d2", "component"), "named")
     out = signed.join(named, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    )
 
 
 def deduplicate(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:

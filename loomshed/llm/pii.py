@@ -157,7 +157,15 @@ def shape(token: str, beside: bool = False) -> list[float]:
         [1.0]
         + [float(min(rest.count(m), 3)) for m in _SIGNS]
         + [float(low < n <= high) for low, high in ((-1, 0), (0, 4), (4, 6), (6, 8), (8, 11), (11, 13), (13, 15), (15, 19), (19, 10**9))]
-        + [letters / len(token), float(letters > 0 and n > 0), float(len(groups) == 1), float(len(groups) == 1 and digits.startswith("00")), float(sums), float(four), float(four and not letters)]
+        + [
+            letters / len(token),
+            float(letters > 0 and n > 0),
+            float(len(groups) == 1),
+            float(len(groups) == 1 and digits.startswith("00")),
+            float(sums),
+            float(four),
+            float(four and not letters),
+        ]
         + [float(at), float(bool(marks) and not at), float(beside), float(bool(marks) and marks[0] == token.strip(",.;"))]
     )
 
@@ -166,7 +174,9 @@ def nodes(text: str, base: list[Span], least_digits: int = 6) -> tuple[list[tupl
     """Nodes as (ordinal, start, end), their base labels (0: no evidence), and whether each stands beside a mark."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     alone = [bool(_MARK.fullmatch(text[a:b].strip(",.;"))) for a, b in tokens]
-    beside = [(i > 0 and alone[i - 1]) or (i + 1 < len(alone) and alone[i + 1]) for i in range(len(alone))] if any(alone) else None
+    beside = [
+        (i > 0 and alone[i - 1]) or (i + 1 < len(alone) and alone[i + 1]) for i in range(len(alone))
+    ] if any(alone) else None
     known = {k for kind, a, b in base for k in _span_keys(kind, text[a:b], least_digits)}
     spans = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
     found, labels, marked, j = [], [], [], 0
@@ -205,7 +215,9 @@ def _span_keys(kind: str, span: str, least_digits: int) -> list[str]:
     return ["d" + t for t in sorted(tails) if len(t) >= least_digits]
 
 
-def skip_edges(text: str, tokens: list[tuple[int, int, int]], least_digits: int, labels: list[int], base: list[Span] = ()) -> list[tuple[int, int]]:
+def skip_edges(
+    text: str, tokens: list[tuple[int, int, int]], least_digits: int, labels: list[int], base: list[Span] = ()
+) -> list[tuple[int, int]]:
     """Each token tied to the one before it that has a key in common, and to the first base-labelled one of each label.
 
     At most four keys a token, so the edges grow with the tokens. The second kind hands the evidence
@@ -313,7 +325,9 @@ def disguise(kind: str, span: str, r: random.Random) -> str:
     """A span written in a way that the patterns miss."""
     if kind == "email":
         local, host = span.split("@")
-        at, dot = r.choice((("[at]", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")))
+        at, dot = r.choice(
+            (("[at]", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "))
+        )
         return local + at + host.replace(".", dot)
     digits = _only_digits(span)
     if kind == "ip":
@@ -322,7 +336,14 @@ def disguise(kind: str, span: str, r: random.Random) -> str:
         sep = r.choice(("/", ".", "_", ":"))
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     rest = digits[-10:]
-    return r.choice((f"({rest[:3]}) {rest[3:6]}-{rest[6:]}", f"{rest[:3]}.{rest[3:6]}.{rest[6:]}", f"{rest[:3]}-{rest[3:6]}-{rest[6:]}", f"00{digits}"))
+    return r.choice(
+        (
+            f"({rest[:3]}) {rest[3:6]}-{rest[6:]}",
+            f"{rest[:3]}.{rest[3:6]}.{rest[6:]}",
+            f"{rest[:3]}-{rest[3:6]}-{rest[6:]}",
+            f"00{digits}",
+        )
+    )
 
 
 def _fake(r: random.Random) -> str:
@@ -408,7 +429,17 @@ def _examples(text: str, field: Field, r: random.Random | None = None) -> list[d
         right = truth[i + 1] if i + 1 < len(tokens) and tokens[i + 1][0] == n + 1 else -1
         key = int.from_bytes(hashlib.blake2b(f"{a}:{text[max(0, a - 20) : b + 20]}".encode(), digest_size=8).digest(), "big") >> 1
         counts = [tied[i].count(y) for y in range(N_LABELS)]
-        rows.append({"key": key, "y": truth[i], "before": left, "after": right, "tied": counts, "f": shape(text[a:b], marked[i]), "based": False})
+        rows.append(
+            {
+                "key": key,
+                "y": truth[i],
+                "before": left,
+                "after": right,
+                "tied": counts,
+                "f": shape(text[a:b], marked[i]),
+                "based": False,
+            }
+        )
     if rows and base:
         rows[0]["based"] = True  # one row of each text with a base span
     return rows
@@ -416,7 +447,15 @@ def _examples(text: str, field: Field, r: random.Random | None = None) -> list[d
 
 def learning_rows(docs: DataFrame, field: Field, altered: bool = False) -> DataFrame:
     """(key, y, before, after, tied, f, based) of every node of (doc_id, text), or of the altered nodes of altered copies of every text."""
-    kinds = (("key", pa.int64()), ("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("tied", pa.list_(pa.int32())), ("f", pa.list_(pa.float32())), ("based", pa.bool_()))
+    kinds = (
+        ("key", pa.int64()),
+        ("y", pa.int32()),
+        ("before", pa.int32()),
+        ("after", pa.int32()),
+        ("tied", pa.list_(pa.int32())),
+        ("f", pa.list_(pa.float32())),
+        ("based", pa.bool_()),
+    )
 
     def run(batches):
         for batch in batches:
@@ -573,7 +612,10 @@ def find_documents(docs: DataFrame, weights: Weights, field: Field = Field()) ->
     def run(batches):
         for b in batches:
             found = [find_spans(t or "", weights, field) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_rows(f[0]) for f in found], _ARROW), pa.array([_rows(f[1]) for f in found], _ARROW)], names=["doc_id", "base", "added"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([_rows(f[0]) for f in found], _ARROW), pa.array([_rows(f[1]) for f in found], _ARROW)],
+                names=["doc_id", "base", "added"],
+            )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
@@ -601,7 +643,11 @@ def redact_documents(docs: DataFrame, weights: Weights, field: Field = Field())
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = b.column(at).to_pylist()
-            texts = [redact(t, [s for part in find_spans(t, weights, field) for s in part]) if t and _NODE.search(t) else t for t in texts]
+            texts = [
+                redact(
+                    t, [s for part in find_spans(t, weights, field) for s in part]
+                ) if t and _NODE.search(t) else t for t in texts
+            ]
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b
 

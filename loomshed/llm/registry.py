@@ -25,7 +25,13 @@ def op1_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
     """Host reputation under five rules. Outcomes: whether a page's own source names an unwanted trade."""
     from loomshed.llm.url_reputation import Rule, judge_pages, named_in
 
-    rules = [Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"), Rule("block", "net/es/"), Rule("block", "net/fr/")]
+    rules = [
+        Rule("allow", "com/"),
+        Rule("block", "example.com/en/"),
+        Rule("allow", "www.example.com/en/"),
+        Rule("block", "net/es/"),
+        Rule("block", "net/fr/"),
+    ]
     pages = table(spark, sf, "pages")
     return judge_pages(pages, pages.select("page_id", named_in(F.col("html"), list(UNWANTED)).alias("good")), rules)
 
@@ -151,7 +157,9 @@ def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
     # Only a sequence that ends with padding is searched for its beginning.
     padded = F.substring("ids", -2, 2) == F.lit(b"\xff\xff")
     pad = F.when(padded, F.length(F.regexp_extract(F.hex("ids"), "(FFFF)*$", 0)) / 4).otherwise(0)
-    return ids.select("slot", (F.octet_length("ids") / 2 - pad).cast("int").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
+    return ids.select(
+        "slot", (F.octet_length("ids") / 2 - pad).cast("int").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256")
+    )
 
 
 def op7_curriculum(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +168,9 @@ def op7_curriculum(spark: SparkSession, sf: str) -> DataFrame:
 
     p = plan(table(spark, sf, "documents").select("doc_id", "source", "text"))
     first = F.try_element_at("positions", F.lit(1))
-    return p.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).repartitionByRange("position", F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id")
+    return p.select(
+        "doc_id", "size", "source_size", "target", "taken", first.alias("position")
+    ).repartitionByRange("position", F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
 OP7_SQL = r"""
@@ -222,7 +232,15 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", "toxic").filter(~held)
     model = train(docs, labels)
     scored = score_documents(docs, model)
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_near", "n_quoted")
+    return scored.select(
+        "doc_id",
+        F.coalesce(held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_hits",
+        "n_near",
+        "n_quoted",
+    )
 
 
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,14 +249,26 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents")
     found = find_documents(docs, train(docs))
-    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    text = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     merged = F.transform(
-        F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s
+        F.array_sort(
+            F.transform(
+                F.concat("base", "added"),
+                lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
+            )
+        ),
+        lambda s: s,
     )
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(merged).alias("spans"), F.size("added").alias("n_added")
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        text(merged).alias("spans"),
+        F.size("added").alias("n_added"),
     )
 
 

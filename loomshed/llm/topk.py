@@ -53,10 +53,17 @@ _NEAR_TOP = math.nextafter(2.0**63, 0.0)
 def quantised(vectors: DataFrame, ask: Column) -> DataFrame:
     """(vec_id, ask, dim, v): the whole-number vectors that take part, and whether they ask."""
     x = F.col("embedding")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(
+        x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
+    )
     whole = F.transform(x, lambda e: F.floor(F.lit(256.0) * e.cast("double")))
     rows = vectors.filter(F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(ask, F.lit(False)).alias("ask"), F.size(x).alias("dim"), whole.alias("v"))
+    return rows.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.coalesce(ask, F.lit(False)).alias("ask"),
+        F.size(x).alias("dim"),
+        whole.alias("v"),
+    )
 
 
 def suffix_norms(cols, step: int):
@@ -170,7 +177,9 @@ def _by_length(table, rows: int):
         part = table.filter(pa.array(dims == dim))
         for at in range(0, part.num_rows, rows):
             block = part.slice(at, rows)
-            yield int(dim), block.column("row").to_numpy(), block.column("vec_id").to_numpy(), _matrix(block.column("v"), int(dim))
+            yield int(dim), block.column("row").to_numpy(), block.column("vec_id").to_numpy(), _matrix(
+                block.column("v"), int(dim)
+            )
 
 
 _OUT = "query_row long, query_id long, vec_id long, score long"
@@ -197,7 +206,9 @@ def _search(vecs: DataFrame, queries: pa.Table, spec: Search) -> DataFrame:
                     hold_against(chunk, rows, ids, whole, best, spec)
         told = [(row, query, vec, score) for (row, query), found in best.held.items() for score, vec in found]
         cols = list(zip(*told, strict=True)) if told else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"]
+        )
 
     return vecs.select("row", "vec_id", "dim", "v").mapInArrow(run, _OUT)
 

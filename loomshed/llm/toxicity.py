@@ -41,7 +41,9 @@ _TOKEN = re.compile(r"[^\W_]+")
 # Pairs of marks that quote (apostrophes stand in words too, so they are none),
 # words that report speech, words of address.
 QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|‹[^›\n]*›|`[^`\n]*`')
-REPORTING = frozenset("said says wrote quoted reported called claims dit disait écrit dijo dice escribió sagte schrieb zitat citation cita quote".split())
+REPORTING = frozenset(
+    "said says wrote quoted reported called claims dit disait écrit dijo dice escribió sagte schrieb zitat citation cita quote".split()
+)
 ADDRESS = frozenset("you your u ur du dein dir ihr tu ton vous toi tú usted vosotros".split())
 
 
@@ -145,7 +147,11 @@ class Automaton:
             self.states.append(state)
             self.moves.append({})
             exact = next((self.word[n] for n, e in sorted(state) if e == 0 and self.word[n]), None)
-            near, near_stem = (next((end[n] for n, e in sorted(state) if e == 1 and end[n] and len(end[n]) >= self.lexicon.fuzzy_from), None) for end in (self.word, self.stem))
+            near, near_stem = (
+                next(
+                    (end[n] for n, e in sorted(state) if e == 1 and end[n] and len(end[n]) >= self.lexicon.fuzzy_from), None
+                ) for end in (self.word, self.stem)
+            )
             self.ends.append((exact, True) if exact else (near, False) if near else None)
             self.stems_at.append(next((self.stem[n] for n, e in sorted(state) if e == 0 and self.stem[n]), None))
             self.near_stems_at.append(near_stem)
@@ -281,10 +287,17 @@ def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon
     low, high = fit.stems
     # What is quoted speaks neither for a term nor against it.
     own = F.regexp_replace(F.lower("text"), QUOTED.pattern, " ")
-    words = sample.select("y", "copies", F.explode(F.array_distinct(F.regexp_extract_all(own, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= low)
+    words = sample.select(
+        "y", "copies", F.explode(F.array_distinct(F.regexp_extract_all(own, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")
+    ).filter(F.length("w") >= low)
     whole_word = F.array(F.struct(F.lit(0).alias("stem"), F.col("w").alias("t")))
-    prefixes = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(F.when(F.length("w") >= n, 1).otherwise(-1).alias("stem"), F.substring("w", F.lit(1), n).alias("t")))
-    entries = words.select("y", "copies", F.explode(F.concat(whole_word, prefixes)).alias("e")).select("y", "copies", "e.*").filter("stem >= 0").distinct()
+    prefixes = F.transform(
+        F.sequence(F.lit(low), F.lit(high)),
+        lambda n: F.struct(F.when(F.length("w") >= n, 1).otherwise(-1).alias("stem"), F.substring("w", F.lit(1), n).alias("t")),
+    )
+    entries = words.select(
+        "y", "copies", F.explode(F.concat(whole_word, prefixes)).alias("e")
+    ).select("y", "copies", "e.*").filter("stem >= 0").distinct()
     counts = entries.groupBy("stem", "t").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     odds = ((F.col("pos") + 0.0) / max(positives, 1)) / ((F.col("neg") + 0.5) / max(negatives, 1))
     found = (
@@ -327,10 +340,14 @@ def _with_copies(rows: DataFrame) -> DataFrame:
             keys = []
             for t in b.column(1).to_pylist():
                 w = t.split()
-                keys.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0))
+                keys.append(
+                    min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0)
+                )
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "y", "copies"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(run, "doc_id long, text string, y int, copies long")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(
+        run, "doc_id long, text string, y int, copies long"
+    )
 
 
 def _near_clean(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
@@ -375,9 +392,13 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     by at most ``fit.sample`` broadcast ids, and never shuffled. Null ids and
     labels count not; an id labelled twice takes the greater label.
     """
-    told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
+        F.max((F.col("toxic") > 0).cast("int")).alias("y")
+    )
     ids = _chosen(told, fit)
-    sample = stored(_with_copies(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")), "toxic-sample")
+    sample = stored(
+        _with_copies(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")), "toxic-sample"
+    )
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model(Lexicon({}, {}), [-1.0] + [0.0] * len(FEATURES), fit.window)
@@ -422,7 +443,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
-        run, "doc_id long, score double, n_hits int, n_near int, n_quoted int, hits array<struct<start:int,end:int,kind:string,term:string,quoted:boolean>>"
+        run,
+        "doc_id long, score double, n_hits int, n_near int, n_quoted int, hits array<struct<start:int,end:int,kind:string,term:string,quoted:boolean>>",
     )
 
 
@@ -432,7 +454,9 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches):
         scorer = Scorer(model.lexicon, model.window)
         for b in batches:
-            keep = [_score(model.weights, scorer.features(t)) < least for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            keep = [
+                _score(model.weights, scorer.features(t)) < least for t in b.column(b.schema.get_field_index("text")).to_pylist()
+            ]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -114,7 +114,11 @@ def _shrink(children: DataFrame, parents: DataFrame | None, on: list[str], mean:
     noise = F.col("m") * (1 - F.col("m"))
     rate = F.col("k") / F.col("n")
     told = joined.filter(F.col("n") > 0).agg(
-        F.sum(F.col("n") * (rate - F.col("m")) * (rate - F.col("m"))).alias("s2"), F.sum(noise).alias("v"), F.sum(F.col("n") * noise).alias("nv"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")
+        F.sum(F.col("n") * (rate - F.col("m")) * (rate - F.col("m"))).alias("s2"),
+        F.sum(noise).alias("v"),
+        F.sum(F.col("n") * noise).alias("nv"),
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("c"),
     ).first()
     low, high = policy.range_of_strength
     if told["c"] < 2:
@@ -122,7 +126,9 @@ def _shrink(children: DataFrame, parents: DataFrame | None, on: list[str], mean:
     else:
         between = (told["s2"] - told["v"]) / told["n"]
         strength = high if between <= 0 else min(high, max(low, told["nv"] / told["n"] / between - 1))
-    return joined.withColumns({"alpha": F.col("k") + strength * F.col("m"), "beta": F.col("n") - F.col("k") + strength * (1 - F.col("m"))}).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+    return joined.withColumns(
+        {"alpha": F.col("k") + strength * F.col("m"), "beta": F.col("n") - F.col("k") + strength * (1 - F.col("m"))}
+    ).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
 def host_reputation(outcomes: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -133,7 +139,12 @@ def host_reputation(outcomes: DataFrame, policy: Policy = Policy()) -> DataFrame
     """
     good = F.when(F.col("good").isNotNull(), (F.col("good") > 0).cast("long"))
     domain, suffix = registered(F.col("host"))
-    hosts = stored(outcomes.groupBy("host").agg(F.count(good).alias("n"), F.coalesce(F.sum(good), F.lit(0)).cast("long").alias("k")).withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    hosts = stored(
+        outcomes.groupBy("host").agg(
+            F.count(good).alias("n"), F.coalesce(F.sum(good), F.lit(0)).cast("long").alias("k")
+        ).withColumns({"domain": domain, "suffix": suffix}),
+        "hosts",
+    )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
@@ -157,7 +168,9 @@ def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], policy
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     one = outcomes.filter(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.min("good").alias("good"))
-    known = host_reputation(parts.select("page_id", "host").join(one, "page_id", "left"), policy).withColumn("upper", upper_bound(policy))
+    known = host_reputation(
+        parts.select("page_id", "host").join(one, "page_id", "left"), policy
+    ).withColumn("upper", upper_bound(policy))
     rule = rule_for(F.col("host"), F.col("path"), rules)
     return (
         parts.join(known, "host", "left")
@@ -167,7 +180,9 @@ def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], policy
             "host",
             "path",
             F.col("fits.text").alias("rule"),
-            F.coalesce(F.col("fits.verdict"), F.when(F.col("upper") < policy.least_good, "block").otherwise("allow")).alias("verdict"),
+            F.coalesce(
+                F.col("fits.verdict"), F.when(F.col("upper") < policy.least_good, "block").otherwise("allow")
+            ).alias("verdict"),
             F.col("n").alias("host_outcomes"),
             F.round("mean", 6).alias("mean_good"),
             F.round("upper", 6).alias("upper_good"),

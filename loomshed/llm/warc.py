@@ -50,7 +50,12 @@ _NONE = -(1 << 63)
 def _hashed(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     return pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NONE)).alias("key"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), "url", payload.alias("payload")
+        F.col("page_id").cast("long").alias("page_id"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(_NONE)).alias("key"),
+        F.sha1(payload.cast("binary")).alias("digest"),
+        F.octet_length(payload).cast("long").alias("bytes"),
+        "url",
+        payload.alias("payload"),
     )
 
 
@@ -62,8 +67,15 @@ def headers(pages: DataFrame) -> DataFrame:
 def revisits(heads: DataFrame, spec: Archive = Archive()) -> DataFrame:
     """(key, digest, refers_to) of the headers whose equal payload has a larger page_id."""
     heads = heads.filter(F.col("bytes") >= spec.least)
-    last = stored(heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).filter("c > 1 and refers_to is not null").select("digest", "refers_to"), "warc-last")
-    return heads.select("key", "digest").join(last, "digest").filter(F.col("key") != F.col("refers_to")).dropDuplicates(["key", "digest"])
+    last = stored(
+        heads.groupBy("digest").agg(
+            F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")
+        ).filter("c > 1 and refers_to is not null").select("digest", "refers_to"),
+        "warc-last",
+    )
+    return heads.select("key", "digest").join(last, "digest").filter(F.col("key") != F.col("refers_to")).dropDuplicates(
+        ["key", "digest"]
+    )
 
 
 def _record_id(page: Column, digest: Column, copy: Column) -> Column:
@@ -78,12 +90,18 @@ def records(pages: DataFrame, spec: Archive = Archive()) -> DataFrame:
     rows, heads = _hashed(pages), headers(pages)
     total = heads.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // spec.bytes))
-    told = rows.repartition(n, "key", "digest").join(revisits(heads, spec).repartition(n, "key", "digest"), ["key", "digest"], "left")
+    told = rows.repartition(n, "key", "digest").join(
+        revisits(heads, spec).repartition(n, "key", "digest"), ["key", "digest"], "left"
+    )
     told = told.withColumn("copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")))
     crlf, revisit = F.lit("\r\n"), F.col("refers_to").isNotNull()
     # Control characters cannot stand in a header line.
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
+        F.col("bytes").cast("string"),
+        F.lit("\r\n\r\n"),
+    )
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
 
     def line(name: str, value: Column) -> Column:
@@ -95,11 +113,21 @@ def records(pages: DataFrame, spec: Archive = Archive()) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("digest"), F.col("copy"))),
+        line(
+            "WARC-Record-ID",
+            _record_id(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("digest"), F.col("copy")),
+        ),
         line("WARC-Date", F.lit(spec.date)),
         maybe("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"), F.lit(1))), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(
+            revisit,
+            F.concat(
+                line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+                line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"), F.lit(1))),
+                line("X-Refers-To-Page", F.col("refers_to").cast("string")),
+            ),
+        ).otherwise(""),
         maybe("X-Page-Id", F.col("page_id").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", length.cast("string")),
@@ -152,7 +180,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 rows = []
                 for h, block in parse(gunzip(content.as_py())):
                     page = int(h["X-Page-Id"]) if "X-Page-Id" in h else None
-                    row = {"record_id": h["WARC-Record-ID"], "page_id": page, "record_type": h["WARC-Type"], "url": h.get("WARC-Target-URI")}
+                    row = {
+                        "record_id": h["WARC-Record-ID"],
+                        "page_id": page,
+                        "record_type": h["WARC-Type"],
+                        "url": h.get("WARC-Target-URI"),
+                    }
                     if h["WARC-Type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         digest = hashlib.sha1(payload).hexdigest()
@@ -160,14 +193,28 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                             raise ValueError(f"payload of page {page} does not match its digest")
                         row |= {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload if payloads else None}
                     else:
-                        row |= {"payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": int(h["X-Refers-To-Page"])}
+                        row |= {
+                            "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"),
+                            "refers_to": int(h["X-Refers-To-Page"]),
+                        }
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+_ARROW = pa.schema(
+    [
+        ("record_id", pa.string()),
+        ("page_id", pa.int64()),
+        ("record_type", pa.string()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("refers_to", pa.int64()),
+        ("url", pa.string()),
+        ("payload", pa.binary()),
+    ]
+)
 
 
 def resolve(found: DataFrame) -> DataFrame:
@@ -176,6 +223,10 @@ def resolve(found: DataFrame) -> DataFrame:
     ``found`` is read three times, so store it if it comes from archives. A revisit
     whose response is missing, or has another digest, keeps a null size.
     """
-    named = found.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("b")).dropDuplicates(["refers_to", "payload_digest"])
-    back = found.filter("record_type = 'revisit'").drop("payload_bytes").join(named, ["refers_to", "payload_digest"], "left").withColumnRenamed("b", "payload_bytes")
+    named = found.filter("record_type = 'response' and page_id is not null").select(
+        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("b")
+    ).dropDuplicates(["refers_to", "payload_digest"])
+    back = found.filter("record_type = 'revisit'").drop("payload_bytes").join(
+        named, ["refers_to", "payload_digest"], "left"
+    ).withColumnRenamed("b", "payload_bytes")
     return found.filter("record_type = 'response'").unionByName(back.select(*found.columns))

@@ -50,15 +50,53 @@ def hard(spark, tmp_path_factory):
     base = [text(r.randrange(1, 60)) for _ in range(40)]
     docs = [(i, t, "en", r.choice(["a", "b", None]), len(t)) for i, t in enumerate(base)]
     docs += [(100 + i, t + " tail" * (i % 2), None, "a", None) for i, t in enumerate(base[:20])]
-    docs += [(7, text(30), "en", "a", 1), (8, base[3].upper(), "en", "b", 1), (200, None, None, None, None), (201, "", "en", "c", 0), (202, " \t\n", "en", "c", 3), (203, text(20_000), "en", "a", 1), (204, "one", "en", "b", 1), (205, "ONE", "en", "b", 1)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{root}/documents.parquet")
+    docs += [
+        (7, text(30), "en", "a", 1),
+        (8, base[3].upper(), "en", "b", 1),
+        (200, None, None, None, None),
+        (201, "", "en", "c", 0),
+        (202, " \t\n", "en", "c", 3),
+        (203, text(20_000), "en", "a", 1),
+        (204, "one", "en", "b", 1),
+        (205, "ONE", "en", "b", 1),
+    ]
+    spark.createDataFrame(
+        docs, "doc_id long, text string, lang string, source string, n_chars long"
+    ).repartition(3).write.parquet(f"{root}/documents.parquet")
     vec = lambda: [r.uniform(-1, 1) for _ in range(8)]
-    vectors = [(i, vec(), 0) for i in range(160)] + [(50, vec(), 0), (50, None, 0), (100, [None] * 8, 0), (150, [float("inf")] * 8, 0), (None, vec(), 0), (300, [], 0), (301, [], 0), (350, [1.0], 0), (12, vec(), None)]
+    vectors = [(i, vec(), 0) for i in range(160)] + [
+        (50, vec(), 0),
+        (50, None, 0),
+        (100, [None] * 8, 0),
+        (150, [float("inf")] * 8, 0),
+        (None, vec(), 0),
+        (300, [], 0),
+        (301, [], 0),
+        (350, [1.0], 0),
+        (12, vec(), None),
+    ]
     vectors += [(i, vectors[5][1], 0) for i in range(400, 406)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     big = "<p>" + "é" * 700
-    urls = ["http://A.example.net/es/x", "https://user@casino.org:80/a?b#c", "ftp://10.0.0.1/x", "no scheme", None, "http://b.co.uk/", "http://www.example.com/en/1", "http://sub.example.com/en/", "http://x.net/fr/", "http://c.org", "http://[::1]:8/p", "a://b://c"]
-    pages = [(i, urls[i % len(urls)], r.choice([None, "", "short", big, big + str(i % 3), f"the Casino {i}", "x" * 999, "x" * 1000])) for i in range(150)]
+    urls = [
+        "http://A.example.net/es/x",
+        "https://user@casino.org:80/a?b#c",
+        "ftp://10.0.0.1/x",
+        "no scheme",
+        None,
+        "http://b.co.uk/",
+        "http://www.example.com/en/1",
+        "http://sub.example.com/en/",
+        "http://x.net/fr/",
+        "http://c.org",
+        "http://[::1]:8/p",
+        "a://b://c",
+    ]
+    pages = [
+        (
+            i, urls[i % len(urls)], r.choice([None, "", "short", big, big + str(i % 3), f"the Casino {i}", "x" * 999, "x" * 1000])
+        ) for i in range(150)
+    ]
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2).write.parquet(f"{root}/pages.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     return root
@@ -79,7 +117,11 @@ def test_posteriors_equal_a_plain_version(spark):
     outcomes = spark.createDataFrame([(h, good[i]) for i, h in rows], "host string, good int")
     got = {x.host: (x.n, x.k, x.mean, x.alpha + x.beta) for x in url_reputation.host_reputation(outcomes).collect()}
 
-    tally = lambda name: {k: (sum(good[i] is not None for i, h in rows if name(h) == k), sum(good[i] or 0 for i, h in rows if name(h) == k)) for k in {name(h) for _, h in rows}}
+    tally = lambda name: {
+        k: (
+            sum(good[i] is not None for i, h in rows if name(h) == k), sum(good[i] or 0 for i, h in rows if name(h) == k)
+        ) for k in {name(h) for _, h in rows}
+    }
     suffix = lambda h: "co.uk" if h.endswith("co.uk") else h.rsplit(".", 1)[1]
     domain = lambda h: h.split(".", 1)[1]
 
@@ -117,8 +159,23 @@ def test_features_are_sums_over_hits():
     scorer = toxicity.Scorer(lexicon, 2)
     text = 'a idiot b c d e blorgenia f g h i morom j k l m "moron" n o p q blorgem r'
     hits = [(h.kind, h.term, h.quoted) for h in scorer.hits(text)]
-    assert hits == [("word", "idiot", False), ("stem", "blorgen", False), ("near", "moron", False), ("word", "moron", True), ("near stem", "blorgen", False)]
+    assert hits == [
+        ("word", "idiot", False),
+        ("stem", "blorgen", False),
+        ("near", "moron", False),
+        ("word", "moron", True),
+        ("near stem", "blorgen", False),
+    ]
     names = dict(zip(toxicity.FEATURES, scorer.features(text), strict=True))
-    want = {"words": math.log1p(2.0), "stems": math.log1p(1.5), "near": math.log1p(3.0), "near stems": math.log1p(1.5), "quoted": math.log1p(3.0), "address": 0.0, "distinct": math.log1p(2), "dense": math.log1p(2000 / (len(text) + 1))}
+    want = {
+        "words": math.log1p(2.0),
+        "stems": math.log1p(1.5),
+        "near": math.log1p(3.0),
+        "near stems": math.log1p(1.5),
+        "quoted": math.log1p(3.0),
+        "address": 0.0,
+        "distinct": math.log1p(2),
+        "dense": math.log1p(2000 / (len(text) + 1)),
+    }
     assert names == pytest.approx(want)
     assert scorer.hits(None) == scorer.hits("") == [] and scorer.features(None) == [0.0] * len(toxicity.FEATURES)

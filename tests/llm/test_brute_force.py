@@ -31,7 +31,16 @@ def corpus(seed=1, n=60):
                 rows.append((1000 + 10 * i + k, " ".join(w)))
         if i % 7 == 0:
             rows.append((5000 + i, " ".join(words)))
-    return rows + [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "one"), (9005, "ONE"), (None, "null id"), (None, "null id"), (9006, "x " * 3000)]
+    return rows + [
+        (9001, None),
+        (9002, ""),
+        (9003, " \t\n"),
+        (9004, "one"),
+        (9005, "ONE"),
+        (None, "null id"),
+        (None, "null id"),
+        (9006, "x " * 3000),
+    ]
 
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,14 +100,28 @@ def repeated():
     r = random.Random(12)
     b = [r.choice(WORDS) for _ in range(60)]
     near = [*b[:-1], "other"]
-    return [(1, " ".join(r.choice(WORDS) for _ in range(60))), (1, " ".join(b)), (3, " ".join(near)), (5, "five " * 3), (5, "5 " * 3), (2, "FIVE " * 3), (1, " ".join(b)), (7, None), (7, ""), (None, " ".join(b))]
+    return [
+        (1, " ".join(r.choice(WORDS) for _ in range(60))),
+        (1, " ".join(b)),
+        (3, " ".join(near)),
+        (5, "five " * 3),
+        (5, "5 " * 3),
+        (2, "FIVE " * 3),
+        (1, " ".join(b)),
+        (7, None),
+        (7, ""),
+        (None, " ".join(b)),
+    ]
 
 
 @pytest.mark.parametrize("words", [2, 5])
 @pytest.mark.parametrize("block", [4000, 3])
 def test_near_duplicates(spark, words, block):
     rows = [*corpus(), *repeated()]
-    got = neardup.near_duplicates(docs_frame(spark, rows, extra=True), neardup.NearDup(words=words, block=block, least_block=min(block, 256), known=5 if block == 3 else 1000)).collect()
+    got = neardup.near_duplicates(
+        docs_frame(spark, rows, extra=True),
+        neardup.NearDup(words=words, block=block, least_block=min(block, 256), known=5 if block == 3 else 1000),
+    ).collect()
     key = lambda r: tuple((v is not None, v or 0) for v in r)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute_rows(rows, words), key=key)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
@@ -118,7 +141,9 @@ def test_a_hot_band_whose_links_hide_behind_its_pivot(spark):
     want = brute_rows(rows, 2)
     assert len({c for *_, c in want}) < 40
     for block in (4000, 5):
-        got = neardup.near_duplicates(docs_frame(spark, rows), neardup.NearDup(words=2, block=block, least_block=min(block, 256))).collect()
+        got = neardup.near_duplicates(
+            docs_frame(spark, rows), neardup.NearDup(words=2, block=block, least_block=min(block, 256))
+        ).collect()
         assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(want)
 
 
@@ -126,7 +151,11 @@ def groups_of(rows, k):
     """Rows with id and words, in groups by the likeness of their texts alone."""
     groups: list[list] = []
     for row in rows:
-        mine = [g for g in groups if any(shingles(t, k) == shingles(row[1], k) or similar(shingles(t, k), shingles(row[1], k)) for _, t in g)]
+        mine = [
+            g for g in groups if any(
+                shingles(t, k) == shingles(row[1], k) or similar(shingles(t, k), shingles(row[1], k)) for _, t in g
+            )
+        ]
         groups = [g for g in groups if g not in mine] + [[row, *(x for g in mine for x in g)]]
     return groups
 
@@ -145,7 +174,9 @@ def test_near_duplicates_empty_and_kept(spark):
 
 
 def test_chain_of_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 103), (103, 101), (101, 102), (7, 7)], "a long, b long")
+    edges = spark.createDataFrame(
+        [(i, i + 1) for i in range(0, 40)] + [(100, 103), (103, 101), (101, 102), (7, 7)], "a long, b long"
+    )
     got = {r.node: r.comp for r in neardup.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100, 103: 100}
 
@@ -167,12 +198,23 @@ def test_estimate_counts_fields():
 def test_bpe_equals_library_and_round_trips(spark):
     ranks, pattern = tokenizer(spark)
     enc = bpe.encoder(ranks, pattern)
-    rows = [(1, "Hello  wörld\n\n 123 don't"), (2, None), (3, ""), (4, "ab " * 40_000), (5, "z" * 50_000), (6, " \t \n  x\x1c y\x85 z ")]
+    rows = [
+        (1, "Hello  wörld\n\n 123 don't"),
+        (2, None),
+        (3, ""),
+        (4, "ab " * 40_000),
+        (5, "z" * 50_000),
+        (6, " \t \n  x\x1c y\x85 z "),
+    ]
     got = {r.doc_id: r for r in bpe.encode_documents(docs_frame(spark, rows, extra=True), ranks, pattern).collect()}
     for i, t in rows:
         assert got[i].token_ids == enc.encode_ordinary(t or "")
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
-    back = bpe.decode_documents(spark.createDataFrame([(r.doc_id, r.token_ids) for r in got.values()], "doc_id long, token_ids array<int>"), ranks, pattern)
+    back = bpe.decode_documents(
+        spark.createDataFrame([(r.doc_id, r.token_ids) for r in got.values()], "doc_id long, token_ids array<int>"),
+        ranks,
+        pattern,
+    )
     assert {r.doc_id: bytes(r.data).decode() for r in back.collect()} == {i: t or "" for i, t in rows}
     assert bpe.encode_documents(empty(spark), ranks, pattern).count() == 0
 
@@ -193,7 +235,9 @@ def test_media_round_trip(spark):
     got = media.rebuild(media.write_store(docs_frame(spark, rows, extra=True))).collect()
     assert len(got) == len(rows)
     want = sorted((i is None, i, hashlib.sha256(media.payload_of(t)).hexdigest(), len((t or "").encode()), zlib.crc32(media.payload_of(t)[-32:])) for i, t in rows)
-    assert sorted((r.doc_id is None, r.doc_id, r.payload_sha256, r.n_bytes, r.tail_crc32) for r in got if r.doc_id is not None) == [w for w in want if w[1] is not None]
+    assert sorted(
+        (r.doc_id is None, r.doc_id, r.payload_sha256, r.n_bytes, r.tail_crc32) for r in got if r.doc_id is not None
+    ) == [w for w in want if w[1] is not None]
     assert sorted(r.payload_sha256 for r in got) == sorted(w[2] for w in want)
     assert media.rebuild(media.write_store(empty(spark))).count() == 0
 
@@ -204,7 +248,9 @@ def test_media_with_full_filters_and_heavy_chunks(spark, spec):
     rows = [*corpus(2, 40), *[(100 + i, "common passage " * 200 + f"end {i}") for i in range(30)]]
     got = media.rebuild(media.write_store(docs_frame(spark, rows), spec)).collect()
     assert sorted(r.payload_sha256 for r in got) == sorted(hashlib.sha256(media.payload_of(t)).hexdigest() for _, t in rows)
-    assert sorted(r.media_sha256 for r in media.read_media(media.write_store(docs_frame(spark, rows), spec)).collect()) == sorted(r.media_sha256 for r in got)
+    assert sorted(
+        r.media_sha256 for r in media.read_media(media.write_store(docs_frame(spark, rows), spec)).collect()
+    ) == sorted(r.media_sha256 for r in got)
 
 
 def test_chunks_follow_content():
@@ -227,7 +273,16 @@ def test_chunks_follow_content():
 
 def test_warc(spark):
     big = "<p>" + "é" * 600
-    rows = [(1, "http://a/x y", big), (2, None, big), (3, "http://b", "small"), (4, "http://c", "small"), (5, "u", None), (6, "http://d\r\nEvil: 1", big + "WARC/1.1\r\n\r\n"), (7, "http://e", big), (None, "n", big)]
+    rows = [
+        (1, "http://a/x y", big),
+        (2, None, big),
+        (3, "http://b", "small"),
+        (4, "http://c", "small"),
+        (5, "u", None),
+        (6, "http://d\r\nEvil: 1", big + "WARC/1.1\r\n\r\n"),
+        (7, "http://e", big),
+        (None, "n", big),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
     path = scratch(spark, "t")
     warc.write_archives(pages, path)
@@ -236,7 +291,9 @@ def test_warc(spark):
     for i, _, html in rows:
         data = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.record_type == "revisit"} == {1: ("revisit", 7), 2: ("revisit", 7), None: ("revisit", 7)}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.record_type == "revisit"} == {
+        1: ("revisit", 7), 2: ("revisit", 7), None: ("revisit", 7)
+    }
     none = scratch(spark, "t")
     warc.write_archives(pages.limit(0), none)
     assert warc.resolve(warc.read_archives(spark, none)).count() == 0
@@ -247,13 +304,25 @@ def test_warc(spark):
 def test_warc_of_repeated_pages(spark):
     """Equal rows of one page, one page with two payloads, and the last of a payload in two rows."""
     big, other = "x" * 1500, "y" * 1500
-    rows = [(1, "u1", big), (1, "u1", big), (1, "u2", other), (2, "u3", other), (2, "u3", other), (None, None, big), (None, None, big)]
+    rows = [
+        (1, "u1", big), (1, "u1", big), (1, "u2", other), (2, "u3", other), (2, "u3", other), (None, None, big), (None, None, big)
+    ]
     path = scratch(spark, "t")
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
     found = warc.read_archives(spark, path).collect()
     assert len({r.record_id for r in found}) == len(rows)
-    got = sorted(((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.resolve(warc.read_archives(spark, path)).collect()))
-    assert got == sorted([(1, "response", 0, 1500)] * 2 + [(1, "revisit", 2, 1500)] + [(2, "response", 0, 1500)] * 2 + [(0, "revisit", 1, 1500)] * 2)
+    got = sorted(
+        (
+            (
+                r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes
+            ) for r in warc.resolve(warc.read_archives(spark, path)).collect()
+        )
+    )
+    assert got == sorted(
+        [(1, "response", 0, 1500)] * 2 + [(1, "revisit", 2, 1500)] + [(2, "response", 0, 1500)] * 2 + [
+            (0, "revisit", 1, 1500)
+        ] * 2
+    )
 
 
 # 5: top-k
@@ -262,9 +331,20 @@ def test_warc_of_repeated_pages(spark):
 def vector_rows():
     r = random.Random(7)
     vec = lambda: [r.uniform(-0.5, 0.5) for _ in range(16)]
-    rows = [(i, vec()) for i in range(120)] + [(200, None), (201, [0.1, None]), (202, [float("nan")] * 16), (203, [1.0, 2.0]), (204, [1.0, 2.0]), (None, vec()), (205, [3e30] * 16), (206, [3e30] * 16)]
+    rows = [(i, vec()) for i in range(120)] + [
+        (200, None),
+        (201, [0.1, None]),
+        (202, [float("nan")] * 16),
+        (203, [1.0, 2.0]),
+        (204, [1.0, 2.0]),
+        (None, vec()),
+        (205, [3e30] * 16),
+        (206, [3e30] * 16),
+    ]
     rows += [(i, [x * 1e13 for x in vec()]) for i in range(400, 440)]  # scores beyond 2^53
-    rows += [(i, rows[0][1]) for i in range(300, 310)] + [rows[1], rows[1], (10, vec()), (10, [9.0] * 16), (7, [8.0] * 16), (500, []), (501, [])]
+    rows += [(i, rows[0][1]) for i in range(300, 310)] + [
+        rows[1], rows[1], (10, vec()), (10, [9.0] * 16), (7, [8.0] * 16), (500, []), (501, [])
+    ]
     return rows
 
 
@@ -274,8 +354,16 @@ VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("em
 @pytest.mark.parametrize("chunk", [16 << 20, 1500])
 def test_top_k(spark, chunk):
     df = spark.createDataFrame(vector_rows(), VECTORS).withColumn("row", F.lit("clash"))
-    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 5 == 0, topk.Search(rows=32, step=4, chunk=chunk, task_rows=50)).collect())
-    held = [(x.vec_id, x.embedding) for x in df.collect() if x.vec_id is not None and x.embedding is not None and all(e is not None and math.isfinite(e) for e in x.embedding)]
+    got = sorted(
+        tuple(x) for x in topk.top_k(
+            df, F.col("vec_id") % 5 == 0, topk.Search(rows=32, step=4, chunk=chunk, task_rows=50)
+        ).collect()
+    )
+    held = [
+        (x.vec_id, x.embedding) for x in df.collect() if x.vec_id is not None and x.embedding is not None and all(
+            e is not None and math.isfinite(e) for e in x.embedding
+        )
+    ]
     border = lambda v: min(max(v, -(1 << 63)), (1 << 63) - 1)
     ints = [(i, [border(math.floor(256 * e)) for e in v]) for i, v in held]
     want = []
@@ -322,7 +410,9 @@ def test_permutation(n):
 def test_every_slot_holds_the_sequence_that_a_plain_version_puts_there(spark):
     layout = materialise.Layout(length=8, shard=16, pad=0, end=9999)
     make = lambda: (lambda text: b"".join((1 + ord(c) % 1000).to_bytes(2, "little") for c in text))
-    rows = [(i, "word " * (i % 9)) for i in range(80)] + [(None, "lost"), (None, "found"), (3, None), (7, "another seven"), (7, "seven" * 90), (7, "seven" * 90), (90, "")]
+    rows = [(i, "word " * (i % 9)) for i in range(80)] + [
+        (None, "lost"), (None, "found"), (3, None), (7, "another seven"), (7, "seven" * 90), (7, "seven" * 90), (90, "")
+    ]
     docs = docs_frame(spark, rows, extra=True)
     ties = {(r.doc_id, r.text): r.tie for r in docs.selectExpr("doc_id", "text", "xxhash64(text) tie").collect()}
     stream = b""
@@ -362,7 +452,9 @@ def test_pieces_gathered_in_parts_make_the_same_shards(spark, monkeypatch):
 
 
 def test_mix(spark):
-    rows = [(i, "w " * (i % 50), None if i % 5 == 0 else "bca"[min(i % 11, 2)]) for i in range(400)] + [(7, None, "a"), (None, "x y", "a"), (8, "", None)]
+    rows = [(i, "w " * (i % 50), None if i % 5 == 0 else "bca"[min(i % 11, 2)]) for i in range(400)] + [
+        (7, None, "a"), (None, "x y", "a"), (8, "", None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("range", F.lit(1))
     got = mixing.plan(df, mixing.Mix(range_rows=20)).collect()
     again = mixing.plan(df.repartition(7), mixing.Mix(range_rows=20)).collect()
@@ -396,9 +488,25 @@ def test_mix(spark):
 
 
 def test_urls(spark):
-    urls = ["http://WWW.Example.com/en/a?q", "https://example.com/en/", "x://a.net/fr/", "ftp://net/es/1#f", "nothing", None, "http://h.org", "a://b://c/d", "http://ex.com?x"]
+    urls = [
+        "http://WWW.Example.com/en/a?q",
+        "https://example.com/en/",
+        "x://a.net/fr/",
+        "ftp://net/es/1#f",
+        "nothing",
+        None,
+        "http://h.org",
+        "a://b://c/d",
+        "http://ex.com?x",
+    ]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    rules = [url_reputation.Rule("allow", "com/"), url_reputation.Rule("block", "example.com/en/"), url_reputation.Rule("allow", "www.example.com/en/"), url_reputation.Rule("block", "net/es/"), url_reputation.Rule("block", "net/fr/")]
+    rules = [
+        url_reputation.Rule("allow", "com/"),
+        url_reputation.Rule("block", "example.com/en/"),
+        url_reputation.Rule("allow", "www.example.com/en/"),
+        url_reputation.Rule("block", "net/es/"),
+        url_reputation.Rule("block", "net/fr/"),
+    ]
     none = spark.createDataFrame([], "page_id long, good int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_reputation.judge_pages(pages, none, rules).collect()}
     assert got[0] == ("www.example.com", "/en/a", "www.example.com/en/", "allow")
@@ -409,26 +517,48 @@ def test_urls(spark):
 
 
 def test_domains_of_ports_addresses_and_countries(spark):
-    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "shop.example.com:8080": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", "(address)"), "me@10.0.0.1:80": ("10.0.0.1", "(address)"), "[::1]:80": ("[::1]", "(address)"), "x.com.": ("x.com", "com"), "a.co.com": ("co.com", "com"), "": ("", ""), "local": ("local", "local")}
+    hosts = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"),
+        "shop.example.com:8080": ("example.com", "com"),
+        "10.0.0.1": ("10.0.0.1", "(address)"),
+        "me@10.0.0.1:80": ("10.0.0.1", "(address)"),
+        "[::1]:80": ("[::1]", "(address)"),
+        "x.com.": ("x.com", "com"),
+        "a.co.com": ("co.com", "com"),
+        "": ("", ""),
+        "local": ("local", "local"),
+    }
     domain, suffix = url_reputation.registered(F.col("host"))
-    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select(
+        "host", domain.alias("d"), suffix.alias("s")
+    ).collect()
     assert {r.host: (r.d, r.s) for r in got} == hosts
 
 
 def test_pages_decide_their_hosts(spark):
     """Hosts that name an unwanted trade are blocked, others not; no page at all gives an empty table."""
-    rows = [(i, f"http://h{i % 4}.org/{i}", "the casino opens" if i % 4 == 0 else "the Casinos open" if i < 80 else None) for i in range(120)]
+    rows = [
+        (
+            i, f"http://h{i % 4}.org/{i}", "the casino opens" if i % 4 == 0 else "the Casinos open" if i < 80 else None
+        ) for i in range(120)
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("good", F.lit("clash"))
     outcomes = lambda p: p.select("page_id", url_reputation.named_in(F.col("html"), ["casino"]).alias("good"))
-    got = url_reputation.judge_pages(pages, outcomes(pages), []).groupBy("host").agg(F.collect_set("verdict").alias("v")).collect()
+    got = url_reputation.judge_pages(pages, outcomes(pages), []).groupBy("host").agg(
+        F.collect_set("verdict").alias("v")
+    ).collect()
     assert {r.host: r.v for r in got} == {"h0.org": ["block"], "h1.org": ["allow"], "h2.org": ["allow"], "h3.org": ["allow"]}
     none = pages.limit(0)
     assert url_reputation.judge_pages(none, outcomes(none), []).count() == 0
 
 
 def test_bad_host_is_blocked(spark):
-    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 60 else 'good'}.org/{i}") for i in range(200)], "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, 0 if i < 60 else 1) for i in range(200)] + [(0, None), (None, 1)], "page_id long, good int")
+    pages = spark.createDataFrame(
+        [(i, f"http://{'bad' if i < 60 else 'good'}.org/{i}") for i in range(200)], "page_id long, url string"
+    )
+    outcomes = spark.createDataFrame(
+        [(i, 0 if i < 60 else 1) for i in range(200)] + [(0, None), (None, 1)], "page_id long, good int"
+    )
     got = url_reputation.judge_pages(pages, outcomes, []).groupBy("host").agg(F.collect_set("verdict").alias("v")).collect()
     assert {r.host: r.v for r in got} == {"bad.org": ["block"], "good.org": ["allow"]}
 
@@ -446,7 +576,9 @@ def edits(a, b):
 
 
 def test_automaton_equals_edit_distance():
-    lexicon = toxicity.Lexicon({"stupid": 1.0, "moron": 1.0, "scum": 1.0}, {"vequ": 1.0, "blorgen": 1.0}, frozenset({"blorgenx", "storgen"}))
+    lexicon = toxicity.Lexicon(
+        {"stupid": 1.0, "moron": 1.0, "scum": 1.0}, {"vequ": 1.0, "blorgen": 1.0}, frozenset({"blorgenx", "storgen"})
+    )
     auto, r = toxicity.Automaton(lexicon, limit=50), random.Random(1)
     seen = set()
     for _ in range(6000):
@@ -503,8 +635,16 @@ def test_toxicity_learns(spark):
                 words.insert(r.randrange(60), w)
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    test = [(1000, "you are a worthles idiottic man " + "w1 " * 30), (1001, "w1 w2 w3"), (1002, None), (1003, ""), (1004, 'he wrote "idiotic" once ' + "w2 " * 30)]
-    model = toxicity.train(docs_frame(spark, rows, extra=True), spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int"))
+    test = [
+        (1000, "you are a worthles idiottic man " + "w1 " * 30),
+        (1001, "w1 w2 w3"),
+        (1002, None),
+        (1003, ""),
+        (1004, 'he wrote "idiotic" once ' + "w2 " * 30),
+    ]
+    model = toxicity.train(
+        docs_frame(spark, rows, extra=True), spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int")
+    )
     got = {x.doc_id: x for x in toxicity.score_documents(docs_frame(spark, rows + test), model).collect()}
     assert all((got[i].score >= 0.5) == bool(y) for i, y in labels)
     assert got[1000].n_near == 2 and got[1004].n_quoted == 1 and got[1001].score == got[1002].score == got[1003].score < 0.5
@@ -521,17 +661,51 @@ def plain_spans(text):
     import re
 
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [
+        ("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(
+            int(p) <= 255 for p in m[0].split(".")
+        )
+    ]
     digits = lambda s: "".join(c for c in s if c in "0123456789")
-    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
-    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    out += [
+        ("card", m.start(), m.end()) for m in re.finditer(
+            r"[0-9]([\x20-]?[0-9])+", text
+        ) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))
+    ]
+    out += [
+        ("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15
+    ]
     return out
 
 
 def test_patterns_equal_plain_forms():
     r = random.Random(4)
     for _ in range(6000):
-        t = "".join(r.choice(["1", "25", "300", ".", "-", " ", "+", "(", ")", "@", "a", "b.", "%", "é", "4111 1111 1111 1111", "x@y.z", "1.2.3.4", "٣", "_"]) for _ in range(r.randrange(1, 14)))
+        t = "".join(
+            r.choice(
+                [
+                    "1",
+                    "25",
+                    "300",
+                    ".",
+                    "-",
+                    " ",
+                    "+",
+                    "(",
+                    ")",
+                    "@",
+                    "a",
+                    "b.",
+                    "%",
+                    "é",
+                    "4111 1111 1111 1111",
+                    "x@y.z",
+                    "1.2.3.4",
+                    "٣",
+                    "_",
+                ]
+            ) for _ in range(r.randrange(1, 14))
+        )
         assert pii.base_spans(t) == plain_spans(t), t
 
 
@@ -541,7 +715,16 @@ def test_long_runs_are_quick():
 
 
 def test_messages_spread_to_repeats(spark):
-    weights = pii.train(docs_frame(spark, [(i, f"mail a{i}.x1@mail.example.com call +1 (555) 010-99{i:02d} or visit room {i} of {i * 7919 % 10**6}") for i in range(60)]))
+    weights = pii.train(
+        docs_frame(
+            spark,
+            [
+                (
+                    i, f"mail a{i}.x1@mail.example.com call +1 (555) 010-99{i:02d} or visit room {i} of {i * 7919 % 10**6}"
+                ) for i in range(60)
+            ],
+        )
+    )
     text = "call +1 (319) 555-5132 today; later call 555-5132 again, room 12"
     base, added = pii.find_spans(text, weights)
     assert base == plain_spans(text)
@@ -594,7 +777,18 @@ def test_pseudo_likelihood_finds_planted_potentials():
             other = y if copies else r.randrange(5)
             f = [1.0] + [0.0] * (pii.N_FEATURES - 1)
             out.append({"y": y, "before": -1, "after": -1, "tied": [int(k == other) for k in range(5)], "f": f})
-        return pa.Table.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("tied", pa.list_(pa.int32())), ("f", pa.list_(pa.float32()))]))
+        return pa.Table.from_pylist(
+            out,
+            schema=pa.schema(
+                [
+                    ("y", pa.int32()),
+                    ("before", pa.int32()),
+                    ("after", pa.int32()),
+                    ("tied", pa.list_(pa.int32())),
+                    ("f", pa.list_(pa.float32())),
+                ]
+            ),
+        )
 
     strong, weak = (pii.fit(rows(c), [1.0] * 3000, pii.Field()) for c in (True, False))
     assert strong.skip > 5 and abs(weak.skip) < 0.3

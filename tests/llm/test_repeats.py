@@ -7,7 +7,11 @@ from loomshed.llm import pii
 
 def leaning(other):
     """Weights with a unary log odds of ``other`` for the label other, and skip edges alone."""
-    return pii.Weights([[other if y == 0 and f == 0 else 0.0 for f in range(pii.N_FEATURES)] for y in range(5)], [[0.0] * 5 for _ in range(5)], 5.0)
+    return pii.Weights(
+        [[other if y == 0 and f == 0 else 0.0 for f in range(pii.N_FEATURES)] for y in range(5)],
+        [[0.0] * 5 for _ in range(5)],
+        5.0,
+    )
 
 
 @pytest.mark.parametrize("other", [0.0, 1.0])
