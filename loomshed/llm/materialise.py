@@ -63,7 +63,7 @@ class Layout:
 
 
 #: Bytes of pieces that a task gathers before it packs them by shard.
-GATHERED = 48 << 20
+GATHERED = 24 << 20
 #: Partitions that shards are dealt to, at most.
 MOST_PARTITIONS = 100_000
 
@@ -293,7 +293,7 @@ def write_shards(docs: DataFrame, path: str, tokenise: Callable[[], Callable[[st
     staged = tokenised(docs, tokenise, layout).write.bucketBy(buckets, "pid").format("parquet").option("path", stage)
     staged.option("compression", "zstd").option(
         "parquet.compression.codec.zstd.level", "9"
-    ).option("parquet.page.size", str(8 << 20)).saveAsTable(name)
+    ).option("parquet.page.size", str(4 << 20)).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
     try:
         ids = spark.table(name)
         placed, total = places(ids.select("pid", "r", "doc_id", "tie", "n"))
