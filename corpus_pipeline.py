@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomshed.llm import bpe, mixing, neardup, pii, toxicity
-from loomshed.llm.common import stored
+from loomshed.llm.common import free, stored
 from loomshed.llm.registry import tokenizer
 from loomshed.session import ship, table
 
@@ -60,9 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    docs, held = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if held is not None:
+            free(held)
+        docs = held = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
