@@ -558,12 +558,24 @@ def deduplicate(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
 
     Of rows with that doc_id, the one least in a hash of the text; of rows equal in
     both, any. Rows without a doc_id or without words are in no group, so all stay.
+    Up to ``spec.known`` ids of rows that go are broadcast, so that texts stay where
+    they lie; more are joined by a shuffle.
     """
-    _, classes = grouped(docs, spec)
-    stay = stored(classes.groupBy("comp").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie"), "stay")
+    signed, classes = grouped(docs, spec)
+    first = classes.groupBy("comp").agg(F.min("first").alias("stays"))
+    told = stored(classes.join(first, "comp").select("n", "d1", "d2", "stays"), "stays")
+    rows = signed.filter("n > 0 and doc_id is not null").join(told, ["n", "d1", "d2"])
+    counted = rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("c"), F.bool_and((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("tie") == F.col("stays.tie"))).alias("one"))
+    keys = stored(counted.filter("not one or c > 1").select(F.col("doc_id").alias("_loomshed_id"), F.col("tie").alias("_loomshed_tie"), "one"), "gone")
+    on = ["_loomshed_id", "_loomshed_tie"]
+
+    def few(one: bool) -> DataFrame:
+        chosen = keys.filter("one" if one else "not one").select(*on)
+        return F.broadcast(chosen) if chosen.count() <= spec.known else chosen
+
+    gone, repeated = few(False), few(True)
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     id_, tie = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    held = docs.filter(~alone).withColumns({"_loomshed_id": id_, "_loomshed_tie": tie})
-    stay = stay.toDF("_loomshed_id", "_loomshed_tie")
-    once = held.join(stay, ["_loomshed_id", "_loomshed_tie"], "left_semi").dropDuplicates(["_loomshed_id", "_loomshed_tie"])
+    held = docs.filter(~alone).withColumns(dict(zip(on, (id_, tie), strict=True))).join(gone, on, "left_anti")
+    once = held.join(repeated, on, "left_semi").dropDuplicates(on).unionByName(held.join(repeated, on, "left_anti"))
     return once.select(*docs.columns).unionByName(docs.filter(alone))

@@ -164,13 +164,11 @@ def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """The mix's plan for every document, in training order of first copies."""
-    from loomshed.llm.mixing import plan
+    from loomshed.llm.mixing import in_order, plan
 
     p = plan(table(spark, sf, "documents").select("doc_id", "source", "text"))
     first = F.try_element_at("positions", F.lit(1))
-    return p.select(
-        "doc_id", "size", "source_size", "target", "taken", first.alias("position")
-    ).repartitionByRange("position", F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id")
+    return in_order(p.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")))
 
 
 OP7_SQL = r"""

@@ -160,10 +160,11 @@ def groups_of(rows, k):
     return groups
 
 
-def test_near_duplicates_empty_and_kept(spark):
+@pytest.mark.parametrize("known", [1000, 0])
+def test_near_duplicates_empty_and_kept(spark, known):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     rows = [*corpus(), *repeated()]
-    kept = [(r.doc_id, r.text) for r in neardup.deduplicate(docs_frame(spark, rows, extra=True)).collect()]
+    kept = [(r.doc_id, r.text) for r in neardup.deduplicate(docs_frame(spark, rows, extra=True), neardup.NearDup(known=known)).collect()]
     alone = lambda i, t: i is None or not (t or "").split()
     assert sorted(map(repr, (x for x in kept if alone(*x)))) == sorted(map(repr, (x for x in rows if alone(*x))))
     held, groups = [x for x in kept if not alone(*x)], groups_of([x for x in rows if not alone(*x)], 5)
