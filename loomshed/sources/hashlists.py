@@ -6,10 +6,12 @@ import hashlib
 import xml.etree.ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from loomshed.functions.hashing import c4_bytes, c4_of_digest
 from loomshed.operators.reconcile import first_of
+from loomshed.scratch import stored
 
 _ENTRY = T.ArrayType(
     T.StructType(
@@ -70,10 +72,31 @@ def read_hash_lists(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("manifest", F.explode(entries("value")).alias("e")).select("manifest", "e.*")
 
 
-@F.pandas_udf(T.StringType())
-def list_hash(ids: pd.Series) -> pd.Series:
-    """C4 id over ids: their bytes, in sorted order."""
-    return ids.map(lambda x: c4_of_digest(hashlib.sha512(b"".join(c4_bytes(i) for i in sorted(x))).digest()))
+def list_hashes(kids: DataFrame, name: str) -> DataFrame:
+    """(dir, name): the C4 id over the ids (dir, id) of each folder, their bytes in sorted order.
+
+    Folders are dealt out and sorted, and a task streams through theirs: a folder of
+    any size takes one digest's memory.
+    """
+
+    def run(batches):
+        now, digest = None, None
+        for b in batches:
+            dirs, ids = [], []
+            for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if d != now or digest is None:
+                    if digest is not None:
+                        dirs.append(now)
+                        ids.append(c4_of_digest(digest.digest()))
+                    now, digest = d, hashlib.sha512()
+                digest.update(c4_bytes(i))
+            yield pa.RecordBatch.from_arrays([pa.array(dirs, pa.string()), pa.array(ids, pa.string())], names=["dir", name])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([c4_of_digest(digest.digest())], pa.string())], names=["dir", name])
+
+    # The digits of an id are in the order of their characters, so ids sort as their bytes do.
+    rows = kids.select("dir", "id").repartition("dir").sortWithinPartitions("dir", "id")
+    return rows.mapInArrow(run, f"dir string, {name} string")
 
 
 @F.pandas_udf(T.StringType())
@@ -86,7 +109,7 @@ def directory_hashes(files: DataFrame) -> DataFrame:
     """(dir, content, structure) of every folder above ``files`` (path, c4), '' the root.
 
     Folders are rolled up by depth, deepest first: one aggregation a level, as
-    many rounds as the tree is deep, and no task sees more than one folder's children.
+    many rounds as the tree is deep, and no task holds a folder's children.
     """
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     name = F.substring_index("path", "/", -1)
@@ -99,9 +122,8 @@ def directory_hashes(files: DataFrame) -> DataFrame:
         kids = level.filter(F.col("depth") == depth).select(
             parent.alias("dir"), "content", child_hash(name, F.col("structure")).alias("structure")
         )
-        dirs = kids.groupBy("dir").agg(F.collect_list("content").alias("c"), F.collect_list("structure").alias("s")).select(
-            "dir", list_hash("c").alias("content"), list_hash("s").alias("structure")
-        )
+        content, structure = (list_hashes(kids.select("dir", F.col(c).alias("id")), c) for c in ("content", "structure"))
+        dirs = stored(content.join(structure, "dir"), "folders")
         found = dirs if found is None else found.unionByName(dirs)
         level = level.filter(F.col("depth") < depth).unionByName(
             dirs.filter("dir <> ''").select(F.col("dir").alias("path"), "content", "structure", F.lit(depth - 1).alias("depth"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomshed.functions.keys import csv_field, html_escape
+from loomshed.sources.records import FILE_ROWS
 
 # The report's columns.
 COLUMNS = ("clip", "file", "size_bytes", "source_sha256", "dest_sha256", "verdict", "skipped", "copied_ms")
@@ -58,12 +59,13 @@ def totals(rows: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def write(lines: DataFrame, header: str, path: str) -> None:
-    """One report file, header first, rows by clip and file."""
+    """A report, header first, rows by clip and file: one file up to ``FILE_ROWS`` rows, else several in order."""
+    n = lines.count()
     head = lines.sparkSession.createDataFrame([(0, "", "", header)], "n int, clip string, file string, line string")
     body = lines.select(F.lit(1).alias("n"), "clip", "file", "line")
-    head.unionByName(body).repartition(1).sortWithinPartitions(
-        "n", "clip", "file"
-    ).select("line").write.mode("overwrite").text(path)
+    sort = ["n", "clip", "file", "line"]
+    whole = head.unionByName(body).repartitionByRange(max(1, -(-n // FILE_ROWS)), *sort).sortWithinPartitions(*sort)
+    whole.select("line").write.mode("overwrite").text(path)
 
 
 def phase_profile(rows: DataFrame, phases: list[str]) -> DataFrame:
