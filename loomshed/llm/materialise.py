@@ -285,35 +285,48 @@ def _records(blocks: DataFrame, total: int, layout: Layout) -> DataFrame:
     return blocks.mapInArrow(run, "shard long, value binary")
 
 
+#: Rows that go to a Python worker at once: a row may be a long text, or a packed block.
+BATCH_ROWS = 1000
+#: How staged ids are held: well packed, for they lie beside the shards, and in row groups that take little memory.
+_STAGED_AS = {
+    "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "9",
+    "parquet.page.size": str(4 << 20),
+    "parquet.block.size": str(32 << 20),
+}
+
+
 def write_shards(docs: DataFrame, path: str, tokenise: Callable[[], Callable[[str], bytes]], layout: Layout = Layout()) -> int:
     """Write every sequence below ``path`` as shard=<k>/ files; returns how many sequences there are."""
     spark = docs.sparkSession
     stage, name = scratch(spark, "token-ids"), f"loomshed_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    staged = tokenised(docs, tokenise, layout).write.bucketBy(buckets, "pid").format("parquet").option("path", stage)
-    staged.option("compression", "zstd").option(
-        "parquet.compression.codec.zstd.level", "9"
-    ).option("parquet.page.size", str(4 << 20)).option("parquet.block.size", str(32 << 20)).saveAsTable(name)
-    try:
-        ids = spark.table(name)
-        placed, total = places(ids.select("pid", "r", "doc_id", "tie", "n"))
-        n = -(-total // layout.length)
-        if n:
-            shards = -(-n // layout.shard)
-            parts = min(shards, MOST_PARTITIONS)
-            # Staged rows stay in their buckets; only the places are shuffled to them.
-            with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"), shuffles_dropped(spark):
-                rows = ids.select("pid", "r", "ids").join(placed.hint("shuffle_hash"), ["pid", "r"])
-                blocks = packed(rows, n, layout).repartitionById(
-                    parts, F.expr(f"cast(shard * {parts} div {shards} as int)")
-                ).sortWithinPartitions("shard")
-                _records(blocks, total, layout).select(
-                    "shard", F.col("value").cast("string").alias("value")
-                ).write.partitionBy("shard").option("lineSep", "\n").text(path)
-        free(placed)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        drop_path(spark, stage)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        try:
+            staged = tokenised(docs, tokenise, layout).write.bucketBy(buckets, "pid").format("parquet")
+            staged.options(path=stage, **_STAGED_AS).saveAsTable(name)
+            return _write_staged(spark.table(name), path, layout)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(spark, stage)
+
+
+def _write_staged(ids: DataFrame, path: str, layout: Layout) -> int:
+    """Shards of staged ids (as ``tokenised``, bucketed by pid)."""
+    spark = ids.sparkSession
+    placed, total = places(ids.select("pid", "r", "doc_id", "tie", "n"))
+    n = -(-total // layout.length)
+    if n:
+        shards = -(-n // layout.shard)
+        parts = min(shards, MOST_PARTITIONS)
+        part = F.expr(f"cast(shard * {parts} div {shards} as int)")
+        # Staged rows stay in their buckets; only the places are shuffled to them.
+        with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"), shuffles_dropped(spark):
+            rows = ids.select("pid", "r", "ids").join(placed.hint("shuffle_hash"), ["pid", "r"])
+            blocks = packed(rows, n, layout).repartitionById(parts, part).sortWithinPartitions("shard")
+            values = _records(blocks, total, layout).select("shard", F.col("value").cast("string").alias("value"))
+            values.write.partitionBy("shard").option("lineSep", "\n").text(path)
+    free(placed)
     return n
 
 
