@@ -242,6 +242,7 @@ def write_store(docs: DataFrame, spec: Chunking = Chunking()) -> Store:
         ),
         "recipes",
     )
+    bloom.destroy()
     carried_ = kept.select(F.explode("carried").alias("c")).select("c.digest", "c.data")
     table = stored(carried_.groupBy("digest").agg(F.first("data").alias("data")), "chunks")
     kept, carried_path = kept.drop("carried"), kept._scratch_path

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomshed.llm.common import stored
+from loomshed.llm.common import free, stored
 
 
 @dataclass(frozen=True)
@@ -186,12 +186,11 @@ _OUT = "query_row long, query_id long, vec_id long, score long"
 
 
 def _search(vecs: DataFrame, queries: pa.Table, spec: Search) -> DataFrame:
-    """(query_row, query_id, vec_id, score): k rows a query and task, at most, for one chunk of queries."""
-    context = vecs.sparkSession.sparkContext
+    """(query_row, query_id, vec_id, score), written: k rows a query and task, at most, for one chunk of queries."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, queries.schema) as out:
         out.write_table(queries)
-    sent = context.broadcast(sink.getvalue().to_pybytes())
+    sent = vecs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches):
         chunks: dict[int, list[Chunk]] = {}
@@ -210,7 +209,9 @@ def _search(vecs: DataFrame, queries: pa.Table, spec: Search) -> DataFrame:
             [pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"]
         )
 
-    return vecs.select("row", "vec_id", "dim", "v").mapInArrow(run, _OUT)
+    found = stored(vecs.select("row", "vec_id", "dim", "v").mapInArrow(run, _OUT), "found")
+    sent.destroy()
+    return found
 
 
 def top_k(vectors: DataFrame, ask: Column, spec: Search = Search()) -> DataFrame:
@@ -225,7 +226,8 @@ def top_k(vectors: DataFrame, ask: Column, spec: Search = Search()) -> DataFrame
     found = None
     for c in range(chunks):
         mine = asks.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == c).select("row", "vec_id", "dim", "v")
-        part = stored(_search(vecs, mine.toArrow(), spec), "found")
+        part = _search(vecs, mine.toArrow(), spec)
         found = part if found is None else found.unionByName(part)
+    free(vecs)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
