@@ -133,18 +133,16 @@ def quality(a: Column, b: Column, w: int, n: int) -> dict[str, Column]:
 
 def parity_mae(a: Column, b: Column, w: int, h: int) -> tuple[Column, Column]:
     """MAE of even and odd rows over their own counts."""
-    d = deltas(a, b)
-    even, odd = (h + 1) // 2 * w, h // 2 * w
-    return _sum(
-        d, lambda i: F.pmod(_div(i, w), F.lit(2)) == 0
-    ) / float(even), _sum(d, lambda i: F.pmod(_div(i, w), F.lit(2)) == 1) / float(odd)
+    return parity_means(deltas(a, b), w, h)
 
 
 def parity_means(plane: Column, w: int, h: int) -> tuple[Column, Column]:
-    even, odd = (h + 1) // 2 * w, h // 2 * w
-    return _sum(
-        plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == 0
-    ) / float(even), _sum(plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == 1) / float(odd)
+    """Means of even and odd rows, over their own counts."""
+
+    def mean(parity: int, rows: int) -> Column:
+        return _sum(plane, lambda i: F.pmod(_div(i, w), F.lit(2)) == parity) / float(rows * w)
+
+    return mean(0, (h + 1) // 2), mean(1, h // 2)
 
 
 def class_means(decoded: Column, source: Column, w: int, h: int) -> list[Column]:

@@ -42,11 +42,8 @@ def parse_list(text: str) -> list[dict]:
         name = path.text
         if name.startswith("/") or ".." in name.split("/"):
             raise ValueError(f"path leaves the folder: {name}")
-        ids = {
-            tag(p) if tag(p) in ("content", "structure") else "c4": next(
-                (c.text for c in p.iter() if tag(c) == "c4"), None
-            ) for p in el if tag(p) in ("c4", "content", "structure")
-        }
+        held = [p for p in el if tag(p) in ("c4", "content", "structure")]
+        ids = {tag(p): next((c.text for c in p.iter() if tag(c) == "c4"), None) for p in held}
         for value in ids.values():
             c4_bytes(value or "")
         out.append(

@@ -203,9 +203,10 @@ def ingest_gate(spark: SparkSession, root: str, declared: DataFrame | None = Non
     """The numbers of a folder's frames, clip by clip, against the counts that were declared."""
     found = frames.encoded(frames.files(spark, root)).withColumn("num", keys.frame_number(F.col("stem")).cast("long"))
     rows = gates.sequence_gate(found.select("clip", "num"), "clip", "num")
-    rows = rows.withColumns(
-        {"declared": F.lit(None).cast("long"), "mismatch": F.lit(False)}
-    ) if declared is None else gates.declared_check(rows, declared, "clip")
+    if declared is None:
+        rows = rows.withColumns({"declared": F.lit(None).cast("long"), "mismatch": F.lit(False)})
+    else:
+        rows = gates.declared_check(rows, declared, "clip")
     rows = rows.withColumn("verdict", F.when(F.col("mismatch"), "FAIL").otherwise(F.col("verdict")))
     return Found(rows, _summary(rows, "PASS"))
 
