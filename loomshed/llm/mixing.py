@@ -69,12 +69,8 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     after = fill.rowsBetween(0, Window.unboundedFollowing)
     whole = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn(
-        "level",
-        (
-            mix.epochs * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-        ) / F.sum("weight").over(after),
-    )
+    left = mix.epochs * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    rows = rows.withColumn("level", left / F.sum("weight").over(after))
     # The first source, in order of filling, that the level does not fill sets the level for all.
     rows = rows.withColumn(
         "lambda",

@@ -196,12 +196,9 @@ def sign(docs: DataFrame, spec: NearDup) -> DataFrame:
                     minima = signatures([sets[i] for i in full], spec)
                     bits = pack(minima, spec.bits)
                     keys = np.zeros((len(full), spec.bands), np.uint64)
+                    place = np.arange(spec.bands, dtype=np.uint64) * np.uint64(_M2)
                     for j in range(rows_per):
-                        keys = _mix(
-                            keys * np.uint64(_GOLD) + minima[:, j::rows_per].astype(np.uint64) + np.arange(
-                                spec.bands, dtype=np.uint64
-                            ) * np.uint64(_M2)
-                        )
+                        keys = _mix(keys * np.uint64(_GOLD) + minima[:, j::rows_per].astype(np.uint64) + place)
                     keys = keys.view(np.int64)
                     for r, i in enumerate(full):
                         bands[i], sig[i] = keys[r], bits[r].tobytes()

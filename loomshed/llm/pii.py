@@ -174,9 +174,9 @@ def nodes(text: str, base: list[Span], least_digits: int = 6) -> tuple[list[tupl
     """Nodes as (ordinal, start, end), their base labels (0: no evidence), and whether each stands beside a mark."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     alone = [bool(_MARK.fullmatch(text[a:b].strip(",.;"))) for a, b in tokens]
-    beside = [
-        (i > 0 and alone[i - 1]) or (i + 1 < len(alone) and alone[i + 1]) for i in range(len(alone))
-    ] if any(alone) else None
+    beside = None
+    if any(alone):
+        beside = [before or after for before, after in zip([False, *alone[:-1]], [*alone[1:], False], strict=True)]
     known = {k for kind, a, b in base for k in _span_keys(kind, text[a:b], least_digits)}
     spans = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
     found, labels, marked, j = [], [], [], 0
@@ -639,15 +639,16 @@ def redact_documents(docs: DataFrame, weights: Weights, field: Field = Field())
     """All columns of ``docs`` with personal data in ``text`` replaced; n_chars, if there, follows."""
     schema = docs.schema
 
+    def clean(text: str | None) -> str | None:
+        if not text or not _NODE.search(text):
+            return text
+        base, added = find_spans(text, weights, field)
+        return redact(text, base + added)
+
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
-            texts = b.column(at).to_pylist()
-            texts = [
-                redact(
-                    t, [s for part in find_spans(t, weights, field) for s in part]
-                ) if t and _NODE.search(t) else t for t in texts
-            ]
+            texts = [clean(t) for t in b.column(at).to_pylist()]
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b
 

@@ -141,17 +141,18 @@ class Automaton:
                         state.add((nxt, 1))
         return frozenset(state)
 
+    def _near(self, state: frozenset, ends: list[str | None]) -> str | None:
+        """The first long enough term that ends in the state, one edit spent."""
+        terms = (ends[n] for n, e in sorted(state) if e == 1)
+        return next((t for t in terms if t and len(t) >= self.lexicon.fuzzy_from), None)
+
     def _id(self, state: frozenset) -> int:
         if state not in self.ids:
             self.ids[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
             exact = next((self.word[n] for n, e in sorted(state) if e == 0 and self.word[n]), None)
-            near, near_stem = (
-                next(
-                    (end[n] for n, e in sorted(state) if e == 1 and end[n] and len(end[n]) >= self.lexicon.fuzzy_from), None
-                ) for end in (self.word, self.stem)
-            )
+            near, near_stem = self._near(state, self.word), self._near(state, self.stem)
             self.ends.append((exact, True) if exact else (near, False) if near else None)
             self.stems_at.append(next((self.stem[n] for n, e in sorted(state) if e == 0 and self.stem[n]), None))
             self.near_stems_at.append(near_stem)
