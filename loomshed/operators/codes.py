@@ -94,7 +94,10 @@ def inverse_blocks(coefficients: pd.Series) -> pd.Series:
 
 def zigzag() -> list[int]:
     """Natural places of an 8x8 block in the order of its diagonals, each run the other way."""
-    place = lambda d, s: (d - s, s) if d % 2 == 0 else (s, d - s)
+
+    def place(d, s):
+        return (d - s, s) if d % 2 == 0 else (s, d - s)
+
     return [8 * y + x for d in range(15) for y, x in (place(d, s) for s in range(d + 1)) if y < 8 and x < 8]
 
 
@@ -174,5 +177,7 @@ def chroma_spread(plane: Column, w: int, h: int, left: int = 0, top: int = 0) ->
         squares = F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v) / n
         return F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
 
-    one = lambda a, b: F.element_at(F.transform(F.array(F.zip_with(channel(a), channel(b), lambda x, y: x - y)), spread), 1)
+    def one(a, b):
+        return F.element_at(F.transform(F.array(F.zip_with(channel(a), channel(b), lambda x, y: x - y)), spread), 1)
+
     return F.array(one(0, 1), one(1, 2), one(0, 2))

@@ -19,8 +19,13 @@ def pixels(mae: Column, anchor: Column, target: Column, size: Column) -> Column:
 
 def scan_complete(even: Column, odd: Column, even_mean: Column, odd_mean: Column) -> Column:
     """A dead half shows as an error near its source mean, or as one half's error over ten times the other's."""
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    ceiling = lambda m: F.greatest(F.lit(100.0), 0.75 * m)
+
+    def finite(c):
+        return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+    def ceiling(m):
+        return F.greatest(F.lit(100.0), 0.75 * m)
+
     high, low = F.greatest(even, odd), F.least(even, odd)
     return (
         F.when(~(finite(even) & finite(odd)), "error not finite")
@@ -134,7 +139,10 @@ def band_mix(blocks: Column, w: int, h: int, reach: int = 16, gain: float = 8.0)
     """
     y, x = (lambda i: _div(i, w)), (lambda i: F.pmod(i, F.lit(w)))
     sums = _let(_box(blocks, w, 1, reach, x), lambda rows: _box(rows, h, w, reach, y))
-    span = lambda at, n: F.least(at + reach, F.lit(n - 1)) - F.greatest(at - reach, F.lit(0)) + 1
+
+    def span(at, n):
+        return F.least(at + reach, F.lit(n - 1)) - F.greatest(at - reach, F.lit(0)) + 1
+
     return F.zip_with(
         blocks, F.transform(sums, lambda s, i: s / (span(y(i), h) * span(x(i), w))), lambda d, m: gain * d - (gain - 1.0) * m
     )

@@ -120,7 +120,10 @@ def quality(a: Column, b: Column, w: int, n: int) -> dict[str, Column]:
     d = deltas(a, b)
     half = float((n + 1) // 2)
     total = F.aggregate(d, F.lit(0).cast("long"), lambda s, v: s + v)
-    share = lambda keep: F.size(F.filter(d, keep)) * 100.0 / n
+
+    def share(keep):
+        return F.size(F.filter(d, keep)) * 100.0 / n
+
     return {
         "mae": total / float(n),
         "exact_pct": share(lambda v: v == 0),
@@ -148,7 +151,10 @@ def parity_means(plane: Column, w: int, h: int) -> tuple[Column, Column]:
 def class_means(decoded: Column, source: Column, w: int, h: int) -> list[Column]:
     """Mean signed error of each 2x2 phase."""
     e = F.zip_with(decoded, source, lambda x, y: x - y)
-    phase = lambda i: F.pmod(_div(i, w), F.lit(2)) * 2 + F.pmod(i, F.lit(w)) % 2
+
+    def phase(i):
+        return F.pmod(_div(i, w), F.lit(2)) * 2 + F.pmod(i, F.lit(w)) % 2
+
     return [_sum(e, lambda i, p=p: phase(i) == p) / float((w // 2) * (h // 2)) for p in range(4)]
 
 
@@ -175,7 +181,10 @@ def column_planes(plane: Column, w: int) -> Column:
     Folded planes (two rows side by side) hold the same samples in the same
     order, so one array serves both orientations.
     """
-    side = lambda r: F.filter(plane, _column_is(w, r))
+
+    def side(r):
+        return F.filter(plane, _column_is(w, r))
+
     return F.array(side(0), side(1))
 
 
@@ -229,11 +238,17 @@ def metadata_preserved(
     source: Column, out: Column, gone: tuple[int, ...] = (273, 278, 279), new: tuple[int, ...] = (322, 323, 324, 325)
 ) -> Column:
     """Tag maps: the strip tags go, the tile tags come, all others keep their values."""
-    tags = lambda m: F.array_sort(F.map_keys(m))
+
+    def tags(m):
+        return F.array_sort(F.map_keys(m))
+
     want = F.array_sort(
         F.array_union(F.array_except(F.map_keys(source), F.array(*[F.lit(g) for g in gone])), F.array(*[F.lit(n) for n in new]))
     )
-    rest = lambda m: F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: ~k.isin(*gone, *new))))
+
+    def rest(m):
+        return F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: ~k.isin(*gone, *new))))
+
     return (tags(out) == want) & (rest(source) == rest(out))
 
 

@@ -204,7 +204,10 @@ def search_quality(curves: DataFrame, key: str, limit: str, sizes: str) -> DataF
     ``sizes`` is the array of sizes of quality 1, 2, ... 100. The bisection is
     reproduced step by step, since curves need not be monotone.
     """
-    size = lambda q: F.element_at(F.col(sizes), q.cast("int"))
+
+    def size(q):
+        return F.element_at(F.col(sizes), q.cast("int"))
+
     lo, hi, ans = F.lit(1), F.lit(100), F.lit(1)
     rows = curves.withColumns({"_lo": lo, "_hi": hi, "_ans": ans})
     for _ in range(7):
@@ -220,9 +223,12 @@ def search_quality(curves: DataFrame, key: str, limit: str, sizes: str) -> DataF
         ).withColumns({"_lo": F.col("_nlo"), "_hi": F.col("_nhi")})
     near = F.sequence(F.greatest(F.col("_ans") - 3, F.lit(1)), F.least(F.col("_ans") + 3, F.lit(100)))
     start = F.struct(F.col("_ans").alias("q"), size(F.col("_ans")).alias("s"))
-    step = lambda acc, q: F.when(
-        (size(q) <= F.col(limit)) & (size(q) >= acc["s"]), F.struct(q.alias("q"), size(q).alias("s"))
-    ).otherwise(acc)
+
+    def step(acc, q):
+        return F.when(
+            (size(q) <= F.col(limit)) & (size(q) >= acc["s"]), F.struct(q.alias("q"), size(q).alias("s"))
+        ).otherwise(acc)
+
     return rows.select(key, F.aggregate(near, start, step)["q"].alias("quality"))
 
 
@@ -318,7 +324,10 @@ def resolve_selection(clips: DataFrame, clip: str, include: list[str] | None, sk
     if len(include_) + len(skip_) > MOST_NAMES:
         raise ValueError(f"over {MOST_NAMES} names in a selection")
     spark, universe = clips.sparkSession, clips.select(clip).distinct()
-    named = lambda names: F.broadcast(spark.createDataFrame([(n,) for n in names], f"{clip} string"))
+
+    def named(names):
+        return F.broadcast(spark.createDataFrame([(n,) for n in names], f"{clip} string"))
+
     known = {r[0] for r in universe.join(named([*include_, *skip_]), clip, "left_semi").collect()}
     if unknown := {*include_, *skip_} - known:
         raise ValueError(f"unknown: {', '.join(sorted(unknown))}")

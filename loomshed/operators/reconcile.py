@@ -100,7 +100,10 @@ def repair_rows(
     The workspace side is left out for frames; rows outside ``scope`` are marked
     so; a drift of the recorded digest is only a note.
     """
-    side = lambda rows, name: manifest.join(rows, key, "left").withColumn("side", F.lit(name))
+
+    def side(rows, name):
+        return manifest.join(rows, key, "left").withColumn("side", F.lit(name))
+
     both = side(dest, "dest").unionByName(
         side(workspace, "workspace").filter(~F.lower(F.col(key)).endswith(".dng"))
     ).join(fresh, key, "left")

@@ -119,7 +119,10 @@ def estimate_band(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """min, interpolated median, nearest-rank p10, p50 and p90 with float ranks, max; nulls take no part."""
     cum = cumulative(rows.filter(F.col(value).isNotNull()), key, value)
     n = F.col("n")
-    at = lambda p: _at_rank(F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(p) * n))), value)
+
+    def at(p):
+        return _at_rank(F.greatest(F.lit(1), F.least(n, F.ceil(F.lit(p) * n))), value)
+
     median = (_at_rank(F.expr("(n + 1) div 2"), value) + _at_rank(F.expr("n div 2 + 1"), value)) / 2
     return cum.groupBy(*key).agg(
         F.max("n").alias("n"),

@@ -150,7 +150,10 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.col("l_quantity").cast("int").alias("v"),
         "l_suppkey",
     )
-    best = lambda x: x.groupBy("clip", "stem").agg(F.max("v").alias("v"))
+
+    def best(x):
+        return x.groupBy("clip", "stem").agg(F.max("v").alias("v"))
+
     a, b = best(lines.filter("l_suppkey % 10 <> 1")), best(lines.filter("l_suppkey % 10 <> 2"))
     return a, b.withColumn("v", F.when(F.col("clip") % 97 != 0, F.col("v")))
 
@@ -206,7 +209,10 @@ def resume_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Frames that a resumed run may skip."""
     d, k = table(spark, sf, "documents"), F.col("doc_id")
     sha, md5 = (lambda x: F.sha2(x.cast("binary"), 256)), (lambda x: F.md5(x.cast("binary")))
-    noisy = lambda m: F.concat("text", F.when(k % m == 0, "?").otherwise(""))
+
+    def noisy(m):
+        return F.concat("text", F.when(k % m == 0, "?").otherwise(""))
+
     side = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id").select("doc_id", md5(noisy(9)).alias("side_sha"))
     return rc.resume_plan(
         d.select("doc_id", sha(F.col("text")).alias("src_sha")),
@@ -235,9 +241,12 @@ def stale_sidecar(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_rederive(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded clips against re-derived ones."""
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("clip"), "o_orderkey")
-    roll = lambda rows, m: rows.groupBy("clip").agg(
-        F.count(F.lit(1)).alias("frames"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
-    ).withColumn("last", F.when(F.col("clip") % m != 0, F.col("last")))
+
+    def roll(rows, m):
+        return rows.groupBy("clip").agg(
+            F.count(F.lit(1)).alias("frames"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
+        ).withColumn("last", F.when(F.col("clip") % m != 0, F.col("last")))
+
     return rc.rederived(
         roll(orders.filter("clip % 9 <> 0"), 4),
         roll(orders.filter("o_orderkey % 50 <> 0"), 8),
@@ -258,8 +267,13 @@ def reel_row_check(spark: SparkSession, sf: str) -> DataFrame:
     from loomshed.sources.records import reel_archives
 
     o = table(spark, sf, "orders")
-    md5 = lambda c: F.md5(c.cast("string").cast("binary"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), c), ", ")
+
+    def md5(c):
+        return F.md5(c.cast("string").cast("binary"))
+
+    def joined(c):
+        return F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), c), ", ")
+
     reels = o.groupBy(F.col("o_custkey").alias("clip")).agg(
         joined(lambda x: F.concat(F.lit("a"), x.cast("string"))).alias("archive"), joined(md5).alias("archive_sha256")
     )
@@ -294,7 +308,10 @@ def source_sha_resolution(spark: SparkSession, sf: str) -> DataFrame:
 def fan_out(spark: SparkSession, sf: str) -> DataFrame:
     """Every file for every destination."""
     d, k = table(spark, sf, "documents"), F.col("doc_id")
-    md5 = lambda c: F.md5(c.cast("binary"))
+
+    def md5(c):
+        return F.md5(c.cast("binary"))
+
     files = d.select("doc_id", F.col("n_chars").alias("size"), md5(F.col("text")).alias("sha256"))
     dests = table(spark, sf, "region")
     there = rc.each_dest(d, dests, "r_name").join(dests, "r_name").filter((k + F.col("r_regionkey")) % 3 == 0)
@@ -357,7 +374,10 @@ def run_rollup(spark: SparkSession, sf: str) -> DataFrame:
     outcome = F.when(F.col("l_linestatus") == "O", "done").when(F.col("l_returnflag") == "R", "skipped").otherwise("failed")
     q = F.col("l_quantity").cast("long")
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), outcome.alias("outcome"), q.alias("q"))
-    is_ = lambda *v: F.col("outcome").isin(*v)
+
+    def is_(*v):
+        return F.col("outcome").isin(*v)
+
     return rows.groupBy("clip").agg(
         F.sum(F.when(is_("done", "skipped"), F.col("q")).otherwise(0)).alias("in_bytes"),
         F.sum(F.when(is_("done"), F.col("q") * 2).otherwise(0)).alias("out_bytes"),
@@ -473,9 +493,12 @@ def partial_set(spark: SparkSession, sf: str) -> DataFrame:
 )
 def name_collision(spark: SparkSession, sf: str) -> DataFrame:
     """Top-level names that two sources share."""
-    top = lambda r: table(spark, sf, "pages").filter(F.col("page_id") % 2 == r).select(
-        F.split_part("url", F.lit("/"), F.lit(4)).alias("name")
-    )
+
+    def top(r):
+        return table(spark, sf, "pages").filter(F.col("page_id") % 2 == r).select(
+            F.split_part("url", F.lit("/"), F.lit(4)).alias("name")
+        )
+
     return top(0).intersect(top(1))
 
 
@@ -505,7 +528,10 @@ def content_rows_identical(spark: SparkSession, sf: str) -> DataFrame:
     """Two reels' rows, compared place by place."""
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "reel")
     place = F.row_number().over(Window.partitionBy("reel").orderBy("o_orderkey")).alias("i")
-    side = lambda r, c: o.filter(F.col("o_orderkey") % 2 == r).select("reel", place, F.col("o_orderstatus").alias(c))
+
+    def side(r, c):
+        return o.filter(F.col("o_orderkey") % 2 == r).select("reel", place, F.col("o_orderstatus").alias(c))
+
     return side(0, "a").join(side(1, "b"), ["reel", "i"], "full").groupBy("reel").agg(
         F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same")
     )

@@ -20,7 +20,10 @@ def linear_table(spark: SparkSession, sf: str) -> DataFrame:
 def code_cost(spark: SparkSession, sf: str) -> DataFrame:
     """category counts of two components, and the bits that their best codes take."""
     p = pl.column_planes(F.col("p"), W)
-    counts = lambda i: codes.category_counts(pl.difference_categories(F.element_at(p, i)))
+
+    def counts(i):
+        return codes.category_counts(pl.difference_categories(F.element_at(p, i)))
+
     rows = sampled(spark, sf).select("vec_id", counts(1).alias("a"), counts(2).alias("b"))
     return rows.select(
         "vec_id", _show(F.col("a")).alias("first"), _show(F.col("b")).alias("second"), codes.expected_bits("a", "b").alias("bits")
@@ -155,7 +158,10 @@ def decimation_rules(spark: SparkSession, sf: str) -> DataFrame:
 def tag_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a frame's tags are its source's, but for those of strips and tiles."""
     k = F.col("p_partkey")
-    pair = lambda t, v: F.struct(F.lit(t).alias("key"), v.cast("string").alias("value"))
+
+    def pair(t, v):
+        return F.struct(F.lit(t).alias("key"), v.cast("string").alias("value"))
+
     source = F.map_from_entries(
         F.array(pair(256, F.col("p_size")), pair(271, F.col("p_brand")), pair(273, F.lit("s")), pair(279, F.lit("n")))
     )
@@ -202,7 +208,10 @@ _SIZES = "[968, 1008, 1928, 1936, 2016, 3856][p_partkey % 6 + 1] AS w, [545, 672
 def candidate_families(spark: SparkSession, sf: str) -> DataFrame:
     """The candidates of a frame's geometry and grid, in order."""
     k, s = F.col("p_partkey") % 6, F.col("p_size") % 5
-    pick = lambda of, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (of + 1).cast("int"))
+
+    def pick(of, *v):
+        return F.element_at(F.array(*[F.lit(x) for x in v]), (of + 1).cast("int"))
+
     rows = table(spark, sf, "part").select(
         "p_partkey",
         pick(k, 968, 1008, 1928, 1936, 2016, 3856).alias("w"),

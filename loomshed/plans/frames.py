@@ -139,7 +139,10 @@ def timed(spark: SparkSession, sf: str) -> DataFrame:
 def timecode_continuity(spark: SparkSession, sf: str) -> DataFrame:
     """Timecodes follow where numbers do."""
     one = timed(spark, sf).groupBy("clip", "num").agg(F.min("tc").alias("tc"))
-    is_ = lambda s: F.count_if(F.col("tc_step") == s)
+
+    def is_(s):
+        return F.count_if(F.col("tc_step") == s)
+
     return gates.timecode_steps(one, "clip", "num", "tc").groupBy("clip").agg(
         is_("OK").alias("n_ok"),
         is_("TC_GAP").alias("n_gap"),
@@ -177,7 +180,10 @@ def reel_continuity(spark: SparkSession, sf: str) -> DataFrame:
 )
 def timecode_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Packed timecodes, checked in order, as frames and as text."""
-    byte = lambda k, m: (F.col("event_id") * k % m).cast("int")
+
+    def byte(k, m):
+        return (F.col("event_id") * k % m).cast("int")
+
     t = table(spark, sf, "events").select(
         "event_id", timecode.parse(byte(7, 256), byte(13, 160), byte(29, 160), byte(31, 64)).alias("t")
     )

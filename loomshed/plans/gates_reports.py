@@ -132,7 +132,10 @@ def _flat_sql(first: str, second: str, out: str) -> str:
 def seams(spark: SparkSession, sf: str) -> DataFrame:
     """Error and steps at a seam against its sides; a seam whose source is never flat has no step."""
     a, b = F.col("a"), F.col("b")
-    known = lambda c: F.round(F.when(~F.isnan(c), c), 6)
+
+    def known(c):
+        return F.round(F.when(~F.isnan(c), c), 6)
+
     return pairs(spark, sf).select(
         "vec_id",
         pg.seam_ratio(a, b, W, H, 4, True, 2).alias("v"),

@@ -215,7 +215,10 @@ def pack_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     p = sampled(spark, sf)
     a, b, c = pl.pack12("p"), pl.pack10(pl.derive_depth(F.col("p"), 10)), pl.pack8(pl.derive_depth(F.col("p"), 8))
     packed = p.select("vec_id", a.alias("a"), b.alias("b"), c.alias("c"))
-    n = lambda x: F.octet_length(x)
+
+    def n(x):
+        return F.octet_length(x)
+
     return packed.select(
         "vec_id",
         _show(pl.unpack12("a")).alias("p12"),

@@ -17,7 +17,10 @@ def sampled_frames(spark: SparkSession, sf: str) -> DataFrame:
 def _sample_sql() -> str:
     """The generator in SQL: 128-bit whole numbers stand in for wrapping 64-bit ones."""
     m = "18446744073709551616::UHUGEINT"
-    mul = lambda a, b: f"((({a}) * {b}::UHUGEINT) % {m})"
+
+    def mul(a, b):
+        return f"((({a}) * {b}::UHUGEINT) % {m})"
+
     z1 = "xor(s, s >> 30)"
     z2 = mul(z1, "13787848793156543929")
     z3 = f"xor({z2}, ({z2}) >> 27)"

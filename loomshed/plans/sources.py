@@ -38,7 +38,10 @@ def _tree(spark: SparkSession, sf: str) -> str:
     rows = table(spark, sf, "nation").join(
         table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("n_nationkey", "n_name", "r_name").limit(files.MOST_FILES).collect()
-    name = lambda r: ("._" if r.n_nationkey % 7 == 3 else "") + r.n_name.replace(" ", "_") + ends[r.n_nationkey % 5]
+
+    def name(r):
+        return ("._" if r.n_nationkey % 7 == 3 else "") + r.n_name.replace(" ", "_") + ends[r.n_nationkey % 5]
+
     files.put_files(spark, root, {f"{r.r_name}/{name(r)}": b"x" * (r.n_nationkey + 1) for r in rows})
     return root
 
@@ -357,7 +360,10 @@ def member_records(spark: SparkSession, sf: str) -> DataFrame:
 )
 def reel_records(spark: SparkSession, sf: str) -> DataFrame:
     """A reel manifest written and read back, its header held against its rows."""
-    sha = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
+
+    def sha(c):
+        return F.sha2(c.cast("string").cast("binary"), 256)
+
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
         F.array_sort(F.collect_list("o_orderkey")).alias("o"), F.sum(F.col("o_orderkey") % 50).alias("frames")
     )
@@ -417,7 +423,10 @@ def qc_records(spark: SparkSession, sf: str) -> DataFrame:
 def pin_records(spark: SparkSession, sf: str) -> DataFrame:
     """A pin table read, and its versions as one line."""
     s = F.col("p_size")
-    under = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+
+    def under(c):
+        return F.replace(c, F.lit(" "), F.lit("_"))
+
     probe = F.when(s % 3 == 0, "version-contains --version").when(s % 3 == 1, "lock-grep x").otherwise("toml-grep version")
     line = F.concat_ws(
         "\t", F.concat(under(F.col("p_name")), F.col("p_partkey").cast("string")), under(F.col("p_type")), probe, F.lit("note")
@@ -468,7 +477,10 @@ def declared_records(spark: SparkSession, sf: str) -> DataFrame:
 def source_digests(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of all offload manifests of a folder; the last manifest by name wins, bad digests count not."""
     d, k = _documents(spark, sf), F.col("doc_id")
-    row = lambda sha: F.concat_ws("\t", "file", F.col("size").cast("string"), sha, F.lit("-"), F.lit("OK"))
+
+    def row(sha):
+        return F.concat_ws("\t", "file", F.col("size").cast("string"), sha, F.lit("-"), F.lit("OK"))
+
     root = scratch(spark, "manifests")
     one = row(F.when(k % 5 == 2, "none").otherwise(F.upper("sha256")))
     two = row(F.sha2(F.col("sha256").cast("binary"), 256))
@@ -487,9 +499,12 @@ def source_digests(spark: SparkSession, sf: str) -> DataFrame:
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of frames; of several rows of a frame the first counts."""
     d, k = table(spark, sf, "documents").select("doc_id"), F.col("doc_id")
-    row = lambda again: F.concat_ws(
-        "\t", k.cast("string"), ((k % 100) / 8.0 + again).cast("string"), ((k % 7) / 4.0).cast("string")
-    )
+
+    def row(again):
+        return F.concat_ws(
+            "\t", k.cast("string"), ((k % 100) / 8.0 + again).cast("string"), ((k % 7) / 4.0).cast("string")
+        )
+
     path = scratch(spark, "anchors")
     lines = d.select(k.alias("o"), row(0).alias("line")).unionByName(d.select((k + 10**12).alias("o"), row(1).alias("line")))
     _lines(lines, F.col("line"), F.col("o"), path, ["a line without values"])
@@ -528,7 +543,9 @@ def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
 def _chains(keys_: pd.Series, sizes: pd.Series) -> pd.Series:
     from loomshed.functions.hashing import c4_of_digest
 
-    id_ = lambda k, n: c4_of_digest(bytes([k % 256, n % 256]) * 32)
+    def id_(k, n):
+        return c4_of_digest(bytes([k % 256, n % 256]) * 32)
+
     return pd.Series([hashlists.render_chain([(n, f"{n}.mhl", id_(int(k), n)) for n in range(1, int(s) % 5 + 1)]) for k, s in zip(keys_, sizes, strict=True)])
 
 
@@ -629,7 +646,10 @@ def _job(spark: SparkSession, sf: str) -> DataFrame:
 def job_reports(spark: SparkSession, sf: str) -> DataFrame:
     """A job report's lines as Markdown, HTML and, over several sources, CSV."""
     j = _job(spark, sf)
-    line = lambda f, name: f.withColumnRenamed("line", name)
+
+    def line(f, name):
+        return f.withColumnRenamed("line", name)
+
     one = line(reports.markdown_lines(j), "markdown").join(line(reports.html_lines(j), "html"), ["clip", "file"])
     return one.join(line(reports.csv_lines(j, ("source", "dest")), "csv"), ["clip", "file"])
 

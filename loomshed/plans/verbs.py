@@ -65,7 +65,10 @@ def verify_checksums(spark: SparkSession, sf: str) -> DataFrame:
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     """Every record of a folder against disk."""
     root, rows, sha = _checked(spark, sf), _nations(spark, sf), lambda d: hashlib.sha256(d).hexdigest()
-    line = lambda rel, d: f"{rel}\t{len(d)}\t{sha(d)}\t-\tOK\n"
+
+    def line(rel, d):
+        return f"{rel}\t{len(d)}\t{sha(d)}\t-\tOK\n"
+
     top = "# m\ndest: {}\n" + "\t".join(records.OFFLOAD[0]) + "\n"
     texts = {
         f"{n}.offload-manifest.tsv": (
@@ -132,7 +135,9 @@ def measure(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes and classes of the frames of two roots, counts added."""
     from loomshed.sources import tiff
 
-    make = lambda w: tiff.write([[(256, 4, [w]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1])]], payload=b"\1" * 2 * w)
+    def make(w):
+        return tiff.write([[(256, 4, [w]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1])]], payload=b"\1" * 2 * w)
+
     root = _folder(spark, "card", {rel: b"broken" if k % 4 == 3 else make(k % 2 + 4) for k, _, rel, _ in _nations(spark, sf)})
     return verbs.measure(spark, [root, root]).rows.select("width", "class", "frames", "clips")
 

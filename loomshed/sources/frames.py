@@ -145,7 +145,10 @@ def raw_frame(content: pd.Series) -> pd.DataFrame:
 
 def metadata_columns(f: str = "facts", timecode: Column | None = None) -> list[Column]:
     """Timecode text, framerate, iso and exposure as strings, '' for what a frame does not say."""
-    c = lambda n: F.col(f"{f}.{n}")
+
+    def c(n):
+        return F.col(f"{f}.{n}")
+
     parts = (timecode if timecode is not None else F.lit(None).cast("string"), c("framerate"), c("iso"), c("exposure"))
     return [F.coalesce(p, F.lit("")).alias(n) for p, n in zip(parts, ("timecode", "framerate", "iso", "exposure"), strict=True)]
 
@@ -166,7 +169,10 @@ ARCHIVE_SIZES = ((3856, 2170), (1936, 1090), (2016, 1344), (3024, 2010))
 
 def tile_dims(w: Column, h: Column, depth: Column) -> Column:
     """struct(tw, th) of a frame size and depth."""
-    pair = lambda a, b: F.struct(F.lit(a).alias("tw"), F.lit(b).alias("th"))
+
+    def pair(a, b):
+        return F.struct(F.lit(a).alias("tw"), F.lit(b).alias("th"))
+
     out = F
     for fw, fh, d, tw, th in GRIDS:
         out = out.when((w == fw) & (h == fh) & (F.lit(True) if d is None else depth == d), pair(tw, th))
@@ -175,7 +181,10 @@ def tile_dims(w: Column, h: Column, depth: Column) -> Column:
 
 def expected_tiles(w: Column, h: Column, tw: Column, th: Column) -> Column:
     """ceil(w/tw) ceil(h/th) in whole numbers; 0 for an empty tile."""
-    up = lambda a, b: F.floor((a + b - 1) / F.nullif(b, F.lit(0)))
+
+    def up(a, b):
+        return F.floor((a + b - 1) / F.nullif(b, F.lit(0)))
+
     return F.when((tw > 0) & (th > 0), up(w, tw) * up(h, th)).otherwise(F.lit(0)).cast("long")
 
 
@@ -188,7 +197,10 @@ def archive_geometry(w: Column, h: Column, depth: Column) -> Column:
 
 def frame_class(f: str = "facts"):
     """raw, camera-lossless, archive or unknown, from a facts column."""
-    c = lambda n: F.col(f"{f}.{n}")
+
+    def c(n):
+        return F.col(f"{f}.{n}")
+
     tiled = c("tile_width").isNotNull()
     camera = (c("width") == 3856) & (c("height") == 2170) & (c("tile_width") == 512) & (c("tile_height") == 368) & (
         c("bits") == 12

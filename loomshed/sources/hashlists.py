@@ -31,7 +31,10 @@ def parse_list(text: str) -> list[dict]:
     if "<!DOCTYPE" in text or "<!ENTITY" in text:
         raise ValueError("document type declarations are refused")
     out = []
-    tag = lambda e: e.tag.rpartition("}")[2]
+
+    def tag(e):
+        return e.tag.rpartition("}")[2]
+
     for el in ET.fromstring(text).iter():
         kind = tag(el)
         if kind not in ("hash", "directoryhash"):
@@ -189,7 +192,10 @@ def parse_chain(text: str) -> list[dict]:
     """Records of a chain file: a number, a path and an id each; anything else raises."""
     if "<!DOCTYPE" in text or "<!ENTITY" in text:
         raise ValueError("document type declarations are refused")
-    name = lambda e: e.tag.rpartition("}")[2]
+
+    def name(e):
+        return e.tag.rpartition("}")[2]
+
     root, out = ET.fromstring(text), []
     if name(root) != "ascmhldirectory":
         raise ValueError(f"a chain begins with {name(root)}")

@@ -56,7 +56,10 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     if splits.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS:
         splits = F.broadcast(splits)
     n = F.col("ahead") + F.col("id") - F.col("first")
-    clean = lambda c: F.rtrim(F.col(c), F.lit("\r"))
+
+    def clean(c):
+        return F.rtrim(F.col(c), F.lit("\r"))
+
     lines = raw.drop("size").join(splits, ["file", "block"])
     name = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # the reader gives paths as URIs
     return lines.select(
@@ -84,7 +87,9 @@ def parse_rows(
     spelling of a null. With ``tolerate_torn`` a bad torn last line is dropped, not rejected.
     """
     parts = F.split("line", TAB)
-    text = lambda i: F.try_element_at(parts, F.lit(i + 1))
+
+    def text(i):
+        return F.try_element_at(parts, F.lit(i + 1))
 
     def value(i: int, kind: str) -> Column:
         if kind != "string":
@@ -302,7 +307,10 @@ def read_reels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     headers: (manifest, created, clips, frames, error); ``error`` names a header that the rows belie.
     """
     rows, bad = parse_rows(body(text_lines(spark, path), REEL_HEADER), *REEL)
-    listed = lambda c: F.transform(F.split(c, ","), lambda p: F.trim(p))
+
+    def listed(c):
+        return F.transform(F.split(c, ","), lambda p: F.trim(p))
+
     rows, bad = _also(rows, bad, F.size(listed("archive")) == F.size(listed("archive_sha256")), "archive lists differ in length")
     rows, bad = _also(
         rows,
@@ -312,7 +320,10 @@ def read_reels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     )
     rows = rows.withColumns({"archive": listed("archive"), "archive_sha256": listed("archive_sha256")}).drop("n")
     held = rows.groupBy("manifest").agg(F.count(F.lit(1)).alias("_c"), F.sum("frames").alias("_f"))
-    number = lambda c: F.split_part(c, F.lit(" "), F.lit(1)).try_cast("bigint")
+
+    def number(c):
+        return F.split_part(c, F.lit(" "), F.lit(1)).try_cast("bigint")
+
     error = (
         F.when(F.col("_c").isNull(), "no rows")
         .when(F.col("clips").isNotNull() & ~number(F.col("clips")).eqNullSafe(F.col("_c")), "clips")
@@ -372,7 +383,10 @@ def source_sha_map(rows: DataFrame) -> DataFrame:
 
 def reel_archives(reels: DataFrame) -> DataFrame:
     """(clip, archive, sha256): the parallel lists of reel rows, place by place; unequal lists raise. Lists may be arrays or joined by ', '."""
-    listed = lambda c: F.split(c, ", ") if dict(reels.dtypes)[c] == "string" else F.col(c)
+
+    def listed(c):
+        return F.split(c, ", ") if dict(reels.dtypes)[c] == "string" else F.col(c)
+
     a, s = listed("archive"), listed("archive_sha256")
     both = F.when(F.size(a) == F.size(s), F.arrays_zip(a.alias("a"), s.alias("s"))).otherwise(
         F.raise_error(F.lit("archive lists differ in length"))
@@ -389,7 +403,10 @@ def camera_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("profile")
     )
     part = F.split("value", r"\s+")
-    number = lambda i: part.getItem(i).try_cast("int")
+
+    def number(i):
+        return part.getItem(i).try_cast("int")
+
     geo = values.filter("key = 'geometry'").select(
         "manifest",
         number(0).alias("w"),

@@ -112,7 +112,10 @@ def audit(spark: SparkSession, root: str, source: str | None = None, dests: dict
 
 def diff(spark: SparkSession, a: str, b: str, strict: bool = False) -> Found:
     """Frames of two folders by clip and stem, their contents' digests against each other."""
-    side = lambda root: hashed(frames.encoded(frames.files(spark, root))).select("clip", "stem", F.col("d_sha256").alias("v"))
+
+    def side(root):
+        return hashed(frames.encoded(frames.files(spark, root))).select("clip", "stem", F.col("d_sha256").alias("v"))
+
     rows = rc.diff(side(a), side(b), ["clip", "stem"], "v")
     return Found(rows, rc.run_verdict(rc.verdict_counts(rows, ["IDENTICAL", "DELTA", "MISSING", "FAILED"]), strict))
 
@@ -174,14 +177,20 @@ def repair(spark: SparkSession, manifest: str, source: str, workspace: str, dest
     recorded = listed.select(F.col("file").alias("rel"), "size", F.col("source_sha256").alias("sha256"))
     if scope is not None:
         rc.repair_scope(recorded, "rel", scope)
-    held = lambda root: hashed(frames.files(spark, root)).select("rel", "d_size", "d_sha256")
+
+    def held(root):
+        return hashed(frames.files(spark, root)).select("rel", "d_size", "d_sha256")
+
     fresh = hashed(frames.files(spark, source)).select(
         "rel", F.col("d_size").alias("f_size"), F.col("d_sha256").alias("f_sha256")
     )
     rows = rc.repair_rows(recorded, held(dest), held(workspace), fresh, "rel", scope)
     action = F.when(F.col("verdict") == "Clean", "none").when(F.col("in_scope"), "copy").otherwise("stays dirty")
     rows = rows.withColumn("action", action)
-    count = lambda a: F.count_if(F.col("action") == a).alias(a.replace(" ", "_"))
+
+    def count(a):
+        return F.count_if(F.col("action") == a).alias(a.replace(" ", "_"))
+
     return Found(rows, rows.agg(count("none"), count("copy"), count("stays dirty"), F.count_if("drifted").alias("drifted")))
 
 
@@ -254,7 +263,10 @@ def run_plan(spark: SparkSession, root: str, out: str, profiles: DataFrame | Non
     action = F.when(~F.col("class").isin("raw", "camera-lossless"), "refuse").when(F.col("skip"), "skip").otherwise("encode")
     rows = seen.join(skip, "rel").select("rel", "clip", "class", action.alias("action"))
     line = rc.camera_line(seen.select("rel", "facts.make", "facts.model"), profiles, "rel", [["make"], ["model"]])
-    count = lambda a: F.count_if(F.col("action") == a).alias(a)
+
+    def count(a):
+        return F.count_if(F.col("action") == a).alias(a)
+
     return Found(rows, rows.agg(count("encode"), count("skip"), count("refuse")).withColumn("camera", F.lit(line)))
 
 
