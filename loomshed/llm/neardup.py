@@ -367,8 +367,13 @@ def _blocks(labelled: DataFrame, key: str, spec: NearDup) -> DataFrame:
         number(F.col("c") - main["c"], F.col("s") - main["s"]).alias("nj"),
     )
     rows = labelled.join(stored(dealt, "dealt"), key)
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def place(n):
+        return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
     members = rows.withColumns({"ask": F.lit(False), "i": place("ni")}).withColumn("j", every("nj"))
     askers = rows.filter("comp <> main").withColumns({"ask": F.lit(True), "i": every("ni")}).withColumn("j", place("nj"))
     return members.unionByName(askers.select(*members.columns)).drop("main", "ni", "nj")
@@ -506,7 +511,10 @@ def grouped(docs: DataFrame, spec: NearDup = NearDup()) -> tuple[DataFrame, Data
 
     # Each node against the least nodes of its bands; the best of those pairs is confirmed.
     star = cand.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+
+    def side(c):
+        return reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+
     sized = star.join(side("a"), "a").join(side("b"), "b").filter(_alike(F.col("n_a"), F.col("n_b"), spec))
     near = stored(_with_estimate(sized, spec), "near-pivots")
     tried = stored(near.groupBy("a").agg(F.max_by("b", F.struct(F.col("est"), -F.col("b"))).alias("b")), "tried")

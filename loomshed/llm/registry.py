@@ -247,10 +247,15 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents")
     found = find_documents(docs, train(docs))
-    text = lambda spans: F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
-    )
-    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
+
+    def text(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def rank(s):
+        return F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
+
     merged = F.transform(
         F.array_sort(
             F.transform(
@@ -260,7 +265,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
         ),
         lambda s: s,
     )
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in KINDS],

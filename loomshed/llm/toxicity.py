@@ -262,7 +262,10 @@ class Scorer:
         """The sums of a text, from its hits if they are known."""
         hits = self.hits(text) if hits is None else hits
         plain = [h for h in hits if not h.quoted]
-        total = lambda kind: math.log1p(sum(h.weight for h in plain if h.kind == kind))
+
+        def total(kind):
+            return math.log1p(sum(h.weight for h in plain if h.kind == kind))
+
         sure = [h for h in plain if not h.kind.startswith("near")]
         return [
             total("word"),
@@ -309,7 +312,11 @@ def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon
         .limit(fit.terms)
         .collect()
     )
-    weigh = lambda r: math.log(r["odds"]) - 0.8 * math.log(fit.purity)  # noqa: E731  evidence beyond what chance entries have
+
+    def weigh(r) -> float:
+        """Evidence beyond what chance entries have."""
+        return math.log(r["odds"]) - 0.8 * math.log(fit.purity)
+
     whole = {r["t"]: r for r in found if r["stem"] == 0}
     stems: dict[str, float] = {}
     for r in sorted((r for r in found if r["stem"] == 1), key=lambda r: (len(r["t"]), r["t"])):
