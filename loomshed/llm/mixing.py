@@ -142,14 +142,15 @@ def plan(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -> Data
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Rows range-partitioned and sorted by ``position``, those without one first.
+    """Rows range-partitioned and sorted by ``position``; those without one are dealt out evenly, before the others of a range.
 
     Sources draw all through the training time, and their schedules are linear, so equal
     ranges of time hold about equal numbers of words: a range is known from the position
     alone, without a look at the others.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    part = F.least(F.floor(F.coalesce("position", F.lit(0.0)) * parts), F.lit(parts - 1)).cast("int")
+    taken = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1))
+    part = F.coalesce(taken, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
     return rows.repartitionById(parts, part).sortWithinPartitions("position", "doc_id")
 
 
