@@ -149,8 +149,8 @@ def in_order(rows: DataFrame) -> DataFrame:
     alone, without a look at the others.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    taken = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1))
-    part = F.coalesce(taken, F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
+    placed = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1))
+    part = F.when(F.col("position").isNotNull(), placed).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
     return rows.repartitionById(parts, part).sortWithinPartitions("position", "doc_id")
 
 
