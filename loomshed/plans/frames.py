@@ -311,13 +311,14 @@ def distribution_gate(spark: SparkSession, sf: str) -> DataFrame:
 def scalar_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys and names."""
     p = table(spark, sf, "part")
+    number = F.col("p_partkey").cast("string")
     path = F.concat(
         F.lit("reel/"),
         F.col("p_brand"),
         F.lit("/"),
         F.replace("p_name", F.lit(" "), F.lit("_")),
         F.lit("_"),
-        F.lpad(F.col("p_partkey").cast("string"), 6, "0"),
+        F.lpad(number, F.greatest(F.lit(6), F.length(number)), "0"),  # to six places at least: lpad cuts what is longer
         F.lit(".dng"),
     )
     d = F.col("p_partkey") % 5

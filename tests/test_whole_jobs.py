@@ -3,6 +3,7 @@
 import html
 from datetime import UTC
 
+import duckdb
 import pyarrow.parquet as pq
 
 from loomshed.operators import planning
@@ -53,3 +54,14 @@ def test_whole_pages_are_escaped(spark):
         want[p["page_id"]] = ('"' + t.replace('"', '""') + '"' if any(c in t for c in ',"\r\n') else t, html.escape(t).replace("&#x27;", "&#39;"))
     got = {r.page_id: (r.csv, r.html_) for r in registry.queries()["text_escapes"](spark, SF).collect()}
     assert got == want and max(len(r["html"]) for r in rows("pages", "html")) > 200
+
+
+def test_numbers_of_more_than_six_digits_are_whole(spark, tmp_path):
+    found = pq.read_table(f"{SF}/part.parquet")
+    numbers = [0, 7, 99_999, 999_999, 1_000_000, 1_000_001, 1_199_999, 12_345_678, 2**53 + 1, 2**62 + 1]
+    at = found.schema.get_field_index("p_partkey")
+    pq.write_table(found.slice(0, len(numbers)).set_column(at, found.schema.field(at), [numbers]), tmp_path / "part.parquet")
+    got = registry.queries()["scalar_keys"](spark, str(tmp_path))
+    want = duckdb.sql(registry.oracle_sql()["scalar_keys"].replace("FROM part", f"FROM '{tmp_path}/part.parquet'"))
+    assert {r.p_partkey: r.num for r in got.collect()} == {n: str(n) for n in numbers}
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
