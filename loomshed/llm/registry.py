@@ -278,6 +278,52 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    from loomshed.llm.trie import numbered, prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(numbered(table(spark, sf, "conversations"))))
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+turns AS MATERIALIZED (
+  SELECT conv_id, strlen(tx) AS bytes, length(ro) || ':' || ro || tx AS item,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, ro, sha256(tx)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS ro, coalesce(text, '') AS tx FROM conversations WHERE conv_id IS NOT NULL)),
+plan AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1), crc),
+rebuilt AS (
+  SELECT p.conv_id, t.pos AS depth, item, bytes FROM plan p JOIN turns t ON t.conv_id = p.base AND t.pos <= h
+  UNION ALL
+  SELECT p.conv_id, t.pos - p.h + least(p.h, coalesce(b.n, 0)), item, bytes
+  FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND t.pos > p.h LEFT JOIN plan b ON b.conv_id = p.base),
+seqs AS MATERIALIZED (
+  SELECT p.conv_id, coalesce(list(item ORDER BY depth) FILTER (item IS NOT NULL), []) AS s,
+    coalesce(list(bytes ORDER BY depth) FILTER (item IS NOT NULL), []) AS b
+  FROM plan p LEFT JOIN rebuilt r ON r.conv_id = p.conv_id GROUP BY 1),
+prefixes AS (SELECT conv_id, d, s[1:d] AS p, s[1:d - 1] AS up, b[d] AS bytes, len(s) = d AS last FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS MATERIALIZED (
+  SELECT d, p, min(conv_id) AS node, count(*) AS n, any_value(up) AS up, (count(*) - 1) * coalesce(any_value(bytes), 0) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+told AS MATERIALIZED (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN kids USING (d, p)),
+below AS (
+  SELECT a AS d, p[1:a] AS p, sum(own) AS saved, count(*) FILTER (k = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM told) GROUP BY ALL)
+SELECT t.node AS conv_id, t.d::BIGINT AS depth, u.node AS parent_conv_id, t.n AS n_convs, t.k AS n_children, leaves AS n_leaves,
+  saved::BIGINT AS saved_tokens, t.ends_sha256
+FROM told t JOIN below USING (d, p) LEFT JOIN told u ON u.d = t.d - 1 AND u.p = t.up
+"""
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """corpus_pipeline.py's run."""
     import corpus_pipeline
@@ -296,6 +342,7 @@ QUERIES = {
     "op8_near_duplicates": (op8_near_duplicates, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
+    "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
     "pipeline": (pipeline, None),
 }
 
