@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomshed.session import table
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
+MODEL_FILE = "piece_bpe_32k.model"
 
 
 def tokenizer(spark: SparkSession, path: str | None = None) -> tuple[bytes, str]:
@@ -324,6 +325,15 @@ FROM told t JOIN below USING (d, p) LEFT JOIN told u ON u.d = t.d - 1 AND u.p =
 """
 
 
+def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode every document by the table of last tokens, and decode it."""
+    import public_tokenizers
+    from loomshed.llm.pieces import encode_documents, read_model
+
+    model = read_model(spark, public_tokenizers.path(MODEL_FILE))
+    return encode_documents(table(spark, sf, "documents"), model, keep=False).drop("token_ids", "decoded_text")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """corpus_pipeline.py's run."""
     import corpus_pipeline
@@ -343,6 +353,7 @@ QUERIES = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
     "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op13_sentencepiece": (op13_sentencepiece, None),
     "pipeline": (pipeline, None),
 }
 
