@@ -24,6 +24,7 @@ table. Models of another type than BPE, and those with user-defined or unused pi
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,14 +53,17 @@ def read_model(spark: SparkSession, path: str) -> bytes:
 
 def merged(symbols: list[str], rank: dict[str, float]) -> list[str]:
     """Neighbours merged by the best-ranked piece that they make, the leftmost of equals first, until none is left."""
-    symbols = list(symbols)
-    while len(symbols) > 1:
-        found = [(rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in rank]
-        if not found:
-            break
-        i = min(found)[1]
-        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-    return symbols
+    s = list(symbols)
+    ranks = [rank.get(a + b, math.inf) for a, b in zip(s, s[1:])]
+    while ranks and (best := min(ranks)) < math.inf:
+        i = ranks.index(best)
+        s[i : i + 2] = [s[i] + s[i + 1]]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = rank.get(s[i - 1] + s[i], math.inf)
+        if i < len(ranks):
+            ranks[i] = rank.get(s[i] + s[i + 1], math.inf)
+    return s
 
 
 @dataclass

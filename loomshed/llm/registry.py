@@ -325,6 +325,44 @@ FROM told t JOIN below USING (d, p) LEFT JOIN told u ON u.d = t.d - 1 AND u.p =
 """
 
 
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, by block-max pruning over an index of all documents."""
+    from loomshed.llm.common import drop_path, scratch
+    from loomshed.llm.lexical import search, write_index
+
+    path = scratch(spark, "lexical")
+    found = search(write_index(table(spark, sf, "documents"), path), table(spark, sf, "benchmark"), 50)
+    drop_path(spark, path)
+    return found
+
+
+OP12_SQL = r"""
+WITH held AS MATERIALIZED (
+  SELECT r, doc_id, w, count(*) AS tf FROM (
+    SELECT row_number() OVER () AS r, doc_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w
+    FROM documents) GROUP BY ALL),
+docs AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM held GROUP BY r),
+corpus AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS total FROM docs),
+asked AS MATERIALIZED (
+  SELECT DISTINCT q, item_id, w FROM (
+    SELECT row_number() OVER () AS q, item_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w
+    FROM benchmark)),
+weights AS (
+  SELECT w, floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS weight
+  FROM (SELECT w, count(*) AS df FROM held GROUP BY w), corpus),
+shares AS (
+  SELECT h.r, doc_id, h.w, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // total)) AS share
+  FROM held h JOIN docs USING (r), corpus WHERE h.w IN (SELECT w FROM asked)),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(weight * share)::BIGINT AS score
+  FROM asked a JOIN weights USING (w) JOIN shares s ON s.w = a.w GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 50
+"""
+
+
 def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Encode every document by the table of last tokens, and decode it."""
     import public_tokenizers
@@ -353,6 +391,7 @@ QUERIES = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
     "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op12_lexical_search": (op12_lexical_search, OP12_SQL),
     "op13_sentencepiece": (op13_sentencepiece, None),
     "pipeline": (pipeline, None),
 }
