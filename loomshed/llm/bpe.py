@@ -3,11 +3,16 @@
 The driver reads the rank file once and ships its bytes with the task (under
 1 MB for a 50k vocabulary); each Python worker builds the encoder once and
 keeps it. Long texts are split at boundaries that no match of the pattern can
-span, so what the library holds at once is bounded by a piece. The cut, before a
-space or newline that follows other than white space, suits patterns in which no
-match goes on from other characters into white space, as the public one's; a
-pattern that takes line ends behind punctuation into one match needs other cuts,
-and texts in pieces would get other ids under it.
+span: before a space or newline that follows other than white space, and around
+long runs of white space. Such a run is one match up to its last character, which
+goes with what follows it; its tokens are merged without the pattern, which the
+library matches by recursion on white space and which ends in an overflow of the
+stack beyond some 700,000 characters. What the library holds at once is a piece,
+that is about ``PIECE_CHARS`` characters, or, where a text has no white space for
+longer, all up to the next, or a run of white space; those are linear in time and
+space. The cuts suit patterns in which no match goes on from other characters into
+white space and a run before other text leaves its last character to it, as the
+public one's; other patterns need other cuts, and long texts would get other ids.
 
 Defined results: a null or empty text has no tokens (the digests are those of
 no bytes); repeated rows stay repeated; other columns are left out, so clashing
@@ -19,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +34,10 @@ PIECE_CHARS = 1 << 15
 #: A space or newline after other than white space: no match of the pattern holds
 #: white space after other characters, so a text cut before it has the ids of its parts.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+# The characters that Unicode calls white space.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+#: Runs of white space from here on are merged without the pattern.
+RUN_CHARS = 1000
 
 _encoders: dict[bytes, object] = {}
 
@@ -63,11 +73,24 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
+def parts(text: str) -> Iterator[tuple[str, bool]]:
+    """A long text in pieces; each with whether it is a run of white space that is one match of the pattern."""
+    at = 0
+    for run in _SPACES.finditer(text):
+        start, end = run.span()
+        if end - start >= RUN_CHARS:
+            stop = end if end == len(text) else end - 1
+            yield from ((p, False) for p in pieces(text[at:start]) if p)
+            yield text[start:stop], True
+            at = stop
+    yield from ((p, False) for p in pieces(text[at:]) if p)
+
+
 def encode(enc, text: str) -> list[int]:
     """Token ids of one whole text, without special tokens."""
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    return [i for p, one in parts(text) for i in (enc._encode_single_piece(p.encode()) if one else enc.encode_ordinary(p))]
 
 
 #: Rows of an output batch, so that ids of long texts do not gather.
