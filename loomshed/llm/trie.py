@@ -25,11 +25,11 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomshed.llm.common import free, scratch, shuffles_dropped, stored
+from loomshed.llm.common import free, stored
 from loomshed.scratch import placed
 
-#: Depths from here on share a folder of the table of turns.
-BANDS = 32
+#: Turns that a live conversation carries along; every so many levels it fetches the next ones.
+AHEAD = 16
 #: Turns of a chain that are summed in one piece.
 SEGMENT = 4096
 #: Ids that are joined to one string.
@@ -48,10 +48,11 @@ def numbered(conversations: DataFrame) -> DataFrame:
         F.octet_length(text).cast("long").alias("bytes"),
     )
     order = placed(narrow, "conv_id", F.col("turn").asc_nulls_first(), "role", "text_digest")
-    ranges = order.groupBy("block", "conv_id").agg(F.min("place").alias("_first"))
-    first = ranges.withColumn("_first", F.min("_first").over(Window.partitionBy("conv_id")))
-    found = order.join(first, ["block", "conv_id"])
-    return found.select("conv_id", (F.col("place") - F.col("_first") + 1).alias("pos"), "digest", "bytes")
+    first = stored(order.groupBy("conv_id").agg(F.min("place").alias("_first")), "trie-first")
+    pos = (F.col("place") - F.col("_first") + 1).alias("pos")
+    found = stored(order.join(first, "conv_id").select("conv_id", pos, "digest", "bytes"), "trie-numbered")
+    free(first)
+    return found
 
 
 def rebuilt(turns: DataFrame, family: int = 5, cycle: int = 9) -> DataFrame:
@@ -89,12 +90,11 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     A conversation without turns is a row of depth 0. Gives conv_id (the node's smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256.
     """
-    turns = _by_depth(turns)
+    turns = stored(turns, "trie-turns")
     # Two sums without order over (depth, turn) tell whether two conversations are one sequence.
     mark = [F.bit_xor(F.xxhash64(*c)) for c in (("depth", "digest"), ("digest", "depth", F.lit(7)))]
-    convs = turns.groupBy("conv_id").agg(F.max("depth").alias("len"), mark[0].alias("x"), mark[1].alias("y"))
-    convs = stored(convs, "trie-convs")
-    members, groups = _root(convs)
+    convs = turns.groupBy("conv_id").agg(F.max("depth").alias("len"), mark[0].alias("x"), mark[1].alias("y"), _ahead(0))
+    members, groups = _root(stored(convs, "trie-convs"))
     nodes, ended, chained, depth = [groups], [], [], 0
     while True:
         done = F.col("alike") | (F.col("len") == depth)
@@ -103,8 +103,11 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
         live = members.filter(~done)
         if live.isEmpty():
             break
+        if depth and depth % AHEAD == 0:
+            further = turns.filter(F.col("depth") > depth).groupBy("conv_id").agg(_ahead(depth))
+            live = stored(live.drop("ahead").join(further, "conv_id"), "trie-live")
         depth += 1
-        members, groups = _level(live, turns, depth)
+        members, groups = _level(live, depth)
         nodes.append(groups)
     chains = _chains(reduce(DataFrame.unionByName, chained), turns)
     whole = _rolled_up(nodes, chains)
@@ -122,13 +125,10 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     )
 
 
-def _by_depth(turns: DataFrame) -> DataFrame:
-    """The turns written in folders by depth, so that a level reads its own; adaptive execution sizes the files."""
-    spark, path = turns.sparkSession, scratch(turns.sparkSession, "trie-turns")
-    banded = turns.withColumn("band", F.least(F.col("depth"), F.lit(BANDS)).cast("int"))
-    with shuffles_dropped(spark):
-        banded.hint("rebalance", "band").write.partitionBy("band").option("compression", "zstd").parquet(path)
-    return spark.read.schema(banded.schema).parquet(path)
+def _ahead(depth: int):
+    """A conversation's next ``AHEAD`` turns below a depth, in order; null elements never arise, shorter ones have fewer."""
+    turn = F.when(F.col("depth").between(depth + 1, depth + AHEAD), F.struct("depth", "digest", "bytes"))
+    return F.sort_array(F.collect_list(turn)).alias("ahead")
 
 
 def _told() -> list:
@@ -148,17 +148,20 @@ def _root(convs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows.agg(*_told()).filter("n > 0").select(F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), "node", "n", "bytes", "alike"),
         "trie-root",
     )
-    return convs.crossJoin(F.broadcast(group.select("node", "alike"))), group  # one row
+    root = group.first()
+    node, alike = (root["node"], root["alike"]) if root else (None, True)
+    return convs.withColumns({"node": F.lit(node).cast("long"), "alike": F.lit(alike)}), group
 
 
-def _level(live: DataFrame, turns: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Members (conv_id, node, len, x, y, alike) and groups (depth, parent, node, n, bytes, alike) of one depth."""
-    here = turns.filter((F.col("band") == min(depth, BANDS)) & (F.col("depth") == depth)).select("conv_id", "digest", "bytes")
-    asked = stored(live.select("conv_id", F.col("node").alias("parent"), "len", "x", "y").join(here, "conv_id"), "trie-live")
+def _level(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Members (conv_id, node, len, x, y, ahead, alike) and groups (depth, parent, node, n, bytes, alike) of one depth."""
+    turn = F.col("ahead")[(depth - 1) % AHEAD]
+    asked = live.select(
+        "conv_id", F.col("node").alias("parent"), "len", "x", "y", "ahead", turn["digest"].alias("digest"), turn["bytes"].alias("bytes")
+    )
     groups = stored(asked.groupBy("parent", "digest").agg(*_told()), "trie-groups")
     members = asked.join(groups.select("parent", "digest", "node", "alike"), ["parent", "digest"])
-    members = stored(members.select("conv_id", "node", "len", "x", "y", "alike"), "trie-members")
-    free(asked)
+    members = stored(members.select("conv_id", "node", "len", "x", "y", "ahead", "alike"), "trie-members")
     return members, groups.select(F.lit(depth).alias("depth"), "parent", "node", "n", "bytes", "alike")
 
 
