@@ -107,24 +107,27 @@ FACTS = T.StructType(
 )
 
 
+def facts_of(data) -> dict:
+    """Facts of one frame's bytes, or of anything that is cut like them; a broken one gives its error."""
+    row: dict = dict.fromkeys(FACTS.names)
+    try:
+        t = tiff.read(data)
+        row |= {n: t.number(tag) for n, tag in _NUMBERS.items()} | {n: t.text(tag) for n, tag in _TEXTS.items()}
+        row |= {n: "{}/{}".format(*r) for n, tag in _RATIOS.items() if (r := t.ratio(tag))}
+        iso = t.number(_ISO)
+        row |= {"iso": None if iso is None else str(iso), "timecode": t.raw(_TIMECODE)}
+    except tiff.Broken as e:
+        row["error"] = str(e)
+    return row
+
+
 @F.pandas_udf(FACTS)
 def facts(content: pd.Series) -> pd.DataFrame:
     """Facts of each frame, from any of its directories; a broken file gives its error, never an exception.
 
     Rationals are ``n/d`` as they stand, not divided.
     """
-    rows = []
-    for data in content:
-        row = dict.fromkeys(FACTS.names)
-        try:
-            t = tiff.read(bytes(data))
-            row |= {n: t.number(tag) for n, tag in _NUMBERS.items()} | {n: t.text(tag) for n, tag in _TEXTS.items()}
-            row |= {n: "{}/{}".format(*r) for n, tag in _RATIOS.items() if (r := t.ratio(tag))}
-            iso = t.number(_ISO)
-            row |= {"iso": None if iso is None else str(iso), "timecode": t.raw(_TIMECODE)}
-        except tiff.Broken as e:
-            row["error"] = str(e)
-        rows.append(row)
+    rows = [facts_of(bytes(data)) for data in content]
     return pd.DataFrame(rows, columns=FACTS.names).astype(dict.fromkeys(_NUMBERS, "Int32"))
 
 
