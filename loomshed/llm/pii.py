@@ -15,9 +15,10 @@ own shape, its neighbours' labels and the labels of the tokens it skips to, with
 penalty. The nodes learned from are those of the corpus, labelled by the patterns,
 and those of altered copies of some of its texts (``alter``), in which a span or a
 number is written in a way that the patterns miss, so that what is hidden has a
-known label. Labels are counted over all nodes; of each label, as it stands and
-altered, at most a bounded number of nodes, least in hash order, is fitted on,
-weighted back to the counts.
+known label. Labels are counted over all nodes. Nodes that copies of a text repeat
+are one context with a count; of each label, as it stands and altered, at most a
+bounded number of contexts, least in hash order, is fitted on, weighted by their
+counts and back to those of all.
 
 Defined results: null and empty texts have no spans; repeated rows stay
 repeated; positions are code points, ends exclusive; columns other than doc_id
@@ -32,9 +33,10 @@ import hashlib
 import random
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomshed.llm.common import free, stored
 
@@ -403,7 +405,7 @@ def alter(text: str, base: list[Span], r: random.Random) -> tuple[str, list[Span
     return text, [], none
 
 
-ROWS = "key long, y int, before int, after int, tied array<int>, f array<float>, based boolean"
+ROWS = "key long, y int, before int, after int, tied array<int>, f array<float>, based boolean, n long"
 
 
 def _examples(text: str, field: Field, r: random.Random | None = None) -> list[dict]:
@@ -446,7 +448,10 @@ def _examples(text: str, field: Field, r: random.Random | None = None) -> list[d
 
 
 def learning_rows(docs: DataFrame, field: Field, altered: bool = False) -> DataFrame:
-    """(key, y, before, after, tied, f, based) of every node of (doc_id, text), or of the altered nodes of altered copies of every text."""
+    """(key, y, before, after, tied, f, based, n) of every node of (text), or of the altered nodes of altered copies of every text.
+
+    A row counts ``n`` times: the ``copies`` of its text, where docs has such a column, or once.
+    """
     kinds = (
         ("key", pa.int64()),
         ("y", pa.int32()),
@@ -455,23 +460,25 @@ def learning_rows(docs: DataFrame, field: Field, altered: bool = False) -> DataF
         ("tied", pa.list_(pa.int32())),
         ("f", pa.list_(pa.float32())),
         ("based", pa.bool_()),
+        ("n", pa.int64()),
     )
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
+            for text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text or not _NODE.search(text):
                     continue
-                if not altered:
-                    rows += _examples(text, field)
-                    continue
-                seed = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
-                for copy in range(field.altered if base_spans(text) else 1):
-                    rows += _examples(text, field, random.Random(seed + copy))
+                if altered:
+                    seed = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+                    new = [e for c in range(field.altered if base_spans(text) else 1) for e in _examples(text, field, random.Random(seed + c))]
+                else:
+                    new = _examples(text, field)
+                rows += [e | {"n": n} for e in new]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, ROWS)
+    copies = F.col("copies") if "copies" in docs.columns else F.lit(1).cast("long")
+    return docs.select(F.col("text").cast("string"), copies).mapInArrow(run, ROWS)
 
 
 def minimise(value_and_slope, x, rounds: int = 200, kept: int = 12):
@@ -560,42 +567,62 @@ def _below(hash_: Column, share: float) -> Column:
     return hash_ <= F.lit(min(_WHOLE - 1, int(_WHOLE * min(share, 1.0))))
 
 
-def _taken(rows: DataFrame, counts: dict[int, int], share: int) -> pa.Table:
-    """At most ``share`` rows of each label, least in hash order; a cut chosen from the counts leaves little more to sort."""
-    cut = F.lit(False)
-    for y, n in counts.items():
-        cut = F.when(F.col("y") == y, _below(F.col("key"), 2.0 * share / n)).otherwise(cut)
-    place = F.row_number().over(Window.partitionBy("y").orderBy("key", "before", "after", F.col("f").cast("string")))
-    return rows.filter(cut).withColumn("place", place).filter(F.col("place") <= share).drop("place", "key", "based").toArrow()
+def contexts(rows: DataFrame) -> DataFrame:
+    """Learning rows by context (a node with its surroundings), with the number of nodes in it; copies of a text are one row each node.
+
+    ``order`` is a hash of the whole row, so that no two contexts share it but by chance.
+    """
+    row = ("key", "y", "before", "after", "tied", "f")
+    return rows.groupBy(*row).agg(F.sum("n").alias("n"), F.max("based").alias("based")).withColumn(
+        "order", F.shiftrightunsigned(F.xxhash64(*row), 1)
+    )
+
+
+def _taken(rows: DataFrame, several: dict[int, int], share: int) -> pa.Table:
+    """Of each label the ``share`` contexts least in hash order; a cut by their number leaves few more to choose from."""
+    narrow = ("y", "before", "after", "tied", "f", "n")
+    parts = [
+        rows.filter((F.col("y") == y) & _below(F.col("order"), 2.0 * share / n)).orderBy("order", *narrow[1:3]).limit(share).select(*narrow)
+        for y, n in sorted(several.items())
+    ]
+    return reduce(DataFrame.unionByName, parts).toArrow() if parts else rows.select(*narrow).limit(0).toArrow()
 
 
 def train(docs: DataFrame, field: Field = Field()) -> Weights:
-    """Learn the field from (doc_id, text): label counts over all nodes, and a bounded sample to fit on.
+    """Learn the field from (doc_id, text): label counts over all nodes, and a bounded sample of contexts to fit on.
 
-    At most ``field.sample`` rows reach the driver, and the texts that are altered
-    are chosen by their hash, at a rate that the count of texts with base spans sets.
+    At most ``field.sample`` contexts reach the driver, each with the number of its nodes. The texts that
+    are altered are chosen by their hash, at a rate that the count of different texts with base spans sets;
+    each is altered once for all its copies. Without a context to learn from the field adds nothing.
     """
-    rows = stored(learning_rows(docs, field), "pii-nodes")
-    told = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("based").alias("texts")).collect()
-    counts, based = {r["y"]: r["n"] for r in told}, sum(r["texts"] for r in told)
+    rows = stored(contexts(learning_rows(docs.select("text"), field)), "pii-contexts")
+    told = _told(rows)
+    based = sum(r["texts"] for r in told)
     if not based:
         free(rows)
         return nothing()
     rate = min(1.0, field.texts / based)
-    chosen = docs.filter(_below(F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string"), F.lit("altered")), 1), rate))
-    others = stored(learning_rows(chosen, field, altered=True), "pii-altered")
-    hidden = {r["y"]: r["n"] for r in others.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    import numpy as np
-
+    text = F.col("text").cast("string")
+    chosen = docs.select(text.alias("text")).filter(_below(F.shiftrightunsigned(F.xxhash64("text", F.lit("altered")), 1), rate))
+    chosen = chosen.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    others = stored(contexts(learning_rows(chosen, field, altered=True)), "pii-altered")
     share, tables, weights = field.sample // (2 * N_LABELS), [], []
-    for frame, total, scale in ((rows, counts, 1.0), (others, hidden, 1.0 / rate)):
-        taken = _taken(frame, total, share)
-        y = taken.column("y").to_numpy()
-        got = np.bincount(y, minlength=N_LABELS)
+    for frame, counts, scale in ((rows, told, 1.0), (others, _told(others), 1.0 / rate)):
+        taken = _taken(frame, {r["y"]: r["several"] for r in counts}, share)
+        total = {r["y"]: r["n"] for r in counts}
+        y, n = (taken.column(c).to_pylist() for c in ("y", "n"))
+        got: dict[int, int] = {}
+        for v, times in zip(y, n, strict=True):
+            got[v] = got.get(v, 0) + times
         tables.append(taken)
-        weights += [scale * total[v] / got[v] for v in y.tolist()]
+        weights += [scale * total[v] * times / got[v] for v, times in zip(y, n, strict=True)]
     free(rows, others)
-    return fit(pa.concat_tables(tables), weights, field)
+    return fit(pa.concat_tables(tables), weights, field) if weights else nothing()
+
+
+def _told(rows: DataFrame) -> list:
+    """Of each label: its nodes, its contexts, and the texts with base spans that begin in one."""
+    return rows.groupBy("y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("several"), F.count_if("based").alias("texts")).collect()
 
 
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>"

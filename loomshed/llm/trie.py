@@ -32,6 +32,8 @@ from loomshed.scratch import placed
 AHEAD = 16
 #: Turns of a chain that are summed in one piece.
 SEGMENT = 4096
+#: Rows of a file of a level's tables: levels are many and can be small, so their files follow their rows.
+FILE_ROWS = 5_000
 #: Ids that are joined to one string.
 PART = 65_536
 
@@ -95,22 +97,24 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     mark = [F.bit_xor(F.xxhash64(*c)) for c in (("depth", "digest"), ("digest", "depth", F.lit(7)))]
     convs = turns.groupBy("conv_id").agg(F.max("depth").alias("len"), mark[0].alias("x"), mark[1].alias("y"), _ahead(0))
     members, groups = _root(stored(convs, "trie-convs"))
-    nodes, ended, chained, depth = [groups], [], [], 0
+    nodes, ended, chained, depth, sizes = [groups], [], [], 0, [1]
     while True:
         done = F.col("alike") | (F.col("len") == depth)
         ended.append(members.filter(done).select("conv_id", "node", "len"))
         chained.append(groups.filter("alike").select("node", "depth", "n"))
         live = members.filter(~done)
-        if live.isEmpty():
+        rows = live.count()
+        if not rows:
             break
+        sizes.append(rows)
         if depth and depth % AHEAD == 0:
             further = turns.filter(F.col("depth") > depth).groupBy("conv_id").agg(_ahead(depth))
             live = stored(live.drop("ahead").join(further, "conv_id"), "trie-live")
         depth += 1
-        members, groups = _level(live, depth)
+        members, groups = _level(live, depth, rows)
         nodes.append(groups)
     chains = _chains(reduce(DataFrame.unionByName, chained), turns)
-    whole = _rolled_up(nodes, chains)
+    whole = _rolled_up(nodes, sizes, chains)
     ends = _ends(reduce(DataFrame.unionByName, ended))
     nothing = hashlib.sha256(b"").hexdigest()
     return whole.join(ends, ["depth", "conv_id"], "left").select(
@@ -131,6 +135,11 @@ def _ahead(depth: int):
     return F.sort_array(F.collect_list(turn)).alias("ahead")
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most so many rows in as many files as they fill."""
+    return df.coalesce(1 + rows // FILE_ROWS)
+
+
 def _told() -> list:
     """The aggregates of a group: its name, its size, the bytes of its turn, and whether its members are one sequence."""
     return [
@@ -153,15 +162,16 @@ def _root(convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return convs.withColumns({"node": F.lit(node).cast("long"), "alike": F.lit(alike)}), group
 
 
-def _level(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _level(live: DataFrame, depth: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Members (conv_id, node, len, x, y, ahead, alike) and groups (depth, parent, node, n, bytes, alike) of one depth."""
     turn = F.col("ahead")[(depth - 1) % AHEAD]
     asked = live.select(
         "conv_id", F.col("node").alias("parent"), "len", "x", "y", "ahead", turn["digest"].alias("digest"), turn["bytes"].alias("bytes")
     )
-    groups = stored(asked.groupBy("parent", "digest").agg(*_told()), "trie-groups")
+    groups = stored(_sized(asked.groupBy("parent", "digest").agg(*_told()), rows), "trie-groups")
     members = asked.join(groups.select("parent", "digest", "node", "alike"), ["parent", "digest"])
-    members = stored(members.select("conv_id", "node", "len", "x", "y", "ahead", "alike"), "trie-members")
+    members = members.select("conv_id", "node", "len", "x", "y", "ahead", "alike")
+    members = stored(_sized(members, rows), "trie-members")
     return members, groups.select(F.lit(depth).alias("depth"), "parent", "node", "n", "bytes", "alike")
 
 
@@ -197,7 +207,7 @@ def _chains(alike: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def _rolled_up(nodes: list[DataFrame], chains: DataFrame) -> DataFrame:
+def _rolled_up(nodes: list[DataFrame], sizes: list[int], chains: DataFrame) -> DataFrame:
     """All nodes with children, leaves and savings, from the deepest level up; a level is joined to sums of the one below."""
     done, below = [], None
     heads = chains.filter("head").select("depth", "parent", F.lit(1).cast("long").alias("leaves"), "saved")
@@ -209,18 +219,16 @@ def _rolled_up(nodes: list[DataFrame], chains: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("kids"), F.sum("leaves").alias("_leaves"), F.sum("saved").alias("_saved")
         )
         zero = F.lit(0).cast("long")
-        below = stored(
-            nodes[depth].join(sums, "node", "left").select(
-                "depth",
-                "parent",
-                "node",
-                "n",
-                F.coalesce("kids", zero).alias("n_children"),
-                F.coalesce("_leaves", F.lit(1).cast("long")).alias("leaves"),
-                ((F.col("n") - 1) * F.col("bytes") + F.coalesce("_saved", zero)).alias("saved"),
-            ),
-            "trie-rolled",
+        below = nodes[depth].join(sums, "node", "left").select(
+            "depth",
+            "parent",
+            "node",
+            "n",
+            F.coalesce("kids", zero).alias("n_children"),
+            F.coalesce("_leaves", F.lit(1).cast("long")).alias("leaves"),
+            ((F.col("n") - 1) * F.col("bytes") + F.coalesce("_saved", zero)).alias("saved"),
         )
+        below = stored(_sized(below, sizes[depth]), "trie-rolled")
         done.append(below)
     flat = chains.select("depth", "parent", "node", "n", "n_children", F.lit(1).cast("long").alias("leaves"), "saved")
     every = reduce(DataFrame.unionByName, done).unionByName(flat)
