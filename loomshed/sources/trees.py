@@ -93,8 +93,13 @@ class Ranges:
 
 
 #: Columns of a frame's file, and those of its directories.
-FILE = "rel string, clip string, name string, stem string, length long, modified timestamp"
-_FILE = T._parse_datatype_string(FILE)
+FILE = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("rel", "clip", "name", "stem")],
+        T.StructField("length", T.LongType()),
+        T.StructField("modified", T.TimestampType()),
+    ]
+)
 
 
 def _facts() -> T.StructType:
@@ -182,7 +187,7 @@ class FrameFiles(DataSource):
         return "loomshed_frames"
 
     def schema(self) -> T.StructType:
-        return T.StructType([*_FILE.fields, *_facts().fields, T.StructField("bytes_read", T.LongType())])
+        return T.StructType([*FILE.fields, *_facts().fields, T.StructField("bytes_read", T.LongType())])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return FrameReader(schema, dict(self.options))
@@ -218,8 +223,20 @@ def safe(rel: str | None) -> str:
     return rel
 
 
+def _drop_folder(fs: pafs.FileSystem, path: str) -> None:
+    """Remove a folder; one that went meanwhile is gone."""
+    try:
+        fs.delete_dir(path)
+    except FileNotFoundError:
+        pass  # an attempt and the job's abort may both remove it
+
+
 class FileWriter(DataSourceWriter):
-    """Files under temporary names, renamed when all tasks have ended well."""
+    """Files under temporary names, renamed when all tasks have ended well.
+
+    An attempt that still runs when the job is given up may leave its folder behind; its name begins with
+    ``STAGE``, so that no reader sees what is in it.
+    """
 
     def __init__(self, root: str):
         self.root, self.job = root, uuid.uuid4().hex
@@ -232,10 +249,14 @@ class FileWriter(DataSourceWriter):
         context = TaskContext.get()
         told = Staged(f"{self._stage(path)}/{context.taskAttemptId()}")
         fs.create_dir(told.folder, recursive=True)
-        for n, row in enumerate(rows):
-            told.names.append(safe(row["rel"]))
-            with fs.open_output_stream(f"{told.folder}/{n}") as out:
-                out.write(bytes(row["content"] or b""))
+        try:
+            for n, row in enumerate(rows):
+                told.names.append(safe(row["rel"]))
+                with fs.open_output_stream(f"{told.folder}/{n}") as out:
+                    out.write(bytes(row["content"] or b""))
+        except BaseException:
+            _drop_folder(fs, told.folder)
+            raise
         return told
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -252,8 +273,7 @@ class FileWriter(DataSourceWriter):
 
     def abort(self, messages: list[Staged | None]) -> None:
         fs, path = opened(self.root)
-        if fs.get_file_info(self._stage(path)).type == pafs.FileType.Directory:
-            fs.delete_dir(self._stage(path))
+        _drop_folder(fs, self._stage(path))
 
 
 class Files(DataSource):
@@ -375,6 +395,8 @@ def copy_files(source: str, plan: DataFrame) -> DataFrame:
                 for dest in set(dests):
                     fs, folder = opened(dest)
                     where = posixpath.dirname(f"{folder}/{rel}")
+                    if fs.get_file_info(where).type != pafs.FileType.Directory:
+                        continue
                     for f in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
                         if f.base_name.startswith(f"{STAGE}{job}-"):
                             fs.delete_file(f.path)
