@@ -28,14 +28,17 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What stands for a space.
 SPACE = "▁"
-#: Words that a worker remembers, and the longest that it does.
-WORDS, LONGEST = 200_000, 64
+#: Words of a generation, of which a worker remembers two, and the longest that it does.
+WORDS, LONGEST = 400_000, 64
+#: Pairs that a worker remembers.
+PAIRS = 2_000_000
 #: Rows of an output batch, so that ids of long texts do not gather.
 ROWS = 500
 #: Marks of spaces and what follows up to the next of them.
@@ -68,80 +71,102 @@ def merged(symbols: list[str], rank: dict[str, float]) -> list[str]:
 
 @dataclass
 class Table:
-    """The automaton of a model and what was learned of pairs and words."""
+    """The automaton of a model and what was learned of pairs and words; pieces go by their ids."""
 
     #: Rank of every piece: smaller is merged sooner.
     rank: dict[str, float]
     ids: dict[str, int]
+    #: Pieces and their lengths by id.
+    pieces: list[str]
+    lengths: list[int]
     #: Ids for a character without a piece, by its bytes; None where the model has no byte pieces.
     byte_ids: list[int] | None
     unknown: int
+    #: Names the ids of all pieces that end at a place, the longest first.
     automaton: object
+    #: Characters that are pieces.
+    letters: frozenset[str]
     #: Whether no piece has a mark of a space behind another character.
     cuts: bool
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
-
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether two tokens side by side stay as they are."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self.pairs[a, b] = merged([*a, *b], self.rank) == [a, b]
-        return known
-
-    def last_tokens(self, word: str) -> list[str]:
-        """For each place in a word of known characters, the last token of what ends there."""
-        last: list[str] = [""] * len(word)
+    #: Whether two ids side by side (the first times the number of pieces, and the second) stay as they are.
+    pairs: dict[int, bool] = field(default_factory=dict)
+    words: Words = field(init=False)
+
+    def __post_init__(self):
+        self.words = Words(self.word_ids)
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side are encoded as just these two; remembered by ``pairs``."""
+        x, y = self.pieces[a], self.pieces[b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a * len(self.pieces) + b] = merged([*x, *y], self.rank) == [x, y]
+        return found
+
+    def last_tokens(self, word: str) -> list[int]:
+        """For the beginnings of a word of known characters, by length, the last token of each."""
+        last = [-1] * (len(word) + 1)
+        lengths, pairs, n = self.lengths, self.pairs, len(self.pieces)
         for end, piece in self.automaton.iter(word):
-            if last[end]:
-                continue
-            before = end - len(piece)
-            if before < 0 or self.compatible(last[before], piece):
-                last[end] = piece
+            if last[end + 1] < 0:
+                before = end + 1 - lengths[piece]
+                if not before:
+                    last[end + 1] = piece
+                elif (left := last[before]) >= 0:
+                    fits = pairs.get(left * n + piece)
+                    if self.compatible(left, piece) if fits is None else fits:
+                        last[end + 1] = piece
         return last
 
-    def tokens(self, word: str) -> list[str]:
-        """The pieces of a word of known characters, recovered from the end backwards."""
+    def tokens(self, word: str) -> list[int]:
+        """The ids of a word of known characters, recovered from the end backwards."""
         last, out, at = self.last_tokens(word), [], len(word)
         while at:
-            out.append(last[at - 1])
-            at -= len(out[-1])
+            out.append(last[at])
+            at -= self.lengths[last[at]]
         out.reverse()
         return out
 
     def _ids(self, word: str) -> Iterator[int]:
+        """Ids of a word with characters that are no pieces."""
         start = 0
         for at, c in enumerate(word):
-            if c not in self.ids:
-                if start < at:
-                    yield from (self.ids[t] for t in self.tokens(word[start:at]))
+            if c not in self.letters:
+                yield from self.tokens(word[start:at])
                 yield from [self.unknown] if self.byte_ids is None else (self.byte_ids[b] for b in c.encode())
                 start = at + 1
-        if start < len(word):
-            yield from (self.ids[t] for t in self.tokens(word[start:] if start else word))
+        yield from self.tokens(word[start:])
 
     def word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a word; those of short ones are remembered."""
-        found = self.words.get(word)
-        if found is None:
-            found = tuple(self._ids(word))
-            if len(word) <= LONGEST:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        """Ids of a word."""
+        return tuple(self.tokens(word) if self.letters.issuperset(word) else self._ids(word))
 
     def encode(self, normalised: str) -> list[int]:
         """Ids of a whole normalised text."""
-        out: list[int] = []
-        known = self.words
-        for word in _WORD.findall(normalised) if self.cuts else [normalised]:
-            out += known.get(word) or self.word_ids(word)
+        found = _WORD.findall(normalised) if self.cuts else [normalised]
+        out = list(chain.from_iterable(map(self.words.__getitem__, found)))
         if self.byte_ids is None:
             out = [i for n, i in enumerate(out) if i != self.unknown or not n or out[n - 1] != i]
         return out
 
 
+class Words(dict):
+    """Ids of words that were met lately: what was not met since the last ``WORDS`` new ones is forgotten in turn."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.older = ids_of, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word) or self.ids_of(word)
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 _tables: dict[bytes, tuple[object, Table]] = {}
 
 
@@ -161,15 +186,19 @@ def table_of(model: bytes) -> tuple[object, Table]:
         rank = {p: -sp.get_score(i) for p, i in ids.items()}
         if strange := set("".join(ids)) - ids.keys():
             raise ValueError(f"pieces hold characters that are no pieces: {sorted(strange)[:5]}")
-        automaton = ahocorasick.Automaton()
-        for piece in ids:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for piece, i in ids.items():
             # A piece that merging does not make of its own characters is never a token.
             if len(piece) == 1 or merged(list(piece), rank) == [piece]:
-                automaton.add_word(piece, piece)
+                automaton.add_word(piece, i)
         automaton.make_automaton()
+        pieces = [sp.id_to_piece(i) for i in every]
         table = Table(
             rank=rank,
             ids=ids,
+            pieces=pieces,
+            lengths=[len(p) for p in pieces],
+            letters=frozenset(p for p in ids if len(p) == 1),
             byte_ids=[sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(map(sp.is_byte, every)) else None,
             unknown=sp.unk_id(),
             automaton=automaton,
