@@ -19,10 +19,11 @@ split like any other. Only one number a source and range is gathered.
 
 Defined results: a null source is a source of its own, last; null and empty
 texts have size 0 and are taken 0 words; repeated rows are documents of their
-own, in any order among themselves, for they are equal; rows that repeat an id,
-or have none and an equal text, share one place of the hash order, and so one
-range, for nothing else tells them apart the same way in every run; an empty
-table gives an empty one.
+own; rows that repeat an id stand in the order of their sizes and then of a hash
+of their texts, so reruns agree whatever the partitioning; equal rows stand in
+any order, for they are equal. Rows that repeat an id, or have none and an equal
+text, are in one range of the hash order. Columns of any name are carried along;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -97,8 +98,9 @@ def plan(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -> Data
     """Every row of ``docs`` (doc_id, source, text) with what the mix takes of it.
 
     (doc_id, source, size, source_size, target, taken, positions): one position
-    a copy, in [0, 1]; then the columns named in ``carry``. The first pass over
-    the texts sums sizes by range, the second places each row in its range.
+    a copy, in [0, 1]; ``tie``, a hash of the text; then the columns named in
+    ``carry``, each as ``carry_`` and its name. The first pass over the texts
+    sums sizes by range, the second places each row in its range.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.coalesce(F.col("text"), F.lit(""))))
     n, digits = docs.count(), 1
@@ -110,6 +112,7 @@ def plan(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -> Data
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         word_count(F.col("text")).alias("size"),
         F.md5(key.cast("binary")).alias("h"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     ).withColumn("range", F.substring("h", 1, digits))
     if not carry:
@@ -122,7 +125,7 @@ def plan(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -> Data
         F.sum("words").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = sums.select("skey", "range", ahead.alias("ahead")).join(told.drop("source"), "skey")
-    inside = Window.partitionBy("skey", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "range").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "range"])
     start = F.col("ahead") + F.col("local")
     passes = F.array(*[F.lit(p) for p in range(math.ceil(mix.most))])
@@ -137,12 +140,13 @@ def plan(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -> Data
         "target",
         (F.col("size") * F.size("starts")).alias("taken"),
         F.transform("starts", lambda c: F.round(position(c, F.col("target"), F.col("slope")), 9)).alias("positions"),
-        *[F.col(f"carry_{c}").alias(c) for c in carry if c not in ("doc_id", "source")],
+        "tie",
+        *[f"carry_{c}" for c in carry],
     )
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Rows range-partitioned and sorted by ``position``; those without one are dealt out evenly, before the others of a range.
+    """Rows of a plan range-partitioned and sorted by ``position``; those without one are dealt out evenly, before the others of a range.
 
     Sources draw all through the training time, and their schedules are linear, so equal
     ranges of time hold about equal numbers of words: a range is known from the position
@@ -151,11 +155,11 @@ def in_order(rows: DataFrame) -> DataFrame:
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1))
     part = F.when(F.col("position").isNotNull(), placed).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
-    return rows.repartitionById(parts, part).sortWithinPartitions("position", "doc_id")
+    return rows.repartitionById(parts, part).sortWithinPartitions("position", "doc_id", "tie")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken, range-sorted by training position."""
     columns = docs.columns
     copies = plan(docs, mix, tuple(columns)).withColumn("position", F.explode("positions"))
-    return in_order(copies).select(*columns)
+    return in_order(copies).select(*[F.col(f"carry_{c}").alias(c) for c in columns])

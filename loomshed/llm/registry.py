@@ -169,7 +169,8 @@ def op7_curriculum(spark: SparkSession, sf: str) -> DataFrame:
 
     p = plan(table(spark, sf, "documents").select("doc_id", "source", "text"))
     first = F.try_element_at("positions", F.lit(1))
-    return in_order(p.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")))
+    told = in_order(p.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"), "tie"))
+    return told.drop("tie")
 
 
 OP7_SQL = r"""

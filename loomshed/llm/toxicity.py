@@ -13,15 +13,15 @@ the score.
 
 Learning sees a bounded sample of labelled rows (``Fit.sample``; the rows least
 in hash order, half of each class at most); document frequencies are counted by
-Spark, and only the lexicon (``Fit.terms`` entries at most) and a few numbers a
+Spark, and only the lexicon, which the sample's rows bound, and a few numbers a
 sampled row reach the driver. The model is fitted on rows that neither the
 lexicon nor its list of clean near-tokens was taken from, so that a kind of hit
 that tells nothing gets no weight. Scoring works on every whole text. Labels,
 language, source and ids are never inputs of a score.
 
 Defined results: null and empty texts have no hits and get the model's base
-score; repeated rows stay repeated; with no labelled rows, or with one class,
-the score is 0.5 less a margin for every text, so that none is predicted toxic.
+score; repeated rows stay repeated; a quotation ends in the line it began in; with
+no labelled rows, or with one class in them or in the half that is fitted on, the score is 0.5 less a margin for every text, so that none is predicted toxic.
 """
 
 from __future__ import annotations
@@ -38,15 +38,49 @@ from loomshed.llm.common import free, stored
 
 _TOKEN = re.compile(r"[^\W_]+")
 
-# Pairs of marks that quote (apostrophes stand in words too, so they are none),
-# words that report speech, words of address.
-QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|‹[^›\n]*›|`[^`\n]*`')
+# Marks that open a quotation with those that close it (apostrophes stand in words
+# too, so they are none), words that report speech, words of address.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "`": "`"}
 REPORTING = frozenset(
     "said says wrote quoted reported called claims dit disait écrit dijo dice escribió sagte schrieb zitat citation cita quote".split()
 )
 ADDRESS = frozenset("you your u ur du dein dir ihr tu ton vous toi tú usted vosotros".split())
 
 
+_OPENING = re.compile("[" + "".join(QUOTES) + "]")
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Leftmost quotations within a line, from an opening mark to the next that closes it; linear, for what was found is looked for once."""
+    after: dict[str, int] = {}
+
+    def following(mark: str, at: int) -> int:
+        if after.get(mark, -1) < at:
+            found = text.find(mark, at)
+            after[mark] = len(text) if found < 0 else found
+        return after[mark]
+
+    out, end = [], 0
+    for m in _OPENING.finditer(text):
+        at = m.start()
+        if at < end:
+            continue
+        close = min(following(c, at + 1) for c in QUOTES[m[0]])
+        if close < min(following("\n", at + 1), len(text)):
+            end = close + 1
+            out.append((at, end))
+    return out
+
+
+def unquoted(text: str) -> str:
+    """The text with a space for each quotation."""
+    out, at = [], 0
+    for a, b in quotations(text):
+        out += [text[at:a], " "]
+        at = b
+    return "".join(out) + text[at:] if out else text
+
+
 @dataclass(frozen=True)
 class Fit:
     """Bounds and thresholds of learning.
@@ -54,8 +88,8 @@ class Fit:
     ``sample``: labelled rows used at most. ``least_docs``: toxic rows of the
     sample that an entry must appear in. ``purity``: least smoothed odds against
     clean rows. ``fuzzy_from``: least length of a word or stem that may be
-    misspelled. ``stems``: lengths of stems tried. ``terms``: entries mined at
-    most, those that tell most. ``window``: tokens of context on each side.
+    misspelled. ``stems``: lengths of stems tried. ``window``: tokens of context
+    on each side.
     """
 
     sample: int = 8000
@@ -63,7 +97,6 @@ class Fit:
     purity: float = 20.0
     fuzzy_from: int = 5
     stems: tuple[int, int] = (4, 7)
-    terms: int = 2000
     window: int = 6
     l2: float = 1.0
 
@@ -245,7 +278,7 @@ class Scorer:
         if not found:
             return []
         out = []
-        quotes = [(m.start(), m.end()) for m in QUOTED.finditer(low)]
+        quotes = quotations(low)
         starts = [q[0] for q in quotes]
         spans = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(low)]
         for i, (a, b, token) in enumerate(spans):
@@ -290,7 +323,7 @@ def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon
     """Entries that toxic rows of the sample have and clean ones hardly do; near copies count as one row, mostly."""
     low, high = fit.stems
     # What is quoted speaks neither for a term nor against it.
-    own = F.regexp_replace(F.lower("text"), QUOTED.pattern, " ")
+    own = F.lower("own")
     words = sample.select(
         "y", "copies", F.explode(F.array_distinct(F.regexp_extract_all(own, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")
     ).filter(F.length("w") >= low)
@@ -304,12 +337,11 @@ def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon
     ).select("y", "copies", "e.*").filter("stem >= 0").distinct()
     counts = entries.groupBy("stem", "t").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     odds = ((F.col("pos") + 0.0) / max(positives, 1)) / ((F.col("neg") + 0.5) / max(negatives, 1))
+    # As many as the sample's rows have entries of their own, which its bound bounds.
     found = (
         counts.filter(F.col("pos") >= fit.least_docs)
         .withColumn("odds", odds)
         .filter(F.col("odds") >= fit.purity)
-        .orderBy(F.desc(F.col("pos") * F.log(F.col("odds"))), "t", "stem")
-        .limit(fit.terms)
         .collect()
     )
 
@@ -318,13 +350,22 @@ def mine(sample: DataFrame, fit: Fit, positives: int, negatives: int) -> Lexicon
         return math.log(r["odds"]) - 0.8 * math.log(fit.purity)
 
     whole = {r["t"]: r for r in found if r["stem"] == 0}
+    lengths = range(low, high + 1)
+    # Of the words that begin with a stem, the number of rows that the commonest is in.
+    most: dict[str, int] = {}
+    for w, r in whole.items():
+        for k in lengths:
+            most[w[:k]] = max(most.get(w[:k], 0), r["pos"])
+
+    def begun(w: str) -> bool:
+        return any(w[:k] in stems for k in lengths)
+
     stems: dict[str, float] = {}
     for r in sorted((r for r in found if r["stem"] == 1), key=lambda r: (len(r["t"]), r["t"])):
         # A stem must stand for more than one word, and its own stem must not be in already.
-        alone = any(w.startswith(r["t"]) and whole[w]["pos"] >= 0.9 * r["pos"] for w in whole)
-        if not alone and not any(r["t"].startswith(s) for s in stems):
+        if most.get(r["t"], 0) < 0.9 * r["pos"] and not begun(r["t"]):
             stems[r["t"]] = weigh(r)
-    words_kept = {w: weigh(r) for w, r in whole.items() if not any(w.startswith(s) for s in stems)}
+    words_kept = {w: weigh(r) for w, r in whole.items() if not begun(w)}
     return Lexicon(words_kept, stems, fuzzy_from=fit.fuzzy_from)
 
 
@@ -339,7 +380,7 @@ def _map_features(rows: DataFrame, lexicon: Lexicon, window: int) -> DataFrame:
 
 
 def _with_copies(rows: DataFrame) -> DataFrame:
-    """Adds ``copies``, the least hash of three words in a row, which near copies mostly share."""
+    """Adds ``copies``, the least hash of three words in a row, which near copies mostly share, and ``own``, the text without quotations."""
 
     def run(batches):
         import xxhash
@@ -351,10 +392,13 @@ def _with_copies(rows: DataFrame) -> DataFrame:
                 keys.append(
                     min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0)
                 )
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "y", "copies"])
+            own = [unquoted(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(keys, pa.int64()), pa.array(own, pa.string())], names=["doc_id", "text", "y", "copies", "own"]
+            )
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(
-        run, "doc_id long, text string, y int, copies long"
+        run, "doc_id long, text string, y int, copies long, own string"
     )
 
 
@@ -393,6 +437,11 @@ def logistic(x: list[list[float]], y: list[int], fit: Fit) -> list[float]:
     return [float(v) for v in w]
 
 
+def nothing(fit: Fit) -> Model:
+    """The model of labels that tell nothing: one score for all, below the half."""
+    return Model(Lexicon({}, {}), [-1.0] + [0.0] * len(FEATURES), fit.window)
+
+
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).
 
@@ -409,13 +458,17 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     )
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
-        return Model(Lexicon({}, {}), [-1.0] + [0.0] * len(FEATURES), fit.window)
+        free(sample)
+        return nothing(fit)
     # Weights come from rows that the lexicon was not mined from, so chance entries
     # get no trust; the final lexicon is mined from both halves.
     part = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     lexicon = mine(sample.filter(part == 0), fit, n[1] // 2, n[0] // 2)
     lexicon.clean = _near_clean(sample.filter(part == 0), lexicon)
     told = _map_features(sample.filter(part == 1), lexicon, fit.window).collect()
+    if len({r["y"] for r in told}) < 2:
+        free(sample)
+        return nothing(fit)
     weights = logistic([r["f"] for r in told], [r["y"] for r in told], fit)
     lexicon = mine(sample, fit, n[1], n[0])
     lexicon.clean = _near_clean(sample, lexicon)
