@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomshed.plans.registry import register
+from loomshed.plans.sources import _lines
 from loomshed.scratch import scratch
 from loomshed.session import table
 from loomshed.sources import records
@@ -29,7 +30,7 @@ def record_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT floor(epoch(ts))::BIGINT AS created, event_type AS command, 'reel' || user_id AS output FROM events WHERE event_id % 7 <> 3",
 )
 def torn_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """A ledger of mixed arities with bad rows between; bad rows are skipped."""
+    """A ledger of mixed arities with bad rows between, beside ledgers of no known version, which are not read."""
     e = table(spark, sf, "events")
     created = F.when(F.col("event_id") % 7 == 3, "soon").otherwise(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"))
     cells = [
@@ -46,6 +47,7 @@ def torn_ledger(spark: SparkSession, sf: str) -> DataFrame:
     ]
     line = F.concat_ws("\t", *cells, F.when(F.col("event_id") % 2 == 0, "s"), F.when(F.col("event_id") % 4 == 0, "x"))
     path = scratch(spark, "ledger")
-    e.select(line.alias("value")).write.text(path)
+    for name, top in (("known", ["version: 3", "\t".join(records.LEDGER[0])]), ("later", ["version: 9"]), ("none", [])):
+        _lines(e, line, F.col("event_id"), f"{path}/kind={name}", top)
     rows, _ = records.read_ledger(spark, path)
     return rows.select("created", "command", "output")

@@ -16,12 +16,12 @@ MAGIC = "# a record"
 
 
 def _lines(rows: DataFrame, line: Column, order: Column, path: str, top: list[str] = (), torn: bool = False) -> None:
-    """Raw text of a record, for readers to judge: given first lines, then lines in order."""
+    """Raw text of a record, for readers to judge: given first lines, then lines in order, in as many files as there are ranges."""
     spark = rows.sparkSession
     head = spark.createDataFrame([(i - len(top), t) for i, t in enumerate(top)], "o long, value string") if top else None
     body = rows.select(order.cast("long").alias("o"), line.alias("value"))
     whole = head.unionByName(body) if head is not None else body
-    whole.repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)
+    whole.repartitionByRange("o").sortWithinPartitions("o").select("value").write.text(path)
 
 
 # Scans. A tree of small files stands for a card.

@@ -15,18 +15,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomshed.scratch import file_system, hadoop_path
+
 TAB = "\t"
 #: Splits whose counts are broadcast, at most; those of more are joined.
 MOST_SPLITS = 200_000
+#: First lines of a ledger's records that an append looks at.
+MOST_VERSIONS = 1000
 #: Rows of a file that a record is written to; a larger record is several files, in order.
 FILE_ROWS = 1_000_000
 
 
+#: A part of what one job of Spark has written to a folder: number, job, file of the task.
+_PART = r"^(.*/part-)[0-9]+(-[0-9a-f-]{36}-c)[0-9]+([^/]*)$"
+
+
 def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(manifest, n, line, torn, head) of every line below ``path``, or of the files at any depth whose names match ``glob``.
 
     ``manifest`` is the file's path, ``n`` counts from 0 in each file, ``head`` is its first line, and ``torn`` marks a
-    last line without an end. Files must not be compressed.
+    last line without an end. Files must not be compressed. The files that one job has written to a folder are one
+    record, in the order of their numbers: it goes by the path of the first, its lines are counted through, and its
+    head is that of the first file.
     """
     raw = spark.read.text(path, lineSep="\n", **({"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {})).select(
         F.col("_metadata.file_path").alias("file"),
@@ -42,16 +52,21 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         F.max("size").alias("size"),
         F.min_by("value", "id").alias("top"),
     )
-    whole = Window.partitionBy("file")
-    ahead = F.sum("c").over(whole.orderBy("block")) - F.col("c")
+    splits = splits.withColumn("record", F.regexp_replace("file", _PART, "$1*$2*$3"))
+    splits = splits.withColumn("open", F.sum("bytes").over(Window.partitionBy("file")) > F.col("size"))
+    whole = Window.partitionBy("record")
+    order = whole.orderBy("file", "block")
+    ahead = F.sum("c").over(order) - F.col("c")
+    last = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     splits = splits.select(
         "file",
         "block",
         "first",
         ahead.alias("ahead"),
         (F.sum("c").over(whole) - 1).alias("last"),
-        (F.sum("bytes").over(whole) > F.col("size")).alias("open"),
-        F.first("top").over(whole.orderBy("block")).alias("head"),
+        F.last("open").over(last).alias("open"),
+        F.first("top").over(order).alias("head"),
+        F.first("file").over(order).alias("manifest"),
     )
     if splits.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS:
         splits = F.broadcast(splits)
@@ -61,7 +76,7 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         return F.rtrim(F.col(c), F.lit("\r"))
 
     lines = raw.drop("size").join(splits, ["file", "block"])
-    name = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # the reader gives paths as URIs
+    name = F.url_decode(F.replace("manifest", F.lit("+"), F.lit("%2B")))  # the reader gives paths as URIs
     return lines.select(
         name.alias("manifest"),
         n.alias("n"),
@@ -335,9 +350,35 @@ def read_reels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     ), rows, bad
 
 
+# The first lines of ledgers that are read, with the columns that the second line names.
+LEDGER_VERSIONS = {"version: 1": 10, "version: 2": 11, "version: 3": 12}
+
+
+def _of_version(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of ledgers of a known version below their two header lines, and the rejects that name the others.
+
+    A ledger of an unknown version, or of none, is one reject and none of its lines is read; a second line
+    that is not the version's column line is a reject, too, and is passed over.
+    """
+    known = F.col("head").isin(*LEDGER_VERSIONS)
+    names = F.create_map(*[x for v, k in LEDGER_VERSIONS.items() for x in (F.lit(v), F.lit(TAB.join(LEDGER[0][:k])))])
+    why = (
+        F.when(~known & (F.col("n") == 0), F.when(F.col("head").startswith("version: "), "unknown version").otherwise("no version"))
+        .when(known & (F.col("n") == 1) & (F.col("line") != F.try_element_at(names, "head")), "unexpected columns")
+    )
+    told = lines.withColumn("reason", why)
+    bad = told.filter("reason is not null").select("manifest", "n", "line", "reason")
+    return lines.filter(known & (F.col("n") > 1) & (F.trim("line") != "")), bad
+
+
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Ledger rows of 10, 11 or 12 columns in files of any version; bad rows are the rejects."""
-    return records(spark, path, *LEDGER, arities=[10, 11, 12], tolerate_torn=True)
+    """Ledger rows of 10, 11 or 12 columns, in ledgers of any known version; what is not read is named by the rejects.
+
+    A torn last line that is no row is dropped.
+    """
+    lines, unread = _of_version(text_lines(spark, path))
+    rows, bad = parse_rows(lines, *LEDGER, arities=[10, 11, 12], tolerate_torn=True)
+    return rows.drop("n"), bad.unionByName(unread)
 
 
 def read_pins(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -446,10 +487,13 @@ def write_record(
     heads: dict[str, object] | None = None,
     feet: dict[str, object] | None = None,
     header: str | None = None,
+    mode: str = "overwrite",
 ) -> None:
     """A record: magic, header lines, columns, then rows sorted by ``order``, then closing lines; the same rows give the same bytes.
 
-    Up to ``FILE_ROWS`` rows are one file. More are several, whose order is that of their names, so no task holds more.
+    Up to ``FILE_ROWS`` rows are one file. More are several, whose order is that of their names, so no task holds
+    more; the first lines stand in the first of them and the closing lines in the last, and ``text_lines`` reads
+    all of them as one record.
     """
     n = rows.count()
     line: Column = F.concat_ws(TAB, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
@@ -461,7 +505,7 @@ def write_record(
     sort = ["a", "i", "b", "value"]
     frame.unionByName(body_).repartitionByRange(
         max(1, -(-n // FILE_ROWS)), *sort
-    ).sortWithinPartitions(*sort).select("value").write.mode("overwrite").text(path)
+    ).sortWithinPartitions(*sort).select("value").write.mode(mode).text(path)
 
 
 def write_checksums(rows: DataFrame, path: str, magic: str, tool: str) -> None:
@@ -547,9 +591,19 @@ def write_reels(rows: DataFrame, path: str, magic: str, created: int, tool: str)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Rows added to a ledger: new files beside those that are there, never one rewritten; readers take files of any version."""
-    line = F.concat_ws(TAB, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LEDGER[0]])
-    rows.select(line.alias("value")).write.mode("append").text(path)
+    """Rows added to a ledger: a record of the newest version beside those that are there; none is rewritten or left half written.
+
+    The whole append is one job, whose files are one record with a version and a column line; readers take
+    records of any version. Where the folder holds a record of an unknown version, the append is refused.
+    """
+    spark = rows.sparkSession
+    folder = hadoop_path(spark, path)
+    if file_system(spark, path).exists(folder):
+        heads = text_lines(spark, path).filter("n = 0").select("head").distinct().limit(MOST_VERSIONS).collect()
+        if strange := sorted({r["head"] for r in heads} - LEDGER_VERSIONS.keys()):
+            raise ValueError(f"the ledger holds records of an unknown version: {strange}")
+    version, n = list(LEDGER_VERSIONS.items())[-1]
+    write_record(rows, path, version, LEDGER[0][:n], "created", mode="append")
 
 
 def render_profile(identity: dict[str, str], geometries: list[tuple[int, int, int, str]], magic: str) -> str:

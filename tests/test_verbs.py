@@ -106,8 +106,8 @@ def test_restore_ledger_statistics(spark, card):
     got = {r.rel[-5]: (r.n, r.action) for r in verbs.restore(spark, offenders, str(root / "master")).rows.collect()}
     assert got == {"2": (1, "restore"), "3": (2, "master bad"), "7": (3, "no master")}
     assert verbs.restore(spark, offenders, str(root / "master"), nth=2).rows.count() == 1
-    line = "\t".join(["{}", "audit", *["x"] * 8])
-    (root / "ledger.tsv").write_text(f"# l\n{line.format(5)}\n{line.format('soon')}\n{line.format(9)}\n")
+    line, TOP = "\t".join(["{}", "audit", *["x"] * 8]), "\t".join(records.LEDGER[0][:10])
+    (root / "ledger.tsv").write_text(f"version: 1\n{TOP}\n{line.format(5)}\n{line.format('soon')}\n{line.format(9)}\n")
     found = verbs.ledger(spark, str(root / "ledger.tsv"), since=6, as_json=True)
     assert ['"created":9' in r.line for r in found.rows.collect()] == [True] and found.summary.first().rejects == 1
     samples = spark.createDataFrame([("c", f, v) for f, vs in (("flat", [5] * 9), ("wide", [0, 4000])) for v in vs], "c string, f string, v int")
