@@ -10,7 +10,7 @@ from loomshed.operators import reconcile as rc
 from loomshed.plans.registry import register
 from loomshed.scratch import scratch, stored
 from loomshed.session import table
-from loomshed.sources import files, frames, hashlists, records, reports, signatures, tiff
+from loomshed.sources import frames, hashlists, records, reports, signatures, tiff, trees
 
 MAGIC = "# a record"
 
@@ -26,23 +26,21 @@ def _lines(rows: DataFrame, line: Column, order: Column, path: str, top: list[st
 
 # Scans. A tree of small files stands for a card.
 
-_TREE = """SELECT n_nationkey AS k, '/' || r_name || '/' || CASE WHEN n_nationkey % 7 = 3 THEN '._' ELSE '' END || replace(n_name, ' ', '_') || CASE n_nationkey % 5 WHEN 0 THEN '.dng' WHEN 1 THEN '.DNG' WHEN 2 THEN '.txt'
-  WHEN 3 THEN '.checksums.tsv' ELSE '.offload-manifest.tsv' END AS path, n_nationkey + 1 AS length FROM nation JOIN region ON n_regionkey = r_regionkey"""
+_TREE = """SELECT doc_id AS k, '/' || source || '/' || CASE WHEN doc_id % 7 = 3 THEN '._' ELSE '' END || 'd' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.dng' WHEN 1 THEN '.DNG' WHEN 2 THEN '.txt'
+  WHEN 3 THEN '.checksums.tsv' ELSE '.offload-manifest.tsv' END AS path, strlen(coalesce(text, '')) AS length FROM documents WHERE source IS NOT NULL"""
 _SEEN = f"""SELECT path[2:] AS rel, split_part(path, '/', 2) AS clip, split_part(path, '/', 3) AS name, length FROM ({_TREE}) WHERE NOT starts_with(split_part(path, '/', 3), '._')"""
 
 
 def _tree(spark: SparkSession, sf: str) -> str:
-    """The nations (25 by definition) as files of their regions."""
-    root = scratch(spark, "card")
-    ends = (".dng", ".DNG", ".txt", ".checksums.tsv", ".offload-manifest.tsv")
-    rows = table(spark, sf, "nation").join(
-        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_nationkey", "n_name", "r_name").limit(files.MOST_FILES).collect()
-
-    def name(r):
-        return ("._" if r.n_nationkey % 7 == 3 else "") + r.n_name.replace(" ", "_") + ends[r.n_nationkey % 5]
-
-    files.put_files(spark, root, {f"{r.r_name}/{name(r)}": b"x" * (r.n_nationkey + 1) for r in rows})
+    """The documents as files of their sources, written by executors."""
+    root, k = scratch(spark, "card"), F.col("doc_id")
+    ends = F.array(*map(F.lit, (".dng", ".DNG", ".txt", ".checksums.tsv", ".offload-manifest.tsv")))
+    name = F.concat(
+        F.when(k % 7 == 3, "._").otherwise(""), F.lit("d"), k.cast("string"), F.element_at(ends, (k % 5 + 1).cast("int"))
+    )
+    rows = table(spark, sf, "documents").filter("source is not null")
+    content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    trees.write_files(rows.select(F.concat("source", F.lit("/"), name).alias("rel"), content.alias("content")), root)
     return root
 
 
@@ -51,9 +49,8 @@ def _tree(spark: SparkSession, sf: str) -> str:
     f"SELECT rel, clip, regexp_replace(name, '\\.[^.]*$', '') AS stem, length FROM ({_SEEN}) WHERE lower(name) LIKE '%.dng'",
 )
 def frame_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames below a folder, shadow files left out."""
-    found = frames.encoded(frames.files(spark, _tree(spark, sf)))
-    return found.select("rel", "clip", "stem", "length")
+    """Frames below a folder, shadow files left out; no file is opened."""
+    return trees.frame_files(spark, _tree(spark, sf), ["rel", "clip", "stem", "length"])
 
 
 @register("member_scan", f"SELECT rel, clip, length, lower(name) LIKE '%.dng' AS frame FROM ({_SEEN})")
@@ -114,7 +111,7 @@ def _tiffs(key: pd.Series, size: pd.Series, maker: pd.Series) -> pd.Series:
         lower = [(33434, 5, [(1, s + 1)]), (34855, 3, [100 * s])] if k % 3 == 0 else []
         top += [(51044, 10, [(24000, 1001)])] if k % 2 == 0 else []
         data = tiff.write([top, *([lower] if lower else [])], order, b"\1" * (w * h * bits // 8))
-        return data[: len(data) // 2] if k % 17 == 8 else data + (b"\0\1" if k % 19 == 9 else b"\0\0")
+        return data[:20] if k % 17 == 8 else data + (b"\0\1" if k % 19 == 9 else b"\0\0")
 
     return pd.Series([one(int(k), int(s), m) for k, s, m in zip(key, size, maker, strict=True)])
 
@@ -124,29 +121,39 @@ def _part_files(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", _tiffs(p["p_partkey"], p["p_size"], p["p_brand"]).alias("content"))
 
 
+def _part_tree(spark: SparkSession, sf: str) -> str:
+    """The parts as frames of a tree, written by executors."""
+    root = scratch(spark, "frames")
+    rel = F.format_string("c%d/p%d.dng", F.col("p_partkey") % 10, F.col("p_partkey"))
+    trees.write_files(_part_files(spark, sf).select(rel.alias("rel"), "content"), root)
+    return root
+
+
 @register(
     "frame_facts",
     """WITH f AS (SELECT *, p_partkey % 17 = 8 AS torn FROM part)
     SELECT p_partkey, CASE WHEN NOT torn THEN 4 * (p_size + 1) END AS width, CASE WHEN NOT torn THEN [8, 10, 12, 14][p_partkey % 4 + 1] END AS bits, CASE WHEN NOT torn THEN p_brand END AS make,
       CASE WHEN NOT torn AND p_partkey % 2 = 0 THEN '24000/1001' ELSE '' END AS framerate, CASE WHEN NOT torn AND p_partkey % 3 = 0 THEN (100 * p_size)::VARCHAR ELSE '' END AS iso,
-      CASE WHEN NOT torn AND p_partkey % 3 = 0 THEN '1/' || (p_size + 1) ELSE '' END AS exposure, CASE WHEN torn THEN 'unknown' WHEN p_partkey % 11 = 5 THEN 'unknown' ELSE 'raw' END AS class FROM f
-    WHERE NOT torn""",
+      CASE WHEN NOT torn AND p_partkey % 3 = 0 THEN '1/' || (p_size + 1) ELSE '' END AS exposure, CASE WHEN torn THEN 'unknown' WHEN p_partkey % 11 = 5 THEN 'unknown' ELSE 'raw' END AS class,
+      CASE WHEN torn THEN 'tag 256 points outside the file' END AS error FROM f""",
 )
 def frame_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of frames of either byte order, from directories below the first too."""
-    rows = _part_files(spark, sf).filter("p_partkey % 17 <> 8").select("p_partkey", frames.facts("content").alias("facts"))
+    """Facts of a tree's frames of either byte order, read by ranges, from directories below the first too; broken ones say why."""
+    found = trees.frame_files(spark, _part_tree(spark, sf), ["stem", *frames.FACTS.names], window=1024)
+    rows = found.select(F.substring("stem", 2, 20).cast("long").alias("p_partkey"), F.struct(*frames.FACTS.names).alias("facts"))
     _, *meta = frames.metadata_columns("facts")
-    return rows.select("p_partkey", "facts.width", "facts.bits", "facts.make", *meta, frames.frame_class().alias("class"))
+    return rows.select(
+        "p_partkey", "facts.width", "facts.bits", "facts.make", *meta, frames.frame_class().alias("class"), "facts.error"
+    )
 
 
 @register(
     "raw_frames",
-    """SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'big-endian' WHEN p_partkey % 13 = 6 THEN 'no samples' WHEN p_partkey % 11 = 5 THEN 'compressed' WHEN p_partkey % 4 = 3 THEN 'depth' WHEN p_partkey % 19 = 9 THEN 'tail' END AS error FROM part WHERE p_partkey % 17 <> 8""",
+    """SELECT p_partkey, CASE WHEN p_partkey % 17 = 8 THEN 'tag 256 points outside the file' WHEN p_partkey % 5 = 4 THEN 'big-endian' WHEN p_partkey % 13 = 6 THEN 'no samples' WHEN p_partkey % 11 = 5 THEN 'compressed' WHEN p_partkey % 4 = 3 THEN 'depth' WHEN p_partkey % 19 = 9 THEN 'tail' END AS error FROM part""",
 )
 def raw_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames under the strict rules, with the first rule that each breaks."""
-    rows = _part_files(spark, sf).filter("p_partkey % 17 <> 8")
-    return rows.select("p_partkey", frames.raw_frame("content")["error"].alias("error"))
+    """Frames under the strict rules, broken ones among them, with the first rule that each breaks."""
+    return _part_files(spark, sf).select("p_partkey", frames.raw_frame("content")["error"].alias("error"))
 
 
 @register(
@@ -437,20 +444,28 @@ def pin_records(spark: SparkSession, sf: str) -> DataFrame:
     return reports.canonical_pins(rows, "9")
 
 
+@F.pandas_udf(T.BinaryType())
+def _profiles(key: pd.Series, make: pd.Series) -> pd.Series:
+    """A measured camera a row; of every fourth the geometry lacks its predicates."""
+
+    def one(k: int, m: str) -> bytes:
+        text = records.render_profile(
+            {"camera": f"cam{k}", "make": m, "model": f"m{k}", "naming": "A_*"}, [(k + 1, k + 2, 12, "raw")], MAGIC
+        )
+        return (text.replace(" raw", "") if k % 4 == 3 else text).encode()
+
+    return pd.Series([one(int(k), m) for k, m in zip(key, make, strict=True)])
+
+
 @register(
     "profile_records",
-    """SELECT 'cam' || n_nationkey AS camera, n_name AS make, 'm' || n_nationkey AS model, n_nationkey + 1 AS w, n_nationkey + 2 AS h, 12 AS bits, n_nationkey % 4 <> 3 AS fine FROM nation""",
+    """SELECT 'cam' || s_suppkey AS camera, s_name AS make, 'm' || s_suppkey AS model, (s_suppkey + 1)::INT AS w, (s_suppkey + 2)::INT AS h, 12 AS bits, s_suppkey % 4 <> 3 AS fine FROM supplier""",
 )
 def profile_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Measured cameras written as profiles and loaded as a set."""
-    root, texts = scratch(spark, "profiles"), {}
-    for r in table(spark, sf, "nation").select("n_nationkey", "n_name").limit(files.MOST_FILES).collect():
-        k = r.n_nationkey
-        text = records.render_profile(
-            {"camera": f"cam{k}", "make": r.n_name, "model": f"m{k}", "naming": "A_*"}, [(k + 1, k + 2, 12, "raw")], MAGIC
-        )
-        texts[f"{k}.profile"] = (text.replace(" raw", "") if k % 4 == 3 else text).encode()
-    files.put_files(spark, root, texts)
+    """Measured cameras, each written as a profile by an executor, and loaded as a set."""
+    root, cameras = scratch(spark, "profiles"), table(spark, sf, "supplier")
+    rel = F.format_string("%d.profile", F.col("s_suppkey"))
+    trees.write_files(cameras.select(rel.alias("rel"), _profiles("s_suppkey", "s_name").alias("content")), root)
     head, geo = records.profile_set(spark, root)
     return head.join(geo, "manifest").select("camera", "make", "model", "w", "h", "bits", "fine")
 

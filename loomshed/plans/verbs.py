@@ -1,50 +1,84 @@
-"""Queries of the one-call jobs, over small folders that are made of the nations (25 by definition)."""
+"""Queries of the one-call jobs, over trees of files that executors write of the documents."""
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomshed import verbs
-from loomshed.functions.hashing import crc32c_bytes
+from loomshed.functions import hashing
 from loomshed.plans.registry import register
 from loomshed.scratch import scratch
 from loomshed.session import table
-from loomshed.sources import files, records
+from loomshed.sources import records, trees
+
+CLIPS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+_K = """SELECT k, clip, clip || '/A_' || lpad(k::VARCHAR, 6, '0') || '.dng' AS rel, 'A_' || lpad(k::VARCHAR, 6, '0') AS stem, strlen(n_name) AS size, n_name
+  FROM (SELECT doc_id AS k, ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][doc_id // 7 % 5 + 1] AS clip, coalesce(text, '') AS n_name FROM documents)"""
+#: Rows of a record that a folder holds beside its files.
+BATCH = 1000
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, clip, rel, data): every document as a file of one of five folders."""
+    k = F.col("doc_id")
+    clip = F.element_at(F.array(*map(F.lit, CLIPS)), F.expr("cast(doc_id div 7 % 5 + 1 as int)"))
+    return table(spark, sf, "documents").select(
+        k.alias("k"),
+        clip.alias("clip"),
+        F.concat(clip, F.lit("/A_"), F.lpad(k.cast("string"), 6, "0"), F.lit(".dng")).alias("rel"),
+        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
+    )
 
-_K = "SELECT n_nationkey AS k, r_name AS clip, r_name || '/A_' || lpad(n_nationkey::VARCHAR, 6, '0') || '.dng' AS rel, 'A_' || lpad(n_nationkey::VARCHAR, 6, '0') AS stem, length(n_name) AS size, n_name FROM nation JOIN region ON n_regionkey = r_regionkey"
 
+def _put(rows: DataFrame, name: str, data: Column | None = None) -> str:
+    """A folder of the rows as files, with ``data`` in place of their own."""
+    root = scratch(rows.sparkSession, name)
+    trees.write_files(rows.select("rel", (F.col("data") if data is None else data).alias("content")), root)
+    return root
 
-def _nations(spark: SparkSession, sf: str) -> list:
-    """(k, clip, rel, data) of every nation's file."""
-    rows = table(spark, sf, "nation").join(
-        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    ).limit(files.MOST_FILES).collect()
-    return [(r.n_nationkey, r.r_name, f"{r.r_name}/A_{r.n_nationkey:06d}.dng", r.n_name.encode()) for r in rows]
 
+def _add(rows: DataFrame, root: str, name: Column, top: str, line: Column, *by: Column) -> None:
+    """Records beside files: one of every ``BATCH`` keys of a group, named by the group and the batch."""
+    batch = F.expr(f"cast(k div {BATCH} as string)").alias("batch")
+    body = F.array_join(F.array_sort(F.collect_list("line")), "\n")  # at most BATCH lines
+    told = rows.select(name.alias("name"), batch, line.alias("line"), *by).groupBy("name", "batch").agg(body.alias("body"))
+    rel = F.format_string("%s", F.replace("name", F.lit("*"), F.col("batch")))
+    trees.write_files(told.select(rel.alias("rel"), F.concat(F.lit(top), "body", F.lit("\n")).cast("binary").alias("content")), root)
 
-def _folder(spark: SparkSession, name: str, held: dict[str, bytes]) -> str:
-    root = scratch(spark, name)
-    files.put_files(spark, root, held)
-    return root
+
+def _plus(mark: Column, data: str = "data") -> Column:
+    """The data, with one more byte where ``mark`` holds."""
+    return F.when(mark, F.concat(F.col(data), F.lit(b"!"))).otherwise(F.col(data))
+
+
+def _turned(mark: Column) -> Column:
+    """The data, with another first byte where ``mark`` holds."""
+    other = F.concat(F.lit(b"\0"), F.expr("substring(data, 2)"))
+    return F.when(mark & (F.octet_length("data") > 0), other).otherwise(F.col("data"))
+
+
+def _sha(data: Column) -> Column:
+    return F.sha2(data, 256)
 
 
-def _sidecar(rows: list[tuple[str, int, str, str]]) -> bytes:
-    return "".join(["\t".join(records.CHECKSUMS[0][:4]) + "\n", *(f"{f}\t{n}\t{c}\t{s}\n" for f, n, c, s in rows)]).encode()
+def _size() -> Column:
+    return F.octet_length("data")
 
 
 def _checked(spark: SparkSession, sf: str) -> str:
     """A folder with sidecars that its files belie: k % 5 gives a good row, a wrong size, digest, file or checksum."""
-    held, listed = {}, {}
-    for k, clip, rel, data in _nations(spark, sf):
-        if k % 5 != 3:
-            held[rel] = data
-        sha = hashlib.sha256(data + (b"!" if k % 5 == 2 else b"")).hexdigest()
-        listed.setdefault(clip, []).append(
-            (rel.split("/")[1], len(data) + (k % 5 == 1), f"{crc32c_bytes(data) ^ (k % 5 == 4):08x}", sha)
-        )
-    return _folder(spark, "checked", held | {f"{c}/x.checksums.tsv": _sidecar(rows) for c, rows in listed.items()})
+    rows, k = _documents(spark, sf), F.col("k")
+    root = _put(rows.filter("k % 5 <> 3"), "checked")
+    crc = hashing.crc32c("data").bitwiseXOR((k % 5 == 4).cast("long"))
+    line = F.concat_ws(
+        "\t",
+        F.substring_index("rel", "/", -1),
+        (_size() + (k % 5 == 1).cast("int")).cast("string"),
+        F.lower(F.lpad(F.hex(crc), 8, "0")),
+        _sha(_plus(k % 5 == 2)),
+    )
+    _add(rows, root, F.concat("clip", F.lit("/x*.checksums.tsv")), "\t".join(records.CHECKSUMS[0][:4]) + "\n", line)
+    return root
 
 
 _VERDICT = "CASE k % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'size' WHEN 2 THEN 'sha256' WHEN 3 THEN 'missing' ELSE 'crc32c' END"
@@ -59,30 +93,20 @@ def verify_checksums(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "verb_audit",
     f"""SELECT 'checksums' AS record, rel, {_VERDICT} AS verdict FROM ({_K}) UNION ALL
-    SELECT 'offload', rel, CASE WHEN k % 2 = 0 THEN 'DEST_MISSING' WHEN k % 3 = 0 THEN 'MISSING' WHEN k % 3 = 1 THEN 'SHA' ELSE 'OK' END FROM ({_K}) UNION ALL
+    SELECT 'offload', rel, CASE WHEN k % 2 = 0 THEN 'DEST_MISSING' WHEN k % 3 = 0 THEN 'MISSING' WHEN k % 3 = 1 AND size > 0 THEN 'SHA' ELSE 'OK' END FROM ({_K}) UNION ALL
     SELECT 'sources', rel, CASE WHEN k % 4 = 0 THEN 'MISSING' WHEN k % 4 = 1 THEN 'SIZE' ELSE 'OK' END FROM ({_K})""",
 )
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     """Every record of a folder against disk."""
-    root, rows, sha = _checked(spark, sf), _nations(spark, sf), lambda d: hashlib.sha256(d).hexdigest()
-
-    def line(rel, d):
-        return f"{rel}\t{len(d)}\t{sha(d)}\t-\tOK\n"
-
-    top = "# m\ndest: {}\n" + "\t".join(records.OFFLOAD[0]) + "\n"
-    texts = {
-        f"{n}.offload-manifest.tsv": (
-            top.format(f"/{n}") + "".join(line(rel, d) for k, _, rel, d in rows if k % 2 == n)
-        ).encode() for n in (0, 1)
-    }
-    texts["s.sources.tsv"] = (
-        "# m\n" + "\t".join(records.SOURCES[0]) + "\n" + "".join(
-            f"{rel}\t{len(d) + (k % 4 == 1)}\t{sha(d)}\n" for k, _, rel, d in rows
-        )
-    ).encode()
-    files.put_files(spark, root, texts)
-    dest = _folder(spark, "dest", {rel: d[::-1] if k % 3 == 1 else d for k, _, rel, d in rows if k % 3})
-    card = _folder(spark, "card", {rel: d for k, _, rel, d in rows if k % 4})
+    root, rows, k = _checked(spark, sf), _documents(spark, sf), F.col("k")
+    for n in (0, 1):
+        line = F.concat_ws("\t", "rel", _size().cast("string"), _sha(F.col("data")), F.lit("-"), F.lit("OK"))
+        top = f"# m\ndest: /{n}\n" + "\t".join(records.OFFLOAD[0]) + "\n"
+        _add(rows.filter(k % 2 == n), root, F.lit(f"{n}-*.offload-manifest.tsv"), top, line)
+    line = F.concat_ws("\t", "rel", (_size() + (k % 4 == 1).cast("int")).cast("string"), _sha(F.col("data")))
+    _add(rows, root, F.lit("s*.sources.tsv"), "# m\n" + "\t".join(records.SOURCES[0]) + "\n", line)
+    dest = _put(rows.filter(k % 3 != 0), "dest", _turned(k % 3 == 1))
+    card = _put(rows.filter(k % 4 != 0), "card")
     return verbs.audit(spark, root, card, {"/1": dest}).rows
 
 
@@ -92,23 +116,28 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
 )
 def diff(spark: SparkSession, sf: str) -> DataFrame:
     """Two folders' frames against each other."""
-    rows = _nations(spark, sf)
-    a = _folder(spark, "a", {rel: d for k, _, rel, d in rows if k % 5 != 4})
-    b = _folder(spark, "b", {rel: d + b"!" * (k % 5 == 1) for k, _, rel, d in rows if k % 5 != 3})
+    rows, k = _documents(spark, sf), F.col("k")
+    a = _put(rows.filter(k % 5 != 4), "a")
+    b = _put(rows.filter(k % 5 != 3), "b", _plus(k % 5 == 1))
     return verbs.diff(spark, a, b).rows.select("clip", "stem", "verdict")
 
 
+def _card(spark: SparkSession, sf: str) -> tuple[str, dict[str, str]]:
+    """A source, and two destinations: one holds half of the files, some in another form, the other something else."""
+    rows, k = _documents(spark, sf), F.col("k")
+    other = spark.range(1).select(F.lit("other/file").alias("rel"), F.lit(b"1").alias("data"))
+    x = _put(rows.filter(k % 2 == 0), "x", _plus(k % 3 == 0))
+    return _put(rows, "source"), {"x": x, "y": _put(other, "y")}
+
+
 @register(
     "verb_offload",
     f"SELECT rel, dest, CASE WHEN dest = 'x' AND k % 2 = 0 AND k % 3 <> 0 THEN 'skip' ELSE 'copy' END AS action FROM ({_K}), (VALUES ('x'), ('y')) d(dest)",
 )
 def offload(spark: SparkSession, sf: str) -> DataFrame:
     """What a copy to two destinations has to do."""
-    rows = _nations(spark, sf)
-    source = _folder(spark, "source", {rel: d for *_, rel, d in rows})
-    x = _folder(spark, "x", {rel: d + b"!" * (k % 3 == 0) for k, _, rel, d in rows if k % 2 == 0})
-    y = _folder(spark, "y", {"other/file": b"1"})
-    return verbs.offload_plan(spark, source, {"x": x, "y": y}).rows
+    source, dests = _card(spark, sf)
+    return verbs.offload_plan(spark, source, dests).rows
 
 
 @register(
@@ -116,17 +145,31 @@ def offload(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT rel AS file, dest, size, sha256(n_name) AS source_sha256, sha256(n_name) AS dest_sha256, 'OK' AS verdict FROM ({_K}), (VALUES ('x'), ('y')) d(dest)",
 )
 def offload_copy(spark: SparkSession, sf: str) -> DataFrame:
-    """Files copied to two destinations, of which one held some in another form, and judged by their digests."""
-    rows = _nations(spark, sf)
-    source = _folder(spark, "source", {rel: d for *_, rel, d in rows})
-    dests = {
-        "x": _folder(spark, "x", {rel: d + b"!" * (k % 3 == 0) for k, _, rel, d in rows if k % 2 == 0}),
-        "y": _folder(spark, "y", {"other/file": b"1"}),
-    }
+    """Files copied by executors to two destinations, of which one held some in another form, and judged by their digests."""
+    source, dests = _card(spark, sf)
     found = verbs.offload(spark, source, dests, scratch(spark, "manifests"), "# m").rows
     return found.select("file", "dest", "size", "source_sha256", "dest_sha256", "verdict")
 
 
+@register(
+    "copied_files",
+    f"SELECT rel, dest, size, sha256(n_name) AS sha256, 'COPIED' AS verdict FROM ({_K}), (VALUES ('x'), ('y')) d(dest)",
+)
+def copied_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The record of a copy to two folders, digested while it went on; what arrived is read back."""
+    source = _put(_documents(spark, sf), "source")
+    folders = {scratch(spark, d): d for d in ("x", "y")}
+    rows = _documents(spark, sf).select("rel", F.array(*map(F.lit, folders)).alias("dests"))
+    name = F.create_map(*[F.lit(x) for pair in folders.items() for x in pair])
+    told = trees.copy_files(source, rows).withColumn("dest", F.try_element_at(name, "dest"))
+    there = None
+    for folder, d in folders.items():
+        one = verbs.hashed(verbs.frames.files(spark, folder)).select("rel", F.lit(d).alias("dest"), F.col("d_sha256").alias("there"))
+        there = one if there is None else there.unionByName(one)
+    verdict = F.when(F.col("there").eqNullSafe(F.col("sha256")), F.col("verdict")).otherwise("differs")
+    return told.join(there, ["rel", "dest"], "left").select("rel", "dest", "size", "sha256", verdict.alias("verdict"))
+
+
 @register(
     "verb_measure",
     f"SELECT CASE WHEN k % 4 <> 3 THEN k % 2 + 4 END AS width, CASE WHEN k % 4 = 3 THEN 'unknown' ELSE 'raw' END AS class, 2 * count(*) AS frames, 2 * count(DISTINCT clip) AS clips FROM ({_K}) GROUP BY 1, 2",
@@ -138,7 +181,9 @@ def measure(spark: SparkSession, sf: str) -> DataFrame:
     def make(w):
         return tiff.write([[(256, 4, [w]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1])]], payload=b"\1" * 2 * w)
 
-    root = _folder(spark, "card", {rel: b"broken" if k % 4 == 3 else make(k % 2 + 4) for k, _, rel, _ in _nations(spark, sf)})
+    k = F.col("k")
+    frame = F.when(k % 4 == 3, F.lit(b"broken")).when(k % 2 == 0, F.lit(make(4))).otherwise(F.lit(make(5)))
+    root = _put(_documents(spark, sf), "card", frame)
     return verbs.measure(spark, [root, root]).rows.select("width", "class", "frames", "clips")
 
 
@@ -156,23 +201,24 @@ def derive(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "verb_repair",
-    f"""WITH s AS (SELECT *, k % 3 = 1 AS bad FROM ({_K})) SELECT rel, 'dest' AS side, CASE WHEN k % 3 = 1 THEN 'ShaMismatch' WHEN k % 3 = 2 THEN 'Missing' ELSE 'Clean' END AS verdict,
-      CASE WHEN k % 3 = 0 THEN 'none' WHEN k IN (1, 2) THEN 'copy' ELSE 'stays dirty' END AS action FROM s""",
+    f"""WITH s AS (SELECT *, k % 3 = 1 AND size > 0 AS bad FROM ({_K})) SELECT rel, 'dest' AS side, CASE WHEN bad THEN 'ShaMismatch' WHEN k % 3 = 2 THEN 'Missing' ELSE 'Clean' END AS verdict,
+      CASE WHEN k % 3 <> 2 AND NOT bad THEN 'none' WHEN k IN (1, 2) THEN 'copy' ELSE 'stays dirty' END AS action FROM s""",
 )
 def repair(spark: SparkSession, sf: str) -> DataFrame:
     """What a repair of two rows would do."""
-    rows = _nations(spark, sf)
-    source = _folder(spark, "source", {rel: d for *_, rel, d in rows})
-    dest = _folder(spark, "dest", {rel: d[::-1] if k % 3 == 1 else d for k, _, rel, d in rows if k % 3 != 2})
+    rows, k = _documents(spark, sf), F.col("k")
+    source = _put(rows, "source")
+    dest = _put(rows.filter(k % 3 != 2), "dest", _turned(k % 3 == 1))
     manifest = scratch(spark, "manifest")
-    listed = [(rel, len(d), hashlib.sha256(d).hexdigest(), "-", "OK") for *_, rel, d in rows]
-    records.write_offload(
-        spark.createDataFrame(listed, "file string, size long, source_sha256 string, dest_sha256 string, verdict string"),
-        manifest,
-        "# m",
-        "/d",
+    listed = rows.select(
+        F.col("rel").alias("file"),
+        _size().cast("long").alias("size"),
+        _sha(F.col("data")).alias("source_sha256"),
+        F.lit("-").alias("dest_sha256"),
+        F.lit("OK").alias("verdict"),
     )
-    scope = [rel for k, _, rel, _ in rows if k in (1, 2)]
+    records.write_offload(listed, manifest, "# m", "/d")
+    scope = [r["rel"] for r in rows.filter("k in (1, 2)").select("rel").collect()]  # two names, as typed by hand
     return verbs.repair(spark, manifest, source, source, dest, scope).rows.select("rel", "side", "verdict", "action")
 
 
@@ -182,9 +228,7 @@ def repair(spark: SparkSession, sf: str) -> DataFrame:
 )
 def restore(spark: SparkSession, sf: str) -> DataFrame:
     """Offenders against a master that must verify itself."""
-    offenders = spark.createDataFrame(
-        [(clip, rel) for k, clip, rel, _ in _nations(spark, sf) if k % 2], "clip string, rel string"
-    )
+    offenders = _documents(spark, sf).filter("k % 2 = 1").select("clip", "rel")
     return verbs.restore(spark, offenders, _checked(spark, sf)).rows.select("clip", "rel", "n", "action")
 
 
@@ -194,7 +238,7 @@ def restore(spark: SparkSession, sf: str) -> DataFrame:
 )
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     """What a run of the chosen clips is expected to take."""
-    root = _folder(spark, "card", {rel: d for *_, rel, d in _nations(spark, sf)})
+    root = _put(_documents(spark, sf), "card")
     return verbs.dry_run(spark, root, 2.5, 30_000.0, skip=["ASIA", "EUROPE"]).rows
 
 
@@ -202,13 +246,13 @@ def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     "verb_bake_plan",
     f"""WITH RECURSIVE f AS (SELECT clip, rel, size, row_number() OVER (PARTITION BY clip ORDER BY rel) AS i FROM ({_K})),
     p AS (SELECT clip, rel, i, size AS cur, 0 AS part FROM f WHERE i = 1 UNION ALL
-      SELECT f.clip, f.rel, f.i, CASE WHEN p.cur + f.size > 16 THEN f.size ELSE p.cur + f.size END, CASE WHEN p.cur + f.size > 16 THEN p.part + 1 ELSE p.part END FROM p JOIN f ON f.clip = p.clip AND f.i = p.i + 1)
+      SELECT f.clip, f.rel, f.i, CASE WHEN p.cur + f.size > 20000 THEN f.size ELSE p.cur + f.size END, CASE WHEN p.cur + f.size > 20000 THEN p.part + 1 ELSE p.part END FROM p JOIN f ON f.clip = p.clip AND f.i = p.i + 1)
     SELECT clip, rel, part FROM p""",
 )
 def bake_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of each clip's archive."""
-    root = _folder(spark, "card", {rel: d for *_, rel, d in _nations(spark, sf)})
-    return verbs.bake_plan(spark, root, 16, 100).rows.select("clip", "rel", "part")
+    root = _put(_documents(spark, sf), "card")
+    return verbs.bake_plan(spark, root, 20_000, 1_000_000_000).rows.select("clip", "rel", "part")
 
 
 @register("verb_run_plan", f"SELECT rel, CASE WHEN k % 3 = 0 THEN 'refuse' ELSE 'encode' END AS action FROM ({_K})")
@@ -217,8 +261,10 @@ def run_plan(spark: SparkSession, sf: str) -> DataFrame:
     from loomshed.sources import tiff
 
     frame = tiff.write([[(256, 4, [4]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1])]], payload=b"\1" * 8)
-    root = _folder(spark, "card", {rel: b"broken" if k % 3 == 0 else frame for k, _, rel, _ in _nations(spark, sf)})
-    out = _folder(spark, "out", {"x.checksums.tsv": _sidecar([("nothing", 1, "00000000", "0" * 64)])})
+    k = F.col("k")
+    root = _put(_documents(spark, sf), "card", F.when(k % 3 == 0, F.lit(b"broken")).otherwise(F.lit(frame)))
+    side = "\t".join(records.CHECKSUMS[0][:4]) + f"\nnothing\t1\t00000000\t{'0' * 64}\n"
+    out = _put(spark.range(1).select(F.lit("x.checksums.tsv").alias("rel"), F.lit(side.encode()).alias("data")), "out")
     return verbs.run_plan(spark, root, out).rows.select("rel", "action")
 
 
@@ -228,7 +274,7 @@ def run_plan(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ingest_gate(spark: SparkSession, sf: str) -> DataFrame:
     """The numbers of a folder's frames."""
-    root = _folder(spark, "card", {rel: d for *_, rel, d in _nations(spark, sf)})
+    root = _put(_documents(spark, sf), "card")
     return verbs.ingest_gate(spark, root).rows.select("clip", "frames", "n_missing", "verdict")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomshed.functions import hashing, keys
 from loomshed.operators import gates, planes, planning, reconcile as rc, stats
 from loomshed.scratch import placed
-from loomshed.sources import files, frames, records, reports
+from loomshed.sources import frames, records, reports, trees
 
 
 @dataclass
@@ -143,15 +143,23 @@ def offload_plan(spark: SparkSession, source: str, dests: dict[str, str]) -> Fou
 
 
 def offload(spark: SparkSession, source: str, dests: dict[str, str], out: str, magic: str) -> Found:
-    """Copy what each destination lacks, judge every file there by its digest, and write a manifest a destination below ``out``."""
-    plan = offload_plan(spark, source, dests).rows.filter("action = 'copy'").limit(files.MOST_COPIES + 1).collect()
-    files.copy_files(spark, source.rstrip("/"), [(r.rel, dests[r.dest].rstrip("/")) for r in plan])
+    """Copy what each destination lacks, judge every file there by its digest, and write a manifest a destination below ``out``.
+
+    Executors copy, each file once read for all the destinations that lack it; one that fails ends the job with
+    its name, and what has arrived stays for the next run, which skips it.
+    """
+    folders = F.create_map(*[x for d, f in dests.items() for x in (F.lit(d), F.lit(f.rstrip("/")))]) if dests else None
+    if folders is None:
+        raise ValueError("no destination is given")
+    todo = offload_plan(spark, source, dests).rows.filter("action = 'copy'")
+    plan = todo.groupBy("rel").agg(F.collect_set(F.try_element_at(folders, "dest")).alias("dests"))  # as many as are given
+    told = trees.copy_files(source, plan)
+    if bad := told.filter("verdict <> 'COPIED'").limit(1).collect():
+        raise OSError(f"{bad[0]['rel']} was not copied to {bad[0]['dest']}: {bad[0]['verdict']}")
     rows = None
     for dest, folder in dests.items():
         one = offload_record(spark, source, folder, f"{out}/{dest}", magic, dest).rows.withColumn("dest", F.lit(dest))
         rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
-        raise ValueError("no destination is given")
     return Found(rows, _summary(rows, "OK"))
 
 
