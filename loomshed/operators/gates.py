@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from loomshed.operators.scans import Lag, scan
 from loomshed.scratch import placed
 
 
@@ -12,12 +13,12 @@ def sequence_steps(frames: DataFrame, clip: str, num: str, *tie: str) -> DataFra
 
     Frames with a null number take no part. ``tie`` columns order equal numbers.
     """
-    prev = F.lag(num).over(Window.partitionBy(clip).orderBy(num, *tie))
+    rows = scan(frames.filter(F.col(num).isNotNull()), [clip], [num, *tie], {"prev": Lag(F.col(num))})
     step = F.when(
         F.col("prev").isNull(), F.lit(None).cast("string")
     ).when(F.col(num) == F.col("prev"), "DUP").when(F.col(num) > F.col("prev") + 1, "GAP").otherwise("OK")
     missing = F.when(F.col("step") == "GAP", (F.col(num) - F.col("prev") - 1).cast("long")).otherwise(F.lit(0).cast("long"))
-    return frames.filter(F.col(num).isNotNull()).withColumn("prev", prev).withColumn("step", step).withColumn("missing", missing)
+    return rows.withColumn("step", step).withColumn("missing", missing)
 
 
 def missing_display(prev: Column, num: Column, most: int = 8) -> Column:
@@ -28,7 +29,7 @@ def missing_display(prev: Column, num: Column, most: int = 8) -> Column:
 
 
 def sequence_gate(frames: DataFrame, clip: str, num: str) -> DataFrame:
-    """One verdict a clip. The window and the rollup share one shuffle on the clip."""
+    """One verdict a clip. The window and the rollup share one shuffle on the clip, unless a clip is too large for one window."""
     return (
         sequence_steps(frames, clip, num)
         .groupBy(clip)
@@ -46,11 +47,10 @@ def declared_check(found: DataFrame, declared: DataFrame, clip: str) -> DataFram
 
 def timecode_steps(frames: DataFrame, clip: str, num: str, tc: str) -> DataFrame:
     """TC_GAP or TC_OVERLAP between frames whose numbers follow and whose timecodes both parsed; no midnight wrap."""
-    w = Window.partitionBy(clip).orderBy(num)
     delta = F.col(tc) - F.col("prev_tc")
+    before = {"prev_num": Lag(F.col(num)), "prev_tc": Lag(F.col(tc))}
     return (
-        frames.filter(F.col(num).isNotNull())
-        .withColumns({"prev_num": F.lag(num).over(w), "prev_tc": F.lag(tc).over(w)})
+        scan(frames.filter(F.col(num).isNotNull()), [clip], [num], before)
         .withColumn("delta", F.when(F.col(num) == F.col("prev_num") + 1, delta))
         .withColumn("tc_step", F.when(F.col("delta").isNull(), F.lit(None).cast("string")).when(F.col("delta") == 1, "OK").when(F.col("delta") > 1, "TC_GAP").otherwise("TC_OVERLAP"))
     )
@@ -98,5 +98,5 @@ def class_contract(frames: DataFrame, clip: str, cls: str, *order: str) -> DataF
 
 def consecutive_duplicates(rows: DataFrame, clip: str, order: list[str], digest: str) -> DataFrame:
     """Neighbours within a clip with equal, non-empty digests: a run of k gives k-1 rows."""
-    prev = F.lag(digest).over(Window.partitionBy(clip).orderBy(*order))
-    return rows.withColumn("prev_digest", prev).filter((F.col(digest) == F.col("prev_digest")) & (F.col(digest) != ""))
+    told = scan(rows, [clip], order, {"prev_digest": Lag(F.col(digest))})
+    return told.filter((F.col(digest) == F.col("prev_digest")) & (F.col(digest) != ""))

@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from loomshed.operators.scans import Next, Total, has_hot, scan, scan_ranges
 from loomshed.scratch import placed, stored
 
 _MASK = (1 << 64) - 1
-#: Seed of the deterministic sample.
+# Fixed value: the seed of the deterministic sample.
 SEED = 0x20260916
 
 
@@ -88,114 +89,76 @@ def project_sampled(rows: DataFrame, key: list[str], sampled: str, encoded: str,
     return rows.groupBy(*key).agg(F.round(known + rest / ratio).cast("long").alias("projected"))
 
 
-_ENTRY = "first long, before long, parts long, left long"
-
-
-def _entries(sizes, target: int):
-    """What a run of files makes of the room taken before it: rows (first, before, parts, left).
-
-    While the files up to ``first`` still fit behind what was taken, they join the open part; if
-    file ``first`` is the one that does not, it begins a new part, and from there on the run makes
-    ``parts`` parts and leaves ``left`` in the last. ``before`` is the size of the files in front of
-    it. Only files that can be the first not to fit are listed; the last row is for a run that fits.
-    """
-    n = len(sizes)
-    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    # From a part that begins at i, the next begins at the first j > i with ends[j + 1] - ends[i] > target.
-    nxt = np.maximum(np.searchsorted(ends, ends[:-1] + target, "right") - 1, np.arange(n) + 1)
-    parts, left = np.ones(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for i in range(n - 1, -1, -1):
-        j = int(nxt[i])
-        parts[i], left[i] = (1, ends[n] - ends[i]) if j >= n else (1 + parts[j], left[j])
-    listed = [i for i in range(n) if ends[i] <= target]
-    return [(i, int(ends[i]), int(parts[i]), int(left[i])) for i in listed] + [(n, int(ends[n]), 0, int(ends[n]))]
-
-
-def _after(taken: int | None, entries, target: int, sizes_at) -> tuple[int, int]:
-    """(parts begun, room taken) after a run, from the room taken before it (None: nothing yet)."""
-    if taken is None:
-        first = entries[0]
-        return first[2], first[3]
-    for i, before, parts, left in entries:
-        if parts and taken + before + sizes_at(i) > target:
-            return parts, left
-    return 0, taken + entries[-1][1]
-
-
 def next_fit(files: DataFrame, group: str, order: str, size: str, target: int, most: int | None = None) -> DataFrame:
     """(group, order, part): the part of every file of a group, in order; a new part starts when a non-empty one would pass ``target``.
 
-    A file above ``target`` has a part of its own; one above ``most`` is refused with an error.
-    A running sum that starts again depends on every file before, but a range of files
-    acts on what was taken before it through few numbers. So files are sorted in ranges; each
-    range tells what it makes of any start, as many rows as files fit in a part; one task a group
-    chains the ranges; and each range then deals out its own parts. A hot group is many ranges.
+    A file above ``target`` has a part of its own; one above ``most`` is refused with an error. Groups that one
+    task takes are dealt out by it. Where one has more files, no task walks along it: where a part that begins at
+    a file ends follows from running sums alone, and the beginnings that are met from the first file on are found
+    by pointer doubling, in as many rounds as the number of parts has binary digits.
     """
     rows = files.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
     if most is not None:
         worst = rows.filter(F.col("s") > most).limit(1).collect()
         if worst:
             raise ValueError(f"{worst[0]['g']}: file {worst[0]['o']} is {worst[0]['s']} B, above the most of {most} B")
-    held = placed(rows, F.col("g").asc_nulls_first(), "o")
-    key = files.schema[group].dataType.simpleString()
-
-    def entries(keys, table):
-        table = table.sort_by("place")
-        sizes = table.column("s").to_numpy()
-        out = _entries(sizes, target)
-        first, before, parts, left = (list(c) for c in zip(*out, strict=True))
-        after = [int(sizes[i]) if i < len(sizes) else 0 for i in first]
-        return pa.table(
-            {
-                "g": pa.repeat(keys[0], len(out)),
-                "block": pa.repeat(keys[1], len(out)),
-                "first": first,
-                "before": before,
-                "parts": parts,
-                "left": left,
-                "size": after,
-            }
-        )
-
-    told = stored(held.groupBy("g", "block").applyInArrow(entries, f"g {key}, block int, {_ENTRY}, size long"), "ranges")
-
-    def chain(keys, table):
-        table = table.sort_by([("block", "ascending"), ("first", "ascending")])
-        blocks = table.column("block").to_numpy()
-        cols = [table.column(c).to_pylist() for c in ("first", "before", "parts", "left", "size")]
-        out, taken, part = [], None, -1
-        for block in np.unique(blocks):
-            at = np.flatnonzero(blocks == block).tolist()
-            out.append((int(block), -1 if taken is None else taken, part))
-            sizes = {cols[0][i]: cols[4][i] for i in at}
-            begun, taken = _after(taken, [tuple(cols[c][i] for c in range(4)) for i in at], target, sizes.__getitem__)
-            part += begun
-        b, t, p = zip(*out, strict=True)
-        return pa.table(
-            {
-                "g": pa.repeat(keys[0], len(out)),
-                "block": pa.array(b, pa.int32()),
-                "taken": pa.array(t, pa.int64()),
-                "part": pa.array(p, pa.int64()),
-            }
-        )
+    if has_hot(rows, "g"):
+        return _fit_doubling(rows, target).toDF(group, order, "part")
 
-    starts = told.groupBy("g").applyInArrow(chain, f"g {key}, block int, taken long, part long")
-
-    def deal(keys, table):
-        table = table.sort_by("place")
-        taken, part, out = table.column("taken")[0].as_py(), table.column("part")[0].as_py(), []
+    def deal(table):
+        table = table.sort_by("o")
+        taken, part, out = None, -1, []
         for s in table.column("s").to_pylist():
-            if taken < 0 or taken + s > target:
+            if taken is None or taken + s > target:
                 taken, part = 0, part + 1
             taken += s
             out.append(part)
         return pa.table({"g": table.column("g"), "o": table.column("o"), "part": pa.array(out, pa.int32())})
 
-    same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b"))
-    joined = held.join(starts.select(F.col("g").alias("_g"), F.col("block").alias("_b"), "taken", "part"), same).drop("_g", "_b")
-    dealt = joined.groupBy("g", "block").applyInArrow(deal, f"g {key}, o {files.schema[order].dataType.simpleString()}, part int")
-    return dealt.toDF(group, order, "part")
+    kinds = (files.schema[c].dataType.simpleString() for c in (group, order))
+    return rows.groupBy("g").applyInArrow(deal, "g {}, o {}, part int".format(*kinds)).toDF(group, order, "part")
+
+
+def part_ends(held: DataFrame, target: int) -> DataFrame:
+    """(place, next) of files (g, s, block, place): where the next part begins, if one begins at ``place``; no row where none does.
+
+    The next part begins at the first file whose running sum passes the sum before this one by more than
+    ``target``. Sums and what they must pass are sorted together, sums first, and each of the latter takes the
+    next sum behind it.
+    """
+    sums = scan_ranges(held, ["g"], {"upto": Total(F.col("s"))})
+    ends = sums.select("g", F.col("upto").alias("v"), F.lit(0).alias("asks"), "place", F.col("place").alias("end"))
+    asks = sums.select(
+        "g", (F.col("upto") - F.col("s") + target).alias("v"), F.lit(1).alias("asks"), "place", F.lit(None).cast("long").alias("end")
+    )
+    order = placed(ends.unionByName(asks).withColumnRenamed("place", "file"), F.col("g").asc_nulls_first(), "v", "asks", "file")
+    found = scan_ranges(order, ["g"], {"next": Next(F.col("end"))}).filter("asks = 1")
+    # A file above the target ends its part itself; the next one begins behind it.
+    last = held.groupBy("g").agg(F.max("place").alias("last"))
+    found = found.join(last, found["g"].eqNullSafe(last["g"])).select(
+        F.col("file").alias("place"), F.greatest("next", F.col("file") + 1).alias("next"), F.col("next").isNotNull().alias("_some"), "last"
+    )
+    return found.filter("_some and next <= last").select("place", "next")
+
+
+def _fit_doubling(rows: DataFrame, target: int) -> DataFrame:
+    """(g, o, part) by pointer doubling over the forest of beginnings."""
+    held = placed(rows, F.col("g").asc_nulls_first(), "o")
+    jumps = [stored(part_ends(held, target), "jumps")]
+    while True:
+        here = jumps[-1]
+        there = here.select(F.col("place").alias("next"), F.col("next").alias("_far"))
+        further = stored(here.join(there, "next").select("place", F.col("_far").alias("next")), "jumps")
+        if not further.limit(1).count():
+            break
+        jumps.append(further)
+    begun = stored(held.groupBy("g").agg(F.min("place").alias("place")).select("place"), "begun")
+    for jump in reversed(jumps):
+        reached = begun.join(jump, "place").select(F.col("next").alias("place"))
+        begun = stored(begun.unionByName(reached), "begun")
+    marked = held.join(begun.withColumn("_begins", F.lit(1)), "place", "left")
+    parts = scan_ranges(marked.select(*held.columns, "_begins"), ["g"], {"_part": Total(F.col("_begins"))})
+    return parts.select("g", "o", (F.col("_part") - 1).cast("int").alias("part"))
 
 
 def search_quality(curves: DataFrame, key: str, limit: str, sizes: str) -> DataFrame:
@@ -291,11 +254,11 @@ def running_p95(rows: DataFrame, key: str, order: list[str], ms: str, total: int
 
 def running_rate(rows: DataFrame, key: str, order: list[str], elapsed: str, total: int, static_eta: float) -> DataFrame:
     """Frames a second and seconds left after each frame; before 0.1 s the rate is 0 and the estimate static."""
-    done = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     soon = F.col(elapsed) < 0.1
     rate = F.when(soon, 0.0).otherwise(F.col("done") / F.greatest(F.col(elapsed), F.lit(0.1)))
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
-    return rows.withColumn("done", done).withColumn("rate", rate).withColumn(
+    rows = scan(rows, [key], order, {"done": Total(F.lit(1))}).withColumn("done", F.col("done").cast("int"))
+    return rows.withColumn("rate", rate).withColumn(
         "eta", F.when(soon, float(static_eta)).otherwise(left / F.nullif(F.col("rate"), F.lit(0.0)))
     )
 

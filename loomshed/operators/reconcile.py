@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from loomshed.operators.scans import Last, Next, scan
 from loomshed.scratch import few
 
 
@@ -16,9 +17,8 @@ def first_of(*cases: tuple[Column, str], otherwise: str) -> Column:
 
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row a key, the last in order."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """One row a key, the last in order; the greatest of each task meets the others."""
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def diff(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -362,14 +362,14 @@ def nearest_verified(frames: DataFrame, clip: str, ordinal: str, verified: str)
 
     Below the clip's start the walk clamps to ordinal 0, so a verified frame 0
     serves odd frames too, at one step more than their ordinal. Two ordered
-    windows (last verified before, first verified after) stand for the walk:
-    one shuffle on the clip, and no row a pair.
+    scans (last verified before, first verified after) stand for the walk:
+    no row a pair, and a clip of any size.
     """
-    w = Window.partitionBy(clip, F.pmod(F.col(ordinal), F.lit(2))).orderBy(ordinal)
     mark = F.when(F.col(verified), F.col(ordinal))
-    low = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    zero = F.max(F.when((F.col(ordinal) == 0) & F.col(verified), 1)).over(Window.partitionBy(clip))
+    rows = frames.withColumn("_parity", F.pmod(F.col(ordinal), F.lit(2)))
+    rows = scan(rows, [clip, "_parity"], [ordinal], {"low": Last(mark), "high": Next(mark)})
+    first = frames.filter((F.col(ordinal) == 0) & F.col(verified)).select(clip).distinct().withColumn("zero", F.lit(1))
+    rows = rows.join(first, clip, "left")
     o = F.col(ordinal)
     steps = F.array_compact(
         F.array(
@@ -386,9 +386,7 @@ def nearest_verified(frames: DataFrame, clip: str, ordinal: str, verified: str)
             ),
         )
     )
-    return frames.withColumns({"low": low, "high": high, "zero": zero}).select(
-        clip, ordinal, F.array_min(steps)["n"].alias("neighbour")
-    )
+    return rows.select(clip, ordinal, F.array_min(steps)["n"].alias("neighbour"))
 
 
 def rotation(rows: DataFrame, window_days: int, now: int) -> DataFrame:
@@ -410,4 +408,4 @@ def rotation(rows: DataFrame, window_days: int, now: int) -> DataFrame:
 def union_fresh(prior: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """prior and fresh by key; fresh wins."""
     both = prior.withColumn("_p", F.lit(1)).unionByName(fresh.withColumn("_p", F.lit(0)))
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_p"))).filter("_r = 1").drop("_p", "_r")
+    return both.groupBy(key).agg(F.min_by(F.struct(*both.columns), "_p").alias("_row")).select("_row.*").drop("_p")
