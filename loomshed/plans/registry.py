@@ -39,4 +39,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from loomshed.plans import audits, codes, frames, gates_reports, live, planes, planning, records, sources, verbs  # noqa: F401
+    from loomshed.plans import audits, codes, frames, frames_tiled, gates_reports, live, planes, planning, records, sources, verbs  # noqa: F401
