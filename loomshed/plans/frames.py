@@ -368,3 +368,26 @@ def crc32c_c4(spark: SparkSession, sf: str) -> DataFrame:
 
     content = F.col("text").cast("binary")
     return table(spark, sf, "documents").select("doc_id", crc32c(content).alias("crc32c"), c4_id(content).alias("c4"))
+
+
+@register(
+    "ignored_paths",
+    """WITH p AS (SELECT CASE p_partkey % 3 WHEN 0 THEN '*' || p_partkey || '.dng' WHEN 1 THEN 'd' || p_partkey || '*' ELSE 'd' || p_partkey || '.dng' END AS pattern FROM part),
+    n AS (SELECT doc_id, source || '/' || lang || '/d' || doc_id || '.dng' AS path FROM documents),
+    s AS (SELECT doc_id, path, unnest(string_split(path, '/')) AS name FROM n),
+    hit AS (SELECT DISTINCT s.doc_id FROM s JOIN p ON CASE WHEN starts_with(pattern, '*') THEN ends_with(name, pattern[2:]) WHEN ends_with(pattern, '*') THEN starts_with(name, pattern[:-2]) ELSE name = pattern END)
+    SELECT doc_id, path, hit.doc_id IS NOT NULL AS ignored FROM n LEFT JOIN hit USING (doc_id)""",
+)
+def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path against a pattern of every part at once."""
+    from loomshed.functions.patterns import ignored
+
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    pattern = (
+        F.when(k % 3 == 0, F.concat(F.lit("*"), n, F.lit(".dng")))
+        .when(k % 3 == 1, F.concat(F.lit("d"), n, F.lit("*")))
+        .otherwise(F.concat(F.lit("d"), n, F.lit(".dng")))
+    )
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".dng"))
+    rows = table(spark, sf, "documents").select("doc_id", path.alias("path"))
+    return ignored(rows, "path", table(spark, sf, "part").select(pattern.alias("pattern")))
