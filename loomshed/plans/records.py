@@ -51,3 +51,28 @@ def torn_ledger(spark: SparkSession, sf: str) -> DataFrame:
         _lines(e, line, F.col("event_id"), f"{path}/kind={name}", top)
     rows, _ = records.read_ledger(spark, path)
     return rows.select("created", "command", "output")
+
+
+@register(
+    "ledger_stream",
+    "SELECT floor(epoch(ts))::BIGINT AS created, event_type AS command, event_id::VARCHAR AS input, 'reel' || user_id AS output FROM events",
+)
+def ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledgers that grow, followed as a stream; first up to the middle of a line, then to their ends."""
+    from loomshed.sources import ledger_stream as stream, trees
+
+    e = table(spark, sf, "events")
+    path, out, checkpoint = (scratch(spark, f"ledgers-{w}") for w in ("files", "rows", "state"))
+    created = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
+    cells = [created, "event_type", F.lit("v"), F.col("event_id").cast("string"), F.concat(F.lit("reel"), F.col("user_id").cast("string"))]
+    line = F.concat_ws("\t", *cells, *[F.lit("x")] * 7)
+    top = "version: 3\n" + "\t".join(records.LEDGER[0]) + "\n"
+    held = e.select(F.expr("event_id div 1000").alias("k"), line.alias("line")).groupBy("k").agg(
+        F.concat(F.lit(top), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("text")  # 1,000 lines
+    )
+    rel = F.format_string("ledger-%d.tsv", "k").alias("rel")
+    for share in (0.0, 0.37, 0.8, 1.0):
+        part = F.left("text", F.ceil(F.length("text") * share).cast("int")).cast("binary").alias("content")
+        trees.write_files(held.select(rel, part), path)
+        stream.follow(spark, path, out, checkpoint, range=50_000)
+    return stream.told(spark, out).select("created", "command", "input", "output")

@@ -376,8 +376,13 @@ def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A torn last line that is no row is dropped.
     """
-    lines, unread = _of_version(text_lines(spark, path))
-    rows, bad = parse_rows(lines, *LEDGER, arities=[10, 11, 12], tolerate_torn=True)
+    return ledger_rows(text_lines(spark, path))
+
+
+def ledger_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a ledger's lines, as ``text_lines`` gives them, or as a stream of them."""
+    kept, unread = _of_version(lines)
+    rows, bad = parse_rows(kept, *LEDGER, arities=[10, 11, 12], tolerate_torn=True)
     return rows.drop("n"), bad.unionByName(unread)
 
 
