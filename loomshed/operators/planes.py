@@ -300,6 +300,27 @@ def inverse_curve(spark: SparkSession, curve: DataFrame, levels: int = 4096) ->
     return level.crossJoin(F.broadcast(codes)).select("level", best["code"].alias("code"), best["d"].alias("error"))
 
 
+def packed(samples, bits: int) -> bytes:
+    """Samples of 8, 10 or 12 bits in words of one, five and three bytes, high bits first; a whole number of words is needed."""
+    each = {8: 1, 10: 4, 12: 2}[bits]
+    x = np.asarray(samples, np.uint64).reshape(-1, each)
+    if x.size and int(x.max()) >> bits:
+        raise ValueError("samples do not pack")
+    word = sum(x[:, i] << np.uint64(bits * (each - 1 - i)) for i in range(each))
+    size = bits * each // 8
+    return np.stack([word >> np.uint64(8 * (size - 1 - i)) & np.uint64(255) for i in range(size)], 1).astype(np.uint8).tobytes()
+
+
+def unpacked(data: bytes, bits: int) -> np.ndarray:
+    """The samples of packed words; a last word that is not whole is left out."""
+    each = {8: 1, 10: 4, 12: 2}[bits]
+    size = bits * each // 8
+    x = np.frombuffer(data, np.uint8, len(data) // size * size).reshape(-1, size).astype(np.uint64)
+    word = sum(x[:, i] << np.uint64(8 * (size - 1 - i)) for i in range(size))
+    top = np.uint64((1 << bits) - 1)
+    return np.stack([word >> np.uint64(bits * (each - 1 - i)) & top for i in range(each)], 1).astype(np.int32).ravel()
+
+
 @F.pandas_udf(T.BinaryType())
 def pack12(samples: pd.Series) -> pd.Series:
     """Two 12-bit samples in three bytes, high bits first; an even count is needed."""

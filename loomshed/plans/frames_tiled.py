@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loomshed.operators import tiles
+from loomshed.operators.planes import packed
 from loomshed.plans.planes import sampled
 from loomshed.plans.registry import register
+from loomshed.scratch import scratch, stored
+from loomshed.sources import bands, tiff, trees
 
 SIDE = 64
 #: Tiles of odd shapes, so that every frame has seams, and cut ones at its edges.
@@ -80,6 +83,37 @@ def frame_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("frame", *same, "half")
 
 
+@F.pandas_udf(T.BinaryType())
+def _frame_file(plane: pd.Series, frame: pd.Series) -> pd.Series:
+    """A plane as a raw frame file of 12, 10 or 8 bits; of every seventh the strip is cut off."""
+
+    def one(p: bytes, k: int) -> bytes:
+        bits = (12, 10, 8)[k % 3]
+        data = packed(np.frombuffer(p, "<i4") >> (12 - bits), bits)
+        tags = [(256, 4, [SIDE]), (257, 4, [SIDE]), (258, 3, [bits]), (259, 3, [1]), (262, 3, [32803]), (273, 4, [0]), (277, 3, [1]), (279, 4, [len(data)])]
+        return tiff.write([tags], payload=data[: len(data) // 2] if k % 7 == 6 else data)
+
+    return pd.Series([one(bytes(p), int(k)) for p, k in zip(plane, frame, strict=True)])
+
+
+@register(
+    "band_statistics",
+    f"""WITH {_PIXELS}, s AS (SELECT frame, v >> frame % 3 * 2 AS v FROM a)
+    SELECT frame, CASE WHEN frame % 7 = 6 THEN 'strip outside the file' END AS error, CASE WHEN frame % 7 <> 6 THEN min(v) END::BIGINT AS lo, CASE WHEN frame % 7 <> 6 THEN max(v) END::BIGINT AS hi,
+      CASE WHEN frame % 7 <> 6 THEN count(*) END AS n, CASE WHEN frame % 7 <> 6 THEN sum(v) END::BIGINT AS total, CASE WHEN frame % 7 <> 6 THEN sum(v * v) END::BIGINT AS squares FROM s GROUP BY frame""",
+)
+def band_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of packed frames, read from their files in bands of rows."""
+    root = scratch(spark, "packed")
+    rows = whole_frames(spark, sf)
+    name = F.format_string("c/f%d.dng", "frame")
+    trees.write_files(rows.select(name.alias("rel"), _frame_file("a", "frame").alias("content")), root)
+    listed = stored(bands.frame_bands(spark, root, samples=700, window=256), "bands")
+    frames_ = listed.select("rel", "error").distinct().join(bands.frame_statistics(listed, root), "rel", "left")
+    frame = F.regexp_extract("rel", "f([0-9]+)", 1).cast("long").alias("frame")
+    return frames_.select(frame, "error", "lo", "hi", "n", "total", F.col("squares").cast("long").alias("squares"))
+
+
 def _spread_sql(of: str) -> str:
     return f"sqrt(greatest(avg({of} * {of}) - avg({of}) * avg({of}), 0.0))"
 
