@@ -300,6 +300,17 @@ def inverse_curve(spark: SparkSession, curve: DataFrame, levels: int = 4096) ->
     return level.crossJoin(F.broadcast(codes)).select("level", best["code"].alias("code"), best["d"].alias("error"))
 
 
+def through(plane: Column, table: list[int]) -> Column:
+    """Samples looked up in a table of fixed size, which is one constant of the expression; a sample outside of it is null."""
+    values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+    return F.transform(plane, lambda v: F.try_element_at(values, v.cast("int") + 1))
+
+
+def curve_table(curve: DataFrame, key: str, value: str) -> list[int]:
+    """A curve's values by key; curves have 256, 1,024 or 4,096 entries."""
+    return [r[0] for r in curve.orderBy(key).select(value).collect()]
+
+
 def packed(samples, bits: int) -> bytes:
     """Samples of 8, 10 or 12 bits in words of one, five and three bytes, high bits first; a whole number of words is needed."""
     each = {8: 1, 10: 4, 12: 2}[bits]

@@ -10,10 +10,14 @@ from loomshed.plans.registry import register
 from loomshed.session import table
 
 
-@register("linear_table", "SELECT i::INT AS code, (i * 16)::INT AS linear FROM range(0, 256) t(i)")
+@register(
+    "linear_table",
+    f"WITH p AS ({_PLANE}) SELECT vec_id, array_to_string(list_transform(p, lambda v: (v >> 4) * 16), ',') AS out FROM p",
+)
 def linear_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The 8-bit linear table."""
-    return codes.linear_table(spark)
+    """Planes of 8-bit codes through the linear table."""
+    table_ = pl.curve_table(codes.linear_table(spark), "code", "linear")
+    return sampled(spark, sf).select("vec_id", _show(pl.through(pl.derive_depth(F.col("p"), 8), table_)).alias("out"))
 
 
 @register("code_cost")

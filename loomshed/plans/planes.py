@@ -165,19 +165,30 @@ def temporal_bound(spark: SparkSession, sf: str) -> DataFrame:
 _CURVE = "SELECT c::INT AS code, round(4095.0::DOUBLE * (pow(2.0::DOUBLE, 2.0::DOUBLE * c / 1023.0) - 1.0) / 3.0)::INT AS linear FROM range(1024) t(c)"
 
 
-@register("log_curve", _CURVE)
+@register(
+    "log_curve",
+    "WITH c AS (SELECT list(linear ORDER BY code) AS t FROM (" + _CURVE + ")), p AS (" + _PLANE + ") SELECT vec_id, array_to_string(list_transform(p, lambda v: t[(v >> 2) + 1]), ',') AS out FROM p, c",
+)
 def log_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """The log curve."""
-    return pl.log_curve(spark)
+    """Planes of 10-bit codes through the log curve."""
+    table_ = pl.curve_table(pl.log_curve(spark), "code", "linear")
+    return sampled(spark, sf).select("vec_id", _show(pl.through(pl.derive_depth(F.col("p"), 10), table_)).alias("out"))
 
 
 @register(
     "inverse_curve",
-    f"WITH c AS ({_CURVE}), x AS (SELECT l::INT AS level, code, abs(linear - l::INT) AS d FROM range(4096) t(l), c) SELECT level, arg_min(code, d * 10000 + code) AS code, min(d) AS error FROM x GROUP BY level",
+    f"""WITH c AS ({_CURVE}), x AS (SELECT l::INT AS level, code, abs(linear - l::INT) AS d FROM range(4096) t(l), c),
+    n AS (SELECT level, arg_min(code, d * 10000 + code) AS code, min(d) AS error FROM x GROUP BY level),
+    i AS (SELECT list(code ORDER BY level) AS codes, list(error ORDER BY level) AS errors FROM n), p AS ({_PLANE})
+    SELECT vec_id, array_to_string(list_transform(p, lambda v: codes[v + 1]), ',') AS codes, list_max(list_transform(p, lambda v: errors[v + 1])) AS error FROM p, i""",
 )
 def inverse_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest code of every level."""
-    return pl.inverse_curve(spark, pl.log_curve(spark))
+    """The nearest code of every sample of a plane, and the largest error that the way back has."""
+    inverse = pl.inverse_curve(spark, pl.log_curve(spark))
+    codes_, errors = (pl.curve_table(inverse, "level", c) for c in ("code", "error"))
+    return sampled(spark, sf).select(
+        "vec_id", _show(pl.through(F.col("p"), codes_)).alias("codes"), F.array_max(pl.through(F.col("p"), errors)).alias("error")
+    )
 
 
 @register(
