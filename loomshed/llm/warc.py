@@ -11,7 +11,11 @@ with fresh headers: ids, digests, lengths and the fixed date are recomputed.
 
 Reading takes whole archives of that bounded size, walks their records by
 Content-Length, checks every payload against its digest, and joins revisits to
-the original responses they name.
+the original responses they name: by record id, or, where they have none, by
+target URI and date. Archives of other writers are read, too: of WARC 1.0 and 1.1,
+with header names in any case, digests in hex or base 32, and records of other
+types between, which are passed over; a resource is a response without a head of
+its own. The page headers are this writer's; records without them have null pages.
 
 Defined results: null html is an empty payload; payloads below ``Archive.least``
 bytes are always responses; a null url is left out of the headers; rows
@@ -24,6 +28,7 @@ are all null-numbered are all responses; an empty table gives an empty archive.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -142,21 +147,32 @@ def write_archives(pages: DataFrame, path: str, spec: Archive = Archive()) -> No
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive's bytes; raises on anything else."""
+    """(headers by lower-case name, block) of each record of an archive's bytes; raises on anything else."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/1.1\r\n", at) or end < 0:
+        if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at) or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in data[at + 10 : end].decode().split("\r\n"))
+        headers = {}
+        for line in data[at + 10 : end].decode().split("\r\n"):
+            name, _, value = line.partition(":")
+            headers[name.strip().lower()] = value.strip()
         start = end + 4
-        stop = start + int(headers["Content-Length"])
+        stop = start + int(headers["content-length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} does not end where its length says")
         yield headers, data[start:stop]
         at = stop + 4
 
 
+def sha1_of(digest: str | None) -> str | None:
+    """The hex form of a labelled SHA-1 in hex or base 32; null for other labels and none."""
+    label, _, value = (digest or "").partition(":")
+    if label.lower() != "sha1":
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
 def gunzip(data: bytes) -> bytes:
     """All members of a gzip file."""
     out = []
@@ -167,66 +183,86 @@ def gunzip(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_SCHEMA = "record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
+_TEXTS = ("record_id", "record_type", "payload_digest", "url", "date", "refers_record", "refers_uri", "refers_date")
+_NUMBERS = ("page_id", "payload_bytes", "refers_to")
+_SCHEMA = ", ".join([*(f"{c} string" for c in _TEXTS), *(f"{c} long" for c in _NUMBERS), "payload binary"])
+_ARROW = pa.schema([*((c, pa.string()) for c in _TEXTS), *((c, pa.int64()) for c in _NUMBERS), ("payload", pa.binary())])
+
+
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
+
+
+def _row(h: dict[str, str], block: bytes, payloads: bool) -> dict | None:
+    """One record's row; null for a type that is neither a payload nor a revisit of one."""
+    kind = h.get("warc-type", "").lower()
+    row = {
+        "record_id": h.get("warc-record-id"),
+        "page_id": _number(h.get("x-page-id")),
+        "record_type": kind,
+        "url": h.get("warc-target-uri"),
+        "date": h.get("warc-date"),
+        "payload_digest": sha1_of(h.get("warc-payload-digest")),
+    }
+    if kind == "revisit":
+        return row | {
+            "refers_to": _number(h.get("x-refers-to-page")),
+            "refers_record": h.get("warc-refers-to"),
+            "refers_uri": h.get("warc-refers-to-target-uri"),
+            "refers_date": h.get("warc-refers-to-date"),
+        }
+    if kind not in ("response", "resource"):
+        return None
+    head, mark, payload = block.partition(b"\r\n\r\n")
+    if kind == "resource" or not mark or not head.startswith(b"HTTP/"):
+        payload = block
+    digest = hashlib.sha1(payload).hexdigest()
+    if row["payload_digest"] not in (None, digest):
+        raise ValueError(f"payload of record {row['record_id']} does not match its digest")
+    return row | {
+        "record_type": "response", "payload_digest": digest, "payload_bytes": len(payload), "payload": payload if payloads else None
+    }
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Every record below ``path``. Responses carry size and digest of the payload as read
-    (and the payload, if asked for); revisits carry the page they refer to."""
+    """Every response and revisit below ``path``. Responses carry size and digest of the payload as read
+    (and the payload, if asked for); revisits carry what they name: a record, a URI and date, this writer's page."""
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for h, block in parse(gunzip(content.as_py())):
-                    page = int(h["X-Page-Id"]) if "X-Page-Id" in h else None
-                    row = {
-                        "record_id": h["WARC-Record-ID"],
-                        "page_id": page,
-                        "record_type": h["WARC-Type"],
-                        "url": h.get("WARC-Target-URI"),
-                    }
-                    if h["WARC-Type"] == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        digest = hashlib.sha1(payload).hexdigest()
-                        if h["WARC-Payload-Digest"] != "sha1:" + digest:
-                            raise ValueError(f"payload of page {page} does not match its digest")
-                        row |= {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload if payloads else None}
-                    else:
-                        row |= {
-                            "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"),
-                            "refers_to": int(h["X-Refers-To-Page"]),
-                        }
-                    rows.append(row)
+                rows = [r for h, block in parse(gunzip(content.as_py())) if (r := _row(h, block, payloads))]
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema(
-    [
-        ("record_id", pa.string()),
-        ("page_id", pa.int64()),
-        ("record_type", pa.string()),
-        ("payload_bytes", pa.int64()),
-        ("payload_digest", pa.string()),
-        ("refers_to", pa.int64()),
-        ("url", pa.string()),
-        ("payload", pa.binary()),
-    ]
-)
-
-
 def resolve(found: DataFrame) -> DataFrame:
-    """Records with every revisit's size and digest taken from the response it names.
+    """Records with every revisit's size, digest and page taken from the response it names.
 
-    ``found`` is read three times, so store it if it comes from archives. A revisit
-    whose response is missing, or has another digest, keeps a null size.
+    A revisit names a record, or, where it does not, a URI and a date (needs ``url``; of several responses
+    there the first by record id). ``found`` is read several times, so store it if it comes from archives.
+    A revisit whose response is missing, or has another digest, keeps a null size.
     """
-    named = found.filter("record_type = 'response' and page_id is not null").select(
-        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("b")
-    ).dropDuplicates(["refers_to", "payload_digest"])
-    back = found.filter("record_type = 'revisit'").drop("payload_bytes").join(
-        named, ["refers_to", "payload_digest"], "left"
-    ).withColumnRenamed("b", "payload_bytes")
-    return found.filter("record_type = 'response'").unionByName(back.select(*found.columns))
+    responses, back = found.filter("record_type = 'response'"), found.filter("record_type = 'revisit'")
+    what = F.struct(F.col("page_id").alias("p"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
+    named = responses.filter("record_id is not null").groupBy(F.col("record_id").alias("refers_record")).agg(
+        F.min(what).alias("_named")
+    )
+    back = back.join(named, "refers_record", "left")
+    if "url" in found.columns:
+        placed = responses.filter("url is not null and date is not null").groupBy(
+            F.col("url").alias("refers_uri"), F.col("date").alias("refers_date")
+        ).agg(F.min_by(what, "record_id").alias("_placed"))
+        back = back.join(placed, ["refers_uri", "refers_date"], "left").withColumn(
+            "_named", F.when(F.col("refers_record").isNull(), F.col("_placed")).otherwise(F.col("_named"))
+        )
+    same = F.col("payload_digest").isNull() | (F.col("payload_digest") == F.col("_named.d"))
+    back = back.withColumns(
+        {
+            "payload_bytes": F.when(same, F.col("_named.b")),
+            "payload_digest": F.coalesce("payload_digest", F.col("_named.d")),
+            "refers_to": F.coalesce("refers_to", F.when(same, F.col("_named.p"))),
+        }
+    )
+    return responses.unionByName(back.select(*found.columns))
