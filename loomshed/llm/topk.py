@@ -1,10 +1,13 @@
 """Exact top-k by inner product, in columnar branch-and-bound.
 
-Queries go out in chunks of at most ``Search.chunk`` bytes, as broadcasts; every
-chunk is held against all vectors, which stay where they lie. A task turns its
+A bounded sample of the vectors (``Search.seed``) is scored first: the k-th best score
+that a query has there is a floor below which no vector counts for it, so most tasks
+of a large table have nothing to tell of most queries. Queries go out in chunks of at
+most ``Search.chunk`` bytes, with their floors, as broadcasts; every chunk is held
+against all vectors, which stay where they lie. A task turns its
 vectors, ``rows`` at a time, into vertical layout (dimension by dimension) with
-each vector's norm over every suffix of the dimensions. A query's scores grow by
-``step`` dimensions; after each, what a vector can still gain or lose is at most
+each vector's norm over every suffix of the dimensions. Scores grow by ``step``
+dimensions, the first of them as one matrix product for many queries; after each, what a vector can still gain or lose is at most
 the product of the remaining norms, so vectors whose upper bound is below the
 k-th best lower bound, or below the k-th best score that the task has seen, are
 compacted away. A task gives k rows a query at its end, and the k best of those
@@ -35,13 +38,16 @@ from loomshed.llm.common import free, stored
 
 @dataclass(frozen=True)
 class Search:
-    """k, vectors in a vertical block, dimensions between two prunings, bytes of a broadcast chunk of queries, vectors a task at least."""
+    """k, vectors in a vertical block, dimensions between two prunings, bytes of a broadcast chunk of queries, vectors a task at least,
+    vectors of the sample that sets floors, queries of a matrix product."""
 
     k: int = 5
     rows: int = 2048
     step: int = 16
     chunk: int = 16 << 20
     task_rows: int = 8192
+    seed: int = 4096
+    together: int = 256
 
 
 #: Tasks over the vectors, at most.
@@ -74,10 +80,11 @@ def suffix_norms(cols, step: int):
     return [np.sqrt(squares[d:].sum(0)) for d in range(0, max(len(cols), 1), step)]
 
 
-def survivors(query, own_norms, cols, norms, alive, k: int, step: int, floor: float, loss: float):
+def survivors(query, own_norms, cols, norms, alive, k: int, step: int, floor: float, loss: float, begun=None):
     """(places, scores) of the vectors that may be among the k best: none of them is certain to miss ``floor``.
 
-    ``cols`` is (dimensions, vectors) in doubles; ``loss`` is the relative error of a score.
+    ``cols`` is (dimensions, vectors) in doubles; ``loss`` is the relative error of a score; ``begun`` are the
+    scores of all vectors over the first ``step`` dimensions, if they are known.
     """
     import numpy as np
 
@@ -85,7 +92,10 @@ def survivors(query, own_norms, cols, norms, alive, k: int, step: int, floor: fl
     score = np.zeros(len(alive))
     for point, d in enumerate(range(0, dim, step)):
         part = cols[d : d + step]
-        score = score + query[d : d + step] @ (part if len(alive) == part.shape[1] else part[:, alive])
+        if begun is not None and d == 0:
+            score = begun[alive]
+        else:
+            score = score + query[d : d + step] @ (part if len(alive) == part.shape[1] else part[:, alive])
         if not len(alive):
             break
         rest = norms[point + 1][alive] * (own_norms[point + 1] * (1 + 1e-9)) + 1e-6 if d + step < dim else np.zeros(len(alive))
@@ -109,12 +119,13 @@ def _inner(x, y) -> int:
 
 
 class Chunk:
-    """Queries of one length, their doubles and suffix norms: (row, vec_id) and (queries x dimensions) whole numbers."""
+    """Queries of one length, their doubles, suffix norms and floors: (row, vec_id) and (queries x dimensions) whole numbers."""
 
-    def __init__(self, rows, ids, whole, step: int):
+    def __init__(self, rows, ids, whole, step: int, floors=None):
         import numpy as np
 
         self.rows, self.ids, self.whole = rows, ids, whole
+        self.floors = np.full(len(rows), -math.inf) if floors is None else floors
         self.values = whole.astype(np.float64)
         self.norms = np.array([n.tolist() for n in suffix_norms(self.values.T, step)])
         self.largest = max(abs(int(whole.min(initial=0))), abs(int(whole.max(initial=0))))
@@ -148,17 +159,23 @@ def hold_against(chunk: Chunk, rows, ids, whole, best: Best, spec: Search) -> No
     largest = max(abs(int(whole.min(initial=0))), abs(int(whole.max(initial=0)))) * chunk.largest
     loss = 0.0 if largest * dim < 1 << 52 else (dim + 2) * 2.0**-51
     everyone = np.arange(len(rows))
-    for n, (row, vec_id) in enumerate(zip(chunk.rows.tolist(), chunk.ids.tolist(), strict=True)):
-        query = (row, vec_id)
-        alive = everyone if not (own := np.flatnonzero(rows == row)).size else np.delete(everyone, own)
-        at, score = survivors(chunk.values[n], chunk.norms[:, n], cols, norms, alive, spec.k, spec.step, best.floor(query), loss)
-        if loss:
-            best.add(query, [(_inner(chunk.whole[n], whole[a]), int(ids[a])) for a in at.tolist()])
-            continue
-        if len(at) > spec.k:
-            first = np.lexsort((ids[at], -score))[: spec.k]
-            at, score = at[first], score[first]
-        best.add(query, [(int(s), int(i)) for s, i in zip(score.tolist(), ids[at].tolist(), strict=True)])
+    for first in range(0, len(chunk.rows), spec.together):
+        here = slice(first, first + spec.together)
+        begun = chunk.values[here, : spec.step] @ cols[: spec.step]
+        for n, scores in enumerate(begun, first):
+            row, query = chunk.rows[n], (int(chunk.rows[n]), int(chunk.ids[n]))
+            alive = everyone if not (own := np.flatnonzero(rows == row)).size else np.delete(everyone, own)
+            floor = max(best.floor(query), float(chunk.floors[n]))
+            at, score = survivors(
+                chunk.values[n], chunk.norms[:, n], cols, norms, alive, spec.k, spec.step, floor, loss, scores if dim else None
+            )
+            if loss:
+                best.add(query, [(_inner(chunk.whole[n], whole[a]), int(ids[a])) for a in at.tolist()])
+                continue
+            if len(at) > spec.k:
+                order = np.lexsort((ids[at], -score))[: spec.k]
+                at, score = at[order], score[order]
+            best.add(query, [(int(s), int(i)) for s, i in zip(score.tolist(), ids[at].tolist(), strict=True)])
 
 
 def _matrix(column, dim: int):
@@ -193,11 +210,15 @@ def _search(vecs: DataFrame, queries: pa.Table, spec: Search) -> DataFrame:
     sent = vecs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches):
+        import numpy as np
+
         chunks: dict[int, list[Chunk]] = {}
         table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
         for part in table.to_batches():
+            floors = dict(zip(part.column("row").to_pylist(), part.column("floor").to_pylist(), strict=True))
             for dim, rows, ids, whole in _by_length(part, part.num_rows):
-                chunks.setdefault(dim, []).append(Chunk(rows, ids, whole, spec.step))
+                low = np.array([floors[r] for r in rows.tolist()], float)
+                chunks.setdefault(dim, []).append(Chunk(rows, ids, whole, spec.step, low))
         best = Best(spec.k)
         for batch in batches:
             for dim, rows, ids, whole in _by_length(batch, spec.rows):
@@ -214,20 +235,58 @@ def _search(vecs: DataFrame, queries: pa.Table, spec: Search) -> DataFrame:
     return found
 
 
+def floors(asks: DataFrame, sample: pa.Table, spec: Search) -> DataFrame:
+    """The asking rows with ``floor``: a score that k vectors of the sample, other than itself, reach; minus infinity where fewer do.
+
+    Where scores are beyond what doubles hold exactly there is no floor.
+    """
+    seeds = sample.combine_chunks().to_batches()  # one, or none
+
+    def run(batches):
+        import numpy as np
+
+        held = {dim: (rows, whole) for b in seeds for dim, rows, _, whole in _by_length(b, b.num_rows)}
+        for batch in batches:
+            low = np.full(batch.num_rows, -math.inf)
+            dims, own = batch.column("dim").to_numpy(), batch.column("row").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in held:
+                    continue
+                rows, whole = held[dim]
+                mine = np.flatnonzero(dims == dim)
+                query = _matrix(batch.column("v").take(pa.array(mine)), dim)
+                largest = max(abs(int(x)) for m in (whole, query) for x in (m.min(initial=0), m.max(initial=0)))
+                if largest * largest * max(dim, 1) >= 1 << 52 or len(rows) <= spec.k:
+                    continue
+                for at in range(0, len(mine), spec.together):
+                    part = mine[at : at + spec.together]
+                    score = query[at : at + spec.together].astype(float) @ whole.T.astype(float)
+                    score[own[part][:, None] == rows[None, :]] = -math.inf
+                    low[part] = np.partition(score, len(rows) - spec.k, axis=1)[:, len(rows) - spec.k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], names=[*batch.schema.names, "floor"])
+
+    kinds = "row long, vec_id long, dim int, v array<long>, floor double"
+    return asks.select("row", "vec_id", "dim", F.col("v").cast("array<long>").alias("v")).mapInArrow(run, kinds)
+
+
 def top_k(vectors: DataFrame, ask: Column, spec: Search = Search()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for every row of ``vectors`` (vec_id, embedding) where ``ask`` holds."""
     whole = quantised(vectors, ask)
     n = whole.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     tasks = min(max(1, -(-n // spec.task_rows)), MOST_TASKS)
     vecs = stored(whole.repartition(tasks).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    asks = vecs.filter("ask")
+    # Least by a hash of the row, so that the sample is spread over all tasks; a cut leaves few more to sort.
+    h = F.shiftrightunsigned(F.xxhash64("row"), 1)
+    few = vecs.filter(h <= F.lit(min(_TOP, int(_TOP * (2.0 * spec.seed / max(n, 1))))))
+    sample = few.select("row", "vec_id", "dim", "v").orderBy(h, "row").limit(spec.seed).toArrow()
+    asks = stored(floors(vecs.filter("ask"), sample, spec), "queries")
     size = asks.agg(F.coalesce(F.sum(8 * F.col("dim").cast("long") + 24), F.lit(0)).alias("b")).first()["b"]
     chunks = max(1, -(-size // spec.chunk))
     found = None
     for c in range(chunks):
-        mine = asks.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == c).select("row", "vec_id", "dim", "v")
+        mine = asks.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == c)
         part = _search(vecs, mine.toArrow(), spec)
         found = part if found is None else found.unionByName(part)
-    free(vecs)
+    free(vecs, asks)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")

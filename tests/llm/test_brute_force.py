@@ -352,12 +352,12 @@ def vector_rows():
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
-@pytest.mark.parametrize("chunk", [16 << 20, 1500])
-def test_top_k(spark, chunk):
+@pytest.mark.parametrize("chunk, seed, together", [(16 << 20, 4096, 256), (1500, 20, 3), (1500, 0, 1)])
+def test_top_k(spark, chunk, seed, together):
     df = spark.createDataFrame(vector_rows(), VECTORS).withColumn("row", F.lit("clash"))
     got = sorted(
         tuple(x) for x in topk.top_k(
-            df, F.col("vec_id") % 5 == 0, topk.Search(rows=32, step=4, chunk=chunk, task_rows=50)
+            df, F.col("vec_id") % 5 == 0, topk.Search(rows=32, step=4, chunk=chunk, task_rows=50, seed=seed, together=together)
         ).collect()
     )
     held = [
@@ -398,6 +398,23 @@ def test_pruning_drops_what_cannot_win():
     assert not len(early)
 
 
+def test_floors_leave_tasks_little_to_tell(spark, monkeypatch):
+    """With a floor from a sample, rows that tasks give are a small multiple of k a query, not k a query and task."""
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(16)]) for i in range(3000)], VECTORS)
+    rows, whole = [], topk.stored
+
+    def counted(frame, what):
+        out = whole(frame, what)
+        if what == "found":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "stored", counted)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, topk.Search(task_rows=100, seed=1000)).collect()
+    assert len(got) == 60 * 5 and sum(rows) < 60 * 5 * 6  # of 30 tasks
+
+
 # 6: training order
 
 
