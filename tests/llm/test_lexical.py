@@ -78,7 +78,7 @@ def test_search_equals_a_plain_version(spark, name, k):
 
 def test_ways_beyond_the_bounds_give_the_same(spark, monkeypatch):
     docs, queries = corpus(2)
-    for name, value in (("MOST_BLOCKS", 0), ("GATHERED", 3), ("EXACT", 1), ("SALT", 2)):
+    for name, value in (("MOST_PAIRS", 0), ("GATHERED", 3), ("EXACT", 1), ("SALT", 2)):
         monkeypatch.setattr(lexical, name, value)
     assert run(spark, docs, queries, 5, SPECS["small"]) == plain(docs, queries, 5)
 
