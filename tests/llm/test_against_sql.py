@@ -11,7 +11,7 @@ from loomshed.llm import registry, toxicity, url_reputation
 from loomshed.session import ship, table
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
 
 def norm(v):
@@ -99,10 +99,18 @@ def hard(spark, tmp_path_factory):
     ]
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2).write.parquet(f"{root}/pages.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    turns = [
+        (c, t, r.choice(["user", "assistant", None]), r.choice(["a", "b", "é", "", None]))
+        for c in [*range(40), 100, 101, 104] for t in range(r.choice([1, 3, 9, 12]))
+    ]
+    turns += [(60, None, "user", "x"), (60, 1, "b", "x"), (60, 1, "a", "y"), (60, 1, "a", "y"), (60, 1, "a", "z"), (None, 1, "a", "b")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{root}/conversations.parquet")
+    items = [(i, text(r.choice([1, 4, 15]))) for i in range(12)] + [(3, "W1 w2"), (None, "w3 One"), (20, None), (21, ""), (22, "none-such")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     return root
 
 
-@pytest.mark.parametrize("name", ["op1_url_reputation", "op2_warc", "op5_top_k", "op8_near_duplicates"])
+@pytest.mark.parametrize("name", ["op1_url_reputation", "op2_warc", "op5_top_k", "op8_near_duplicates", "op11_conversation_trie", "op12_lexical_search"])
 def test_query_equals_sql_on_hard_rows(spark, hard, name):
     ship(spark)
     assert equal(spark, name, hard)
