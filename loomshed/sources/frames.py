@@ -1,35 +1,142 @@
-"""Frame files: scans by Spark's binary reader, and their TIFF facts."""
+"""Frame files: scans of trees, and their TIFF facts."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import posixpath
 import re
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from loomshed.sources import tiff
+from loomshed.functions.hashing import crc32c_many
+from loomshed.sources import tiff, trees
 
 
 _FRAME = r"(?i)\.dng$"
 
 
+#: Bytes of files whose digests are made together, about.
+TOGETHER = 8 << 20
+
+
+@functools.lru_cache(64)
+def _opened(root: str):
+    return trees.opened(root)
+
+
+@functools.partial(F.udf, returnType=T.BinaryType(), useArrow=False)
+def _content(root: str, rel: str) -> bytes:
+    fs, path = _opened(root)
+    with fs.open_input_stream(posixpath.join(path, rel)) as f:
+        return f.read()
+
+
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(rel, clip, name, stem, length, modified, content) of all files below ``root``, shadow files left out; content is read only if used."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/", "")
-    name = F.substring_index("path", "/", -1)
+    """(rel, clip, name, stem, length, modified, root, content) of all files below ``root``, shadow files left out.
+
+    Executors list the tree when this is called. Content is read only if used; ``digests`` and ``seen`` read files
+    where they lie instead. A root that only Spark's readers can open is listed by them, on the driver, and has no ``root``.
+    """
+    try:
+        trees.opened(root)
+    except pa.ArrowInvalid:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/", "")
+        found = found.select(rel.alias("rel"), "length", F.col("modificationTime").alias("modified"), "content")
+        last = []
+    else:
+        found = trees.dealt(trees.listed(spark, root, glob)).withColumn("root", F.lit(root))
+        found, last = found.withColumn("content", _content("root", "rel")), ["root"]
+    name = F.substring_index("rel", "/", -1)
     return found.filter(~name.startswith("._")).select(
-        rel.alias("rel"),
-        F.regexp_extract(rel, "^(.*)/[^/]*$", 1).alias("clip"),
+        "rel",
+        F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("clip"),
         name.alias("name"),
         F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
         "length",
-        F.col("modificationTime").alias("modified"),
+        "modified",
+        *last,
         "content",
     )
 
 
+def digests(found: DataFrame, crc: bool = False) -> DataFrame:
+    """(rel, clip, stem, d_size, d_sha256) of scanned files, and with ``crc`` d_crc32c, a number; read where they lie, once."""
+    if "root" not in found.columns:
+        from loomshed.functions import hashing
+
+        more = [hashing.crc32c("content").alias("d_crc32c")] if crc else []
+        return found.select(
+            "rel", "clip", "stem", F.col("length").alias("d_size"), hashing.sha256(F.col("content")).alias("d_sha256"), *more
+        )
+    schema = "rel string, clip string, stem string, d_size long, d_sha256 string" + ", d_crc32c long" * crc
+
+    def run(batches):
+        for batch in batches:
+            told, data, size = [], [], 0
+
+            def out():
+                columns = [*zip(*told, strict=True)] if told else [[]] * 5
+                arrays = [pa.array(list(c), pa.int64() if i == 3 else pa.string()) for i, c in enumerate(columns)]
+                names = ["rel", "clip", "stem", "d_size", "d_sha256"]
+                if crc:
+                    arrays, names = [*arrays, pa.array(crc32c_many(data), pa.int64())], [*names, "d_crc32c"]
+                return pa.RecordBatch.from_arrays(arrays, names=names)
+
+            for root, rel, clip, stem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, path = _opened(root)
+                h, n = hashlib.sha256(), 0
+                with fs.open_input_stream(posixpath.join(path, rel)) as f:
+                    if crc:
+                        data.append(f.read())
+                        h.update(data[-1])
+                        n = len(data[-1])
+                    else:
+                        while chunk := f.read(trees.CHUNK):
+                            h.update(chunk)
+                            n += len(chunk)
+                told.append((rel, clip, stem, n, h.hexdigest()))
+                size += n
+                if size >= TOGETHER:
+                    yield out()
+                    told, data, size = [], [], 0
+            yield out()
+
+    return found.select("root", "rel", "clip", "stem").mapInArrow(run, schema)
+
+
+def seen(found: DataFrame, sha: bool = False) -> DataFrame:
+    """(rel, clip, stem, facts, src_sha) of scanned frames; facts are read by ranges, and without ``sha`` the rest is not."""
+    if "root" not in found.columns:
+        digest = F.sha2("content", 256) if sha else F.lit(None).cast("string")
+        return found.select("rel", "clip", "stem", facts("content").alias("facts"), digest.alias("src_sha"))
+    texts = [("rel", pa.string()), ("clip", pa.string()), ("stem", pa.string())]
+    out = pa.schema([*texts, ("facts", pa.struct(list(trees.arrow(FACTS)))), ("src_sha", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            told = []
+            for row in batch.to_pylist():
+                fs, path = _opened(row["root"])
+                where, h = posixpath.join(path, row["rel"]), hashlib.sha256()
+                with fs.open_input_file(where) as f:
+                    told_of = facts_of(trees.Ranges(f, f.size()))
+                    if sha:
+                        f.seek(0)
+                        while chunk := f.read(trees.CHUNK):
+                            h.update(chunk)
+                names = {k: row[k] for k in ("rel", "clip", "stem")}
+                told.append(names | {"facts": told_of, "src_sha": h.hexdigest() if sha else None})
+            yield pa.RecordBatch.from_pylist(told, schema=out)
+
+    kinds = T.StructType([*[T.StructField(n, T.StringType()) for n, _ in texts], T.StructField("facts", FACTS), T.StructField("src_sha", T.StringType())])
+    return found.select("root", "rel", "clip", "stem").mapInArrow(run, kinds)
+
+
 def scan(spark: SparkSession, root: str, glob: str = "*.[dD][nN][gG]") -> DataFrame:
     """Frames below ``root``, as ``files``."""
     return files(spark, root, glob).drop("name")

@@ -13,17 +13,79 @@ stand there is the caller's.
 
 from __future__ import annotations
 
+import re
+import urllib.parse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomshed.scratch import file_system, hadoop_path
+from loomshed.sources import trees
 
 TAB = "\t"
 #: Splits whose counts are broadcast, at most; those of more are joined.
 MOST_SPLITS = 200_000
 #: First lines of a ledger's records that an append looks at.
 MOST_VERSIONS = 1000
-#: Rows of a file that a record is written to; a larger record is several files, in order.
-FILE_ROWS = 1_000_000
+#: Rows and bytes of a file that a record is written to; a larger record is several files, in order.
+FILE_ROWS, FILE_BYTES = 1_000_000, 64 << 20
+
+
+#: Bytes of a file that one task reads of records that are found by their names, and lines that it holds.
+RANGE, LINES = 64 << 20, 10_000
+
+
+def _found(spark: SparkSession, root: str, glob: str) -> DataFrame | None:
+    """(file, block, size, id, value) of the lines of all files below ``root`` whose names match, listed and read by executors.
+
+    ``id`` is a line's place in its block. None where only Spark's readers can open the root.
+    """
+    try:
+        trees.opened(root)
+    except pa.ArrowInvalid:
+        return None
+    found = trees.dealt(trees.listed(spark, root, glob).select("rel", "length"))
+    blocks = found.select("rel", "length", F.explode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE))).alias("block"))
+    top = re.sub(r"^(file:)?/+", "file:/", root).rstrip("/")  # as Spark's readers name it
+    kinds = pa.schema([("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("id", pa.int64()), ("value", pa.binary())])
+
+    def read(fs, path, rel, size, block):
+        """The lines that begin in a block."""
+        with fs.open_input_file(f"{path}/{rel}") as f:
+            at, rest = max(block - 1, 0), b""
+            f.seek(at)
+            behind = block == 0  # else the first line is the block's before
+            while at < min(block + RANGE, size):
+                data = f.read(trees.CHUNK)
+                if not data:
+                    lines = [rest] if rest else []
+                else:
+                    *lines, rest = (rest + data).split(b"\n")
+                for line in lines:
+                    if at >= block + RANGE:
+                        return
+                    if behind:
+                        yield line.removeprefix(b"\xef\xbb\xbf") if at == 0 else line
+                    behind, at = True, at + len(line) + 1
+                if not data:
+                    return
+
+    def run(batches):
+        fs, path = trees.opened(root)
+        for batch in batches:
+            held = []
+            for rel, size, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = f"{top}/{urllib.parse.quote(rel)}"
+                for i, line in enumerate(read(fs, path, rel, size, block)):
+                    held.append((file, block, size, i, line))
+                    if len(held) == LINES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+                        held = []
+            columns = zip(*held, strict=True) if held else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+
+    lines = blocks.select("rel", "length", "block").mapInArrow(run, "file string, block long, size long, id long, value binary")
+    return lines.withColumn("value", F.col("value").cast("string"))
 
 
 #: A part of what one job of Spark has written to a folder: number, job, file of the task.
@@ -38,13 +100,15 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     record, in the order of their numbers: it goes by the path of the first, its lines are counted through, and its
     head is that of the first file.
     """
-    raw = spark.read.text(path, lineSep="\n", **({"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {})).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("size"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
+    raw = _found(spark, path, glob) if glob else None
+    if raw is None:
+        raw = spark.read.text(path, lineSep="\n", **({"pathGlobFilter": glob, "recursiveFileLookup": True} if glob else {})).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_size").alias("size"),
+            F.monotonically_increasing_id().alias("id"),
+            "value",
+        )
     splits = raw.groupBy("file", "block").agg(
         F.min("id").alias("first"),
         F.count(F.lit(1)).alias("c"),
@@ -496,12 +560,12 @@ def write_record(
 ) -> None:
     """A record: magic, header lines, columns, then rows sorted by ``order``, then closing lines; the same rows give the same bytes.
 
-    Up to ``FILE_ROWS`` rows are one file. More are several, whose order is that of their names, so no task holds
+    Up to ``FILE_ROWS`` rows of ``FILE_BYTES`` are one file. More are several, whose order is that of their names, so no task holds
     more; the first lines stand in the first of them and the closing lines in the last, and ``text_lines`` reads
     all of them as one record.
     """
-    n = rows.count()
     line: Column = F.concat_ws(TAB, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(line)), F.lit(0))).first()
     top = [magic, *[f"{k}: {v}" for k, v in (heads or {}).items()], header or TAB.join(columns)]
     last = [f"{k}: {v}" for k, v in (feet or {}).items()]
     ends = [(0, i, "", t) for i, t in enumerate(top)] + [(2, i, "", t) for i, t in enumerate(last)]
@@ -509,7 +573,7 @@ def write_record(
     body_ = rows.select(F.lit(1).alias("a"), F.lit(0).alias("i"), F.col(order).cast("string").alias("b"), line.alias("value"))
     sort = ["a", "i", "b", "value"]
     frame.unionByName(body_).repartitionByRange(
-        max(1, -(-n // FILE_ROWS)), *sort
+        max(1, -(-n // FILE_ROWS), -(-size // FILE_BYTES)), *sort
     ).sortWithinPartitions(*sort).select("value").write.mode(mode).text(path)
 
 

@@ -5,12 +5,14 @@ they know (``s3://``, ``gs://``, ``hdfs://`` and others). The three work on file
 takes the ranges that it needs, the copy goes through a chunk at a time; only the sink holds a row's
 content.
 
-* ``frame_files``: frames below a root, with the facts of their directories. The driver lists folders, not
-  frames, and deals each in slices of ``SLICE`` names; a task lists its folder and reads, of each frame, a
-  window at the beginning and then the blocks that its directories point to. Only the columns that are
-  asked for are made: without a fact no byte is read.
+* ``listed``: the names below a root, folder by folder and level by level. A task goes through a folder's
+  entries as they come; what it finds is written to the shared folder, so no name passes the driver.
+* ``frame_files``: frames below a root, with the facts of their directories. The listed names are dealt out in
+  slices of ``SLICE``; a task reads, of each frame, a window at the beginning and then the blocks that its
+  directories point to. Only the columns that are asked for are made: without a fact no byte is read.
 * ``write_files``: (rel, content) as files below a root. Tasks write under temporary names below one folder
-  of the job; the commit renames them, an abort removes them, so no file is ever seen half written.
+  of the job and note them in the shared folder; when all have ended and no name is held twice, other tasks
+  rename them, so no file is ever seen half written. The temporary folder goes in any case.
 * ``copy_files``: each file of a list to all of its destinations, read once, digested on the way.
 
 Defined results: names that begin with ``._`` are shadow files and are left out, and so is what such a job
@@ -21,31 +23,35 @@ write before anything is renamed.
 
 from __future__ import annotations
 
+import datetime
 import fnmatch
 import hashlib
+import os
 import posixpath
+import re
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from loomshed.scratch import stored
+from loomshed.scratch import free, settings, stored
 from loomshed.sources import tiff
 
 #: Bytes read at a frame's beginning, and at a time elsewhere.
 WINDOW, BLOCK = 512 << 10, 64 << 10
-#: Names of a folder that one task reads.
-SLICE = 5_000
+#: Names that one task reads, and bytes of their files.
+SLICE, SLICE_BYTES = 5_000, 256 << 20
+#: Names that a listing hands on at a time.
+NAMES = 5_000
 #: Bytes of a copy that are held.
 CHUNK = 1 << 20
-#: Renames that a commit has under way.
-RENAMES = 16
+#: Rows of the sink that a task holds at a time, and names that one renames.
+HELD, RENAMES = 128, 20_000
 STAGE = ".loomshed-"
 
 
@@ -58,6 +64,100 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, path.rstrip("/") or "/"
 
 
+# The listing.
+
+#: Names that no reader of frames sees, and those that Spark's readers of files do not see.
+SHADOW, HIDDEN = r"\._", r"\.|_(?!.*=)|.*\._COPYING_$"
+
+
+def entries(fs: pafs.FileSystem, folder: str, facts: bool = True) -> Iterator[tuple]:
+    """(name, is a folder, bytes, time of change) of what a folder holds; a local folder is gone through entry by entry.
+
+    Without ``facts`` no file is asked for its bytes and time. What goes meanwhile is left out.
+    """
+    if not isinstance(fs, pafs.LocalFileSystem):
+        for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if f.type == pafs.FileType.Directory or f.is_file:
+                yield f.base_name, not f.is_file, f.size, f.mtime
+        return
+    try:
+        found = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with found:
+        for e in found:
+            if e.is_dir():
+                yield e.name, True, None, None
+            elif e.is_file():
+                try:
+                    s = e.stat() if facts else None
+                except FileNotFoundError:
+                    continue
+                at = s and datetime.datetime.fromtimestamp(s.st_mtime, datetime.UTC)
+                yield e.name, False, s and s.st_size, at
+
+
+def matcher(glob: str) -> Callable[[str], bool]:
+    """Whether a name fits a glob of ``*``, ``?``, ``[...]`` and ``{a,b}``."""
+    parts = re.split(r"\{([^{}]*)\}", glob)
+    globs = [""]
+    for i, part in enumerate(parts):
+        globs = [g + p for g in globs for p in (part.split(",") if i % 2 else [part])]
+    fits = re.compile("|".join(fnmatch.translate(g) for g in globs)).match
+    return lambda name: fits(name) is not None
+
+
+_LISTED = pa.schema(
+    [("rel", pa.string()), ("folder", pa.bool_()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC"))]
+)
+
+
+def listed(spark: SparkSession, root: str, glob: str = "*", anycase: bool = False, unseen: str = HIDDEN) -> DataFrame:
+    """(rel, length, modified) of the files below ``root`` whose names match, as they are now; names like ``unseen`` are left out.
+
+    Each level of folders is one job, and each folder is gone through by one task, which holds ``NAMES`` names.
+    """
+    fs, path = opened(root)
+    if fs.get_file_info(path).type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"{root} is no folder")
+
+    def run(batches):
+        fs, path = opened(root)
+        fits, hidden = matcher(glob.lower() if anycase else glob), re.compile(unseen).match
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                held = []
+                for name, folder, size, at in entries(fs, posixpath.join(path, rel)):
+                    if folder:
+                        # A folder beginning with "._" is no shadow file.
+                        if name.startswith(STAGE) or (unseen != SHADOW and hidden(name)):
+                            continue
+                    elif hidden(name) or not fits(name.lower() if anycase else name):
+                        continue
+                    held.append({"rel": posixpath.join(rel, name), "folder": folder, "length": size, "modified": at})
+                    if len(held) == NAMES:
+                        yield pa.RecordBatch.from_pylist(held, schema=_LISTED)
+                        held = []
+                yield pa.RecordBatch.from_pylist(held, schema=_LISTED)
+
+    todo, out = spark.createDataFrame([("",)], "rel string").coalesce(1), None
+    while True:
+        level = stored(todo.mapInArrow(run, "rel string, folder boolean, length long, modified timestamp"), "listed")
+        files = level.filter("not folder").drop("folder")
+        out = files if out is None else out.unionByName(files)
+        todo = level.filter("folder").select("rel")
+        if not (n := todo.count()):
+            return out
+        todo = todo.repartition(max(1, min(n, 10 * spark.sparkContext.defaultParallelism)))
+
+
+def dealt(found: DataFrame, most: int = SLICE) -> DataFrame:
+    """Listed files, dealt out by name: a task gets about ``most`` of them or ``SLICE_BYTES``, and every core some."""
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    cores = found.sparkSession.sparkContext.defaultParallelism
+    return found.repartition(max(1, -(-told["n"] // most), -(-told["bytes"] // SLICE_BYTES), min(told["n"], cores)), "rel")
+
+
 class Ranges:
     """A file as bytes that are read when they are looked at: a window first, then block by block.
 
@@ -121,7 +221,10 @@ class Slice(InputPartition):
 
 
 class FrameReader(DataSourceReader):
-    """Slices of folders, and the frames in them."""
+    """Slices of folders, and the frames in them.
+
+    ``frame_files`` takes names from ``listed`` instead of these slices, whose tasks each list their folder again.
+    """
 
     def __init__(self, schema: T.StructType, options: dict):
         self.columns = schema.names
@@ -151,28 +254,29 @@ class FrameReader(DataSourceReader):
         fs, root = opened(self.root)
         files, _ = self._names(fs, partition.folder)
         for info in files[partition.n :: partition.parts]:
-            yield self._row(fs, root, info)
+            row = self._row(fs, root, posixpath.relpath(info.path, root), info.size, info.mtime)
+            yield tuple(row.get(c) for c in self.columns)
 
-    def _row(self, fs: pafs.FileSystem, root: str, info: pafs.FileInfo) -> tuple:
-        rel = posixpath.relpath(info.path, root)
+    def _row(self, fs: pafs.FileSystem, root: str, rel: str, length: int, modified) -> dict:
+        name = posixpath.basename(rel)
         row = {
             "rel": rel,
             "clip": posixpath.dirname(rel),
-            "name": info.base_name,
-            "stem": posixpath.splitext(info.base_name)[0],
-            "length": info.size,
-            "modified": info.mtime,
+            "name": name,
+            "stem": posixpath.splitext(name)[0],
+            "length": length,
+            "modified": modified,
         }
         if any(c not in row for c in self.columns):
-            row |= self._told(fs, info)
-        return tuple(row.get(c) for c in self.columns)
+            row |= self._told(fs, posixpath.join(root, rel))
+        return row
 
-    def _told(self, fs: pafs.FileSystem, info: pafs.FileInfo) -> dict:
+    def _told(self, fs: pafs.FileSystem, path: str) -> dict:
         """The facts of a frame and the bytes that were read for them."""
         from loomshed.sources.frames import facts_of
 
         try:
-            with fs.open_input_file(info.path) as f:
+            with fs.open_input_file(path) as f:
                 data = Ranges(f, f.size(), self.window)
                 return facts_of(data) | {"bytes_read": data.read}
         except OSError as e:
@@ -193,27 +297,50 @@ class FrameFiles(DataSource):
         return FrameReader(schema, dict(self.options))
 
 
+_ARROW = {
+    T.StringType(): pa.string(),
+    T.IntegerType(): pa.int32(),
+    T.LongType(): pa.int64(),
+    T.BinaryType(): pa.binary(),
+    T.TimestampType(): pa.timestamp("us", tz="UTC"),
+}
+
+
+def arrow(schema: T.StructType) -> pa.Schema:
+    """Arrow's names of the types of files and facts."""
+    return pa.schema([(f.name, _ARROW[f.dataType]) for f in schema.fields])
+
+
 def frame_files(spark: SparkSession, root: str, columns: list[str] | None = None, **options) -> DataFrame:
     """Frames below ``root``: columns of ``FILE``, facts, ``error`` and ``bytes_read``; only those named are made.
 
     Options: ``glob`` of names (case is not minded), ``window`` of bytes at a frame's beginning, ``slice`` of
     names that a task takes.
     """
-    spark.dataSource.register(FrameFiles)
     whole = FrameFiles({}).schema()
     schema = whole if columns is None else T.StructType([whole[c] for c in columns])
-    return spark.read.format("loomshed_frames").schema(schema).options(path=root, **options).load()
-
+    found = listed(spark, root, options.get("glob", "*.dng"), anycase=True, unseen=SHADOW)
+    name = F.substring_index("rel", "/", -1)
+    if all(c in FILE.names for c in schema.names):
+        made = {
+            "clip": F.regexp_extract("rel", "^(.*)/[^/]*$", 1),
+            "name": name,
+            "stem": F.regexp_replace(name, r"^(\.*[^.].*)\.[^.]*$", "$1"),
+        }
+        return found.select(*[made.get(c, F.col(c)).alias(c) for c in schema.names])
+    out, given = arrow(schema), {"path": root, **{k: str(v) for k, v in options.items()}}
 
-# The sink.
+    def run(batches):
+        fs, path = opened(root)
+        reader = FrameReader(schema, given)
+        for batch in batches:
+            rows = [reader._row(fs, path, *r.values()) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in schema.names} for r in rows], schema=out)
 
+    return dealt(found, int(options.get("slice", SLICE))).select("rel", "length", "modified").mapInArrow(run, schema)
 
-@dataclass
-class Staged(WriterCommitMessage):
-    """Names that a task has written below the job's folder, and the folder that they lie in."""
 
-    folder: str
-    names: list[str] = field(default_factory=list)
+# The sink.
 
 
 def safe(rel: str | None) -> str:
@@ -231,71 +358,69 @@ def _drop_folder(fs: pafs.FileSystem, path: str) -> None:
         pass  # an attempt and the job's abort may both remove it
 
 
-class FileWriter(DataSourceWriter):
-    """Files under temporary names, renamed when all tasks have ended well.
-
-    An attempt that still runs when the job is given up may leave its folder behind; its name begins with
-    ``STAGE``, so that no reader sees what is in it.
-    """
+def _moved(fs: pafs.FileSystem, temp: str, path: str) -> None:
+    """Rename a file; one that an earlier attempt has renamed is there."""
+    try:
+        fs.move(temp, path)
+    except FileNotFoundError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
 
-    def __init__(self, root: str):
-        self.root, self.job = root, uuid.uuid4().hex
 
-    def _stage(self, path: str) -> str:
-        return f"{path}/{STAGE}{self.job}"
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write (rel, content) as files below ``root``; a file of the same name is replaced.
 
-    def write(self, rows: Iterator[T.Row]) -> Staged:
-        fs, path = opened(self.root)
-        context = TaskContext.get()
-        told = Staged(f"{self._stage(path)}/{context.taskAttemptId()}")
-        fs.create_dir(told.folder, recursive=True)
+    What a task has written is a row a file in the shared folder, of the attempt that counts. An attempt that
+    still runs when the job is given up may leave its folder behind; its name begins with ``STAGE``, so that no
+    reader sees what is in it.
+    """
+    spark = rows.sparkSession
+    fs, path = opened(root)
+    stage = f"{path}/{STAGE}{uuid.uuid4().hex}"
+    fs.create_dir(stage, recursive=True)
+
+    def write(batches):
+        fs, _ = opened(root)
+        attempt, n = str(TaskContext.get().taskAttemptId()), 0
+        fs.create_dir(f"{stage}/{attempt}", recursive=True)
         try:
-            for n, row in enumerate(rows):
-                told.names.append(safe(row["rel"]))
-                with fs.open_output_stream(f"{told.folder}/{n}") as out:
-                    out.write(bytes(row["content"] or b""))
+            for batch in batches:
+                rels, first = [safe(rel) for rel in batch.column(0).to_pylist()], n
+                for content in batch.column(1):
+                    with fs.open_output_stream(f"{stage}/{attempt}/{n}") as out:
+                        if content.is_valid:
+                            out.write(content.as_buffer())
+                    n += 1
+                temps = [f"{attempt}/{i}" for i in range(first, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string()), pa.array(temps, pa.string())], names=["rel", "temp"])
         except BaseException:
-            _drop_folder(fs, told.folder)
+            _drop_folder(fs, f"{stage}/{attempt}")
             raise
-        return told
-
-    def commit(self, messages: list[Staged | None]) -> None:
-        fs, path = opened(self.root)
-        moves = [(f"{m.folder}/{n}", name) for m in messages if m for n, name in enumerate(m.names)]
-        names = [name for _, name in moves]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError(f"{len(names) - len(set(names))} names are given twice")
-        with ThreadPoolExecutor(RENAMES) as pool:
-            list(pool.map(lambda d: fs.create_dir(d, recursive=True), {posixpath.dirname(f"{path}/{n}") for n in names}))
-            list(pool.map(lambda m: fs.move(m[0], f"{path}/{m[1]}"), moves))
-        self.abort(messages)
-
-    def abort(self, messages: list[Staged | None]) -> None:
-        fs, path = opened(self.root)
-        _drop_folder(fs, self._stage(path))
-
-
-class Files(DataSource):
-    """Spark's name for the sink."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "loomshed_files"
-
-    def schema(self) -> str:
-        return "rel string, content binary"
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return FileWriter(self.options["path"])
 
+    def move(batches):
+        fs, made = opened(root)[0], set()
+        for batch in batches:
+            for rel, temp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target = f"{path}/{rel}"
+                if (folder := posixpath.dirname(target)) not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                _moved(fs, f"{stage}/{temp}", target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-def write_files(rows: DataFrame, root: str) -> None:
-    """Write (rel, content) as files below ``root``; a file of the same name is replaced."""
-    spark = rows.sparkSession
-    spark.dataSource.register(Files)
     narrow = rows.select(F.col("rel").cast("string").alias("rel"), F.col("content").cast("binary").alias("content"))
-    narrow.write.format("loomshed_files").option("path", root).mode("append").save()
+    try:
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(HELD)):
+            told = stored(narrow.mapInArrow(write, "rel string, temp string"), "staged")
+        c = F.count(F.lit(1)).alias("c")
+        n, names = told.groupBy("rel").agg(c).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        if names < n:
+            raise ValueError(f"{n - names} names are given twice")
+        tasks = max(1, -(-n // RENAMES), min(n // 100, spark.sparkContext.defaultParallelism))
+        told.repartition(tasks, "rel").mapInArrow(move, "n long").write.format("noop").mode("overwrite").save()
+        free(told)
+    finally:
+        _drop_folder(fs, stage)
 
 
 # The copy.
@@ -386,7 +511,8 @@ def copy_files(source: str, plan: DataFrame) -> DataFrame:
                 )
 
     plan = stored(plan.select("rel", "dests"), "copy-plan")
-    told = stored(plan.repartition("rel").mapInArrow(run, COPIED), "copied")
+    n, cores = plan.count(), plan.sparkSession.sparkContext.defaultParallelism
+    told = stored(plan.repartition(max(1, -(-n // SLICE), min(n, 4 * cores)), "rel").mapInArrow(run, COPIED), "copied")
 
     def sweep(batches):
         for batch in batches:
@@ -397,9 +523,9 @@ def copy_files(source: str, plan: DataFrame) -> DataFrame:
                     where = posixpath.dirname(f"{folder}/{rel}")
                     if fs.get_file_info(where).type != pafs.FileType.Directory:
                         continue
-                    for f in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
-                        if f.base_name.startswith(f"{STAGE}{job}-"):
-                            fs.delete_file(f.path)
+                    for name, *_ in entries(fs, where, facts=False):
+                        if name.startswith(f"{STAGE}{job}-"):
+                            fs.delete_file(f"{where}/{name}")
                             left += 1
             yield pa.RecordBatch.from_arrays([pa.array([left], pa.int64())], names=["left"])
 

@@ -10,9 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomshed.functions import hashing, keys
+from loomshed.functions import keys
 from loomshed.operators import gates, planes, planning, reconcile as rc, stats
-from loomshed.scratch import placed
+from loomshed.scratch import placed, stored
 from loomshed.sources import frames, records, reports, trees
 
 
@@ -24,17 +24,10 @@ class Found:
     summary: DataFrame
 
 
-def hashed(found: DataFrame) -> DataFrame:
-    """(rel, clip, stem, d_size, d_sha256, d_crc32c) of scanned files; contents are read once, where they lie."""
-    crc = F.lower(F.lpad(F.hex(hashing.crc32c("content")), 8, "0"))
-    return found.select(
-        "rel",
-        "clip",
-        "stem",
-        F.col("length").alias("d_size"),
-        hashing.sha256(F.col("content")).alias("d_sha256"),
-        crc.alias("d_crc32c"),
-    )
+def hashed(found: DataFrame, crc: bool = False) -> DataFrame:
+    """(rel, clip, stem, d_size, d_sha256) of scanned files, and with ``crc`` d_crc32c; contents are read once, where they lie."""
+    told = frames.digests(found, crc)
+    return told.withColumn("d_crc32c", F.lower(F.lpad(F.hex("d_crc32c"), 8, "0"))) if crc else told
 
 
 def _folder(root: str, manifest: Column) -> Column:
@@ -64,7 +57,7 @@ def verify_checksums(spark: SparkSession, root: str) -> Found:
         F.lower("sha256").alias("sha256"),
         F.lower("crc32c").alias("crc32c"),
     )
-    disk = hashed(frames.files(spark, root)).select("rel", "d_size", "d_sha256", "d_crc32c")
+    disk = hashed(frames.files(spark, root), crc=True).select("rel", "d_size", "d_sha256", "d_crc32c")
     rows = rc.audit(listed, disk, "rel").unionByName(bad.select(F.col("line").alias("rel"), F.lit("no row").alias("verdict")))
     return Found(rows, _summary(rows, "ok"))
 
@@ -156,17 +149,23 @@ def offload(spark: SparkSession, source: str, dests: dict[str, str], out: str, m
     told = trees.copy_files(source, plan)
     if bad := told.filter("verdict <> 'COPIED'").limit(1).collect():
         raise OSError(f"{bad[0]['rel']} was not copied to {bad[0]['dest']}: {bad[0]['verdict']}")
-    rows = None
+    rows, mine = None, stored(hashed(frames.files(spark, source)), "source")
     for dest, folder in dests.items():
-        one = offload_record(spark, source, folder, f"{out}/{dest}", magic, dest).rows.withColumn("dest", F.lit(dest))
+        one = offload_record(spark, source, folder, f"{out}/{dest}", magic, dest, mine).rows.withColumn("dest", F.lit(dest))
         rows = one if rows is None else rows.unionByName(one)
     return Found(rows, _summary(rows, "OK"))
 
 
-def offload_record(spark: SparkSession, source: str, dest: str, path: str, magic: str, name: str) -> Found:
-    """After a copy: every file of the source against its destination, written as an offload manifest at ``path``."""
-    mine = hashed(frames.files(spark, source)).select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
-    there = hashed(frames.files(spark, dest)).select("rel", "d_size", "d_sha256")
+def offload_record(
+    spark: SparkSession, source: str, dest: str, path: str, magic: str, name: str, mine: DataFrame | None = None
+) -> Found:
+    """After a copy: every file of the source against its destination, written as an offload manifest at ``path``.
+
+    ``mine`` is what ``hashed`` has told of the source, where that is known.
+    """
+    mine = stored(hashed(frames.files(spark, source)), "source") if mine is None else mine
+    mine = mine.select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
+    there = stored(hashed(frames.files(spark, dest)), "there").select("rel", "d_size", "d_sha256")
     verdicts = rc.member_verdicts(mine, there, "rel")
     rows = mine.join(verdicts, "rel").join(there.select("rel", "d_sha256"), "rel", "left").select(
         F.col("rel").alias("file"),
@@ -175,6 +174,7 @@ def offload_record(spark: SparkSession, source: str, dest: str, path: str, magic
         F.coalesce("d_sha256", F.lit("-")).alias("dest_sha256"),
         "verdict",
     )
+    rows = stored(rows, "offload-rows")
     records.write_offload(rows, path, magic, name)
     return Found(rows, _summary(rows, "OK"))
 
@@ -259,10 +259,7 @@ def dry_run(
 def run_plan(spark: SparkSession, root: str, out: str, profiles: DataFrame | None = None) -> Found:
     """A run's frames with what it will do to each: refuse by class, skip what a former run has done, or encode."""
     found = frames.encoded(frames.files(spark, root))
-    seen = found.select(
-        "rel", "clip", "stem", frames.facts("content").alias("facts"), hashing.sha256(F.col("content")).alias("src_sha")
-    )
-    seen = seen.withColumn("class", frames.frame_class())
+    seen = stored(frames.seen(found, sha=True), "seen").withColumn("class", frames.frame_class())
     outputs = hashed(frames.files(spark, out)).select("rel", F.col("d_sha256").alias("out_sha"))
     side, _ = records.read_resume(spark, out)
     side = side.select(F.col("file").alias("rel"), F.lower("sha256").alias("side_sha"))
@@ -295,9 +292,9 @@ def measure(spark: SparkSession, roots: list[str]) -> Found:
     """Sizes, depths and classes of the frames of several roots: counts of each root added, clips not made distinct again."""
     one = None
     for n, root in enumerate(roots):
-        seen = frames.encoded(frames.files(spark, root)).select(
-            F.lit(n).alias("root"), "clip", frames.facts("content").alias("facts")
-        ).withColumn("class", frames.frame_class())
+        seen = frames.seen(frames.encoded(frames.files(spark, root))).withColumns(
+            {"root": F.lit(n), "class": frames.frame_class()}
+        )
         part = seen.groupBy("root", "facts.make", "facts.model", "facts.width", "facts.height", "facts.bits", "class").agg(
             F.count(F.lit(1)).alias("frames"), F.countDistinct("clip").alias("clips")
         )
