@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from loomshed.functions import keys
 from loomshed.operators import reconcile as rc
 from loomshed.plans.registry import register
-from loomshed.scratch import scratch, stored
+from loomshed.scratch import scratch, spread, stored
 from loomshed.session import table
 from loomshed.sources import frames, hashlists, records, reports, signatures, tiff, trees
 
@@ -117,7 +117,7 @@ def _tiffs(key: pd.Series, size: pd.Series, maker: pd.Series) -> pd.Series:
 
 
 def _part_files(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
     return p.select("p_partkey", _tiffs(p["p_partkey"], p["p_size"], p["p_brand"]).alias("content"))
 
 
@@ -569,7 +569,7 @@ def _chains(keys_: pd.Series, sizes: pd.Series) -> pd.Series:
 )
 def hash_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Records of hash-list chains."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
     texts = p.select("p_partkey", _chains(p["p_partkey"], p["p_size"]).alias("text"))
     return texts.select("p_partkey", F.explode(hashlists.chain("text")).alias("e")).select("p_partkey", "e.sequence", "e.path")
 

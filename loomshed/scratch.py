@@ -114,6 +114,12 @@ def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, by: str, most: int = 20_000) -> DataFrame:
+    """Narrow rows dealt out by a key before costly work: about ``most`` a task, however few splits their file has, and some for every core."""
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // most), min(n, rows.sparkSession.sparkContext.defaultParallelism)), by)
+
+
 def few(rows: DataFrame, column: str, most: int) -> list:
     """Distinct values of a column that are few by nature; raises beyond ``most``."""
     found = [r[0] for r in rows.select(column).distinct().limit(most + 1).collect()]
