@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomshed.plans.registry import register
 from loomshed.plans.sources import _lines
-from loomshed.scratch import scratch
+from loomshed.scratch import scratch, stored
 from loomshed.session import table
 from loomshed.sources import records
 
@@ -70,7 +70,7 @@ def ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
     held = e.select(F.expr("event_id div 1000").alias("k"), line.alias("line")).groupBy("k").agg(
         F.concat(F.lit(top), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("text")  # 1,000 lines
     )
-    rel = F.format_string("ledger-%d.tsv", "k").alias("rel")
+    held, rel = stored(held, "ledgers"), F.format_string("ledger-%d.tsv", "k").alias("rel")
     for share in (0.0, 0.37, 0.8, 1.0):
         part = F.left("text", F.ceil(F.length("text") * share).cast("int")).cast("binary").alias("content")
         trees.write_files(held.select(rel, part), path)

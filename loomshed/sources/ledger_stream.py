@@ -2,8 +2,8 @@
 
 An offset is a byte a file, always behind a line's end. What stands behind the last line's end is a torn
 tail: it is left for the batch in which its line has ended, so no half line is ever read. A file's first
-line names its version; those of an unknown version, or of none, are named once and never read. Ranges of a
-file are lines of their own tasks: a task reads the lines that begin in its range.
+line names its version; those of an unknown version, or of none, are named once and never read. A file is
+read in ranges, each the lines that begin in it; a task takes ranges of one file or many until they have ``TASK`` bytes.
 
 ``append_line`` adds to a ledger as the protocol wants: a new file gets its version and column lines, a
 torn tail is ended first, and a file of an unknown version is refused.
@@ -24,21 +24,28 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from loomshed.sources import records
 from loomshed.sources.trees import STAGE, opened
 
-#: Bytes of a file that one task reads, and at a time.
-RANGE, BLOCK = 64 << 20, 1 << 20
+#: Bytes of a range of a file, those of the ranges that one task reads, and those that are read at a time.
+RANGE, TASK, BLOCK = 64 << 20, 8 << 20, 1 << 20
 LINES = "manifest string, n long, line string, torn boolean, head string"
 
 
-@dataclass
-class Range(InputPartition):
+@dataclass(frozen=True)
+class Range:
     """The lines of a file that begin in [start, stop)."""
 
     path: str
     start: int
     stop: int
 
+
+@dataclass
+class Ranges(InputPartition):
+    """The ranges of a task."""
+
+    held: list[Range]
+
     def __post_init__(self):
-        super().__init__((self.path, self.start, self.stop))
+        super().__init__(tuple(self.held))
 
 
 def _last_end(fs: pafs.FileSystem, path: str, start: int, size: int) -> int:
@@ -89,14 +96,22 @@ class LedgerReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.held = {**self.held, **end}
-        return [
-            Range(path, at, min(at + self.range, stop))
-            for path, stop in sorted(end.items())
-            for at in range(start.get(path, 0), stop, self.range)
-        ]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
+        out, size = [], TASK
+        for path, stop in sorted(end.items()):
+            for at in range(start.get(path, 0), stop, self.range):
+                if size >= TASK:
+                    out.append([])
+                    size = 0
+                out[-1].append(Range(path, at, min(at + self.range, stop)))
+                size += out[-1][-1].stop - at
+        return [Ranges(held) for held in out]
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         fs, _ = opened(self.root)
+        for part in partition.held:
+            yield from self._lines(fs, part)
+
+    def _lines(self, fs: pafs.FileSystem, partition: Range) -> Iterator[tuple]:
         with fs.open_input_file(partition.path) as f:
             head = _line(f, 0)
             at = partition.start
