@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomshed.plans.registry import register
-from loomshed.scratch import scratch
+from loomshed.scratch import free, scratch, shuffles_dropped
 from loomshed.session import table
 from loomshed.streaming import live
 
 DAY = 86_400
 #: Width of a slice of the replay; an event comes in its own slice or in the next one.
 SLICE_S, LATE = 10 * DAY, "20 days"
+#: Events of a file of the replay.
+FILE_ROWS = 1_000_000
 SPEC = live.Live(total=60, static_eta=77.0, idle_s=60 * DAY)
 
 
@@ -30,7 +32,8 @@ def run_events(spark: SparkSession, sf: str) -> DataFrame:
 def replayed(events: DataFrame, path: str, out: str, checkpoint: str) -> None:
     """Write events as files, a slice of time after the other, half of them a slice late, and follow them.
 
-    The stream is stopped after half of the slices and started again; two heartbeats close what is open.
+    The events are dealt into their slices once, and each slice is files of ``FILE_ROWS`` events. The stream is
+    stopped after half of the slices and started again; two heartbeats close what is open.
     """
     spark = events.sparkSession
     seconds = F.unix_timestamp("ts")
@@ -39,15 +42,23 @@ def replayed(events: DataFrame, path: str, out: str, checkpoint: str) -> None:
         return
     number = F.floor((seconds - first) / SLICE_S) + F.pmod(F.xxhash64("run", "seq"), F.lit(2))
     slices = (last - first) // SLICE_S + 2
+    dealt = scratch(spark, "live-slices")
+    with shuffles_dropped(spark):
+        events.withColumn("n", number).write.partitionBy("n").parquet(dealt)
+    held = spark.read.schema(events.withColumn("n", number).schema).parquet(dealt)
+    held._scratch_path = dealt
     for numbers in (range(slices // 2), range(slices // 2, slices)):
         for n in numbers:
-            events.filter(number == n).write.mode("append").parquet(path)
+            part = held.filter(F.col("n") == n).drop("n")
+            files = max(1, -(-part.count() // FILE_ROWS))
+            part.repartition(files, "run", "seq").write.mode("append").parquet(path)
         if slices - 1 in numbers:
             for k in (1, 2):
                 beat = f"cast(null as long) run, timestamp_seconds({last + 100 * DAY * k}) ts, cast(null as long) seq"
                 beat = spark.range(1).selectExpr(*beat.split(", "), "cast(null as double) ms", "cast(null as long) bytes")
                 beat.coalesce(1).write.mode("append").parquet(path)
         live.follow(spark, path, out, checkpoint, SPEC, LATE, files=2)
+    free(held)
 
 
 @register(

@@ -23,8 +23,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomshed.scratch import settings
@@ -35,6 +34,7 @@ ROWS = (
     "rate double, rate_eta double, read_mbs double, read_total long, read_peak_mbs double, read_mean_mbs double, fps double"
 )
 _COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+_TOLD = Row(*_COLUMNS)
 _MB = 1_048_576.0
 #: The state store that keeps timers and state of several kinds.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -116,7 +116,7 @@ _WAITING = "at long, seq long, ms double, bytes long"
 
 
 def _none(v):
-    """A value of a frame, with pandas' marks of what is missing as None."""
+    """A value, with what is no number as None."""
     return None if v is None or v != v else v
 
 
@@ -131,21 +131,14 @@ class LiveRuns(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITING)
         self.state = handle.getValueState("run", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            if key[0] is None or key[0] != key[0]:
-                continue
-            at = frame["ts"].astype("datetime64[us]").astype("int64")
-            values = zip(at, frame["seq"], frame["ms"], frame["bytes"], strict=True)
-            new = [(int(a), int(s), _none(ms), None if _none(b) is None else int(b)) for a, s, ms, b in values]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["at"], r["seq"], _none(r["ms"]), r["bytes"]) for r in rows if key[0] is not None]
+        if new:
             self.waiting.appendList(new)
-            first = min([first or new[0][0], *(n[0] for n in new)])
-        if first is not None:
-            self.handle.registerTimer(-(-first // 1000))
+            self.handle.registerTimer(-(-min(n[0] for n in new) // 1000))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         reached = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: (w[0], w[1]))
         due = [w for w in held if w[0] <= reached]
@@ -161,7 +154,7 @@ class LiveRuns(StatefulProcessor):
             told.append(self._closed(key, run))
             run = Run()
         self._write(run, due, rest)
-        return iter([_frame(told)] if told else [])
+        return iter([_TOLD(*[t.get(c) for c in _COLUMNS]) for t in told])
 
     def _read(self) -> Run:
         held = self.state.get() if self.state.exists() else None
@@ -188,17 +181,11 @@ class LiveRuns(StatefulProcessor):
         pass
 
 
-def _frame(told: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(told, columns=_COLUMNS)
-    frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
-    whole = {c: "Int64" for c in ("run", "seq", "processed", "done", "left", "read_total")}
-    return frame.astype(whole | {"closed": "boolean"} | {c: "Float64" for c in _COLUMNS[7:] if c != "read_total"})
-
-
 def live_status(events: DataFrame, spec: Live, late: str) -> DataFrame:
     """Lines and totals of a stream of events that may come ``late``."""
-    rows = events.select("run", "ts", "seq", "ms", "bytes").withWatermark("ts", late)
-    return rows.groupBy("run").transformWithStateInPandas(LiveRuns(spec), ROWS, "append", "eventTime")
+    rows = events.select("run", "ts", F.unix_micros("ts").alias("at"), "seq", "ms", "bytes").withWatermark("ts", late)
+    told = rows.groupBy("run").transformWithState(LiveRuns(spec), ROWS.replace("ts timestamp", "ts long"), "append", "eventTime")
+    return told.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def follow(spark: SparkSession, path: str, out: str, checkpoint: str, spec: Live, late: str, files: int = 1) -> None:
