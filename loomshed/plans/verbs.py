@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomshed import verbs
 from loomshed.functions import hashing
 from loomshed.plans.registry import register
-from loomshed.scratch import scratch
+from loomshed.scratch import many, scratch
 from loomshed.session import table
 from loomshed.sources import records, trees
 
@@ -167,7 +167,7 @@ def copied_files(spark: SparkSession, sf: str) -> DataFrame:
         one = verbs.hashed(verbs.frames.files(spark, folder)).select("rel", F.lit(d).alias("dest"), F.col("d_sha256").alias("there"))
         there = one if there is None else there.unionByName(one)
     verdict = F.when(F.col("there").eqNullSafe(F.col("sha256")), F.col("verdict")).otherwise("differs")
-    return told.join(there, ["rel", "dest"], "left").select("rel", "dest", "size", "sha256", verdict.alias("verdict"))
+    return told.join(many(there), ["rel", "dest"], "left").select("rel", "dest", "size", "sha256", verdict.alias("verdict"))
 
 
 @register(

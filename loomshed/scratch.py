@@ -114,6 +114,15 @@ def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
     )
 
 
+def many(rows: DataFrame) -> DataFrame:
+    """Rows of a table of any size, joined by a shuffle and a sort wherever they or what is made of them meet another.
+
+    Spark would broadcast a table whose files are small, and compressed names and digests take ten times as
+    much in the driver's memory. A union or a join upon the rows forgets this.
+    """
+    return rows.hint("merge")
+
+
 def spread(rows: DataFrame, by: str, most: int = 20_000) -> DataFrame:
     """Narrow rows dealt out by a key before costly work: about ``most`` a task, however few splits their file has, and some for every core."""
     n = rows.count()

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loomshed.functions.hashing import crc32c_many
+from loomshed.scratch import many
 from loomshed.sources import tiff, trees
 
 
@@ -52,15 +53,17 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         found = trees.dealt(trees.listed(spark, root, glob)).withColumn("root", F.lit(root))
         found, last = found.withColumn("content", _content("root", "rel")), ["root"]
     name = F.substring_index("rel", "/", -1)
-    return found.filter(~name.startswith("._")).select(
-        "rel",
-        F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("clip"),
-        name.alias("name"),
-        F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
-        "length",
-        "modified",
-        *last,
-        "content",
+    return many(
+        found.filter(~name.startswith("._")).select(
+            "rel",
+            F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("clip"),
+            name.alias("name"),
+            F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
+            "length",
+            "modified",
+            *last,
+            "content",
+        )
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomshed.functions import keys
 from loomshed.operators import gates, planes, planning, reconcile as rc, stats
-from loomshed.scratch import placed, stored
+from loomshed.scratch import many, placed, stored
 from loomshed.sources import frames, records, reports, trees
 
 
@@ -80,7 +80,7 @@ def audit(spark: SparkSession, root: str, source: str | None = None, dests: dict
             held = one if held is None else held.unionByName(one)
         if held is None:
             held = listed.select("dest", "rel", F.col("size").alias("d_size"), F.col("sha256").alias("d_sha256")).limit(0)
-        again = rc.reverify(listed, held, ["dest", "rel"], here).select(F.lit("offload").alias("record"), "rel", "verdict")
+        again = rc.reverify(listed, many(held), ["dest", "rel"], here).select(F.lit("offload").alias("record"), "rel", "verdict")
         out = out.unionByName(again.withColumn("good", F.col("verdict") == "OK"))
     if source is not None:
         recorded, _ = records.read_sources(spark, root, glob="*.sources.tsv")
@@ -129,7 +129,7 @@ def offload_plan(spark: SparkSession, source: str, dests: dict[str, str]) -> Fou
         )
         held = one if held is None else held.unionByName(one)
     names = spark.createDataFrame([(d,) for d in dests], "dest string")
-    rows = rc.fan_out(files, names, held, "rel", "dest")
+    rows = rc.fan_out(files, names, many(held), "rel", "dest")
     return Found(
         rows, rows.agg(F.count_if(F.col("action") == "copy").alias("copy"), F.count_if(F.col("action") == "skip").alias("skip"))
     )
@@ -164,8 +164,8 @@ def offload_record(
     ``mine`` is what ``hashed`` has told of the source, where that is known.
     """
     mine = stored(hashed(frames.files(spark, source)), "source") if mine is None else mine
-    mine = mine.select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256"))
-    there = stored(hashed(frames.files(spark, dest)), "there").select("rel", "d_size", "d_sha256")
+    mine = many(mine.select("rel", F.col("d_size").alias("size"), F.col("d_sha256").alias("sha256")))
+    there = many(stored(hashed(frames.files(spark, dest)), "there").select("rel", "d_size", "d_sha256"))
     verdicts = rc.member_verdicts(mine, there, "rel")
     rows = mine.join(verdicts, "rel").join(there.select("rel", "d_sha256"), "rel", "left").select(
         F.col("rel").alias("file"),
@@ -209,10 +209,10 @@ def restore(spark: SparkSession, offenders: DataFrame, master: str, key: str = "
     numbered = listed.join(first, F.col("clip").eqNullSafe(F.col("of"))).select(
         F.col("clip").alias("_c"), F.col(key).alias("_k"), (F.col("place") - F.col("first") + 1).alias("n")
     )
-    rows = offenders.join(numbered, F.col("clip").eqNullSafe(F.col("_c")) & (F.col(key) == F.col("_k"))).drop("_c", "_k")
+    rows = offenders.join(many(numbered), F.col("clip").eqNullSafe(F.col("_c")) & (F.col(key) == F.col("_k"))).drop("_c", "_k")
     rows = rows if nth is None else rows.filter(F.col("n") == nth)
     checked = verify_checksums(spark, master).rows.select(F.col("rel").alias(key), (F.col("verdict") == "ok").alias("fine"))
-    out = rc.restore_actions(rows, checked, key, "fine")
+    out = rc.restore_actions(rows, many(checked), key, "fine")
     return Found(out, out.groupBy("action").agg(F.count(F.lit(1)).alias("rows")))
 
 
@@ -259,10 +259,10 @@ def dry_run(
 def run_plan(spark: SparkSession, root: str, out: str, profiles: DataFrame | None = None) -> Found:
     """A run's frames with what it will do to each: refuse by class, skip what a former run has done, or encode."""
     found = frames.encoded(frames.files(spark, root))
-    seen = stored(frames.seen(found, sha=True), "seen").withColumn("class", frames.frame_class())
+    seen = many(stored(frames.seen(found, sha=True), "seen").withColumn("class", frames.frame_class()))
     outputs = hashed(frames.files(spark, out)).select("rel", F.col("d_sha256").alias("out_sha"))
     side, _ = records.read_resume(spark, out)
-    side = side.select(F.col("file").alias("rel"), F.lower("sha256").alias("side_sha"))
+    side = many(side.select(F.col("file").alias("rel"), F.lower("sha256").alias("side_sha")))
     known = seen.select("rel", F.lit(None).cast("string").alias("map_sha")).limit(0)
     skip = rc.resume_plan(seen.select("rel", "src_sha"), outputs, side, known, "rel")
     action = F.when(~F.col("class").isin("raw", "camera-lossless"), "refuse").when(F.col("skip"), "skip").otherwise("encode")
