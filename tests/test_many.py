@@ -48,3 +48,8 @@ def test_a_run_plan_broadcasts_no_table_of_names(spark, tree, tmp_path):
     (tmp_path / "x.checksums.tsv").write_text("file\tsize\tcrc32c\tsha256\nA\t1\t00000000\t" + "0" * 64 + "\n")
     found = verbs.run_plan(spark, tree, str(tmp_path)).rows
     assert not broadcast(found) and found.count() == 30
+
+
+def test_parts_of_archives_broadcast_no_table_of_names(spark, tree):
+    found = verbs.bake_plan(spark, tree, 100, 1_000).rows
+    assert not broadcast(found) and found.count() == 31
