@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomshed.llm import bpe, mixing, neardup, pii, toxicity
-from loomshed.llm.common import free, stored
+from loomshed.llm.common import free, settings, stored
 from loomshed.llm.registry import tokenizer
 from loomshed.session import ship, table
 
@@ -53,6 +53,9 @@ STAGES = [
     ("tokens", tokenise),
 ]
 
+#: Rows that go to Python at a time in the stages that are written; texts of thousands fill an executor's memory.
+HELD = 1_000
+
 #: Learned scores and a shingle hash are beyond SQL; a brute-force version is in the tests.
 ORACLE_SQL = None
 
@@ -62,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(HELD)):
+            kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if held is not None:
             free(held)
         docs = held = kept

@@ -42,6 +42,8 @@ from loomshed.llm.common import free, stored
 
 KINDS = ("email", "ip", "card", "phone")
 N_LABELS = len(KINDS) + 1
+#: Texts, and learning rows, that a task holds as Python's objects.
+HELD = 500
 
 # The patterns. Starts at run borders and possessive runs match the
 # same spans as the plain forms, without their quadratic retries.
@@ -464,7 +466,7 @@ def learning_rows(docs: DataFrame, field: Field, altered: bool = False) -> DataF
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             for text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text or not _NODE.search(text):
@@ -475,6 +477,9 @@ def learning_rows(docs: DataFrame, field: Field, altered: bool = False) -> DataF
                 else:
                     new = _examples(text, field)
                 rows += [e | {"n": n} for e in new]
+                if len(rows) >= HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
     copies = F.col("copies") if "copies" in docs.columns else F.lit(1).cast("long")
@@ -629,6 +634,13 @@ SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, added
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _parts(batches):
+    """Batches in slices of ``HELD`` rows; an empty one is one."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), HELD):
+            yield b.slice(at, HELD)
+
+
 def _rows(spans: list[Span]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
@@ -637,7 +649,7 @@ def find_documents(docs: DataFrame, weights: Weights, field: Field = Field()) ->
     """(doc_id, base, added): spans of every whole text."""
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             found = [find_spans(t or "", weights, field) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([_rows(f[0]) for f in found], _ARROW), pa.array([_rows(f[1]) for f in found], _ARROW)],
@@ -673,7 +685,7 @@ def redact_documents(docs: DataFrame, weights: Weights, field: Field = Field())
         return redact(text, base + added)
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             at = b.schema.get_field_index("text")
             texts = [clean(t) for t in b.column(at).to_pylist()]
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
