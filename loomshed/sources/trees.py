@@ -359,7 +359,18 @@ def _drop_folder(fs: pafs.FileSystem, path: str) -> None:
 
 
 def _moved(fs: pafs.FileSystem, temp: str, path: str) -> None:
-    """Rename a file; one that an earlier attempt has renamed is there."""
+    """Rename a file; one that an earlier attempt has renamed is there.
+
+    Renames from folder to folder take a lock of the whole local file system, so that tasks wait for each other
+    however many there are. There a new name is a second link to the file, and the first is removed.
+    """
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            os.link(temp, path)
+        except OSError:
+            pass  # a file is there already, or the file system has no links: it is renamed
+        else:
+            return os.remove(temp)
     try:
         fs.move(temp, path)
     except FileNotFoundError:
