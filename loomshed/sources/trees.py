@@ -52,6 +52,8 @@ NAMES = 5_000
 CHUNK = 1 << 20
 #: Rows of the sink that a task holds at a time, and names that one renames.
 HELD, RENAMES = 128, 20_000
+#: Rows that one task of the sink may have however few the others have.
+UNEVEN = 5_000
 STAGE = ".loomshed-"
 
 
@@ -378,10 +380,21 @@ def _moved(fs: pafs.FileSystem, temp: str, path: str) -> None:
             raise
 
 
+def even(rows: DataFrame) -> DataFrame:
+    """The rows, dealt out by name where one task has more than twice its share, as of a table whose file is one split.
+
+    Rows are counted by the tasks that have them, without their content.
+    """
+    held = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    n, most = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-n // RENAMES)), "rel") if most > max(UNEVEN, 2 * n // cores) else rows
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """Write (rel, content) as files below ``root``; a file of the same name is replaced.
 
-    What a task has written is a row a file in the shared folder, of the attempt that counts. An attempt that
+    Rows that lie in few tasks are dealt out first. What a task has written is a row a file in the shared folder, of the attempt that counts. An attempt that
     still runs when the job is given up may leave its folder behind; its name begins with ``STAGE``, so that no
     reader sees what is in it.
     """
@@ -422,7 +435,7 @@ def write_files(rows: DataFrame, root: str) -> None:
     narrow = rows.select(F.col("rel").cast("string").alias("rel"), F.col("content").cast("binary").alias("content"))
     try:
         with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(HELD)):
-            told = stored(narrow.mapInArrow(write, "rel string, temp string"), "staged")
+            told = stored(even(narrow).mapInArrow(write, "rel string, temp string"), "staged")
         c = F.count(F.lit(1)).alias("c")
         n, names = told.groupBy("rel").agg(c).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         if names < n:
