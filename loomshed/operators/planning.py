@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from loomshed.operators.scans import Next, Total, has_hot, scan, scan_ranges
-from loomshed.scratch import placed, stored
+from loomshed.scratch import many, placed, stored
 
 _MASK = (1 << 64) - 1
 # Fixed value: the seed of the deterministic sample.
@@ -144,18 +144,18 @@ def part_ends(held: DataFrame, target: int) -> DataFrame:
 def _fit_doubling(rows: DataFrame, target: int) -> DataFrame:
     """(g, o, part) by pointer doubling over the forest of beginnings."""
     held = placed(rows, F.col("g").asc_nulls_first(), "o")
-    jumps = [stored(part_ends(held, target), "jumps")]
+    jumps = [many(stored(part_ends(held, target), "jumps"))]
     while True:
         here = jumps[-1]
         there = here.select(F.col("place").alias("next"), F.col("next").alias("_far"))
-        further = stored(here.join(there, "next").select("place", F.col("_far").alias("next")), "jumps")
+        further = many(stored(here.join(there, "next").select("place", F.col("_far").alias("next")), "jumps"))
         if not further.limit(1).count():
             break
         jumps.append(further)
-    begun = stored(held.groupBy("g").agg(F.min("place").alias("place")).select("place"), "begun")
+    begun = many(stored(held.groupBy("g").agg(F.min("place").alias("place")).select("place"), "begun"))
     for jump in reversed(jumps):
         reached = begun.join(jump, "place").select(F.col("next").alias("place"))
-        begun = stored(begun.unionByName(reached), "begun")
+        begun = many(stored(begun.unionByName(reached), "begun"))
     marked = held.join(begun.withColumn("_begins", F.lit(1)), "place", "left")
     parts = scan_ranges(marked.select(*held.columns, "_begins"), ["g"], {"_part": Total(F.col("_begins"))})
     return parts.select("g", "o", (F.col("_part") - 1).cast("int").alias("part"))

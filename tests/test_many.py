@@ -5,6 +5,7 @@ import re
 import pytest
 
 from loomshed import verbs
+from loomshed.operators import planning, scans
 from loomshed.session import ship
 from loomshed.sources import records, trees
 
@@ -53,3 +54,19 @@ def test_a_run_plan_broadcasts_no_table_of_names(spark, tree, tmp_path):
 def test_parts_of_archives_broadcast_no_table_of_names(spark, tree):
     found = verbs.bake_plan(spark, tree, 100, 1_000).rows
     assert not broadcast(found) and found.count() == 31
+
+
+def test_beginnings_of_parts_are_doubled_without_a_broadcast_of_places(spark, monkeypatch):
+    monkeypatch.setattr(scans, "WINDOW_ROWS", 10)
+    plans, kept = [], planning.stored
+
+    def stored(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, what)
+
+    monkeypatch.setattr(planning, "stored", stored)
+    rows = spark.range(50).selectExpr("'g' g", "id i", "3L s")
+    found = planning.next_fit(rows, "g", "i", "s", 10)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if re.search(r"BroadcastHashJoin \[(?:place|next)#", p)]
+    assert {x.i: x.part for x in found.collect()} == {i: i // 3 for i in range(50)}
