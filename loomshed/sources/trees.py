@@ -50,8 +50,8 @@ SLICE, SLICE_BYTES = 5_000, 256 << 20
 NAMES = 5_000
 #: Bytes of a copy that are held.
 CHUNK = 1 << 20
-#: Rows of the sink that a task holds at a time, and names that one renames.
-HELD, RENAMES = 128, 20_000
+#: Rows of the sink that a task holds at a time, bytes from which it holds no more of them, and names that one renames.
+HELD, HELD_BYTES, RENAMES = 128, 16 << 20, 20_000
 #: Rows that one task of the sink may have however few the others have.
 UNEVEN = 5_000
 STAGE = ".loomshed-"
@@ -391,6 +391,12 @@ def even(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(cores, -(-n // RENAMES)), "rel") if most > max(UNEVEN, 2 * n // cores) else rows
 
 
+def in_pieces(spark: SparkSession):
+    """In this block, tasks get rows of contents by ``HELD``, or fewer where contents are large."""
+    most = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(HELD), "spark__sql__execution__arrow__maxBytesPerBatch": str(HELD_BYTES)}
+    return settings(spark, **most)
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """Write (rel, content) as files below ``root``; a file of the same name is replaced.
 
@@ -434,7 +440,7 @@ def write_files(rows: DataFrame, root: str) -> None:
 
     narrow = rows.select(F.col("rel").cast("string").alias("rel"), F.col("content").cast("binary").alias("content"))
     try:
-        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(HELD)):
+        with in_pieces(spark):
             told = stored(even(narrow).mapInArrow(write, "rel string, temp string"), "staged")
         c = F.count(F.lit(1)).alias("c")
         n, names = told.groupBy("rel").agg(c).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -40,3 +41,14 @@ def test_files_of_one_split_are_written_by_many_tasks(spark, tmp_path, monkeypat
     assert len(list((tmp_path / "d").iterdir())) == 200
     assert trees.even(rows).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert trees.even(rows.repartition(16)).rdd.getNumPartitions() == 16
+
+
+def test_the_sink_is_handed_large_contents_a_few_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 1048576) c")
+    with trees.in_pieces(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 64 << 20 and max(got) <= trees.HELD_BYTES + (2 << 20)
