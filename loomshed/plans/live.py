@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomshed.plans.registry import register
@@ -14,6 +16,8 @@ DAY = 86_400
 SLICE_S, LATE = 10 * DAY, "20 days"
 #: Events of a file of the replay.
 FILE_ROWS = 1_000_000
+#: Runs of a shelf, whose states are kept together.
+SHELF_RUNS = 128
 SPEC = live.Live(total=60, static_eta=77.0, idle_s=60 * DAY)
 
 
@@ -37,9 +41,10 @@ def replayed(events: DataFrame, path: str, out: str, checkpoint: str) -> None:
     """
     spark = events.sparkSession
     seconds = F.unix_timestamp("ts")
-    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    first, last, runs = events.agg(F.min(seconds), F.max(seconds), F.approx_count_distinct("run")).first()
     if first is None:
         return
+    spec = replace(SPEC, shelves=-(-runs // SHELF_RUNS) or 1)
     number = F.floor((seconds - first) / SLICE_S) + F.pmod(F.xxhash64("run", "seq"), F.lit(2))
     slices = (last - first) // SLICE_S + 2
     dealt = scratch(spark, "live-slices")
@@ -57,7 +62,7 @@ def replayed(events: DataFrame, path: str, out: str, checkpoint: str) -> None:
                 beat = f"cast(null as long) run, timestamp_seconds({last + 100 * DAY * k}) ts, cast(null as long) seq"
                 beat = spark.range(1).selectExpr(*beat.split(", "), "cast(null as double) ms", "cast(null as long) bytes")
                 beat.coalesce(1).write.mode("append").parquet(path)
-        live.follow(spark, path, out, checkpoint, SPEC, LATE, files=2)
+        live.follow(spark, path, out, checkpoint, spec, LATE, files=2)
     free(held)
 
 

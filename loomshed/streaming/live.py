@@ -9,6 +9,10 @@ take the events in order of (ts, seq) as the watermark passes them; a run that h
 ``idle`` is closed, its totals are given and its state goes. Offsets, state and timers live in the
 checkpoint, so a restart goes on where it was.
 
+A call of the state store and a row handed to Python each cost far more than the counting of a frame, so
+streams of many runs with few frames each keep the runs of a shelf as one value with one timer, and take
+and tell data frames (``Live.shelves``); what is told is the same.
+
 ``live_batch`` gives the same rows of a table that is complete.
 
 Defined results: events that come later than the watermark are dropped, as Spark counts them; events
@@ -20,9 +24,12 @@ from __future__ import annotations
 
 import bisect
 import math
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,6 +42,10 @@ ROWS = (
 )
 _COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 _TOLD = Row(*_COLUMNS)
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp": pa.int64()}
+_FRAME = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ROWS.split(", ")])
+#: What may be null in an event comes as 0 beside a mark, for a data frame would make doubles of its whole numbers.
+_NULLABLE = ("run", "seq", "bytes")
 _MB = 1_048_576.0
 #: The state store that keeps timers and state of several kinds.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,11 +53,15 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 @dataclass(frozen=True)
 class Live:
-    """Frames of a run, the estimate that stands until 0.1 s have passed, and the silence that closes a run."""
+    """Frames of a run, the estimate that stands until 0.1 s have passed, and the silence that closes a run.
+
+    ``shelves`` deals the runs to so many shared states, a number that stays with a checkpoint; without it each run has its own.
+    """
 
     total: int = 500
     static_eta: float = 0.0
     idle_s: int = 86_400
+    shelves: int | None = None
 
     @property
     def idle(self) -> int:
@@ -120,6 +135,27 @@ def _none(v):
     return None if v is None or v != v else v
 
 
+def _taken(key: int, run: Run, held: list, reached: int, spec: Live) -> tuple[list[dict], Run, list]:
+    """What a run tells when the watermark is at ``reached``, the run from there on, and the events that go on waiting."""
+    held = sorted(held, key=lambda w: (w[0], w[1]))
+    due = [w for w in held if w[0] <= reached]
+    rest, told = held[len(due) :], []
+    for at, seq, ms, read in due:
+        if run.processed and at - run.last >= spec.idle:
+            told.append(_closed(key, run, spec))
+            run = Run()
+        if line := run.add(at, ms, read, spec):
+            told.append({"run": key, "seq": seq, "ts": at, "closed": False} | line)
+    if not rest and run.processed and reached - run.last >= spec.idle:
+        told.append(_closed(key, run, spec))
+        run = Run()
+    return told, run, rest
+
+
+def _closed(key: int, run: Run, spec: Live) -> dict:
+    return {"run": key, "seq": None, "ts": run.last, "closed": True} | run.totals(spec)
+
+
 class LiveRuns(StatefulProcessor):
     """The state of a run: events that wait for the watermark, and the run so far."""
 
@@ -140,27 +176,16 @@ class LiveRuns(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         reached = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: (w[0], w[1]))
-        due = [w for w in held if w[0] <= reached]
-        rest = held[len(due) :]
-        run, told = self._read(), []
-        for at, seq, ms, read in due:
-            if run.processed and at - run.last >= self.spec.idle:
-                told.append(self._closed(key, run))
-                run = Run()
-            if line := run.add(at, ms, read, self.spec):
-                told.append({"run": key[0], "seq": seq, "ts": at, "closed": False} | line)
-        if not rest and run.processed and reached - run.last >= self.spec.idle:
-            told.append(self._closed(key, run))
-            run = Run()
-        self._write(run, due, rest)
+        held = [tuple(w) for w in self.waiting.get()]
+        told, run, rest = _taken(key[0], self._read(), held, reached, self.spec)
+        self._write(run, len(rest) < len(held), rest)
         return iter([_TOLD(*[t.get(c) for c in _COLUMNS]) for t in told])
 
     def _read(self) -> Run:
         held = self.state.get() if self.state.exists() else None
         return Run() if held is None else Run(*held[:6], tuple(held[6]))
 
-    def _write(self, run: Run, due: list, rest: list) -> None:
+    def _write(self, run: Run, due: bool, rest: list) -> None:
         """The state after a timer, and the timers that come next; nothing is left of a closed run."""
         if due and rest:
             self.waiting.put(rest)
@@ -174,8 +199,71 @@ class LiveRuns(StatefulProcessor):
         if rest:
             self.handle.registerTimer(-(-rest[0][0] // 1000))
 
-    def _closed(self, key, run: Run) -> dict:
-        return {"run": key[0], "seq": None, "ts": run.last, "closed": True} | run.totals(self.spec)
+    def close(self) -> None:
+        pass
+
+
+class LiveShelves(StatefulProcessor):
+    """The state of a shelf: of each of its runs the run so far and the events that wait, and the one timer of them all."""
+
+    def __init__(self, spec: Live):
+        self.spec = spec
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("shelf", "held binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        runs, timer = self._read()
+        for frame in rows:
+            for c in _NULLABLE:
+                frame[c] = frame[c].astype(object).mask(frame[f"no_{c}"], None)
+            for run, *event in zip(*(frame[c].tolist() for c in ("run", "at", "seq", "ms", "bytes"))):
+                if run is not None:
+                    at, seq, ms, read = event
+                    runs.setdefault(run, ((), []))[1].append((at, seq, _none(ms), read))
+        self._write(runs, timer)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        runs, told = self._read()[0], []
+        for name, (state, held) in list(runs.items()):
+            if self._due(state, held) <= reached:
+                lines, run, rest = _taken(name, Run(*state), held, reached, self.spec)
+                told += lines
+                if run.processed or rest:
+                    runs[name] = (astuple(run) if run.processed else (), rest)
+                else:
+                    del runs[name]
+        self._write(runs, None)
+        frame = pa.Table.from_pydict({c: [t.get(c) for t in told] for c in _COLUMNS}, _FRAME)
+        return iter([frame.to_pandas(types_mapper=pd.ArrowDtype)] if told else [])
+
+    def _due(self, state: tuple, held: list) -> int:
+        """When there is next something to do for a run: its first event that waits, or its end by silence (state[3] is its last time)."""
+        return min(w[0] for w in held) if held else state[3] + self.spec.idle
+
+    def _read(self) -> tuple[dict[int, tuple[tuple, list]], int | None]:
+        """The runs of the shelf, and its timer."""
+        if not self.state.exists():
+            return {}, None
+        shelves, runs, timer = pickle.loads(self.state.get()[0])
+        if shelves != self.spec.shelves:
+            raise ValueError(f"the checkpoint has {shelves} shelves, not {self.spec.shelves}")
+        return runs, timer
+
+    def _write(self, runs: dict[int, tuple[tuple, list]], timer: int | None) -> None:
+        """The state of the shelf, whose timer is moved to what is due next; an expired one (None) goes by itself."""
+        if not runs:
+            self.state.clear()
+            return
+        due = -(-min(self._due(*r) for r in runs.values()) // 1000)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((pickle.dumps((self.spec.shelves, runs, due)),))
 
     def close(self) -> None:
         pass
@@ -184,7 +272,15 @@ class LiveRuns(StatefulProcessor):
 def live_status(events: DataFrame, spec: Live, late: str) -> DataFrame:
     """Lines and totals of a stream of events that may come ``late``."""
     rows = events.select("run", "ts", F.unix_micros("ts").alias("at"), "seq", "ms", "bytes").withWatermark("ts", late)
-    told = rows.groupBy("run").transformWithState(LiveRuns(spec), ROWS.replace("ts timestamp", "ts long"), "append", "eventTime")
+    schema = ROWS.replace("ts timestamp", "ts long")
+    if spec.shelves is None:
+        told = rows.groupBy("run").transformWithState(LiveRuns(spec), schema, "append", "eventTime")
+    else:
+        shelf = F.pmod(F.xxhash64("run"), F.lit(spec.shelves)).alias("shelf")
+        marks = [F.col(c).isNull().alias(f"no_{c}") for c in _NULLABLE]
+        whole = [F.coalesce(c, F.lit(0)).alias(c) for c in _NULLABLE]
+        rows = rows.select(shelf, "ts", "at", "ms", *whole, *marks)
+        told = rows.groupBy("shelf").transformWithStateInPandas(LiveShelves(spec), schema, "append", "eventTime")
     return told.withColumn("ts", F.timestamp_micros("ts"))
 
 
