@@ -204,66 +204,83 @@ class LiveRuns(StatefulProcessor):
 
 
 class LiveShelves(StatefulProcessor):
-    """The state of a shelf: of each of its runs the run so far and the events that wait, and the one timer of them all."""
+    """The state of a shelf: of each of its runs the run so far, the events that wait, and the one timer of them all.
+
+    What comes is added to the events that wait; they and the runs are read and written again only when the timer goes off.
+    """
 
     def __init__(self, spec: Live):
         self.spec = spec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("shelf", "held binary")
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.state = handle.getValueState("runs", "runs binary")
+        self.timer = handle.getValueState("timer", "at long, shelves int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs, timer = self._read()
+        new = []
         for frame in rows:
             for c in _NULLABLE:
                 frame[c] = frame[c].astype(object).mask(frame[f"no_{c}"], None)
-            for run, *event in zip(*(frame[c].tolist() for c in ("run", "at", "seq", "ms", "bytes"))):
-                if run is not None:
-                    at, seq, ms, read = event
-                    runs.setdefault(run, ((), []))[1].append((at, seq, _none(ms), read))
-        self._write(runs, timer)
+            events = zip(*(frame[c].tolist() for c in ("run", "at", "seq", "ms", "bytes")))
+            new += [(run, at, seq, _none(ms), read) for run, at, seq, ms, read in events if run is not None]
+        if new:
+            self.waiting.appendValue((pickle.dumps(new),))
+            before, due = self._timer(), -(-min(n[1] for n in new) // 1000)
+            if before is None or due < before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self._set(due)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs() * 1000
-        runs, told = self._read()[0], []
-        for name, (state, held) in list(runs.items()):
-            if self._due(state, held) <= reached:
-                lines, run, rest = _taken(name, Run(*state), held, reached, self.spec)
-                told += lines
-                if run.processed or rest:
-                    runs[name] = (astuple(run) if run.processed else (), rest)
-                else:
-                    del runs[name]
-        self._write(runs, None)
+        self._timer()
+        states = pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+        waiting: dict[int, list] = {}
+        for (events,) in self.waiting.get():
+            for run, *event in pickle.loads(events):
+                waiting.setdefault(run, []).append(event)
+        told, rest, due = [], [], []
+        for name in states.keys() | waiting.keys():
+            lines, run, left = _taken(name, Run(*states.pop(name, ())), waiting.get(name, []), reached, self.spec)
+            told += lines
+            rest += [(name, *event) for event in left]
+            if run.processed:
+                states[name] = astuple(run)
+            if left or run.processed:
+                due.append(left[0][0] if left else run.last + self.spec.idle)
+        self._write(states, rest, due)
         frame = pa.Table.from_pydict({c: [t.get(c) for t in told] for c in _COLUMNS}, _FRAME)
         return iter([frame.to_pandas(types_mapper=pd.ArrowDtype)] if told else [])
 
-    def _due(self, state: tuple, held: list) -> int:
-        """When there is next something to do for a run: its first event that waits, or its end by silence (state[3] is its last time)."""
-        return min(w[0] for w in held) if held else state[3] + self.spec.idle
+    def _write(self, states: dict[int, tuple], rest: list, due: list[int]) -> None:
+        """The state after a timer, which went by itself, and the timer that comes next."""
+        if rest:
+            self.waiting.put([(pickle.dumps(rest),)])
+        else:
+            self.waiting.clear()
+        if states:
+            self.state.update((pickle.dumps(states),))
+        else:
+            self.state.clear()
+        if due:
+            self._set(-(-min(due) // 1000))
+        else:
+            self.timer.clear()
 
-    def _read(self) -> tuple[dict[int, tuple[tuple, list]], int | None]:
-        """The runs of the shelf, and its timer."""
-        if not self.state.exists():
-            return {}, None
-        shelves, runs, timer = pickle.loads(self.state.get()[0])
+    def _timer(self) -> int | None:
+        if not self.timer.exists():
+            return None
+        at, shelves = self.timer.get()
         if shelves != self.spec.shelves:
             raise ValueError(f"the checkpoint has {shelves} shelves, not {self.spec.shelves}")
-        return runs, timer
+        return at
 
-    def _write(self, runs: dict[int, tuple[tuple, list]], timer: int | None) -> None:
-        """The state of the shelf, whose timer is moved to what is due next; an expired one (None) goes by itself."""
-        if not runs:
-            self.state.clear()
-            return
-        due = -(-min(self._due(*r) for r in runs.values()) // 1000)
-        if due != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.state.update((pickle.dumps((self.spec.shelves, runs, due)),))
+    def _set(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at, self.spec.shelves))
 
     def close(self) -> None:
         pass
